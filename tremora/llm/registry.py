@@ -8,11 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tremora.llm.jpeg import op10_jpeg_media
 from tremora.llm.secrets import op3_secret_scan
+from tremora.llm.sentencepiece import op5_sentencepiece
+from tremora.llm.token_store import op7_token_binary
 from tremora.llm.warc import OP8_SQL, op8_warc_zip
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op3_secret_scan, op8_warc_zip, op10_jpeg_media]
+    found = [op3_secret_scan, op5_sentencepiece, op7_token_binary, op8_warc_zip, op10_jpeg_media]
     return {f.__name__: f for f in found}
 
 
