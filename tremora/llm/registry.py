@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tremora.llm.classifier import op4_quality_classifier
 from tremora.llm.jpeg import op10_jpeg_media
+from tremora.llm.mixing import OP2_SQL, op2_source_mixing
+from tremora.llm.near_duplicates import op9_minhash_near_dedup
 from tremora.llm.secrets import op3_secret_scan
 from tremora.llm.sentencepiece import op5_sentencepiece
 from tremora.llm.token_store import op7_token_binary
@@ -14,9 +17,9 @@ from tremora.llm.warc import OP8_SQL, op8_warc_zip
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op3_secret_scan, op5_sentencepiece, op7_token_binary, op8_warc_zip, op10_jpeg_media]
+    found = [op2_source_mixing, op3_secret_scan, op4_quality_classifier, op5_sentencepiece, op7_token_binary, op8_warc_zip, op9_minhash_near_dedup, op10_jpeg_media]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_warc_zip": OP8_SQL}
+    return {"op2_source_mixing": OP2_SQL, "op8_warc_zip": OP8_SQL}
