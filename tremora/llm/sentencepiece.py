@@ -8,7 +8,7 @@ Zipf's law at its rank; ``scores="file"`` takes the file's numbers. Segmentation
 not those of replayed merges; decoding returns every text exactly.
 
 Defined results: a null text counts as empty and has no pieces. Among equal scores the longer last
-piece wins, then the smaller id. U+2581 in a text is encoded in bytes, so it survives decoding.
+piece wins. U+2581 in a text is encoded in bytes, so it survives decoding.
 """
 
 from __future__ import annotations
@@ -58,6 +58,7 @@ class Pieces:
                 self.byte_ids[int(names[i][3:5], 16)] = i
                 self.bytes[i] = bytes([int(names[i][3:5], 16)])
         self.fallback = min((s for _, s in self.vocabulary.values()), default=0.0) - 10.0
+        self.single = frozenset(p for p in self.vocabulary if len(p) == 1)
         # a line feed that no piece holds ends a unit
         self.breaks_lines = not any("\n" in p for p in self.vocabulary)
         self.whole_words = not any(MARK in p.lstrip(MARK) for p in self.vocabulary)
@@ -68,41 +69,51 @@ class Pieces:
 
     def segment(self, unit: str) -> list[int]:
         """The best ids of a unit whose spaces stand for marks."""
-        shown = unit.replace(MARK, "\0").replace(" ", MARK)
+        shown = unit.replace(" ", MARK) if MARK not in unit else unit.replace(MARK, "\0").replace(" ", MARK)
         n = len(shown)
         best = [0.0] + [-math.inf] * n
-        came: list[tuple[int, int]] = [(0, 0)] * (n + 1)  # (length, id); id -1: the character's bytes
-        done, fallback = 0, self.fallback
-        for end, (length, piece, score) in self.automaton.iter(shown):
-            end += 1
-            while done < end:  # characters in bytes, before the pieces that end at each position
-                done += 1
-                best[done] = best[done - 1] + fallback * len(unit[done - 1].encode())
-                came[done] = (1, -1)
-            value = best[end - length] + score
-            if value > best[end] or (value == best[end] and (length, -piece) > (came[end][0], -came[end][1])):
-                best[end] = value
-                came[end] = (length, piece)
-        while done < n:
-            done += 1
-            came[done] = (1, -1)
+        came: list[tuple] = [()] * (n + 1)
+        if self.single.issuperset(shown):
+            # each character is a piece, so bytes never win; of equal scores the longest piece is reported first
+            for end, match in self.automaton.iter(shown):
+                value = best[end - match[0]] + match[2]
+                end += 1
+                if value > best[end]:
+                    best[end] = value
+                    came[end] = match
+        else:
+            done = 0
+            for end, match in self.automaton.iter(shown):
+                while done <= end:  # characters in bytes, before the pieces that end at each position
+                    self._fall_back(unit, done, best, came)
+                    done += 1
+                value = best[end - match[0]] + match[2]
+                if value > best[end + 1] or (value == best[end + 1] and came[end + 1][1] < 0):
+                    best[end + 1] = value
+                    came[end + 1] = match
+            for i in range(done, n):
+                self._fall_back(unit, i, best, came)
         out: list[int] = []
         while n:
-            length, piece = came[n]
+            less, piece, _ = came[n]
             if piece < 0:
                 out += [self.byte_ids[b] for b in reversed(unit[n - 1].encode())]
             else:
                 out.append(piece)
-            n -= length
+            n -= less + 1
         return out[::-1]
 
+    def _fall_back(self, unit: str, i: int, best: list[float], came: list[tuple]) -> None:
+        best[i + 1] = best[i] + self.fallback * len(unit[i].encode())
+        came[i + 1] = (0, -1, 0.0)
+
 
 def automaton_of(vocabulary: dict[str, tuple[int, float]]):
     import ahocorasick
 
     automaton = ahocorasick.Automaton()
     for piece, (i, score) in vocabulary.items():
-        automaton.add_word(piece, (len(piece), i, score))
+        automaton.add_word(piece, (len(piece) - 1, i, score))
     automaton.make_automaton()
     return automaton
 
