@@ -66,8 +66,10 @@ class Classifier:
 
     def score(self, x: np.ndarray) -> np.ndarray:
         """Calibrated scores; a slight slope within flat steps keeps the order of the raw scores."""
+        if not len(self.knots):
+            return np.full(len(x), 0.5)
         raw = self.raw(x)
-        level = np.interp(raw, self.knots, self.levels) if len(self.knots) else np.full(len(raw), 0.5)
+        level = np.interp(raw, self.knots, self.levels)
         return 0.99 * level + 0.01 / (1 + np.exp(-4 * (raw - 0.5)))
 
 
