@@ -1 +1 @@
-""""""
+"""Column expressions of the domain: features, signals, power."""

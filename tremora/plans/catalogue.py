@@ -2,25 +2,26 @@
 
 from __future__ import annotations
 
+import importlib
+import pkgutil
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-_SQL: dict[str, str] = {}
+import tremora.plans
+from tremora.plans.registry import QUERIES, SQL
 
 
-def register(name: str, query: Callable[[SparkSession, str], DataFrame], sql: str | None = None) -> None:
-    if name in _QUERIES:
-        raise ValueError(f"{name} is registered twice")
-    _QUERIES[name] = query
-    if sql is not None:
-        _SQL[name] = sql
+def _load() -> None:
+    for module in pkgutil.iter_modules(tremora.plans.__path__):
+        importlib.import_module(f"tremora.plans.{module.name}")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(_QUERIES)
+    _load()
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    _load()
+    return dict(SQL)

@@ -1 +1 @@
-""""""
+"""Readers and writers of telemetry, waveforms and payloads."""

@@ -1 +1 @@
-""""""
+"""Structured Streaming: sources, windowed features, keyed state, sinks."""
