@@ -68,8 +68,15 @@ def forget(frame: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Bytes of rows that Spark hands to a Python worker at once. Texts vary from words to books, so rows say little.
+ARROW_BATCH_BYTES = 4 << 20
+_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def ship_package(spark: SparkSession) -> None:
-    """Make this package importable in Python workers however the driver found it."""
+    """Make this package importable in Python workers however the driver found it, and bound their batches by bytes unless the user has."""
+    if spark.conf.get(_BATCH_SETTING, None) is None:
+        spark.conf.set(_BATCH_SETTING, str(ARROW_BATCH_BYTES))
     context = spark.sparkContext
     if getattr(context, "_tremora_shipped", False):
         return
