@@ -58,10 +58,10 @@ def asset_attributes(spark, sf_dir):
     return table(spark, sf_dir, "part").where("p_type like '%A%'").select(F.col("p_partkey").alias("asset_id"), kept.alias("m")).select("asset_id", F.col("m")["brand"].alias("brand"), F.try_element_at("m", F.lit("size")).alias("large_size"))
 
 
-@query("compliance_export", "SELECT * FROM (SELECT event_id, event_type, value FROM events WHERE user_id = 17)")
+@query("compliance_export", "SELECT * FROM (SELECT event_id, event_type, value FROM events WHERE user_id = 2)")
 def compliance_export(spark, sf_dir):
     """Everything held about one subject."""
-    return events(spark, sf_dir).where("user_id = 17").select("event_id", "event_type", "value")
+    return events(spark, sf_dir).where("user_id = 2").select("event_id", "event_type", "value")
 
 
 @query("active_devices", "SELECT strftime(ts, '%Y-%m-%d') AS day, count(DISTINCT user_id) AS devices FROM events GROUP BY 1")
