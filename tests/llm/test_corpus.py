@@ -92,9 +92,10 @@ def test_links_between_members_that_miss_the_first_are_found(spark):
 
 
 def test_untried_pairs_join_other_components_only(spark):
-    grouped = spark.createDataFrame([(7, 4, d, 10, 0, 0, (1, 10, 0, 0)) for d in (1, 2, 3, 4)], "bucket long, size long, doc long, n long, s1 long, s2 long, lead struct<doc:long,n:long,s1:long,s2:long>")
+    grouped = spark.createDataFrame([(7, 0, 4, d, 10, 0, 0, (1, 10, 0, 0)) for d in (1, 2, 3, 4)], "bucket long, band int, size long, doc long, n long, s1 long, s2 long, lead struct<doc:long,n:long,s1:long,s2:long>")
     found = spark.createDataFrame([(2, 1)], "doc long, component long")
-    pairs = {tuple(r) for r in near_duplicates.between_components(grouped, found).collect()}
+    docs = spark.createDataFrame([(d, "one two three four five six") for d in (1, 2, 3, 4)], "doc_id long, text string")
+    pairs = {tuple(r) for r in near_duplicates.between_components(grouped, found, docs, "doc_id", "text").collect()}
     assert pairs == {(3, 2), (4, 2), (4, 3)}
 
 
