@@ -53,7 +53,9 @@ def rake(cells: DataFrame, dimensions: tuple[str, ...] = DIMENSIONS, rounds: int
         shares = marginal.select(F.col(dim).alias("v"), (F.pow(F.col("m").cast("double"), F.lit(temper)) / total).alias(name))
         cells = cells.join(shares, F.col(dim).eqNullSafe(F.col("v")), "left").drop("v")
     cells = cells.withColumn("w", F.col("n").cast("double"))
-    for _ in range(rounds):
+    for i in range(rounds):
+        if i and i % ROUNDS == 0:  # longer plans are cut
+            cells = cut(cells, "raked")
         for name, dim in zip(names, dimensions, strict=True):
             cells = cells.withColumn("w", F.coalesce(F.col("w") * F.col(name) / F.nullif(F.sum("w").over(Window.partitionBy(dim)), F.lit(0.0)), F.lit(0.0)))
     return cells.drop(*names)
