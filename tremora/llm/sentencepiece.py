@@ -59,9 +59,12 @@ class Pieces:
                 self.bytes[i] = bytes([int(names[i][3:5], 16)])
         self.fallback = min((s for _, s in self.vocabulary.values()), default=0.0) - 10.0
         self.single = frozenset(p for p in self.vocabulary if len(p) == 1)
-        # a line feed that no piece holds ends a unit
-        self.breaks_lines = not any("\n" in p for p in self.vocabulary)
-        self.whole_words = not any(MARK in p.lstrip(MARK) for p in self.vocabulary)
+        # joined[a, b]: some piece holds the ASCII characters a and b side by side; 128 stands for all others
+        self.joined = np.zeros((129, 129), dtype=bool)
+        self.joined[128, 128] = True
+        for piece in self.vocabulary:
+            codes = [min(ord(c), 128) for c in piece.replace(MARK, " ")]
+            self.joined[codes[:-1], codes[1:]] = True
         self.automaton = automaton_of(self.vocabulary)
         self.units = UnitIds(lambda units: [array("i", self.segment(u)).tobytes() for u in units], "<i4")
         self.sizes = np.array([len(b) for b in self.bytes], dtype=np.int64)
@@ -133,11 +136,9 @@ def encode_slice(column: pa.Array, model: Pieces) -> pa.Array:
     offsets = np.concatenate(([0], np.cumsum(size + (size > 0))))
     begins = np.zeros(len(data) + 1, dtype=bool)
     begins[offsets] = True
-    if model.whole_words:
-        space = data == 0x20
-        begins[1:-1] |= space[1:] & ~space[:-1]
-        if model.breaks_lines:
-            begins[1:-1] |= data[:-1] == 0x0A
+    # no piece spans two characters that stand side by side in none, so the best ids of the parts are those of the whole
+    kind = np.minimum(data, 128)
+    begins[1:-1] |= ~model.joined[kind[:-1], kind[1:]]
     starts = np.flatnonzero(begins[: len(data)])
     ids, counts = model.units.of_spans(string_array(data, np.concatenate((starts, [len(data)]))))
     n = per_row(counts, np.searchsorted(starts, offsets))
