@@ -127,6 +127,21 @@ def test_passages_of_over_50_words_are_found_and_real(spark, odd, sf):
     assert fuzzy_passages.fuzzy_passages(odd.limit(0)).collect() == []
 
 
+def test_runs_whose_parts_have_different_homes_get_a_partner(spark):
+    """The home of a run's first half and that of its second are other documents than the one that has all of it."""
+    rng = np.random.default_rng(5)
+    fresh = lambda n: " ".join(f"w{i}" for i in rng.integers(0, 10**7, n))
+    rows, wanted = [], {}
+    for i in range(12):
+        size = 49 if i < 8 else 30
+        halves = [fresh(size), fresh(size)]
+        for j, body in enumerate([halves[0], halves[1], " ".join(halves), " ".join(halves)]):
+            rows.append((10 * i + j, f"{fresh(40)} {body} {fresh(40)}"))
+        wanted[10 * i + 3] = (10 * i + 2, 40, 40 + 2 * size, 2 * size)
+    got = fuzzy_passages.fuzzy_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: (r["home"], r["start"], r["end"], r["n_matched"]) for r in got} == wanted
+
+
 def lcs(a, b):
     row = [0] * (len(b) + 1)
     if a == b:

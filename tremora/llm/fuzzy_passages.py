@@ -3,10 +3,12 @@
 Every text is winnowed: of each WINDOW consecutive K-word seeds the least hash is kept, so any K + WINDOW - 1
 equal words in two texts share a seed. For each seed the first document that holds it is its home, and
 each other occurrence is matched with the home alone, so matches grow with occurrences, not with
-pairs. Matches of a document and a home join along diagonals to anchors; anchors are chained in order on
+pairs. A second pass keys whole runs of least_words words that the first has left uncovered: whoever has such
+a run first is its home, so every such run that an earlier document has gets a partner, whatever the homes of
+its seeds. Matches of a document and a home join along diagonals to anchors; anchors are chained in order on
 both sides, gaps costing in proportion to their length, with a Fenwick tree for the best predecessor.
-Chains are aligned on the words of both texts: their ends are extended along the diagonal, and the
-longest common subsequence of what lies between counts the words that agree.
+Chains are aligned on the words of both texts: their ends are extended along the diagonal until the texts
+differ, and the longest common subsequence of what lies between counts the words that agree.
 
 Defined results: null and empty texts, and texts below K words, hold no passages. Rows without key are
 left out. Rows with one key are one document. Repeats within a single document are not passages here. Case
@@ -24,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tremora.llm.textscan import U, Words, column_of, mix, shingle_hashes, slices, text_buffers
-from tremora.session import cut
+from tremora.session import cut, forget
 
 K, WINDOW = 10, 24
 #: Beyond this many words past its last seed, equal texts would have another one.
@@ -144,8 +146,8 @@ def chain(anchors: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int,
     return out
 
 
-def chains(found: DataFrame) -> DataFrame:
-    """(doc, home, x0, x1, y0, y1), word ranges of each chain. A group is no larger than its document's seeds."""
+def chains(found: DataFrame, width: int = K) -> DataFrame:
+    """(doc, home, x0, x1, y0, y1), word ranges of each chain of matches that are ``width`` words long. A group is no larger than its document's seeds."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] | None = None
@@ -169,7 +171,7 @@ def chains(found: DataFrame) -> DataFrame:
         apart = (doc[1:] != doc[:-1]) | (home[1:] != home[:-1])
         begins = np.flatnonzero(np.concatenate(([True], apart | (diagonal[1:] != diagonal[:-1]) | (pos[1:] - pos[:-1] > FLANK))))
         ends = np.concatenate((begins[1:], [len(doc)])) - 1
-        x0, x1 = pos[begins], pos[ends] + K
+        x0, x1 = pos[begins], pos[ends] + width
         y0, y1 = x0 - diagonal[begins], x1 - diagonal[begins]
         groups = np.flatnonzero(np.concatenate(([True], (doc[begins][1:] != doc[begins][:-1]) | (home[begins][1:] != home[begins][:-1]))))
         rows = []
@@ -213,36 +215,40 @@ def common_words(a: list[int], b: list[int]) -> int:
     return total
 
 
-def _extend(a: np.ndarray, b: np.ndarray) -> int:
-    """How far two texts agree from their start along the diagonal: the best score of +1 and -2, until it drops by DROP."""
+def _extend(a: np.ndarray, b: np.ndarray) -> tuple[int, bool]:
+    """How far two texts agree from their start along the diagonal: the best score of +1 and -2, until it drops by DROP; whether it did not drop."""
     n = min(len(a), len(b))
     if not n:
-        return 0
+        return 0, True
     score = np.cumsum(np.where(a[:n] == b[:n], 1, -2))
     peak = np.maximum.accumulate(np.maximum(score, 0))
     fallen = np.flatnonzero(peak - score > DROP)
     score = score[: fallen[0]] if len(fallen) else score
     best = int(np.argmax(score)) if len(score) else 0
-    return best + 1 if len(score) and score[best] > 0 else 0
+    return best + 1 if len(score) and score[best] > 0 else 0, not len(fallen)
 
 
-ALIGNED = T.StructType([T.StructField(n, T.IntegerType()) for n in ("start", "end", "home_start", "home_end", "n_matched")])
+ALIGNED = T.StructType([T.StructField(n, T.IntegerType()) for n in ("start", "end", "home_start", "home_end", "n_matched")] + [T.StructField("goes_on", T.BooleanType())])
 
 
 @F.arrow_udf(ALIGNED)
-def align(x0: pa.Array, x1: pa.Array, y0: pa.Array, y1: pa.Array, left: pa.Array, right: pa.Array) -> pa.Array:
-    """Extend each chain within the words around it and count the words that agree. ``left`` and ``right`` begin FLANK words before the chain, or with the text."""
+def align(x0: pa.Array, x1: pa.Array, y0: pa.Array, y1: pa.Array, left: pa.Array, right: pa.Array, flank: pa.Array) -> pa.Array:
+    """Extend each chain within the words around it and count the words that agree. ``left`` and ``right`` begin ``flank`` words before the chain, or with the text.
+
+    ``goes_on`` tells that all the words at one end were used and the texts may agree beyond them.
+    """
     out = []
-    for a0, a1, b0, b1, wa, wb in zip(*(c.to_pylist() for c in (x0, x1, y0, y1, left, right)), strict=True):
+    for a0, a1, b0, b1, wa, wb, wide in zip(*(c.to_pylist() for c in (x0, x1, y0, y1, left, right, flank)), strict=True):
         a, b = np.frombuffer(wa, dtype="<u4"), np.frombuffer(wb, dtype="<u4")
-        fa, fb = min(a0, FLANK), min(b0, FLANK)
-        before = _extend(a[:fa][::-1], b[:fb][::-1])
+        fa, fb = min(a0, wide), min(b0, wide)
         ea, eb = fa + a1 - a0, fb + b1 - b0
-        after = _extend(a[ea:], b[eb:])
+        before, more_before = _extend(a[:fa][::-1], b[:fb][::-1])
+        after, more_after = _extend(a[ea:], b[eb:])
         inner = common_words(a[fa - before : ea + after].tolist(), b[fb - before : eb + after].tolist())
-        out.append((a0 - before, a1 + after, b0 - before, b1 + after, inner))
-    columns = list(zip(*out, strict=True)) or [[]] * 5
-    return pa.StructArray.from_arrays([pa.array(c, pa.int32()) for c in columns], names=ALIGNED.names)
+        goes_on = (more_before and min(fa, fb) == wide) or (more_after and min(len(a) - ea, len(b) - eb) == wide)
+        out.append((a0 - before, a1 + after, b0 - before, b1 + after, inner, goes_on))
+    columns = list(zip(*out, strict=True)) or [[]] * 6
+    return pa.StructArray.from_arrays([pa.array(c, f) for c, f in zip(columns, [pa.int32()] * 5 + [pa.bool_()], strict=True)], names=ALIGNED.names)
 
 
 def word_codes(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -259,20 +265,108 @@ def word_codes(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(F.col(key).cast("long").alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t")).mapInArrow(scan, "k long, words binary")
 
 
+#: Chains whose texts agree to the last of their flanking words get so many times the words.
+WIDEN = 8
+
+
+def aligned(linked: DataFrame, coded: DataFrame, least_words: int, least_identity: float) -> DataFrame:
+    """(doc, start, end, home, home_start, home_end, n_matched, identity) of the chains that are passages."""
+    flank, parts = FLANK, []
+    names = linked.columns
+    while True:
+        begin = lambda a: F.greatest(F.col(a) - flank, F.lit(0))  # noqa: B023, E731
+        piece = lambda a, b: F.substring(F.col("words"), begin(a) * 4 + 1, (F.col(b) + flank - begin(a)) * 4)  # noqa: B023, E731
+        left = linked.join(coded.withColumnRenamed("k", "doc"), "doc").select(*names, piece("x0", "x1").alias("left"))
+        both = left.join(coded.withColumnRenamed("k", "home"), "home").select(*names, "left", piece("y0", "y1").alias("right"))
+        rows = cut(both.select(*names, align("x0", "x1", "y0", "y1", "left", "right", F.lit(flank)).alias("a")), "aligned")
+        parts.append(rows)
+        linked = rows.where("a.goes_on").select(*names)
+        if linked.isEmpty():
+            break
+        flank *= WIDEN
+    rows = parts[0]
+    for part in parts[1:]:
+        rows = rows.union(part)
+    identity = F.col("a.n_matched") / F.greatest(F.col("a.end") - F.col("a.start"), F.col("a.home_end") - F.col("a.home_start"))
+    rows = rows.withColumn("identity", F.round(identity, 6)).where((F.col("a.n_matched") >= least_words) & (F.col("identity") >= least_identity))
+    if len(parts) > 1:  # of what one chain became, the longest that is still a passage
+        rows = rows.groupBy(*names).agg(F.max_by(F.struct("a", "identity"), "a.n_matched").alias("r")).select("doc", "home", "r.*")
+    return rows.select("doc", "a.start", "a.end", "home", "a.home_start", "a.home_end", "a.n_matched", "identity")
+
+
+def _inside(start: np.ndarray, end: np.ndarray, ranges: np.ndarray) -> np.ndarray:
+    """Whether each [start, end) lies within one of the ranges (n x 2)."""
+    if not len(ranges):
+        return np.zeros(len(start), dtype=bool)
+    ranges = ranges[np.argsort(ranges[:, 0], kind="stable")]
+    reach = np.concatenate(([-1], np.maximum.accumulate(ranges[:, 1])))
+    return reach[np.searchsorted(ranges[:, 0], start, side="right")] >= end
+
+
+def _pairs(found: list | None) -> np.ndarray:
+    return np.array([(r["a"], r["b"]) for r in found or []], dtype=np.int64).reshape(-1, 2)
+
+
+def left_over(linked: DataFrame, passages: DataFrame, coded: DataFrame, least_words: int) -> DataFrame:
+    """(doc, home, pos, hpos): runs of ``least_words`` words that no passage covers, each with the first document that has it.
+
+    Such a run holds a seed with an earlier home, so it lies around a chain. Of the runs there, only those are listed that
+    hold a winnowed run of two thirds of their words that other documents have too.
+    """
+    wide = max(least_words, K)
+    narrow = max(K, 2 * wide // 3)
+    slack = wide - narrow
+    ranges = lambda a, b, name: F.collect_list(F.struct(F.col(a).alias("a"), F.col(b).alias("b"))).alias(name)
+    near = linked.groupBy(F.col("doc").alias("k")).agg(ranges("x0", "x1", "near"))
+    covered = passages.groupBy(F.col("doc").alias("k")).agg(ranges("start", "end", "covered"))
+    around = near.join(covered, "k", "left")
+
+    def narrow_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for doc, raw, spots, done in zip(*(column_of(batch, c).to_pylist() for c in ("k", "words", "near", "covered")), strict=True):
+                words = np.frombuffer(raw, dtype="<u4").astype(U)
+                grams = shingle_hashes(words, narrow)
+                at = winnow(grams, np.zeros(len(grams), dtype=np.int64), slack + 1)
+                spots, done = _pairs(spots), _pairs(done)
+                # a run around [at, at + narrow) holds a seed of a chain
+                edge = np.zeros(len(words) + 1, dtype=np.int64)
+                np.add.at(edge, np.maximum(spots[:, 0] - wide, 0), 1)
+                np.add.at(edge, np.minimum(spots[:, 1] + wide, len(words)), -1)
+                at = at[np.cumsum(edge)[at] > 0]
+                needed = ~_inside(np.maximum(at - slack, 0), np.minimum(at + narrow + slack, len(words)), done)
+                yield pa.RecordBatch.from_arrays([pa.array(grams[at].view(np.int64)), pa.array(np.full(len(at), doc, dtype=np.int64)), pa.array(at.astype(np.int32)), pa.array(needed)], names=["run", "doc", "pos", "needed"])
+
+    def wide_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for doc, raw, spots, done in zip(*(column_of(batch, c).to_pylist() for c in ("k", "words", "spots", "covered")), strict=True):
+                grams = shingle_hashes(np.frombuffer(raw, dtype="<u4").astype(U), wide)
+                at = np.unique(np.array(spots, dtype=np.int64)[:, None] - np.arange(slack + 1))
+                at = at[(at >= 0) & (at < len(grams))]
+                needed = ~_inside(at, at + wide, _pairs(done))
+                yield pa.RecordBatch.from_arrays([pa.array(grams[at].view(np.int64)), pa.array(np.full(len(at), doc, dtype=np.int64)), pa.array(at.astype(np.int32)), pa.array(needed)], names=["run", "doc", "pos", "needed"])
+
+    def homed(runs: DataFrame) -> DataFrame:
+        return runs.groupBy("run").agg(F.min("doc").alias("home"), F.min_by("pos", F.struct("doc", "pos")).alias("hpos"), F.max("doc").alias("last"), F.bool_or("needed").alias("asked")).where("asked and home <> last")
+
+    schema = "run long, doc long, pos int, needed boolean"
+    some = cut(coded.join(around, "k").select("k", "words", "near", "covered").mapInArrow(narrow_runs, schema), "narrow-runs")
+    spots = some.join(homed(some).select("run"), "run", "left_semi").groupBy(F.col("doc").alias("k")).agg(F.collect_list("pos").alias("spots"))
+    runs = cut(coded.join(spots, "k").join(covered, "k", "left").select("k", "words", "spots", "covered").mapInArrow(wide_runs, schema), "wide-runs")
+    return runs.where("needed").join(homed(runs).select("run", "home", "hpos"), "run").select("doc", "home", "pos", "hpos").where("doc <> home")
+
+
 def fuzzy_passages(docs: DataFrame, key: str = "doc_id", text: str = "text", least_words: int = LEAST_WORDS, least_identity: float = LEAST_IDENTITY) -> DataFrame:
     """(key, start, end, home, home_start, home_end, n_matched, identity): a row for each passage of a document that an earlier one has too."""
     found = cut(seeds(docs, key, text), "seeds")
     linked = cut(chains(matches(found)), "chains")
+    forget(found)
     ends = linked.select(F.col("doc").alias("k")).union(linked.select(F.col("home").alias("k"))).distinct()
     own = docs.select(F.col(key).cast("long").alias(key), F.col(text)).join(ends, F.col(key) == F.col("k"), "left_semi")
     coded = cut(word_codes(own, key, text), "words")
-    piece = lambda a, b: F.substring(F.col("words"), F.greatest(F.col(a) - FLANK, F.lit(0)) * 4 + 1, (F.col(b) + FLANK - F.greatest(F.col(a) - FLANK, F.lit(0))) * 4)
-    left = linked.join(coded.withColumnRenamed("k", "doc"), "doc").select(*linked.columns, piece("x0", "x1").alias("left"))
-    both = left.join(coded.withColumnRenamed("k", "home"), "home").select(*linked.columns, "left", piece("y0", "y1").alias("right"))
-    aligned = both.select("doc", "home", align("x0", "x1", "y0", "y1", "left", "right").alias("a"))
-    span = F.greatest(F.col("a.end") - F.col("a.start"), F.col("a.home_end") - F.col("a.home_start"))
-    rows = aligned.select(F.col("doc").alias(key), F.col("a.start"), F.col("a.end"), "home", F.col("a.home_start"), F.col("a.home_end"), F.col("a.n_matched"), F.round(F.col("a.n_matched") / span, 6).alias("identity"))
-    return rows.where((F.col("n_matched") >= least_words) & (F.col("identity") >= least_identity)).distinct()
+    first = cut(aligned(linked, coded, least_words, least_identity), "passages")
+    again = cut(chains(left_over(linked, first, coded, least_words), max(least_words, K)), "chains-again")
+    rows = first.union(aligned(again, coded, least_words, least_identity)).withColumnRenamed("doc", key)
+    return rows.distinct()
 
 
 def op1_fuzzy_passages(spark, sf_dir):
