@@ -60,3 +60,10 @@ def test_silence_is_reported_by_a_timer(spark, tmp_path, limit):
     stream = files(spark, tmp_path, [[event(1, 0), event(2, 0, user=2)], [event(3, 50)], [event(4, 100, user=3)], [event(5, 200, user=3)]], EVENT)
     got = jobs.drained(jobs.silent(stream, limit * 60_000)).collect()
     assert {r["device_id"] for r in got} >= {1, 2}
+
+
+def test_events_are_read_from_a_file_and_from_a_folder_of_parts(spark, sf, tmp_path):
+    events = spark.read.parquet(f"{sf}/events.parquet")
+    events.repartition(3).write.parquet(str(tmp_path / "events.parquet"))
+    assert jobs.drained(jobs.event_stream(spark, sf)).count() == events.count() > 0
+    assert jobs.drained(jobs.event_stream(spark, str(tmp_path))).count() == events.count()
