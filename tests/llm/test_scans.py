@@ -219,3 +219,55 @@ def test_decoder_reads_files_with_runs_and_differences(restart):
     assert np.array_equal(jpeg.thumbnail(frames[0], got[0]).ravel(), np.clip(blocks[:, 0] + 128, 0, 255))
     with pytest.raises(ValueError):
         jpeg.decode([file.replace(b"\xff\xc0", b"\xff\xc2")])
+
+
+def colour(values, down, across, interleaved=True):
+    """A 4:2:0 file whose luminance blocks have the given DC values."""
+    seg, last, bits = jpeg._segment, [0, 0, 0], ""
+
+    def block(i, v):
+        nonlocal bits
+        d, last[i] = v - last[i], v
+        size = abs(d).bit_length()
+        bits += format(size, "04b") + (format(d if d > 0 else d + (1 << size) - 1, f"0{size}b") if size else "") + "0"
+
+    def taken():
+        nonlocal bits
+        raw = bits + "1" * (-len(bits) % 8)
+        bits, last[:] = "", [0, 0, 0]
+        return bytes(int(raw[i : i + 8], 2) for i in range(0, len(raw), 8)).replace(b"\xff", b"\xff\x00")
+
+    head = b"\xff\xd8" + seg(0xDB, b"\x00" + b"\x08" * 64) + seg(0xC0, b"\x08" + (8 * down).to_bytes(2, "big") + (8 * across).to_bytes(2, "big") + b"\x03\x01\x22\x00\x02\x11\x00\x03\x11\x00")
+    head += seg(0xC4, b"\x00" + bytes((0, 0, 0, 12, *[0] * 12)) + bytes(range(12)) + b"\x10" + bytes((1, *[0] * 15)) + b"\x00")
+    lines, columns = -(-down // 2), -(-across // 2)
+    if interleaved:
+        for m in range(lines * columns):
+            for y in range(2):
+                for x in range(2):
+                    r, c = m // columns * 2 + y, m % columns * 2 + x
+                    block(0, int(values[r, c]) if r < down and c < across else 0)
+            block(1, 40)
+            block(2, -7)
+        return head + seg(0xDA, b"\x03\x01\x00\x02\x00\x03\x00\x00\x3f\x00") + taken() + b"\xff\xd9"
+    for i, plane in enumerate([values.ravel().tolist(), [40] * (lines * columns), [-7] * (lines * columns)]):
+        for v in plane:
+            block(i, int(v))
+        head += seg(0xDA, bytes((1, i + 1, 0, 0, 63, 0))) + taken()
+    return head + b"\xff\xd9"
+
+
+def test_colour_files_are_decoded_and_broken_ones_leave_the_others_alone(spark):
+    values = np.random.default_rng(4).integers(-100, 100, (5, 7))
+    together, apart = colour(values, 5, 7), colour(values, 5, 7, False)
+    for file in (together, apart):
+        frame, blocks = jpeg.read([file])[0]
+        assert (frame.width, frame.height) == (56, 40)
+        assert np.array_equal(jpeg.thumbnail(frame, blocks), values + 128)
+    own = jpeg.encode([bytes(range(64)) * 3])[0]
+    files = [own, together, None, apart, own[: len(own) // 2], own.replace(b"\xff\xc0", b"\xff\xc2"), b"junk", b"", together[:-20], own]
+    rows = spark.createDataFrame(list(enumerate(files)), "i int, media binary").coalesce(1)
+    got = {r["i"]: r["media_features"] for r in jpeg.with_features(rows).collect()}
+    assert [i for i in got if got[i]["error"] is None] == [0, 1, 3, 9]
+    assert all(got[i]["feature"] is None and got[i]["error"] for i in (2, 4, 5, 6, 7, 8))
+    assert got[0] == got[9] and got[0]["payload_bytes"] == 192
+    assert got[1]["feature"] == got[3]["feature"] and got[1]["payload_bytes"] is None

@@ -5,10 +5,12 @@ the bytes: in each 8x8 block, coefficient k in zigzag order is 256 + byte k. All
 category 9, every block is its own restart interval, and Huffman coding of coefficients is exact, so
 the file holds the payload without loss. The decoder is not tied to that form: it parses the markers of
 any baseline file with one component and any Huffman tables and decodes all restart intervals of a slice of rows in
-lockstep, one symbol of every interval at a time in numpy.
+lockstep, one symbol of every interval at a time in numpy. Files with several components, sampling factors or
+scans are decoded one at a time, and their luminance is kept.
 
 Defined results: a null text counts as empty and yields one unit of zero bytes. A malformed or
-progressive file raises ValueError in ``decode``. Equal texts give equal files and features.
+progressive file raises ValueError in ``decode``; ``jpeg_features`` gives such a file, and a null, null
+features and the reason in ``error``. A file without stored payload has null payload fields. Equal texts give equal files and features.
 """
 
 from __future__ import annotations
@@ -226,6 +228,8 @@ def _decode_alike(frames: list[Frame], files: list[bytes]) -> list[np.ndarray]:
                 raise ValueError("too many coefficients")
             live = live[~ended & (k[live] < 63)]
         lanes[active] = at
+    if len(cuts) == len(starts) and (lanes > position[cuts] * 8).any():
+        raise ValueError("the data end early")
     return np.split(out, np.cumsum([f.blocks for f in frames])[:-1])
 
 
@@ -242,6 +246,162 @@ def decode(files: list[bytes]) -> tuple[list[Frame], list[np.ndarray]]:
     return frames, out
 
 
+class Picture:
+    """Luminance (the first component) of one baseline file with any components, sampling factors and scans."""
+
+    def __init__(self, data: bytes):
+        if data[:2] != b"\xff\xd8":
+            raise ValueError("not a JPEG file")
+        tables: dict[int, list[int]] = {}
+        self.quant: dict[int, np.ndarray] = {}
+        self.comment, self.table, self.coefficients, parts, restart, at = b"", 0, None, {}, 0, 2
+        tables_seen: dict[int, np.ndarray] = {}
+        while data[at : at + 2] != b"\xff\xd9":
+            if at + 4 > len(data) or data[at] != 0xFF:
+                raise ValueError("broken marker")
+            marker = data[at + 1]
+            if marker == 0xFF:  # a fill byte
+                at += 1
+                continue
+            size = int.from_bytes(data[at + 2 : at + 4], "big")
+            body = data[at + 4 : at + 2 + size]
+            at += 2 + size
+            if marker in (0xC0, 0xC1):
+                self.height, self.width = int.from_bytes(body[1:3], "big"), int.from_bytes(body[3:5], "big")
+                if body[0] != 8 or not self.height or not self.width:
+                    raise ValueError("only 8 bits and a stated size")
+                parts = {body[6 + 3 * i]: (body[7 + 3 * i] >> 4, body[7 + 3 * i] & 15, body[8 + 3 * i]) for i in range(body[5])}
+                if not parts or not all(1 <= h <= 4 and 1 <= v <= 4 for h, v, _ in parts.values()):
+                    raise ValueError("broken frame")
+                self.first = body[6]
+                self.h_most, self.v_most = max(p[0] for p in parts.values()), max(p[1] for p in parts.values())
+                self.across, self.down = self._blocks(parts[self.first])
+            elif 0xC2 <= marker <= 0xCF and marker not in (0xC4, 0xC8, 0xCC):
+                raise ValueError("not baseline")
+            elif marker == 0xC4:
+                while body:
+                    n = 17 + sum(body[1:17])
+                    tables[body[0]], body = _lookup(body[1:n]).tolist(), body[n:]
+            elif marker == 0xDB:
+                while body:
+                    wide = body[0] >> 4
+                    n = 1 + 64 * (1 + wide)
+                    tables_seen[body[0] & 15], body = np.frombuffer(body[1:n], dtype=">u2" if wide else np.uint8), body[n:]
+            elif marker == 0xDD:
+                restart = int.from_bytes(body[:2], "big")
+            elif marker == 0xFE:
+                self.comment = body
+            elif marker == 0xDA:
+                own = [(body[1 + 2 * i], tables[body[2 + 2 * i] >> 4], tables[0x10 | body[2 + 2 * i] & 15]) for i in range(body[0])]
+                at = self._scan(data, at, own, parts, restart)
+                if any(name == self.first for name, _, _ in own):
+                    self.quant = {0: tables_seen[parts[self.first][2]]}
+        if self.coefficients is None:
+            raise ValueError("no luminance")
+
+    def _blocks(self, part: tuple[int, int, int]) -> tuple[int, int]:
+        return -(-(-(-self.width * part[0] // self.h_most)) // 8), -(-(-(-self.height * part[1] // self.v_most)) // 8)
+
+    def _scan(self, data: bytes, at: int, own: list, parts: dict, restart: int) -> int:
+        """Decode one scan and return where it ends."""
+        segments, begin = [], at
+        while True:
+            at = data.find(b"\xff", at)
+            if at < 0 or at + 1 >= len(data):
+                raise ValueError("the data end early")
+            if data[at + 1] == 0 or data[at + 1] == 0xFF:
+                at += 2 if data[at + 1] == 0 else 1
+                continue
+            segments.append(data[begin:at].replace(b"\xff\x00", b"\xff"))
+            if not 0xD0 <= data[at + 1] <= 0xD7:
+                break
+            at = begin = at + 2
+        alone = len(own) == 1
+        if alone:
+            columns, lines = self._blocks(parts[own[0][0]])
+        else:
+            columns, lines = -(-self.width // (8 * self.h_most)), -(-self.height // (8 * self.v_most))
+        units = columns * lines
+        step = restart or units
+        if len(segments) != -(-units // step):
+            raise ValueError("restart markers don't match the frame")
+        layout = [(name == self.first, 1 if alone else parts[name][0], 1 if alone else parts[name][1], dc, ac) for name, dc, ac in own]
+        wide = next((h for kept, h, _, _, _ in layout if kept), 0) * columns
+        tall = next((v for kept, _, v, _, _ in layout if kept), 0) * lines
+        out = np.zeros((tall, wide, 64), dtype=np.int16)
+        for number, raw in enumerate(segments):
+            limit, pos, last = 8 * len(raw), 0, [0] * len(layout)
+            raw += b"\xff" * 8
+            for unit in range(number * step, min(units, (number + 1) * step)):
+                line, column = divmod(unit, columns)
+                for i, (kept, h, v, dc, ac) in enumerate(layout):
+                    for y in range(v):
+                        for x in range(h):
+                            k = 0
+                            while k < 64:
+                                bits = int.from_bytes(raw[pos >> 3 : (pos >> 3) + 5], "big") << (pos & 7) & 0xFFFFFFFFFF
+                                entry = (ac if k else dc)[bits >> 24]
+                                if not entry:
+                                    raise ValueError("no such code")
+                                length, code = entry >> 8, entry & 255
+                                size = code & 15 if k else code
+                                if size > 15:
+                                    raise ValueError("too large a value")
+                                value = bits >> (40 - length - size) & ((1 << size) - 1)
+                                pos += length + size
+                                if pos > limit:
+                                    raise ValueError("the data end early")
+                                if size and value < 1 << (size - 1):
+                                    value -= (1 << size) - 1
+                                if not k:
+                                    last[i] += value
+                                    value = last[i]
+                                elif not code:
+                                    break
+                                else:
+                                    k += code >> 4
+                                    if k > 63:
+                                        raise ValueError("too many coefficients")
+                                if kept:
+                                    out[line * v + y, column * h + x, k] = value
+                                k += 1
+        if any(kept for kept, *_ in layout):
+            self.coefficients = out[: self.down, : self.across].reshape(-1, 64)
+        return at
+
+
+def read(files: list[bytes | None]) -> list[tuple[Frame | Picture, np.ndarray] | str]:
+    """Frame and luminance coefficients of each file, or why it cannot be decoded; one file doesn't affect another."""
+    out: list = ["no file"] * len(files)
+    frames: dict[tuple[bytes, bytes], list[tuple[int, Frame]]] = {}
+    rest = []
+    broken = (ValueError, KeyError, IndexError, OverflowError)
+    for i, data in enumerate(files):
+        if data is None:
+            continue
+        try:
+            frame = Frame(data)
+            # one scan to the end, or the lanes of other files would be read
+            if data.find(b"\xff\xd9", frame.scan) != len(data) - 2 or not frame.blocks:
+                raise ValueError("more than one scan")
+            frames.setdefault((frame.dc, frame.ac), []).append((i, frame))
+        except broken:
+            rest.append(i)
+    for group in frames.values():
+        try:
+            for (i, frame), blocks in zip(group, _decode_alike([f for _, f in group], [files[i] for i, _ in group]), strict=True):
+                out[i] = frame, blocks
+        except broken:
+            rest += [i for i, _ in group]
+    for i in rest:
+        try:
+            picture = Picture(files[i])
+            out[i] = picture, picture.coefficients
+        except broken as e:
+            out[i] = str(e) or "broken file"
+    return out
+
+
 def thumbnail(frame: Frame, blocks: np.ndarray) -> np.ndarray:
     """Luminance at an eighth of the size, from DC coefficients alone."""
     dc = blocks[:, 0].astype(np.float64) * float(frame.quant[frame.table][0]) / 8 + 128
@@ -279,7 +439,7 @@ def text_to_jpeg(column: pa.Array) -> pa.Array:
     return pa.array(out, pa.binary())
 
 
-FEATURES = T.StructType([T.StructField(n, t) for n, t in (("payload_bytes", T.LongType()), ("payload_sha256", T.StringType()), ("tail_crc32", T.LongType()), ("media_bytes", T.LongType()), ("media_sha256", T.StringType()), ("width", T.IntegerType()), ("height", T.IntegerType()), ("feature", T.StringType()))])
+FEATURES = T.StructType([T.StructField(n, t) for n, t in (("payload_bytes", T.LongType()), ("payload_sha256", T.StringType()), ("tail_crc32", T.LongType()), ("media_bytes", T.LongType()), ("media_sha256", T.StringType()), ("width", T.IntegerType()), ("height", T.IntegerType()), ("feature", T.StringType()), ("error", T.StringType()))])
 
 
 @F.arrow_udf(FEATURES)
@@ -288,12 +448,19 @@ def jpeg_features(column: pa.Array) -> pa.Array:
     rows: dict[str, list] = {f.name: [] for f in FEATURES}
     for part in array_slices(column, 2 * MEDIA_SLICE):
         files = part.to_pylist()
-        for data, frame, blocks in zip(files, *decode(files), strict=True):
-            payload = payload_of(frame, blocks)
-            values = (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(data), hashlib.sha256(data).hexdigest(), frame.width, frame.height, f"{frame.width}x{frame.height}:{thumbnail_hash(thumbnail(frame, blocks))}")
+        for data, found in zip(files, read(files), strict=True):
+            if isinstance(found, str):
+                values = (*[None] * (len(rows) - 1), found)
+            else:
+                frame, blocks = found
+                stored = (None, None, None)
+                if frame.comment.startswith(b"units=") and frame.comment[6:].isdigit():
+                    payload = payload_of(frame, blocks)
+                    stored = (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]))
+                values = (*stored, len(data), hashlib.sha256(data).hexdigest(), frame.width, frame.height, f"{frame.width}x{frame.height}:{thumbnail_hash(thumbnail(frame, blocks))}", None)
             for name, value in zip(rows, values, strict=True):
                 rows[name].append(value)
-    kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.string()]
+    kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string()]
     return pa.StructArray.from_arrays([pa.array(v, k) for v, k in zip(rows.values(), kinds, strict=True)], names=list(rows))
 
 
@@ -314,4 +481,4 @@ def op10_jpeg_media(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     media = with_media(docs.withColumn("n_bytes", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")))
     found = with_features(media.select("doc_id", "n_bytes", "media"))
-    return found.select("doc_id", "n_bytes", *(F.col("media_features")[f.name].alias(f.name) for f in FEATURES))
+    return found.select("doc_id", "n_bytes", *(F.col("media_features")[f.name].alias(f.name) for f in FEATURES if f.name != "error"))
