@@ -169,3 +169,20 @@ def test_moments_of_a_normal_sample(spark, name):
     m2, mk = (dsp.central_moment(F.col("x"), dsp.array_mean(F.col("x")), k) for k in (2, 4 if name == "kurtosis" else 3))
     got = x.select(m2.alias("a"), mk.alias("b")).first()
     assert abs(got["b"] / got["a"] ** (2 if name == "kurtosis" else 1.5) - (3 if name == "kurtosis" else 0)) < 0.3
+
+
+def test_suppression_folds_a_long_run_without_gathering_it(spark):
+    from pyspark.sql import functions as F
+
+    from tremora.operators.alerts import throttle
+
+    alerts = spark.range(30_000).select((F.col("id") % 3).alias("d"), (F.col("id") * F.col("id") % 9973 + F.col("id")).alias("us"))
+    alerts = alerts.withColumn("d", F.when(F.col("d") > 0, F.col("d")))
+    got = throttle(alerts, "d", "us", 7)
+    assert "collect_list" not in got._jdf.queryExecution().toString()
+    want, last = [], {}
+    for d, us in sorted((r["d"] or 0, r["us"]) for r in alerts.collect()):
+        if d not in last or us - last[d] >= 7:
+            want.append((d, us))
+            last[d] = us
+    assert sorted((r["d"] or 0, r["us"]) for r in got.collect()) == want

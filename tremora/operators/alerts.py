@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,19 +22,21 @@ def route(level: Column) -> Column:
 def throttle(alerts: DataFrame, device: str, time_us: str, quiet_us: int) -> DataFrame:
     """Emitted alerts of each device: an alert is suppressed within ``quiet_us`` of the last emitted one.
 
-    Runs that are separated by more than the quiet time are independent, so the fold that the rule needs
-    runs over one such run at a time, not over a device's whole history.
+    The rows of each device are folded in order of time, with its last emitted time as the only state.
     """
-    w = Window.partitionBy(device).orderBy(time_us)
-    new = F.coalesce(F.col(time_us) - F.lag(time_us).over(w) >= quiet_us, F.lit(True)).cast("long")
-    runs = alerts.select(device, time_us).withColumn("__new", new).withColumn("__run", F.sum("__new").over(w))
-    times = runs.groupBy(device, "__run").agg(F.sort_array(F.collect_list(time_us)).alias("ts"))
-    kept = F.aggregate(
-        "ts",
-        F.array().cast("array<bigint>"),
-        lambda out, t: F.when((F.size(out) == 0) | (t - F.element_at(out, -1) >= quiet_us), F.concat(out, F.array(t))).otherwise(out),
-    )
-    return times.select(device, F.explode(kept).alias(time_us))
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, last, begun = None, 0, False
+        for batch in batches:
+            kept = []
+            for i, (own, t) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+                if not begun or own != held or t - last >= quiet_us:
+                    kept.append(i)
+                    held, last, begun = own, t, True
+            yield batch.take(pa.array(kept, pa.int64()))
+
+    rows = alerts.select(device, F.col(time_us).cast("long").alias(time_us)).where(F.col(time_us).isNotNull())
+    return rows.repartition(device).sortWithinPartitions(device, time_us).mapInArrow(fold, rows.schema)
 
 
 def quiet_groups(alerts: DataFrame, device: str, time_us: str, quiet_us: int) -> DataFrame:
