@@ -142,6 +142,42 @@ def test_runs_whose_parts_have_different_homes_get_a_partner(spark):
     assert {r["doc_id"]: (r["home"], r["start"], r["end"], r["n_matched"]) for r in got} == wanted
 
 
+def edited(rng, passage, rate, kinds):
+    """A passage with words changed, put in or left out."""
+    out = []
+    for w in passage:
+        kind = rng.choice(kinds) if rng.random() < rate else "keep"
+        out += {"keep": [w], "change": [f"c{rng.integers(10**6)}"], "insert": [f"i{rng.integers(10**6)}", w], "delete": []}[kind]
+    return out
+
+
+def test_edited_passages_are_found(spark):
+    """Of passages that meet the operator's limits, nine of ten, and nine tenths of their words."""
+    rng = np.random.default_rng(11)
+    fresh = lambda n: [f"w{int(i)}" for i in rng.zipf(1.3, n) % 5000]
+    rows, planted = [], {}
+    for n in (52, 70, 100, 200):
+        for rate in (0.0, 0.05, 0.1, 0.15, 0.2):
+            for kinds in (["change"], ["change", "insert", "delete"]):
+                for _ in range(10):
+                    body = [f"p{int(i)}" if rng.random() < 0.5 else w for i, w in zip(rng.integers(0, 3000, n), fresh(n), strict=True)]
+                    other = edited(rng, body, rate, kinds)
+                    agree = lcs(body, other)
+                    k = len(rows)
+                    before = int(rng.integers(20, 200))
+                    rows += [(k, " ".join(fresh(60) + body + fresh(90))), (k + 1, " ".join(fresh(before) + other + fresh(50)))]
+                    if agree >= 50 and agree >= 0.75 * max(len(body), len(other)):
+                        planted[k + 1] = (k, before, before + len(other), rate)
+    got = defaultdict(list)
+    for r in fuzzy_passages.fuzzy_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        got[r["doc_id"], r["home"]].append((r["start"], r["end"]))
+    found = {k: len({i for a, b in got.get((k, home), []) for i in range(max(a, s), min(b, e))}) / (e - s) for k, (home, s, e, _) in planted.items()}
+    for rate in (0.0, 0.05, 0.1, 0.15, 0.2):
+        own = [found[k] for k, v in planted.items() if v[3] == rate]
+        print(rate, len(own), np.mean([x > 0 for x in own]), np.mean(own))
+    assert np.mean([x > 0 for x in found.values()]) >= 0.9 and np.mean(list(found.values())) >= 0.9
+
+
 def lcs(a, b):
     row = [0] * (len(b) + 1)
     if a == b:

@@ -1,41 +1,58 @@
 """Substring dedup: passages that repeat across documents, found by chaining shared k-mer seeds.
 
 Every text is winnowed: of each WINDOW consecutive K-word seeds the least hash is kept, so any K + WINDOW - 1
-equal words in two texts share a seed. For each seed the first document that holds it is its home, and
-each other occurrence is matched with the home alone, so matches grow with occurrences, not with
-pairs. A second pass keys whole runs of least_words words that the first has left uncovered: whoever has such
-a run first is its home, so every such run that an earlier document has gets a partner, whatever the homes of
-its seeds. Matches of a document and a home join along diagonals to anchors; anchors are chained in order on
-both sides, gaps costing in proportion to their length, with a Fenwick tree for the best predecessor.
-Chains are aligned on the words of both texts: their ends are extended along the diagonal until the texts
-differ, and the longest common subsequence of what lies between counts the words that agree.
-
-Defined results: null and empty texts, and texts below K words, hold no passages. Rows without key are
+equal words in two texts share a seed, and texts that agree in four words of five share several in fifty words.
+For each seed the first document that holds it is its home, and each other occurrence is matched with the home
+alone, so matches grow with occurrences, not with pairs. Tasks match the holders of a frequent seed among
+themselves before the shuffle and send on PASSED_ON of them. Texts of equal words are matched as a whole.
+
+Matches of a document and a home join along diagonals to anchors; anchors are chained in order on both sides,
+gaps costing in proportion to their length, with a Fenwick tree for the best predecessor. Chains are aligned on
+the words of both texts: their ends are extended, over insertions and deletions too, until the texts differ, and the
+longest common subsequence of what lies between counts the words that agree. A second pass takes the stretches of
+shared seeds that no passage covers, whose parts have other homes each, and finds a home for runs of neighbouring
+seeds instead.
+
+Defined results: null and empty texts, and texts below K words, hold no passages. A text of least_words words
+or more that an earlier document has too is one passage, from its first word to its last. Rows without key are
 left out. Rows with one key are one document. Repeats within a single document are not passages here. Case
 of ASCII letters doesn't matter.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tremora.llm.textscan import U, Words, column_of, mix, shingle_hashes, slices, text_buffers
 from tremora.session import cut, forget
 
-K, WINDOW = 10, 24
-#: Beyond this many words past its last seed, equal texts would have another one.
-FLANK = K + WINDOW
+K, WINDOW = 5, 6
+#: Seeds that a task looks at together before the shuffle, and how many documents of each seed it sends on.
+SEEDS_AT_ONCE = 1 << 20
+PASSED_ON = 16
+#: Words between two anchors of a chain; what agrees beyond is found by extension.
+LARGEST_GAP = 24
 GAP_COST = 0.1
 LEAST_WORDS = 50
 LEAST_IDENTITY = 0.75
+#: Words around a chain that extension sees at first.
+FLANK = 40
+#: Extension ends where the score (+1 for an equal word, -1 for another) is so far below its best.
 DROP = 8
+#: After an insertion or deletion of up to SHIFT words, texts must agree in AGREE words in a row to go on.
+SHIFT, AGREE = 10, 3
+#: Neighbouring seeds whose runs get a home of their own in the second pass: 2 span about 9 words, 7 about 30.
+RUNS = (2, 7)
+#: Words that a stretch of shared seeds must span to be looked at again.
+LEAST_STRETCH = 30
 _TOP = U(0xFFFFFFFFFFFFFFFF)
+_SPREAD = U(0x9E3779B97F4A7C15)
 
 
 def _sliding(values: np.ndarray, width: int, least: bool) -> np.ndarray:
@@ -66,30 +83,98 @@ def winnow(grams: np.ndarray, rows: np.ndarray, width: int = WINDOW) -> np.ndarr
     return np.flatnonzero(_sliding(least, width, False)[at - pad] == grams)
 
 
+def _starts(*columns: np.ndarray) -> np.ndarray:
+    """Where a new group of equal values begins."""
+    apart = np.zeros(max(len(columns[0]) - 1, 0), dtype=bool)
+    for c in columns:
+        apart |= c[1:] != c[:-1]
+    return np.flatnonzero(np.concatenate(([True], apart))) if len(columns[0]) else np.zeros(0, dtype=np.int64)
+
+
+SEED_ROWS = "seed long, doc long, at long, home long, home_at long"
+
+
 def seeds(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(seed, doc, pos, first) of the winnowed seeds; pos counts words, first tells a document's first occurrence of the seed."""
+    """SEED_ROWS of the winnowed seeds. ``at`` is the position in words; ``home`` is given where the task has matched the row itself.
+
+    A row whose seed is odd stands for the whole text: seed and the upper half of ``at`` are digests of its words, the lower half
+    counts them.
+    """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+        waiting = 0
         for batch in batches:
             for part in slices(batch, "t"):
                 words = Words(*text_buffers(column_of(part, "t")), lower=True)
+                keys = column_of(part, "k").to_numpy(zero_copy_only=False)
                 grams = shingle_hashes(words.hash, K)
                 rows = words.doc[: len(grams)]
                 whole = np.flatnonzero(rows == words.doc[K - 1 :]) if len(grams) else np.zeros(0, dtype=np.int64)
                 chosen = whole[winnow(grams[whole], rows[whole])]
-                own = rows[chosen]
-                keys = column_of(part, "k").to_numpy(zero_copy_only=False)
-                first = np.zeros(len(chosen), dtype=bool)
-                first[np.unique(mix(grams[chosen] + own.astype(U) * U(0x9E3779B97F4A7C15)), return_index=True)[1]] = True
-                yield pa.RecordBatch.from_arrays([pa.array(grams[chosen].view(np.int64)), pa.array(keys[own]), pa.array((chosen - words.first[own]).astype(np.int32)), pa.array(first)], names=["seed", "doc", "pos", "first"])
-
-    return docs.select(F.col(key).cast("long").alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t")).where("k is not null").mapInArrow(scan, "seed long, doc long, pos int, first boolean")
+                held.append((grams[chosen] & ~U(1), keys[rows[chosen]], chosen - words.first[rows[chosen]]))
+                full = np.flatnonzero(words.count)
+                if len(full):
+                    begin = words.first[full]
+                    place = (np.arange(len(words.start)) - np.repeat(begin, words.count[full])).astype(U)
+                    digest = [np.add.reduceat(mix(words.hash ^ mix(place * U(2) + U(k))), begin) for k in range(2)]
+                    held.append((mix(digest[0]) | U(1), keys[full], ((digest[1] >> U(32) << U(32)) | words.count[full].astype(U)).view(np.int64)))
+                waiting += len(chosen)
+                if waiting > SEEDS_AT_ONCE:
+                    yield thinned(*(np.concatenate(c) for c in zip(*held, strict=True)))
+                    held, waiting = [], 0
+        if held:
+            yield thinned(*(np.concatenate(c) for c in zip(*held, strict=True)))
+
+    return docs.select(F.col(key).cast("long").alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t")).where("k is not null").mapInArrow(scan, SEED_ROWS)
+
+
+def thinned(seed: np.ndarray, doc: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
+    """The rows; where more than PASSED_ON documents have a seed, the later ones are matched with the first."""
+    order = np.lexsort((at, doc, seed))
+    seed, doc, at = seed[order], doc[order], at[order]
+    begins = _starts(seed)
+    group = np.repeat(np.arange(len(begins)), np.diff(np.append(begins, len(seed))))
+    first = np.zeros(len(seed), dtype=np.int64)
+    first[_starts(seed, doc)] = 1
+    number = np.cumsum(first)
+    number -= number[begins][group] - 1  # of the document among those of its seed, from 1
+    home, home_at = doc[begins][group], at[begins][group]
+    late = (number > PASSED_ON) & ((seed & U(1) == 0) | (at == home_at))
+    columns = [pa.array(seed.view(np.int64)), pa.array(doc), pa.array(at), pa.array(home, mask=~late), pa.array(home_at, mask=~late)]
+    return pa.RecordBatch.from_arrays(columns, names=["seed", "doc", "at", "home", "home_at"])
+
+
+MATCHED = "seed long, doc long, home long, pos int, hpos int"
 
 
 def matches(found: DataFrame) -> DataFrame:
-    """(doc, home, pos, hpos): each occurrence of a shared seed with the first document that has it."""
-    homes = found.where("first").groupBy("seed").agg(F.min("doc").alias("home"), F.min_by("pos", "doc").alias("hpos"), F.max("doc").alias("last")).where("home <> last")
-    return found.join(homes, "seed").select("doc", "home", "pos", "hpos").where("doc <> home")
+    """MATCHED: each occurrence of a shared seed with the first document that has it. Where whole texts are equal, both positions are -1 times their words."""
+
+    def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: tuple[int, int, int] | None = None  # seed, document and place of the group that the batch before ended in
+        for batch in batches:
+            sent = np.asarray(batch.column(3).is_null())
+            yield rows(*(c.filter(pa.array(~sent)).to_numpy(zero_copy_only=False) for c in batch.columns))
+            seed, doc, at = (c.filter(pa.array(sent)).to_numpy(zero_copy_only=False) for c in batch.columns[:3])
+            if not len(seed):
+                continue
+            begins = _starts(seed)
+            home, home_at = doc[begins], at[begins]
+            if last and last[0] == seed[0]:
+                home[0], home_at[0] = last[1:]
+            last = int(seed[-1]), int(home[-1]), int(home_at[-1])
+            size = np.diff(np.append(begins, len(seed)))
+            home, home_at = np.repeat(home, size), np.repeat(home_at, size)
+            keep = (doc != home) & ((seed & 1 == 0) | (at == home_at))
+            yield rows(seed[keep], doc[keep], at[keep], home[keep], home_at[keep])
+
+    def rows(seed: np.ndarray, doc: np.ndarray, at: np.ndarray, home: np.ndarray, home_at: np.ndarray) -> pa.RecordBatch:
+        place = lambda x: np.where(seed & 1 == 1, -(at & 0xFFFFFFFF), x).astype(np.int32)
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (seed, doc, home.astype(np.int64), place(at), place(home_at))], names=["seed", "doc", "home", "pos", "hpos"])
+
+    dealt = found.repartition(F.when(F.col("home").isNull(), F.col("seed")).otherwise(F.xxhash64("doc")))
+    return dealt.sortWithinPartitions("seed", "doc", "at").mapInArrow(pair, MATCHED)
 
 
 class Fenwick:
@@ -114,10 +199,11 @@ class Fenwick:
         return found
 
 
-def chain(anchors: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
-    """Chains (x0, x1, y0, y1) of anchors, best first; every anchor is in one of them."""
-    if len(anchors) == 1:
-        return anchors
+Anchor = tuple[int, int, int, int]
+
+
+def linked_anchors(anchors: list[Anchor]) -> list[list[Anchor]]:
+    """Anchors (x0, x1, y0, y1) in chains, best chain first; every anchor is in one of them."""
     anchors = sorted(anchors)
     ends = sorted({a[3] for a in anchors})
     rank = {y: i for i, y in enumerate(ends)}
@@ -137,52 +223,80 @@ def chain(anchors: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int,
     for i in sorted(range(len(anchors)), key=lambda i: -score[i]):
         if used[i]:
             continue
-        last = first = i
+        own = [i]
         used[i] = True
-        while before[first] >= 0 and not used[before[first]]:
-            first = before[first]
-            used[first] = True
-        out.append((anchors[first][0], anchors[last][1], anchors[first][2], anchors[last][3]))
+        while before[own[-1]] >= 0 and not used[before[own[-1]]]:
+            own.append(before[own[-1]])
+            used[own[-1]] = True
+        out.append([anchors[j] for j in reversed(own)])
     return out
 
 
-def chains(found: DataFrame, width: int = K) -> DataFrame:
-    """(doc, home, x0, x1, y0, y1), word ranges of each chain of matches that are ``width`` words long. A group is no larger than its document's seeds."""
+def _ends(own: list[Anchor]) -> Anchor:
+    return own[0][0], own[-1][1], own[0][2], own[-1][3]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] | None = None
-        for batch in batches:
-            own = [c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns]
-            if held is not None:
-                own = [np.concatenate(x) for x in zip(held, own, strict=True)]
-            doc, home = own[0], own[1]
-            if not len(doc):
-                continue
-            # the last group may go on in the next batch
-            last = int(np.flatnonzero((doc != doc[-1]) | (home != home[-1]))[-1]) + 1 if ((doc != doc[-1]) | (home != home[-1])).any() else 0
-            held = [x[last:] for x in own]
-            if last:
-                yield out([x[:last] for x in own])
+
+def chain(anchors: list[Anchor]) -> list[Anchor]:
+    """The ranges of the chains of anchors, best first."""
+    return [_ends(own) for own in linked_anchors(anchors)]
+
+
+def _pieces(own: list[Anchor]) -> list[Anchor]:
+    """Ranges of a chain without its long gaps."""
+    out, begin = [], 0
+    for i in range(1, len(own)):
+        if max(own[i][0] - own[i - 1][1], own[i][2] - own[i - 1][3]) > LARGEST_GAP:
+            out.append(_ends(own[begin:i]))
+            begin = i
+    return [*out, _ends(own[begin:])]
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: int, work: Callable[[list[np.ndarray]], Iterator[pa.RecordBatch]]) -> Iterator[pa.RecordBatch]:
+    """Hand on sorted rows as arrays such that rows equal in their first ``keys`` columns come together."""
+    held: list[np.ndarray] | None = None
+    for batch in batches:
+        own = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
         if held is not None:
-            yield out(held)
-
-    def out(own: list[np.ndarray]) -> pa.RecordBatch:
-        doc, home, diagonal, pos = own
-        apart = (doc[1:] != doc[:-1]) | (home[1:] != home[:-1])
-        begins = np.flatnonzero(np.concatenate(([True], apart | (diagonal[1:] != diagonal[:-1]) | (pos[1:] - pos[:-1] > FLANK))))
-        ends = np.concatenate((begins[1:], [len(doc)])) - 1
-        x0, x1 = pos[begins], pos[ends] + width
+            own = [np.concatenate(x) for x in zip(held, own, strict=True)]
+        if not len(own[0]):
+            continue
+        last = int(_starts(*own[:keys])[-1])  # the last group may go on in the next batch
+        held = [x[last:] for x in own]
+        if last:
+            yield from work([x[:last] for x in own])
+    if held is not None:
+        yield from work(held)
+
+
+def chains(found: DataFrame, least_seeds: int = 2) -> DataFrame:
+    """(doc, home, x0, x1, y0, y1), word ranges of the chains of matches (doc, home, pos, hpos, width). A group is no larger than its document's seeds."""
+
+    def out(own: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        doc, home, diagonal, pos, width = own
+        gap = np.append(0, pos[1:] - pos[:-1] - width[:-1])
+        begins = np.union1d(_starts(doc, home, diagonal), np.flatnonzero(gap > LARGEST_GAP))
+        sizes = np.diff(np.append(begins, len(doc)))
+        x0, x1 = pos[begins], np.maximum.reduceat(pos + width, begins) if len(begins) else pos[begins]
         y0, y1 = x0 - diagonal[begins], x1 - diagonal[begins]
-        groups = np.flatnonzero(np.concatenate(([True], (doc[begins][1:] != doc[begins][:-1]) | (home[begins][1:] != home[begins][:-1]))))
-        rows = []
-        for a, b in zip(groups.tolist(), [*groups[1:].tolist(), len(begins)], strict=True):
+        groups = _starts(doc[begins], home[begins])
+        anchors = np.diff(np.append(groups, len(begins)))
+        lone = groups[anchors == 1]
+        lone = lone[sizes[lone] >= least_seeds]
+        rows = [(doc[begins[lone]], home[begins[lone]], x0[lone], x1[lone], y0[lone], y1[lone])]
+        found: list[tuple[int, ...]] = []
+        for a, n in zip(groups[anchors > 1].tolist(), anchors[anchors > 1].tolist(), strict=True):
             d, h = int(doc[begins[a]]), int(home[begins[a]])
-            rows += [(d, h, *c) for c in chain(list(zip(x0[a:b].tolist(), x1[a:b].tolist(), y0[a:b].tolist(), y1[a:b].tolist(), strict=True)))]
-        columns = list(zip(*rows, strict=True))
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if i < 2 else pa.int32()) for i, c in enumerate(columns)], names=["doc", "home", "x0", "x1", "y0", "y1"])
+            for own_chain in linked_anchors(list(zip(*(v[a : a + n].tolist() for v in (x0, x1, y0, y1)), strict=True))):
+                if len(own_chain) > 1 or least_seeds < 2 or own_chain[0][1] - own_chain[0][0] > K:
+                    found += [(d, h, *c) for c in _pieces(own_chain)]
+        if found:
+            rows.append(tuple(np.array(c) for c in zip(*found, strict=True)))
+        columns = [np.concatenate(c) for c in zip(*rows, strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if i < 2 else pa.int32()) for i, c in enumerate(columns)], names=["doc", "home", "x0", "x1", "y0", "y1"])
 
-    ordered = found.select("doc", "home", (F.col("pos") - F.col("hpos")).cast("long").alias("diagonal"), F.col("pos").cast("long")).repartition("doc").sortWithinPartitions("doc", "home", "diagonal", "pos")
-    return ordered.mapInArrow(run, "doc long, home long, x0 int, x1 int, y0 int, y1 int")
+    ordered = found.select("doc", "home", (F.col("pos") - F.col("hpos")).cast("long").alias("diagonal"), F.col("pos").cast("long"), F.col("width").cast("long"))
+    ordered = ordered.repartition("doc", "home").sortWithinPartitions("doc", "home", "diagonal", "pos")
+    return ordered.mapInArrow(lambda batches: whole_groups(batches, 2, out), "doc long, home long, x0 int, x1 int, y0 int, y1 int")
 
 
 #: Words of the first text whose positions are held as bits at once.
@@ -215,17 +329,58 @@ def common_words(a: list[int], b: list[int]) -> int:
     return total
 
 
-def _extend(a: np.ndarray, b: np.ndarray) -> tuple[int, bool]:
-    """How far two texts agree from their start along the diagonal: the best score of +1 and -2, until it drops by DROP; whether it did not drop."""
+def _diagonal(a: np.ndarray, b: np.ndarray) -> tuple[int, int, bool]:
+    """How far two texts agree word by word from their start, the score there, and whether it has not dropped since."""
     n = min(len(a), len(b))
     if not n:
-        return 0, True
-    score = np.cumsum(np.where(a[:n] == b[:n], 1, -2))
-    peak = np.maximum.accumulate(np.maximum(score, 0))
-    fallen = np.flatnonzero(peak - score > DROP)
-    score = score[: fallen[0]] if len(fallen) else score
-    best = int(np.argmax(score)) if len(score) else 0
-    return best + 1 if len(score) and score[best] > 0 else 0, not len(fallen)
+        return 0, 0, True
+    score = np.cumsum(np.where(a[:n] == b[:n], 1, -1))
+    fallen = np.flatnonzero(np.maximum.accumulate(np.maximum(score, 0)) - score > DROP)
+    if len(fallen):
+        score = score[: fallen[0]]
+    best = len(score) - 1 - int(np.argmax(score[::-1]))  # the last of equal ones
+    return (best + 1, int(score[best]), not len(fallen)) if score[best] >= 0 else (0, 0, not len(fallen))
+
+
+def _extend(a: np.ndarray, b: np.ndarray) -> tuple[int, int, bool]:
+    """How many words of each text an extension takes from their start; whether it stopped because the words ended."""
+    i, j, kept = 0, 0, 0
+    at: tuple[int, int] = (0, 0)
+    while True:
+        n, score, open_ = _diagonal(a[i:], b[j:])
+        if kept + score <= 0 and (i or j):
+            return *at, False  # what follows the shift is not worth it
+        i, j = i + n, j + n
+        at, kept = (i, j), 0
+        if open_:
+            return i, j, True
+        left, right = a[i : i + SHIFT + AGREE], b[j : j + SHIFT + AGREE]
+        if min(len(left), len(right)) < SHIFT + AGREE:
+            open_ = True
+        if min(len(left), len(right)) < AGREE:
+            return i, j, open_
+        same = left[:, None] == right[None, :]
+        run = same[: 1 - AGREE, : 1 - AGREE].copy()
+        for k in range(1, AGREE):
+            run &= same[k : len(left) - AGREE + 1 + k, k : len(right) - AGREE + 1 + k]
+        da, db = np.nonzero(run)
+        if not len(da):
+            return i, j, open_
+        best = int(np.argmin(np.maximum(da, db) * 64 + da + db))
+        i, j = i + int(da[best]), j + int(db[best])
+        kept = -max(int(da[best]), int(db[best]))
+
+
+def agreeing(a: np.ndarray, b: np.ndarray) -> int:
+    """Length of the longest common subsequence; what the texts begin and end with alike is not searched."""
+    n = min(len(a), len(b))
+    apart = np.flatnonzero(a[:n] != b[:n])
+    head = int(apart[0]) if len(apart) else n
+    a, b = a[head:], b[head:]
+    n = min(len(a), len(b))
+    apart = np.flatnonzero(a[len(a) - n :][::-1] != b[len(b) - n :][::-1])
+    tail = int(apart[0]) if len(apart) else n
+    return head + tail + common_words(a[: len(a) - tail].tolist(), b[: len(b) - tail].tolist())
 
 
 ALIGNED = T.StructType([T.StructField(n, T.IntegerType()) for n in ("start", "end", "home_start", "home_end", "n_matched")] + [T.StructField("goes_on", T.BooleanType())])
@@ -235,18 +390,21 @@ ALIGNED = T.StructType([T.StructField(n, T.IntegerType()) for n in ("start", "en
 def align(x0: pa.Array, x1: pa.Array, y0: pa.Array, y1: pa.Array, left: pa.Array, right: pa.Array, flank: pa.Array) -> pa.Array:
     """Extend each chain within the words around it and count the words that agree. ``left`` and ``right`` begin ``flank`` words before the chain, or with the text.
 
-    ``goes_on`` tells that all the words at one end were used and the texts may agree beyond them.
+    ``goes_on`` tells that the words around the chain were used up and the texts may agree beyond them.
     """
     out = []
     for a0, a1, b0, b1, wa, wb, wide in zip(*(c.to_pylist() for c in (x0, x1, y0, y1, left, right, flank)), strict=True):
         a, b = np.frombuffer(wa, dtype="<u4"), np.frombuffer(wb, dtype="<u4")
         fa, fb = min(a0, wide), min(b0, wide)
         ea, eb = fa + a1 - a0, fb + b1 - b0
-        before, more_before = _extend(a[:fa][::-1], b[:fb][::-1])
-        after, more_after = _extend(a[ea:], b[eb:])
-        inner = common_words(a[fa - before : ea + after].tolist(), b[fb - before : eb + after].tolist())
-        goes_on = (more_before and min(fa, fb) == wide) or (more_after and min(len(a) - ea, len(b) - eb) == wide)
-        out.append((a0 - before, a1 + after, b0 - before, b1 + after, inner, goes_on))
+        la, lb, open_left = _extend(a[:fa][::-1], b[:fb][::-1])
+        ra, rb, open_right = _extend(a[ea:], b[eb:])
+        goes_on = open_left and (a0 > fa or la < fa) and (b0 > fb or lb < fb)
+        goes_on |= open_right and (len(a) - ea == wide or ra < len(a) - ea) and (len(b) - eb == wide or rb < len(b) - eb)
+        # only where a window ends inside its text is there more to see
+        goes_on &= a0 > fa or b0 > fb or len(a) - ea == wide or len(b) - eb == wide
+        inner = agreeing(a[fa - la : ea + ra], b[fb - lb : eb + rb])
+        out.append((a0 - la, a1 + ra, b0 - lb, b1 + rb, inner, goes_on))
     columns = list(zip(*out, strict=True)) or [[]] * 6
     return pa.StructArray.from_arrays([pa.array(c, f) for c, f in zip(columns, [pa.int32()] * 5 + [pa.bool_()], strict=True)], names=ALIGNED.names)
 
@@ -267,10 +425,11 @@ def word_codes(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 #: Chains whose texts agree to the last of their flanking words get so many times the words.
 WIDEN = 8
+PASSAGE = ("doc", "start", "end", "home", "home_start", "home_end", "n_matched", "identity")
 
 
 def aligned(linked: DataFrame, coded: DataFrame, least_words: int, least_identity: float) -> DataFrame:
-    """(doc, start, end, home, home_start, home_end, n_matched, identity) of the chains that are passages."""
+    """PASSAGE of the chains that are passages."""
     flank, parts = FLANK, []
     names = linked.columns
     while True:
@@ -279,7 +438,7 @@ def aligned(linked: DataFrame, coded: DataFrame, least_words: int, least_identit
         left = linked.join(coded.withColumnRenamed("k", "doc"), "doc").select(*names, piece("x0", "x1").alias("left"))
         both = left.join(coded.withColumnRenamed("k", "home"), "home").select(*names, "left", piece("y0", "y1").alias("right"))
         rows = cut(both.select(*names, align("x0", "x1", "y0", "y1", "left", "right", F.lit(flank)).alias("a")), "aligned")
-        parts.append(rows)
+        parts.append(rows.where("not a.goes_on"))
         linked = rows.where("a.goes_on").select(*names)
         if linked.isEmpty():
             break
@@ -289,84 +448,85 @@ def aligned(linked: DataFrame, coded: DataFrame, least_words: int, least_identit
         rows = rows.union(part)
     identity = F.col("a.n_matched") / F.greatest(F.col("a.end") - F.col("a.start"), F.col("a.home_end") - F.col("a.home_start"))
     rows = rows.withColumn("identity", F.round(identity, 6)).where((F.col("a.n_matched") >= least_words) & (F.col("identity") >= least_identity))
-    if len(parts) > 1:  # of what one chain became, the longest that is still a passage
-        rows = rows.groupBy(*names).agg(F.max_by(F.struct("a", "identity"), "a.n_matched").alias("r")).select("doc", "home", "r.*")
     return rows.select("doc", "a.start", "a.end", "home", "a.home_start", "a.home_end", "a.n_matched", "identity")
 
 
-def _inside(start: np.ndarray, end: np.ndarray, ranges: np.ndarray) -> np.ndarray:
-    """Whether each [start, end) lies within one of the ranges (n x 2)."""
-    if not len(ranges):
-        return np.zeros(len(start), dtype=bool)
-    ranges = ranges[np.argsort(ranges[:, 0], kind="stable")]
-    reach = np.concatenate(([-1], np.maximum.accumulate(ranges[:, 1])))
-    return reach[np.searchsorted(ranges[:, 0], start, side="right")] >= end
-
-
-def _pairs(found: list | None) -> np.ndarray:
-    return np.array([(r["a"], r["b"]) for r in found or []], dtype=np.int64).reshape(-1, 2)
-
-
-def left_over(linked: DataFrame, passages: DataFrame, coded: DataFrame, least_words: int) -> DataFrame:
-    """(doc, home, pos, hpos): runs of ``least_words`` words that no passage covers, each with the first document that has it.
-
-    Such a run holds a seed with an earlier home, so it lies around a chain. Of the runs there, only those are listed that
-    hold a winnowed run of two thirds of their words that other documents have too.
-    """
-    wide = max(least_words, K)
-    narrow = max(K, 2 * wide // 3)
-    slack = wide - narrow
-    ranges = lambda a, b, name: F.collect_list(F.struct(F.col(a).alias("a"), F.col(b).alias("b"))).alias(name)
-    near = linked.groupBy(F.col("doc").alias("k")).agg(ranges("x0", "x1", "near"))
-    covered = passages.groupBy(F.col("doc").alias("k")).agg(ranges("start", "end", "covered"))
-    around = near.join(covered, "k", "left")
-
-    def narrow_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for doc, raw, spots, done in zip(*(column_of(batch, c).to_pylist() for c in ("k", "words", "near", "covered")), strict=True):
-                words = np.frombuffer(raw, dtype="<u4").astype(U)
-                grams = shingle_hashes(words, narrow)
-                at = winnow(grams, np.zeros(len(grams), dtype=np.int64), slack + 1)
-                spots, done = _pairs(spots), _pairs(done)
-                # a run around [at, at + narrow) holds a seed of a chain
-                edge = np.zeros(len(words) + 1, dtype=np.int64)
-                np.add.at(edge, np.maximum(spots[:, 0] - wide, 0), 1)
-                np.add.at(edge, np.minimum(spots[:, 1] + wide, len(words)), -1)
-                at = at[np.cumsum(edge)[at] > 0]
-                needed = ~_inside(np.maximum(at - slack, 0), np.minimum(at + narrow + slack, len(words)), done)
-                yield pa.RecordBatch.from_arrays([pa.array(grams[at].view(np.int64)), pa.array(np.full(len(at), doc, dtype=np.int64)), pa.array(at.astype(np.int32)), pa.array(needed)], names=["run", "doc", "pos", "needed"])
-
-    def wide_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for doc, raw, spots, done in zip(*(column_of(batch, c).to_pylist() for c in ("k", "words", "spots", "covered")), strict=True):
-                grams = shingle_hashes(np.frombuffer(raw, dtype="<u4").astype(U), wide)
-                at = np.unique(np.array(spots, dtype=np.int64)[:, None] - np.arange(slack + 1))
-                at = at[(at >= 0) & (at < len(grams))]
-                needed = ~_inside(at, at + wide, _pairs(done))
-                yield pa.RecordBatch.from_arrays([pa.array(grams[at].view(np.int64)), pa.array(np.full(len(at), doc, dtype=np.int64)), pa.array(at.astype(np.int32)), pa.array(needed)], names=["run", "doc", "pos", "needed"])
-
-    def homed(runs: DataFrame) -> DataFrame:
-        return runs.groupBy("run").agg(F.min("doc").alias("home"), F.min_by("pos", F.struct("doc", "pos")).alias("hpos"), F.max("doc").alias("last"), F.bool_or("needed").alias("asked")).where("asked and home <> last")
-
-    schema = "run long, doc long, pos int, needed boolean"
-    some = cut(coded.join(around, "k").select("k", "words", "near", "covered").mapInArrow(narrow_runs, schema), "narrow-runs")
-    spots = some.join(homed(some).select("run"), "run", "left_semi").groupBy(F.col("doc").alias("k")).agg(F.collect_list("pos").alias("spots"))
-    runs = cut(coded.join(spots, "k").join(covered, "k", "left").select("k", "words", "spots", "covered").mapInArrow(wide_runs, schema), "wide-runs")
-    return runs.where("needed").join(homed(runs).select("run", "home", "hpos"), "run").select("doc", "home", "pos", "hpos").where("doc <> home")
+def maximal(passages: DataFrame) -> DataFrame:
+    """The passages of each two documents that lie within no other of theirs."""
+    before = Window.partitionBy("doc", "home").orderBy("start", F.desc("end"), F.desc("n_matched"), "home_start").rowsBetween(Window.unboundedPreceding, -1)
+    return passages.withColumn("reach", F.max("end").over(before)).where(F.col("reach").isNull() | (F.col("reach") < F.col("end"))).drop("reach")
+
+
+def left_over(found: DataFrame, passages: DataFrame) -> DataFrame:
+    """(doc, home, pos, hpos, width): runs of neighbouring shared seeds that no passage covers, each with the first document that has the run."""
+    held = [found.select(F.col(d).alias("doc"), F.lit(1).alias("kind"), F.col(p).alias("a"), F.col("seed").alias("b")) for d, p in (("doc", "pos"), ("home", "hpos"))]
+    done = [passages.select(F.col(d).alias("doc"), F.lit(0).alias("kind"), F.col(a).alias("a"), F.col(b).cast("long").alias("b")) for d, a, b in (("doc", "start", "end"), ("home", "home_start", "home_end"))]
+    rows = held[0].union(held[1].distinct()).union(done[0]).union(done[1].distinct())
+
+    def runs(own: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        doc, kind, a, b = own
+        keys, docs, places, widths = [], [], [], []
+        # stretches of seeds that stand close to each other; passages come first in each document
+        begins = np.union1d(_starts(doc, kind), np.flatnonzero(np.append(0, a[1:] - a[:-1]) > LARGEST_GAP))
+        ends = np.append(begins[1:], len(doc)) - 1
+        long = np.flatnonzero((kind[begins] == 1) & (a[ends] + K - a[begins] >= LEAST_STRETCH))
+        heads = _starts(doc)
+        head = heads[np.searchsorted(heads, begins[long], side="right") - 1]
+        for s, e, h in zip(begins[long].tolist(), ends[long].tolist(), head.tolist(), strict=True):
+            pos, at = np.unique(a[s : e + 1], return_index=True)
+            seed = b[s : e + 1][at].view(U)
+            first = h + int(np.searchsorted(kind[h:s], 1))
+            start, reach = a[h:first], np.maximum.accumulate(b[h:first]) if first > h else b[:0]
+            for m in RUNS:
+                n = len(pos) - m + 1
+                if n <= 0:
+                    continue
+                upto = pos[m - 1 :] + K
+                near = np.searchsorted(start, pos[:n], side="right") - 1
+                inside = (near >= 0) & (reach[near] >= upto) if len(start) else np.zeros(n, dtype=bool)
+                tight = np.maximum.reduce([pos[k : n + k] - pos[k - 1 : n + k - 1] for k in range(1, m)]) <= 2 * WINDOW
+                keep = np.flatnonzero(~inside & tight)
+                keys.append(shingle_hashes(seed, m)[keep] ^ U(m))
+                docs.append(np.full(len(keep), doc[s]))
+                places.append(pos[keep])
+                widths.append((upto - pos[:n])[keep])
+        if keys:
+            columns = [np.concatenate(keys).view(np.int64), np.concatenate(docs), np.concatenate(places).astype(np.int32), np.concatenate(widths).astype(np.int32)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["run", "doc", "pos", "width"])
+
+    sorted_rows = rows.select("doc", "kind", F.col("a").cast("long"), "b").repartition("doc").sortWithinPartitions("doc", "kind", "a")
+    listed = cut(sorted_rows.mapInArrow(lambda batches: whole_groups(batches, 1, runs), "run long, doc long, pos int, width int"), "runs")
+    homes = listed.groupBy("run").agg(F.min("doc").alias("home"), F.min_by("pos", F.struct("doc", "pos")).alias("hpos"), F.max("doc").alias("last")).where("home <> last")
+    return listed.join(homes, "run").where("doc <> home").select("doc", "home", "pos", "hpos", "width").distinct()
 
 
 def fuzzy_passages(docs: DataFrame, key: str = "doc_id", text: str = "text", least_words: int = LEAST_WORDS, least_identity: float = LEAST_IDENTITY) -> DataFrame:
     """(key, start, end, home, home_start, home_end, n_matched, identity): a row for each passage of a document that an earlier one has too."""
-    found = cut(seeds(docs, key, text), "seeds")
-    linked = cut(chains(matches(found)), "chains")
+    found = cut(matches(seeds(docs, key, text)), "matches")
+    n = -F.col("pos")
+    copies = found.where("pos < 0").groupBy("doc").agg(F.min("home").alias("home"), F.max("pos").alias("pos"))
+    copies = cut(copies.select("doc", F.lit(0).alias("start"), n.alias("end"), "home", F.lit(0).alias("home_start"), n.alias("home_end"), n.alias("n_matched"), F.lit(1.0).alias("identity")), "copies")
+    other = cut(found.where("pos >= 0").join(copies.select("doc"), "doc", "left_anti"), "other")
+    linked = cut(chains(other.withColumn("width", F.lit(K))), "chains")
     forget(found)
-    ends = linked.select(F.col("doc").alias("k")).union(linked.select(F.col("home").alias("k"))).distinct()
-    own = docs.select(F.col(key).cast("long").alias(key), F.col(text)).join(ends, F.col(key) == F.col("k"), "left_semi")
-    coded = cut(word_codes(own, key, text), "words")
+
+    own = docs.select(F.col(key).cast("long").alias(key), F.col(text))
+
+    def words_of(some: DataFrame) -> DataFrame:
+        ends = some.select(F.col("doc").alias("k")).union(some.select(F.col("home").alias("k"))).distinct()
+        return cut(word_codes(own.join(ends, F.col(key) == F.col("k"), "left_semi"), key, text), "words")
+
+    coded = words_of(linked)
     first = cut(aligned(linked, coded, least_words, least_identity), "passages")
-    again = cut(chains(left_over(linked, first, coded, least_words), max(least_words, K)), "chains-again")
-    rows = first.union(aligned(again, coded, least_words, least_identity)).withColumnRenamed("doc", key)
-    return rows.distinct()
+    again = cut(chains(left_over(other, first), 1), "chains-again")
+    forget(coded)
+    coded = words_of(again)
+    second = cut(aligned(again, coded, least_words, least_identity), "passages-again")
+    rows = maximal(first.union(second).distinct()).union(copies.where(F.col("n_matched") >= least_words).select(*PASSAGE))
+    rows = cut(rows.withColumnRenamed("doc", key), "fuzzy")
+    for frame in (other, linked, coded, first, again, second, copies):
+        forget(frame)
+    return rows
 
 
 def op1_fuzzy_passages(spark, sf_dir):
