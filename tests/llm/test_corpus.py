@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tremora.llm import classifier, fuzzy_passages, mixing, near_duplicates, quality_rules, warc
-from tremora.session import table
+from tremora.session import cut, scratch, table
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, bucket string, n long, m string, component long"
@@ -272,14 +272,51 @@ def test_counts_and_perplexities_equal_brute_force(spark, odd, sf):
 
 def test_unseen_texts_fall_back_and_probabilities_add_up(spark, sf):
     frame = table(spark, sf, "documents").limit(40)
-    codes = quality_rules.language_codes(frame, "lang")
-    model = quality_rules.train(frame, codes)
-    context = int.from_bytes(b"zqxw", "big") << 8
-    for start in (context, int.from_bytes(b"\n\n\n\n", "big") << 8):
-        total = np.exp(model.log_p(np.array([start | b for b in range(256)], dtype=np.uint64))).sum()
-        assert math.isclose(total, 1, rel_tol=1e-9)
-    cut_off = quality_rules.train(frame, codes, entries=2000)
-    assert all(len(k) <= 2000 for k in cut_off.gram_keys + cut_off.context_keys)
+    folder = scratch(spark, "models")
+    files = cut(quality_rules.train(frame, folder)).collect()
+    assert {r["l"] for r in files} == {r["lang"] for r in frame.select("lang").collect()}
+    for r in files:
+        model = quality_rules.Models(folder).named(quality_rules._name(r["l"]))
+        for start in (b"xw", b"\n\n", b"en", b"e "):
+            key = int.from_bytes(start, "big") << 8
+            assert math.isclose(np.exp(model.log_p(np.array([key | b for b in range(256)], dtype=np.uint32))).sum(), 1, rel_tol=1e-9)
+
+
+def test_any_number_of_languages_has_models_and_bands(spark):
+    """No language shares another's model, and none is left without a band."""
+    rng = np.random.default_rng(2)
+    text = lambda letters: " ".join("".join(rng.choice(list(letters), 5)) for _ in range(60))
+    rows = [(300 * k + i, text("abcde" if i % 2 else "vwxyz"), f"l{i}") for i in range(300) for k in range(2)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    rules, measured = quality_rules.fit(frame)
+    assert rules.bands.count() == 300 and len(quality_rules.Models(rules.folder).all()) == 300
+    assert rules.judged(measured).where("kept").count() == 600
+
+
+def test_junk_goes_and_clean_texts_that_quote_stay(spark, sf):
+    """Random signs, encoded data and tables go; clean texts with a passage of another language or a key stay."""
+    docs = table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text", "lang")
+    labels = table(spark, "/root/testdata/sf0.01", "labels")
+    clean = docs.join(labels.where("quality = 1"), "doc_id", "left_semi").where("length(text) between 1500 and 6000").orderBy("doc_id").collect()
+    english = [r["text"] for r in clean if r["lang"] == "en"][:20]
+    others = [r for r in clean if r["lang"] != "en"][:20]
+    rng = np.random.default_rng(4)
+    signs = "".join(chr(c) for c in range(33, 127))
+    encoded = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    word = lambda letters, n: "".join(rng.choice(list(letters), n))
+    junk = [(10**6 + i, " ".join(word(letters, int(rng.integers(2, 9))) for _ in range(400)), "en") for i, letters in enumerate([signs, encoded, signs[:30], "bcdfghjklmnpqrstvwxz"] * 5)]
+    quoting = [(2 * 10**6 + i, r["text"][: len(r["text"]) * 2 // 3] + " " + e[: len(r["text"]) // 4] + " " + word("0123456789abcdef", 64), r["lang"]) for i, (r, e) in enumerate(zip(others, english, strict=True))]
+    both = docs.union(spark.createDataFrame(junk + quoting, docs.schema))
+    left = {r["doc_id"] for r in quality_rules.filter_documents(both).select("doc_id").collect()}
+    assert not left & {r[0] for r in junk}
+    assert left >= {r[0] for r in quoting}
+    more = {name: table(spark, "/root/testdata/sf0.1", name) for name in ("documents", "labels")}
+    rules, measured = quality_rules.fit(more["documents"].select("doc_id", "text", "lang"))
+    judged = rules.judged(measured).where(~quality_rules.base_failed(F.col("m"))).join(more["labels"], "doc_id").select("kept", "quality").collect()
+    lost = np.mean([not r["kept"] for r in judged if r["quality"] == 1])
+    caught = np.mean([not r["kept"] for r in judged if r["quality"] == 0])
+    print("clean texts lost", lost, "junk caught beyond the fixed limits", caught)
+    assert lost <= 0.002 and caught >= 0.4
 
 
 # -- classifier
@@ -359,7 +396,6 @@ def test_sql_of_mixing_and_archives(spark, sf):
 
 def test_pipeline_stages_take_effect(spark, sf):
     import corpus_pipeline
-    from tremora.session import cut
 
     docs = table(spark, sf, "documents")
     columns, sizes = docs.columns, [docs.count()]
