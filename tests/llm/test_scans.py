@@ -125,6 +125,20 @@ def test_segmentation_is_best_and_decoding_exact(spark, docs, sf):
     assert sentencepiece.encode_documents(docs.limit(0)).collect() == []
 
 
+def test_units_of_any_kind_are_segmented_best():
+    """Random units, short and long, of letters, spaces, marks and signs that no piece covers, by either kind of scores."""
+    rng = np.random.default_rng(8)
+    letters = list("abcdefgh eiouthn  .,0123▁éß執🙂x")
+    units = ["".join(rng.choice(letters, int(rng.integers(1, 60)))) for _ in range(150)] + ["".join(rng.choice(letters, 400)) for _ in range(3)] + ["x" * 700]
+    for scores in ("file", "zipf"):
+        model = sentencepiece.pieces(sentencepiece.default_model(), scores)
+        score = {i: s for i, s in model.vocabulary.values()}
+        for unit, raw in zip(units, model.encode(units), strict=True):
+            ids = np.frombuffer(raw, "<i4").tolist()
+            assert b"".join(model.bytes[i] for i in ids) == unit.encode()
+            assert np.isclose(sum(score.get(i, model.fallback) for i in ids), brute_segment(model, unit), rtol=1e-12, atol=1e-9)
+
+
 PAGES = [(1, "http://a", "same"), (2, "http://b\n", "same"), (3, None, "é"), (4, "u", None), (5, "u", ""), (7, "u", "same"), (7, "u", "same"), (None, "n", "lone"), (None, "n", "é")]
 
 

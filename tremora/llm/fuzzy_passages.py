@@ -34,7 +34,7 @@ from tremora.session import cut, forget
 
 K, WINDOW = 5, 6
 #: Seeds that a task looks at together before the shuffle, and how many documents of each seed it sends on.
-SEEDS_AT_ONCE = 1 << 20
+SEEDS_AT_ONCE = 1 << 19
 PASSED_ON = 16
 #: Words between two anchors of a chain; what agrees beyond is found by extension.
 LARGEST_GAP = 24
@@ -49,8 +49,8 @@ DROP = 8
 SHIFT, AGREE = 10, 3
 #: Neighbouring seeds whose runs get a home of their own in the second pass: 2 span about 9 words, 7 about 30.
 RUNS = (2, 7)
-#: Words that a stretch of shared seeds must span to be looked at again.
-LEAST_STRETCH = 30
+#: Words that a stretch of shared seeds must span to be looked at again; the outer seeds of 51 equal words span 41.
+LEAST_STRETCH = 40
 _TOP = U(0xFFFFFFFFFFFFFFFF)
 _SPREAD = U(0x9E3779B97F4A7C15)
 
@@ -342,30 +342,32 @@ def _diagonal(a: np.ndarray, b: np.ndarray) -> tuple[int, int, bool]:
     return (best + 1, int(score[best]), not len(fallen)) if score[best] >= 0 else (0, 0, not len(fallen))
 
 
-def _extend(a: np.ndarray, b: np.ndarray) -> tuple[int, int, bool]:
-    """How many words of each text an extension takes from their start; whether it stopped because the words ended."""
+def _extend(a: np.ndarray, b: np.ndarray, more_a: bool, more_b: bool) -> tuple[int, int, bool]:
+    """How many words of each text an extension takes from their start, and whether it needs the words that a text has beyond those given."""
     i, j, kept = 0, 0, 0
-    at: tuple[int, int] = (0, 0)
+    at = (0, 0)
+
+    def stopped() -> tuple[int, int, bool]:
+        short_a, short_b = len(a) - at[0] < SHIFT + AGREE, len(b) - at[1] < SHIFT + AGREE
+        ended = (at[0] == len(a) and not more_a) or (at[1] == len(b) and not more_b)
+        return *at, not ended and ((short_a and more_a) or (short_b and more_b))
+
     while True:
         n, score, open_ = _diagonal(a[i:], b[j:])
         if kept + score <= 0 and (i or j):
-            return *at, False  # what follows the shift is not worth it
+            return stopped()  # what follows the shift is not worth it
         i, j = i + n, j + n
         at, kept = (i, j), 0
-        if open_:
-            return i, j, True
         left, right = a[i : i + SHIFT + AGREE], b[j : j + SHIFT + AGREE]
-        if min(len(left), len(right)) < SHIFT + AGREE:
-            open_ = True
-        if min(len(left), len(right)) < AGREE:
-            return i, j, open_
+        if open_ or min(len(left), len(right)) < AGREE:
+            return stopped()
         same = left[:, None] == right[None, :]
         run = same[: 1 - AGREE, : 1 - AGREE].copy()
         for k in range(1, AGREE):
             run &= same[k : len(left) - AGREE + 1 + k, k : len(right) - AGREE + 1 + k]
         da, db = np.nonzero(run)
         if not len(da):
-            return i, j, open_
+            return stopped()
         best = int(np.argmin(np.maximum(da, db) * 64 + da + db))
         i, j = i + int(da[best]), j + int(db[best])
         kept = -max(int(da[best]), int(db[best]))
@@ -397,12 +399,9 @@ def align(x0: pa.Array, x1: pa.Array, y0: pa.Array, y1: pa.Array, left: pa.Array
         a, b = np.frombuffer(wa, dtype="<u4"), np.frombuffer(wb, dtype="<u4")
         fa, fb = min(a0, wide), min(b0, wide)
         ea, eb = fa + a1 - a0, fb + b1 - b0
-        la, lb, open_left = _extend(a[:fa][::-1], b[:fb][::-1])
-        ra, rb, open_right = _extend(a[ea:], b[eb:])
-        goes_on = open_left and (a0 > fa or la < fa) and (b0 > fb or lb < fb)
-        goes_on |= open_right and (len(a) - ea == wide or ra < len(a) - ea) and (len(b) - eb == wide or rb < len(b) - eb)
-        # only where a window ends inside its text is there more to see
-        goes_on &= a0 > fa or b0 > fb or len(a) - ea == wide or len(b) - eb == wide
+        la, lb, more_left = _extend(a[:fa][::-1], b[:fb][::-1], a0 > fa, b0 > fb)
+        ra, rb, more_right = _extend(a[ea:], b[eb:], len(a) - ea == wide, len(b) - eb == wide)
+        goes_on = more_left or more_right
         inner = agreeing(a[fa - la : ea + ra], b[fb - lb : eb + rb])
         out.append((a0 - la, a1 + ra, b0 - lb, b1 + rb, inner, goes_on))
     columns = list(zip(*out, strict=True)) or [[]] * 6
@@ -458,18 +457,22 @@ def maximal(passages: DataFrame) -> DataFrame:
 
 
 def left_over(found: DataFrame, passages: DataFrame) -> DataFrame:
-    """(doc, home, pos, hpos, width): runs of neighbouring shared seeds that no passage covers, each with the first document that has the run."""
-    held = [found.select(F.col(d).alias("doc"), F.lit(1).alias("kind"), F.col(p).alias("a"), F.col("seed").alias("b")) for d, p in (("doc", "pos"), ("home", "hpos"))]
-    done = [passages.select(F.col(d).alias("doc"), F.lit(0).alias("kind"), F.col(a).alias("a"), F.col(b).cast("long").alias("b")) for d, a, b in (("doc", "start", "end"), ("home", "home_start", "home_end"))]
+    """(doc, home, pos, hpos, width): runs of neighbouring shared seeds that no passage covers, each with the first document that has the run.
+
+    Only stretches whose seeds have several homes are looked at: the others have been aligned with their one home.
+    """
+    held = [found.select(F.col(d).alias("doc"), F.lit(1).alias("kind"), F.col(p).alias("a"), F.col("seed").alias("b"), F.col("home").alias("c")) for d, p in (("doc", "pos"), ("home", "hpos"))]
+    done = [passages.select(F.col(d).alias("doc"), F.lit(0).alias("kind"), F.col(a).alias("a"), F.col(b).cast("long").alias("b"), F.lit(0).cast("long").alias("c")) for d, a, b in (("doc", "start", "end"), ("home", "home_start", "home_end"))]
     rows = held[0].union(held[1].distinct()).union(done[0]).union(done[1].distinct())
 
     def runs(own: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        doc, kind, a, b = own
+        doc, kind, a, b, home = own
         keys, docs, places, widths = [], [], [], []
         # stretches of seeds that stand close to each other; passages come first in each document
         begins = np.union1d(_starts(doc, kind), np.flatnonzero(np.append(0, a[1:] - a[:-1]) > LARGEST_GAP))
         ends = np.append(begins[1:], len(doc)) - 1
-        long = np.flatnonzero((kind[begins] == 1) & (a[ends] + K - a[begins] >= LEAST_STRETCH))
+        mixed = np.minimum.reduceat(home, begins) < np.maximum.reduceat(home, begins) if len(begins) else np.zeros(0, dtype=bool)
+        long = np.flatnonzero((kind[begins] == 1) & mixed & (a[ends] + K - a[begins] >= LEAST_STRETCH))
         heads = _starts(doc)
         head = heads[np.searchsorted(heads, begins[long], side="right") - 1]
         for s, e, h in zip(begins[long].tolist(), ends[long].tolist(), head.tolist(), strict=True):
@@ -494,10 +497,10 @@ def left_over(found: DataFrame, passages: DataFrame) -> DataFrame:
             columns = [np.concatenate(keys).view(np.int64), np.concatenate(docs), np.concatenate(places).astype(np.int32), np.concatenate(widths).astype(np.int32)]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["run", "doc", "pos", "width"])
 
-    sorted_rows = rows.select("doc", "kind", F.col("a").cast("long"), "b").repartition("doc").sortWithinPartitions("doc", "kind", "a")
+    sorted_rows = rows.select("doc", "kind", F.col("a").cast("long"), "b", "c").repartition("doc").sortWithinPartitions("doc", "kind", "a")
     listed = cut(sorted_rows.mapInArrow(lambda batches: whole_groups(batches, 1, runs), "run long, doc long, pos int, width int"), "runs")
     homes = listed.groupBy("run").agg(F.min("doc").alias("home"), F.min_by("pos", F.struct("doc", "pos")).alias("hpos"), F.max("doc").alias("last")).where("home <> last")
-    return listed.join(homes, "run").where("doc <> home").select("doc", "home", "pos", "hpos", "width").distinct()
+    return listed.join(cut(homes.drop("last"), "homes"), "run").where("doc <> home").select("doc", "home", "pos", "hpos", "width").distinct()
 
 
 def fuzzy_passages(docs: DataFrame, key: str = "doc_id", text: str = "text", least_words: int = LEAST_WORDS, least_identity: float = LEAST_IDENTITY) -> DataFrame:

@@ -34,14 +34,17 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd base modulo 2^64 and of its inverse."""
+    """Powers of an odd base modulo 2^64 and of its inverse. Tables for very long texts are not kept."""
     if "up" not in _powers or len(_powers["up"]) < n:
-        size = max(n, 1 << 16)
         inverse = pow(_BASE, -1, 1 << 64)
+        found = {}
         for name, base in (("up", _BASE), ("down", inverse)):
-            steps = np.full(size, base, dtype=U)
+            steps = np.full(max(n, 1 << 16), base, dtype=U)
             steps[0] = 1
-            _powers[name] = np.multiply.accumulate(steps)
+            found[name] = np.multiply.accumulate(steps)
+        if n > 2 * SLICE_BYTES:
+            return found["up"], found["down"]
+        _powers.update(found)
     return _powers["up"], _powers["down"]
 
 

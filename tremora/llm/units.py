@@ -12,12 +12,12 @@ from collections.abc import Callable
 import numpy as np
 import pyarrow as pa
 
-#: Units of one generation that a worker remembers; it keeps two. About 50 MB each.
-REMEMBERED = 250_000
+#: Units of one generation that a worker remembers; it keeps two. About 20 MB each.
+REMEMBERED = 100_000
 #: Longer units are encoded without being remembered.
 LONGEST_REMEMBERED = 48
 #: Bytes of text whose units are made distinct together.
-UNIT_SLICE = 4 << 20
+UNIT_SLICE = 2 << 20
 
 
 class UnitIds:
