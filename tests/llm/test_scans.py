@@ -4,6 +4,7 @@ import base64
 import hashlib
 import json
 import re
+import time
 import zlib
 
 import numpy as np
@@ -64,6 +65,53 @@ def test_structures_are_confirmed_before_they_are_reported(spark):
     assert clean[0] == "ä [redacted] ." and clean[3] == texts[3] and clean[5] == "[redacted]"
 
 
+def keys_of_all_kinds():
+    number = lambda n, fill: der(2, b"\0" + bytes([fill]) * n)
+    rsa = der(0x30, der(2, b"\0") + b"".join(number(40, 0xA1 + i) for i in range(8)))
+    curve = der(0x30, der(6, bytes.fromhex("2a8648ce3d0201")) + der(6, bytes.fromhex("2a8648ce3d030107")))
+    wrapped = der(0x30, der(2, b"\0") + curve + der(4, bytes(range(60))))
+    edwards = der(0x30, der(2, b"\0") + der(0x30, der(6, bytes.fromhex("2b6570"))) + der(4, der(4, bytes(range(7, 39)))))
+    sec1 = der(0x30, der(2, b"\1") + der(4, bytes(range(32))) + der(0xA0, der(6, bytes.fromhex("2a8648ce3d030107"))))
+    cipher = der(0x30, der(6, bytes.fromhex("2a864886f70d01050d")) + der(0x30, der(4, bytes(16))))
+    encrypted = der(0x30, cipher + der(4, bytes(range(200))))
+    return [rsa, wrapped, edwards, sec1, encrypted]
+
+
+def test_keys_are_found_wherever_they_stand(spark):
+    """Each kind of key in each form of writing, among words; the same with one byte less is none."""
+    texts, want = [], []
+    for key in keys_of_all_kinds():
+        assert secrets.is_private_key(key) and not secrets.is_private_key(key[:-1])
+        body = base64.b64encode(key).decode()
+        lines = "\n".join(body[i : i + 64] for i in range(0, len(body), 64))
+        armour = f"-----BEGIN PRIVATE KEY-----\n{lines}\n-----END PRIVATE KEY-----"
+        forms = [("private_key", body), ("private_key", base64.urlsafe_b64encode(key).decode().rstrip("=")), ("private_key", lines), ("private_key", armour), ("private_key", armour.replace("\n", "\\n"))]
+        forms += [("private_key", base64.b64encode(armour.encode()).decode()), ("hex_key", key.hex().upper()), ("hex_key", ":".join(f"{b:02X}" for b in key))]
+        for kind, form in forms:
+            for before, after in (("é see ", " and so on"), ("path/to/key/", " ."), ("", "")):
+                if before.startswith("path") and form.startswith("LS0t"):
+                    before = "path:"  # nothing tells where a nested key begins to be another's end
+                texts.append(before + form + after)
+                want.append((kind, form))
+        for cut_off in (base64.b64encode(key[:-1]).decode(), key[:-1].hex().upper()):
+            texts.append(f"a {cut_off} b")
+            want.append(None)
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in secrets.find_secrets(frame).collect():
+        found = [(s["kind"], r["text"][s["start"] : s["end"]]) for s in r["secrets"] if s["kind"] in ("private_key", "hex_key")]
+        assert found == ([want[r["doc_id"]]] if want[r["doc_id"]] else []), r["text"][:80]
+
+
+def test_long_runs_take_linear_time():
+    head = base64.b64encode(json.dumps({"alg": "HS256"}).encode()).decode().rstrip("=")
+    runs = ["a" * 5_000_000, "x" * 9, "M" * 5_000_000, "30" * 2_000_000, "MIIABAIBMIIABAIB" * 100_000, "LS0tLS1CRUdJTi" * 100_000, "b3BlbnNzaC1rZXktdjE" * 80_000, (head + ".") * 80_000, "eyJ." * 400_000]
+    runs += ["-----BEGIN PRIVATE KEY-----" * 60_000, "-----BEGIN PRIVATE KEY-----\n" + "A" * 2_000_000, "3082010030820100" * 100_000, "30:82:01:00:02:01:00:" * 60_000, "password " * 200_000, "MIIEpAIBAAKCAQEA" + "A\n" * 500_000]
+    for run in runs:
+        began = time.process_time()
+        secrets.scan_slice(pa.array([run]))
+        assert time.process_time() - began < 4, run[:40]
+
+
 def test_secret_scan_of_an_empty_table(docs):
     assert secrets.find_secrets(docs.limit(0)).collect() == []
 

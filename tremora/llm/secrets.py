@@ -2,8 +2,10 @@
 
 Patterns find the base spans (credential assignments, access keys, long hex runs). Beyond these,
 base64 and hex candidates are decoded and reported only if their structure holds: DER private keys
-whose nested lengths add up, OpenSSH key blobs whose length-prefixed fields fit, signed tokens whose
-header and payload are JSON objects. Texts are scanned whole, a slice of a partition at a time.
+whose nested lengths add up (plain or encrypted), OpenSSH key blobs whose length-prefixed fields fit, signed tokens whose
+header and payload are JSON objects. Keys are looked for wherever their first bytes stand: behind other characters, wrapped over
+lines, between armour lines, as base64 of an armoured key, with colons between hex digits. Texts are scanned whole and in
+linear time, a slice of a partition at a time.
 
 Defined results: a null or empty text has no spans. Spans of one kind never overlap. Matching is per
 row, so repeated rows get equal spans, and other columns of the input pass through untouched.
@@ -32,10 +34,16 @@ SPANS = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.Struc
 ASSIGN = re.compile(rb"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE)
 ACCESS = re.compile(rb"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(rb"[0-9a-f]{24,}")
-TOKEN = re.compile(rb"[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{2,}\.[A-Za-z0-9_-]{8,}")
-BASE64 = re.compile(rb"[A-Za-z0-9+/_-]{40,}={0,2}")
-HEX_KEY = re.compile(rb"(?:[0-9A-Fa-f]{2}){32,}")
-ARMOUR = re.compile(rb"-----BEGIN ([A-Z0-9 ]{0,40})PRIVATE KEY-----([A-Za-z0-9+/=\s]+)-----END \1PRIVATE KEY-----")
+DOTTED = re.compile(rb"[A-Za-z0-9_.-]+")
+ARMOUR = re.compile(rb"-----BEGIN ([A-Z0-9 ]{0,40})PRIVATE KEY-----((?:\s*[A-Za-z-]{1,40}: [^\r\n-]*(?=[\r\n]))*)([A-Za-z0-9+/=\s\\]+)-----END \1PRIVATE KEY-----")
+#: How the DER of a key begins: a sequence of a version, or (encrypted keys) of a sequence that names a cipher; in base64 and in hex.
+DER_BASE64 = re.compile(rb"M(?=(?:II[A-Za-z0-9+/_-]{2}(?:[AQgw]IB|[DTjz][A-D])|I[GH][A-Za-z0-9+/_-](?:AgE|M)|[A-H][A-Za-z0-9+/_-](?:CAQ|w))[A-Za-z0-9+/_-]{8})")
+DER_HEX = re.compile(rb"3(?=0(?:82[0-9A-Fa-f]{4}|81[0-9A-Fa-f]{2}|[0-7][0-9A-Fa-f])(?:02010[0-9]|30(?:82[0-9A-Fa-f]{4}|81[0-9A-Fa-f]{2}|[0-7][0-9A-Fa-f])0609))")
+DER_COLONS = re.compile(rb"3(?=0:(?:82:[0-9A-Fa-f]{2}:[0-9A-Fa-f]{2}|81:[0-9A-Fa-f]{2}|[0-7][0-9A-Fa-f]):(?:02:01:0[0-9]|30:(?:82:[0-9A-Fa-f]{2}:[0-9A-Fa-f]{2}|81:[0-9A-Fa-f]{2}|[0-7][0-9A-Fa-f]):06:09))")
+OPENSSH, NESTED = b"b3BlbnNzaC1rZXktdjE", b"LS0tLS1CRUdJTi"
+SPACED_BASE64, BASE64 = re.compile(rb"[A-Za-z0-9+/_\s-]*={0,2}"), re.compile(rb"[A-Za-z0-9+/_-]*={0,2}")
+#: The object identifiers of password-based encryption (PKCS#5 and PKCS#12) begin so.
+CIPHERS = (bytes.fromhex("2a864886f70d0105"), bytes.fromhex("2a864886f70d010c01"))
 #: The shortest candidate that lies within one run of characters other than white space.
 LEAST_RUN = 20
 LEAST_SECRET = 6
@@ -72,7 +80,7 @@ def der_elements(data: bytes, start: int, end: int) -> list[tuple[int, int, int]
 
 
 def is_private_key(data: bytes) -> bool:
-    """DER of PKCS#1, PKCS#8 or SEC1 private keys, or an OpenSSH key container."""
+    """DER of PKCS#1, PKCS#8 (plain or encrypted) or SEC1 private keys, or an OpenSSH key container."""
     if data.startswith(b"openssh-key-v1\x00"):
         at = 15
         for _ in range(3):  # cipher, key derivation and its options
@@ -84,9 +92,14 @@ def is_private_key(data: bytes) -> bool:
     if not outer or len(outer) != 1:
         return False
     inner = der_elements(data, outer[0][1], outer[0][2])
-    if not inner or inner[0][0] != 0x02 or inner[0][2] - inner[0][1] != 1:
+    if not inner:
         return False
     tags = [tag for tag, _, _ in inner]
+    if tags == [0x30, 0x04]:  # cipher and what it encrypts
+        cipher = der_elements(data, inner[0][1], inner[0][2])
+        return bool(cipher) and cipher[0][0] == 0x06 and data[cipher[0][1] : cipher[0][2]].startswith(CIPHERS) and inner[1][2] - inner[1][1] >= 16
+    if tags[0] != 0x02 or inner[0][2] - inner[0][1] != 1:
+        return False
     if len(tags) >= 9 and tags[:9] == [0x02] * 9:  # version and eight numbers
         return True
     if len(tags) >= 3 and tags[1:3] == [0x30, 0x04]:  # algorithm and key
@@ -95,6 +108,16 @@ def is_private_key(data: bytes) -> bool:
     return len(tags) >= 2 and tags[1] == 0x04 and inner[1][2] - inner[1][1] >= 16
 
 
+def der_size(data: bytes) -> int:
+    """Bytes of the element that begins here, with its head."""
+    if len(data) < 2 or data[1] == 0x80:
+        return 0
+    if data[1] < 0x80:
+        return 2 + data[1]
+    width = data[1] & 0x7F
+    return 2 + width + int.from_bytes(data[2 : 2 + width], "big") if width <= 2 else 0
+
+
 def is_signed_token(text: bytes) -> bool:
     """Header and payload are JSON objects, the header names an algorithm and the signature decodes."""
     head, body, signature = text.split(b".")
@@ -114,16 +137,116 @@ def _run_spans(run: bytes) -> Iterator[tuple[int, int, int]]:
         yield 1, *match.span()
     for match in HEX.finditer(run):
         yield 2, *match.span()
-    for match in BASE64.finditer(run):
-        if match[0][0] in b"MLbA" and (data := from_base64(match[0])) and is_private_key(data):
-            yield 3, *match.span()
-    for match in HEX_KEY.finditer(run):
-        if match[0][:2] == b"30" and is_private_key(binascii.unhexlify(match[0])):
-            yield 4, *match.span()
-    if b"." in run:
-        for match in TOKEN.finditer(run):
-            if is_signed_token(match[0]):
-                yield 5, *match.span()
+    if run.count(b".") >= 2:
+        for match in DOTTED.finditer(run):
+            yield from _tokens(match[0], match.start())
+
+
+def _tokens(dotted: bytes, base: int) -> Iterator[tuple[int, int, int]]:
+    """Signed tokens among the parts between dots. A header may follow other characters: it begins with its base64 brace."""
+    parts = dotted.split(b".")
+    starts = [0]
+    for part in parts:
+        starts.append(starts[-1] + len(part) + 1)
+    free = 0
+    for i in range(len(parts) - 2):
+        if i < free or len(parts[i + 1]) < 2 or len(parts[i + 2]) < 8:
+            continue
+        for at in sorted({0, max(parts[i].find(b"eyJ"), 0), max(parts[i].rfind(b"eyJ"), 0)}):
+            head = parts[i][at:]
+            if len(head) >= 8 and head[:1] == b"e" and is_signed_token(b".".join((head, parts[i + 1], parts[i + 2]))):
+                yield 5, base + starts[i] + at, base + starts[i + 3] - 1
+                free = i + 3
+                break
+
+
+def _base64_keys(raw: bytes, begin: int, end: int) -> Iterator[tuple[int, int]]:
+    """Spans of private keys in base64 within raw[begin:end]: wherever one begins, wrapped over lines or not, also as base64 of an armoured key."""
+    for match in DER_BASE64.finditer(raw, begin, end):
+        at = match.start()
+        need = -(-der_size(from_base64(raw[at : at + 8]) or b"") * 8 // 6)
+        if not need or at + need > end:
+            continue
+        # as many characters as the length says, line breaks not counted
+        taken, stop = bytearray(), at
+        for part in _unspaced(raw, at, end):
+            piece = part[0][: need - len(taken)]
+            taken += piece
+            stop = part[1] + len(piece)
+            if len(taken) == need:
+                break
+        if len(taken) == need and (data := from_base64(bytes(taken))) and is_private_key(data):
+            pad = -need % 4
+            yield at, stop + (pad if raw[stop : min(stop + pad, end)] == b"=" * pad else 0)
+    at = raw.find(OPENSSH, begin, end)
+    while at >= 0:
+        match = SPACED_BASE64.match(raw, at, end)
+        stop = match.end() if match[0].endswith(b"=") else at + len(match[0].rstrip())
+        body = bytes(b for b in match[0] if not IS_SPACE[b])
+        if not ((data := from_base64(body)) and is_private_key(data)):
+            match = BASE64.match(raw, at, end)
+            stop, data = match.end(), from_base64(match[0])
+        if data and is_private_key(data):
+            yield at, stop
+        at = raw.find(OPENSSH, match.end(), end)
+    at = raw.find(NESTED, begin, end)
+    while at >= 0:
+        match = BASE64.match(raw, at, end)
+        if (plain := from_base64(match[0])) and any(_armoured(m) for m in ARMOUR.finditer(plain)):
+            yield match.span()
+        at = raw.find(NESTED, match.end(), end)
+
+
+_LETTERS = re.compile(rb"[A-Za-z0-9+/_-]+")
+_BREAK = re.compile(rb"\s+")
+
+
+def _unspaced(raw: bytes, at: int, end: int) -> Iterator[tuple[bytes, int]]:
+    """Runs of base64 characters with their starts, as long as only white space lies between them."""
+    while match := _LETTERS.match(raw, at, min(end, at + 4096)):
+        yield match[0], match.start()
+        space = _BREAK.match(raw, match.end(), end)
+        at = space.end() if space else match.end()
+
+
+def _hex_keys(raw: bytes, begin: int, end: int) -> Iterator[tuple[int, int]]:
+    """Spans of private keys in hex, plain or with colons between the bytes."""
+    for pattern, width in ((DER_HEX, 2), (DER_COLONS, 3)):
+        for match in pattern.finditer(raw, begin, end):
+            at = match.start()
+            plain = lambda text: text.replace(b":", b"")
+            stop = at + width * der_size(bytes.fromhex(plain(raw[at : at + 4 * width]).decode())) - (width == 3)
+            if at + 64 > stop or stop > end:
+                continue
+            try:
+                data = binascii.unhexlify(plain(raw[at:stop]))
+            except binascii.Error:
+                continue
+            if 2 * len(data) == (stop - at if width == 2 else (stop - at + 1) // 3 * 2) and is_private_key(data):
+                yield at, stop
+
+
+def _armoured(match: re.Match) -> bool:
+    """Whether the body between the lines is a key. One with a cipher in its head lines can't be looked into: it must be whole blocks."""
+    text = match[3].replace(b"\\n", b"").replace(b"\\r", b"")
+    body = from_base64(bytes(b for b in text if not IS_SPACE[b]))
+    if body and b"DEK-Info:" in match[2]:
+        return len(body) >= 64 and len(body) % 8 == 0
+    return bool(body) and is_private_key(body)
+
+
+def _apart(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Without those that overlap an earlier one, or one that starts there too and is longer."""
+    out: list[tuple[int, int]] = []
+    for start, end in sorted(spans, key=lambda x: (x[0], -x[1])):
+        if not out or start >= out[-1][1]:
+            out.append((start, end))
+    return out
+
+
+def _private_keys(raw: bytes, begin: int, end: int) -> Iterator[tuple[int, int]]:
+    yield from (m.span() for m in ARMOUR.finditer(raw, begin, end) if _armoured(m))
+    yield from _base64_keys(raw, begin, end)
 
 
 def scan_slice(column: pa.Array) -> pa.Array:
@@ -140,15 +263,11 @@ def scan_slice(column: pa.Array) -> pa.Array:
     for row in np.unique(np.searchsorted(offsets, marks, side="right") - 1) if len(marks) else ():
         begin, end = int(offsets[row]), int(offsets[row + 1])
         found += [(int(row), m.start(), 0, m.end()) for m in ASSIGN.finditer(raw, begin, end) if m.end(1) - m.start(1) >= LEAST_SECRET]
-    if b"PRIVATE KEY-----" in raw:
-        taken = {(row, start) for row, start, kind, _ in found if kind == 3}
-        for row in range(rows):
-            for m in ARMOUR.finditer(raw, int(offsets[row]), int(offsets[row + 1])):
-                body = from_base64(bytes(b for b in m[2] if not IS_SPACE[b]))
-                if body and is_private_key(body):
-                    inside = {x for x in taken if x[0] == row and m.start() <= x[1] < m.end()}
-                    found = [x for x in found if x[2] != 3 or (x[0], x[1]) not in inside]
-                    found.append((row, m.start(), 3, m.end()))
+    for kind, keys, hints in ((3, _private_keys, (b"PRIVATE KEY-----", OPENSSH, NESTED, DER_BASE64)), (4, _hex_keys, (DER_HEX, DER_COLONS))):
+        # rows that hold how a key may begin
+        at = {m.start() for hint in hints for m in (re.compile(hint) if isinstance(hint, bytes) else hint).finditer(raw)}
+        for row in np.unique(np.searchsorted(offsets, sorted(at), side="right") - 1) if at else ():
+            found += [(int(row), a, kind, b) for a, b in _apart(list(keys(raw, int(offsets[row]), int(offsets[row + 1]))))]
     found.sort()
     ranks = code_point_ranks(data)
     row = np.array([x[0] for x in found], dtype=np.int64)
