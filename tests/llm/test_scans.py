@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import json
+import math
 import re
 import time
 import zlib
@@ -232,6 +233,47 @@ def test_media_hold_texts_without_loss(docs):
     assert jpeg.with_features(jpeg.with_media(docs.limit(0))).collect() == []
 
 
+def brute_pixels(payload):
+    """The thumbnail of a stored payload: the first byte of each unit, signed, above medium grey."""
+    units = len(payload) // 64
+    across = math.ceil(math.sqrt(units))
+    down = -(-units // across)
+    first = [b - 256 if b > 127 else b for b in payload[::64]] + [0] * (across * down - units)
+    return across, down, [min(max(128 + v, 0), 255) for v in first]
+
+
+def test_features_of_all_documents_equal_brute_force(spark, sf):
+    for r in jpeg.op10_jpeg_media(spark, sf).join(table(spark, sf, "documents").select("doc_id", "text"), "doc_id").collect():
+        raw = (r["text"] or "").encode()
+        padded = raw + bytes(-len(raw) % 64 if raw else 64)
+        across, down, pixels = brute_pixels(padded)
+        cells = []
+        for y in range(8):
+            for x in range(8):
+                top, left = min(y * down // 8, down - 1), min(x * across // 8, across - 1)
+                rows, columns = range(top, max((y + 1) * down // 8, top + 1)), range(left, max((x + 1) * across // 8, left + 1))
+                cells.append(sum(pixels[i * across + j] for i in rows for j in columns) / (len(rows) * len(columns)))
+        mean = np.mean(cells)
+        bits = "".join("1" if c > mean else "0" for c in cells)
+        assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"]) == (len(raw), len(padded), hashlib.sha256(padded).hexdigest())
+        size, shown, crc = r["feature"].split(":")
+        assert size == f"{8 * across}x{8 * down}" and crc == f"{zlib.crc32(bytes(pixels)):08x}"
+        assert bin(int(shown, 16) ^ int(bits, 2)).count("1") <= sum(abs(c - mean) < 1e-9 for c in cells)
+
+
+def test_own_files_hold_any_bytes():
+    """Zeros, runs of zeros over sixteen, all sizes, 0xFF bytes in the coded data."""
+    rng = np.random.default_rng(6)
+    payloads = [bytes(64), bytes(range(256)), rng.bytes(64 * 50), bytes([255] * 640), bytes(40) + b"x" + bytes(23), b"\x80" * 128]
+    payloads += [bytes(np.where(rng.random(64 * 9) < 0.04, rng.integers(0, 256, 64 * 9), 0).astype(np.uint8)) for _ in range(20)]
+    files = jpeg.encode(payloads)
+    frames, blocks = jpeg.decode(files)
+    assert [jpeg.payload_of(f, b) for f, b in zip(frames, blocks, strict=True)] == payloads
+    for file, payload in zip(files, payloads, strict=True):  # the plain decoder agrees
+        picture = jpeg.Picture(file)
+        assert jpeg.payload_of(picture, picture.coefficients) == payload
+
+
 def huffman(lengths, symbols):
     """Code words of a table, by symbol."""
     out, code, at = {}, 0, 0

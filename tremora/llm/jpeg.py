@@ -1,12 +1,12 @@
 """Baseline JPEG as a media column: lossless byte payloads, a vectorised scan decoder, DC thumbnails.
 
 A payload of whole 64-byte units becomes a grayscale baseline JPEG whose quantised coefficients carry
-the bytes: in each 8x8 block, coefficient k in zigzag order is 256 + byte k. All are of size
-category 9, every block is its own restart interval, and Huffman coding of coefficients is exact, so
-the file holds the payload without loss. The decoder is not tied to that form: it parses the markers of
-any baseline file with one component and any Huffman tables and decodes all restart intervals of a slice of rows in
-lockstep, one symbol of every interval at a time in numpy. Files with several components, sampling factors or
-scans are decoded one at a time, and their luminance is kept.
+the bytes: in each 8x8 block, coefficient k in zigzag order is byte k as a signed number. DC terms are coded as
+differences within a row of blocks, AC terms as runs of zeros and sizes with a Huffman table made for text, and each row of
+blocks is a restart interval. Huffman coding of coefficients is exact, so the file holds the payload without loss. The
+decoder is not tied to that form: it parses the markers of any baseline file with one component and any Huffman tables and
+decodes all restart intervals of a slice of rows in lockstep, one symbol of every interval at a time in numpy. Files with
+several components, sampling factors or scans are decoded one at a time, and their luminance is kept.
 
 Defined results: a null text counts as empty and yields one unit of zero bytes. A malformed or
 progressive file raises ValueError in ``decode``; ``jpeg_features`` gives such a file, and a null, null
@@ -24,10 +24,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tremora.llm.textscan import array_slices, text_buffers
+from tremora.llm.textscan import U, array_slices, text_buffers
 
 UNIT = 64
-BIAS = 256
+DC_QUANT = 8
 MEDIA_SLICE = 512 << 10
 
 #: Fixed values of the format: coefficient order within a block.
@@ -44,15 +44,47 @@ def _grid(units: int) -> tuple[int, int]:
     return across, -(-units // across)
 
 
+def _huffman_table(lengths: dict[int, int]) -> bytes:
+    """Counts of codes by length and the symbols in order of length, as a file states them."""
+    return bytes(sum(n == bits for n in lengths.values()) for bits in range(1, 17)) + bytes(sorted(lengths, key=lambda x: (lengths[x], x)))
+
+
+def _text_lengths() -> dict[int, int]:
+    """Code lengths of (zeros before << 4 | size): ASCII letters are of size 7, other ASCII signs of size 6, further bytes of size 6 to 8."""
+    common = {0x07: 1, 0x06: 2, 0x08: 4, 0x00: 5, 0x05: 6, 0x17: 7, 0x04: 8}
+    rare = {run << 4 | size: 16 if run else 10 for run in range(16) for size in range(1, 9)} | {0xF0: 12}
+    return rare | common
+
+
+#: Differences of DC terms are of size 9 at most.
+DC_TABLE = _huffman_table({size: 4 for size in range(10)})
+AC_TABLE = _huffman_table(_text_lengths())
+
+
+def _codes(table: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(code, its length) of each symbol."""
+    code, bits = np.zeros(256, dtype=np.int32), np.zeros(256, dtype=np.int32)
+    value, at = 0, 16
+    for length in range(1, 17):
+        for _ in range(table[length - 1]):
+            code[table[at]], bits[table[at]] = value, length
+            value, at = value + 1, at + 1
+        value <<= 1
+    return code, bits
+
+
+#: Bits of the amounts 0 to 511.
+_SIZE = np.array([n.bit_length() for n in range(512)], dtype=np.int32)
+
+
 def _header(units: int, across: int, down: int) -> bytes:
-    one_code = bytes((1, *[0] * 15, 9))  # a single code of one bit, for category 9
     return b"".join((
         b"\xff\xd8",
         _segment(0xFE, b"units=%d" % units),
-        _segment(0xDB, b"\x00" + b"\x01" * 64),
+        _segment(0xDB, bytes((0, DC_QUANT, *[1] * 63))),
         _segment(0xC0, b"\x08" + (down * 8).to_bytes(2, "big") + (across * 8).to_bytes(2, "big") + b"\x01\x01\x11\x00"),
-        _segment(0xC4, b"\x00" + one_code + b"\x10" + one_code),
-        _segment(0xDD, b"\x00\x01"),
+        _segment(0xC4, b"\x00" + DC_TABLE + b"\x10" + AC_TABLE),
+        _segment(0xDD, across.to_bytes(2, "big")),
         _segment(0xDA, b"\x01\x01\x00\x00\x3f\x00"),
     ))
 
@@ -67,32 +99,70 @@ def encode(payloads: list[bytes]) -> list[bytes]:
     for payload, n, total in zip(payloads, sizes, blocks, strict=True):
         raw[at : at + n] = np.frombuffer(payload, dtype=np.uint8).reshape(n, UNIT)
         at += total
-    # 10 bits each: the code 0, then 1 and the byte. Four of them fill five bytes.
-    quads = raw.reshape(-1, 16, 4).astype(np.uint16) | 0x100
-    q0, q1, q2, q3 = (quads[:, :, i] for i in range(4))
-    coded = np.empty((len(raw), 16, 5), dtype=np.uint8)
-    coded[:, :, 0] = q0 >> 2
-    coded[:, :, 1] = (q0 << 6) | (q1 >> 4)
-    coded[:, :, 2] = (q1 << 4) | (q2 >> 6)
-    coded[:, :, 3] = (q2 << 2) | (q3 >> 8)
-    coded[:, :, 4] = q3
-    framed = np.empty((len(raw), 82), dtype=np.uint8)
-    framed[:, :80] = coded.reshape(len(raw), 80)
-    framed[:, 80] = 0xFF
-    first = np.cumsum([0, *blocks])
-    framed[:, 81] = 0xD0 | ((np.arange(len(raw)) - np.repeat(first[:-1], blocks)) % 8)
-    framed[first[1:] - 1, 81] = 0xD9  # the last block of a file ends it
-    stuffed = framed[:, :80] == 0xFF
-    width = 82 + stuffed.sum(axis=1)
-    ends = np.concatenate(([0], np.cumsum(width)))[first]
-    twice = np.ones(framed.shape, dtype=np.uint8)
-    twice[:, :80] += stuffed
-    flat = np.repeat(framed.ravel(), twice.ravel())
-    second = np.cumsum(twice.ravel(), dtype=np.int64)[twice.ravel() == 2] - 1
-    flat[second] = 0
+    # every row of blocks of a file is an interval
+    interval_blocks = np.repeat([a for a, _ in grids], [d for _, d in grids])
+    interval_at = np.cumsum(interval_blocks) - interval_blocks
+    stuffed, begin = _entropy_coded(raw.view(np.int8).astype(np.int32), interval_at, interval_blocks)
+    file_first = np.cumsum([0, *(d for _, d in grids)])
+    number = np.arange(len(interval_at)) - np.repeat(file_first[:-1], np.diff(file_first))
+    marks = np.stack((np.full(len(interval_at), 0xFF), 0xD0 | number % 8), axis=1).astype(np.uint8)
+    marks[file_first[1:] - 1, 1] = 0xD9  # the last interval of a file ends it
+    flat = np.insert(stuffed, np.repeat(begin[1:], 2), marks.ravel())
+    ends = (begin + 2 * np.arange(len(begin)))[file_first]
     return [_header(n, a, d) + flat[s:e].tobytes() for n, (a, d), s, e in zip(sizes, grids, ends[:-1], ends[1:], strict=True)]
 
 
+def _entropy_coded(values: np.ndarray, interval_at: np.ndarray, interval_blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The coded bytes of all blocks, zeros stuffed, and where each interval begins in them (and the last ends)."""
+    dc_code, dc_bits = _codes(DC_TABLE)
+    ac_code, ac_bits = _codes(AC_TABLE)
+    rows = len(values)
+    code, bits = np.zeros((rows, 65), dtype=np.int32), np.zeros((rows, 65), dtype=np.int32)  # a place for each coefficient, and the end of the block
+    step = np.diff(values[:, 0], prepend=np.int32(0))
+    step[interval_at] = values[interval_at, 0]
+    values = values.copy()
+    values[:, 0] = step
+    size = _SIZE[np.abs(values)]
+    amount = values + (values < 0) * ((1 << size) - 1)
+    code[:, 0], bits[:, 0] = dc_code[size[:, 0]] << size[:, 0] | amount[:, 0], dc_bits[size[:, 0]] + size[:, 0]
+    place = np.arange(64, dtype=np.int32)
+    there = values != 0
+    there[:, 0] = True  # runs of zeros begin behind the DC term
+    last = np.maximum.accumulate(np.where(there, place, 0), axis=1)
+    run = np.zeros((rows, 64), dtype=np.int32)
+    run[:, 1:] = place[1:] - last[:, :-1] - 1
+    symbol = (run & 15) << 4 | size
+    ac = slice(1, 64)
+    code[:, ac] = np.where(there, ac_code[symbol] << size | amount, 0)[:, ac]
+    bits[:, ac] = np.where(there, ac_bits[symbol] + size, 0)[:, ac]
+    # the sixteenth zero of a run that goes on to another coefficient
+    full = ~there & (run & 15 == 15) & (place < last[:, -1:])
+    if full.any():
+        code[:, :64][full], bits[:, :64][full] = ac_code[0xF0], ac_bits[0xF0]
+    open_ = last[:, -1] < 63
+    code[open_, 64], bits[open_, 64] = ac_code[0], ac_bits[0]
+
+    per_block = bits.sum(axis=1, dtype=np.int64)
+    total = np.add.reduceat(per_block, interval_at)
+    fill = -total % 8  # ones up to a whole byte
+    begin = np.concatenate(([0], np.cumsum((total + fill) // 8)))
+    shift = np.repeat(8 * begin[:-1] - (np.cumsum(total) - total), interval_blocks)
+    some = np.flatnonzero(bits.ravel())
+    code, bits = code.ravel()[some].astype(np.int64), bits.ravel()[some].astype(np.int64)
+    at = np.cumsum(bits) - bits + shift[some // 65]
+    at, code, bits = np.concatenate((at, 8 * begin[:-1] + total)), np.concatenate((code, (1 << fill) - 1)), np.concatenate((bits, fill))
+    # tokens are of 24 bits at most: each lies in one or two words of 32
+    word, code = at >> 5, code << (64 - bits - (at & 31)).clip(max=63)
+    code = code.view(np.uint64)
+    n = int(begin[-1]) // 4 + 2
+    high = np.bincount(word, weights=(code >> U(32)).astype(np.float64), minlength=n)
+    low = np.bincount(word + 1, weights=(code & U(0xFFFFFFFF)).astype(np.float64), minlength=n)
+    out = (high[:n] + low[:n]).astype(">u4").view(np.uint8)[: int(begin[-1])]
+    full = out == 0xFF
+    stuffed = np.insert(out, np.flatnonzero(full) + 1, 0)
+    return stuffed, begin + np.concatenate(([0], np.cumsum(full)))[begin]
+
+
 class Frame:
     """Markers of one file."""
 
@@ -424,7 +494,7 @@ def thumbnail_hash(pixels: np.ndarray) -> str:
 def payload_of(frame: Frame, blocks: np.ndarray) -> bytes:
     """The payload that ``encode`` stored."""
     units = int(frame.comment.removeprefix(b"units="))
-    return (blocks[:units] - BIAS).astype(np.uint8).tobytes()
+    return blocks[:units].astype(np.int8).tobytes()
 
 
 @F.arrow_udf(T.BinaryType())
@@ -453,11 +523,12 @@ def jpeg_features(column: pa.Array) -> pa.Array:
                 values = (*[None] * (len(rows) - 1), found)
             else:
                 frame, blocks = found
+                small = thumbnail(frame, blocks)
                 stored = (None, None, None)
                 if frame.comment.startswith(b"units=") and frame.comment[6:].isdigit():
                     payload = payload_of(frame, blocks)
                     stored = (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]))
-                values = (*stored, len(data), hashlib.sha256(data).hexdigest(), frame.width, frame.height, f"{frame.width}x{frame.height}:{thumbnail_hash(thumbnail(frame, blocks))}", None)
+                values = (*stored, len(data), hashlib.sha256(data).hexdigest(), frame.width, frame.height, f"{frame.width}x{frame.height}:{thumbnail_hash(small)}:{zlib.crc32(small.tobytes()):08x}", None)
             for name, value in zip(rows, values, strict=True):
                 rows[name].append(value)
     kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string()]
