@@ -137,6 +137,56 @@ def test_ids_equal_those_of_whole_texts(spark, docs, sf):
         assert {r["key"]: r["ids"] and bytes(r["ids"]) for r in token_store.fetch(listed, keys, "doc_id").collect()} == {k: x for k, x in unique.items() if k is not None} | {10**15: None}
 
 
+class Counted:
+    """A file that counts the bytes read from it."""
+
+    def __init__(self, file):
+        self.file, self.bytes = file, 0
+
+    def size(self):
+        return self.file.size()
+
+    def seek(self, at):
+        self.file.seek(at)
+
+    def read(self, n):
+        self.bytes += n
+        return self.file.read(n)
+
+
+def test_lookups_read_as_much_from_shards_of_any_size(spark, tmp_path):
+    most = []
+    for n in (100, 10_000, 200_000):
+        keys = np.unique(np.random.default_rng(n).integers(-(2**62), 2**62, n))
+        writer = token_store.ShardWriter(f"{tmp_path}/{n}", 2)
+        for i, k in enumerate(keys.tolist()):
+            writer.add(k, np.array([i % 60000, 1], "<u2").tobytes())
+        file = Counted(token_store.open_read(writer.close()["path"]))
+        shard = token_store.ShardReader(file)
+        taken = []
+        for i in range(0, n, n // 50):
+            file.bytes = 0
+            assert shard.lookup(int(keys[i])) == i and shard.ids(i, i + 1)[0] == np.array([i % 60000, 1], "<u4").tobytes()
+            taken.append(file.bytes)
+        assert shard.lookup(2**62 + 5) == -1
+        most.append((np.mean(taken), max(taken)))
+    assert all(mean < 200 and top < 800 for mean, top in most)
+
+
+def test_other_tokenizers_get_the_ids_of_whole_texts(spark, docs, sf):
+    """Cased and byte-level: nothing is lowered or split for them."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    model = Tokenizer.from_file(path)
+    assert token_store._encoder(token_store.default_tokenizer()).encode.splits and not token_store._encoder(path).encode.splits
+    texts = [*(r["text"] for r in docs.collect()), *(r["text"] for r in table(spark, sf, "documents").limit(60).collect())]
+    kind = token_store._encoder(path).dtype
+    for text, raw in zip(texts, token_store.encode_texts(pa.array(texts), path, 50256).to_pylist(), strict=True):
+        assert np.frombuffer(raw, kind).tolist() == [*model.encode(text or "", add_special_tokens=False).ids, 50256]
+
+
 def test_perfect_hash_is_minimal():
     keys = np.unique(np.random.default_rng(5).integers(-(2**63), 2**63 - 1, 5000)).view(np.uint64)
     assert sorted(token_store.PerfectHash.of(keys).slots(keys)) == list(range(len(keys)))

@@ -3,8 +3,12 @@
 Texts are encoded by the tokenizers library, dealt into shards by ranges of the key, sorted and
 streamed into files: raw ids first, then the offsets of records, the keys and the index. The index
 hashes keys level by level into bit arrays; a key that is alone at its place in a level is settled
-there, and the rank of its bit is its slot, so n keys fill n slots. Each slot stores a fingerprint of
-its key and the number of its record: one lookup costs a few probes whatever the size of the shard.
+there, and the rank of its bit is its slot, so n keys fill n slots. Each slot stores the number of a
+record and a fingerprint of its key. A lookup reads the footer once, then for each key a block of bits
+at a level or two, a rank, a slot and two offsets by range: a few hundred bytes whatever the size of the shard.
+
+Texts are encoded word by word where the tokenizer allows it, which is tried out on the tokenizer itself (it must
+lower letters, drop white space and end words at signs); with any other tokenizer whole texts are encoded.
 
 Defined results: a null or empty text has the end id alone. Rows that repeat a key are separate
 records in the order of their ids; the index leads to the first. Rows without key come first and are
@@ -30,10 +34,13 @@ from tremora.llm.files import Written, open_read
 from tremora.llm.textscan import LOWER, Words, array_slices, column_of, mix, text_buffers
 from tremora.llm.units import UNIT_SLICE, UnitIds, per_row, string_array
 
-MAGIC = b"TRMIDS01"
+MAGIC = b"TRMIDS02"
 END_ID = 1
 DOCS_PER_SHARD = 1 << 14
 MOST_SHARDS = 20_000
+#: Words of bits for each stored rank, and the bytes at the end of a shard that are read first.
+RANK_WORDS = 8
+FOOTER_GUESS = 1024
 U = np.uint64
 _encoders: dict[str, UnitIds] = {}
 
@@ -47,6 +54,13 @@ def default_tokenizer() -> str:
 # -- encoding ---------------------------------------------------------------------------------------
 
 
+#: ASCII signs that end a run of letters for the tokenizer; no rule of it joins one with a letter before.
+_SIGN = np.zeros(256, dtype=bool)
+_SIGN[[*b"!\"#$%&()*+,-./:;=?@[]^_`{}~"]] = True
+_LETTER = np.zeros(256, dtype=bool)
+_LETTER[97:123] = True
+
+
 class JoinedWords:
     """Encode many words in one call: they stand between marks of a single id that none of them contains."""
 
@@ -59,6 +73,19 @@ class JoinedWords:
         signs = (c for c in map(chr, range(0x2500, 0x2700)) if len(self.ids(f"a {c} a")) == 3 and self.ids(f"a {c} a")[1:2] == self.ids(c))
         self.mark = next(signs, None)
         self.mark_id = self.ids(self.mark)[0] if self.mark else -1
+        self.splits = self._splits()
+
+    def _splits(self) -> bool:
+        """Whether texts may be encoded word by word: letters are lowered, white space leaves nothing, and a sign after a letter begins something new."""
+        alike = [("ABCXYZ Qq", "abcxyz qq"), ("a  b\n\tc ", "a b c"), (" a\x0b\x0cb\r", "a b")]
+        if any(self.ids(x) != self.ids(y) for x, y in alike) or self.ids("one two") != self.ids("one") + self.ids("two"):
+            return False
+        signs = [chr(i) for i in np.flatnonzero(_SIGN)]
+        tries = [(w, f"{c}{after}") for c in signs for w in ("a", "word") for after in ("", "s", "word", "9", c)]
+        return all(self.ids(w + rest) == self.ids(w) + self.ids(rest) for w, rest in tries)
+
+    def whole(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(x.ids, dtype=self.dtype) for x in self.model.encode_batch(texts, add_special_tokens=False)]
 
     def ids(self, text: str) -> list[int]:
         return self.model.encode(text, add_special_tokens=False).ids
@@ -83,20 +110,18 @@ def _encoder(path: str) -> UnitIds:
     return _encoders[path]
 
 
-#: ASCII signs that end a run of letters for the tokenizer; no rule of it joins one with a letter before.
-_SIGN = np.zeros(256, dtype=bool)
-_SIGN[[*b"!\"#$%&()*+,-./:;=?@[]^_`{}~"]] = True
-_LETTER = np.zeros(256, dtype=bool)
-_LETTER[97:123] = True
-
-
 def encode_texts(column: pa.Array, path: str, end_id: int = END_ID) -> pa.Array:
     """Ids of each text and the end id, as little-endian integers of 16 bits, or 32 for large vocabularies.
 
-    Words are the units, as the tokenizer drops white space; signs after ASCII letters begin new ones, and
+    Words are the units where the tokenizer splits texts there; signs after ASCII letters begin new ones, and
     upper-case ASCII letters are lowered as the tokenizer would (neither where special tokens may stand).
     """
     encoder, out = _encoder(path), []
+    if not encoder.encode.splits:
+        texts = column.fill_null("") if column.null_count else column
+        for part in array_slices(texts, UNIT_SLICE // 4):
+            out.append(pa.array([np.append(ids, encoder.dtype.type(end_id)).tobytes() for ids in encoder.encode.whole(part.to_pylist())], pa.binary()))
+        return pa.concat_arrays(out) if out else pa.array([], pa.binary())
     for part in array_slices(column, UNIT_SLICE):
         data, offsets = text_buffers(part)
         words = Words(data, offsets, hashes=False)
@@ -196,8 +221,9 @@ class ShardWriter:
         records, prints = np.zeros(len(distinct), dtype=np.uint32), np.zeros(len(distinct), dtype=np.uint32)
         records[slots], prints[slots] = first + unkeyed, _fingerprints(distinct.view(U))
         footer = {"id_bytes": self.id_bytes, "records": len(self.keys), "unkeyed": unkeyed, "levels": index.sizes, "sections": {}}
-        for name, array in (("offsets", offsets), ("keys", known), ("bits", index.bits), ("record", records), ("print", prints)):
-            footer["sections"][name] = [self.out.at, len(array), array.dtype.str]
+        slots = np.stack((records, prints), axis=1)
+        for name, array in (("offsets", offsets), ("keys", known), ("bits", index.bits), ("ranks", index.rank[:-1:RANK_WORDS]), ("slots", slots)):
+            footer["sections"][name] = [self.out.at, array.size, array.dtype.str]
             self.out.write(array.tobytes())
         body = json.dumps(footer).encode()
         self.out.write(body + struct.pack("<Q", len(body)) + MAGIC)
@@ -205,44 +231,62 @@ class ShardWriter:
 
 
 class ShardReader:
-    """Keyed and sequential access to a shard by range reads."""
+    """Keyed and sequential access to a shard by range reads; opening it reads the footer alone."""
 
     def __init__(self, file):
         self.file, total = file, file.size()
-        tail = self._read(total - 16, 16)
-        if tail[8:] != MAGIC:
+        tail = self._read(max(0, total - FOOTER_GUESS), min(total, FOOTER_GUESS))
+        if tail[-8:] != MAGIC:
             raise ValueError("not a shard")
-        size = struct.unpack("<Q", tail[:8])[0]
-        self.footer = json.loads(self._read(total - 16 - size, size))
-        self.id_bytes = self.footer["id_bytes"]
-        self.offsets, self.keys = self._section("offsets"), self._section("keys")
-        self.records, self.prints = self._section("record"), self._section("print")
-        self.index = PerfectHash(self.footer["levels"], self._section("bits"))
+        size = struct.unpack("<Q", tail[-16:-8])[0]
+        self.footer = json.loads(tail[-16 - size : -16] if size + 16 <= len(tail) else self._read(total - 16 - size, size))
+        self.id_bytes, self.records = self.footer["id_bytes"], self.footer["records"]
+        self.sizes = self.footer["levels"]
+        self.base = np.cumsum([0, *(s // 64 for s in self.sizes)]).tolist()
 
     def _read(self, at: int, n: int) -> bytes:
         self.file.seek(at)
         return self.file.read(n)
 
-    def _section(self, name: str) -> np.ndarray:
+    def section(self, name: str, first: int = 0, last: int | None = None) -> np.ndarray:
+        """Values first to last (excluded) of a section."""
         at, n, kind = self.footer["sections"][name]
         kind = np.dtype(kind)
-        return np.frombuffer(self._read(at, n * kind.itemsize), dtype=kind)
+        last = n if last is None else min(last, n)
+        return np.frombuffer(self._read(at + first * kind.itemsize, max(last - first, 0) * kind.itemsize), dtype=kind)
+
+    def lookup(self, key: int) -> int:
+        """The first record of a key, -1 if the shard doesn't hold it (but for equal fingerprints, one in 2^32)."""
+        own = np.array([key], dtype=np.int64).view(U)
+        for level, size in enumerate(self.sizes):
+            place = int(_place(own, level, size)[0])
+            word = self.base[level] + place // 64
+            block = word // RANK_WORDS
+            bits = self.section("bits", block * RANK_WORDS, word + 1)
+            if not int(bits[-1]) >> place % 64 & 1:
+                continue
+            below = int(bits[-1]) & ((1 << place % 64) - 1)
+            slot = int(self.section("ranks", block, block + 1)[0]) + int(np.bitwise_count(bits[:-1]).sum()) + below.bit_count()
+            record, mark = self.section("slots", 2 * slot, 2 * slot + 2).tolist()
+            return record if mark == int(_fingerprints(own)[0]) else -1
+        return -1
 
     def find(self, keys: np.ndarray) -> np.ndarray:
-        """The first record of each key, -1 for keys that the shard doesn't hold (but for equal fingerprints, one in 2^32)."""
+        """``lookup`` of many keys, with the whole index in memory."""
+        index, slots = PerfectHash(self.sizes, self.section("bits")), self.section("slots").reshape(-1, 2)
         keys = keys.astype(np.int64).view(U)
-        slots = self.index.slots(keys)
-        known = slots >= 0
+        at = index.slots(keys)
         out = np.full(len(keys), -1, dtype=np.int64)
-        hit = np.flatnonzero(known)
-        hit = hit[self.prints[slots[hit]] == _fingerprints(keys[hit])]
-        out[hit] = self.records[slots[hit]]
+        hit = np.flatnonzero(at >= 0)
+        hit = hit[slots[at[hit], 1] == _fingerprints(keys[hit])]
+        out[hit] = slots[at[hit], 0]
         return out
 
-    def ids(self, first: int, last: int) -> bytes:
-        """Ids of the records from first up to last, last excluded, as little-endian 32-bit integers."""
-        raw = self._read(len(MAGIC) + int(self.offsets[first]) * self.id_bytes, int(self.offsets[last] - self.offsets[first]) * self.id_bytes)
-        return np.frombuffer(raw, dtype=f"<u{self.id_bytes}").astype("<u4").tobytes()
+    def ids(self, first: int, last: int) -> tuple[bytes, np.ndarray]:
+        """Ids of the records from first up to last, last excluded, as little-endian 32-bit integers; and where each begins (and the last ends), counted from the shard's first."""
+        offsets = self.section("offsets", first, last + 1)
+        raw = self._read(len(MAGIC) + int(offsets[0]) * self.id_bytes, int(offsets[-1] - offsets[0]) * self.id_bytes)
+        return np.frombuffer(raw, dtype=f"<u{self.id_bytes}").astype("<u4").tobytes(), offsets
 
 
 def write_shards(docs: DataFrame, folder: str, key: str = "doc_id", text: str = "text", tokenizer: str | None = None, end_id: int = END_ID, docs_per_shard: int = DOCS_PER_SHARD) -> DataFrame:
@@ -300,21 +344,22 @@ def read_shards(shards: DataFrame, piece: int = 1 << 20) -> DataFrame:
             for path, base in zip(column_of(batch, "path").to_pylist(), column_of(batch, "start").to_pylist(), strict=True):
                 with open_read(path) as file:
                     shard = ShardReader(file)
-                    unkeyed, n = shard.footer["unkeyed"], shard.footer["records"]
-                    found = shard.find(shard.keys)
+                    unkeyed, n = shard.footer["unkeyed"], shard.records
+                    keys, offsets = shard.section("keys"), shard.section("offsets")  # DOCS_PER_SHARD of them
+                    found = shard.find(keys)
                     again = np.zeros(len(found), dtype=bool)
-                    again[1:] = shard.keys[1:] == shard.keys[:-1]
+                    again[1:] = keys[1:] == keys[:-1]
                     if not np.array_equal(found[~again], np.flatnonzero(~again) + unkeyed):
                         raise ValueError("the index doesn't lead to the records")
                     first = 0
                     while first < n:
-                        last = max(first + 1, int(np.searchsorted(shard.offsets, shard.offsets[first] + piece, side="right")) - 1)
+                        last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + piece, side="right")) - 1)
                         last = min(last, n)
-                        ids = memoryview(shard.ids(first, last))
-                        at = (shard.offsets[first : last + 1] - shard.offsets[first]) * 4
-                        sums = [zlib.crc32(ids[a:b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-                        keys = [None if i < unkeyed else int(shard.keys[i - unkeyed]) for i in range(first, last)]
-                        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(shard.offsets[first:last] + base), pa.array(np.diff(shard.offsets[first : last + 1])), pa.array(sums, pa.int64())], schema=kinds)
+                        ids, own = shard.ids(first, last)
+                        view, at = memoryview(ids), (own - own[0]) * 4
+                        sums = [zlib.crc32(view[a:b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+                        listed = [None if i < unkeyed else int(keys[i - unkeyed]) for i in range(first, last)]
+                        yield pa.RecordBatch.from_arrays([pa.array(listed, pa.int64()), pa.array(own[:-1] + base), pa.array(np.diff(own)), pa.array(sums, pa.int64())], schema=kinds)
                         first = last
 
     return shards.select("path", "start").mapInArrow(read, RECORD)
@@ -339,8 +384,8 @@ def fetch(shards: DataFrame, keys: DataFrame, key: str) -> DataFrame:
             for s, k in zip(shard.tolist(), own.tolist(), strict=True):
                 if opened[0] != s:
                     opened = (s, ShardReader(open_read(paths[s])) if paths else None)
-                i = int(opened[1].find(np.array([k]))[0]) if opened[1] else -1
-                out.append(None if i < 0 else opened[1].ids(i, i + 1))
+                i = opened[1].lookup(k) if opened[1] else -1
+                out.append(None if i < 0 else opened[1].ids(i, i + 1)[0])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["key", "ids"])
 
     routed = keys.select(F.col(key).cast("long").alias("key")).mapInArrow(route, "key long, shard int")
