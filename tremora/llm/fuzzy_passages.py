@@ -35,9 +35,9 @@ from tremora.session import cut, forget
 K, WINDOW = 5, 6
 #: Seeds that a task looks at together before the shuffle, and how many documents of each seed it sends on.
 SEEDS_AT_ONCE = 1 << 19
-PASSED_ON = 16
-#: Words between two anchors of a chain; what agrees beyond is found by extension.
-LARGEST_GAP = 24
+PASSED_ON = 6
+#: Words between two anchors of a chain that need no look. Up to WIDEST_GAP of them, half must agree, or the chain is cut there.
+LARGEST_GAP, WIDEST_GAP = 24, 96
 GAP_COST = 0.1
 LEAST_WORDS = 50
 LEAST_IDENTITY = 0.75
@@ -241,14 +241,14 @@ def chain(anchors: list[Anchor]) -> list[Anchor]:
     return [_ends(own) for own in linked_anchors(anchors)]
 
 
-def _pieces(own: list[Anchor]) -> list[Anchor]:
-    """Ranges of a chain without its long gaps."""
+def _pieces(own: list[Anchor]) -> list[int]:
+    """Ranges of the parts of a chain between its long gaps, one after the other."""
     out, begin = [], 0
     for i in range(1, len(own)):
         if max(own[i][0] - own[i - 1][1], own[i][2] - own[i - 1][3]) > LARGEST_GAP:
-            out.append(_ends(own[begin:i]))
+            out += _ends(own[begin:i])
             begin = i
-    return [*out, _ends(own[begin:])]
+    return [*out, *_ends(own[begin:])]
 
 
 def whole_groups(batches: Iterator[pa.RecordBatch], keys: int, work: Callable[[list[np.ndarray]], Iterator[pa.RecordBatch]]) -> Iterator[pa.RecordBatch]:
@@ -269,7 +269,7 @@ def whole_groups(batches: Iterator[pa.RecordBatch], keys: int, work: Callable[[l
 
 
 def chains(found: DataFrame, least_seeds: int = 2) -> DataFrame:
-    """(doc, home, x0, x1, y0, y1), word ranges of the chains of matches (doc, home, pos, hpos, width). A group is no larger than its document's seeds."""
+    """(doc, home, x0, x1, y0, y1, pieces), word ranges of the chains of matches (doc, home, pos, hpos, width). A group is no larger than its document's seeds."""
 
     def out(own: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         doc, home, diagonal, pos, width = own
@@ -282,21 +282,24 @@ def chains(found: DataFrame, least_seeds: int = 2) -> DataFrame:
         anchors = np.diff(np.append(groups, len(begins)))
         lone = groups[anchors == 1]
         lone = lone[sizes[lone] >= least_seeds]
-        rows = [(doc[begins[lone]], home[begins[lone]], x0[lone], x1[lone], y0[lone], y1[lone])]
+        ranges = (x0[lone], x1[lone], y0[lone], y1[lone])
+        rows = [(doc[begins[lone]], home[begins[lone]], *ranges)]
+        pieces = np.stack(ranges, axis=1).astype(np.int32).tolist()
         found: list[tuple[int, ...]] = []
         for a, n in zip(groups[anchors > 1].tolist(), anchors[anchors > 1].tolist(), strict=True):
             d, h = int(doc[begins[a]]), int(home[begins[a]])
             for own_chain in linked_anchors(list(zip(*(v[a : a + n].tolist() for v in (x0, x1, y0, y1)), strict=True))):
                 if len(own_chain) > 1 or least_seeds < 2 or own_chain[0][1] - own_chain[0][0] > K:
-                    found += [(d, h, *c) for c in _pieces(own_chain)]
+                    found.append((d, h, *_ends(own_chain)))
+                    pieces.append(_pieces(own_chain))
         if found:
             rows.append(tuple(np.array(c) for c in zip(*found, strict=True)))
         columns = [np.concatenate(c) for c in zip(*rows, strict=True)]
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if i < 2 else pa.int32()) for i, c in enumerate(columns)], names=["doc", "home", "x0", "x1", "y0", "y1"])
+        yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64() if i < 2 else pa.int32()) for i, c in enumerate(columns)), pa.array(pieces, pa.list_(pa.int32()))], names=["doc", "home", "x0", "x1", "y0", "y1", "pieces"])
 
     ordered = found.select("doc", "home", (F.col("pos") - F.col("hpos")).cast("long").alias("diagonal"), F.col("pos").cast("long"), F.col("width").cast("long"))
     ordered = ordered.repartition("doc", "home").sortWithinPartitions("doc", "home", "diagonal", "pos")
-    return ordered.mapInArrow(lambda batches: whole_groups(batches, 2, out), "doc long, home long, x0 int, x1 int, y0 int, y1 int")
+    return ordered.mapInArrow(lambda batches: whole_groups(batches, 2, out), "doc long, home long, x0 int, x1 int, y0 int, y1 int, pieces array<int>")
 
 
 #: Words of the first text whose positions are held as bits at once.
@@ -385,27 +388,55 @@ def agreeing(a: np.ndarray, b: np.ndarray) -> int:
     return head + tail + common_words(a[: len(a) - tail].tolist(), b[: len(b) - tail].tolist())
 
 
-ALIGNED = T.StructType([T.StructField(n, T.IntegerType()) for n in ("start", "end", "home_start", "home_end", "n_matched")] + [T.StructField("goes_on", T.BooleanType())])
+_RANGE = [T.StructField(n, T.IntegerType()) for n in ("start", "end", "home_start", "home_end", "n_matched")]
+ALIGNED = T.StructType([T.StructField("found", T.ArrayType(T.StructType(_RANGE))), T.StructField("goes_on", T.BooleanType())])
+
+
+def _joined(a: np.ndarray, b: np.ndarray, pieces: list[list[int]]) -> list[list[int]]:
+    """Pieces of a chain, those put together whose gap agrees enough."""
+    out = [list(pieces[0])]
+    for x0, x1, y0, y1 in pieces[1:]:
+        last = out[-1]
+        gap = max(x0 - last[1], y0 - last[3])
+        if gap <= LARGEST_GAP or (gap <= WIDEST_GAP and 2 * agreeing(a[last[1] : x0], b[last[3] : y0]) >= gap):
+            last[1], last[3] = x1, y1
+        else:
+            out.append([x0, x1, y0, y1])
+    return out
+
+
+def align_one(a: np.ndarray, b: np.ndarray, pieces: list[list[int]], more: tuple[bool, bool, bool, bool]) -> tuple[list[list[int]], bool]:
+    """Passages of two runs of words around a chain: (start, end, start, end, words that agree). ``more`` tells where the texts go on: before and after each."""
+    parts, found, goes_on = _joined(a, b, pieces), [], False
+    for i, (x0, x1, y0, y1) in enumerate(parts):
+        first, last = i == 0, i == len(parts) - 1
+        low_a, low_b = (0, 0) if first else (parts[i - 1][1], parts[i - 1][3])
+        high_a, high_b = (len(a), len(b)) if last else (parts[i + 1][0], parts[i + 1][2])
+        la, lb, on_left = _extend(a[low_a:x0][::-1], b[low_b:y0][::-1], first and more[0], first and more[1])
+        ra, rb, on_right = _extend(a[x1:high_a], b[y1:high_b], last and more[2], last and more[3])
+        goes_on |= on_left or on_right
+        x0, x1, y0, y1 = x0 - la, x1 + ra, y0 - lb, y1 + rb
+        found.append([x0, x1, y0, y1, agreeing(a[x0:x1], b[y0:y1])])
+    return found, goes_on
 
 
 @F.arrow_udf(ALIGNED)
-def align(x0: pa.Array, x1: pa.Array, y0: pa.Array, y1: pa.Array, left: pa.Array, right: pa.Array, flank: pa.Array) -> pa.Array:
-    """Extend each chain within the words around it and count the words that agree. ``left`` and ``right`` begin ``flank`` words before the chain, or with the text.
+def align(x0: pa.Array, x1: pa.Array, y0: pa.Array, y1: pa.Array, pieces: pa.Array, left: pa.Array, right: pa.Array, flank: pa.Array) -> pa.Array:
+    """Align each chain within the words around it. ``left`` and ``right`` begin ``flank`` words before the chain, or with the text.
 
     ``goes_on`` tells that the words around the chain were used up and the texts may agree beyond them.
     """
-    out = []
-    for a0, a1, b0, b1, wa, wb, wide in zip(*(c.to_pylist() for c in (x0, x1, y0, y1, left, right, flank)), strict=True):
+    found, goes_on = [], []
+    for a0, a1, b0, b1, own, wa, wb, wide in zip(*(c.to_pylist() for c in (x0, x1, y0, y1, pieces, left, right, flank)), strict=True):
         a, b = np.frombuffer(wa, dtype="<u4"), np.frombuffer(wb, dtype="<u4")
-        fa, fb = min(a0, wide), min(b0, wide)
-        ea, eb = fa + a1 - a0, fb + b1 - b0
-        la, lb, more_left = _extend(a[:fa][::-1], b[:fb][::-1], a0 > fa, b0 > fb)
-        ra, rb, more_right = _extend(a[ea:], b[eb:], len(a) - ea == wide, len(b) - eb == wide)
-        goes_on = more_left or more_right
-        inner = agreeing(a[fa - la : ea + ra], b[fb - lb : eb + rb])
-        out.append((a0 - la, a1 + ra, b0 - lb, b1 + rb, inner, goes_on))
-    columns = list(zip(*out, strict=True)) or [[]] * 6
-    return pa.StructArray.from_arrays([pa.array(c, f) for c, f in zip(columns, [pa.int32()] * 5 + [pa.bool_()], strict=True)], names=ALIGNED.names)
+        at_a, at_b = max(a0 - wide, 0), max(b0 - wide, 0)
+        more = (at_a > 0, at_b > 0, at_a + len(a) == a1 + wide, at_b + len(b) == b1 + wide)
+        local = [[own[i] - at_a, own[i + 1] - at_a, own[i + 2] - at_b, own[i + 3] - at_b] for i in range(0, len(own), 4)]
+        parts, on = align_one(a, b, local, more)
+        found.append([dict(zip(("start", "end", "home_start", "home_end", "n_matched"), (s + at_a, e + at_a, t + at_b, f + at_b, n), strict=True)) for s, e, t, f, n in parts])
+        goes_on.append(on)
+    kind = pa.list_(pa.struct([(f.name, pa.int32()) for f in _RANGE]))
+    return pa.StructArray.from_arrays([pa.array(found, kind), pa.array(goes_on, pa.bool_())], names=ALIGNED.names)
 
 
 def word_codes(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -436,8 +467,8 @@ def aligned(linked: DataFrame, coded: DataFrame, least_words: int, least_identit
         piece = lambda a, b: F.substring(F.col("words"), begin(a) * 4 + 1, (F.col(b) + flank - begin(a)) * 4)  # noqa: B023, E731
         left = linked.join(coded.withColumnRenamed("k", "doc"), "doc").select(*names, piece("x0", "x1").alias("left"))
         both = left.join(coded.withColumnRenamed("k", "home"), "home").select(*names, "left", piece("y0", "y1").alias("right"))
-        rows = cut(both.select(*names, align("x0", "x1", "y0", "y1", "left", "right", F.lit(flank)).alias("a")), "aligned")
-        parts.append(rows.where("not a.goes_on"))
+        rows = cut(both.select(*names, align("x0", "x1", "y0", "y1", "pieces", "left", "right", F.lit(flank)).alias("a")), "aligned")
+        parts.append(rows.where("not a.goes_on").select("doc", "home", F.inline("a.found")))
         linked = rows.where("a.goes_on").select(*names)
         if linked.isEmpty():
             break
@@ -445,9 +476,8 @@ def aligned(linked: DataFrame, coded: DataFrame, least_words: int, least_identit
     rows = parts[0]
     for part in parts[1:]:
         rows = rows.union(part)
-    identity = F.col("a.n_matched") / F.greatest(F.col("a.end") - F.col("a.start"), F.col("a.home_end") - F.col("a.home_start"))
-    rows = rows.withColumn("identity", F.round(identity, 6)).where((F.col("a.n_matched") >= least_words) & (F.col("identity") >= least_identity))
-    return rows.select("doc", "a.start", "a.end", "home", "a.home_start", "a.home_end", "a.n_matched", "identity")
+    identity = F.col("n_matched") / F.greatest(F.col("end") - F.col("start"), F.col("home_end") - F.col("home_start"))
+    return rows.withColumn("identity", F.round(identity, 6)).where((F.col("n_matched") >= least_words) & (F.col("identity") >= least_identity)).select(*PASSAGE)
 
 
 def maximal(passages: DataFrame) -> DataFrame:
@@ -456,10 +486,10 @@ def maximal(passages: DataFrame) -> DataFrame:
     return passages.withColumn("reach", F.max("end").over(before)).where(F.col("reach").isNull() | (F.col("reach") < F.col("end"))).drop("reach")
 
 
-def left_over(found: DataFrame, passages: DataFrame) -> DataFrame:
+def left_over(found: DataFrame, linked: DataFrame, passages: DataFrame) -> DataFrame:
     """(doc, home, pos, hpos, width): runs of neighbouring shared seeds that no passage covers, each with the first document that has the run.
 
-    Only stretches whose seeds have several homes are looked at: the others have been aligned with their one home.
+    Only runs whose seeds have several homes are listed, and only homes that the document has not been aligned with there.
     """
     held = [found.select(F.col(d).alias("doc"), F.lit(1).alias("kind"), F.col(p).alias("a"), F.col("seed").alias("b"), F.col("home").alias("c")) for d, p in (("doc", "pos"), ("home", "hpos"))]
     done = [passages.select(F.col(d).alias("doc"), F.lit(0).alias("kind"), F.col(a).alias("a"), F.col(b).cast("long").alias("b"), F.lit(0).cast("long").alias("c")) for d, a, b in (("doc", "start", "end"), ("home", "home_start", "home_end"))]
@@ -471,13 +501,13 @@ def left_over(found: DataFrame, passages: DataFrame) -> DataFrame:
         # stretches of seeds that stand close to each other; passages come first in each document
         begins = np.union1d(_starts(doc, kind), np.flatnonzero(np.append(0, a[1:] - a[:-1]) > LARGEST_GAP))
         ends = np.append(begins[1:], len(doc)) - 1
-        mixed = np.minimum.reduceat(home, begins) < np.maximum.reduceat(home, begins) if len(begins) else np.zeros(0, dtype=bool)
-        long = np.flatnonzero((kind[begins] == 1) & mixed & (a[ends] + K - a[begins] >= LEAST_STRETCH))
+        several = np.minimum.reduceat(home, begins) < np.maximum.reduceat(home, begins) if len(begins) else np.zeros(0, dtype=bool)
+        long = np.flatnonzero((kind[begins] == 1) & several & (a[ends] + K - a[begins] >= LEAST_STRETCH))
         heads = _starts(doc)
         head = heads[np.searchsorted(heads, begins[long], side="right") - 1]
         for s, e, h in zip(begins[long].tolist(), ends[long].tolist(), head.tolist(), strict=True):
             pos, at = np.unique(a[s : e + 1], return_index=True)
-            seed = b[s : e + 1][at].view(U)
+            seed, of = b[s : e + 1][at].view(U), home[s : e + 1][at]
             first = h + int(np.searchsorted(kind[h:s], 1))
             start, reach = a[h:first], np.maximum.accumulate(b[h:first]) if first > h else b[:0]
             for m in RUNS:
@@ -488,7 +518,8 @@ def left_over(found: DataFrame, passages: DataFrame) -> DataFrame:
                 near = np.searchsorted(start, pos[:n], side="right") - 1
                 inside = (near >= 0) & (reach[near] >= upto) if len(start) else np.zeros(n, dtype=bool)
                 tight = np.maximum.reduce([pos[k : n + k] - pos[k - 1 : n + k - 1] for k in range(1, m)]) <= 2 * WINDOW
-                keep = np.flatnonzero(~inside & tight)
+                mixed = np.logical_or.reduce([of[k : n + k] != of[:n] for k in range(1, m)])
+                keep = np.flatnonzero(~inside & tight & mixed)
                 keys.append(shingle_hashes(seed, m)[keep] ^ U(m))
                 docs.append(np.full(len(keep), doc[s]))
                 places.append(pos[keep])
@@ -500,7 +531,9 @@ def left_over(found: DataFrame, passages: DataFrame) -> DataFrame:
     sorted_rows = rows.select("doc", "kind", F.col("a").cast("long"), "b", "c").repartition("doc").sortWithinPartitions("doc", "kind", "a")
     listed = cut(sorted_rows.mapInArrow(lambda batches: whole_groups(batches, 1, runs), "run long, doc long, pos int, width int"), "runs")
     homes = listed.groupBy("run").agg(F.min("doc").alias("home"), F.min_by("pos", F.struct("doc", "pos")).alias("hpos"), F.max("doc").alias("last")).where("home <> last")
-    return listed.join(cut(homes.drop("last"), "homes"), "run").where("doc <> home").select("doc", "home", "pos", "hpos", "width").distinct()
+    again = listed.join(cut(homes.drop("last"), "homes"), "run").where("doc <> home").select("doc", "home", "pos", "hpos", "width").distinct()
+    tried = linked.select(F.col("doc").alias("d"), F.col("home").alias("h"), "x0", "x1")
+    return again.join(tried, (F.col("doc") == F.col("d")) & (F.col("home") == F.col("h")) & (F.col("pos") + FLANK >= F.col("x0")) & (F.col("pos") < F.col("x1") + FLANK), "left_anti")
 
 
 def fuzzy_passages(docs: DataFrame, key: str = "doc_id", text: str = "text", least_words: int = LEAST_WORDS, least_identity: float = LEAST_IDENTITY) -> DataFrame:
@@ -521,7 +554,7 @@ def fuzzy_passages(docs: DataFrame, key: str = "doc_id", text: str = "text", lea
 
     coded = words_of(linked)
     first = cut(aligned(linked, coded, least_words, least_identity), "passages")
-    again = cut(chains(left_over(other, first), 1), "chains-again")
+    again = cut(chains(left_over(other, linked, first), 1), "chains-again")
     forget(coded)
     coded = words_of(again)
     second = cut(aligned(again, coded, least_words, least_identity), "passages-again")
