@@ -9,6 +9,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -85,51 +86,79 @@ def gear_mesh(rpm: Column, teeth: Column, rate: Column) -> Column:
 
 
 def _each(column: pa.Array, f) -> pa.Array:
-    """Apply f to the rows of a list array; null for rows that are null or empty."""
-    out = []
-    for i in range(len(column)):
-        row = column[i].values if column[i].is_valid else None
-        out.append(None if row is None or not len(row) else f(row.to_numpy(zero_copy_only=False).astype(float)))
+    """Apply f to the rows of a list array, all rows of one length as one matrix; null for rows that are null or empty."""
+    sizes = pc.list_value_length(column).fill_null(0).to_numpy(zero_copy_only=False)
+    out: list[np.ndarray | None] = [None] * len(column)
+    for n in np.unique(sizes[sizes > 0]):
+        at = np.flatnonzero(sizes == n)
+        matrix = column.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(at), n)
+        for i, row in zip(at.tolist(), f(matrix), strict=True):
+            out[i] = row
     return pa.array(out, pa.list_(pa.float64()))
 
 
 def _spectrum(x: np.ndarray) -> np.ndarray:
-    amplitudes = np.abs(np.fft.rfft(x)) / len(x)
-    amplitudes[1 : (len(x) + 1) // 2] *= 2
+    n = x.shape[1]
+    amplitudes = np.abs(np.fft.rfft(x, axis=1)) / n
+    amplitudes[:, 1 : (n + 1) // 2] *= 2
     return amplitudes
 
 
 @F.arrow_udf(T.ArrayType(T.DoubleType()))
 def rfft(column: pa.Array) -> pa.Array:
-    """Amplitude of each bin from 0 to n/2."""
+    """Amplitude of each bin from 0 to n/2; rows of any length, each a power of two or not."""
     return _each(column, _spectrum)
 
 
+def band_taps(low: float, high: float, rate: float, taps: int = 31) -> np.ndarray:
+    """A windowed sinc band-pass. Bands above half the sampling rate are refused."""
+    if not 0 <= low < high <= rate / 2:
+        raise ValueError(f"a band of {low} to {high} Hz needs a sampling rate of {2 * high} at least, not {rate}")
+    at = np.arange(taps) - (taps - 1) / 2
+    return (2 * high / rate * np.sinc(2 * high / rate * at) - 2 * low / rate * np.sinc(2 * low / rate * at)) * np.hamming(taps)
+
+
+def filtered(x: np.ndarray, taps: np.ndarray) -> np.ndarray:
+    """Rows convolved with centred taps, same length."""
+    half = (len(taps) - 1) // 2
+    wide = np.pad(x, ((0, 0), (len(taps) - 1 - half, half)))
+    n = x.shape[1]
+    return sum(h * wide[:, len(taps) - 1 - j : len(taps) - 1 - j + n] for j, h in enumerate(taps))
+
+
 def band_filter(low: float, high: float, rate: float, taps: int = 31):
     """FIR band-pass of windowed sinc taps, centred, same length."""
-    at = np.arange(taps) - (taps - 1) / 2
-    h = (2 * high / rate * np.sinc(2 * high / rate * at) - 2 * low / rate * np.sinc(2 * low / rate * at)) * np.hamming(taps)
+    h = band_taps(low, high, rate, taps)
+
+    @F.arrow_udf(T.ArrayType(T.DoubleType()))
+    def run(column: pa.Array) -> pa.Array:
+        return _each(column, lambda x: filtered(x, h))
+
+    return run
+
+
+def decimated(factor: int, taps: int = 63):
+    """Every factor-th sample behind an anti-alias low-pass at half the new rate."""
+    h = band_taps(0.0, 0.5 / factor, 1.0, taps)
 
     @F.arrow_udf(T.ArrayType(T.DoubleType()))
     def run(column: pa.Array) -> pa.Array:
-        return _each(column, lambda x: np.convolve(x, h, "same") if len(x) >= taps else np.convolve(x, h, "full")[(taps - 1) // 2 :][: len(x)])
+        return _each(column, lambda x: filtered(x, h / h.sum())[:, ::factor])
 
     return run
 
 
 def envelope(low: float, high: float, rate: float, smooth: int = 5):
     """Band-pass, rectify, smooth, then the spectrum without its mean."""
-    at = np.arange(31) - 15
-    h = (2 * high / rate * np.sinc(2 * high / rate * at) - 2 * low / rate * np.sinc(2 * low / rate * at)) * np.hamming(31)
+    h = band_taps(low, high, rate)
 
-    def one(x: np.ndarray) -> np.ndarray:
-        band = np.convolve(x, h, "full")[15:][: len(x)]
-        level = np.convolve(np.abs(band), np.ones(smooth) / smooth, "full")[smooth // 2 :][: len(x)]
-        return _spectrum(level - level.mean())
+    def all_rows(x: np.ndarray) -> np.ndarray:
+        level = filtered(np.abs(filtered(x, h)), np.ones(smooth) / smooth)
+        return _spectrum(level - level.mean(axis=1, keepdims=True))
 
     @F.arrow_udf(T.ArrayType(T.DoubleType()))
     def run(column: pa.Array) -> pa.Array:
-        return _each(column, one)
+        return _each(column, all_rows)
 
     return run
 

@@ -52,11 +52,22 @@ def hysteresis(rows: DataFrame, device: list[str], order: list[str], value: str,
     return rows.withColumn("alarm", F.coalesce(F.last(crossing, ignorenulls=True).over(w), F.lit(0)))
 
 
-def cusum(rows: DataFrame, device: list[str], order: list[str], x: Column, slack: float) -> DataFrame:
-    """Add ``cusum``: max(0, previous + x - slack), from running sums and their running minimum."""
-    w = Window.partitionBy(*device).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    summed = rows.withColumn("__sum", F.sum(x - F.lit(slack)).over(w))
-    return summed.withColumn("cusum", F.col("__sum") - F.least(F.lit(0.0), F.min("__sum").over(w))).drop("__sum")
+def cusum(rows: DataFrame, device: list[str], block: Column, order: list[str], x: Column, slack: float) -> DataFrame:
+    """Add ``cusum``: max(0, previous + x - slack), from running sums and their running minimum.
+
+    ``block`` cuts a device's time into parts that are summed on their own; each part is then moved by the sum of the
+    parts before it and compared with their minimum, so no task holds a device's whole history.
+    """
+    keys = [*device, "__block"]
+    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    summed = rows.withColumn("__block", block).withColumn("__sum", F.sum(x - F.lit(slack)).over(w))
+    summed = summed.withColumn("__least", F.min("__sum").over(w))
+    parts = rows.withColumn("__block", block).withColumn("__sum", F.sum(x - F.lit(slack)).over(w)).groupBy(*keys).agg(F.max_by("__sum", F.struct(*order)).alias("__total"), F.min("__sum").alias("__low"))
+    before = Window.partitionBy(*device).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.withColumn("__base", F.coalesce(F.sum("__total").over(before), F.lit(0.0)))
+    parts = parts.withColumn("__floor", F.coalesce(F.min(F.col("__base") + F.col("__low")).over(before), F.lit(0.0))).select(*keys, "__base", "__floor")
+    level = F.least(F.lit(0.0), F.col("__floor"), F.col("__base") + F.col("__least"))
+    return summed.join(parts, keys).withColumn("cusum", F.col("__base") + F.col("__sum") - level).drop("__sum", "__least", "__base", "__floor", "__block")
 
 
 def islands(rows: DataFrame, device: list[str], order: list[str], flag: Column) -> DataFrame:

@@ -32,3 +32,18 @@ def range_to_bin(points: DataFrame, bins: DataFrame, at: str, low: str, high: st
     """Points within [low, high): ranges are cut into cells of ``width`` and joined on the cell."""
     cells = bins.withColumn("__cell", F.explode(F.sequence(F.floor(F.col(low) / width), F.floor(F.col(high) / width))))
     return points.withColumn("__cell", F.floor(F.col(at) / width)).join(cells, "__cell").where((F.col(at) >= F.col(low)) & (F.col(at) < F.col(high))).drop("__cell")
+
+
+def trailing(rows: DataFrame, by: list[str], key: str, at: str, values: dict[str, Column], edges: dict[str, int]) -> DataFrame:
+    """Sums of ``values`` over the rows of a group that lie before ``at`` + an edge, for each row and edge: (*by, key, name_edge).
+
+    A trailing window is the difference of two edges. Rows and their edges are sorted together once and summed up in one pass,
+    so the cost doesn't depend on how many rows a window holds. ``values`` should be exact (long or decimal).
+    """
+    names = list(values)
+    own = rows.select(*by, F.col(at).alias("__at"), F.lit(None).cast("string").alias("__edge"), F.lit(None).cast(rows.schema[key].dataType).alias(key), *(c.alias(n) for n, c in values.items()))
+    edge = F.explode(F.array(*(F.struct(F.lit(n).alias("edge"), (F.col(at) + d).alias("at")) for n, d in edges.items()))).alias("e")
+    asked = rows.select(*by, key, edge).select(*by, F.col("e.at").alias("__at"), F.col("e.edge").alias("__edge"), key)
+    before = Window.partitionBy(*by).orderBy("__at").rangeBetween(Window.unboundedPreceding, -1)
+    summed = own.unionByName(asked, allowMissingColumns=True).select(*by, key, "__edge", *(F.coalesce(F.sum(n).over(before), F.lit(0)).alias(n) for n in names)).where("__edge is not null")
+    return summed.groupBy(*by, key).agg(*(F.max(F.when(F.col("__edge") == e, F.col(n))).alias(f"{n}_{e}") for e in edges for n in names))

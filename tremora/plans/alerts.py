@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tremora.functions.features import tidy
 from tremora.operators import alerts as A
+from tremora.operators.ranks import numbered
 from tremora.plans.registry import events, query, stamp
 from tremora.session import table
 
@@ -106,7 +107,7 @@ m AS (SELECT *, c - least(0, min(c) OVER (PARTITION BY event_type ORDER BY ts, e
 SELECT event_type AS channel, strftime(ts, '%Y-%m-%d') AS day, round(max(x), 4) + 0.0 AS top FROM m GROUP BY ALL""",
 )
 def cusum(spark, sf_dir):
-    rows = A.cusum(events(spark, sf_dir), ["event_type"], ["ts", "event_id"], F.col("value"), 105.0)
+    rows = A.cusum(events(spark, sf_dir), ["event_type"], F.date_trunc("day", "ts"), ["ts", "event_id"], F.col("value"), 105.0)
     return rows.groupBy(F.col("event_type").alias("channel"), F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(tidy(F.max("cusum"), 4).alias("top"))
 
 
@@ -157,7 +158,7 @@ def rate_limit_1m(spark, sf_dir):
     """SELECT strftime(ts, '%Y-%m-%d') AS day, event_id, CAST(row_number() OVER (PARTITION BY strftime(ts, '%Y-%m-%d') ORDER BY CASE event_type WHEN 'error' THEN 0 WHEN 'signup' THEN 1 ELSE 2 END, ts, event_id) AS BIGINT) AS place FROM events""",
 )
 def priority_queue(spark, sf_dir):
-    """Order of sending: alerts, then status, then telemetry, by day."""
+    """Order of sending: alerts, then status, then telemetry, by day. Each level and hour is numbered on its own."""
     level = F.when(F.col("event_type") == "error", 0).when(F.col("event_type") == "signup", 1).otherwise(2)
-    day = F.date_format("ts", "yyyy-MM-dd")
-    return events(spark, sf_dir).select(day.alias("day"), "event_id", F.row_number().over(Window.partitionBy(day).orderBy(level, "ts", "event_id")).cast("long").alias("place"))
+    rows = events(spark, sf_dir).select("event_id", "ts", "event_type", F.date_format("ts", "yyyy-MM-dd").alias("day"))
+    return numbered(rows, ["day"], [level, F.hour("ts")], ["ts", "event_id"], "place").select("day", "event_id", "place")

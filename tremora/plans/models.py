@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from tremora.functions import dsp
 from tremora.functions.features import tidy
+from tremora.operators.ranks import running
 from tremora.plans.registry import events, query
 from tremora.session import table
 
@@ -37,11 +38,10 @@ def confusion_f1(spark, sf_dir):
 s AS (SELECT sum(r) FILTER (WHERE quality = 1) AS s, count(*) FILTER (WHERE quality = 1) AS p, count(*) FILTER (WHERE quality = 0) AS n FROM r) SELECT round((s - p * (p + 1) / 2.0) / nullif(p * n, 0), 6) AS auc FROM s""",
 )
 def auc_rank(spark, sf_dir):
-    """Area under the curve by rank sums: scores are counted first, so the running count is over distinct scores alone."""
+    """Area under the curve by rank sums: scores are counted first, and ranked in cells."""
     rows = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "n_chars"), "doc_id")
     levels = rows.groupBy("n_chars").agg(F.count_if(F.col("quality") == 1).alias("p"), F.count_if(F.col("quality") == 0).alias("n"))
-    below = F.coalesce(F.sum("n").over(Window.orderBy("n_chars").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    won = levels.select("p", "n", (F.col("p") * (below + F.col("n") / 2.0)).alias("w")).agg(F.sum("w").alias("w"), F.sum("p").alias("p"), F.sum("n").alias("n"))
+    won = running(levels.withColumn("all", F.lit(0)), ["all"], "n_chars", "n").select("p", "n", (F.col("p") * (F.col("__before") + F.col("n") / 2.0)).alias("w")).agg(F.sum("w").alias("w"), F.sum("p").alias("p"), F.sum("n").alias("n"))
     return won.select(F.round(F.col("w") / F.nullif(F.col("p") * F.col("n"), F.lit(0)), 6).alias("auc"))
 
 
@@ -54,22 +54,26 @@ def fpr_30d(spark, sf_dir):
     return events(spark, sf_dir).groupBy(F.col("user_id").alias("asset_id"), w.alias("w")).agg(F.round(rate, 6).alias("fpr")).select("asset_id", F.date_format("w.start", "yyyy-MM-dd").alias("period"), "fpr")
 
 
-@query("canary_bucket", "SELECT user_id % 10 = 0 AS canary, count(DISTINCT user_id) AS devices, count(*) AS n, round(avg(value), 6) AS mean FROM events GROUP BY 1")
+def _canary():
+    return F.conv(F.substring(F.md5(F.col("user_id").cast("string")), 1, 8), 16, 10).cast("long") % 10 == 0
+
+
+@query("canary_bucket", "SELECT CAST('0x' || substr(md5(CAST(user_id AS VARCHAR)), 1, 8) AS BIGINT) % 10 = 0 AS canary, count(DISTINCT user_id) AS devices, count(*) AS n, round(avg(value), 6) AS mean FROM events GROUP BY 1")
 def canary_bucket(spark, sf_dir):
-    """A tenth of the devices on the new version."""
-    return events(spark, sf_dir).groupBy((F.col("user_id") % 10 == 0).alias("canary")).agg(F.countDistinct("user_id").alias("devices"), F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean"))
+    """A tenth of the devices on the new version, by a hash of their names: neighbouring numbers don't share a fate."""
+    return events(spark, sf_dir).groupBy(_canary().alias("canary")).agg(F.countDistinct("user_id").alias("devices"), F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean"))
 
 
 @query(
     "canary_monitor_48h",
-    """SELECT user_id % 10 = 0 AS canary, count(*) FILTER (WHERE event_type = 'error') AS alarms, round(count(*) FILTER (WHERE event_type = 'error' AND value < 50) * 1.0 / nullif(count(*) FILTER (WHERE event_type = 'error'), 0), 6) AS fpr
+    """SELECT CAST('0x' || substr(md5(CAST(user_id AS VARCHAR)), 1, 8) AS BIGINT) % 10 = 0 AS canary, count(*) FILTER (WHERE event_type = 'error') AS alarms, round(count(*) FILTER (WHERE event_type = 'error' AND value < 50) * 1.0 / nullif(count(*) FILTER (WHERE event_type = 'error'), 0), 6) AS fpr
 FROM events WHERE ts >= TIMESTAMP '2024-01-10' AND ts < TIMESTAMP '2024-01-12' GROUP BY 1""",
 )
 def canary_monitor_48h(spark, sf_dir):
     """False alarms of both versions within 48 hours of the rollout."""
     rows = table(spark, sf_dir, "events").where("ts >= timestamp_ntz'2024-01-10' and ts < timestamp_ntz'2024-01-12'")
     alarm = F.col("event_type") == "error"
-    return rows.groupBy((F.col("user_id") % 10 == 0).alias("canary")).agg(F.count_if(alarm).alias("alarms"), F.round(F.count_if(alarm & (F.col("value") < 50)) / F.nullif(F.count_if(alarm), F.lit(0)), 6).alias("fpr"))
+    return rows.groupBy(_canary().alias("canary")).agg(F.count_if(alarm).alias("alarms"), F.round(F.count_if(alarm & (F.col("value") < 50)) / F.nullif(F.count_if(alarm), F.lit(0)), 6).alias("fpr"))
 
 
 @query(
@@ -192,7 +196,7 @@ def confidence_gate(spark, sf_dir):
 @query("pca_residual")
 def pca_residual(spark, sf_dir):
     """Reconstruction residual of each waveform outside the first components: a linear stand-in for an autoencoder's score."""
-    rows = table(spark, sf_dir, "embeddings").select("vec_id", dsp.doubles(F.col("embedding")).alias("x"))
+    rows = table(spark, sf_dir, "embeddings").where("embedding is not null").select("vec_id", dsp.doubles(F.col("embedding")).alias("x"))
 
     def partial(batches):
         total, n = None, 0
@@ -207,6 +211,8 @@ def pca_residual(spark, sf_dir):
     # second moments: a fixed number of sums, whatever the number of rows
     parts = rows.select("x").mapInArrow(partial, "i long, v array<double>")
     sums = parts.select("i", F.posexplode("v").alias("j", "v")).groupBy("i", "j").agg(F.sum("v").alias("v")).toPandas()
+    if sums.empty:
+        return rows.select("vec_id", F.lit(None).cast("double").alias("residual")).limit(0)
     size = int(sums["i"].max()) + 1
     gram = np.zeros((size, size))
     gram[sums["i"], sums["j"]] = sums["v"]

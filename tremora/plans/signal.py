@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tremora.functions import dsp, power
 from tremora.functions.features import tidy
+from tremora.operators.ranks import quantile
 from tremora.plans.registry import events, query
 from tremora.session import table
 
@@ -67,11 +68,11 @@ _HARMONICS = " + ".join(_power(str(h)) for h in range(2, 32))
 
 @query("thd_50", f"WITH {_WAVES} SELECT vec_id, round(sqrt({_HARMONICS}) / nullif(sqrt({_power('1')}), 0), 4) AS thd FROM x")
 def thd_50(spark, sf_dir):
-    """Total harmonic distortion over the harmonics below half the samples, 50 at most."""
-    x = F.col("x")
-    bins = F.sequence(F.lit(2), F.least(F.lit(50), (F.size(x) / 2 - 1).cast("int")))
-    harmonics = dsp.total(F.transform(bins, lambda h: dsp.bin_power(x, h.cast("double"))))
-    return _waves(spark, sf_dir).select("vec_id", F.round(F.sqrt(harmonics) / F.nullif(F.sqrt(dsp.bin_power(x, F.lit(1.0))), F.lit(0.0)), 4).alias("thd"))
+    """Total harmonic distortion over the harmonics below half the samples, 50 at most: one transform a row."""
+    bins = F.least(F.lit(49), (F.size("embedding") / 2 - 2).cast("int"))
+    harmonics = dsp.total(F.transform(F.slice("a", F.lit(3), bins), lambda v: v * v))
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", dsp.rfft("embedding").alias("a"), "embedding")
+    return rows.select("vec_id", F.round(F.sqrt(harmonics) / F.nullif(F.element_at("a", 2), F.lit(0.0)), 4).alias("thd"))
 
 
 @query(
@@ -96,11 +97,11 @@ SELECT vec_id, CAST(floor(3 * log2(r[1] * 1000 / 1000.0) + 1e-9) AS BIGINT) AS b
 )
 def octave_bands(spark, sf_dir):
     """Power by third-octave band around 1 kHz; bins are 1 kHz apart."""
-    x = F.col("x")
-    bins = _waves(spark, sf_dir).select("vec_id", x, F.explode(F.sequence(F.lit(1), (F.size(x) / 2).cast("int"))).alias("k"))
-    frequency = F.col("k") * (RATE / 64)
-    band = F.floor(3 * F.log2(frequency / 1000) + 1e-9)
-    return bins.select("vec_id", band.alias("band"), dsp.bin_power(x, F.col("k").cast("double")).alias("p")).groupBy("vec_id", "band").agg(F.round(F.sum("p"), 5).alias("power"))
+    n = F.size("embedding")
+    spectra = table(spark, sf_dir, "embeddings").select("vec_id", n.alias("n"), F.posexplode(dsp.rfft("embedding")).alias("k", "a")).where("k > 0")
+    band = F.floor(3 * F.log2(F.col("k") * (RATE / 64) / 1000) + 1e-9)
+    one_sided = F.when(2 * F.col("k") == F.col("n"), F.col("n")).otherwise(F.col("n") / 2)
+    return spectra.groupBy("vec_id", band.alias("band")).agg(F.round(F.sum(F.pow(F.col("a") * one_sided, F.lit(2.0))), 5).alias("power"))
 
 
 @query(
@@ -110,9 +111,8 @@ SELECT label AS machine, round(quantile_cont(a, 0.5), 6) AS floor FROM b GROUP B
 )
 def noise_floor(spark, sf_dir):
     """Median amplitude in the high band by machine."""
-    x = F.col("x")
-    bins = _waves(spark, sf_dir).select("label", x, F.explode(F.sequence(F.lit(20), F.lit(31))).alias("k"))
-    return bins.groupBy(F.col("label").alias("machine")).agg(F.round(F.percentile(dsp.amplitude(x, F.col("k").cast("double")), 0.5), 6).alias("floor"))
+    bins = table(spark, sf_dir, "embeddings").select(F.col("label").alias("machine"), F.explode(F.slice(dsp.rfft("embedding"), 21, 12)).alias("a"))
+    return quantile(bins, ["machine"], "a", 0.5, "floor").select("machine", F.round("floor", 6).alias("floor"))
 
 
 @query(
@@ -123,9 +123,8 @@ SELECT a.label AS machine, a.k AS bin, round(max(a.a - healthy), 6) + 0.0 AS wor
 )
 def spectrum_overlay(spark, sf_dir):
     """Current against healthy spectra, bin by bin."""
-    x = F.col("x")
-    bins = _waves(spark, sf_dir).select("vec_id", F.col("label").alias("machine"), F.explode(F.sequence(F.lit(1).cast("long"), F.lit(8).cast("long"))).alias("bin"), x)
-    amplitudes = bins.select("vec_id", "machine", "bin", dsp.amplitude(x, F.col("bin").cast("double")).alias("a"))
+    spectra = table(spark, sf_dir, "embeddings").select("vec_id", F.col("label").alias("machine"), F.posexplode(F.slice(dsp.rfft("embedding"), 2, 8)).alias("at", "a"))
+    amplitudes = spectra.select("vec_id", "machine", (F.col("at") + 1).cast("long").alias("bin"), "a")
     healthy = amplitudes.where("vec_id % 2 = 0").groupBy("machine", "bin").agg(F.avg("a").alias("healthy"))
     return amplitudes.where("vec_id % 2 = 1").join(healthy, ["machine", "bin"]).groupBy("machine", "bin").agg(tidy(F.max(F.col("a") - F.col("healthy"))).alias("worst_rise"))
 
@@ -136,10 +135,11 @@ def spectrum_overlay(spark, sf_dir):
 SELECT vec_id, round(sqrt(list_sum(list_transform(embedding, lambda v, i: pow(CAST(v AS DOUBLE) - y[i], 2))) / len(embedding)), 6) AS distance FROM embeddings, b""",
 )
 def start_profile_distance(spark, sf_dir):
-    """Root mean square distance of a start profile from the baseline profile, sample by sample."""
-    samples = _waves(spark, sf_dir).select("vec_id", F.posexplode("x").alias("pos", "v"))
-    base = samples.where("vec_id = 0").select("pos", F.col("v").alias("b"))
-    return samples.join(base, "pos").groupBy("vec_id").agg(F.round(F.sqrt(F.avg(F.pow(F.col("v") - F.col("b"), F.lit(2.0)))), 6).alias("distance"))
+    """Root mean square distance of a start profile from the baseline profile: the one baseline is broadcast."""
+    rows = _waves(spark, sf_dir).select("vec_id", "x", F.lit(0).alias("baseline"))
+    base = F.broadcast(rows.where("vec_id = 0").select("baseline", F.col("x").alias("b")).limit(1))
+    apart = F.zip_with("x", "b", lambda v, b: (v - b) * (v - b))
+    return rows.join(base, "baseline").select("vec_id", F.round(F.sqrt(dsp.total(apart) / F.size("x")), 6).alias("distance"))
 
 
 _G = "(p_size / 10.0) / (p_retailprice / 10.0 + 20) * cos(radians(15))"

@@ -12,10 +12,13 @@ from tremora.session import table
 from tremora.streaming import jobs
 
 
-@query("stream_features_sliding", SQL["window_features_sliding"])
+@query(
+    "stream_features_sliding",
+    f"""SELECT * FROM ({SQL["window_features_sliding"]}) WHERE CAST(window_start AS TIMESTAMP) + INTERVAL 5 MINUTES <= (SELECT max(ts) - INTERVAL 24 HOURS FROM events)""",
+)
 def stream_features_sliding(spark, sf_dir):
-    """The sliding-window job as a stream; complete mode, so the windows that are still open are there too."""
-    out = jobs.drained(jobs.window_features(jobs.event_stream(spark, sf_dir), "5 minutes", "1 minute"), "complete")
+    """The sliding-window job as a stream in append mode: windows are given out once the watermark has passed them, and their state goes."""
+    out = jobs.drained(jobs.window_features(jobs.event_stream(spark, sf_dir), "5 minutes", "1 minute"))
     return out.withColumn("window_start", stamp(F.col("w.start"))).drop("w")
 
 

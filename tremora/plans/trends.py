@@ -6,6 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tremora.functions.features import tidy
+from tremora.operators.ranks import quantile
+from tremora.operators.temporal import trailing
 from tremora.plans.registry import events, query, stamp
 from tremora.session import table
 
@@ -32,12 +34,16 @@ def anomaly_trend_slope(spark, sf_dir):
 WINDOW w AS (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 7 DAYS PRECEDING AND INTERVAL 1 MICROSECOND PRECEDING)""",
 )
 def adaptive_baseline(spark, sf_dir):
-    """Mean and three deviations of the seven days before."""
+    """Mean and three deviations of the seven days before, from running sums: the cost doesn't grow with the rows of a week."""
     week = 7 * 24 * 3600 * 1_000_000
-    w = Window.partitionBy("user_id").orderBy("us").rangeBetween(-week, -1)
     rows = events(spark, sf_dir).withColumn("us", F.unix_micros("ts"))
-    limit = F.round(F.avg("value").over(w) + 3 * F.stddev_samp("value").over(w), 6)
-    return rows.withColumn("threshold", limit).select("event_id", "threshold", F.coalesce(F.col("value") > F.col("threshold"), F.lit(False)).alias("anomaly"))
+    x = F.col("value").cast("decimal(18,6)")
+    sums = trailing(rows.select("user_id", "event_id", "us", "value"), ["user_id"], "event_id", "us", {"n": F.lit(1), "s": x, "q": (x * x).cast("decimal(28,12)")}, {"now": 0, "then": -week})
+    n, s, q = ((F.col(f"{c}_now") - F.col(f"{c}_then")).cast("double") for c in "nsq")
+    mean = s / F.nullif(n, F.lit(0.0))
+    spread = F.sqrt((q - s * mean) / F.nullif(n - 1, F.lit(0.0)))
+    limits = sums.select("user_id", "event_id", F.round(mean + 3 * F.when(n > 1, spread), 6).alias("threshold"))
+    return rows.join(limits, ["user_id", "event_id"]).select("event_id", "threshold", F.coalesce(F.col("value") > F.col("threshold"), F.lit(False)).alias("anomaly"))
 
 
 @query("percentile_rank_baseline", "SELECT event_id, round(percent_rank() OVER (PARTITION BY user_id ORDER BY value), 6) AS rank FROM events")
@@ -68,10 +74,13 @@ WINDOW a AS (PARTITION BY o_custkey ORDER BY o_orderdate RANGE BETWEEN INTERVAL
  c AS (PARTITION BY o_custkey ORDER BY o_orderdate RANGE BETWEEN INTERVAL 365 DAYS PRECEDING AND CURRENT ROW)""",
 )
 def health_trend_30_90_365(spark, sf_dir):
-    day = 24 * 3600
-    rows = table(spark, sf_dir, "orders").withColumn("s", F.unix_seconds(F.col("o_orderdate").cast("timestamp")))
-    w = Window.partitionBy("o_custkey").orderBy("s")
-    return rows.select(F.col("o_orderkey").alias("id"), *(F.round(F.avg("o_totalprice").over(w.rangeBetween(-d * day, 0)) + 1e-7, 4).alias(f"d{d}") for d in (30, 90, 365)))
+    """Means of the last 30, 90 and 365 days of each asset, from running sums."""
+    day, spans = 24 * 3600, (30, 90, 365)
+    rows = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_totalprice", F.unix_seconds(F.col("o_orderdate").cast("timestamp")).alias("s"))
+    values = {"n": F.lit(1), "x": F.col("o_totalprice").cast("decimal(18,6)")}
+    sums = trailing(rows, ["o_custkey"], "o_orderkey", "s", values, {"now": 1} | {f"d{d}": -d * day for d in spans})
+    mean = lambda d: (F.col("x_now") - F.col(f"x_d{d}")).cast("double") / (F.col("n_now") - F.col(f"n_d{d}"))
+    return sums.select(F.col("o_orderkey").alias("id"), *(F.round(mean(d) + 1e-7, 4).alias(f"d{d}") for d in spans))
 
 
 @query(
@@ -94,8 +103,9 @@ SELECT event_id, round((value - med) / (1.4826 * mad), 6) AS z FROM events e JOI
 def outlier_mad(spark, sf_dir):
     """Rows whose robust z is over 3.5."""
     rows = events(spark, sf_dir)
-    middle = rows.groupBy("event_type").agg(F.percentile("value", 0.5).alias("med"))
-    spread = rows.join(middle, "event_type").groupBy("event_type", "med").agg(F.percentile(F.abs(F.col("value") - F.col("med")), 0.5).alias("mad"))
+    middle = quantile(rows, ["event_type"], "value", 0.5, "med")
+    away = rows.join(middle, "event_type").withColumn("away", F.abs(F.col("value") - F.col("med")))
+    spread = quantile(away, ["event_type", "med"], "away", 0.5, "mad")
     z = (F.col("value") - F.col("med")) / (1.4826 * F.col("mad"))
     return rows.join(spread, "event_type").where(F.abs(F.col("value") - F.col("med")) > 3.5 * 1.4826 * F.col("mad")).select("event_id", F.round(z, 6).alias("z"))
 

@@ -78,25 +78,37 @@ def correlated(stream: DataFrame, left: str, right: str, width: str, lateness: s
 
 
 class Throttle(StatefulProcessor):
-    """Emits an alert unless one was emitted within the quiet time before."""
+    """Emits an alert unless one was emitted within the quiet time before. A device's state goes once the watermark has passed its quiet time."""
 
     def __init__(self, quiet_us: int):
         self.quiet_us = quiet_us
 
+    def _due(self, us: int) -> int:
+        return (us + self.quiet_us) // 1000 + 1
+
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.last = handle.getValueState("last", T.StructType([T.StructField("us", T.LongType())]))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         times = sorted(t for frame in rows for t in frame["us"].tolist())
         last = self.last.get()[0] if self.last.exists() else None
-        out = []
+        out, before = [], last
         for t in times:
             if last is None or t - last >= self.quiet_us:
                 out.append(t)
                 last = t
-        self.last.update((last,))
+        if last != before:
+            if before is not None:
+                self.handle.deleteTimer(self._due(before))
+            self.last.update((last,))
+            self.handle.registerTimer(self._due(last))
         yield pd.DataFrame({"device_id": [key[0]] * len(out), "us": out}).astype({"device_id": "int64", "us": "int64"})
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        self.last.clear()
+        yield pd.DataFrame({"device_id": [], "us": []}).astype("int64")
+
     def close(self) -> None:
         pass
 
@@ -155,10 +167,10 @@ def with_state(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
 
 
-def throttled(stream: DataFrame, quiet_us: int) -> DataFrame:
+def throttled(stream: DataFrame, quiet_us: int, lateness: str = LATENESS) -> DataFrame:
     with_state(stream.sparkSession)
-    rows = stream.select(F.col("user_id").alias("device_id"), F.unix_micros("ts").alias("us"))
-    return rows.groupBy("device_id").transformWithStateInPandas(Throttle(quiet_us), "device_id long, us long", "Append", "None")
+    rows = stream.withWatermark("ts", lateness).select(F.col("user_id").alias("device_id"), F.unix_micros("ts").alias("us"), "ts")
+    return rows.groupBy("device_id").transformWithStateInPandas(Throttle(quiet_us), "device_id long, us long", "Append", "EventTime")
 
 
 def lifecycle(stream: DataFrame) -> DataFrame:
