@@ -94,3 +94,30 @@ def route_alerts(alerts: DataFrame, folder: str) -> None:
 def tier(age_days):
     """Storage tier of an age."""
     return F.when(age_days <= 30, "hot").when(age_days <= 365, "cold").when(age_days <= 7 * 365, "archive").otherwise("expired")
+
+
+def csv_rows(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
+    """(rows, quarantine) of CSV files with a header under a declared schema."""
+    read = spark.read.option("header", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_broken").schema(f"{schema}, _broken string").csv(path)
+    return read.where("_broken is null").drop("_broken"), read.where("_broken is not null").select("_broken")
+
+
+def upsert(current: DataFrame, changes: DataFrame, keys: list[str], version: list[str], summed: dict | None = None) -> DataFrame:
+    """One row for each key: the one of the latest version; columns in ``summed`` are combined over both. One shuffle by key."""
+    summed = summed or {}
+    rest = [c for c in current.columns if c not in keys and c not in summed]
+    newest = F.max_by(F.struct(*rest), F.struct(*version)).alias("__row")
+    merged = current.unionByName(changes).groupBy(*keys).agg(newest, *(f(c).alias(c) for c, f in summed.items()))
+    return merged.select(*keys, *(F.col(f"__row.{c}").alias(c) for c in rest), *summed)
+
+
+def tenant_rows(rows: DataFrame, allowed: DataFrame, key: str, tenant: str) -> DataFrame:
+    """The rows whose tenant is among the allowed ones."""
+    return rows.join(allowed.select(F.col(tenant).alias("__tenant")).distinct(), F.col(key) == F.col("__tenant"), "left_semi")
+
+
+def without_subjects(rows: DataFrame, subjects: DataFrame, key: str, path: str) -> DataFrame:
+    """Write a table again without some subjects and read it; the caller swaps the paths and deletes the old one."""
+    gone = subjects.select(F.col(key).alias("__gone"))
+    rows.join(gone, F.col(key) == F.col("__gone"), "left_anti").write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
