@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import time
+import uuid
+
 from pyspark.sql import functions as F
 
 from tremora.functions.features import tidy
 from tremora.plans import features  # noqa: F401  registers the batch form
 from tremora.plans.alerts import QUIET
+from tremora.plans.records import ESCALATION_SQL, MINUTE
 from tremora.plans.registry import SQL, query, stamp
 from tremora.session import table
 from tremora.streaming import jobs
@@ -51,14 +55,18 @@ def stream_enrichment(spark, sf_dir):
     return jobs.drained(rows.select("asset", "value")).where("asset is not null").groupBy("asset").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
 
 
-@query("stream_rollup_days")
+_ROLLUP = """SELECT event_type AS channel, strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M:%S') AS day, count(*) AS n, round(avg(value), 6) + 0.0 AS mean, round(max(abs(value)), 6) + 0.0 AS peak FROM events
+WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 24 HOURS FROM events) GROUP BY ALL"""
+
+
+@query("stream_rollup_days", _ROLLUP)
 def stream_rollup_days(spark, sf_dir):
     """Hours merged to days within one stream; days that are closed."""
     out = jobs.drained(jobs.rollup_features(jobs.event_stream(spark, sf_dir)))
     return out.select(F.col("event_type").alias("channel"), stamp(F.col("d.start")).alias("day"), "n", tidy(F.col("s") / F.col("n")).alias("mean"), tidy(F.col("peak")).alias("peak"))
 
 
-@query("stream_silent_devices")
+@query("stream_silent_devices", "SELECT user_id AS device_id, epoch_us(max(ts)) // 1000 AS last_ms FROM events GROUP BY user_id HAVING epoch_us(max(ts)) // 1000 + 43200000 <= (SELECT epoch_us(max(ts)) // 1000 FROM events)")
 def stream_silent_devices(spark, sf_dir):
     """Devices reported silent by event-time timers."""
     return jobs.drained(jobs.silent(jobs.event_stream(spark, sf_dir), 12 * 3600 * 1000))
@@ -70,3 +78,54 @@ def stream_scoring(spark, sf_dir):
     rows = jobs.event_stream(spark, sf_dir).select("event_type", "value")
     out = jobs.drained(jobs.scored(rows, lambda frame: frame["value"] * 0.5, "event_type string, value double, score double"))
     return out.groupBy(F.col("event_type").alias("channel")).agg(F.count_if(F.col("score") > 60).alias("anomalies"))
+
+
+@query(
+    "stream_replay_versions",
+    "SELECT event_type AS channel, count(*) FILTER (WHERE value * 0.5 > 60) AS version_1, count(*) FILTER (WHERE value * 0.4 + 10 > 60) AS version_2 FROM events GROUP BY event_type",
+)
+def stream_replay_versions(spark, sf_dir):
+    """History replayed with another model version: the same stream from its start under a checkpoint of its own."""
+    def anomalies(name: str, score):
+        rows = jobs.event_stream(spark, sf_dir).select("event_type", "value")
+        out = jobs.drained(jobs.scored(rows, score, "event_type string, value double, score double"))
+        return out.groupBy(F.col("event_type").alias("channel")).agg(F.count_if(F.col("score") > 60).alias(name))
+
+    return anomalies("version_1", lambda f: f["value"] * 0.5).join(anomalies("version_2", lambda f: f["value"] * 0.4 + 10), "channel", "full")
+
+
+@query("stream_escalation", ESCALATION_SQL)
+def stream_escalation(spark, sf_dir):
+    """Escalation by timers in keyed state; a click acknowledges the alerts of its device."""
+    kind = F.when(F.col("event_type") == "error", "alert").when(F.col("event_type") == "click", "ack").otherwise("other")
+    return jobs.drained(jobs.escalated(jobs.event_stream(spark, sf_dir).withColumn("kind", kind), [m * MINUTE for m in (60, 240, 1440)]))
+
+
+@query(
+    "stream_lifecycle",
+    """WITH o AS (SELECT *, CASE event_type WHEN 'error' THEN 0 WHEN 'view' THEN 1 ELSE 2 END AS r FROM events), b AS (SELECT *, max(r) OVER (PARTITION BY user_id ORDER BY ts, r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p FROM o)
+SELECT user_id AS alert_id, CASE max(r) WHEN 0 THEN 'OPEN' WHEN 1 THEN 'ACKNOWLEDGED' ELSE 'RESOLVED' END AS status, count(*) FILTER (WHERE r < p) AS illegal FROM b GROUP BY user_id""",
+)
+def stream_lifecycle(spark, sf_dir):
+    """The state of each alert after the stream, and steps back that were ignored."""
+    status = F.when(F.col("event_type") == "error", "OPEN").when(F.col("event_type") == "view", "ACKNOWLEDGED").otherwise("RESOLVED")
+    rows = jobs.event_stream(spark, sf_dir).select(F.col("user_id").alias("alert_id"), "ts", status.alias("status"))
+    return jobs.drained(jobs.lifecycle(rows), "update")
+
+
+@query("stream_observed", "SELECT count(*) AS n, count(*) FILTER (WHERE value IS NULL OR value < 0) AS bad FROM events")
+def stream_observed(spark, sf_dir):
+    """Rows and bad rows of a stream as its listener sees them, batch by batch."""
+    progress, name = jobs.Progress(), f"seen_{uuid.uuid4().hex}"
+    spark.streams.addListener(progress)
+    try:
+        jobs.drained(jobs.observed(jobs.event_stream(spark, sf_dir), name).select("event_id"))
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        for _ in range(100):  # the listener hears of a batch a moment later
+            if any(name in b["observed"] for b in progress.batches):
+                break
+            time.sleep(0.1)
+    finally:
+        spark.streams.removeListener(progress)
+    seen = [b["observed"][name] for b in progress.batches if name in b["observed"]]
+    return spark.createDataFrame([(sum(b["n"] for b in seen), sum(b["bad"] for b in seen))], "n long, bad long")

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.listener import StreamingQueryListener
 
 from tremora.functions.features import features
 from tremora.session import scratch
@@ -162,6 +163,83 @@ class Heartbeat(StatefulProcessor):
         pass
 
 
+class Escalation(StatefulProcessor):
+    """Raises an alert a level at each step of time without an acknowledgement, by event-time timers."""
+
+    def __init__(self, steps_us: list[int]):
+        self.steps_us = steps_us
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        # alerts that wait: when, which, and the next level
+        self.open = handle.getMapState("open", T.StructType([T.StructField("id", T.LongType())]), T.StructType([T.StructField("us", T.LongType()), T.StructField("level", T.IntegerType())]))
+
+    def _raise(self, waiting: dict, until: int, out: list) -> None:
+        """Levels that fall due up to a time."""
+        for alert, (us, level) in list(waiting.items()):
+            while level <= len(self.steps_us) and us + self.steps_us[level - 1] <= until:
+                out.append((alert, level))
+                level += 1
+            if level > len(self.steps_us):
+                del waiting[alert]
+            else:
+                waiting[alert] = us, level
+
+    def _keep(self, waiting: dict) -> None:
+        for (alert,) in [k for k, _ in self.open.iterator()]:
+            if alert not in waiting:
+                self.open.removeKey((alert,))
+        for alert, state in waiting.items():
+            self.open.updateValue((alert,), state)
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer[0] if isinstance(timer, tuple) else timer)
+        for due in {(us + self.steps_us[level - 1]) // 1000 + 1 for us, level in waiting.values()}:
+            self.handle.registerTimer(due)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        waiting, out = {k[0]: tuple(v) for k, v in self.open.iterator()}, []
+        events = sorted((us, kind, i) for frame in rows for us, kind, i in zip(frame["us"].tolist(), frame["kind"].tolist(), frame["event_id"].tolist(), strict=True))
+        for us, kind, i in events:
+            if kind == "ack":
+                self._raise(waiting, us - 1, out)  # an acknowledgement in the same instant is in time
+                waiting = {k: v for k, v in waiting.items() if v[0] >= us}
+            elif kind == "alert":
+                waiting[i] = us, 1
+        if events:
+            self._raise(waiting, events[-1][0], out)
+        self._keep(waiting)
+        yield pd.DataFrame(out, columns=["alert_id", "level"]).astype({"alert_id": "int64", "level": "int32"})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        waiting, out = {k[0]: tuple(v) for k, v in self.open.iterator()}, []
+        self._raise(waiting, timerValues.getCurrentWatermarkInMs() * 1000, out)
+        self._keep(waiting)
+        yield pd.DataFrame(out, columns=["alert_id", "level"]).astype({"alert_id": "int64", "level": "int32"})
+
+    def close(self) -> None:
+        pass
+
+
+class Progress(StreamingQueryListener):
+    """Keeps what each batch of the streams reports: rows read, rows a second, and observed metrics."""
+
+    def __init__(self) -> None:
+        self.batches: list[dict] = []
+
+    def onQueryStarted(self, event) -> None:  # noqa: N802
+        pass
+
+    def onQueryIdle(self, event) -> None:  # noqa: N802
+        pass
+
+    def onQueryTerminated(self, event) -> None:  # noqa: N802
+        pass
+
+    def onQueryProgress(self, event) -> None:  # noqa: N802
+        p = event.progress
+        self.batches.append({"batch": p.batchId, "rows": p.numInputRows, "per_second": p.processedRowsPerSecond, "observed": {k: v.asDict() for k, v in p.observedMetrics.items()}})
+
+
 def with_state(spark: SparkSession) -> None:
     """Keyed state needs the RocksDB store."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
@@ -195,3 +273,15 @@ def scored(stream: DataFrame, score: Callable[[pd.DataFrame], pd.Series], schema
             yield frame.assign(score=score(frame))
 
     return stream.mapInPandas(run, schema)
+
+
+def escalated(stream: DataFrame, steps_us: list[int], lateness: str = LATENESS) -> DataFrame:
+    """(alert_id, level) as alerts (kind "alert") stay without an acknowledgement (kind "ack") of their device."""
+    with_state(stream.sparkSession)
+    rows = stream.withWatermark("ts", lateness).select(F.col("user_id").alias("device_id"), F.unix_micros("ts").alias("us"), "kind", "event_id", "ts")
+    return rows.groupBy("device_id").transformWithStateInPandas(Escalation(steps_us), "alert_id long, level int", "Append", "EventTime")
+
+
+def observed(stream: DataFrame, name: str) -> DataFrame:
+    """The stream with counts that a ``Progress`` listener sees for each batch."""
+    return stream.observe(name, F.count("*").alias("n"), F.count_if(F.col("value").isNull() | (F.col("value") < 0)).alias("bad"), F.max("ts").cast("string").alias("latest"))
