@@ -186,3 +186,120 @@ def test_suppression_folds_a_long_run_without_gathering_it(spark):
             want.append((d, us))
             last[d] = us
     assert sorted((r["d"] or 0, r["us"]) for r in got.collect()) == want
+
+
+def _embeddings(sf):
+    import pyarrow.parquet as pq
+
+    rows = pq.read_table(f"{sf}/embeddings.parquet").to_pylist()
+    return {r["vec_id"]: np.array(r["embedding"], dtype=float) for r in rows}
+
+
+def test_order_resampling_equals_interpolation(spark, sf):
+    from tremora.plans.signal import order_resample
+
+    waves = _embeddings(sf)
+    for r in order_resample(spark, sf).collect():
+        x = waves[r["vec_id"]]
+        n = len(x)
+        u = np.arange(n) / n
+        turns = 4 * u + 2 * u * u
+        even = np.interp(np.linspace(turns[0], turns[-1], 128), turns, x)
+        s = 2 * np.abs(np.fft.rfft(even)) / 128
+        assert np.isclose(r["order_1"], s[6], atol=1e-6) and np.isclose(r["order_2"], s[12], atol=1e-6)
+
+
+def test_kurtogram_picks_the_band_of_largest_kurtosis(spark, sf):
+    from tremora.plans.signal import kurtogram_band
+
+    waves = _embeddings(sf)
+    for r in kurtogram_band(spark, sf).collect():
+        s = np.fft.rfft(waves[r["vec_id"]])
+        edges, k = np.linspace(1, len(s), 5).astype(int), []
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            y = np.fft.irfft(np.where((np.arange(len(s)) >= a) & (np.arange(len(s)) < b), s, 0), len(waves[r["vec_id"]]))
+            k.append(np.mean(y**4) / np.mean(y**2) ** 2)
+        assert k[r["band"]] > max(k) - 1e-6
+
+
+def test_residuals_equal_a_plain_decomposition(spark, sf, tmp_path):
+    from tremora.plans.models import pca_residual
+
+    waves = _embeddings(sf)
+    x = np.array([waves[k] for k in sorted(waves)])
+    centred = x - x.mean(axis=0)
+    basis = np.linalg.svd(centred, full_matrices=False)[2][:8].T
+    want = dict(zip(sorted(waves), np.linalg.norm(centred - centred @ basis @ basis.T, axis=1), strict=True))
+    for r in pca_residual(spark, sf).collect():
+        assert np.isclose(r["residual"], want[r["vec_id"]], atol=1e-5)
+    spark.createDataFrame([(1, None, 1)], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    assert pca_residual(spark, str(tmp_path)).collect() == []
+
+
+def test_classifier_tells_faults_of_windows_it_has_not_seen(spark, sf, tmp_path):
+    """The labels of the given table follow no signal; here each fault has a line of its own."""
+    from tremora.plans.records import fault_classifier
+
+    rng = np.random.default_rng(1)
+    t = np.arange(64)
+    rows = [(i, (np.sin(2 * np.pi * (2 + i % 4) * t / 64 + rng.uniform(0, 6)) + rng.normal(0, 0.4, 64)).tolist(), i % 4) for i in range(300)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = fault_classifier(spark, str(tmp_path)).collect()
+    held = [r["fault_class"] == r["vec_id"] % 4 for r in got if r["held_out"]]
+    assert len(got) == 300 and len(held) == 60 and np.mean(held) > 0.9
+    assert all(0 <= r["confidence"] <= 1 for r in got)
+
+
+def test_filters_refuse_bands_above_half_the_rate():
+    import pytest
+
+    with pytest.raises(ValueError):
+        dsp.band_taps(10_000.0, 40_000.0, 64_000.0)
+    x = np.random.default_rng(0).normal(size=(3, 50))
+    taps = dsp.band_taps(1000.0, 5000.0, 64_000.0)
+    for row, got in zip(x, dsp.filtered(x, taps), strict=True):
+        assert np.allclose(got, np.convolve(row, taps, "full")[15:65])
+
+
+def test_decimation_keeps_slow_and_drops_fast_lines(spark):
+    t = np.arange(1024)
+    rows = spark.createDataFrame([(0, np.sin(2 * np.pi * t / 64).tolist()), (1, np.sin(2 * np.pi * t * 0.45).tolist())], "i int, x array<double>")
+    for r in rows.select("i", dsp.decimated(4)("x").alias("y")).collect():
+        y = np.array(r["y"])[32:-32]
+        assert len(r["y"]) == 256 and (abs(y).max() > 0.95 if r["i"] == 0 else abs(y).max() < 0.05)
+
+
+def test_quantiles_ranks_and_trailing_sums(spark):
+    from tremora.operators.ranks import numbered, quantile
+    from tremora.operators.temporal import trailing
+
+    rng = np.random.default_rng(3)
+    rows = [(g, i, float(v)) for g in "ab" for i, v in enumerate(np.concatenate((rng.normal(size=400), np.full(50, 1.5), [1e9])))] + [("c", 0, 7.0), ("d", 0, None)]
+    frame = spark.createDataFrame(rows, "g string, i long, v double")
+    for q in (0.0, 0.3, 0.5, 0.99, 1.0):
+        got = {r["g"]: r["x"] for r in quantile(frame, ["g"], "v", q, "x").collect()}
+        assert got == {g: np.quantile([v for h, _, v in rows if h == g], q) for g in "abc"}
+    places = {(r["g"], r["i"]): r["p"] for r in numbered(frame.where("g = 'a'"), ["g"], [F.floor(F.col("i") / 37)], ["i"], "p").collect()}
+    assert places == {("a", i): i + 1 for i in range(451)}
+    got = {(r["g"], r["i"]): r["n_now"] - r["n_then"] for r in trailing(frame.where("g <> 'd'"), ["g"], "i", "i", {"n": F.lit(1)}, {"now": 1, "then": -9}).collect()}
+    assert got == {(g, i): min(i, 9) + 1 for g, i, _ in rows if g != "d"}
+
+
+def test_csv_rows_that_do_not_fit_go_to_quarantine(spark, tmp_path):
+    from tremora.sources import io
+
+    (tmp_path / "x.csv").write_text("a,b\n1,2.5\nx,3\n4,5\n")
+    good, bad = io.csv_rows(spark, str(tmp_path), "a long, b double")
+    assert sorted(map(tuple, good.collect())) == [(1, 2.5), (4, 5.0)] and [r["_broken"] for r in bad.collect()] == ["x,3"]
+
+
+def test_cusum_by_blocks_equals_the_whole(spark):
+    values = [float(v) for v in np.random.default_rng(5).normal(0.1, 1, 300)]
+    frame = spark.createDataFrame([(d, i, v) for d in (1, 2) for i, v in enumerate(values)], "d int, t int, v double")
+    for block in (None, F.floor(F.col("t") / 17)):
+        level, want = 0.0, []
+        for v in values:
+            level = max(0.0, level + v - 0.1)
+            want.append(level)
+        got = [r["cusum"] for r in alerts.cusum(frame, ["d"], ["t"], F.col("v"), 0.1, block).where("d = 2").orderBy("t").collect()]
+        assert np.allclose(got, want)

@@ -52,13 +52,13 @@ def hysteresis(rows: DataFrame, device: list[str], order: list[str], value: str,
     return rows.withColumn("alarm", F.coalesce(F.last(crossing, ignorenulls=True).over(w), F.lit(0)))
 
 
-def cusum(rows: DataFrame, device: list[str], block: Column, order: list[str], x: Column, slack: float) -> DataFrame:
+def cusum(rows: DataFrame, device: list[str], order: list[str], x: Column, slack: float, block: Column | None = None) -> DataFrame:
     """Add ``cusum``: max(0, previous + x - slack), from running sums and their running minimum.
 
     ``block`` cuts a device's time into parts that are summed on their own; each part is then moved by the sum of the
     parts before it and compared with their minimum, so no task holds a device's whole history.
     """
-    keys = [*device, "__block"]
+    keys, block = [*device, "__block"], F.lit(0) if block is None else block
     w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     summed = rows.withColumn("__block", block).withColumn("__sum", F.sum(x - F.lit(slack)).over(w))
     summed = summed.withColumn("__least", F.min("__sum").over(w))

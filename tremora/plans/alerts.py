@@ -107,7 +107,7 @@ m AS (SELECT *, c - least(0, min(c) OVER (PARTITION BY event_type ORDER BY ts, e
 SELECT event_type AS channel, strftime(ts, '%Y-%m-%d') AS day, round(max(x), 4) + 0.0 AS top FROM m GROUP BY ALL""",
 )
 def cusum(spark, sf_dir):
-    rows = A.cusum(events(spark, sf_dir), ["event_type"], F.date_trunc("day", "ts"), ["ts", "event_id"], F.col("value"), 105.0)
+    rows = A.cusum(events(spark, sf_dir), ["event_type"], ["ts", "event_id"], F.col("value"), 105.0, F.date_trunc("day", "ts"))
     return rows.groupBy(F.col("event_type").alias("channel"), F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(tidy(F.max("cusum"), 4).alias("top"))
 
 

@@ -225,19 +225,42 @@ def rfft_spectrum(spark, sf_dir):
     return spectra.select("vec_id", F.col("bin").cast("long").alias("bin"), tidy(F.col("a"), 5).alias("amplitude"))
 
 
-@query("envelope_spectrum")
+BANDS = {"low": (10.0, 1000.0), "middle": (1000.0, 10_000.0), "high": (10_000.0, 40_000.0)}
+
+
+def _filtered_sql(x: str, taps: str, n: int) -> str:
+    """Convolution with centred taps in SQL."""
+    half = (n - 1) // 2
+    return f"list_transform(range(1, len({x}) + 1), lambda i: list_sum(list_transform(range(1, {n + 1}), lambda j: CASE WHEN i + {half + 1} - j BETWEEN 1 AND len({x}) THEN {taps}[j] * {x}[i + {half + 1} - j] ELSE 0 END)))"
+
+
+def _taps_sql(low: float, high: float) -> str:
+    return "[" + ", ".join(repr(float(h)) + "::DOUBLE" for h in dsp.band_taps(low, high, RATE)) + "]"
+
+
+@query(
+    "envelope_spectrum",
+    f"""WITH {_WAVES}, t AS (SELECT {_taps_sql(8_000.0, 24_000.0)} AS h), b AS (SELECT vec_id, list_transform({_filtered_sql("x", "h", 31)}, lambda v: abs(v)) AS y FROM x, t), u AS (SELECT [0.2, 0.2, 0.2, 0.2, 0.2] AS g),
+l AS (SELECT vec_id, {_filtered_sql("y", "g", 5)} AS z FROM b, u), m AS (SELECT vec_id, list_transform(z, lambda v: v - list_avg(z)) AS z FROM l),
+s AS (SELECT vec_id, list_transform(range(0, 33), lambda k: (CASE WHEN k IN (0, 32) THEN 1 ELSE 2 END) * sqrt(pow(list_sum(list_transform(z, lambda v, i: v * cos(2 * pi() * k * (i - 1) / len(z)))), 2) + pow(list_sum(list_transform(z, lambda v, i: v * sin(2 * pi() * k * (i - 1) / len(z)))), 2)) / len(z)) AS e FROM m)
+SELECT vec_id, CAST(list_position(e, list_max(e)) - 1 AS BIGINT) AS line, round(list_max(e), 6) AS amplitude FROM s""",
+)
 def envelope_spectrum(spark, sf_dir):
     """Strongest envelope line of each waveform."""
     found = table(spark, sf_dir, "embeddings").select("vec_id", dsp.envelope(8_000.0, 24_000.0, RATE)("embedding").alias("e"))
     return found.select("vec_id", (F.array_position("e", F.array_max("e")) - 1).alias("line"), F.round(F.array_max("e"), 6).alias("amplitude"))
 
 
-@query("band_bank")
+def _rms_sql(name: str) -> str:
+    low, high = BANDS[name]
+    return f"round(sqrt(list_sum(list_transform({_filtered_sql('x', _taps_sql(low, high), 31)}, lambda v: v * v)) / len(x)), 6) AS {name}"
+
+
+@query("band_bank", f"""WITH {_WAVES} SELECT vec_id, {_rms_sql("low")}, {_rms_sql("middle")}, CAST(NULL AS DOUBLE) AS high FROM x""")
 def band_bank(spark, sf_dir):
-    """RMS of each waveform in three pass bands."""
-    rows = table(spark, sf_dir, "embeddings")
-    bands = {"low": (10.0, 1000.0), "middle": (1000.0, 10_000.0), "high": (10_000.0, 31_000.0)}
-    return rows.select("vec_id", *(F.round(dsp.array_rms(dsp.band_filter(lo, hi, RATE)("embedding")), 6).alias(n) for n, (lo, hi) in bands.items()))
+    """RMS of each waveform in three pass bands; null for a band that the sampling rate can't hold: 10 to 40 kHz needs 80 kHz."""
+    rms = lambda low, high: F.round(dsp.array_rms(dsp.band_filter(low, high, RATE)("embedding")), 6) if high <= RATE / 2 else F.lit(None).cast("double")
+    return table(spark, sf_dir, "embeddings").select("vec_id", *(rms(*band).alias(n) for n, band in BANDS.items()))
 
 
 @query("order_resample")

@@ -99,7 +99,7 @@ def tier(age_days):
 def csv_rows(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
     """(rows, quarantine) of CSV files with a header under a declared schema."""
     read = spark.read.option("header", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_broken").schema(f"{schema}, _broken string").csv(path)
-    return read.where("_broken is null").drop("_broken"), read.where("_broken is not null").select("_broken")
+    return read.where("_broken is null").drop("_broken"), read.where("_broken is not null")
 
 
 def upsert(current: DataFrame, changes: DataFrame, keys: list[str], version: list[str], summed: dict | None = None) -> DataFrame:
