@@ -1,24 +1,29 @@
 """Mixing sources to target weights by iterative proportional fitting.
 
-Texts are counted into cells of source, language and topic. Token weights of the cells are raked to the
-target share of each marginal in turn, ROUNDS times, as window sums over the cell table in one plan; no
-cell leaves Spark. A common rate then turns raked weights into inclusion probabilities whose expected
-tokens are the budget: cells that reach 1 stay there and the rest share what is left. A document is kept
-if the uniform number of its key's digest is below its cell's probability.
+Texts are counted into cells of source, language and topic. Each marginal has target shares of the budget of tokens: given
+ones, or shares in proportion to tokens ** TEMPER. A target beyond what the corpus holds is cut to all of it, and the rest
+goes to the other values of that marginal (``targets_of`` shows both). The expected tokens of the cells are then raked to each
+marginal in turn, never beyond a cell's own tokens, until every share is within TOLERANCE of its target, ROUNDS times at
+most. All of it is grouping and joining of the cell table; no cell leaves Spark, and no task holds a marginal. A document is kept if the
+uniform number of its key's digest is below its cell's probability.
 
 Defined results: a null text has no tokens; null sources and languages are values of their own; cells
-without tokens have probability 1. Rows that repeat a key share its fate. An empty table stays empty.
+without tokens have probability 1. Rows that repeat a key share its fate. Given shares need not add up to 1;
+values that are not given get none. An empty table stays empty.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Mapping
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tremora.session import cut
 
-ROUNDS = 10
-RATE_STEPS = 8
+ROUNDS = 16
+TOLERANCE = 0.004
+FILL_STEPS = 8
 TEMPER = 0.5
 BUDGET = 0.6
 #: Cell tables up to this many rows are broadcast, larger ones are joined by shuffle.
@@ -44,33 +49,56 @@ def with_cells(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.withColumn("topic", topic(F.col(text), F.col("n_tokens")))
 
 
-def rake(cells: DataFrame, dimensions: tuple[str, ...] = DIMENSIONS, rounds: int = ROUNDS, temper: float = TEMPER) -> DataFrame:
-    """Add ``w``: shares of the cells' tokens ``n`` raked to marginals in proportion to tokens ** temper."""
-    names = [f"t{i}" for i in range(len(dimensions))]
-    for name, dim in zip(names, dimensions, strict=True):
-        marginal = cells.groupBy(dim).agg(F.sum("n").alias("m"))
-        total = marginal.agg(F.sum(F.pow(F.col("m").cast("double"), F.lit(temper)))).first()[0] or 1.0
-        shares = marginal.select(F.col(dim).alias("v"), (F.pow(F.col("m").cast("double"), F.lit(temper)) / total).alias(name))
-        cells = cells.join(shares, F.col(dim).eqNullSafe(F.col("v")), "left").drop("v")
-    cells = cells.withColumn("w", F.col("n").cast("double"))
-    for i in range(rounds):
-        if i and i % ROUNDS == 0:  # longer plans are cut
-            cells = cut(cells, "raked")
-        for name, dim in zip(names, dimensions, strict=True):
-            cells = cells.withColumn("w", F.coalesce(F.col("w") * F.col(name) / F.nullif(F.sum("w").over(Window.partitionBy(dim)), F.lit(0.0)), F.lit(0.0)))
-    return cells.drop(*names)
-
-
-def calibrate(raked: DataFrame, budget: float = BUDGET, steps: int = RATE_STEPS) -> DataFrame:
-    """Add ``p``: the probabilities whose expected tokens are ``budget`` of all."""
-    total = raked.agg(F.sum("n").alias("n"), F.sum("w").alias("w")).first()
-    tokens_wanted = budget * float(total["n"] or 0)
-    rate = tokens_wanted / total["w"] if total["w"] else 0.0
-    for _ in range(steps):
-        full = F.col("w") * rate >= F.col("n")
-        r = raked.agg(F.sum(F.when(full, F.col("n")).otherwise(0)).alias("n"), F.sum(F.when(full, 0.0).otherwise(F.col("w"))).alias("w")).first()
-        rate = (tokens_wanted - float(r["n"])) / r["w"] if r["w"] else rate
-    return raked.withColumn("p", F.round(F.least(F.lit(1.0), F.coalesce(F.col("w") * rate / F.nullif("n", F.lit(0)), F.lit(1.0))), 6))
+def targets_of(cells: DataFrame, dim: str, tokens_wanted: float, shares: DataFrame | None = None, temper: float = TEMPER) -> DataFrame:
+    """(v, wanted, t): the tokens that each value of a marginal should have, and those that it can have. ``shares`` has (value, share)."""
+    held = cells.groupBy(F.col(dim).alias("v")).agg(F.sum("n").cast("double").alias("m"))
+    if shares is None:
+        held = held.withColumn("s", F.pow("m", F.lit(temper)))
+    else:
+        given = shares.select(F.col(shares.columns[0]).alias("__v"), F.col(shares.columns[1]).cast("double").alias("s"))
+        held = held.join(given, F.col("v").eqNullSafe(F.col("__v")), "left").select("v", "m", F.coalesce("s", F.lit(0.0)).alias("s"))
+    held = cut(held, "marginal")
+    rate = wanted = tokens_wanted / (held.agg(F.sum("s")).first()[0] or 1.0)
+    for _ in range(FILL_STEPS):
+        full = F.col("s") * rate >= F.col("m")
+        r = held.agg(F.sum(F.when(full, F.col("m")).otherwise(0.0)).alias("m"), F.sum(F.when(full, 0.0).otherwise(F.col("s"))).alias("s")).first()
+        rate = (tokens_wanted - r["m"]) / r["s"] if r["s"] else rate
+    return held.select("v", (F.col("s") * wanted).alias("wanted"), F.least(F.col("m"), F.col("s") * rate).alias("t"))
+
+
+def _moved(raked: DataFrame, dim: str, targets: DataFrame) -> DataFrame:
+    """Rake to one marginal; no cell gets more than it has."""
+    sums = raked.groupBy(F.col(dim).alias("__v")).agg(F.sum("e").alias("__sum"))
+    factor = sums.join(targets, F.col("__v").eqNullSafe(F.col("v"))).select("__v", (F.col("t") / F.nullif("__sum", F.lit(0.0))).alias("__f"))
+    return raked.join(factor, F.col(dim).eqNullSafe(F.col("__v"))).withColumn("e", F.least(F.col("n").cast("double"), F.coalesce(F.col("e") * F.col("__f"), F.lit(0.0)))).drop("__v", "__f")
+
+
+def residual(raked: DataFrame, targets: Mapping[str, DataFrame], tokens_wanted: float) -> float:
+    """The largest distance of a share from its target."""
+    most = 0.0
+    for dim, own in targets.items():
+        sums = raked.groupBy(F.col(dim).alias("__v")).agg(F.sum("e").alias("__sum"))
+        most = max(most, sums.join(own, F.col("__v").eqNullSafe(F.col("v"))).agg(F.max(F.abs(F.col("__sum") - F.col("t")))).first()[0] or 0.0)
+    return most / tokens_wanted if tokens_wanted else 0.0
+
+
+def rake(cells: DataFrame, budget: float = BUDGET, shares: Mapping[str, DataFrame] | None = None, dimensions: tuple[str, ...] = DIMENSIONS, rounds: int = ROUNDS, tolerance: float = TOLERANCE, temper: float = TEMPER) -> DataFrame:
+    """Add ``e``, the expected tokens of each cell in the sample. ``shares`` may give (value, share) for any of the dimensions."""
+    tokens_wanted = budget * float(cells.agg(F.sum("n")).first()[0] or 0)
+    targets = {d: cut(targets_of(cells, d, tokens_wanted, (shares or {}).get(d), temper), "targets") for d in dimensions}
+    raked = cells.withColumn("e", F.col("n") * F.lit(float(budget)))
+    for _ in range(rounds):
+        for d, own in targets.items():
+            raked = _moved(raked, d, own)
+        raked = cut(raked, "raked")
+        if residual(raked, targets, tokens_wanted) < tolerance:
+            break
+    return raked
+
+
+def calibrate(raked: DataFrame) -> DataFrame:
+    """Add ``p``: the probability of a document of each cell."""
+    return raked.withColumn("p", F.round(F.least(F.lit(1.0), F.coalesce(F.col("e") / F.nullif("n", F.lit(0)), F.lit(1.0))), 6))
 
 
 def uniform(key: Column) -> Column:
@@ -78,10 +106,10 @@ def uniform(key: Column) -> Column:
     return F.conv(F.substring(F.md5(F.coalesce(key.cast("string"), F.lit(""))), 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
 
 
-def probabilities(counted: DataFrame, budget: float = BUDGET) -> DataFrame:
+def probabilities(counted: DataFrame, budget: float = BUDGET, shares: Mapping[str, DataFrame] | None = None) -> DataFrame:
     """(source, lang, topic, p) from rows with n_tokens."""
     cells = cut(counted.groupBy(*DIMENSIONS).agg(F.sum("n_tokens").alias("n")), "cells")
-    return cut(calibrate(cut(rake(cells), "raked"), budget).select(*DIMENSIONS, "p"), "mix")
+    return calibrate(rake(cells, budget, shares)).select(*DIMENSIONS, "p")
 
 
 def with_probability(counted: DataFrame, mix: DataFrame) -> DataFrame:
@@ -92,10 +120,10 @@ def with_probability(counted: DataFrame, mix: DataFrame) -> DataFrame:
     return counted.join(mix, same[0] & same[1] & same[2]).drop(*(f"__{d}" for d in DIMENSIONS))
 
 
-def sample_documents(docs: DataFrame, text: str = "text", key: str = "doc_id", budget: float = BUDGET) -> DataFrame:
+def sample_documents(docs: DataFrame, text: str = "text", key: str = "doc_id", budget: float = BUDGET, shares: Mapping[str, DataFrame] | None = None) -> DataFrame:
     """The sampled rows, with the columns of the input (columns ``topic`` and ``n_tokens`` are kept as they are)."""
     own = docs.select("source", "lang", text)
-    mix = probabilities(with_cells(own, text), budget)
+    mix = probabilities(cut(with_cells(own, text).drop(text), "counted"), budget, shares)
     n = tokens(F.col(text))
     counted = docs.select(F.struct(*docs.columns).alias("__row"), F.col("source"), F.col("lang"), topic(F.col(text), n).alias("topic"))
     return with_probability(counted, mix).where(uniform(F.col("__row")[key]) < F.col("__p")).select("__row.*")
@@ -119,20 +147,24 @@ def _sql() -> str:
   WHEN contains(coalesce(text, ''), '@') OR contains(coalesce(text, ''), 'http') THEN 'contact' WHEN n_tokens < 100 THEN 'short' WHEN n_tokens < 1000 THEN 'medium' ELSE 'long' END AS topic FROM d)""",
         "cells AS (SELECT source, lang, topic, CAST(sum(n_tokens) AS DOUBLE) AS n FROM c GROUP BY ALL)",
     ]
-    shares = []
+    parts.append(f"b AS (SELECT {BUDGET} * coalesce(sum(n), 0) AS b FROM cells)")
     for i, dim in enumerate(DIMENSIONS):
-        parts.append(f"m{i} AS (SELECT {dim} AS v, pow(sum(n), {TEMPER}) / sum(pow(sum(n), {TEMPER})) OVER () AS t FROM cells GROUP BY {dim})")
-        shares.append(f"(SELECT t FROM m{i} WHERE v IS NOT DISTINCT FROM {dim}) AS t{i}")
-    parts.append(f"w0 AS (SELECT *, n AS w, {', '.join(shares)} FROM cells)")
-    step = 0
-    for _ in range(ROUNDS):
+        parts.append(f"h{i} AS MATERIALIZED (SELECT {dim} AS v, sum(n) AS m, pow(sum(n), {TEMPER}) AS s FROM cells GROUP BY {dim})")
+        parts.append(f"f{i}_0 AS MATERIALIZED (SELECT any_value(b) / sum(s) AS rate FROM h{i}, b)")
+        for k in range(FILL_STEPS):
+            parts.append(f"f{i}_{k + 1} AS MATERIALIZED (SELECT coalesce((any_value(b) - sum(CASE WHEN s * rate >= m THEN m ELSE 0 END)) / nullif(sum(CASE WHEN s * rate >= m THEN 0 ELSE s END), 0), any_value(rate)) AS rate FROM h{i}, f{i}_{k}, b)")
+        parts.append(f"t{i} AS MATERIALIZED (SELECT v, least(m, s * rate) AS t FROM h{i}, f{i}_{FILL_STEPS})")
+    targets = ", ".join(f"(SELECT t FROM t{i} WHERE v IS NOT DISTINCT FROM {dim}) AS t{i}" for i, dim in enumerate(DIMENSIONS))
+    parts.append(f"w0 AS (SELECT *, n * {BUDGET} AS e, {targets} FROM cells)")
+    step, rounds = 0, []
+    for r in range(ROUNDS):
         for i, dim in enumerate(DIMENSIONS):
-            parts.append(f"w{step + 1} AS MATERIALIZED (SELECT * REPLACE (coalesce(w * t{i} / nullif(sum(w) OVER (PARTITION BY {dim}), 0), 0) AS w) FROM w{step})")
+            parts.append(f"w{step + 1} AS MATERIALIZED (SELECT * REPLACE (least(n, coalesce(e * t{i} / nullif(sum(e) OVER (PARTITION BY {dim}), 0), 0)) AS e) FROM w{step})")
             step += 1
-    parts.append(f"r0 AS MATERIALIZED (SELECT {BUDGET} * sum(n) / sum(w) AS rate, {BUDGET} * sum(n) AS b FROM w{step})")
-    for i in range(RATE_STEPS):
-        parts.append(f"r{i + 1} AS MATERIALIZED (SELECT coalesce((any_value(b) - sum(CASE WHEN w * rate >= n THEN n ELSE 0 END)) / nullif(sum(CASE WHEN w * rate >= n THEN 0 ELSE w END), 0), any_value(rate)) AS rate, any_value(b) AS b FROM w{step}, r{i})")
-    parts.append(f"mix AS (SELECT source, lang, topic, round(least(1.0, coalesce(w * rate / nullif(n, 0), 1.0)), 6) AS p FROM w{step}, r{RATE_STEPS})")
+        apart = ", ".join(f"(SELECT max(abs(x)) FROM (SELECT sum(e) - any_value(t{i}) AS x FROM w{step} GROUP BY {dim}))" for i, dim in enumerate(DIMENSIONS))
+        rounds.append(f"SELECT {r} AS r, greatest({apart}) / (SELECT b FROM b) AS x, source, lang, topic, n, e FROM w{step}")
+    parts.append(f"all_rounds AS MATERIALIZED ({' UNION ALL '.join(rounds)})")
+    parts.append(f"mix AS (SELECT source, lang, topic, round(least(1.0, coalesce(e / nullif(n, 0), 1.0)), 6) AS p FROM all_rounds WHERE r = (SELECT coalesce(min(r) FILTER (WHERE x < {TOLERANCE}), {ROUNDS - 1}) FROM all_rounds))")
     return "WITH " + ",\n".join(parts) + """
 SELECT c.doc_id, c.source, c.lang, c.topic, c.n_tokens, p AS probability, CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) / 4294967296.0 < p AS kept
 FROM c JOIN mix ON c.source IS NOT DISTINCT FROM mix.source AND c.lang IS NOT DISTINCT FROM mix.lang AND c.topic IS NOT DISTINCT FROM mix.topic"""
