@@ -32,12 +32,14 @@ from pyspark.sql import types as T
 
 from tremora.llm.files import Written, open_read
 from tremora.llm.textscan import LOWER, Words, array_slices, column_of, mix, text_buffers
-from tremora.llm.units import UNIT_SLICE, UnitIds, per_row, string_array
+from tremora.llm.units import UnitIds, per_row, string_array
 
 MAGIC = b"TRMIDS02"
 END_ID = 1
 DOCS_PER_SHARD = 1 << 14
 MOST_SHARDS = 20_000
+#: Bytes of text whose words are made distinct together, and words of one generation that a worker remembers: the library's calls cost more than the memory.
+TEXT_SLICE, REMEMBERED = 4 << 20, 300_000
 #: Words of bits for each stored rank, and the bytes at the end of a shard that are read first.
 RANK_WORDS = 8
 FOOTER_GUESS = 1024
@@ -106,7 +108,7 @@ class JoinedWords:
 def _encoder(path: str) -> UnitIds:
     if path not in _encoders:
         encode = JoinedWords(path)
-        _encoders[path] = UnitIds(encode, encode.dtype.str)
+        _encoders[path] = UnitIds(encode, encode.dtype.str, REMEMBERED)
     return _encoders[path]
 
 
@@ -119,10 +121,10 @@ def encode_texts(column: pa.Array, path: str, end_id: int = END_ID) -> pa.Array:
     encoder, out = _encoder(path), []
     if not encoder.encode.splits:
         texts = column.fill_null("") if column.null_count else column
-        for part in array_slices(texts, UNIT_SLICE // 4):
+        for part in array_slices(texts, TEXT_SLICE // 8):
             out.append(pa.array([np.append(ids, encoder.dtype.type(end_id)).tobytes() for ids in encoder.encode.whole(part.to_pylist())], pa.binary()))
         return pa.concat_arrays(out) if out else pa.array([], pa.binary())
-    for part in array_slices(column, UNIT_SLICE):
+    for part in array_slices(column, TEXT_SLICE):
         data, offsets = text_buffers(part)
         words = Words(data, offsets, hashes=False)
         begins = np.zeros(len(data), dtype=bool)

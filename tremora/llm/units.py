@@ -23,8 +23,8 @@ UNIT_SLICE = 2 << 20
 class UnitIds:
     """Ids of units as little-endian bytes of ``dtype``. Units in use stay known: a full generation becomes the older one, and what it is asked for moves to the younger."""
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]], dtype: str):
-        self.encode, self.dtype = encode, np.dtype(dtype)
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], dtype: str, remembered: int = REMEMBERED):
+        self.encode, self.dtype, self.remembered = encode, np.dtype(dtype), remembered
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -45,7 +45,7 @@ class UnitIds:
             out[i] = ids
             if len(units[i]) <= LONGEST_REMEMBERED:
                 young[units[i]] = ids
-        if len(young) > REMEMBERED:
+        if len(young) > self.remembered:
             self.young, self.old = {}, young
         return out
 
