@@ -263,7 +263,9 @@ def test_packages_are_zip_files(spark, tmp_path):
     pages = spark.createDataFrame(PAGES, "page_id long, url string, html string")
     for row in cut(warc.write_archives(pages, scratch(spark, "w"))).collect():
         with zipfile.ZipFile(row["archive"].removeprefix("file://")) as package:
-            assert package.testzip() is None and package.namelist() == ["archive/data.warc.gz", "indexes/index.jsonl"]
+            assert package.testzip() is None and package.namelist() == ["archive/data.warc.gz", "indexes/index.cdxj"]
+            lines = package.read("indexes/index.cdxj").decode().splitlines()
+            assert len(lines) == row["records"] and lines == sorted(lines)
     plain = tmp_path / "plain.zip"  # without ZIP64 records
     with zipfile.ZipFile(plain, "w") as package:
         package.writestr("a/b", b"stored")
@@ -272,6 +274,42 @@ def test_packages_are_zip_files(spark, tmp_path):
         assert reader.read(*reader.stored("a/b")) == b"stored"
 
 
+@pytest.mark.parametrize("index", ["cdxj", "cdxj.gz", "deflated", "none", "plain"])
+def test_packages_of_other_writers_are_read(spark, tmp_path, index):
+    """Several archives under other names, records of several types, an index in several forms or none."""
+    import gzip
+    import zipfile
+
+    def raw(kind, url, block, http=True, extra=""):
+        head = f"WARC/1.0\r\nWARC-Type: {kind}\r\nwarc-record-id: <urn:uuid:{url}-{kind}>\r\n{extra}WARC-Target-URI: http://x.org/{url}\r\n"
+        body = (b"HTTP/1.1 200 OK\r\nX-A: b\r\n\r\n" if http else b"") + block
+        return (head + f"Content-Type: application/{'http; msgtype=response' if http else 'warc-fields'}\r\nContent-Length: {len(body)}\r\n\r\n").encode() + body + b"\r\n\r\n"
+
+    big = bytes(range(256)) * 9000
+    records = [("one.warc.gz", raw("warcinfo", "i", b"software: x", False)), ("one.warc.gz", raw("response", "a", b"hello")), ("two.warc.gz", raw("response", "b", big)), ("two.warc.gz", raw("revisit", "c", b"", extra="WARC-Refers-To: <urn:uuid:a-response>\r\n"))]
+    packed = {"one.warc.gz": b"", "two.warc.gz": b""}
+    lines = []
+    for name, record in records:
+        part = record if index == "plain" else gzip.compress(record)
+        lines.append(f"org,x)/ 20200101000000 " + json.dumps({"filename": name, "offset": len(packed[name]), "length": str(len(part))}))
+        packed[name] += part
+    listing = "!meta 0 {}\n" + "\n".join(lines)
+    with zipfile.ZipFile(tmp_path / "p.wacz", "w") as package:
+        for name, data in packed.items():
+            package.writestr("archive/" + (name.removesuffix(".gz") if index == "plain" else name), data)
+        if index == "cdxj.gz":
+            package.writestr("indexes/a.cdxj.gz", gzip.compress(listing[:50].encode()) + gzip.compress(listing[50:].encode()))
+        elif index in ("cdxj", "deflated"):
+            package.writestr("indexes/a.cdxj", listing, zipfile.ZIP_DEFLATED if index == "deflated" else zipfile.ZIP_STORED)
+        package.writestr("datapackage.json", "{}")
+    frame = spark.createDataFrame([(str(tmp_path / "p.wacz"),)], "archive string")
+    got = {(r["record_type"], r["url"][-1]): r for r in warc.read_archives(frame).collect()}
+    assert set(got) == {("warcinfo", "i"), ("response", "a"), ("response", "b"), ("revisit", "c")}
+    assert bytes(got["response", "a"]["payload"]) == b"hello" and bytes(got["response", "b"]["payload"]) == big
+    assert got["response", "a"]["payload_digest"] == warc.base32_sha1(b"hello") and got["revisit", "c"]["refers_to_id"] == "urn:uuid:a-response"
+    assert all(r["page_id"] is None for r in got.values())
+
+
 def test_media_hold_texts_without_loss(docs):
     media = jpeg.with_media(docs.withColumn("media_features", F.lit(1)))
     for r in jpeg.with_features(media).collect():

@@ -2,21 +2,23 @@
 
 Writing: equal payloads are found on their digests alone (largest page_id per digest, combined before
 the shuffle), then each partition streams gzip-compressed WARC records into ZIP packages that store one
-WARC member and its index member without compression. The packages always carry ZIP64 records.
+WARC member and its CDXJ index member without compression. The packages always carry ZIP64 records.
 
 Reading: the reader parses the end record, the ZIP64 locator and directory and the central directory,
-finds the stored members, and reads single records by range; nothing is extracted.
+finds the stored WARC members, and reads single records by range as the package's indexes say: CDXJ or lines of JSON,
+plain, gzip-compressed or deflated in the package. WARC members without an index are walked record by record in
+ranges of bounded size. Nothing is extracted. Packages of other writers are read too: any names of members and records.
 
 Defined results: a null payload is empty. Records with equal payloads revisit the one of largest
 page_id; rows that repeat that page_id with that payload are responses too; payloads whose page_ids are
-all null are responses. A null url is written as the record's own URN.
+all null are responses. A null url is written as the record's own URN. Records of other writers have a null page_id;
+what a record doesn't state is null.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-import io
 import json
 import struct
 import uuid
@@ -31,6 +33,8 @@ from tremora.llm.files import Written, open_read
 
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 ARCHIVE_BYTES = 64 << 20
+#: Bytes that are read at once where no index says how long a record is.
+RANGE_BYTES = 1 << 20
 _FULL = 0xFFFFFFFF
 
 
@@ -110,22 +114,57 @@ class ZipReader:
         self.file.seek(at)
         return self.file.read(n)
 
+    def _data(self, name: str) -> tuple[int, int]:
+        _, offset, size = self.members[name]
+        named, extras = struct.unpack("<HH", self.read(offset + 26, 4))
+        return offset + 30 + named + extras, size
+
     def stored(self, name: str) -> tuple[int, int]:
         """(start, size) of a stored member's data."""
-        method, offset, size = self.members[name]
-        if method:
+        if self.members[name][0]:
             raise ValueError(f"{name} is compressed")
-        named, extras = struct.unpack("<HH", self.read(offset + 26, 4))
-        return offset + 30 + named + extras, size
+        return self._data(name)
+
+    def lines(self, name: str) -> Iterator[bytes]:
+        """Lines of a text member, stored or deflated, gzip-compressed (in any number of parts) or not, a range at a time."""
+        at, size = self._data(name)
+        steps = [zlib.decompressobj(-15)] if self.members[name][0] == 8 else []
+        if self.members[name][0] not in (0, 8):
+            raise ValueError(f"{name} is compressed in a way that isn't known")
+        rest, gzipped = b"", None
+        for begin in range(at, at + size, RANGE_BYTES):
+            data = self.read(begin, min(RANGE_BYTES, at + size - begin))
+            if steps:
+                data = steps[0].decompress(data)
+            if gzipped is None and data:
+                gzipped = zlib.decompressobj(31) if name.endswith(".gz") and data[:2] == b"\x1f\x8b" else False
+            if gzipped:
+                plain = gzipped.decompress(data)
+                while gzipped.eof and gzipped.unused_data:
+                    data, gzipped = gzipped.unused_data, zlib.decompressobj(31)
+                    plain += gzipped.decompress(data)
+                data = plain
+            *whole, rest = (rest + data).split(b"\n")
+            yield from whole
+        if rest:
+            yield rest
 
 
 # -- records ----------------------------------------------------------------------------------------
 
 
+def own_urn(page_id, digest: str) -> str:
+    return f"urn:x-page:{page_id}:{digest}"
+
+
+def clean_url(url: str | None, own: str) -> str:
+    return own if url is None else "".join(c if c > " " and c != "\x7f" else "%%%02X" % ord(c) for c in url)
+
+
 def record(page_id, url, payload: bytes | None, size: int, digest: str, refers_to, date: str) -> bytes:
     """A gzip member with one record; ``payload`` is None for a revisit."""
-    own = f"urn:x-page:{page_id}:{digest}"
-    clean = own if url is None else "".join(c if c > " " and c != "\x7f" else "%%%02X" % ord(c) for c in url)
+    own = own_urn(page_id, digest)
+    clean = clean_url(url, own)
     block = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode() + (payload or b"")
     lines = ["WARC/1.1", f"WARC-Type: {'response' if payload is not None else 'revisit'}", f"WARC-Record-ID: <{own}>", f"WARC-Date: {date}", f"WARC-Target-URI: {clean}", f"WARC-Payload-Digest: sha1:{digest}"]
     if payload is None:
@@ -135,35 +174,89 @@ def record(page_id, url, payload: bytes | None, size: int, digest: str, refers_t
     return packer.compress("\r\n".join(lines).encode() + block + b"\r\n\r\n") + packer.flush()
 
 
+def _fields(head: bytes) -> dict[str, str]:
+    """Header lines by lower-case name; folded lines are joined."""
+    found: dict[str, str] = {}
+    last = None
+    for line in head.decode("utf-8", "replace").splitlines()[1:]:
+        if line[:1] in " \t" and last:
+            found[last] += " " + line.strip()
+        elif ":" in line:
+            name, _, value = line.partition(":")
+            last = name.strip().lower()
+            found[last] = value.strip()
+    return found
+
+
 def parse_record(member: bytes) -> tuple[dict[str, str], dict[str, str], bytes]:
-    """(WARC headers, HTTP headers, payload) of a gzip member."""
-    plain = zlib.decompress(member, 31)
+    """(WARC headers, HTTP headers, payload) of a record, gzip-compressed or not; names of headers in lower case. Records of other content than HTTP have it whole as payload."""
+    plain = zlib.decompress(member, 31) if member[:2] == b"\x1f\x8b" else member
     head, _, rest = plain.partition(b"\r\n\r\n")
-    fields = dict(x.split(": ", 1) for x in head.decode().split("\r\n")[1:])
-    block = rest[: int(fields["Content-Length"])]
+    fields = _fields(head)
+    block = rest[: int(fields.get("content-length", len(rest)))]
+    if not fields.get("content-type", "").startswith("application/http"):
+        return fields, {}, block
     http, _, payload = block.partition(b"\r\n\r\n")
-    return fields, dict(x.split(": ", 1) for x in http.decode().split("\r\n")[1:]), payload
+    return fields, _fields(http), payload
+
+
+def walk_records(package: ZipReader, at: int, size: int) -> Iterator[bytes]:
+    """The records of a WARC member in turn, without an index: read in ranges, one record in memory."""
+    end = at + size
+    while at < end:
+        held = package.read(at, min(RANGE_BYTES, end - at))
+        if held[:2] == b"\x1f\x8b":
+            unpack, plain, begin = zlib.decompressobj(31), [], at
+            while True:
+                plain.append(unpack.decompress(held))
+                at += len(held) - len(unpack.unused_data)
+                if unpack.eof or at >= end:
+                    break
+                held = package.read(at, min(RANGE_BYTES, end - at))
+            if at == begin:
+                return
+            yield b"".join(plain)
+        else:
+            while b"\r\n\r\n" not in held and at + len(held) < end:
+                held += package.read(at + len(held), min(RANGE_BYTES, end - at - len(held)))
+            head, found, _ = held.partition(b"\r\n\r\n")
+            if not found:
+                return
+            total = len(head) + 4 + int(_fields(head).get("content-length", 0)) + 4
+            yield held[:total] if total <= len(held) else package.read(at, min(total, end - at))
+            at += total
 
 
 def base32_sha1(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
+def sort_key(url: str) -> str:
+    """The form of an address by which indexes are sorted: the host's parts from the last to the first, then the path."""
+    scheme, _, rest = url.partition("://")
+    if not rest:
+        return url.lower()
+    host, slash, path = rest.partition("/")
+    name, colon, port = host.lower().partition(":")
+    return ",".join(reversed(name.removeprefix("www.").split("."))) + (f":{port}" if colon else "") + ")" + ("/" + path.lower() if slash else "/")
+
+
 class _Package:
     def __init__(self, folder: str):
         name = uuid.uuid4().hex
-        self.zip, self.index, self.rows = ZipWriter(Written(folder, f"{name}.wacz")), io.BytesIO(), 0
+        self.zip, self.index, self.rows = ZipWriter(Written(folder, f"{name}.wacz")), [], 0
         self.zip.begin("archive/data.warc.gz")
 
-    def add(self, key: str, data: bytes) -> None:
-        self.index.write(json.dumps([key, self.zip.size, len(data)]).encode() + b"\n")
+    def add(self, url: str, date: str, digest: str, kind: str, data: bytes) -> None:
+        entry = {"url": url, "mime": "warc/revisit" if kind == "revisit" else "text/html", "status": "200", "digest": f"sha1:{digest}", "length": str(len(data)), "offset": str(self.zip.size), "filename": "data.warc.gz"}
+        self.index.append(f"{sort_key(url)} {''.join(c for c in date if c.isdigit())[:14]} {json.dumps(entry)}\n")
         self.zip.write(data)
         self.rows += 1
 
     def close(self) -> dict:
         self.zip.end()
-        self.zip.begin("indexes/index.jsonl")
-        self.zip.write(self.index.getvalue())
+        self.zip.begin("indexes/index.cdxj")
+        self.zip.write("".join(sorted(self.index)).encode())
         self.zip.end()
         return {"archive": self.zip.close(), "records": self.rows}
 
@@ -182,7 +275,7 @@ def write_archives(pages: DataFrame, folder: str, key: str = "page_id", url: str
             for k, u, d, last_k, n, h in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 package = package or _Package(folder)
                 digest = base64.b32encode(bytes.fromhex(d)).decode()
-                package.add(str(k), record(k, u, None if h is None else h.encode(), n, digest, last_k, date))
+                package.add(clean_url(u, own_urn(k, digest)), date, digest, "revisit" if h is None else "response", record(k, u, None if h is None else h.encode(), n, digest, last_k, date))
                 if package.zip.size >= archive_bytes:
                     yield _rows([package.close()])
                     package = None
@@ -198,35 +291,72 @@ def _rows(rows: list[dict]):
     return pa.RecordBatch.from_pylist(rows)
 
 
+def indexed(package: ZipReader) -> tuple[list[tuple[str, int, int]], set[str]]:
+    """(WARC member, offset, length) of the records that the indexes list, in order of place, and the members they cover."""
+    warcs = [n for n in package.members if n.lower().endswith((".warc.gz", ".warc"))]
+    by_file = {n.rsplit("/", 1)[-1]: n for n in warcs}
+    found: set[tuple[str, int, int]] = set()
+    for name in package.members:
+        if name in warcs or not name.lower().removesuffix(".gz").endswith((".cdxj", ".cdx", ".jsonl")):
+            continue
+        for line in package.lines(name):
+            brace = line.find(b"{")
+            if brace < 0:
+                continue
+            try:
+                entry = json.loads(line[brace:])
+                member = by_file.get(str(entry["filename"]).rsplit("/", 1)[-1])
+                place = int(entry["offset"]), int(entry["length"])
+            except (ValueError, KeyError, TypeError):
+                continue  # a head line, or an entry of another kind
+            if member:
+                found.add((member, *place))
+    return sorted(found), {m for m, _, _ in found}
+
+
+def _row(member: bytes) -> tuple:
+    fields, http, payload = parse_record(member)
+    kind = fields.get("warc-type", "")
+    digest = fields.get("warc-payload-digest", "").rpartition(":")[2] or None
+    name, refers = (fields.get(x, "").strip("<>") for x in ("warc-record-id", "warc-refers-to"))
+    own = name.startswith("urn:x-page:")
+    if own and kind == "response" and (len(payload) != int(http["content-length"]) or base32_sha1(payload) != digest):
+        raise ValueError("a payload doesn't match its headers")
+    size = int(http["content-length"]) if kind == "revisit" and http.get("content-length", "").isdigit() else None if kind == "revisit" else len(payload)
+    number = lambda urn: int(x) if urn.startswith("urn:x-page:") and (x := urn.split(":")[2]) != "None" else None
+    return (number(name), fields.get("warc-target-uri"), kind, size, digest if digest or kind == "revisit" else base32_sha1(payload), number(refers), None if kind == "revisit" else payload, name or None, refers or None)
+
+
 def read_archives(archives: DataFrame) -> DataFrame:
-    """Every record of the packages, by their indexes: (page_id, url, record_type, payload_bytes, payload_digest, refers_to, payload)."""
-    schema = "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary"
-    number = lambda urn: None if (x := urn.split(":")[2]) == "None" else int(x)
+    """Every record of the packages: (page_id, url, record_type, payload_bytes, payload_digest, refers_to, payload, record_id, refers_to_id)."""
+    schema = "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary, record_id string, refers_to_id string"
+
+    def records(package: ZipReader) -> Iterator[bytes]:
+        listed, covered = indexed(package)
+        starts = {m: package.stored(m)[0] for m in covered}
+        for member, offset, size in listed:
+            yield package.read(starts[member] + offset, size)
+        for member in package.members:
+            if member not in covered and member.lower().endswith((".warc.gz", ".warc")):
+                yield from walk_records(package, *package.stored(member))
 
     def read(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        kinds = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary())])
+        kinds = pa.schema([(n, {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}[t]) for n, t in (x.split() for x in schema.split(", "))])
+        batch_of = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), kinds, strict=True)], schema=kinds)
         for batch in batches:
             for path in batch.column(0).to_pylist():
                 with open_read(path) as file:
-                    package = ZipReader(file)
-                    data_at, _ = package.stored("archive/data.warc.gz")
                     rows, held = [], 0
-                    for line in package.read(*package.stored("indexes/index.jsonl")).splitlines():
-                        _, offset, size = json.loads(line)
-                        fields, http, payload = parse_record(package.read(data_at + offset, size))
-                        kind, digest = fields["WARC-Type"], fields["WARC-Payload-Digest"].removeprefix("sha1:")
-                        if kind == "response" and (len(payload) != int(http["Content-Length"]) or base32_sha1(payload) != digest):
-                            raise ValueError("a payload doesn't match its headers")
-                        refers = number(fields["WARC-Refers-To"].strip("<>")) if kind == "revisit" else None
-                        rows.append((number(fields["WARC-Record-ID"].strip("<>")), fields["WARC-Target-URI"], kind, int(http["Content-Length"]), digest, refers, payload if kind == "response" else None))
-                        held += len(payload)
+                    for member in records(ZipReader(file)):
+                        rows.append(_row(member))
+                        held += len(rows[-1][6] or b"") + 100
                         if held > 4 << 20:
-                            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), kinds, strict=True)], schema=kinds)
+                            yield batch_of(rows)
                             rows, held = [], 0
                     if rows:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), kinds, strict=True)], schema=kinds)
+                        yield batch_of(rows)
 
     return archives.select("archive").mapInArrow(read, schema)
 
