@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import struct
+from datetime import date, timedelta
 
 import numpy as np
 import pyarrow as pa
@@ -121,3 +122,15 @@ def without_subjects(rows: DataFrame, subjects: DataFrame, key: str, path: str)
     gone = subjects.select(F.col(key).alias("__gone"))
     rows.join(gone, F.col(key) == F.col("__gone"), "left_anti").write.parquet(path)
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
+def drop_partitions(spark: SparkSession, path: str, column: str, days: int) -> None:
+    """Delete the folders column=date of a table that are ``days`` or more before the last one."""
+    jvm = spark._jvm
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = {s.getPath().getName().partition("=")[2]: s.getPath() for s in fs.listStatus(root) if s.getPath().getName().startswith(f"{column}=")}
+    known = {date.fromisoformat(d): p for d, p in found.items() if d != "__HIVE_DEFAULT_PARTITION__"}
+    for day, place in known.items():
+        if day <= max(known) - timedelta(days=days):
+            fs.delete(place, True)
