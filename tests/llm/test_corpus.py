@@ -369,9 +369,9 @@ def test_raked_shares_meet_the_targets(spark):
     rows = cells.join(mixing.probabilities(counted), list(mixing.DIMENSIONS)).toPandas()
     rows["e"] = rows["n"] * rows["p"]
     assert rows["p"].between(0, 1).all() and abs(rows["e"].sum() / total - mixing.BUDGET) < 0.005
-    cut_short = 0
+    cut_short, targets = 0, mixing.targets_of(cells).toPandas()
     for dim in mixing.DIMENSIONS:
-        want = mixing.targets_of(cells, dim, mixing.BUDGET * total).toPandas().set_index("v")
+        want = targets[targets["dim"] == dim].set_index("v")
         have = rows.groupby(dim)["e"].sum()
         assert (abs(have - want["t"]) / (mixing.BUDGET * total) < mixing.TOLERANCE).all()
         cut_short += (want["t"] < want["wanted"] - 1).sum()

@@ -49,49 +49,55 @@ def with_cells(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.withColumn("topic", topic(F.col(text), F.col("n_tokens")))
 
 
-def targets_of(cells: DataFrame, dim: str, tokens_wanted: float, shares: DataFrame | None = None, temper: float = TEMPER) -> DataFrame:
-    """(v, wanted, t): the tokens that each value of a marginal should have, and those that it can have. ``shares`` has (value, share)."""
-    held = cells.groupBy(F.col(dim).alias("v")).agg(F.sum("n").cast("double").alias("m"))
-    if shares is None:
-        held = held.withColumn("s", F.pow("m", F.lit(temper)))
-    else:
-        given = shares.select(F.col(shares.columns[0]).alias("__v"), F.col(shares.columns[1]).cast("double").alias("s"))
-        held = held.join(given, F.col("v").eqNullSafe(F.col("__v")), "left").select("v", "m", F.coalesce("s", F.lit(0.0)).alias("s"))
-    held = cut(held, "marginal")
-    rate = wanted = tokens_wanted / (held.agg(F.sum("s")).first()[0] or 1.0)
+def targets_of(cells: DataFrame, budget: float = BUDGET, shares: Mapping[str, DataFrame] | None = None, dimensions: tuple[str, ...] = DIMENSIONS, temper: float = TEMPER) -> DataFrame:
+    """(dim, v, wanted, t): the tokens that each value of each marginal should have, and those that it can have. ``shares`` may give (value, share) for any dimension."""
+    own = []
+    for d in dimensions:
+        held = cells.groupBy(F.col(d).cast("string").alias("v")).agg(F.sum("n").cast("double").alias("m"))
+        if given := (shares or {}).get(d):
+            asked = given.select(F.col(given.columns[0]).cast("string").alias("__v"), F.col(given.columns[1]).cast("double").alias("s"))
+            held = held.join(asked, F.col("v").eqNullSafe(F.col("__v")), "left").select("v", "m", F.coalesce("s", F.lit(0.0)).alias("s"))
+        else:
+            held = held.withColumn("s", F.pow("m", F.lit(temper)))
+        own.append(held.select(F.lit(d).alias("dim"), "v", "m", "s"))
+    table = own[0]
+    for held in own[1:]:
+        table = table.union(held)
+    table = cut(table, "marginals")
+    # of each marginal: the budget, and the rate at which shares become tokens, raised as values reach all that they have
+    rates = table.groupBy("dim").agg((budget * F.sum("m")).alias("b"), (budget * F.sum("m") / F.nullif(F.sum("s"), F.lit(0.0))).alias("rate")).withColumn("first", F.col("rate"))
     for _ in range(FILL_STEPS):
-        full = F.col("s") * rate >= F.col("m")
-        r = held.agg(F.sum(F.when(full, F.col("m")).otherwise(0.0)).alias("m"), F.sum(F.when(full, 0.0).otherwise(F.col("s"))).alias("s")).first()
-        rate = (tokens_wanted - r["m"]) / r["s"] if r["s"] else rate
-    return held.select("v", (F.col("s") * wanted).alias("wanted"), F.least(F.col("m"), F.col("s") * rate).alias("t"))
+        full = F.col("s") * F.col("rate") >= F.col("m")
+        left = table.join(rates, "dim").groupBy("dim", "b", "rate", "first").agg(F.sum(F.when(full, F.col("m")).otherwise(0.0)).alias("__m"), F.sum(F.when(full, 0.0).otherwise(F.col("s"))).alias("__s"))
+        rates = left.select("dim", "b", F.coalesce((F.col("b") - F.col("__m")) / F.nullif("__s", F.lit(0.0)), F.col("rate")).alias("rate"), "first")
+    return table.join(rates, "dim").select("dim", "v", (F.col("s") * F.col("first")).alias("wanted"), F.least(F.col("m"), F.col("s") * F.col("rate")).alias("t"))
 
 
 def _moved(raked: DataFrame, dim: str, targets: DataFrame) -> DataFrame:
     """Rake to one marginal; no cell gets more than it has."""
-    sums = raked.groupBy(F.col(dim).alias("__v")).agg(F.sum("e").alias("__sum"))
-    factor = sums.join(targets, F.col("__v").eqNullSafe(F.col("v"))).select("__v", (F.col("t") / F.nullif("__sum", F.lit(0.0))).alias("__f"))
-    return raked.join(factor, F.col(dim).eqNullSafe(F.col("__v"))).withColumn("e", F.least(F.col("n").cast("double"), F.coalesce(F.col("e") * F.col("__f"), F.lit(0.0)))).drop("__v", "__f")
+    sums = raked.groupBy(F.col(dim).cast("string").alias("__v")).agg(F.sum("e").alias("__sum"))
+    factor = sums.join(targets.where(F.col("dim") == dim), F.col("__v").eqNullSafe(F.col("v"))).select("__v", (F.col("t") / F.nullif("__sum", F.lit(0.0))).alias("__f"))
+    return raked.join(factor, F.col(dim).cast("string").eqNullSafe(F.col("__v"))).withColumn("e", F.least(F.col("n").cast("double"), F.coalesce(F.col("e") * F.col("__f"), F.lit(0.0)))).drop("__v", "__f")
 
 
-def residual(raked: DataFrame, targets: Mapping[str, DataFrame], tokens_wanted: float) -> float:
+def residual(raked: DataFrame, targets: DataFrame, dimensions: tuple[str, ...] = DIMENSIONS) -> float:
     """The largest distance of a share from its target."""
-    most = 0.0
-    for dim, own in targets.items():
-        sums = raked.groupBy(F.col(dim).alias("__v")).agg(F.sum("e").alias("__sum"))
-        most = max(most, sums.join(own, F.col("__v").eqNullSafe(F.col("v"))).agg(F.max(F.abs(F.col("__sum") - F.col("t")))).first()[0] or 0.0)
-    return most / tokens_wanted if tokens_wanted else 0.0
+    sides = F.explode(F.array(*(F.struct(F.lit(d).alias("dim"), F.col(d).cast("string").alias("__v")) for d in dimensions))).alias("side")
+    sums = raked.select(sides, "e").groupBy("side").agg(F.sum("e").alias("__sum")).select("side.*", "__sum")
+    both = sums.join(targets.withColumnRenamed("dim", "__dim"), (F.col("dim") == F.col("__dim")) & F.col("__v").eqNullSafe(F.col("v")))
+    most = both.groupBy("dim").agg(F.max(F.abs(F.col("__sum") - F.col("t"))).alias("x"), F.sum("t").alias("b"))
+    return most.agg(F.max(F.col("x") / F.nullif("b", F.lit(0.0)))).first()[0] or 0.0
 
 
 def rake(cells: DataFrame, budget: float = BUDGET, shares: Mapping[str, DataFrame] | None = None, dimensions: tuple[str, ...] = DIMENSIONS, rounds: int = ROUNDS, tolerance: float = TOLERANCE, temper: float = TEMPER) -> DataFrame:
     """Add ``e``, the expected tokens of each cell in the sample. ``shares`` may give (value, share) for any of the dimensions."""
-    tokens_wanted = budget * float(cells.agg(F.sum("n")).first()[0] or 0)
-    targets = {d: cut(targets_of(cells, d, tokens_wanted, (shares or {}).get(d), temper), "targets") for d in dimensions}
+    targets = cut(targets_of(cells, budget, shares, dimensions, temper), "targets")
     raked = cells.withColumn("e", F.col("n") * F.lit(float(budget)))
     for _ in range(rounds):
-        for d, own in targets.items():
-            raked = _moved(raked, d, own)
+        for d in dimensions:
+            raked = _moved(raked, d, targets)
         raked = cut(raked, "raked")
-        if residual(raked, targets, tokens_wanted) < tolerance:
+        if residual(raked, targets, dimensions) < tolerance:
             break
     return raked
 
