@@ -28,9 +28,37 @@ def odd(spark):
     long, passage = word(3000), word(70)
     near = long.split()
     near[100], near[2000] = "changed", "again"
-    texts = [None, "", " \n", "two words", "two words", "Two WORDS", long, " ".join(near), long.upper().lower(), "line\n" * 60, word(40) + " " + passage + " " + word(30), passage + " " + word(90), word(60), word(49), word(50)]
-    rows = [(i - 2, t, None if i % 5 == 4 else ("en", "de")[i % 2], None if i % 7 == 3 else f"s{i % 3}", 0, "b", 1, "m", 2) for i, t in enumerate(texts)]
-    return spark.createDataFrame([*rows, rows[4], (None, "two words", None, None, None, None, None, None, None), (None, "alone here", "en", "s", 1, "b", 2, "m", 3)], SCHEMA)
+    texts = [
+        None,
+        "",
+        " \n",
+        "two words",
+        "two words",
+        "Two WORDS",
+        long,
+        " ".join(near),
+        long.upper().lower(),
+        "line\n" * 60,
+        word(40) + " " + passage + " " + word(30),
+        passage + " " + word(90),
+        word(60),
+        word(49),
+        word(50)
+    ]
+    rows = [
+        (i - 2, t, None if i % 5 == 4 else ("en", "de")[i % 2], None if i % 7 == 3 else f"s{i % 3}", 0, "b", 1, "m", 2)
+        for i,
+        t in enumerate(texts)
+    ]
+    return spark.createDataFrame(
+        [
+            *rows,
+            rows[4],
+            (None, "two words", None, None, None, None, None, None, None),
+            (None, "alone here", "en", "s", 1, "b", 2, "m", 3)
+        ],
+        SCHEMA
+    )
 
 
 def frames(spark, odd, sf):
@@ -68,9 +96,13 @@ def brute_components(rows):
 def test_components_equal_brute_force(spark, odd, sf):
     for frame in frames(spark, odd, sf):
         got = near_duplicates.near_duplicates(frame).collect()
-        want = brute_components([(r["doc_id"], r["text"]) for r in frame.select("doc_id", "text").collect() if r["doc_id"] is not None])
+        want = brute_components(
+            [(r["doc_id"], r["text"]) for r in frame.select("doc_id", "text").collect() if r["doc_id"] is not None]
+        )
         assert len(got) == frame.count()
-        assert {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in got if r["doc_id"] is not None} == want
+        assert {
+            r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in got if r["doc_id"] is not None
+        } == want
         left = near_duplicates.drop_near_duplicates(frame)
         assert left.columns == frame.columns
         assert {r["doc_id"] for r in left.collect()} - {None} == {k for k, v in want.items() if v[2]}
@@ -88,11 +120,17 @@ def test_links_between_members_that_miss_the_first_are_found(spark):
             own[at] = f"x{i}_{at}"
         rows.append((i, " ".join(own)))
     frame = spark.createDataFrame(rows, "doc_id long, text string")
-    assert {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in near_duplicates.near_duplicates(frame).collect()} == brute_components(rows)
+    assert {
+        r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"])
+        for r in near_duplicates.near_duplicates(frame).collect()
+    } == brute_components(rows)
 
 
 def test_untried_pairs_join_other_components_only(spark):
-    grouped = spark.createDataFrame([(7, 0, 4, d, 10, 0, 0, (1, 10, 0, 0)) for d in (1, 2, 3, 4)], "bucket long, band int, size long, doc long, n long, s1 long, s2 long, lead struct<doc:long,n:long,s1:long,s2:long>")
+    grouped = spark.createDataFrame(
+        [(7, 0, 4, d, 10, 0, 0, (1, 10, 0, 0)) for d in (1, 2, 3, 4)],
+        "bucket long, band int, size long, doc long, n long, s1 long, s2 long, lead struct<doc:long,n:long,s1:long,s2:long>"
+    )
     found = spark.createDataFrame([(2, 1)], "doc long, component long")
     docs = spark.createDataFrame([(d, "one two three four five six") for d in (1, 2, 3, 4)], "doc_id long, text string")
     pairs = {tuple(r) for r in near_duplicates.between_components(grouped, found, docs, "doc_id", "text").collect()}
@@ -101,7 +139,9 @@ def test_untried_pairs_join_other_components_only(spark):
 
 def test_components_of_a_path_and_of_no_links(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(1, 40)] + [(100, 90), (90, 95)], "a long, b long")
-    assert {tuple(r) for r in near_duplicates.components(links).collect()} == {(i, 1) for i in range(2, 41)} | {(95, 90), (100, 90)}
+    assert {
+        tuple(r) for r in near_duplicates.components(links).collect()
+    } == {(i, 1) for i in range(2, 41)} | {(95, 90), (100, 90)}
     assert near_duplicates.components(links.limit(0)).collect() == []
 
 
@@ -110,11 +150,17 @@ def test_components_of_a_path_and_of_no_links(spark):
 
 def test_passages_of_over_50_words_are_found_and_real(spark, odd, sf):
     for frame in frames(spark, odd, sf):
-        rows = {r["doc_id"]: words(r["text"]) for r in frame.select("doc_id", "text").collect() if r["doc_id"] is not None}
+        rows = {
+            r["doc_id"]: words(r["text"]) for r in frame.select("doc_id", "text").collect() if r["doc_id"] is not None
+        }
         got = fuzzy_passages.fuzzy_passages(frame).collect()
         for r in got:
             a, b = rows[r["doc_id"]][r["start"] : r["end"]], rows[r["home"]][r["home_start"] : r["home_end"]]
-            assert r["home"] < r["doc_id"] and r["n_matched"] >= 50 and lcs(a, b) == r["n_matched"] and r["n_matched"] >= 0.75 * max(len(a), len(b))
+            assert r["home"] < r["doc_id"] and r[
+                "n_matched"
+            ] >= 50 and lcs(a, b) == r["n_matched"] and r["n_matched"] >= 0.75 * max(
+                len(a), len(b)
+            )
         covered = defaultdict(set)
         for r in got:
             covered[r["doc_id"]] |= set(range(r["start"], r["end"]))
@@ -147,7 +193,9 @@ def edited(rng, passage, rate, kinds):
     out = []
     for w in passage:
         kind = rng.choice(kinds) if rng.random() < rate else "keep"
-        out += {"keep": [w], "change": [f"c{rng.integers(10**6)}"], "insert": [f"i{rng.integers(10**6)}", w], "delete": []}[kind]
+        out += {
+            "keep": [w], "change": [f"c{rng.integers(10**6)}"], "insert": [f"i{rng.integers(10**6)}", w], "delete": []
+        }[kind]
     return out
 
 
@@ -160,18 +208,27 @@ def test_edited_passages_are_found(spark):
         for rate in (0.0, 0.05, 0.1, 0.15, 0.2):
             for kinds in (["change"], ["change", "insert", "delete"]):
                 for _ in range(10):
-                    body = [f"p{int(i)}" if rng.random() < 0.5 else w for i, w in zip(rng.integers(0, 3000, n), fresh(n), strict=True)]
+                    body = [
+                        f"p{int(i)}" if rng.random() < 0.5 else w for i,
+                        w in zip(rng.integers(0, 3000, n), fresh(n), strict=True)
+                    ]
                     other = edited(rng, body, rate, kinds)
                     agree = lcs(body, other)
                     k = len(rows)
                     before = int(rng.integers(20, 200))
-                    rows += [(k, " ".join(fresh(60) + body + fresh(90))), (k + 1, " ".join(fresh(before) + other + fresh(50)))]
+                    rows += [
+                        (k, " ".join(fresh(60) + body + fresh(90))),
+                        (k + 1, " ".join(fresh(before) + other + fresh(50)))
+                    ]
                     if agree >= 50 and agree >= 0.75 * max(len(body), len(other)):
                         planted[k + 1] = (k, before, before + len(other), rate)
     got = defaultdict(list)
     for r in fuzzy_passages.fuzzy_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect():
         got[r["doc_id"], r["home"]].append((r["start"], r["end"]))
-    found = {k: len({i for a, b in got.get((k, home), []) for i in range(max(a, s), min(b, e))}) / (e - s) for k, (home, s, e, _) in planted.items()}
+    found = {
+        k: len({i for a, b in got.get((k, home), []) for i in range(max(a, s), min(b, e))}) / (e - s) for k,
+        (home, s, e, _) in planted.items()
+    }
     for rate in (0.0, 0.05, 0.1, 0.15, 0.2):
         own = [found[k] for k, v in planted.items() if v[3] == rate]
         print(rate, len(own), np.mean([x > 0 for x in own]), np.mean(own))
@@ -202,7 +259,11 @@ def test_chains_bridge_gaps_in_order():
 
     rng = np.random.default_rng(1)
     for _ in range(30):
-        items = [(int(x), int(x) + int(n), int(y), int(y) + int(n)) for x, y, n in zip(rng.integers(0, 80, 6), rng.integers(0, 80, 6), rng.integers(5, 20, 6), strict=True)]
+        items = [
+            (int(x), int(x) + int(n), int(y), int(y) + int(n)) for x,
+            y,
+            n in zip(rng.integers(0, 80, 6), rng.integers(0, 80, 6), rng.integers(5, 20, 6), strict=True)
+        ]
         first = fuzzy_passages.chain(items)[0]
         inside = [a for a in items if first[0] <= a[0] and a[1] <= first[1] and first[2] <= a[2] and a[3] <= first[3]]
         assert math.isclose(best(inside), best(items))
@@ -231,7 +292,9 @@ def kneser_ney(texts, order):
         counts[order].update(raw[i : i + order] for i in range(len(raw) - order + 1))
     for n in range(order - 1, 0, -1):
         counts[n] = Counter(g[1:] for g in counts[n + 1])
-    discount = {n: quality_rules._discounts([sum(c == i for c in counts[n].values()) for i in range(1, 5)]) for n in counts}
+    discount = {
+        n: quality_rules._discounts([sum(c == i for c in counts[n].values()) for i in range(1, 5)]) for n in counts
+    }
     follow = {n: defaultdict(list) for n in counts}
     for n, grams in counts.items():
         for g, c in grams.items():
@@ -245,7 +308,9 @@ def kneser_ney(texts, order):
         if not own:
             return lower
         c = counts[n].get(gram, 0)
-        return max(c - discount[n][min(c, 3)], 0) / sum(own) + sum(discount[n][min(x, 3)] for x in own) / sum(own) * lower
+        return max(c - discount[n][min(c, 3)], 0) / sum(own) + sum(
+            discount[n][min(x, 3)] for x in own
+        ) / sum(own) * lower
 
     return p
 
@@ -254,14 +319,23 @@ def test_counts_and_perplexities_equal_brute_force(spark, odd, sf):
     for frame in frames(spark, odd, sf):
         rules, measured = quality_rules.fit(frame)
         rows = frame.select("text", "lang").collect()
-        models = {lang: kneser_ney([r["text"] or "" for r in rows if r["lang"] == lang], quality_rules.ORDER) for lang in {r["lang"] for r in rows}}
+        models = {
+            lang: kneser_ney([r["text"] or "" for r in rows if r["lang"] == lang], quality_rules.ORDER)
+            for lang in {r["lang"] for r in rows}
+        }
         want = Counter()
         for r in rows:
             raw = b"\n" * (quality_rules.ORDER - 1) + (r["text"] or "").encode()
             grams = [raw[i : i + quality_rules.ORDER] for i in range(len(raw) - quality_rules.ORDER + 1)]
             mean = -sum(math.log(models[r["lang"]](g)) for g in grams) / len(grams) if grams else None
             want[(*brute_counts(r["text"]), mean if mean is None else round(mean, 6))] += 1
-        got = Counter((*(r["m"][c] for c in quality_rules.COUNTS), None if r["m"]["log_perplexity"] is None else round(r["m"]["log_perplexity"], 6)) for r in measured.collect())
+        got = Counter(
+            (
+                *(r["m"][c] for c in quality_rules.COUNTS),
+                None if r["m"]["log_perplexity"] is None else round(r["m"]["log_perplexity"], 6)
+            )
+            for r in measured.collect()
+        )
         assert got == want
         kept = quality_rules.filter_documents(frame)
         assert kept.columns == frame.columns
@@ -279,7 +353,9 @@ def test_unseen_texts_fall_back_and_probabilities_add_up(spark, sf):
         model = quality_rules.Models(folder).named(quality_rules._name(r["l"]))
         for start in (b"xw", b"\n\n", b"en", b"e "):
             key = int.from_bytes(start, "big") << 8
-            assert math.isclose(np.exp(model.log_p(np.array([key | b for b in range(256)], dtype=np.uint32))).sum(), 1, rel_tol=1e-9)
+            assert math.isclose(
+                np.exp(model.log_p(np.array([key | b for b in range(256)], dtype=np.uint32))).sum(), 1, rel_tol=1e-9
+            )
 
 
 def test_any_number_of_languages_has_models_and_bands(spark):
@@ -297,22 +373,37 @@ def test_junk_goes_and_clean_texts_that_quote_stay(spark, sf):
     """Random signs, encoded data and tables go; clean texts with a passage of another language or a key stay."""
     docs = table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text", "lang")
     labels = table(spark, "/root/testdata/sf0.01", "labels")
-    clean = docs.join(labels.where("quality = 1"), "doc_id", "left_semi").where("length(text) between 1500 and 6000").orderBy("doc_id").collect()
+    clean = docs.join(
+        labels.where("quality = 1"), "doc_id", "left_semi"
+    ).where("length(text) between 1500 and 6000").orderBy("doc_id").collect()
     english = [r["text"] for r in clean if r["lang"] == "en"][:20]
     others = [r for r in clean if r["lang"] != "en"][:20]
     rng = np.random.default_rng(4)
     signs = "".join(chr(c) for c in range(33, 127))
     encoded = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
     word = lambda letters, n: "".join(rng.choice(list(letters), n))
-    junk = [(10**6 + i, " ".join(word(letters, int(rng.integers(2, 9))) for _ in range(400)), "en") for i, letters in enumerate([signs, encoded, signs[:30], "bcdfghjklmnpqrstvwxz"] * 5)]
-    quoting = [(2 * 10**6 + i, r["text"][: len(r["text"]) * 2 // 3] + " " + e[: len(r["text"]) // 4] + " " + word("0123456789abcdef", 64), r["lang"]) for i, (r, e) in enumerate(zip(others, english, strict=True))]
+    junk = [
+        (10**6 + i, " ".join(word(letters, int(rng.integers(2, 9))) for _ in range(400)), "en") for i,
+        letters in enumerate([signs, encoded, signs[:30], "bcdfghjklmnpqrstvwxz"] * 5)
+    ]
+    quoting = [
+        (
+            2 * 10**6 + i,
+            r["text"][: len(r["text"]) * 2 // 3] + " " + e[: len(r["text"]) // 4] + " " + word("0123456789abcdef", 64),
+            r["lang"]
+        )
+        for i,
+        (r, e) in enumerate(zip(others, english, strict=True))
+    ]
     both = docs.union(spark.createDataFrame(junk + quoting, docs.schema))
     left = {r["doc_id"] for r in quality_rules.filter_documents(both).select("doc_id").collect()}
     assert not left & {r[0] for r in junk}
     assert left >= {r[0] for r in quoting}
     more = {name: table(spark, "/root/testdata/sf0.1", name) for name in ("documents", "labels")}
     rules, measured = quality_rules.fit(more["documents"].select("doc_id", "text", "lang"))
-    judged = rules.judged(measured).where(~quality_rules.base_failed(F.col("m"))).join(more["labels"], "doc_id").select("kept", "quality").collect()
+    judged = rules.judged(measured).where(
+        ~quality_rules.base_failed(F.col("m"))
+    ).join(more["labels"], "doc_id").select("kept", "quality").collect()
     lost = np.mean([not r["kept"] for r in judged if r["quality"] == 1])
     caught = np.mean([not r["kept"] for r in judged if r["quality"] == 0])
     print("clean texts lost", lost, "junk caught beyond the fixed limits", caught)
@@ -326,7 +417,9 @@ def test_scores_of_held_out_rows(spark, sf):
     docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
     rows = classifier.classify(docs, labels).join(labels, "doc_id").where("held_out and quality is not null").collect()
     assert np.mean([(r["score"] >= 0.7) == (r["quality"] == 1) for r in rows]) > 0.85
-    turned = labels.withColumn("quality", F.when(classifier.remainder(F.col("doc_id")) == 2, 1 - F.col("quality")).otherwise(F.col("quality")))
+    turned = labels.withColumn(
+        "quality", F.when(classifier.remainder(F.col("doc_id")) == 2, 1 - F.col("quality")).otherwise(F.col("quality"))
+    )
     again = {r["doc_id"]: r["score"] for r in classifier.classify(docs, turned).collect()}
     assert all(r["score"] == again[r["doc_id"]] for r in rows)
 
@@ -344,14 +437,19 @@ def test_isotonic_fit_is_monotone_and_best():
     mean, weight = rng.random(40) + np.linspace(0, 1, 40), rng.integers(1, 9, 40).astype(float)
     fit = classifier.isotonic(weight, mean)
     assert (np.diff(fit) >= 0).all()
-    best = [max(min(np.average(mean[a : b + 1], weights=weight[a : b + 1]) for b in range(i, 40)) for a in range(i + 1)) for i in range(40)]
+    best = [
+        max(min(np.average(mean[a : b + 1], weights=weight[a : b + 1]) for b in range(i, 40)) for a in range(i + 1))
+        for i in range(40)
+    ]
     assert np.allclose(fit, best)
 
 
 def test_cosines_approximate_the_kernel():
     d = len(classifier.FEATURES)
     frequencies, phases = classifier._frequencies(d, 20000, np.sqrt(d), 1)
-    model = classifier.Classifier(np.zeros(d), np.ones(d), frequencies, phases, np.zeros(20001), np.zeros(0), np.zeros(0))
+    model = classifier.Classifier(
+        np.zeros(d), np.ones(d), frequencies, phases, np.zeros(20001), np.zeros(0), np.zeros(0)
+    )
     x = np.random.default_rng(2).normal(0, 1, (6, d))
     c = model.cosines(x)[:, :-1]
     distance = ((x[:, None] - x[None]) ** 2).sum(-1)
@@ -383,10 +481,14 @@ def test_given_targets_are_met(spark):
     counted = cut(mixing.with_cells(table(spark, "/root/testdata/sf0.01", "documents")).drop("text"))
     cells = counted.groupBy(*mixing.DIMENSIONS).agg(F.sum("n_tokens").alias("n"))
     total = cells.agg(F.sum("n")).first()[0]
-    shares = {"lang": spark.createDataFrame([("en", 2.0), ("de", 1.0), ("fr", 1.0), ("xx", 5.0)], "lang string, share double")}
+    shares = {
+        "lang": spark.createDataFrame([("en", 2.0), ("de", 1.0), ("fr", 1.0), ("xx", 5.0)], "lang string, share double")
+    }
     e = mixing.rake(cells, 0.2, shares).toPandas().groupby("lang")["e"].sum() / (0.2 * total)
     # what is asked for a language that isn't there is not handed on; nothing is given to one that wasn't asked for
-    assert e.get("es", 0.0) < 0.005 and abs(e["en"] - 0.5) < 0.005 and abs(e["de"] - 0.25) < 0.005 and abs(e["fr"] - 0.25) < 0.005
+    assert e.get("es", 0.0) < 0.005 and abs(e["en"] - 0.5) < 0.005 and abs(
+        e["de"] - 0.25
+    ) < 0.005 and abs(e["fr"] - 0.25) < 0.005
 
 
 def test_sample_keeps_rows_whole(spark, odd):
@@ -420,4 +522,6 @@ def test_pipeline_stages_take_effect(spark, sf):
         assert i == 4 or docs.columns == columns
     assert sizes[0] > sizes[1] > sizes[2] == sizes[3] > sizes[4] == sizes[5] > 0
     assert docs.where("not exact").count() == 0
-    assert sorted(map(str, corpus_pipeline.run(spark, sf).select("doc_id", "n_pieces").collect())) == sorted(map(str, docs.select("doc_id", "n_pieces").collect()))
+    assert sorted(
+        map(str, corpus_pipeline.run(spark, sf).select("doc_id", "n_pieces").collect())
+    ) == sorted(map(str, docs.select("doc_id", "n_pieces").collect()))

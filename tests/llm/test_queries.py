@@ -1,4 +1,6 @@
-"""Every query of the training-data operators over its whole table: columns, types and, where a contract fixes them, values."""
+"""Every query of the training-data operators over its whole table: columns, types and, where a contract fixes them,
+values.
+"""
 
 import hashlib
 import zlib
@@ -13,16 +15,56 @@ from tremora.llm.statistics import FEATURES
 from tremora.session import table
 
 COLUMNS = {
-    "op1_fuzzy_passages": {"doc_id": "bigint", "start": "int", "end": "int", "home_doc_id": "bigint", "home_start": "int", "home_end": "int", "n_matched": "int", "identity": "double"},
+    "op1_fuzzy_passages": {
+        "doc_id": "bigint",
+        "start": "int",
+        "end": "int",
+        "home_doc_id": "bigint",
+        "home_start": "int",
+        "home_end": "int",
+        "n_matched": "int",
+        "identity": "double"
+    },
     "op2_source_mixing": {"doc_id": "bigint", "probability": "double", "kept": "boolean"},
-    "op3_secret_scan": {"doc_id": "bigint", "n_assign": "bigint", "n_access": "bigint", "n_hex": "bigint", "base_sha256": "string", "spans": "string"},
+    "op3_secret_scan": {
+        "doc_id": "bigint",
+        "n_assign": "bigint",
+        "n_access": "bigint",
+        "n_hex": "bigint",
+        "base_sha256": "string",
+        "spans": "string"
+    },
     "op4_quality_classifier": {"doc_id": "bigint", "held_out": "boolean", "score": "double", "predicted": "int"},
     "op5_sentencepiece": {"doc_id": "bigint", "n_pieces": "bigint", "exact": "boolean", "ids": "array<int>"},
-    "op6_quality_rules": {"doc_id": "bigint", "n_words": "bigint", "word_chars": "bigint", "n_symbols": "bigint", "n_dup_lines": "bigint", "n_repeat_words": "bigint", "base_failed": "boolean", "kept": "boolean"},
+    "op6_quality_rules": {
+        "doc_id": "bigint",
+        "n_words": "bigint",
+        "word_chars": "bigint",
+        "n_symbols": "bigint",
+        "n_dup_lines": "bigint",
+        "n_repeat_words": "bigint",
+        "base_failed": "boolean",
+        "kept": "boolean"
+    },
     "op7_token_binary": {"doc_id": "bigint", "start": "bigint", "n_tokens": "bigint", "ids_crc32": "bigint"},
-    "op8_warc_zip": {"page_id": "bigint", "payload_bytes": "bigint", "payload_digest": "string", "record_type": "string", "refers_to": "bigint"},
+    "op8_warc_zip": {
+        "page_id": "bigint",
+        "payload_bytes": "bigint",
+        "payload_digest": "string",
+        "record_type": "string",
+        "refers_to": "bigint"
+    },
     "op9_minhash_near_dedup": {"doc_id": "bigint", "n_shingles": "bigint", "component_id": "bigint", "kept": "boolean"},
-    "op10_jpeg_media": {"doc_id": "bigint", "n_bytes": "bigint", "payload_bytes": "bigint", "payload_sha256": "string", "tail_crc32": "bigint", "media_bytes": "bigint", "media_sha256": "string", "feature": "string"},
+    "op10_jpeg_media": {
+        "doc_id": "bigint",
+        "n_bytes": "bigint",
+        "payload_bytes": "bigint",
+        "payload_sha256": "string",
+        "tail_crc32": "bigint",
+        "media_bytes": "bigint",
+        "media_sha256": "string",
+        "feature": "string"
+    },
 }
 
 
@@ -58,7 +100,9 @@ def spans(rows, texts):
 
 def held(rows, texts):
     for k, r in rows.items():
-        assert r["held_out"] == (zlib.crc32(str(k).encode()) % 4 == 2) and 0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.7)
+        assert r["held_out"] == (
+            zlib.crc32(str(k).encode()) % 4 == 2
+        ) and 0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.7)
 
 
 def exact(rows, texts):
@@ -69,7 +113,9 @@ def rules(rows, texts):
     for k, r in rows.items():
         n, *rest, repeat = brute_counts(texts[k])
         failed = n < 50 or 100 * repeat > 50 * n
-        assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"], r["base_failed"]) == (n, *rest, repeat, failed)
+        assert (
+            r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"], r["base_failed"]
+        ) == (n, *rest, repeat, failed)
         assert not (failed and r["kept"])
 
 
@@ -81,10 +127,19 @@ def starts(rows, texts):
 
 
 def components(rows, texts):
-    assert {k: (r["n_shingles"], r["component_id"], r["kept"]) for k, r in rows.items()} == brute_components(list(texts.items()))
-
-
-CHECKS = {"op3_secret_scan": spans, "op4_quality_classifier": held, "op5_sentencepiece": exact, "op6_quality_rules": rules, "op7_token_binary": starts, "op9_minhash_near_dedup": components}
+    assert {
+        k: (r["n_shingles"], r["component_id"], r["kept"]) for k, r in rows.items()
+    } == brute_components(list(texts.items()))
+
+
+CHECKS = {
+    "op3_secret_scan": spans,
+    "op4_quality_classifier": held,
+    "op5_sentencepiece": exact,
+    "op6_quality_rules": rules,
+    "op7_token_binary": starts,
+    "op9_minhash_near_dedup": components
+}
 
 
 # -- the classifier against a plain solve
@@ -107,27 +162,45 @@ def plain_statistics(text):
 
 
 def test_scores_equal_a_plain_solve(spark, sf, texts):
-    labels = {r["doc_id"]: r["quality"] for r in table(spark, sf, "labels").collect() if r["quality"] is not None and r["doc_id"] in texts}
+    labels = {
+        r["doc_id"]: r["quality"]
+        for r in table(spark, sf, "labels").collect() if r["quality"] is not None and r["doc_id"] in texts
+    }
     x = {k: np.array(plain_statistics(t or ""), dtype=np.float32).astype(float) for k, t in texts.items()}
     fold = {k: zlib.crc32(str(k).encode()) % 4 for k in texts}
     learn = sorted(k for k in labels if fold[k] in (0, 1))
     check = sorted(k for k in labels if fold[k] == 3)
     rows = np.array([x[k] for k in learn])
     mean, deviation = rows.mean(axis=0), np.maximum(np.where(rows.std(axis=0) == 0, 1.0, rows.std(axis=0)), 1e-6)
-    frequencies, phases = classifier._frequencies(len(FEATURES), classifier.COSINES, np.sqrt(len(FEATURES)), classifier.SEED)
+    frequencies, phases = classifier._frequencies(
+        len(FEATURES), classifier.COSINES, np.sqrt(len(FEATURES)), classifier.SEED
+    )
 
     def cosines(keys):
         z = np.clip((np.array([x[k] for k in keys]) - mean) / deviation, -6, 6)
         return np.hstack([np.sqrt(2 / classifier.COSINES) * np.cos(z @ frequencies + phases), np.ones((len(keys), 1))])
 
     c, y = cosines(learn), np.array([labels[k] for k in learn], float)
-    weights = np.linalg.solve(c.T @ c + classifier.RIDGE * len(learn) * np.diag([*[1.0] * classifier.COSINES, 1e-6]), c.T @ y)
+    weights = np.linalg.solve(
+        c.T @ c + classifier.RIDGE * len(learn) * np.diag([*[1.0] * classifier.COSINES, 1e-6]), c.T @ y
+    )
     bins = np.array([np.floor(max(-1.0, min(2.0, r)) * classifier.BINS + 0.5) for r in cosines(check) @ weights])
     at = np.unique(bins)
-    weight, level = np.array([(bins == b).sum() for b in at], float), np.array([np.mean([labels[k] for k, own in zip(check, bins, strict=True) if own == b]) for b in at])
-    fit = [max(min(np.average(level[a : b + 1], weights=weight[a : b + 1]) for b in range(i, len(at))) for a in range(i + 1)) for i in range(len(at))]
+    weight, level = np.array([(bins == b).sum() for b in at], float), np.array(
+        [np.mean([labels[k] for k, own in zip(check, bins, strict=True) if own == b]) for b in at]
+    )
+    fit = [
+        max(
+            min(np.average(level[a : b + 1], weights=weight[a : b + 1]) for b in range(i, len(at)))
+            for a in range(i + 1)
+        )
+        for i in range(len(at))
+    ]
     keys = sorted(texts)
     raw = cosines(keys) @ weights
     want = 0.99 * np.interp(raw, at / classifier.BINS, fit) + 0.01 / (1 + np.exp(-4 * (raw - 0.5)))
-    got = {r["doc_id"]: r["score"] for r in classifier.classify(table(spark, sf, "documents"), table(spark, sf, "labels")).collect()}
+    got = {
+        r["doc_id"]: r["score"]
+        for r in classifier.classify(table(spark, sf, "documents"), table(spark, sf, "labels")).collect()
+    }
     assert np.allclose([got[k] for k in keys], want, atol=1e-5)

@@ -38,7 +38,11 @@ def statistics(column: pa.Array) -> pa.Array:
     parts = []
     for part in array_slices(column):
         values = features(part).astype(np.float32)
-        parts.append(pa.ListArray.from_arrays(pa.array(np.arange(len(part) + 1, dtype=np.int32) * len(FEATURES)), pa.array(values.ravel())))
+        parts.append(
+            pa.ListArray.from_arrays(
+                pa.array(np.arange(len(part) + 1, dtype=np.int32) * len(FEATURES)), pa.array(values.ravel())
+            )
+        )
     return pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.float32()))
 
 
@@ -89,16 +93,24 @@ def normal_equations(rows: DataFrame, model: Classifier) -> tuple[np.ndarray, np
                 part = batch.slice(i, 4096)
                 c = model.cosines(_matrix(part.column(0)))
                 total += c.T @ np.hstack([c, part.column(1).to_numpy(zero_copy_only=False).astype(float)[:, None]])
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(size, dtype=np.int32)), pa.array([r.tobytes() for r in total], pa.binary())], names=["i", "v"])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.arange(size, dtype=np.int32)), pa.array([r.tobytes() for r in total], pa.binary())],
+            names=["i", "v"]
+        )
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
         for batch in batches:
             for i, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 total[i] = total.get(i, 0) + np.frombuffer(v)
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([v.tobytes() for v in total.values()], pa.binary())], names=["i", "v"])
-
-    found = rows.select("x", "y").mapInArrow(partial, "i int, v binary").repartition("i").mapInArrow(summed, "i int, v binary").collect()
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(list(total), pa.int32()), pa.array([v.tobytes() for v in total.values()], pa.binary())],
+            names=["i", "v"]
+        )
+
+    found = rows.select("x", "y").mapInArrow(
+        partial, "i int, v binary"
+    ).repartition("i").mapInArrow(summed, "i int, v binary").collect()
     out = np.zeros((size, size + 1))
     for r in found:
         out[r["i"]] = np.frombuffer(r["v"])
@@ -120,11 +132,16 @@ def isotonic(weight: np.ndarray, mean: np.ndarray) -> np.ndarray:
 def fit(rows: DataFrame, cosines: int = COSINES, ridge: float = RIDGE, seed: int = SEED) -> Classifier:
     """Learn from rows (x statistics, y 0 or 1, calibrate boolean)."""
     d = len(FEATURES)
-    moments = rows.where(~F.col("calibrate")).agg(F.count("*").alias("n"), *(f(F.col("x")[i]).alias(f"{n}{i}") for i in range(d) for n, f in (("m", F.mean), ("s", F.stddev_pop)))).first()
+    moments = rows.where(~F.col("calibrate")).agg(
+        F.count("*").alias("n"),
+        *(f(F.col("x")[i]).alias(f"{n}{i}") for i in range(d) for n, f in (("m", F.mean), ("s", F.stddev_pop)))
+    ).first()
     frequencies, phases = _frequencies(d, cosines, np.sqrt(d), seed)
     mean = np.array([moments[f"m{i}"] or 0.0 for i in range(d)])
     deviation = np.array([moments[f"s{i}"] or 1.0 for i in range(d)])
-    model = Classifier(mean, np.maximum(deviation, 1e-6), frequencies, phases, np.zeros(cosines + 1), np.zeros(0), np.zeros(0))
+    model = Classifier(
+        mean, np.maximum(deviation, 1e-6), frequencies, phases, np.zeros(cosines + 1), np.zeros(0), np.zeros(0)
+    )
     n = moments["n"]
     if not n:
         return model
@@ -136,7 +153,9 @@ def fit(rows: DataFrame, cosines: int = COSINES, ridge: float = RIDGE, seed: int
         return pa.array(model.raw(_matrix(column)))
 
     bin_ = F.round(F.greatest(F.lit(-1.0), F.least(F.lit(2.0), raw("x"))) * BINS).cast("int")
-    steps = rows.where("calibrate").groupBy(bin_.alias("b")).agg(F.count("*").alias("n"), F.mean(F.col("y").cast("double")).alias("m")).collect()  # 3 * BINS + 1 at most
+    steps = rows.where("calibrate").groupBy(bin_.alias("b")).agg(
+        F.count("*").alias("n"), F.mean(F.col("y").cast("double")).alias("m")
+    ).collect()  # 3 * BINS + 1 at most
     steps.sort(key=lambda r: r["b"])
     if steps:
         model.knots = np.array([r["b"] for r in steps]) / BINS
@@ -158,13 +177,32 @@ def remainder(key: Column) -> Column:
     return F.crc32(key.cast("string")) % 4
 
 
-def classify(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", held: int = 2, calibrate: int = 3) -> DataFrame:
+def classify(
+    docs: DataFrame,
+    labels: DataFrame,
+    key: str = "doc_id",
+    text: str = "text",
+    label: str = "quality",
+    held: int = 2,
+    calibrate: int = 3
+) -> DataFrame:
     """(key, held_out, score) of every row. Rows of remainder ``held`` are not learned from."""
-    found = cut(docs.select(F.col(key).alias("__key"), statistics(F.coalesce(F.col(text), F.lit(""))).alias("x")), "statistics")
-    known = labels.select(F.col(key).alias("__key"), F.col(label).alias("y")).where(F.col("y").isNotNull() & (remainder(F.col("__key")) != held))
-    rows = cut(found.join(known, "__key").select("x", "y", (remainder(F.col("__key")) == calibrate).alias("calibrate")), "learned")
+    found = cut(
+        docs.select(F.col(key).alias("__key"), statistics(F.coalesce(F.col(text), F.lit(""))).alias("x")), "statistics"
+    )
+    known = labels.select(F.col(key).alias("__key"), F.col(label).alias("y")).where(
+        F.col("y").isNotNull() & (remainder(F.col("__key")) != held)
+    )
+    rows = cut(
+        found.join(known, "__key").select("x", "y", (remainder(F.col("__key")) == calibrate).alias("calibrate")),
+        "learned"
+    )
     model = fit(rows)
-    return found.select(F.col("__key").alias(key), F.coalesce(remainder(F.col("__key")) == held, F.lit(False)).alias("held_out"), scored(found, model).alias("score"))
+    return found.select(
+        F.col("__key").alias(key),
+        F.coalesce(remainder(F.col("__key")) == held, F.lit(False)).alias("held_out"),
+        scored(found, model).alias("score")
+    )
 
 
 def op4_quality_classifier(spark, sf_dir):

@@ -44,4 +44,7 @@ def open_read(uri: str):
 def list_files(folder: str) -> list[str]:
     """Names of the files in a folder; none if there is no such folder."""
     fs, path = locate(folder)
-    return [x.base_name for x in fs.get_file_info(pafs.FileSelector(path, allow_not_found=True)) if x.type == pafs.FileType.File]
+    return [
+        x.base_name
+        for x in fs.get_file_info(pafs.FileSelector(path, allow_not_found=True)) if x.type == pafs.FileType.File
+    ]

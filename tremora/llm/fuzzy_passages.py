@@ -36,7 +36,8 @@ K, WINDOW = 5, 6
 #: Seeds that a task looks at together before the shuffle, and how many documents of each seed it sends on.
 SEEDS_AT_ONCE = 1 << 19
 PASSED_ON = 6
-#: Words between two anchors of a chain that need no look. Up to WIDEST_GAP of them, half must agree, or the chain is cut there.
+#: Words between two anchors of a chain that need no look. Up to WIDEST_GAP of them, half must agree, or the chain is
+#: cut there.
 LARGEST_GAP, WIDEST_GAP = 24, 96
 GAP_COST = 0.1
 LEAST_WORDS = 50
@@ -95,10 +96,11 @@ SEED_ROWS = "seed long, doc long, at long, home long, home_at long"
 
 
 def seeds(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """SEED_ROWS of the winnowed seeds. ``at`` is the position in words; ``home`` is given where the task has matched the row itself.
+    """SEED_ROWS of the winnowed seeds. ``at`` is the position in words; ``home`` is given where the task has matched
+    the row itself.
 
-    A row whose seed is odd stands for the whole text: seed and the upper half of ``at`` are digests of its words, the lower half
-    counts them.
+    A row whose seed is odd stands for the whole text: seed and the upper half of ``at`` are digests of its words, the
+    lower half counts them.
     """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,7 +120,13 @@ def seeds(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
                     begin = words.first[full]
                     place = (np.arange(len(words.start)) - np.repeat(begin, words.count[full])).astype(U)
                     digest = [np.add.reduceat(mix(words.hash ^ mix(place * U(2) + U(k))), begin) for k in range(2)]
-                    held.append((mix(digest[0]) | U(1), keys[full], ((digest[1] >> U(32) << U(32)) | words.count[full].astype(U)).view(np.int64)))
+                    held.append(
+                        (
+                            mix(digest[0]) | U(1),
+                            keys[full],
+                            ((digest[1] >> U(32) << U(32)) | words.count[full].astype(U)).view(np.int64)
+                        )
+                    )
                 waiting += len(chosen)
                 if waiting > SEEDS_AT_ONCE:
                     yield thinned(*(np.concatenate(c) for c in zip(*held, strict=True)))
@@ -126,7 +134,9 @@ def seeds(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
         if held:
             yield thinned(*(np.concatenate(c) for c in zip(*held, strict=True)))
 
-    return docs.select(F.col(key).cast("long").alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t")).where("k is not null").mapInArrow(scan, SEED_ROWS)
+    return docs.select(
+        F.col(key).cast("long").alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t")
+    ).where("k is not null").mapInArrow(scan, SEED_ROWS)
 
 
 def thinned(seed: np.ndarray, doc: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
@@ -141,7 +151,13 @@ def thinned(seed: np.ndarray, doc: np.ndarray, at: np.ndarray) -> pa.RecordBatch
     number -= number[begins][group] - 1  # of the document among those of its seed, from 1
     home, home_at = doc[begins][group], at[begins][group]
     late = (number > PASSED_ON) & ((seed & U(1) == 0) | (at == home_at))
-    columns = [pa.array(seed.view(np.int64)), pa.array(doc), pa.array(at), pa.array(home, mask=~late), pa.array(home_at, mask=~late)]
+    columns = [
+        pa.array(seed.view(np.int64)),
+        pa.array(doc),
+        pa.array(at),
+        pa.array(home, mask=~late),
+        pa.array(home_at, mask=~late)
+    ]
     return pa.RecordBatch.from_arrays(columns, names=["seed", "doc", "at", "home", "home_at"])
 
 
@@ -149,7 +165,9 @@ MATCHED = "seed long, doc long, home long, pos int, hpos int"
 
 
 def matches(found: DataFrame) -> DataFrame:
-    """MATCHED: each occurrence of a shared seed with the first document that has it. Where whole texts are equal, both positions are -1 times their words."""
+    """MATCHED: each occurrence of a shared seed with the first document that has it. Where whole texts are equal,
+    both positions are -1 times their words.
+    """
 
     def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple[int, int, int] | None = None  # seed, document and place of the group that the batch before ended in
@@ -169,9 +187,14 @@ def matches(found: DataFrame) -> DataFrame:
             keep = (doc != home) & ((seed & 1 == 0) | (at == home_at))
             yield rows(seed[keep], doc[keep], at[keep], home[keep], home_at[keep])
 
-    def rows(seed: np.ndarray, doc: np.ndarray, at: np.ndarray, home: np.ndarray, home_at: np.ndarray) -> pa.RecordBatch:
+    def rows(
+        seed: np.ndarray, doc: np.ndarray, at: np.ndarray, home: np.ndarray, home_at: np.ndarray
+    ) -> pa.RecordBatch:
         place = lambda x: np.where(seed & 1 == 1, -(at & 0xFFFFFFFF), x).astype(np.int32)
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in (seed, doc, home.astype(np.int64), place(at), place(home_at))], names=["seed", "doc", "home", "pos", "hpos"])
+        return pa.RecordBatch.from_arrays(
+            [pa.array(x) for x in (seed, doc, home.astype(np.int64), place(at), place(home_at))],
+            names=["seed", "doc", "home", "pos", "hpos"]
+        )
 
     dealt = found.repartition(F.when(F.col("home").isNull(), F.col("seed")).otherwise(F.xxhash64("doc")))
     return dealt.sortWithinPartitions("seed", "doc", "at").mapInArrow(pair, MATCHED)
@@ -251,7 +274,9 @@ def _pieces(own: list[Anchor]) -> list[int]:
     return [*out, *_ends(own[begin:])]
 
 
-def whole_groups(batches: Iterator[pa.RecordBatch], keys: int, work: Callable[[list[np.ndarray]], Iterator[pa.RecordBatch]]) -> Iterator[pa.RecordBatch]:
+def whole_groups(
+    batches: Iterator[pa.RecordBatch], keys: int, work: Callable[[list[np.ndarray]], Iterator[pa.RecordBatch]]
+) -> Iterator[pa.RecordBatch]:
     """Hand on sorted rows as arrays such that rows equal in their first ``keys`` columns come together."""
     held: list[np.ndarray] | None = None
     for batch in batches:
@@ -269,7 +294,9 @@ def whole_groups(batches: Iterator[pa.RecordBatch], keys: int, work: Callable[[l
 
 
 def chains(found: DataFrame, least_seeds: int = 2) -> DataFrame:
-    """(doc, home, x0, x1, y0, y1, pieces), word ranges of the chains of matches (doc, home, pos, hpos, width). A group is no larger than its document's seeds."""
+    """(doc, home, x0, x1, y0, y1, pieces), word ranges of the chains of matches (doc, home, pos, hpos, width). A
+    group is no larger than its document's seeds.
+    """
 
     def out(own: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         doc, home, diagonal, pos, width = own
@@ -295,11 +322,26 @@ def chains(found: DataFrame, least_seeds: int = 2) -> DataFrame:
         if found:
             rows.append(tuple(np.array(c) for c in zip(*found, strict=True)))
         columns = [np.concatenate(c) for c in zip(*rows, strict=True)]
-        yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64() if i < 2 else pa.int32()) for i, c in enumerate(columns)), pa.array(pieces, pa.list_(pa.int32()))], names=["doc", "home", "x0", "x1", "y0", "y1", "pieces"])
-
-    ordered = found.select("doc", "home", (F.col("pos") - F.col("hpos")).cast("long").alias("diagonal"), F.col("pos").cast("long"), F.col("width").cast("long"))
+        yield pa.RecordBatch.from_arrays(
+            [
+                *(pa.array(c, pa.int64() if i < 2 else pa.int32()) for i, c in enumerate(columns)),
+                pa.array(pieces, pa.list_(pa.int32()))
+            ],
+            names=["doc", "home", "x0", "x1", "y0", "y1", "pieces"]
+        )
+
+    ordered = found.select(
+        "doc",
+        "home",
+        (F.col("pos") - F.col("hpos")).cast("long").alias("diagonal"),
+        F.col("pos").cast("long"),
+        F.col("width").cast("long")
+    )
     ordered = ordered.repartition("doc", "home").sortWithinPartitions("doc", "home", "diagonal", "pos")
-    return ordered.mapInArrow(lambda batches: whole_groups(batches, 2, out), "doc long, home long, x0 int, x1 int, y0 int, y1 int, pieces array<int>")
+    return ordered.mapInArrow(
+        lambda batches: whole_groups(batches, 2, out),
+        "doc long, home long, x0 int, x1 int, y0 int, y1 int, pieces array<int>"
+    )
 
 
 #: Words of the first text whose positions are held as bits at once.
@@ -346,7 +388,9 @@ def _diagonal(a: np.ndarray, b: np.ndarray) -> tuple[int, int, bool]:
 
 
 def _extend(a: np.ndarray, b: np.ndarray, more_a: bool, more_b: bool) -> tuple[int, int, bool]:
-    """How many words of each text an extension takes from their start, and whether it needs the words that a text has beyond those given."""
+    """How many words of each text an extension takes from their start, and whether it needs the words that a text has
+    beyond those given.
+    """
     i, j, kept = 0, 0, 0
     at = (0, 0)
 
@@ -389,7 +433,9 @@ def agreeing(a: np.ndarray, b: np.ndarray) -> int:
 
 
 _RANGE = [T.StructField(n, T.IntegerType()) for n in ("start", "end", "home_start", "home_end", "n_matched")]
-ALIGNED = T.StructType([T.StructField("found", T.ArrayType(T.StructType(_RANGE))), T.StructField("goes_on", T.BooleanType())])
+ALIGNED = T.StructType(
+    [T.StructField("found", T.ArrayType(T.StructType(_RANGE))), T.StructField("goes_on", T.BooleanType())]
+)
 
 
 def _joined(a: np.ndarray, b: np.ndarray, pieces: list[list[int]]) -> list[list[int]]:
@@ -405,8 +451,12 @@ def _joined(a: np.ndarray, b: np.ndarray, pieces: list[list[int]]) -> list[list[
     return out
 
 
-def align_one(a: np.ndarray, b: np.ndarray, pieces: list[list[int]], more: tuple[bool, bool, bool, bool]) -> tuple[list[list[int]], bool]:
-    """Passages of two runs of words around a chain: (start, end, start, end, words that agree). ``more`` tells where the texts go on: before and after each."""
+def align_one(
+    a: np.ndarray, b: np.ndarray, pieces: list[list[int]], more: tuple[bool, bool, bool, bool]
+) -> tuple[list[list[int]], bool]:
+    """Passages of two runs of words around a chain: (start, end, start, end, words that agree). ``more`` tells where
+    the texts go on: before and after each.
+    """
     parts, found, goes_on = _joined(a, b, pieces), [], False
     for i, (x0, x1, y0, y1) in enumerate(parts):
         first, last = i == 0, i == len(parts) - 1
@@ -421,19 +471,48 @@ def align_one(a: np.ndarray, b: np.ndarray, pieces: list[list[int]], more: tuple
 
 
 @F.arrow_udf(ALIGNED)
-def align(x0: pa.Array, x1: pa.Array, y0: pa.Array, y1: pa.Array, pieces: pa.Array, left: pa.Array, right: pa.Array, flank: pa.Array) -> pa.Array:
-    """Align each chain within the words around it. ``left`` and ``right`` begin ``flank`` words before the chain, or with the text.
+def align(
+    x0: pa.Array,
+    x1: pa.Array,
+    y0: pa.Array,
+    y1: pa.Array,
+    pieces: pa.Array,
+    left: pa.Array,
+    right: pa.Array,
+    flank: pa.Array
+) -> pa.Array:
+    """Align each chain within the words around it. ``left`` and ``right`` begin ``flank`` words before the chain, or
+    with the text.
 
     ``goes_on`` tells that the words around the chain were used up and the texts may agree beyond them.
     """
     found, goes_on = [], []
-    for a0, a1, b0, b1, own, wa, wb, wide in zip(*(c.to_pylist() for c in (x0, x1, y0, y1, pieces, left, right, flank)), strict=True):
+    for a0, a1, b0, b1, own, wa, wb, wide in zip(
+        *(c.to_pylist() for c in (x0, x1, y0, y1, pieces, left, right, flank)), strict=True
+    ):
         a, b = np.frombuffer(wa, dtype="<u4"), np.frombuffer(wb, dtype="<u4")
         at_a, at_b = max(a0 - wide, 0), max(b0 - wide, 0)
         more = (at_a > 0, at_b > 0, at_a + len(a) == a1 + wide, at_b + len(b) == b1 + wide)
-        local = [[own[i] - at_a, own[i + 1] - at_a, own[i + 2] - at_b, own[i + 3] - at_b] for i in range(0, len(own), 4)]
+        local = [
+            [own[i] - at_a, own[i + 1] - at_a, own[i + 2] - at_b, own[i + 3] - at_b] for i in range(0, len(own), 4)
+        ]
         parts, on = align_one(a, b, local, more)
-        found.append([dict(zip(("start", "end", "home_start", "home_end", "n_matched"), (s + at_a, e + at_a, t + at_b, f + at_b, n), strict=True)) for s, e, t, f, n in parts])
+        found.append(
+            [
+                dict(
+                    zip(
+                        ("start", "end", "home_start", "home_end", "n_matched"),
+                        (s + at_a, e + at_a, t + at_b, f + at_b, n),
+                        strict=True
+                    )
+                )
+                for s,
+                e,
+                t,
+                f,
+                n in parts
+            ]
+        )
         goes_on.append(on)
     kind = pa.list_(pa.struct([(f.name, pa.int32()) for f in _RANGE]))
     return pa.StructArray.from_arrays([pa.array(found, kind), pa.array(goes_on, pa.bool_())], names=ALIGNED.names)
@@ -448,9 +527,21 @@ def word_codes(docs: DataFrame, key: str, text: str) -> DataFrame:
                 words = Words(*text_buffers(column_of(part, "t")), lower=True)
                 codes = (mix(words.hash) >> U(32)).astype("<u4")
                 bounds = np.concatenate((words.first, [len(codes)])) * 4
-                yield pa.RecordBatch.from_arrays([column_of(part, "k"), pa.BinaryArray.from_buffers(pa.binary(), part.num_rows, [None, pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(codes)])], names=["k", "words"])
-
-    return docs.select(F.col(key).cast("long").alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t")).mapInArrow(scan, "k long, words binary")
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        column_of(part, "k"),
+                        pa.BinaryArray.from_buffers(
+                            pa.binary(),
+                            part.num_rows,
+                            [None, pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(codes)]
+                        )
+                    ],
+                    names=["k", "words"]
+                )
+
+    return docs.select(
+        F.col(key).cast("long").alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t")
+    ).mapInArrow(scan, "k long, words binary")
 
 
 #: Chains whose texts agree to the last of their flanking words get so many times the words.
@@ -466,8 +557,13 @@ def aligned(linked: DataFrame, coded: DataFrame, least_words: int, least_identit
         begin = lambda a: F.greatest(F.col(a) - flank, F.lit(0))  # noqa: B023, E731
         piece = lambda a, b: F.substring(F.col("words"), begin(a) * 4 + 1, (F.col(b) + flank - begin(a)) * 4)  # noqa: B023, E731
         left = linked.join(coded.withColumnRenamed("k", "doc"), "doc").select(*names, piece("x0", "x1").alias("left"))
-        both = left.join(coded.withColumnRenamed("k", "home"), "home").select(*names, "left", piece("y0", "y1").alias("right"))
-        rows = cut(both.select(*names, align("x0", "x1", "y0", "y1", "pieces", "left", "right", F.lit(flank)).alias("a")), "aligned")
+        both = left.join(coded.withColumnRenamed("k", "home"), "home").select(
+            *names, "left", piece("y0", "y1").alias("right")
+        )
+        rows = cut(
+            both.select(*names, align("x0", "x1", "y0", "y1", "pieces", "left", "right", F.lit(flank)).alias("a")),
+            "aligned"
+        )
         parts.append(rows.where("not a.goes_on").select("doc", "home", F.inline("a.found")))
         linked = rows.where("a.goes_on").select(*names)
         if linked.isEmpty():
@@ -477,22 +573,51 @@ def aligned(linked: DataFrame, coded: DataFrame, least_words: int, least_identit
     for part in parts[1:]:
         rows = rows.union(part)
     identity = F.col("n_matched") / F.greatest(F.col("end") - F.col("start"), F.col("home_end") - F.col("home_start"))
-    return rows.withColumn("identity", F.round(identity, 6)).where((F.col("n_matched") >= least_words) & (F.col("identity") >= least_identity)).select(*PASSAGE)
+    return rows.withColumn("identity", F.round(identity, 6)).where(
+        (F.col("n_matched") >= least_words) & (F.col("identity") >= least_identity)
+    ).select(*PASSAGE)
 
 
 def maximal(passages: DataFrame) -> DataFrame:
     """The passages of each two documents that lie within no other of theirs."""
-    before = Window.partitionBy("doc", "home").orderBy("start", F.desc("end"), F.desc("n_matched"), "home_start").rowsBetween(Window.unboundedPreceding, -1)
-    return passages.withColumn("reach", F.max("end").over(before)).where(F.col("reach").isNull() | (F.col("reach") < F.col("end"))).drop("reach")
+    before = Window.partitionBy("doc", "home").orderBy(
+        "start", F.desc("end"), F.desc("n_matched"), "home_start"
+    ).rowsBetween(Window.unboundedPreceding, -1)
+    return passages.withColumn("reach", F.max("end").over(before)).where(
+        F.col("reach").isNull() | (F.col("reach") < F.col("end"))
+    ).drop("reach")
 
 
 def left_over(found: DataFrame, linked: DataFrame, passages: DataFrame) -> DataFrame:
-    """(doc, home, pos, hpos, width): runs of neighbouring shared seeds that no passage covers, each with the first document that has the run.
+    """(doc, home, pos, hpos, width): runs of neighbouring shared seeds that no passage covers, each with the first
+    document that has the run.
 
-    Only runs whose seeds have several homes are listed, and only homes that the document has not been aligned with there.
+    Only runs whose seeds have several homes are listed, and only homes that the document has not been aligned with
+    there.
     """
-    held = [found.select(F.col(d).alias("doc"), F.lit(1).alias("kind"), F.col(p).alias("a"), F.col("seed").alias("b"), F.col("home").alias("c")) for d, p in (("doc", "pos"), ("home", "hpos"))]
-    done = [passages.select(F.col(d).alias("doc"), F.lit(0).alias("kind"), F.col(a).alias("a"), F.col(b).cast("long").alias("b"), F.lit(0).cast("long").alias("c")) for d, a, b in (("doc", "start", "end"), ("home", "home_start", "home_end"))]
+    held = [
+        found.select(
+            F.col(d).alias("doc"),
+            F.lit(1).alias("kind"),
+            F.col(p).alias("a"),
+            F.col("seed").alias("b"),
+            F.col("home").alias("c")
+        )
+        for d,
+        p in (("doc", "pos"), ("home", "hpos"))
+    ]
+    done = [
+        passages.select(
+            F.col(d).alias("doc"),
+            F.lit(0).alias("kind"),
+            F.col(a).alias("a"),
+            F.col(b).cast("long").alias("b"),
+            F.lit(0).cast("long").alias("c")
+        )
+        for d,
+        a,
+        b in (("doc", "start", "end"), ("home", "home_start", "home_end"))
+    ]
     rows = held[0].union(held[1].distinct()).union(done[0]).union(done[1].distinct())
 
     def runs(own: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
@@ -501,7 +626,9 @@ def left_over(found: DataFrame, linked: DataFrame, passages: DataFrame) -> DataF
         # stretches of seeds that stand close to each other; passages come first in each document
         begins = np.union1d(_starts(doc, kind), np.flatnonzero(np.append(0, a[1:] - a[:-1]) > LARGEST_GAP))
         ends = np.append(begins[1:], len(doc)) - 1
-        several = np.minimum.reduceat(home, begins) < np.maximum.reduceat(home, begins) if len(begins) else np.zeros(0, dtype=bool)
+        several = np.minimum.reduceat(home, begins) < np.maximum.reduceat(home, begins) if len(begins) else np.zeros(
+            0, dtype=bool
+        )
         long = np.flatnonzero((kind[begins] == 1) & several & (a[ends] + K - a[begins] >= LEAST_STRETCH))
         heads = _starts(doc)
         head = heads[np.searchsorted(heads, begins[long], side="right") - 1]
@@ -525,23 +652,66 @@ def left_over(found: DataFrame, linked: DataFrame, passages: DataFrame) -> DataF
                 places.append(pos[keep])
                 widths.append((upto - pos[:n])[keep])
         if keys:
-            columns = [np.concatenate(keys).view(np.int64), np.concatenate(docs), np.concatenate(places).astype(np.int32), np.concatenate(widths).astype(np.int32)]
+            columns = [
+                np.concatenate(keys).view(np.int64),
+                np.concatenate(docs),
+                np.concatenate(places).astype(np.int32),
+                np.concatenate(widths).astype(np.int32)
+            ]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["run", "doc", "pos", "width"])
 
-    sorted_rows = rows.select("doc", "kind", F.col("a").cast("long"), "b", "c").repartition("doc").sortWithinPartitions("doc", "kind", "a")
-    listed = cut(sorted_rows.mapInArrow(lambda batches: whole_groups(batches, 1, runs), "run long, doc long, pos int, width int"), "runs")
-    homes = listed.groupBy("run").agg(F.min("doc").alias("home"), F.min_by("pos", F.struct("doc", "pos")).alias("hpos"), F.max("doc").alias("last")).where("home <> last")
-    again = listed.join(cut(homes.drop("last"), "homes"), "run").where("doc <> home").select("doc", "home", "pos", "hpos", "width").distinct()
+    sorted_rows = rows.select(
+        "doc", "kind", F.col("a").cast("long"), "b", "c"
+    ).repartition("doc").sortWithinPartitions("doc", "kind", "a")
+    listed = cut(
+        sorted_rows.mapInArrow(
+            lambda batches: whole_groups(batches, 1, runs), "run long, doc long, pos int, width int"
+        ),
+        "runs"
+    )
+    homes = listed.groupBy("run").agg(
+        F.min("doc").alias("home"), F.min_by("pos", F.struct("doc", "pos")).alias("hpos"), F.max("doc").alias("last")
+    ).where("home <> last")
+    again = listed.join(
+        cut(homes.drop("last"), "homes"), "run"
+    ).where("doc <> home").select("doc", "home", "pos", "hpos", "width").distinct()
     tried = linked.select(F.col("doc").alias("d"), F.col("home").alias("h"), "x0", "x1")
-    return again.join(tried, (F.col("doc") == F.col("d")) & (F.col("home") == F.col("h")) & (F.col("pos") + FLANK >= F.col("x0")) & (F.col("pos") < F.col("x1") + FLANK), "left_anti")
-
-
-def fuzzy_passages(docs: DataFrame, key: str = "doc_id", text: str = "text", least_words: int = LEAST_WORDS, least_identity: float = LEAST_IDENTITY) -> DataFrame:
-    """(key, start, end, home, home_start, home_end, n_matched, identity): a row for each passage of a document that an earlier one has too."""
+    return again.join(
+        tried,
+        (F.col("doc") == F.col("d"))
+        & (F.col("home") == F.col("h"))
+        & (F.col("pos") + FLANK >= F.col("x0"))
+        & (F.col("pos") < F.col("x1") + FLANK),
+        "left_anti"
+    )
+
+
+def fuzzy_passages(
+    docs: DataFrame,
+    key: str = "doc_id",
+    text: str = "text",
+    least_words: int = LEAST_WORDS,
+    least_identity: float = LEAST_IDENTITY
+) -> DataFrame:
+    """(key, start, end, home, home_start, home_end, n_matched, identity): a row for each passage of a document that
+    an earlier one has too.
+    """
     found = cut(matches(seeds(docs, key, text)), "matches")
     n = -F.col("pos")
     copies = found.where("pos < 0").groupBy("doc").agg(F.min("home").alias("home"), F.max("pos").alias("pos"))
-    copies = cut(copies.select("doc", F.lit(0).alias("start"), n.alias("end"), "home", F.lit(0).alias("home_start"), n.alias("home_end"), n.alias("n_matched"), F.lit(1.0).alias("identity")), "copies")
+    copies = cut(
+        copies.select(
+            "doc",
+            F.lit(0).alias("start"),
+            n.alias("end"),
+            "home",
+            F.lit(0).alias("home_start"),
+            n.alias("home_end"),
+            n.alias("n_matched"),
+            F.lit(1.0).alias("identity")
+        ),
+        "copies"
+    )
     other = cut(found.where("pos >= 0").join(copies.select("doc"), "doc", "left_anti"), "other")
     linked = cut(chains(other.withColumn("width", F.lit(K))), "chains")
     forget(found)
@@ -558,7 +728,9 @@ def fuzzy_passages(docs: DataFrame, key: str = "doc_id", text: str = "text", lea
     forget(coded)
     coded = words_of(again)
     second = cut(aligned(again, coded, least_words, least_identity), "passages-again")
-    rows = maximal(first.union(second).distinct()).union(copies.where(F.col("n_matched") >= least_words).select(*PASSAGE))
+    rows = maximal(first.union(second).distinct()).union(
+        copies.where(F.col("n_matched") >= least_words).select(*PASSAGE)
+    )
     rows = cut(rows.withColumnRenamed("doc", key), "fuzzy")
     for frame in (other, linked, coded, first, again, second, copies):
         forget(frame)
@@ -569,4 +741,6 @@ def op1_fuzzy_passages(spark, sf_dir):
     """Passages of ``documents`` that repeat across documents."""
     from tremora.session import table
 
-    return fuzzy_passages(table(spark, sf_dir, "documents").select("doc_id", "text")).withColumnRenamed("home", "home_doc_id")
+    return fuzzy_passages(
+        table(spark, sf_dir, "documents").select("doc_id", "text")
+    ).withColumnRenamed("home", "home_doc_id")

@@ -1,16 +1,16 @@
 """Baseline JPEG as a media column: lossless byte payloads, a vectorised scan decoder, DC thumbnails.
 
-A payload of whole 64-byte units becomes a grayscale baseline JPEG whose quantised coefficients carry
-the bytes: in each 8x8 block, coefficient k in zigzag order is byte k as a signed number. DC terms are coded as
-differences within a row of blocks, AC terms as runs of zeros and sizes with a Huffman table made for text, and each row of
-blocks is a restart interval. Huffman coding of coefficients is exact, so the file holds the payload without loss. The
-decoder is not tied to that form: it parses the markers of any baseline file with one component and any Huffman tables and
-decodes all restart intervals of a slice of rows in lockstep, one symbol of every interval at a time in numpy. Files with
-several components, sampling factors or scans are decoded one at a time, and their luminance is kept.
-
-Defined results: a null text counts as empty and yields one unit of zero bytes. A malformed or
-progressive file raises ValueError in ``decode``; ``jpeg_features`` gives such a file, and a null, null
-features and the reason in ``error``. A file without stored payload has null payload fields. Equal texts give equal files and features.
+A payload of whole 64-byte units becomes a grayscale baseline JPEG whose quantised coefficients carry the bytes: in
+each 8x8 block, coefficient k in zigzag order is byte k as a signed number. DC terms are coded as differences within a
+row of blocks, AC terms as runs of zeros and sizes with a Huffman table made for text, and each row of blocks is a
+restart interval. Huffman coding of coefficients is exact, so the file holds the payload without loss. The decoder is
+not tied to that form: it parses the markers of any baseline file with one component and any Huffman tables and
+decodes all restart intervals of a slice of rows in lockstep, one symbol of every interval at a time in numpy. Files
+with several components, sampling factors or scans are decoded one at a time, and their luminance is kept.
+
+Defined results: a null text counts as empty and yields one unit of zero bytes. A malformed or progressive file raises
+ValueError in ``decode``; ``jpeg_features`` gives such a file, and a null, null features and the reason in ``error``.
+A file without stored payload has null payload fields. Equal texts give equal files and features.
 """
 
 from __future__ import annotations
@@ -31,7 +31,12 @@ DC_QUANT = 8
 MEDIA_SLICE = 512 << 10
 
 #: Fixed values of the format: coefficient order within a block.
-ZIGZAG = np.array([r * 8 + c for s in range(15) for r, c in sorted(((r, s - r) for r in range(8) if 0 <= s - r < 8), key=lambda x: x[0] if s % 2 else x[1])])
+ZIGZAG = np.array(
+    [
+        r * 8 + c for s in range(15) for r,
+        c in sorted(((r, s - r) for r in range(8) if 0 <= s - r < 8), key=lambda x: x[0] if s % 2 else x[1])
+    ]
+)
 
 
 def _segment(marker: int, body: bytes) -> bytes:
@@ -46,11 +51,15 @@ def _grid(units: int) -> tuple[int, int]:
 
 def _huffman_table(lengths: dict[int, int]) -> bytes:
     """Counts of codes by length and the symbols in order of length, as a file states them."""
-    return bytes(sum(n == bits for n in lengths.values()) for bits in range(1, 17)) + bytes(sorted(lengths, key=lambda x: (lengths[x], x)))
+    return bytes(
+        sum(n == bits for n in lengths.values()) for bits in range(1, 17)
+    ) + bytes(sorted(lengths, key=lambda x: (lengths[x], x)))
 
 
 def _text_lengths() -> dict[int, int]:
-    """Code lengths of (zeros before << 4 | size): ASCII letters are of size 7, other ASCII signs of size 6, further bytes of size 6 to 8."""
+    """Code lengths of (zeros before << 4 | size): ASCII letters are of size 7, other ASCII signs of size 6, further
+    bytes of size 6 to 8.
+    """
     common = {0x07: 1, 0x06: 2, 0x08: 4, 0x00: 5, 0x05: 6, 0x17: 7, 0x04: 8}
     rare = {run << 4 | size: 16 if run else 10 for run in range(16) for size in range(1, 9)} | {0xF0: 12}
     return rare | common
@@ -109,15 +118,23 @@ def encode(payloads: list[bytes]) -> list[bytes]:
     marks[file_first[1:] - 1, 1] = 0xD9  # the last interval of a file ends it
     flat = np.insert(stuffed, np.repeat(begin[1:], 2), marks.ravel())
     ends = (begin + 2 * np.arange(len(begin)))[file_first]
-    return [_header(n, a, d) + flat[s:e].tobytes() for n, (a, d), s, e in zip(sizes, grids, ends[:-1], ends[1:], strict=True)]
+    return [
+        _header(n, a, d) + flat[s:e].tobytes() for n,
+        (a, d),
+        s,
+        e in zip(sizes, grids, ends[:-1], ends[1:], strict=True)
+    ]
 
 
-def _entropy_coded(values: np.ndarray, interval_at: np.ndarray, interval_blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _entropy_coded(
+    values: np.ndarray, interval_at: np.ndarray, interval_blocks: np.ndarray
+) -> tuple[np.ndarray, np.ndarray]:
     """The coded bytes of all blocks, zeros stuffed, and where each interval begins in them (and the last ends)."""
     dc_code, dc_bits = _codes(DC_TABLE)
     ac_code, ac_bits = _codes(AC_TABLE)
     rows = len(values)
-    code, bits = np.zeros((rows, 65), dtype=np.int32), np.zeros((rows, 65), dtype=np.int32)  # a place for each coefficient, and the end of the block
+    # a place for each coefficient, and the end of the block
+    code, bits = np.zeros((rows, 65), dtype=np.int32), np.zeros((rows, 65), dtype=np.int32)
     step = np.diff(values[:, 0], prepend=np.int32(0))
     step[interval_at] = values[interval_at, 0]
     values = values.copy()
@@ -150,7 +167,9 @@ def _entropy_coded(values: np.ndarray, interval_at: np.ndarray, interval_blocks:
     some = np.flatnonzero(bits.ravel())
     code, bits = code.ravel()[some].astype(np.int64), bits.ravel()[some].astype(np.int64)
     at = np.cumsum(bits) - bits + shift[some // 65]
-    at, code, bits = np.concatenate((at, 8 * begin[:-1] + total)), np.concatenate((code, (1 << fill) - 1)), np.concatenate((bits, fill))
+    at, code, bits = np.concatenate(
+        (at, 8 * begin[:-1] + total)
+    ), np.concatenate((code, (1 << fill) - 1)), np.concatenate((bits, fill))
     # tokens are of 24 bits at most: each lies in one or two words of 32
     word, code = at >> 5, code << (64 - bits - (at & 31)).clip(max=63)
     code = code.view(np.uint64)
@@ -178,7 +197,9 @@ class Frame:
             body = data[at + 4 : at + 2 + size]
             at += 2 + size
             if marker == 0xC0:
-                self.height, self.width, self.components = int.from_bytes(body[1:3], "big"), int.from_bytes(body[3:5], "big"), body[5]
+                self.height, self.width, self.components = int.from_bytes(
+                    body[1:3], "big"
+                ), int.from_bytes(body[3:5], "big"), body[5]
                 self.table = body[8]
                 if body[0] != 8 or self.components != 1:
                     raise ValueError("only grayscale of 8 bits")
@@ -192,7 +213,9 @@ class Frame:
                 while body:
                     wide = body[0] >> 4
                     n = 1 + 64 * (1 + wide)
-                    self.quant[body[0] & 15], body = np.frombuffer(body[1:n], dtype=">u2" if wide else np.uint8), body[n:]
+                    self.quant[body[0] & 15], body = np.frombuffer(
+                        body[1:n], dtype=">u2" if wide else np.uint8
+                    ), body[n:]
             elif marker == 0xDD:
                 self.restart = int.from_bytes(body[:2], "big")
             elif marker == 0xFE:
@@ -262,7 +285,9 @@ def _decode_alike(frames: list[Frame], files: list[bytes]) -> list[np.ndarray]:
 
     def peek(at: np.ndarray, n) -> np.ndarray:
         """n bits, 16 at most."""
-        return (words[np.minimum(at >> 3, limit)] >> (32 - n - (at & 7)).astype(np.uint32) & ((1 << n) - 1)).astype(np.int64)
+        return (
+            words[np.minimum(at >> 3, limit)] >> (32 - n - (at & 7)).astype(np.uint32) & ((1 << n) - 1)
+        ).astype(np.int64)
 
     restart = np.array([f.restart or f.blocks for f in frames])[owner]
     number = np.arange(len(starts)) - np.concatenate(([0], np.cumsum(wanted)))[owner]
@@ -340,7 +365,10 @@ class Picture:
                 self.height, self.width = int.from_bytes(body[1:3], "big"), int.from_bytes(body[3:5], "big")
                 if body[0] != 8 or not self.height or not self.width:
                     raise ValueError("only 8 bits and a stated size")
-                parts = {body[6 + 3 * i]: (body[7 + 3 * i] >> 4, body[7 + 3 * i] & 15, body[8 + 3 * i]) for i in range(body[5])}
+                parts = {
+                    body[6 + 3 * i]: (body[7 + 3 * i] >> 4, body[7 + 3 * i] & 15, body[8 + 3 * i])
+                    for i in range(body[5])
+                }
                 if not parts or not all(1 <= h <= 4 and 1 <= v <= 4 for h, v, _ in parts.values()):
                     raise ValueError("broken frame")
                 self.first = body[6]
@@ -356,13 +384,18 @@ class Picture:
                 while body:
                     wide = body[0] >> 4
                     n = 1 + 64 * (1 + wide)
-                    tables_seen[body[0] & 15], body = np.frombuffer(body[1:n], dtype=">u2" if wide else np.uint8), body[n:]
+                    tables_seen[body[0] & 15], body = np.frombuffer(
+                        body[1:n], dtype=">u2" if wide else np.uint8
+                    ), body[n:]
             elif marker == 0xDD:
                 restart = int.from_bytes(body[:2], "big")
             elif marker == 0xFE:
                 self.comment = body
             elif marker == 0xDA:
-                own = [(body[1 + 2 * i], tables[body[2 + 2 * i] >> 4], tables[0x10 | body[2 + 2 * i] & 15]) for i in range(body[0])]
+                own = [
+                    (body[1 + 2 * i], tables[body[2 + 2 * i] >> 4], tables[0x10 | body[2 + 2 * i] & 15])
+                    for i in range(body[0])
+                ]
                 at = self._scan(data, at, own, parts, restart)
                 if any(name == self.first for name, _, _ in own):
                     self.quant = {0: tables_seen[parts[self.first][2]]}
@@ -395,7 +428,11 @@ class Picture:
         step = restart or units
         if len(segments) != -(-units // step):
             raise ValueError("restart markers don't match the frame")
-        layout = [(name == self.first, 1 if alone else parts[name][0], 1 if alone else parts[name][1], dc, ac) for name, dc, ac in own]
+        layout = [
+            (name == self.first, 1 if alone else parts[name][0], 1 if alone else parts[name][1], dc, ac) for name,
+            dc,
+            ac in own
+        ]
         wide = next((h for kept, h, _, _, _ in layout if kept), 0) * columns
         tall = next((v for kept, _, v, _, _ in layout if kept), 0) * lines
         out = np.zeros((tall, wide, 64), dtype=np.int16)
@@ -459,7 +496,9 @@ def read(files: list[bytes | None]) -> list[tuple[Frame | Picture, np.ndarray] |
             rest.append(i)
     for group in frames.values():
         try:
-            for (i, frame), blocks in zip(group, _decode_alike([f for _, f in group], [files[i] for i, _ in group]), strict=True):
+            for (i, frame), blocks in zip(
+                group, _decode_alike([f for _, f in group], [files[i] for i, _ in group]), strict=True
+            ):
                 out[i] = frame, blocks
         except broken:
             rest += [i for i, _ in group]
@@ -487,7 +526,11 @@ def thumbnail_hash(pixels: np.ndarray) -> str:
     low_r, low_c = np.minimum(rows[:-1], pixels.shape[0] - 1), np.minimum(columns[:-1], pixels.shape[1] - 1)
     high_r, high_c = np.maximum(rows[1:], low_r + 1), np.maximum(columns[1:], low_c + 1)
     area = (high_r - low_r)[:, None] * (high_c - low_c)[None, :]
-    cells = (total[np.ix_(high_r, high_c)] - total[np.ix_(low_r, high_c)] - total[np.ix_(high_r, low_c)] + total[np.ix_(low_r, low_c)]) / area
+    cells = (
+        total[
+            np.ix_(high_r, high_c)
+        ] - total[np.ix_(low_r, high_c)] - total[np.ix_(high_r, low_c)] + total[np.ix_(low_r, low_c)]
+    ) / area
     return np.packbits(cells.ravel() > cells.mean()).tobytes().hex()
 
 
@@ -509,7 +552,22 @@ def text_to_jpeg(column: pa.Array) -> pa.Array:
     return pa.array(out, pa.binary())
 
 
-FEATURES = T.StructType([T.StructField(n, t) for n, t in (("payload_bytes", T.LongType()), ("payload_sha256", T.StringType()), ("tail_crc32", T.LongType()), ("media_bytes", T.LongType()), ("media_sha256", T.StringType()), ("width", T.IntegerType()), ("height", T.IntegerType()), ("feature", T.StringType()), ("error", T.StringType()))])
+FEATURES = T.StructType(
+    [
+        T.StructField(n, t) for n,
+        t in (
+            ("payload_bytes", T.LongType()),
+            ("payload_sha256", T.StringType()),
+            ("tail_crc32", T.LongType()),
+            ("media_bytes", T.LongType()),
+            ("media_sha256", T.StringType()),
+            ("width", T.IntegerType()),
+            ("height", T.IntegerType()),
+            ("feature", T.StringType()),
+            ("error", T.StringType())
+        )
+    ]
+)
 
 
 @F.arrow_udf(FEATURES)
@@ -528,11 +586,23 @@ def jpeg_features(column: pa.Array) -> pa.Array:
                 if frame.comment.startswith(b"units=") and frame.comment[6:].isdigit():
                     payload = payload_of(frame, blocks)
                     stored = (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]))
-                values = (*stored, len(data), hashlib.sha256(data).hexdigest(), frame.width, frame.height, f"{frame.width}x{frame.height}:{thumbnail_hash(small)}:{zlib.crc32(small.tobytes()):08x}", None)
+                values = (
+                    *stored,
+                    len(data),
+                    hashlib.sha256(data).hexdigest(),
+                    frame.width,
+                    frame.height,
+                    f"{frame.width}x{frame.height}:{thumbnail_hash(small)}:{zlib.crc32(small.tobytes()):08x}",
+                    None
+                )
             for name, value in zip(rows, values, strict=True):
                 rows[name].append(value)
-    kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string()]
-    return pa.StructArray.from_arrays([pa.array(v, k) for v, k in zip(rows.values(), kinds, strict=True)], names=list(rows))
+    kinds = [
+        pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string()
+    ]
+    return pa.StructArray.from_arrays(
+        [pa.array(v, k) for v, k in zip(rows.values(), kinds, strict=True)], names=list(rows)
+    )
 
 
 def with_media(docs: DataFrame, text: str = "text", into: str = "media") -> DataFrame:
@@ -552,4 +622,6 @@ def op10_jpeg_media(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     media = with_media(docs.withColumn("n_bytes", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")))
     found = with_features(media.select("doc_id", "n_bytes", "media"))
-    return found.select("doc_id", "n_bytes", *(F.col("media_features")[f.name].alias(f.name) for f in FEATURES if f.name != "error"))
+    return found.select(
+        "doc_id", "n_bytes", *(F.col("media_features")[f.name].alias(f.name) for f in FEATURES if f.name != "error")
+    )

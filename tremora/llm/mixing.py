@@ -1,15 +1,15 @@
 """Mixing sources to target weights by iterative proportional fitting.
 
-Texts are counted into cells of source, language and topic. Each marginal has target shares of the budget of tokens: given
-ones, or shares in proportion to tokens ** TEMPER. A target beyond what the corpus holds is cut to all of it, and the rest
-goes to the other values of that marginal (``targets_of`` shows both). The expected tokens of the cells are then raked to each
-marginal in turn, never beyond a cell's own tokens, until every share is within TOLERANCE of its target, ROUNDS times at
-most. All of it is grouping and joining of the cell table; no cell leaves Spark, and no task holds a marginal. A document is kept if the
-uniform number of its key's digest is below its cell's probability.
-
-Defined results: a null text has no tokens; null sources and languages are values of their own; cells
-without tokens have probability 1. Rows that repeat a key share its fate. Given shares need not add up to 1;
-values that are not given get none. An empty table stays empty.
+Texts are counted into cells of source, language and topic. Each marginal has target shares of the budget of tokens:
+given ones, or shares in proportion to tokens ** TEMPER. A target beyond what the corpus holds is cut to all of it,
+and the rest goes to the other values of that marginal (``targets_of`` shows both). The expected tokens of the cells
+are then raked to each marginal in turn, never beyond a cell's own tokens, until every share is within TOLERANCE of
+its target, ROUNDS times at most. All of it is grouping and joining of the cell table; no cell leaves Spark, and no
+task holds a marginal. A document is kept if the uniform number of its key's digest is below its cell's probability.
+
+Defined results: a null text has no tokens; null sources and languages are values of their own; cells without tokens
+have probability 1. Rows that repeat a key share its fate. Given shares need not add up to 1; values that are not
+given get none. An empty table stays empty.
 """
 
 from __future__ import annotations
@@ -40,7 +40,9 @@ def topic(text: Column, n: Column) -> Column:
     """The genre of a text, from its length and signs."""
     text = F.coalesce(text, F.lit(""))
     pipes = F.length(text) - F.length(F.replace(text, F.lit("|"), F.lit("")))
-    return F.when(pipes * 10 >= F.greatest(n, F.lit(1)), "table").when(F.contains(text, F.lit("@")) | F.contains(text, F.lit("http")), "contact").when(n < 100, "short").when(n < 1000, "medium").otherwise("long")
+    return F.when(pipes * 10 >= F.greatest(n, F.lit(1)), "table").when(
+        F.contains(text, F.lit("@")) | F.contains(text, F.lit("http")), "contact"
+    ).when(n < 100, "short").when(n < 1000, "medium").otherwise("long")
 
 
 def with_cells(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -49,14 +51,26 @@ def with_cells(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.withColumn("topic", topic(F.col(text), F.col("n_tokens")))
 
 
-def targets_of(cells: DataFrame, budget: float = BUDGET, shares: Mapping[str, DataFrame] | None = None, dimensions: tuple[str, ...] = DIMENSIONS, temper: float = TEMPER) -> DataFrame:
-    """(dim, v, wanted, t): the tokens that each value of each marginal should have, and those that it can have. ``shares`` may give (value, share) for any dimension."""
+def targets_of(
+    cells: DataFrame,
+    budget: float = BUDGET,
+    shares: Mapping[str, DataFrame] | None = None,
+    dimensions: tuple[str, ...] = DIMENSIONS,
+    temper: float = TEMPER
+) -> DataFrame:
+    """(dim, v, wanted, t): the tokens that each value of each marginal should have, and those that it can have.
+    ``shares`` may give (value, share) for any dimension.
+    """
     own = []
     for d in dimensions:
         held = cells.groupBy(F.col(d).cast("string").alias("v")).agg(F.sum("n").cast("double").alias("m"))
         if given := (shares or {}).get(d):
-            asked = given.select(F.col(given.columns[0]).cast("string").alias("__v"), F.col(given.columns[1]).cast("double").alias("s"))
-            held = held.join(asked, F.col("v").eqNullSafe(F.col("__v")), "left").select("v", "m", F.coalesce("s", F.lit(0.0)).alias("s"))
+            asked = given.select(
+                F.col(given.columns[0]).cast("string").alias("__v"), F.col(given.columns[1]).cast("double").alias("s")
+            )
+            held = held.join(
+                asked, F.col("v").eqNullSafe(F.col("__v")), "left"
+            ).select("v", "m", F.coalesce("s", F.lit(0.0)).alias("s"))
         else:
             held = held.withColumn("s", F.pow("m", F.lit(temper)))
         own.append(held.select(F.lit(d).alias("dim"), "v", "m", "s"))
@@ -64,33 +78,68 @@ def targets_of(cells: DataFrame, budget: float = BUDGET, shares: Mapping[str, Da
     for held in own[1:]:
         table = table.union(held)
     table = cut(table, "marginals")
-    # of each marginal: the budget, and the rate at which shares become tokens, raised as values reach all that they have
-    rates = table.groupBy("dim").agg((budget * F.sum("m")).alias("b"), (budget * F.sum("m") / F.nullif(F.sum("s"), F.lit(0.0))).alias("rate")).withColumn("first", F.col("rate"))
+    # of each marginal: the budget, and the rate at which shares become tokens, raised as values reach all that they
+    # have
+    rates = table.groupBy("dim").agg(
+        (budget * F.sum("m")).alias("b"), (budget * F.sum("m") / F.nullif(F.sum("s"), F.lit(0.0))).alias("rate")
+    ).withColumn("first", F.col("rate"))
     for _ in range(FILL_STEPS):
         full = F.col("s") * F.col("rate") >= F.col("m")
-        left = table.join(rates, "dim").groupBy("dim", "b", "rate", "first").agg(F.sum(F.when(full, F.col("m")).otherwise(0.0)).alias("__m"), F.sum(F.when(full, 0.0).otherwise(F.col("s"))).alias("__s"))
-        rates = left.select("dim", "b", F.coalesce((F.col("b") - F.col("__m")) / F.nullif("__s", F.lit(0.0)), F.col("rate")).alias("rate"), "first")
-    return table.join(rates, "dim").select("dim", "v", (F.col("s") * F.col("first")).alias("wanted"), F.least(F.col("m"), F.col("s") * F.col("rate")).alias("t"))
+        left = table.join(rates, "dim").groupBy("dim", "b", "rate", "first").agg(
+            F.sum(F.when(full, F.col("m")).otherwise(0.0)).alias("__m"),
+            F.sum(F.when(full, 0.0).otherwise(F.col("s"))).alias("__s")
+        )
+        rates = left.select(
+            "dim",
+            "b",
+            F.coalesce((F.col("b") - F.col("__m")) / F.nullif("__s", F.lit(0.0)), F.col("rate")).alias("rate"),
+            "first"
+        )
+    return table.join(rates, "dim").select(
+        "dim",
+        "v",
+        (F.col("s") * F.col("first")).alias("wanted"),
+        F.least(F.col("m"), F.col("s") * F.col("rate")).alias("t")
+    )
 
 
 def _moved(raked: DataFrame, dim: str, targets: DataFrame) -> DataFrame:
     """Rake to one marginal; no cell gets more than it has."""
     sums = raked.groupBy(F.col(dim).cast("string").alias("__v")).agg(F.sum("e").alias("__sum"))
-    factor = sums.join(targets.where(F.col("dim") == dim), F.col("__v").eqNullSafe(F.col("v"))).select("__v", (F.col("t") / F.nullif("__sum", F.lit(0.0))).alias("__f"))
-    return raked.join(factor, F.col(dim).cast("string").eqNullSafe(F.col("__v"))).withColumn("e", F.least(F.col("n").cast("double"), F.coalesce(F.col("e") * F.col("__f"), F.lit(0.0)))).drop("__v", "__f")
+    factor = sums.join(
+        targets.where(F.col("dim") == dim), F.col("__v").eqNullSafe(F.col("v"))
+    ).select("__v", (F.col("t") / F.nullif("__sum", F.lit(0.0))).alias("__f"))
+    return raked.join(factor, F.col(dim).cast("string").eqNullSafe(F.col("__v"))).withColumn(
+        "e", F.least(F.col("n").cast("double"), F.coalesce(F.col("e") * F.col("__f"), F.lit(0.0)))
+    ).drop("__v", "__f")
 
 
 def residual(raked: DataFrame, targets: DataFrame, dimensions: tuple[str, ...] = DIMENSIONS) -> float:
     """The largest distance of a share from its target."""
-    sides = F.explode(F.array(*(F.struct(F.lit(d).alias("dim"), F.col(d).cast("string").alias("__v")) for d in dimensions))).alias("side")
+    sides = F.explode(
+        F.array(*(F.struct(F.lit(d).alias("dim"), F.col(d).cast("string").alias("__v")) for d in dimensions))
+    ).alias("side")
     sums = raked.select(sides, "e").groupBy("side").agg(F.sum("e").alias("__sum")).select("side.*", "__sum")
-    both = sums.join(targets.withColumnRenamed("dim", "__dim"), (F.col("dim") == F.col("__dim")) & F.col("__v").eqNullSafe(F.col("v")))
+    both = sums.join(
+        targets.withColumnRenamed("dim", "__dim"),
+        (F.col("dim") == F.col("__dim")) & F.col("__v").eqNullSafe(F.col("v"))
+    )
     most = both.groupBy("dim").agg(F.max(F.abs(F.col("__sum") - F.col("t"))).alias("x"), F.sum("t").alias("b"))
     return most.agg(F.max(F.col("x") / F.nullif("b", F.lit(0.0)))).first()[0] or 0.0
 
 
-def rake(cells: DataFrame, budget: float = BUDGET, shares: Mapping[str, DataFrame] | None = None, dimensions: tuple[str, ...] = DIMENSIONS, rounds: int = ROUNDS, tolerance: float = TOLERANCE, temper: float = TEMPER) -> DataFrame:
-    """Add ``e``, the expected tokens of each cell in the sample. ``shares`` may give (value, share) for any of the dimensions."""
+def rake(
+    cells: DataFrame,
+    budget: float = BUDGET,
+    shares: Mapping[str, DataFrame] | None = None,
+    dimensions: tuple[str, ...] = DIMENSIONS,
+    rounds: int = ROUNDS,
+    tolerance: float = TOLERANCE,
+    temper: float = TEMPER
+) -> DataFrame:
+    """Add ``e``, the expected tokens of each cell in the sample. ``shares`` may give (value, share) for any of the
+    dimensions.
+    """
     targets = cut(targets_of(cells, budget, shares, dimensions, temper), "targets")
     raked = cells.withColumn("e", F.col("n") * F.lit(float(budget)))
     for _ in range(rounds):
@@ -104,15 +153,21 @@ def rake(cells: DataFrame, budget: float = BUDGET, shares: Mapping[str, DataFram
 
 def calibrate(raked: DataFrame) -> DataFrame:
     """Add ``p``: the probability of a document of each cell."""
-    return raked.withColumn("p", F.round(F.least(F.lit(1.0), F.coalesce(F.col("e") / F.nullif("n", F.lit(0)), F.lit(1.0))), 6))
+    return raked.withColumn(
+        "p", F.round(F.least(F.lit(1.0), F.coalesce(F.col("e") / F.nullif("n", F.lit(0)), F.lit(1.0))), 6)
+    )
 
 
 def uniform(key: Column) -> Column:
     """A number in [0, 1) from the digest of a key."""
-    return F.conv(F.substring(F.md5(F.coalesce(key.cast("string"), F.lit(""))), 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
+    return F.conv(
+        F.substring(F.md5(F.coalesce(key.cast("string"), F.lit(""))), 1, 8), 16, 10
+    ).cast("double") / F.lit(float(1 << 32))
 
 
-def probabilities(counted: DataFrame, budget: float = BUDGET, shares: Mapping[str, DataFrame] | None = None) -> DataFrame:
+def probabilities(
+    counted: DataFrame, budget: float = BUDGET, shares: Mapping[str, DataFrame] | None = None
+) -> DataFrame:
     """(source, lang, topic, p) from rows with n_tokens."""
     cells = cut(counted.groupBy(*DIMENSIONS).agg(F.sum("n_tokens").alias("n")), "cells")
     return calibrate(rake(cells, budget, shares)).select(*DIMENSIONS, "p")
@@ -126,12 +181,20 @@ def with_probability(counted: DataFrame, mix: DataFrame) -> DataFrame:
     return counted.join(mix, same[0] & same[1] & same[2]).drop(*(f"__{d}" for d in DIMENSIONS))
 
 
-def sample_documents(docs: DataFrame, text: str = "text", key: str = "doc_id", budget: float = BUDGET, shares: Mapping[str, DataFrame] | None = None) -> DataFrame:
+def sample_documents(
+    docs: DataFrame,
+    text: str = "text",
+    key: str = "doc_id",
+    budget: float = BUDGET,
+    shares: Mapping[str, DataFrame] | None = None
+) -> DataFrame:
     """The sampled rows, with the columns of the input (columns ``topic`` and ``n_tokens`` are kept as they are)."""
     own = docs.select("source", "lang", text)
     mix = probabilities(cut(with_cells(own, text).drop(text), "counted"), budget, shares)
     n = tokens(F.col(text))
-    counted = docs.select(F.struct(*docs.columns).alias("__row"), F.col("source"), F.col("lang"), topic(F.col(text), n).alias("topic"))
+    counted = docs.select(
+        F.struct(*docs.columns).alias("__row"), F.col("source"), F.col("lang"), topic(F.col(text), n).alias("topic")
+    )
     return with_probability(counted, mix).where(uniform(F.col("__row")[key]) < F.col("__p")).select("__row.*")
 
 
@@ -142,7 +205,15 @@ def op2_source_mixing(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
     counted = cut(with_cells(docs).drop("text"), "counted")
     out = with_probability(counted, probabilities(counted))
-    return out.select("doc_id", "source", "lang", "topic", "n_tokens", F.col("__p").alias("probability"), (uniform(F.col("doc_id")) < F.col("__p")).alias("kept"))
+    return out.select(
+        "doc_id",
+        "source",
+        "lang",
+        "topic",
+        "n_tokens",
+        F.col("__p").alias("probability"),
+        (uniform(F.col("doc_id")) < F.col("__p")).alias("kept")
+    )
 
 
 def _sql() -> str:
@@ -155,22 +226,37 @@ def _sql() -> str:
     ]
     parts.append(f"b AS (SELECT {BUDGET} * coalesce(sum(n), 0) AS b FROM cells)")
     for i, dim in enumerate(DIMENSIONS):
-        parts.append(f"h{i} AS MATERIALIZED (SELECT {dim} AS v, sum(n) AS m, pow(sum(n), {TEMPER}) AS s FROM cells GROUP BY {dim})")
+        parts.append(
+            f"h{i} AS MATERIALIZED (SELECT {dim} AS v, sum(n) AS m, pow(sum(n), {TEMPER}) AS s FROM cells GROUP BY {dim})"
+        )
         parts.append(f"f{i}_0 AS MATERIALIZED (SELECT any_value(b) / sum(s) AS rate FROM h{i}, b)")
         for k in range(FILL_STEPS):
-            parts.append(f"f{i}_{k + 1} AS MATERIALIZED (SELECT coalesce((any_value(b) - sum(CASE WHEN s * rate >= m THEN m ELSE 0 END)) / nullif(sum(CASE WHEN s * rate >= m THEN 0 ELSE s END), 0), any_value(rate)) AS rate FROM h{i}, f{i}_{k}, b)")
+            parts.append(
+                f"f{i}_{k + 1} AS MATERIALIZED (SELECT coalesce((any_value(b) - sum(CASE WHEN s * rate >= m THEN m ELSE 0 END)) / nullif(sum(CASE WHEN s * rate >= m THEN 0 ELSE s END), 0), any_value(rate)) AS rate FROM h{i}, f{i}_{k}, b)"
+            )
         parts.append(f"t{i} AS MATERIALIZED (SELECT v, least(m, s * rate) AS t FROM h{i}, f{i}_{FILL_STEPS})")
-    targets = ", ".join(f"(SELECT t FROM t{i} WHERE v IS NOT DISTINCT FROM {dim}) AS t{i}" for i, dim in enumerate(DIMENSIONS))
+    targets = ", ".join(
+        f"(SELECT t FROM t{i} WHERE v IS NOT DISTINCT FROM {dim}) AS t{i}" for i, dim in enumerate(DIMENSIONS)
+    )
     parts.append(f"w0 AS (SELECT *, n * {BUDGET} AS e, {targets} FROM cells)")
     step, rounds = 0, []
     for r in range(ROUNDS):
         for i, dim in enumerate(DIMENSIONS):
-            parts.append(f"w{step + 1} AS MATERIALIZED (SELECT * REPLACE (least(n, coalesce(e * t{i} / nullif(sum(e) OVER (PARTITION BY {dim}), 0), 0)) AS e) FROM w{step})")
+            parts.append(
+                f"w{step + 1} AS MATERIALIZED (SELECT * REPLACE (least(n, coalesce(e * t{i} / nullif(sum(e) OVER (PARTITION BY {dim}), 0), 0)) AS e) FROM w{step})"
+            )
             step += 1
-        apart = ", ".join(f"(SELECT max(abs(x)) FROM (SELECT sum(e) - any_value(t{i}) AS x FROM w{step} GROUP BY {dim}))" for i, dim in enumerate(DIMENSIONS))
-        rounds.append(f"SELECT {r} AS r, greatest({apart}) / (SELECT b FROM b) AS x, source, lang, topic, n, e FROM w{step}")
+        apart = ", ".join(
+            f"(SELECT max(abs(x)) FROM (SELECT sum(e) - any_value(t{i}) AS x FROM w{step} GROUP BY {dim}))" for i,
+            dim in enumerate(DIMENSIONS)
+        )
+        rounds.append(
+            f"SELECT {r} AS r, greatest({apart}) / (SELECT b FROM b) AS x, source, lang, topic, n, e FROM w{step}"
+        )
     parts.append(f"all_rounds AS MATERIALIZED ({' UNION ALL '.join(rounds)})")
-    parts.append(f"mix AS (SELECT source, lang, topic, round(least(1.0, coalesce(e / nullif(n, 0), 1.0)), 6) AS p FROM all_rounds WHERE r = (SELECT coalesce(min(r) FILTER (WHERE x < {TOLERANCE}), {ROUNDS - 1}) FROM all_rounds))")
+    parts.append(
+        f"mix AS (SELECT source, lang, topic, round(least(1.0, coalesce(e / nullif(n, 0), 1.0)), 6) AS p FROM all_rounds WHERE r = (SELECT coalesce(min(r) FILTER (WHERE x < {TOLERANCE}), {ROUNDS - 1}) FROM all_rounds))"
+    )
     return "WITH " + ",\n".join(parts) + """
 SELECT c.doc_id, c.source, c.lang, c.topic, c.n_tokens, p AS probability, CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) / 4294967296.0 < p AS kept
 FROM c JOIN mix ON c.source IS NOT DISTINCT FROM mix.source AND c.lang IS NOT DISTINCT FROM mix.lang AND c.topic IS NOT DISTINCT FROM mix.topic"""

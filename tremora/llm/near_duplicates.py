@@ -31,10 +31,12 @@ from tremora.session import cut
 WIDTH = 5
 BANDS, ROWS = 32, 4
 THRESHOLD = 75
-#: Of 128 bits, one from each minimum, those that must agree: documents of similarity 0.75 agree in 112 on average, with a deviation of 3.7.
+#: Of 128 bits, one from each minimum, those that must agree: documents of similarity 0.75 agree in 112 on average,
+#: with a deviation of 3.7.
 LEAST_BITS = 92
 SEED = 77
-#: The second search compares one bit of each of LONG minima: links agree in 1792 on average, with a deviation of 15; fewer agree in one of 300,000.
+#: The second search compares one bit of each of LONG minima: links agree in 1792 on average, with a deviation of 15;
+#: fewer agree in one of 300,000.
 LONG = 2048
 LEAST_LONG = 1724
 #: Sets of keys up to this size are broadcast, larger ones are joined by shuffle.
@@ -49,7 +51,10 @@ def shingle_sets(column: pa.Array, width: int = WIDTH) -> tuple[np.ndarray, np.n
     own = words.doc[: len(grams)]
     whole = np.flatnonzero(own == words.doc[width - 1 :]) if len(grams) else np.zeros(0, dtype=np.int64)
     few = np.flatnonzero((words.count > 0) & (words.count < width))
-    single = [shingle_hashes(words.hash[words.first[r] : words.first[r] + words.count[r]], int(words.count[r]))[0] for r in few]
+    single = [
+        shingle_hashes(words.hash[words.first[r] : words.first[r] + words.count[r]], int(words.count[r]))[0]
+        for r in few
+    ]
     hashes = np.concatenate((grams[whole], np.array(single, dtype=U)))
     rows = np.concatenate((own[whole], few))
     _, first = np.unique(mix(hashes + rows.astype(U) * U(0x9E3779B97F4A7C15)), return_index=True)
@@ -64,7 +69,9 @@ def _parameters(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def minima(hashes: np.ndarray, rows: np.ndarray, n: int = BANDS * ROWS) -> np.ndarray:
     """The least of each of n universal hashes over each row's shingles; rows must be ordered."""
-    starts = np.flatnonzero(np.concatenate(([True], rows[1:] != rows[:-1]))) if len(rows) else np.zeros(0, dtype=np.int64)
+    starts = np.flatnonzero(
+        np.concatenate(([True], rows[1:] != rows[:-1]))
+    ) if len(rows) else np.zeros(0, dtype=np.int64)
     out = np.zeros((n, len(starts)), dtype=np.uint32)
     if not len(starts):
         return out
@@ -79,7 +86,9 @@ def minima(hashes: np.ndarray, rows: np.ndarray, n: int = BANDS * ROWS) -> np.nd
 
 def low_bits(least: np.ndarray) -> np.ndarray:
     """The lowest bit of each minimum: a row of 64-bit integers for each document."""
-    return np.packbits((least & 1).astype(np.uint8), axis=0, bitorder="little").T.copy().view(U).reshape(least.shape[1], -1)
+    return np.packbits(
+        (least & 1).astype(np.uint8), axis=0, bitorder="little"
+    ).T.copy().view(U).reshape(least.shape[1], -1)
 
 
 def band_hashes(least: np.ndarray) -> np.ndarray:
@@ -112,16 +121,25 @@ def signed(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
                     begin = words.first[full]
                     position = np.arange(len(words.start)) - np.repeat(begin, words.count[full])
                     for k in range(2):
-                        digest[k, full] = np.add.reduceat(mix(words.hash ^ mix(position.astype(U) * U(2) + U(k))), begin)
+                        digest[k, full] = np.add.reduceat(
+                            mix(words.hash ^ mix(position.astype(U) * U(2) + U(k))), begin
+                        )
                 bits = low_bits(least)
                 sketch = np.zeros((2, total), dtype=U)
                 sketch[:, full] = bits.T
                 sizes = np.zeros(total + 1, dtype=np.int32)
                 np.cumsum((n > 0) * BANDS, out=sizes[1:])
-                columns = [column_of(part, "k"), pa.array(n), *(pa.array(x.view(np.int64)) for x in (digest[0], digest[1], sketch[0], sketch[1])), pa.ListArray.from_arrays(pa.array(sizes), pa.array(band_hashes(least).ravel().view(np.int64)))]
+                columns = [
+                    column_of(part, "k"),
+                    pa.array(n),
+                    *(pa.array(x.view(np.int64)) for x in (digest[0], digest[1], sketch[0], sketch[1])),
+                    pa.ListArray.from_arrays(pa.array(sizes), pa.array(band_hashes(least).ravel().view(np.int64)))
+                ]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc", "n", "d1", "d2", "s1", "s2", "bands"])
 
-    return docs.select(F.col(key).cast("long").alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t")).mapInArrow(sign, SIGNED)
+    return docs.select(
+        F.col(key).cast("long").alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t")
+    ).mapInArrow(sign, SIGNED)
 
 
 @F.arrow_udf(T.BooleanType())
@@ -165,8 +183,13 @@ def long_bits(texts: DataFrame) -> DataFrame:
                 bits = low_bits(minima(hashes, rows, LONG))
                 keys = column_of(part, "k").take(pa.array(np.unique(rows)))
                 bands = band_hashes(minima(hashes, rows))
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(bands) + 1, dtype=np.int32) * BANDS), pa.array(bands.ravel().view(np.int64)))
-                yield pa.RecordBatch.from_arrays([keys, *(pa.array(np.ascontiguousarray(b).view(np.int64)) for b in bits.T), lists], names=["doc", *names, "bands"])
+                lists = pa.ListArray.from_arrays(
+                    pa.array(np.arange(len(bands) + 1, dtype=np.int32) * BANDS), pa.array(bands.ravel().view(np.int64))
+                )
+                yield pa.RecordBatch.from_arrays(
+                    [keys, *(pa.array(np.ascontiguousarray(b).view(np.int64)) for b in bits.T), lists],
+                    names=["doc", *names, "bands"]
+                )
 
     return texts.mapInArrow(sign, "doc long, " + ", ".join(f"{n} long" for n in names) + ", bands array<long>")
 
@@ -193,11 +216,15 @@ def components(links: DataFrame) -> DataFrame:
         # large star: every larger neighbour is tied to the least of the neighbourhood
         both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = both.join(least, "a").where("b > a").select(
+            F.col("b").alias("a"), F.col("m").alias("b")
+        ).where("a <> b").distinct()
         large = cut(large.coalesce(parts), "edges")
         # small star: smaller neighbours and the document itself are tied to the least
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
+        small = large.join(least, "a").where("b <> m").select(
+            F.col("b").alias("a"), F.col("m").alias("b")
+        ).union(least.select("a", F.col("m").alias("b")))
         edges = cut(small.distinct().coalesce(parts), "edges")
     return edges.select(F.col("a").alias("doc"), F.col("b").alias("component"))
 
@@ -205,7 +232,9 @@ def components(links: DataFrame) -> DataFrame:
 def _is_star(edges: DataFrame) -> bool:
     """Whether every document has one edge to a centre that has none of its own."""
     sizes = edges.agg(F.count("*").alias("n"), F.count_distinct("a").alias("d")).first()
-    return sizes["n"] == sizes["d"] and edges.join(edges.select(F.col("b").alias("a")).distinct(), "a", "left_semi").isEmpty()
+    return sizes["n"] == sizes["d"] and edges.join(
+        edges.select(F.col("b").alias("a")).distinct(), "a", "left_semi"
+    ).isEmpty()
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -213,12 +242,29 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     base = cut(signed(docs, key, text), "signed")
     some = base.where("n > 0")
     classes = some.groupBy("d1", "d2").agg(F.min("doc").alias("rep"))
-    firsts = some.join(classes, ["d1", "d2"]).where("doc = rep").select("doc", "n", "s1", "s2", "bands").dropDuplicates(["doc"])
+    firsts = some.join(classes, ["d1", "d2"]).where("doc = rep").select(
+        "doc", "n", "s1", "s2", "bands"
+    ).dropDuplicates(["doc"])
     bands = firsts.select("doc", "n", "s1", "s2", F.posexplode("bands").alias("band", "bucket"))
-    leads = bands.groupBy("bucket").agg(F.min(F.struct("doc", "n", "s1", "s2")).alias("lead"), F.count("*").alias("size")).where("size > 1")
-    grouped = cut(bands.join(leads, "bucket").select("bucket", "band", "size", "doc", "n", "s1", "s2", "lead"), "grouped")
-    star = grouped.select("doc", "n", "s1", "s2", F.col("lead.doc").alias("b"), F.col("lead.n").alias("m"), F.col("lead.s1").alias("t1"), F.col("lead.s2").alias("t2"))
-    star = star.where((F.col("doc") != F.col("b")) & _alike("s1", "s2", "n", "t1", "t2", "m")).select(F.col("doc").alias("a"), "b").distinct()
+    leads = bands.groupBy("bucket").agg(
+        F.min(F.struct("doc", "n", "s1", "s2")).alias("lead"), F.count("*").alias("size")
+    ).where("size > 1")
+    grouped = cut(
+        bands.join(leads, "bucket").select("bucket", "band", "size", "doc", "n", "s1", "s2", "lead"), "grouped"
+    )
+    star = grouped.select(
+        "doc",
+        "n",
+        "s1",
+        "s2",
+        F.col("lead.doc").alias("b"),
+        F.col("lead.n").alias("m"),
+        F.col("lead.s1").alias("t1"),
+        F.col("lead.s2").alias("t2")
+    )
+    star = star.where(
+        (F.col("doc") != F.col("b")) & _alike("s1", "s2", "n", "t1", "t2", "m")
+    ).select(F.col("doc").alias("a"), "b").distinct()
     links = cut(confirmed(star, docs, key, text), "links")
     found = components(links)
 
@@ -227,7 +273,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
         again = cut(confirmed(more, docs, key, text), "links")
         if not again.isEmpty():
             found = components(found.select(F.col("doc").alias("a"), F.col("component").alias("b")).union(again))
-    named = base.select("doc", "n", "d1", "d2").join(classes, ["d1", "d2"], "left").join(found.withColumnRenamed("doc", "rep"), "rep", "left")
+    named = base.select("doc", "n", "d1", "d2").join(classes, ["d1", "d2"], "left").join(
+        found.withColumnRenamed("doc", "rep"), "rep", "left"
+    )
     component = F.when(F.col("n") > 0, F.coalesce("component", "rep")).otherwise(F.col("doc"))
     out = named.select(F.col("doc").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col(key) == F.col("component_id"), F.col("component_id").isNull()))
@@ -235,9 +283,13 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 
 def mixed_buckets(grouped: DataFrame, found: DataFrame) -> DataFrame:
     """Members of buckets that hold several components, with the bucket's largest component as ``main``."""
-    held = grouped.where("size > 2").select("bucket", "band", "doc", "n", "s1", "s2", F.col("lead.doc").alias("lead")).join(found, "doc", "left").withColumn("component", F.coalesce("component", "doc"))
+    held = grouped.where("size > 2").select(
+        "bucket", "band", "doc", "n", "s1", "s2", F.col("lead.doc").alias("lead")
+    ).join(found, "doc", "left").withColumn("component", F.coalesce("component", "doc"))
     parts = held.groupBy("bucket", "component").agg(F.count("*").alias("c"))
-    main = parts.groupBy("bucket").agg(F.max(F.struct("c", "component")).alias("main"), F.count("*").alias("parts")).where("parts > 1").select("bucket", F.col("main.component").alias("main"))
+    main = parts.groupBy("bucket").agg(
+        F.max(F.struct("c", "component")).alias("main"), F.count("*").alias("parts")
+    ).where("parts > 1").select("bucket", F.col("main.component").alias("main"))
     return cut(held.join(main, "bucket"), "mixed")
 
 
@@ -248,19 +300,32 @@ def between_components(grouped: DataFrame, found: DataFrame, docs: DataFrame, ke
     bits = cut(long_bits(only(texts, mixed.select(F.col("doc").alias("k")).distinct())), "bits")
     mixed = mixed.join(bits, "doc")
     names = [c for c in bits.columns if c.startswith("l")]
-    other = mixed.select("bucket", *(F.col(c).alias(f"o_{c}") for c in ("doc", "n", "s1", "s2", "component", "bands", *names)))
-    untried = (F.col("component") != F.col("o_component")) & (F.col("o_doc") != F.col("lead")) & ((F.col("o_component") == F.col("main")) | (F.col("doc") < F.col("o_doc")))
+    other = mixed.select(
+        "bucket", *(F.col(c).alias(f"o_{c}") for c in ("doc", "n", "s1", "s2", "component", "bands", *names))
+    )
+    untried = (F.col("component") != F.col("o_component")) & (F.col("o_doc") != F.col("lead")) & (
+        (F.col("o_component") == F.col("main")) | (F.col("doc") < F.col("o_doc"))
+    )
     differ = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"o_{c}"))) for c in names), F.lit(0))
     # a pair that shares several buckets belongs to the first of them
     earlier = F.arrays_overlap(F.slice("bands", F.lit(1), F.col("band")), F.slice("o_bands", F.lit(1), F.col("band")))
-    same = [F.col("bucket") == F.col("o_bucket"), untried, _alike("s1", "s2", "n", "o_s1", "o_s2", "o_n"), (differ <= LONG - LEAST_LONG) & ~earlier]
-    pairs = mixed.where("component <> main and doc <> lead").join(other.withColumnRenamed("bucket", "o_bucket"), same[0] & same[1] & same[2] & same[3])
+    same = [
+        F.col("bucket") == F.col("o_bucket"),
+        untried,
+        _alike("s1", "s2", "n", "o_s1", "o_s2", "o_n"),
+        (differ <= LONG - LEAST_LONG) & ~earlier
+    ]
+    pairs = mixed.where("component <> main and doc <> lead").join(
+        other.withColumnRenamed("bucket", "o_bucket"), same[0] & same[1] & same[2] & same[3]
+    )
     return pairs.select(F.greatest("doc", "o_doc").alias("a"), F.least("doc", "o_doc").alias("b")).distinct()
 
 
 def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of the input without those of a group other than its first."""
-    dropped = near_duplicates(docs, key, text).where(~F.col("kept") & F.col(key).isNotNull()).select(F.col(key).alias("__key")).distinct()
+    dropped = near_duplicates(docs, key, text).where(
+        ~F.col("kept") & F.col(key).isNotNull()
+    ).select(F.col(key).alias("__key")).distinct()
     return docs.join(dropped, docs[key].cast("long") == F.col("__key"), "left_anti")
 
 

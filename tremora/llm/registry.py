@@ -19,7 +19,18 @@ from tremora.llm.warc import OP8_SQL, op8_warc_zip
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_fuzzy_passages, op2_source_mixing, op3_secret_scan, op4_quality_classifier, op5_sentencepiece, op6_quality_rules, op7_token_binary, op8_warc_zip, op9_minhash_near_dedup, op10_jpeg_media]
+    found = [
+        op1_fuzzy_passages,
+        op2_source_mixing,
+        op3_secret_scan,
+        op4_quality_classifier,
+        op5_sentencepiece,
+        op6_quality_rules,
+        op7_token_binary,
+        op8_warc_zip,
+        op9_minhash_near_dedup,
+        op10_jpeg_media
+    ]
     return {f.__name__: f for f in found}
 
 

@@ -1,14 +1,14 @@
 """Secret scan with structural confirmation.
 
-Patterns find the base spans (credential assignments, access keys, long hex runs). Beyond these,
-base64 and hex candidates are decoded and reported only if their structure holds: DER private keys
-whose nested lengths add up (plain or encrypted), OpenSSH key blobs whose length-prefixed fields fit, signed tokens whose
-header and payload are JSON objects. Keys are looked for wherever their first bytes stand: behind other characters, wrapped over
-lines, between armour lines, as base64 of an armoured key, with colons between hex digits. Texts are scanned whole and in
-linear time, a slice of a partition at a time.
-
-Defined results: a null or empty text has no spans. Spans of one kind never overlap. Matching is per
-row, so repeated rows get equal spans, and other columns of the input pass through untouched.
+Patterns find the base spans (credential assignments, access keys, long hex runs). Beyond these, base64 and hex
+candidates are decoded and reported only if their structure holds: DER private keys whose nested lengths add up (plain
+or encrypted), OpenSSH key blobs whose length-prefixed fields fit, signed tokens whose header and payload are JSON
+objects. Keys are looked for wherever their first bytes stand: behind other characters, wrapped over lines, between
+armour lines, as base64 of an armoured key, with colons between hex digits. Texts are scanned whole and in linear
+time, a slice of a partition at a time.
+
+Defined results: a null or empty text has no spans. Spans of one kind never overlap. Matching is per row, so repeated
+rows get equal spans, and other columns of the input pass through untouched.
 """
 
 from __future__ import annotations
@@ -29,17 +29,36 @@ from tremora.llm.textscan import IS_SPACE, Words, array_slices, code_point_ranks
 
 #: Kinds in the order of ties. The first three are the base kinds.
 KINDS = ("assign", "access", "hex", "private_key", "hex_key", "signed_token")
-SPANS = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
+SPANS = T.ArrayType(
+    T.StructType(
+        [
+            T.StructField("kind", T.StringType()),
+            T.StructField("start", T.IntegerType()),
+            T.StructField("end", T.IntegerType())
+        ]
+    )
+)
 
-ASSIGN = re.compile(rb"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE)
+ASSIGN = re.compile(
+    rb"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE
+)
 ACCESS = re.compile(rb"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(rb"[0-9a-f]{24,}")
 DOTTED = re.compile(rb"[A-Za-z0-9_.-]+")
-ARMOUR = re.compile(rb"-----BEGIN ([A-Z0-9 ]{0,40})PRIVATE KEY-----((?:\s*[A-Za-z-]{1,40}: [^\r\n-]*(?=[\r\n]))*)([A-Za-z0-9+/=\s\\]+)-----END \1PRIVATE KEY-----")
-#: How the DER of a key begins: a sequence of a version, or (encrypted keys) of a sequence that names a cipher; in base64 and in hex.
-DER_BASE64 = re.compile(rb"M(?=(?:II[A-Za-z0-9+/_-]{2}(?:[AQgw]IB|[DTjz][A-D])|I[GH][A-Za-z0-9+/_-](?:AgE|M)|[A-H][A-Za-z0-9+/_-](?:CAQ|w))[A-Za-z0-9+/_-]{8})")
-DER_HEX = re.compile(rb"3(?=0(?:82[0-9A-Fa-f]{4}|81[0-9A-Fa-f]{2}|[0-7][0-9A-Fa-f])(?:02010[0-9]|30(?:82[0-9A-Fa-f]{4}|81[0-9A-Fa-f]{2}|[0-7][0-9A-Fa-f])0609))")
-DER_COLONS = re.compile(rb"3(?=0:(?:82:[0-9A-Fa-f]{2}:[0-9A-Fa-f]{2}|81:[0-9A-Fa-f]{2}|[0-7][0-9A-Fa-f]):(?:02:01:0[0-9]|30:(?:82:[0-9A-Fa-f]{2}:[0-9A-Fa-f]{2}|81:[0-9A-Fa-f]{2}|[0-7][0-9A-Fa-f]):06:09))")
+ARMOUR = re.compile(
+    rb"-----BEGIN ([A-Z0-9 ]{0,40})PRIVATE KEY-----((?:\s*[A-Za-z-]{1,40}: [^\r\n-]*(?=[\r\n]))*)([A-Za-z0-9+/=\s\\]+)-----END \1PRIVATE KEY-----"
+)
+#: How the DER of a key begins: a sequence of a version, or (encrypted keys) of a sequence that names a cipher; in
+#: base64 and in hex.
+DER_BASE64 = re.compile(
+    rb"M(?=(?:II[A-Za-z0-9+/_-]{2}(?:[AQgw]IB|[DTjz][A-D])|I[GH][A-Za-z0-9+/_-](?:AgE|M)|[A-H][A-Za-z0-9+/_-](?:CAQ|w))[A-Za-z0-9+/_-]{8})"
+)
+DER_HEX = re.compile(
+    rb"3(?=0(?:82[0-9A-Fa-f]{4}|81[0-9A-Fa-f]{2}|[0-7][0-9A-Fa-f])(?:02010[0-9]|30(?:82[0-9A-Fa-f]{4}|81[0-9A-Fa-f]{2}|[0-7][0-9A-Fa-f])0609))"
+)
+DER_COLONS = re.compile(
+    rb"3(?=0:(?:82:[0-9A-Fa-f]{2}:[0-9A-Fa-f]{2}|81:[0-9A-Fa-f]{2}|[0-7][0-9A-Fa-f]):(?:02:01:0[0-9]|30:(?:82:[0-9A-Fa-f]{2}:[0-9A-Fa-f]{2}|81:[0-9A-Fa-f]{2}|[0-7][0-9A-Fa-f]):06:09))"
+)
 OPENSSH, NESTED = b"b3BlbnNzaC1rZXktdjE", b"LS0tLS1CRUdJTi"
 SPACED_BASE64, BASE64 = re.compile(rb"[A-Za-z0-9+/_\s-]*={0,2}"), re.compile(rb"[A-Za-z0-9+/_-]*={0,2}")
 #: The object identifiers of password-based encryption (PKCS#5 and PKCS#12) begin so.
@@ -97,7 +116,9 @@ def is_private_key(data: bytes) -> bool:
     tags = [tag for tag, _, _ in inner]
     if tags == [0x30, 0x04]:  # cipher and what it encrypts
         cipher = der_elements(data, inner[0][1], inner[0][2])
-        return bool(cipher) and cipher[0][0] == 0x06 and data[cipher[0][1] : cipher[0][2]].startswith(CIPHERS) and inner[1][2] - inner[1][1] >= 16
+        return bool(cipher) and cipher[0][0] == 0x06 and data[
+            cipher[0][1] : cipher[0][2]
+        ].startswith(CIPHERS) and inner[1][2] - inner[1][1] >= 16
     if tags[0] != 0x02 or inner[0][2] - inner[0][1] != 1:
         return False
     if len(tags) >= 9 and tags[:9] == [0x02] * 9:  # version and eight numbers
@@ -143,7 +164,9 @@ def _run_spans(run: bytes) -> Iterator[tuple[int, int, int]]:
 
 
 def _tokens(dotted: bytes, base: int) -> Iterator[tuple[int, int, int]]:
-    """Signed tokens among the parts between dots. A header may follow other characters: it begins with its base64 brace."""
+    """Signed tokens among the parts between dots. A header may follow other characters: it begins with its base64
+    brace.
+    """
     parts = dotted.split(b".")
     starts = [0]
     for part in parts:
@@ -161,7 +184,9 @@ def _tokens(dotted: bytes, base: int) -> Iterator[tuple[int, int, int]]:
 
 
 def _base64_keys(raw: bytes, begin: int, end: int) -> Iterator[tuple[int, int]]:
-    """Spans of private keys in base64 within raw[begin:end]: wherever one begins, wrapped over lines or not, also as base64 of an armoured key."""
+    """Spans of private keys in base64 within raw[begin:end]: wherever one begins, wrapped over lines or not, also as
+    base64 of an armoured key.
+    """
     for match in DER_BASE64.finditer(raw, begin, end):
         at = match.start()
         need = -(-der_size(from_base64(raw[at : at + 8]) or b"") * 8 // 6)
@@ -227,7 +252,9 @@ def _hex_keys(raw: bytes, begin: int, end: int) -> Iterator[tuple[int, int]]:
 
 
 def _armoured(match: re.Match) -> bool:
-    """Whether the body between the lines is a key. One with a cipher in its head lines can't be looked into: it must be whole blocks."""
+    """Whether the body between the lines is a key. One with a cipher in its head lines can't be looked into: it must
+    be whole blocks.
+    """
     text = match[3].replace(b"\\n", b"").replace(b"\\r", b"")
     body = from_base64(bytes(b for b in text if not IS_SPACE[b]))
     if body and b"DEK-Info:" in match[2]:
@@ -262,12 +289,21 @@ def scan_slice(column: pa.Array) -> pa.Array:
     marks = np.flatnonzero((data == 0x3A) | (data == 0x3D))
     for row in np.unique(np.searchsorted(offsets, marks, side="right") - 1) if len(marks) else ():
         begin, end = int(offsets[row]), int(offsets[row + 1])
-        found += [(int(row), m.start(), 0, m.end()) for m in ASSIGN.finditer(raw, begin, end) if m.end(1) - m.start(1) >= LEAST_SECRET]
-    for kind, keys, hints in ((3, _private_keys, (b"PRIVATE KEY-----", OPENSSH, NESTED, DER_BASE64)), (4, _hex_keys, (DER_HEX, DER_COLONS))):
+        found += [
+            (int(row), m.start(), 0, m.end())
+            for m in ASSIGN.finditer(raw, begin, end) if m.end(1) - m.start(1) >= LEAST_SECRET
+        ]
+    for kind, keys, hints in (
+        (3, _private_keys, (b"PRIVATE KEY-----", OPENSSH, NESTED, DER_BASE64)), (4, _hex_keys, (DER_HEX, DER_COLONS))
+    ):
         # rows that hold how a key may begin
-        at = {m.start() for hint in hints for m in (re.compile(hint) if isinstance(hint, bytes) else hint).finditer(raw)}
+        at = {
+            m.start() for hint in hints for m in (re.compile(hint) if isinstance(hint, bytes) else hint).finditer(raw)
+        }
         for row in np.unique(np.searchsorted(offsets, sorted(at), side="right") - 1) if at else ():
-            found += [(int(row), a, kind, b) for a, b in _apart(list(keys(raw, int(offsets[row]), int(offsets[row + 1]))))]
+            found += [
+                (int(row), a, kind, b) for a, b in _apart(list(keys(raw, int(offsets[row]), int(offsets[row + 1]))))
+            ]
     found.sort()
     ranks = code_point_ranks(data)
     row = np.array([x[0] for x in found], dtype=np.int64)
@@ -275,7 +311,11 @@ def scan_slice(column: pa.Array) -> pa.Array:
     end = np.array([x[3] for x in found], dtype=np.int64)
     base = ranks[offsets[row]]
     structs = pa.StructArray.from_arrays(
-        [pa.array([KINDS[x[2]] for x in found], pa.string()), pa.array(ranks[start] - base, pa.int32()), pa.array(ranks[end] - base, pa.int32())],
+        [
+            pa.array([KINDS[x[2]] for x in found], pa.string()),
+            pa.array(ranks[start] - base, pa.int32()),
+            pa.array(ranks[end] - base, pa.int32())
+        ],
         names=["kind", "start", "end"],
     )
     counts = np.zeros(rows + 1, dtype=np.int32)
@@ -287,11 +327,16 @@ def scan_slice(column: pa.Array) -> pa.Array:
 def secret_spans(column: pa.Array) -> pa.Array:
     """Spans of secrets in each text: kind, start and end in code points, end exclusive."""
     parts = [scan_slice(x) for x in array_slices(column)]
-    return pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())])))
+    return pa.concat_arrays(parts) if parts else pa.array(
+        [], pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
+    )
 
 
 def joined(spans: Column) -> Column:
-    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    return F.array_join(
+        F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))),
+        ","
+    )
 
 
 def find_secrets(docs: DataFrame, text: str = "text", into: str = "secrets") -> DataFrame:
@@ -307,7 +352,12 @@ def redact(docs: DataFrame, text: str = "text", mark: str = "[redacted]") -> Dat
         F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
         lambda acc, s: F.when(
             s["start"] >= acc["at"],
-            F.struct(s["end"].alias("at"), F.concat(acc["out"], F.substr(F.col(text), acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark)).alias("out")),
+            F.struct(
+                s["end"].alias("at"),
+                F.concat(
+                    acc["out"], F.substr(F.col(text), acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark)
+                ).alias("out")
+            ),
         ).otherwise(F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out"))),
         lambda acc: F.concat(acc["out"], F.substr(F.col(text), acc["at"] + 1)),
     )

@@ -4,12 +4,12 @@ The automaton holds all pieces of the vocabulary over UTF-8 bytes, in numpy arra
 resolved, output links and the piece that ends in each state. Units are walked in lockstep, a byte of each at a time;
 at every byte the output links are followed from state to state, and each piece that ends there relaxes the best score
 of that position. Characters that no piece covers fall back to byte pieces. Segmentations maximise the sum of scores.
-The scores are those of the file; the vocabulary at hand was built by merges and its scores are ranks, so its segmentations
-are not those of replayed merges. ``scores="zipf"`` takes the logarithm of Zipf's law at the rank of a piece instead.
-Decoding returns every text exactly.
+The scores are those of the file; the vocabulary at hand was built by merges and its scores are ranks, so its
+segmentations are not those of replayed merges. ``scores="zipf"`` takes the logarithm of Zipf's law at the rank of a
+piece instead. Decoding returns every text exactly.
 
-Defined results: a null text counts as empty and has no pieces. Among equal scores the longer last
-piece wins. U+2581 in a text is encoded in bytes, so it survives decoding.
+Defined results: a null text counts as empty and has no pieces. Among equal scores the longer last piece wins. U+2581
+in a text is encoded in bytes, so it survives decoding.
 """
 
 from __future__ import annotations
@@ -38,7 +38,9 @@ def default_model() -> str:
 
 
 class Automaton:
-    """Byte strings as an Aho-Corasick automaton: ``step[state, byte]``, the string that ends in a state, and the next shorter one that does."""
+    """Byte strings as an Aho-Corasick automaton: ``step[state, byte]``, the string that ends in a state, and the next
+    shorter one that does.
+    """
 
     def __init__(self, strings: list[bytes]):
         lengths = np.array([len(x) for x in strings], dtype=np.int64)
@@ -82,7 +84,9 @@ class Pieces:
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         n = model.get_piece_size()
         names = [model.id_to_piece(i) for i in range(n)]
-        special = {i for i in range(n) if model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i)}
+        special = {
+            i for i in range(n) if model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i)
+        }
         self.byte_ids = np.zeros(256, dtype=np.int32)
         self.bytes: list[bytes] = [b""] * n
         ranked = [i for i in range(n) if i not in special]
@@ -232,7 +236,9 @@ def decode_lists(column: pa.Array, model: Pieces) -> pa.Array:
     data, counts = gather(model.flat, model.sizes, ids)
     ends = np.concatenate(([0], np.cumsum(counts)))[offsets - offsets[0]]
     raw = data.tobytes()
-    return pa.array([raw[a + 1 : b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)], pa.binary()).cast(pa.string())
+    return pa.array(
+        [raw[a + 1 : b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)], pa.binary()
+    ).cast(pa.string())
 
 
 def encode_pieces(text: Column, path: str | None = None, scores: str = "file") -> Column:
@@ -261,7 +267,9 @@ def decode_pieces(ids: Column, path: str | None = None, scores: str = "file", ro
 
 def encode_documents(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(key, n_pieces, exact, ids) of every row: ids of the whole text, and whether decoding them gives it back."""
-    coded = docs.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("__text")).withColumn("ids", encode_pieces(F.col("__text")))
+    coded = docs.select(
+        F.col(key), F.coalesce(F.col(text), F.lit("")).alias("__text")
+    ).withColumn("ids", encode_pieces(F.col("__text")))
     back = coded.withColumn("exact", decode_pieces(F.col("ids")) == F.col("__text"))
     return back.select(key, F.size("ids").cast("long").alias("n_pieces"), "exact", "ids")
 

@@ -61,7 +61,9 @@ def base_counts(column: pa.Array) -> tuple[dict[str, np.ndarray], np.ndarray, np
     own = words.doc[: len(grams)]
     whole = own == words.doc[last:] if len(grams) else np.zeros(0, dtype=bool)
     at = np.flatnonzero(whole)
-    _, inverse, counts = np.unique(mix(grams[at] + own[at].astype(U) * U(0x9E3779B97F4A7C15)), return_inverse=True, return_counts=True)
+    _, inverse, counts = np.unique(
+        mix(grams[at] + own[at].astype(U) * U(0x9E3779B97F4A7C15)), return_inverse=True, return_counts=True
+    )
     again = at[counts[inverse] > 1]
     repeated = np.zeros(len(words.start), dtype=bool)
     for k in range(REPEAT_WINDOW):
@@ -70,7 +72,24 @@ def base_counts(column: pa.Array) -> tuple[dict[str, np.ndarray], np.ndarray, np
     return out, data, offsets, words
 
 
-FEATURES = ("log_words", "mean_word", "symbol_rate", "dup_line_rate", "repeat_rate", "distinct_rate", "upper_rate", "digit_rate", "punctuation_rate", "wide_rate", "space_rate", "line_words", "pipe_rate", "shout_rate", "short_rate", "stop_rate")
+FEATURES = (
+    "log_words",
+    "mean_word",
+    "symbol_rate",
+    "dup_line_rate",
+    "repeat_rate",
+    "distinct_rate",
+    "upper_rate",
+    "digit_rate",
+    "punctuation_rate",
+    "wide_rate",
+    "space_rate",
+    "line_words",
+    "pipe_rate",
+    "shout_rate",
+    "short_rate",
+    "stop_rate"
+)
 
 
 def features(column: pa.Array) -> np.ndarray:

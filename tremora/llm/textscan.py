@@ -51,10 +51,14 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string or binary array; a null counts as an empty text."""
     if column.null_count:
-        column = column.fill_null(b"" if pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type) else "")
+        column = column.fill_null(
+            b"" if pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type) else ""
+        )
     wide = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)
     _, offsets, data = column.buffers()
-    offsets = np.frombuffer(offsets, dtype=np.int64 if wide else np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    offsets = np.frombuffer(offsets, dtype=np.int64 if wide else np.int32)[
+        column.offset : column.offset + len(column) + 1
+    ].astype(np.int64)
     if data is None or offsets[-1] == offsets[0]:
         return np.zeros(0, dtype=np.uint8), offsets - offsets[0]
     return np.frombuffer(data, dtype=np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]

@@ -38,7 +38,8 @@ MAGIC = b"TRMIDS02"
 END_ID = 1
 DOCS_PER_SHARD = 1 << 14
 MOST_SHARDS = 20_000
-#: Bytes of text whose words are made distinct together, and words of one generation that a worker remembers: the library's calls cost more than the memory.
+#: Bytes of text whose words are made distinct together, and words of one generation that a worker remembers: the
+#: library's calls cost more than the memory.
 TEXT_SLICE, REMEMBERED = 4 << 20, 300_000
 #: Words of bits for each stored rank, and the bytes at the end of a shard that are read first.
 RANK_WORDS = 8
@@ -72,15 +73,23 @@ class JoinedWords:
 
         self.model = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if self.model.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
-        signs = (c for c in map(chr, range(0x2500, 0x2700)) if len(self.ids(f"a {c} a")) == 3 and self.ids(f"a {c} a")[1:2] == self.ids(c))
+        signs = (
+            c
+            for c in map(chr, range(0x2500, 0x2700))
+            if len(self.ids(f"a {c} a")) == 3 and self.ids(f"a {c} a")[1:2] == self.ids(c)
+        )
         self.mark = next(signs, None)
         self.mark_id = self.ids(self.mark)[0] if self.mark else -1
         self.splits = self._splits()
 
     def _splits(self) -> bool:
-        """Whether texts may be encoded word by word: letters are lowered, white space leaves nothing, and a sign after a letter begins something new."""
+        """Whether texts may be encoded word by word: letters are lowered, white space leaves nothing, and a sign
+        after a letter begins something new.
+        """
         alike = [("ABCXYZ Qq", "abcxyz qq"), ("a  b\n\tc ", "a b c"), (" a\x0b\x0cb\r", "a b")]
-        if any(self.ids(x) != self.ids(y) for x, y in alike) or self.ids("one two") != self.ids("one") + self.ids("two"):
+        if any(
+            self.ids(x) != self.ids(y) for x, y in alike
+        ) or self.ids("one two") != self.ids("one") + self.ids("two"):
             return False
         signs = [chr(i) for i in np.flatnonzero(_SIGN)]
         tries = [(w, f"{c}{after}") for c in signs for w in ("a", "word") for after in ("", "s", "word", "9", c)]
@@ -101,7 +110,11 @@ class JoinedWords:
             cuts = np.flatnonzero(ids == self.mark_id).tolist()
             raw, size = ids.tobytes(), self.dtype.itemsize
             if len(cuts) == len(part) - 1:
-                found.update((w, raw[a * size : b * size]) for w, a, b in zip(part, [0, *(c + 1 for c in cuts)], [*cuts, len(ids)], strict=True))
+                found.update(
+                    (w, raw[a * size : b * size]) for w,
+                    a,
+                    b in zip(part, [0, *(c + 1 for c in cuts)], [*cuts, len(ids)], strict=True)
+                )
         return [found[w] if w in found else np.array(self.ids(w), dtype=self.dtype).tobytes() for w in words]
 
 
@@ -122,7 +135,15 @@ def encode_texts(column: pa.Array, path: str, end_id: int = END_ID) -> pa.Array:
     if not encoder.encode.splits:
         texts = column.fill_null("") if column.null_count else column
         for part in array_slices(texts, TEXT_SLICE // 8):
-            out.append(pa.array([np.append(ids, encoder.dtype.type(end_id)).tobytes() for ids in encoder.encode.whole(part.to_pylist())], pa.binary()))
+            out.append(
+                pa.array(
+                    [
+                        np.append(ids, encoder.dtype.type(end_id)).tobytes()
+                        for ids in encoder.encode.whole(part.to_pylist())
+                    ],
+                    pa.binary()
+                )
+            )
         return pa.concat_arrays(out) if out else pa.array([], pa.binary())
     for part in array_slices(column, TEXT_SLICE):
         data, offsets = text_buffers(part)
@@ -133,7 +154,9 @@ def encode_texts(column: pa.Array, path: str, end_id: int = END_ID) -> pa.Array:
             data = LOWER[data]
             begins[1:] |= _SIGN[data[1:]] & _LETTER[data[:-1]] & ~begins[1:]
         inside = words.inside
-        ids, counts = encoder.of_spans(string_array(data[inside], np.concatenate((np.flatnonzero(begins[inside]), [int(inside.sum())]))))
+        ids, counts = encoder.of_spans(
+            string_array(data[inside], np.concatenate((np.flatnonzero(begins[inside]), [int(inside.sum())])))
+        )
         n = per_row(counts, np.concatenate(([0], np.cumsum(begins)))[offsets])
         ends = np.cumsum(n + 1) - 1
         all_ids = np.full(int(n.sum()) + len(n), end_id, dtype=encoder.dtype)
@@ -141,7 +164,11 @@ def encode_texts(column: pa.Array, path: str, end_id: int = END_ID) -> pa.Array:
         keep[ends] = False
         all_ids[keep] = ids
         bounds = np.concatenate(([0], ends + 1)) * encoder.dtype.itemsize
-        out.append(pa.BinaryArray.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(all_ids)]))
+        out.append(
+            pa.BinaryArray.from_buffers(
+                pa.binary(), len(n), [None, pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(all_ids)]
+            )
+        )
     return pa.concat_arrays(out) if out else pa.array([], pa.binary())
 
 
@@ -222,14 +249,32 @@ class ShardWriter:
         slots = index.slots(distinct.view(U))
         records, prints = np.zeros(len(distinct), dtype=np.uint32), np.zeros(len(distinct), dtype=np.uint32)
         records[slots], prints[slots] = first + unkeyed, _fingerprints(distinct.view(U))
-        footer = {"id_bytes": self.id_bytes, "records": len(self.keys), "unkeyed": unkeyed, "levels": index.sizes, "sections": {}}
+        footer = {
+            "id_bytes": self.id_bytes,
+            "records": len(self.keys),
+            "unkeyed": unkeyed,
+            "levels": index.sizes,
+            "sections": {}
+        }
         slots = np.stack((records, prints), axis=1)
-        for name, array in (("offsets", offsets), ("keys", known), ("bits", index.bits), ("ranks", index.rank[:-1:RANK_WORDS]), ("slots", slots)):
+        for name, array in (
+            ("offsets", offsets),
+            ("keys", known),
+            ("bits", index.bits),
+            ("ranks", index.rank[:-1:RANK_WORDS]),
+            ("slots", slots)
+        ):
             footer["sections"][name] = [self.out.at, array.size, array.dtype.str]
             self.out.write(array.tobytes())
         body = json.dumps(footer).encode()
         self.out.write(body + struct.pack("<Q", len(body)) + MAGIC)
-        return {"path": self.out.close(), "records": len(self.keys), "tokens": int(offsets[-1]), "low": int(known[0]) if len(known) else None, "high": int(known[-1]) if len(known) else None}
+        return {
+            "path": self.out.close(),
+            "records": len(self.keys),
+            "tokens": int(offsets[-1]),
+            "low": int(known[0]) if len(known) else None,
+            "high": int(known[-1]) if len(known) else None
+        }
 
 
 class ShardReader:
@@ -241,7 +286,9 @@ class ShardReader:
         if tail[-8:] != MAGIC:
             raise ValueError("not a shard")
         size = struct.unpack("<Q", tail[-16:-8])[0]
-        self.footer = json.loads(tail[-16 - size : -16] if size + 16 <= len(tail) else self._read(total - 16 - size, size))
+        self.footer = json.loads(
+            tail[-16 - size : -16] if size + 16 <= len(tail) else self._read(total - 16 - size, size)
+        )
         self.id_bytes, self.records = self.footer["id_bytes"], self.footer["records"]
         self.sizes = self.footer["levels"]
         self.base = np.cumsum([0, *(s // 64 for s in self.sizes)]).tolist()
@@ -268,7 +315,9 @@ class ShardReader:
             if not int(bits[-1]) >> place % 64 & 1:
                 continue
             below = int(bits[-1]) & ((1 << place % 64) - 1)
-            slot = int(self.section("ranks", block, block + 1)[0]) + int(np.bitwise_count(bits[:-1]).sum()) + below.bit_count()
+            slot = int(
+                self.section("ranks", block, block + 1)[0]
+            ) + int(np.bitwise_count(bits[:-1]).sum()) + below.bit_count()
             record, mark = self.section("slots", 2 * slot, 2 * slot + 2).tolist()
             return record if mark == int(_fingerprints(own)[0]) else -1
         return -1
@@ -285,14 +334,26 @@ class ShardReader:
         return out
 
     def ids(self, first: int, last: int) -> tuple[bytes, np.ndarray]:
-        """Ids of the records from first up to last, last excluded, as little-endian 32-bit integers; and where each begins (and the last ends), counted from the shard's first."""
+        """Ids of the records from first up to last, last excluded, as little-endian 32-bit integers; and where each
+        begins (and the last ends), counted from the shard's first.
+        """
         offsets = self.section("offsets", first, last + 1)
         raw = self._read(len(MAGIC) + int(offsets[0]) * self.id_bytes, int(offsets[-1] - offsets[0]) * self.id_bytes)
         return np.frombuffer(raw, dtype=f"<u{self.id_bytes}").astype("<u4").tobytes(), offsets
 
 
-def write_shards(docs: DataFrame, folder: str, key: str = "doc_id", text: str = "text", tokenizer: str | None = None, end_id: int = END_ID, docs_per_shard: int = DOCS_PER_SHARD) -> DataFrame:
-    """Write all texts; returns (shard, path, records, tokens, low, high), a row for each file. Run it once: keep what it returns with ``cut``."""
+def write_shards(
+    docs: DataFrame,
+    folder: str,
+    key: str = "doc_id",
+    text: str = "text",
+    tokenizer: str | None = None,
+    end_id: int = END_ID,
+    docs_per_shard: int = DOCS_PER_SHARD
+) -> DataFrame:
+    """Write all texts; returns (shard, path, records, tokens, low, high), a row for each file. Run it once: keep what
+    it returns with ``cut``.
+    """
     path = tokenizer or default_tokenizer()
     docs = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"))
     rows = docs.count()
@@ -305,8 +366,15 @@ def write_shards(docs: DataFrame, folder: str, key: str = "doc_id", text: str =
     def encode(batches: Iterator) -> Iterator:
         for batch in batches:
             keys = column_of(batch, "k")
-            dealt = np.where(np.asarray(keys.is_null()), 0, np.searchsorted(bounds, keys.fill_null(0).to_numpy(zero_copy_only=False), side="left"))
-            yield pa.RecordBatch.from_arrays([pa.array(dealt.astype(np.int32)), keys, encode_texts(column_of(batch, "t"), path, end_id)], names=["shard", "k", "ids"])
+            dealt = np.where(
+                np.asarray(keys.is_null()),
+                0,
+                np.searchsorted(bounds, keys.fill_null(0).to_numpy(zero_copy_only=False), side="left")
+            )
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(dealt.astype(np.int32)), keys, encode_texts(column_of(batch, "t"), path, end_id)],
+                names=["shard", "k", "ids"]
+            )
 
     def write(batches: Iterator) -> Iterator:
         shard, writer = None, None
@@ -320,9 +388,20 @@ def write_shards(docs: DataFrame, folder: str, key: str = "doc_id", text: str =
         if writer:
             yield pa.RecordBatch.from_pylist([{"shard": shard, **writer.close()}], schema=listed)
 
-    listed = pa.schema([("shard", pa.int32()), ("path", pa.string()), ("records", pa.int64()), ("tokens", pa.int64()), ("low", pa.int64()), ("high", pa.int64())])
+    listed = pa.schema(
+        [
+            ("shard", pa.int32()),
+            ("path", pa.string()),
+            ("records", pa.int64()),
+            ("tokens", pa.int64()),
+            ("low", pa.int64()),
+            ("high", pa.int64())
+        ]
+    )
     encoded = docs.mapInArrow(encode, "shard int, k long, ids binary")
-    dealt = encoded.repartitionById(len(bounds) + 1, F.col("shard")).sortWithinPartitions(F.col("shard"), F.col("k").asc_nulls_first(), F.xxhash64("ids"))
+    dealt = encoded.repartitionById(len(bounds) + 1, F.col("shard")).sortWithinPartitions(
+        F.col("shard"), F.col("k").asc_nulls_first(), F.xxhash64("ids")
+    )
     return dealt.mapInArrow(write, "shard int, path string, records long, tokens long, low long, high long")
 
 
@@ -334,16 +413,27 @@ def with_starts(shards: DataFrame) -> DataFrame:
     return shards.withColumn("start", F.coalesce(F.sum("tokens").over(before), F.lit(0)))
 
 
-RECORD = T.StructType([T.StructField("key", T.LongType()), T.StructField("start", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids_crc32", T.LongType())])
+RECORD = T.StructType(
+    [
+        T.StructField("key", T.LongType()),
+        T.StructField("start", T.LongType()),
+        T.StructField("n_tokens", T.LongType()),
+        T.StructField("ids_crc32", T.LongType())
+    ]
+)
 
 
 def read_shards(shards: DataFrame, piece: int = 1 << 20) -> DataFrame:
     """(key, start, n_tokens, ids_crc32) of every record, read from the files; each key is found through the index."""
 
     def read(batches: Iterator) -> Iterator:
-        kinds = pa.schema([("key", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
+        kinds = pa.schema(
+            [("key", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())]
+        )
         for batch in batches:
-            for path, base in zip(column_of(batch, "path").to_pylist(), column_of(batch, "start").to_pylist(), strict=True):
+            for path, base in zip(
+                column_of(batch, "path").to_pylist(), column_of(batch, "start").to_pylist(), strict=True
+            ):
                 with open_read(path) as file:
                     shard = ShardReader(file)
                     unkeyed, n = shard.footer["unkeyed"], shard.records
@@ -361,22 +451,35 @@ def read_shards(shards: DataFrame, piece: int = 1 << 20) -> DataFrame:
                         view, at = memoryview(ids), (own - own[0]) * 4
                         sums = [zlib.crc32(view[a:b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
                         listed = [None if i < unkeyed else int(keys[i - unkeyed]) for i in range(first, last)]
-                        yield pa.RecordBatch.from_arrays([pa.array(listed, pa.int64()), pa.array(own[:-1] + base), pa.array(np.diff(own)), pa.array(sums, pa.int64())], schema=kinds)
+                        yield pa.RecordBatch.from_arrays(
+                            [
+                                pa.array(listed, pa.int64()),
+                                pa.array(own[:-1] + base),
+                                pa.array(np.diff(own)),
+                                pa.array(sums, pa.int64())
+                            ],
+                            schema=kinds
+                        )
                         first = last
 
     return shards.select("path", "start").mapInArrow(read, RECORD)
 
 
 def fetch(shards: DataFrame, keys: DataFrame, key: str) -> DataFrame:
-    """Ids of the given keys by keyed access: (key, ids), ids null where no shard has the key. Keys are routed by the shards' ranges."""
-    listed = shards.where(F.col("low").isNotNull()).orderBy("low").select("path", "low", "high").collect()  # MOST_SHARDS at most
+    """Ids of the given keys by keyed access: (key, ids), ids null where no shard has the key. Keys are routed by the
+    shards' ranges.
+    """
+    # MOST_SHARDS at most
+    listed = shards.where(F.col("low").isNotNull()).orderBy("low").select("path", "low", "high").collect()
     paths, lows = [r["path"] for r in listed], np.array([r["low"] for r in listed], dtype=np.int64)
 
     def route(batches: Iterator) -> Iterator:
         for batch in batches:
             own = batch.column(0).drop_null()
             shard = np.searchsorted(lows, own.to_numpy(zero_copy_only=False), side="right") - 1
-            yield pa.RecordBatch.from_arrays([own, pa.array(np.maximum(shard, 0).astype(np.int32))], names=["key", "shard"])
+            yield pa.RecordBatch.from_arrays(
+                [own, pa.array(np.maximum(shard, 0).astype(np.int32))], names=["key", "shard"]
+            )
 
     def read(batches: Iterator) -> Iterator:
         opened = (-1, None)

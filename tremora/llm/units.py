@@ -21,7 +21,9 @@ UNIT_SLICE = 2 << 20
 
 
 class UnitIds:
-    """Ids of units as little-endian bytes of ``dtype``. Units in use stay known: a full generation becomes the older one, and what it is asked for moves to the younger."""
+    """Ids of units as little-endian bytes of ``dtype``. Units in use stay known: a full generation becomes the older
+    one, and what it is asked for moves to the younger.
+    """
 
     def __init__(self, encode: Callable[[list[str]], list[bytes]], dtype: str, remembered: int = REMEMBERED):
         self.encode, self.dtype, self.remembered = encode, np.dtype(dtype), remembered
@@ -54,7 +56,9 @@ class UnitIds:
         coded = units.dictionary_encode()
         found = self.of_distinct(coded.dictionary.to_pylist())
         size = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // self.dtype.itemsize
-        return gather(np.frombuffer(b"".join(found), dtype=self.dtype), size, coded.indices.to_numpy(zero_copy_only=False))
+        return gather(
+            np.frombuffer(b"".join(found), dtype=self.dtype), size, coded.indices.to_numpy(zero_copy_only=False)
+        )
 
 
 def gather(flat: np.ndarray, size: np.ndarray, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -67,7 +71,9 @@ def gather(flat: np.ndarray, size: np.ndarray, index: np.ndarray) -> tuple[np.nd
 
 
 def string_array(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
-    return pa.StringArray.from_buffers(len(offsets) - 1, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data)))
+    return pa.StringArray.from_buffers(
+        len(offsets) - 1, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))
+    )
 
 
 def per_row(counts: np.ndarray, first: np.ndarray) -> np.ndarray:

@@ -49,7 +49,9 @@ class ZipWriter:
 
     def begin(self, name: str) -> None:
         self.name, self.offset, self.crc, self.size = name.encode(), self.out.at, 0, 0
-        self.out.write(struct.pack("<IHHHHHIIIHH", 0x04034B50, 45, 0x0808, 0, 0, 0x21, 0, 0, 0, len(self.name), 0) + self.name)
+        self.out.write(
+            struct.pack("<IHHHHHIIIHH", 0x04034B50, 45, 0x0808, 0, 0, 0x21, 0, 0, 0, len(self.name), 0) + self.name
+        )
 
     def write(self, data: bytes) -> None:
         self.out.write(data)
@@ -63,7 +65,28 @@ class ZipWriter:
         start = self.out.at
         for name, crc, size, offset in self.entries:
             extra = struct.pack("<HHQQQ", 1, 24, size, size, offset)
-            self.out.write(struct.pack("<IHHHHHHIIIHHHHHII", 0x02014B50, 45, 45, 0x0808, 0, 0, 0x21, crc, _FULL, _FULL, len(name), len(extra), 0, 0, 0, 0, _FULL) + name + extra)
+            self.out.write(
+                struct.pack(
+                    "<IHHHHHHIIIHHHHHII",
+                    0x02014B50,
+                    45,
+                    45,
+                    0x0808,
+                    0,
+                    0,
+                    0x21,
+                    crc,
+                    _FULL,
+                    _FULL,
+                    len(name),
+                    len(extra),
+                    0,
+                    0,
+                    0,
+                    0,
+                    _FULL
+                ) + name + extra
+            )
         size, at, n = self.out.at - start, self.out.at, len(self.entries)
         self.out.write(struct.pack("<IQHHIIQQQQ", 0x06064B50, 44, 45, 45, 0, 0, n, n, size, start))
         self.out.write(struct.pack("<IIQI", 0x07064B50, 0, at, 1))
@@ -94,7 +117,9 @@ class ZipReader:
             head = struct.unpack("<IHHHHHHIIIHHHHHII", directory[at : at + 46])
             if head[0] != 0x02014B50:
                 raise ValueError("broken central directory")
-            method, packed, plain, named, extras, comment, offset = head[4], head[8], head[9], head[10], head[11], head[12], head[16]
+            method, packed, plain, named, extras, comment, offset = head[4], head[8], head[9], head[
+                10
+            ], head[11], head[12], head[16]
             name = directory[at + 46 : at + 46 + named].decode()
             extra = directory[at + 46 + named : at + 46 + named + extras]
             while len(extra) >= 4:
@@ -126,7 +151,9 @@ class ZipReader:
         return self._data(name)
 
     def lines(self, name: str) -> Iterator[bytes]:
-        """Lines of a text member, stored or deflated, gzip-compressed (in any number of parts) or not, a range at a time."""
+        """Lines of a text member, stored or deflated, gzip-compressed (in any number of parts) or not, a range at a
+        time.
+        """
         at, size = self._data(name)
         steps = [zlib.decompressobj(-15)] if self.members[name][0] == 8 else []
         if self.members[name][0] not in (0, 8):
@@ -165,8 +192,17 @@ def record(page_id, url, payload: bytes | None, size: int, digest: str, refers_t
     """A gzip member with one record; ``payload`` is None for a revisit."""
     own = own_urn(page_id, digest)
     clean = clean_url(url, own)
-    block = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode() + (payload or b"")
-    lines = ["WARC/1.1", f"WARC-Type: {'response' if payload is not None else 'revisit'}", f"WARC-Record-ID: <{own}>", f"WARC-Date: {date}", f"WARC-Target-URI: {clean}", f"WARC-Payload-Digest: sha1:{digest}"]
+    block = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode() + (
+        payload or b""
+    )
+    lines = [
+        "WARC/1.1",
+        f"WARC-Type: {'response' if payload is not None else 'revisit'}",
+        f"WARC-Record-ID: <{own}>",
+        f"WARC-Date: {date}",
+        f"WARC-Target-URI: {clean}",
+        f"WARC-Payload-Digest: sha1:{digest}"
+    ]
     if payload is None:
         lines += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: <urn:x-page:{refers_to}:{digest}>"]
     lines += ["Content-Type: application/http;msgtype=response", f"Content-Length: {len(block)}", "", ""]
@@ -189,7 +225,9 @@ def _fields(head: bytes) -> dict[str, str]:
 
 
 def parse_record(member: bytes) -> tuple[dict[str, str], dict[str, str], bytes]:
-    """(WARC headers, HTTP headers, payload) of a record, gzip-compressed or not; names of headers in lower case. Records of other content than HTTP have it whole as payload."""
+    """(WARC headers, HTTP headers, payload) of a record, gzip-compressed or not; names of headers in lower case.
+    Records of other content than HTTP have it whole as payload.
+    """
     plain = zlib.decompress(member, 31) if member[:2] == b"\x1f\x8b" else member
     head, _, rest = plain.partition(b"\r\n\r\n")
     fields = _fields(head)
@@ -232,13 +270,16 @@ def base32_sha1(payload: bytes) -> str:
 
 
 def sort_key(url: str) -> str:
-    """The form of an address by which indexes are sorted: the host's parts from the last to the first, then the path."""
+    """The form of an address by which indexes are sorted: the host's parts from the last to the first, then the path.
+    """
     scheme, _, rest = url.partition("://")
     if not rest:
         return url.lower()
     host, slash, path = rest.partition("/")
     name, colon, port = host.lower().partition(":")
-    return ",".join(reversed(name.removeprefix("www.").split("."))) + (f":{port}" if colon else "") + ")" + ("/" + path.lower() if slash else "/")
+    return ",".join(
+        reversed(name.removeprefix("www.").split("."))
+    ) + (f":{port}" if colon else "") + ")" + ("/" + path.lower() if slash else "/")
 
 
 class _Package:
@@ -248,7 +289,15 @@ class _Package:
         self.zip.begin("archive/data.warc.gz")
 
     def add(self, url: str, date: str, digest: str, kind: str, data: bytes) -> None:
-        entry = {"url": url, "mime": "warc/revisit" if kind == "revisit" else "text/html", "status": "200", "digest": f"sha1:{digest}", "length": str(len(data)), "offset": str(self.zip.size), "filename": "data.warc.gz"}
+        entry = {
+            "url": url,
+            "mime": "warc/revisit" if kind == "revisit" else "text/html",
+            "status": "200",
+            "digest": f"sha1:{digest}",
+            "length": str(len(data)),
+            "offset": str(self.zip.size),
+            "filename": "data.warc.gz"
+        }
         self.index.append(f"{sort_key(url)} {''.join(c for c in date if c.isdigit())[:14]} {json.dumps(entry)}\n")
         self.zip.write(data)
         self.rows += 1
@@ -261,13 +310,29 @@ class _Package:
         return {"archive": self.zip.close(), "records": self.rows}
 
 
-def write_archives(pages: DataFrame, folder: str, key: str = "page_id", url: str = "url", html: str = "html", date: str = "1970-01-01T00:00:00Z", archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
-    """Write a record for each row; returns (archive, records), a row for each package. Run it once: keep what it returns with ``cut``."""
-    plain = pages.select(F.col(key).alias("k"), F.col(url).alias("u"), F.coalesce(F.col(html), F.lit("")).alias("h")).withColumn("d", F.sha1("h"))
+def write_archives(
+    pages: DataFrame,
+    folder: str,
+    key: str = "page_id",
+    url: str = "url",
+    html: str = "html",
+    date: str = "1970-01-01T00:00:00Z",
+    archive_bytes: int = ARCHIVE_BYTES
+) -> DataFrame:
+    """Write a record for each row; returns (archive, records), a row for each package. Run it once: keep what it
+    returns with ``cut``.
+    """
+    plain = pages.select(
+        F.col(key).alias("k"), F.col(url).alias("u"), F.coalesce(F.col(html), F.lit("")).alias("h")
+    ).withColumn("d", F.sha1("h"))
     last = plain.groupBy("d").agg(F.max("k").alias("last"))
-    marked = plain.join(last, "d").withColumn("response", F.coalesce(F.col("k") == F.col("last"), F.col("last").isNull()))
+    marked = plain.join(last, "d").withColumn(
+        "response", F.coalesce(F.col("k") == F.col("last"), F.col("last").isNull())
+    )
     # a revisit carries no payload, only its size
-    marked = marked.select("k", "u", "d", "last", F.octet_length("h").alias("n"), F.when(F.col("response"), F.col("h")).alias("h"))
+    marked = marked.select(
+        "k", "u", "d", "last", F.octet_length("h").alias("n"), F.when(F.col("response"), F.col("h")).alias("h")
+    )
 
     def write(batches: Iterator) -> Iterator[pd.DataFrame]:
         package = None
@@ -275,7 +340,13 @@ def write_archives(pages: DataFrame, folder: str, key: str = "page_id", url: str
             for k, u, d, last_k, n, h in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 package = package or _Package(folder)
                 digest = base64.b32encode(bytes.fromhex(d)).decode()
-                package.add(clean_url(u, own_urn(k, digest)), date, digest, "revisit" if h is None else "response", record(k, u, None if h is None else h.encode(), n, digest, last_k, date))
+                package.add(
+                    clean_url(u, own_urn(k, digest)),
+                    date,
+                    digest,
+                    "revisit" if h is None else "response",
+                    record(k, u, None if h is None else h.encode(), n, digest, last_k, date)
+                )
                 if package.zip.size >= archive_bytes:
                     yield _rows([package.close()])
                     package = None
@@ -292,7 +363,9 @@ def _rows(rows: list[dict]):
 
 
 def indexed(package: ZipReader) -> tuple[list[tuple[str, int, int]], set[str]]:
-    """(WARC member, offset, length) of the records that the indexes list, in order of place, and the members they cover."""
+    """(WARC member, offset, length) of the records that the indexes list, in order of place, and the members they
+    cover.
+    """
     warcs = [n for n in package.members if n.lower().endswith((".warc.gz", ".warc"))]
     by_file = {n.rsplit("/", 1)[-1]: n for n in warcs}
     found: set[tuple[str, int, int]] = set()
@@ -322,13 +395,27 @@ def _row(member: bytes) -> tuple:
     own = name.startswith("urn:x-page:")
     if own and kind == "response" and (len(payload) != int(http["content-length"]) or base32_sha1(payload) != digest):
         raise ValueError("a payload doesn't match its headers")
-    size = int(http["content-length"]) if kind == "revisit" and http.get("content-length", "").isdigit() else None if kind == "revisit" else len(payload)
+    size = int(
+        http["content-length"]
+    ) if kind == "revisit" and http.get("content-length", "").isdigit() else None if kind == "revisit" else len(payload)
     number = lambda urn: int(x) if urn.startswith("urn:x-page:") and (x := urn.split(":")[2]) != "None" else None
-    return (number(name), fields.get("warc-target-uri"), kind, size, digest if digest or kind == "revisit" else base32_sha1(payload), number(refers), None if kind == "revisit" else payload, name or None, refers or None)
+    return (
+        number(name),
+        fields.get("warc-target-uri"),
+        kind,
+        size,
+        digest if digest or kind == "revisit" else base32_sha1(payload),
+        number(refers),
+        None if kind == "revisit" else payload,
+        name or None,
+        refers or None
+    )
 
 
 def read_archives(archives: DataFrame) -> DataFrame:
-    """Every record of the packages: (page_id, url, record_type, payload_bytes, payload_digest, refers_to, payload, record_id, refers_to_id)."""
+    """Every record of the packages: (page_id, url, record_type, payload_bytes, payload_digest, refers_to, payload,
+    record_id, refers_to_id).
+    """
     schema = "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary, record_id string, refers_to_id string"
 
     def records(package: ZipReader) -> Iterator[bytes]:
@@ -343,7 +430,12 @@ def read_archives(archives: DataFrame) -> DataFrame:
     def read(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        kinds = pa.schema([(n, {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}[t]) for n, t in (x.split() for x in schema.split(", "))])
+        kinds = pa.schema(
+            [
+                (n, {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}[t]) for n,
+                t in (x.split() for x in schema.split(", "))
+            ]
+        )
         batch_of = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), kinds, strict=True)], schema=kinds)
         for batch in batches:
             for path in batch.column(0).to_pylist():
