@@ -24,7 +24,10 @@ def plain(x):
 
 
 def rows_of_sql(connection, sql, names):
-    return Counter(tuple(plain(v) for v in r) for r in connection.sql(f"SELECT {', '.join(chr(34) + n + chr(34) for n in names)} FROM ({sql})").fetchall())
+    return Counter(
+        tuple(plain(v) for v in r)
+        for r in connection.sql(f"SELECT {', '.join(chr(34) + n + chr(34) for n in names)} FROM ({sql})").fetchall()
+    )
 
 
 def rows_of_frame(frame, names):
@@ -56,11 +59,28 @@ def main(sf_dir, chosen):
                 want = rows_of_sql(connection, sql[name], names)
                 kinds = dict(zip(*(lambda r: (r.columns, map(str, r.types)))(connection.sql(sql[name])), strict=True))
                 same = got == want and sorted(kinds) == names
-                print("OK " if same else "BAD", name, sum(got.values()), sum(want.values()), f"{time.time() - began:.1f}s", flush=True)
+                print(
+                    "OK " if same else "BAD",
+                    name,
+                    sum(got.values()),
+                    sum(want.values()),
+                    f"{time.time() - began:.1f}s",
+                    flush=True
+                )
                 if not same:
                     bad.append(name)
                     print("   ", sorted(kinds), list((got - want).items())[:2], list((want - got).items())[:2])
-                odd = {n: (t, kinds.get(n)) for n, t in frame.dtypes if {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}.get(t) != kinds.get(n)}
+                odd = {
+                    n: (t, kinds.get(n)) for n,
+                    t in frame.dtypes
+                    if {
+                        "bigint": "BIGINT",
+                        "int": "INTEGER",
+                        "double": "DOUBLE",
+                        "string": "VARCHAR",
+                        "boolean": "BOOLEAN"
+                    }.get(t) != kinds.get(n)
+                }
                 if odd:
                     print("    types", odd)
             else:

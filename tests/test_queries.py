@@ -21,7 +21,14 @@ def test_query(name, spark, sf, connection):
     if name in SQL:
         assert sorted(connection.sql(SQL[name]).columns) == names
         assert got == rows_of_sql(connection, SQL[name], names)
-    assert got or name in ("electrical_vibration_interval", "stream_interval_join", "rate_limit_1m", "outlier_mad", "stream_silent_devices", "criticality_page")
+    assert got or name in (
+        "electrical_vibration_interval",
+        "stream_interval_join",
+        "rate_limit_1m",
+        "outlier_mad",
+        "stream_silent_devices",
+        "criticality_page"
+    )
 
 
 def test_entry_has_a_query_for_every_sql():

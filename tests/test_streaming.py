@@ -15,7 +15,9 @@ def files(spark, tmp_path, batches, schema):
     folder = tmp_path / "in"
     for i, rows in enumerate(batches):
         spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(folder / f"b={i}"))
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(folder))
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option(
+        "recursiveFileLookup", "true"
+    ).parquet(str(folder))
 
 
 EVENT = "event_id long, user_id long, event_type string, ts timestamp, value double"
@@ -26,17 +28,35 @@ def event(i, minute, user=1, kind="view", value=None):
 
 
 def test_append_windows_equal_batch_once_the_watermark_passes(spark, tmp_path):
-    batches = [[event(i, i * 3) for i in range(20)], [event(100 + i, i * 2 + 1) for i in range(20)], [event(999, 3 * 24 * 60)], [event(1000, 6 * 24 * 60)]]
+    batches = [
+        [event(i, i * 3) for i in range(20)],
+        [event(100 + i, i * 2 + 1) for i in range(20)],
+        [event(999, 3 * 24 * 60)],
+        [event(1000, 6 * 24 * 60)]
+    ]
     stream = files(spark, tmp_path, batches, EVENT)
     got = jobs.drained(jobs.window_features(stream, "10 minutes"))
-    closed = spark.createDataFrame(batches[0] + batches[1], EVENT).groupBy(F.col("event_type").alias("channel"), F.window("ts", "10 minutes").alias("w")).agg(*features(F.col("value")))
+    closed = spark.createDataFrame(batches[0] + batches[1], EVENT).groupBy(
+        F.col("event_type").alias("channel"), F.window("ts", "10 minutes").alias("w")
+    ).agg(*features(F.col("value")))
     rows = {str(r) for r in got.where("w.start < timestamp'2024-01-02'").collect()}
     assert rows == {str(r) for r in closed.collect()}
 
 
 def test_throttle_state_spans_batches(spark, tmp_path):
-    stream = files(spark, tmp_path, [[event(1, 0), event(2, 10), event(3, 10, user=2)], [event(4, 14.9), event(5, 24.9, user=2)], [event(6, 15), event(7, 29), event(8, 30)]], EVENT)
-    got = {(r["device_id"], r["us"] // 60_000_000) for r in jobs.drained(jobs.throttled(stream, 15 * 60_000_000)).collect()}
+    stream = files(
+        spark,
+        tmp_path,
+        [
+            [event(1, 0), event(2, 10), event(3, 10, user=2)],
+            [event(4, 14.9), event(5, 24.9, user=2)],
+            [event(6, 15), event(7, 29), event(8, 30)]
+        ],
+        EVENT
+    )
+    got = {
+        (r["device_id"], r["us"] // 60_000_000) for r in jobs.drained(jobs.throttled(stream, 15 * 60_000_000)).collect()
+    }
     base = int(START.replace(tzinfo=datetime.UTC).timestamp()) // 60
     assert got == {(1, base), (2, base + 10), (1, base + 15), (1, base + 30)}
 
@@ -44,7 +64,16 @@ def test_throttle_state_spans_batches(spark, tmp_path):
 def test_lifecycle_counts_steps_back(spark, tmp_path):
     schema = "alert_id long, ts timestamp, status string"
     at = lambda m: START + datetime.timedelta(minutes=m)
-    stream = files(spark, tmp_path, [[(1, at(0), "OPEN"), (2, at(0), "OPEN")], [(1, at(1), "RESOLVED")], [(1, at(2), "ACKNOWLEDGED"), (2, at(3), "ACKNOWLEDGED")]], schema)
+    stream = files(
+        spark,
+        tmp_path,
+        [
+            [(1, at(0), "OPEN"), (2, at(0), "OPEN")],
+            [(1, at(1), "RESOLVED")],
+            [(1, at(2), "ACKNOWLEDGED"), (2, at(3), "ACKNOWLEDGED")]
+        ],
+        schema
+    )
     rows = jobs.drained(jobs.lifecycle(stream), "update").collect()
     assert max((r["illegal"], r["status"]) for r in rows if r["alert_id"] == 1) == (1, "RESOLVED")
     assert {r["status"] for r in rows if r["alert_id"] == 2} == {"OPEN", "ACKNOWLEDGED"}
@@ -52,12 +81,19 @@ def test_lifecycle_counts_steps_back(spark, tmp_path):
 
 def test_duplicates_across_batches_count_once(spark, tmp_path):
     stream = files(spark, tmp_path, [[event(1, 0), event(2, 1)], [event(1, 0), event(3, 2)]], EVENT)
-    assert sorted(r["event_id"] for r in jobs.drained(jobs.deduplicated(stream, ["user_id", "event_id"])).collect()) == [1, 2, 3]
+    assert sorted(
+        r["event_id"] for r in jobs.drained(jobs.deduplicated(stream, ["user_id", "event_id"])).collect()
+    ) == [1, 2, 3]
 
 
 @pytest.mark.parametrize("limit", [60])
 def test_silence_is_reported_by_a_timer(spark, tmp_path, limit):
-    stream = files(spark, tmp_path, [[event(1, 0), event(2, 0, user=2)], [event(3, 50)], [event(4, 100, user=3)], [event(5, 200, user=3)]], EVENT)
+    stream = files(
+        spark,
+        tmp_path,
+        [[event(1, 0), event(2, 0, user=2)], [event(3, 50)], [event(4, 100, user=3)], [event(5, 200, user=3)]],
+        EVENT
+    )
     got = jobs.drained(jobs.silent(stream, limit * 60_000)).collect()
     assert {r["device_id"] for r in got} >= {1, 2}
 

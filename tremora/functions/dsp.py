@@ -66,11 +66,18 @@ def decibels(ratio: Column) -> Column:
     return F.when(ratio > 0, 20 * F.log10(ratio))
 
 
-def bearing_frequencies(rpm: Column, balls: Column, ball: Column, pitch: Column, contact_deg: Column) -> dict[str, Column]:
+def bearing_frequencies(
+    rpm: Column, balls: Column, ball: Column, pitch: Column, contact_deg: Column
+) -> dict[str, Column]:
     """Cage, outer-race, inner-race and ball-spin frequencies in Hz."""
     fr = rpm / 60
     g = ball / pitch * F.cos(F.radians(contact_deg))
-    return {"ftf": fr / 2 * (1 - g), "bpfo": balls * fr / 2 * (1 - g), "bpfi": balls * fr / 2 * (1 + g), "bsf": pitch / (2 * ball) * fr * (1 - g * g)}
+    return {
+        "ftf": fr / 2 * (1 - g),
+        "bpfo": balls * fr / 2 * (1 - g),
+        "bpfi": balls * fr / 2 * (1 + g),
+        "bsf": pitch / (2 * ball) * fr * (1 - g * g)
+    }
 
 
 def sidebands(supply: Column, slip: Column) -> tuple[Column, Column]:
@@ -86,7 +93,9 @@ def gear_mesh(rpm: Column, teeth: Column, rate: Column) -> Column:
 
 
 def _each(column: pa.Array, f) -> pa.Array:
-    """Apply f to the rows of a list array, all rows of one length as one matrix; null for rows that are null or empty."""
+    """Apply f to the rows of a list array, all rows of one length as one matrix; null for rows that are null or
+    empty.
+    """
     sizes = pc.list_value_length(column).fill_null(0).to_numpy(zero_copy_only=False)
     out: list[np.ndarray | None] = [None] * len(column)
     for n in np.unique(sizes[sizes > 0]):
@@ -115,7 +124,9 @@ def band_taps(low: float, high: float, rate: float, taps: int = 31) -> np.ndarra
     if not 0 <= low < high <= rate / 2:
         raise ValueError(f"a band of {low} to {high} Hz needs a sampling rate of {2 * high} at least, not {rate}")
     at = np.arange(taps) - (taps - 1) / 2
-    return (2 * high / rate * np.sinc(2 * high / rate * at) - 2 * low / rate * np.sinc(2 * low / rate * at)) * np.hamming(taps)
+    return (
+        2 * high / rate * np.sinc(2 * high / rate * at) - 2 * low / rate * np.sinc(2 * low / rate * at)
+    ) * np.hamming(taps)
 
 
 def filtered(x: np.ndarray, taps: np.ndarray) -> np.ndarray:

@@ -37,12 +37,21 @@ def features(x: Column) -> list[Column]:
 def moments(x: Column, centre: float = 0.0) -> list[Column]:
     """What a window must keep so that wider windows can be built from it. A centre near the mean keeps precision."""
     d = x - F.lit(centre)
-    return [F.count(x).alias("n"), *(F.sum(F.pow(d, F.lit(float(k)))).alias(f"s{k}") for k in range(1, 5)), F.max(F.abs(x)).alias("top"), F.sum(x * x).alias("square")]
+    return [
+        F.count(x).alias("n"),
+        *(F.sum(F.pow(d, F.lit(float(k)))).alias(f"s{k}") for k in range(1, 5)),
+        F.max(F.abs(x)).alias("top"),
+        F.sum(x * x).alias("square")
+    ]
 
 
 def merged() -> list[Column]:
     """Moments of wider windows."""
-    return [*(F.sum(c).alias(c) for c in ("n", "s1", "s2", "s3", "s4")), F.max("top").alias("top"), F.sum("square").alias("square")]
+    return [
+        *(F.sum(c).alias(c) for c in ("n", "s1", "s2", "s3", "s4")),
+        F.max("top").alias("top"),
+        F.sum("square").alias("square")
+    ]
 
 
 def finished(centre: float = 0.0) -> list[Column]:

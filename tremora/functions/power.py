@@ -16,7 +16,12 @@ def power_triangle(v: Column, i: Column) -> dict[str, Column]:
     """Aggregates over the samples of one phase: active, apparent and reactive power, power factor."""
     active = F.avg(v * i)
     apparent = F.sqrt(F.avg(v * v)) * F.sqrt(F.avg(i * i))
-    return {"active": active, "apparent": apparent, "reactive": F.sqrt(F.greatest(apparent * apparent - active * active, F.lit(0.0))), "power_factor": active / F.nullif(apparent, F.lit(0.0))}
+    return {
+        "active": active,
+        "apparent": apparent,
+        "reactive": F.sqrt(F.greatest(apparent * apparent - active * active, F.lit(0.0))),
+        "power_factor": active / F.nullif(apparent, F.lit(0.0))
+    }
 
 
 def park(a: Column, b: Column, c: Column) -> tuple[Column, Column]:

@@ -42,7 +42,9 @@ def throttle(alerts: DataFrame, device: str, time_us: str, quiet_us: int) -> Dat
 def quiet_groups(alerts: DataFrame, device: str, time_us: str, quiet_us: int) -> DataFrame:
     """First alert of each burst: an alert opens a burst after more than ``quiet_us`` without any."""
     w = Window.partitionBy(device).orderBy(time_us)
-    return alerts.withColumn("__gap", F.col(time_us) - F.lag(time_us).over(w)).where("__gap is null or __gap > %d" % quiet_us).drop("__gap")
+    return alerts.withColumn(
+        "__gap", F.col(time_us) - F.lag(time_us).over(w)
+    ).where("__gap is null or __gap > %d" % quiet_us).drop("__gap")
 
 
 def hysteresis(rows: DataFrame, device: list[str], order: list[str], value: str, up: float, down: float) -> DataFrame:
@@ -52,7 +54,9 @@ def hysteresis(rows: DataFrame, device: list[str], order: list[str], value: str,
     return rows.withColumn("alarm", F.coalesce(F.last(crossing, ignorenulls=True).over(w), F.lit(0)))
 
 
-def cusum(rows: DataFrame, device: list[str], order: list[str], x: Column, slack: float, block: Column | None = None) -> DataFrame:
+def cusum(
+    rows: DataFrame, device: list[str], order: list[str], x: Column, slack: float, block: Column | None = None
+) -> DataFrame:
     """Add ``cusum``: max(0, previous + x - slack), from running sums and their running minimum.
 
     ``block`` cuts a device's time into parts that are summed on their own; each part is then moved by the sum of the
@@ -62,12 +66,18 @@ def cusum(rows: DataFrame, device: list[str], order: list[str], x: Column, slack
     w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     summed = rows.withColumn("__block", block).withColumn("__sum", F.sum(x - F.lit(slack)).over(w))
     summed = summed.withColumn("__least", F.min("__sum").over(w))
-    parts = rows.withColumn("__block", block).withColumn("__sum", F.sum(x - F.lit(slack)).over(w)).groupBy(*keys).agg(F.max_by("__sum", F.struct(*order)).alias("__total"), F.min("__sum").alias("__low"))
+    parts = rows.withColumn("__block", block).withColumn("__sum", F.sum(x - F.lit(slack)).over(w)).groupBy(*keys).agg(
+        F.max_by("__sum", F.struct(*order)).alias("__total"), F.min("__sum").alias("__low")
+    )
     before = Window.partitionBy(*device).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.withColumn("__base", F.coalesce(F.sum("__total").over(before), F.lit(0.0)))
-    parts = parts.withColumn("__floor", F.coalesce(F.min(F.col("__base") + F.col("__low")).over(before), F.lit(0.0))).select(*keys, "__base", "__floor")
+    parts = parts.withColumn(
+        "__floor", F.coalesce(F.min(F.col("__base") + F.col("__low")).over(before), F.lit(0.0))
+    ).select(*keys, "__base", "__floor")
     level = F.least(F.lit(0.0), F.col("__floor"), F.col("__base") + F.col("__least"))
-    return summed.join(parts, keys).withColumn("cusum", F.col("__base") + F.col("__sum") - level).drop("__sum", "__least", "__base", "__floor", "__block")
+    return summed.join(parts, keys).withColumn("cusum", F.col("__base") + F.col("__sum") - level).drop(
+        "__sum", "__least", "__base", "__floor", "__block"
+    )
 
 
 def islands(rows: DataFrame, device: list[str], order: list[str], flag: Column) -> DataFrame:
@@ -75,12 +85,20 @@ def islands(rows: DataFrame, device: list[str], order: list[str], flag: Column)
     w = Window.partitionBy(*device).orderBy(*order)
     marked = rows.withColumn("__flag", flag)
     number = F.row_number().over(w) - F.row_number().over(Window.partitionBy(*device, "__flag").orderBy(*order))
-    return marked.withColumn("__island", number).where("__flag").groupBy(*device, "__island").agg(F.min(order[0]).alias("first_ts"), F.max(order[0]).alias("last_ts"), F.count("*").alias("length")).drop("__island")
+    return marked.withColumn("__island", number).where("__flag").groupBy(*device, "__island").agg(
+        F.min(order[0]).alias("first_ts"), F.max(order[0]).alias("last_ts"), F.count("*").alias("length")
+    ).drop("__island")
 
 
 def lifecycle(events: DataFrame, alert: str, state: str, order: list[str], ranks: dict[str, int]) -> DataFrame:
     """Latest state of each alert, and how many transitions went backwards."""
     rank = F.coalesce(*(F.when(F.col(state) == s, F.lit(r)) for s, r in ranks.items()))
     w = Window.partitionBy(alert).orderBy(*order)
-    steps = events.withColumn("__rank", rank).withColumn("__back", (F.col("__rank") < F.lag("__rank").over(w)).cast("long"))
-    return steps.groupBy(alert).agg(F.max_by(state, F.struct(*order)).alias("latest"), F.coalesce(F.sum("__back"), F.lit(0)).alias("illegal"), F.count("*").alias("transitions"))
+    steps = events.withColumn("__rank", rank).withColumn(
+        "__back", (F.col("__rank") < F.lag("__rank").over(w)).cast("long")
+    )
+    return steps.groupBy(alert).agg(
+        F.max_by(state, F.struct(*order)).alias("latest"),
+        F.coalesce(F.sum("__back"), F.lit(0)).alias("illegal"),
+        F.count("*").alias("transitions")
+    )

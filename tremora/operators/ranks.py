@@ -19,14 +19,17 @@ def _cells(levels: DataFrame, by: list[str], value: str) -> DataFrame:
 def running(levels: DataFrame, by: list[str], value: str, count: str) -> DataFrame:
     """Add ``__before``: the counts of the lower values of a group. ``levels`` has a row for each distinct value.
 
-    Only the sums of cells go through one window of a group, CELLS + 1 rows; the values of a cell are ranked among themselves.
+    Only the sums of cells go through one window of a group, CELLS + 1 rows; the values of a cell are ranked among
+    themselves.
     """
     dealt = _cells(levels, by, value)
     sums = dealt.groupBy(*by, "__cell").agg(F.sum(count).alias("__n"))
     lower = Window.partitionBy(*by).orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select(*by, "__cell", F.coalesce(F.sum("__n").over(lower), F.lit(0)).alias("__base"))
     within = Window.partitionBy(*by, "__cell").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    return dealt.join(sums, [*by, "__cell"]).withColumn("__before", F.col("__base") + F.coalesce(F.sum(count).over(within), F.lit(0))).drop("__cell", "__base")
+    return dealt.join(sums, [*by, "__cell"]).withColumn(
+        "__before", F.col("__base") + F.coalesce(F.sum(count).over(within), F.lit(0))
+    ).drop("__cell", "__base")
 
 
 def quantile(rows: DataFrame, by: list[str], value: str, q: float, name: str) -> DataFrame:
@@ -36,12 +39,16 @@ def quantile(rows: DataFrame, by: list[str], value: str, q: float, name: str) ->
     at = q * (F.col("__total") - 1)
     ranked = running(levels, by, value, "__c").join(total, by)
     holds = lambda rank: F.when((F.col("__before") <= rank) & (rank < F.col("__before") + F.col("__c")), F.col(value))
-    ends = ranked.groupBy(*by, "__total").agg(F.max(holds(F.floor(at))).alias("__a"), F.max(holds(F.ceil(at))).alias("__b"))
+    ends = ranked.groupBy(*by, "__total").agg(
+        F.max(holds(F.floor(at))).alias("__a"), F.max(holds(F.ceil(at))).alias("__b")
+    )
     return ends.select(*by, (F.col("__a") + (F.col("__b") - F.col("__a")) * (at - F.floor(at))).alias(name))
 
 
 def numbered(rows: DataFrame, by: list[str], slots: list[Column], order: list[str], name: str) -> DataFrame:
-    """Add ``name``: the place of each row among those of its group by (slots, order). Slots are coarse and in order; each is numbered on its own and moved by what lies before."""
+    """Add ``name``: the place of each row among those of its group by (slots, order). Slots are coarse and in order;
+    each is numbered on its own and moved by what lies before.
+    """
     keys = [f"__s{i}" for i in range(len(slots))]
     dealt = rows.select("*", *(c.alias(k) for c, k in zip(slots, keys, strict=True)))
     sums = dealt.groupBy(*by, *keys).agg(F.count("*").alias("__n"))

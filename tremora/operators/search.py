@@ -20,5 +20,9 @@ def score_terms(rows: DataFrame, keys: list[str], text: str, terms: list[str]) -
     found = rows.select(*keys, words.alias("__words")).select(*keys, F.inline(counts)).where("tf > 0")
     known = found.groupBy("term").agg(F.count("*").alias("df"))
     total = rows.agg(F.count("*").alias("n")).withColumn("one", F.lit(1))
-    weights = F.broadcast(known.withColumn("one", F.lit(1)).join(total, "one").select("term", F.ln(1 + F.col("n") / F.col("df")).alias("weight")))  # a row for each term asked for
+    weights = F.broadcast(
+        known.withColumn("one", F.lit(1))
+            .join(total, "one")
+            .select("term", F.ln(1 + F.col("n") / F.col("df")).alias("weight"))
+    )  # a row for each term asked for
     return found.join(weights, "term").groupBy(*keys).agg(F.sum((1 + F.ln("tf")) * F.col("weight")).alias("score"))

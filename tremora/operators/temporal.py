@@ -6,22 +6,34 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def asof(left: DataFrame, right: DataFrame, by: list[str], on: str, values: list[str], tolerance: Column | None = None) -> DataFrame:
+def asof(
+    left: DataFrame, right: DataFrame, by: list[str], on: str, values: list[str], tolerance: Column | None = None
+) -> DataFrame:
     """Each left row with the latest right row at or before it: one union and one sort, no expansion.
 
     ``values`` are taken from the right; with ``tolerance`` (in the unit of ``on``) older matches are null.
     """
     carried = F.struct(F.col(on).alias("__at"), *values)
-    union = left.withColumn("__side", F.lit(1)).withColumn("__row", F.lit(None).cast(right.select(carried.alias("x")).schema["x"].dataType))
+    union = left.withColumn("__side", F.lit(1)).withColumn(
+        "__row", F.lit(None).cast(right.select(carried.alias("x")).schema["x"].dataType)
+    )
     other = right.select(*by, on, F.lit(0).alias("__side"), carried.alias("__row"))
     w = Window.partitionBy(*by).orderBy(on, "__side").rowsBetween(Window.unboundedPreceding, 0)
-    joined = union.unionByName(other, allowMissingColumns=True).withColumn("__row", F.last("__row", ignorenulls=True).over(w)).where("__side = 1")
+    joined = union.unionByName(other, allowMissingColumns=True).withColumn(
+        "__row", F.last("__row", ignorenulls=True).over(w)
+    ).where("__side = 1")
     fresh = F.lit(True) if tolerance is None else F.col(on) - F.col("__row.__at") <= tolerance
-    return joined.select(*left.columns, *(F.when(fresh, F.col(f"__row.{v}")).alias(v) for v in values), F.when(fresh, F.col("__row.__at")).alias(f"{on}_matched"))
+    return joined.select(
+        *left.columns,
+        *(F.when(fresh, F.col(f"__row.{v}")).alias(v) for v in values),
+        F.when(fresh, F.col("__row.__at")).alias(f"{on}_matched")
+    )
 
 
 def interval(left: DataFrame, right: DataFrame, by: str, left_us: str, right_us: str, width_us: int) -> DataFrame:
-    """Pairs of one key within ``width_us`` of each other: the left falls in a bucket, the right in it and its neighbours."""
+    """Pairs of one key within ``width_us`` of each other: the left falls in a bucket, the right in it and its
+    neighbours.
+    """
     bucket = F.floor(F.col(left_us) / width_us)
     near = F.explode(F.array(*(F.floor(F.col(right_us) / width_us) + k for k in (-1, 0, 1))))
     pairs = left.withColumn("__b", bucket).join(right.withColumn("__b", near), [by, "__b"])
@@ -31,19 +43,37 @@ def interval(left: DataFrame, right: DataFrame, by: str, left_us: str, right_us:
 def range_to_bin(points: DataFrame, bins: DataFrame, at: str, low: str, high: str, width: float) -> DataFrame:
     """Points within [low, high): ranges are cut into cells of ``width`` and joined on the cell."""
     cells = bins.withColumn("__cell", F.explode(F.sequence(F.floor(F.col(low) / width), F.floor(F.col(high) / width))))
-    return points.withColumn("__cell", F.floor(F.col(at) / width)).join(cells, "__cell").where((F.col(at) >= F.col(low)) & (F.col(at) < F.col(high))).drop("__cell")
+    return points.withColumn("__cell", F.floor(F.col(at) / width)).join(cells, "__cell").where(
+        (F.col(at) >= F.col(low)) & (F.col(at) < F.col(high))
+    ).drop("__cell")
 
 
-def trailing(rows: DataFrame, by: list[str], key: str, at: str, values: dict[str, Column], edges: dict[str, int]) -> DataFrame:
-    """Sums of ``values`` over the rows of a group that lie before ``at`` + an edge, for each row and edge: (*by, key, name_edge).
+def trailing(
+    rows: DataFrame, by: list[str], key: str, at: str, values: dict[str, Column], edges: dict[str, int]
+) -> DataFrame:
+    """Sums of ``values`` over the rows of a group that lie before ``at`` + an edge, for each row and edge: (*by, key,
+    name_edge).
 
-    A trailing window is the difference of two edges. Rows and their edges are sorted together once and summed up in one pass,
-    so the cost doesn't depend on how many rows a window holds. ``values`` should be exact (long or decimal).
+    A trailing window is the difference of two edges. Rows and their edges are sorted together once and summed up in
+    one pass, so the cost doesn't depend on how many rows a window holds. ``values`` should be exact (long or
+    decimal).
     """
     names = list(values)
-    own = rows.select(*by, F.col(at).alias("__at"), F.lit(None).cast("string").alias("__edge"), F.lit(None).cast(rows.schema[key].dataType).alias(key), *(c.alias(n) for n, c in values.items()))
-    edge = F.explode(F.array(*(F.struct(F.lit(n).alias("edge"), (F.col(at) + d).alias("at")) for n, d in edges.items()))).alias("e")
+    own = rows.select(
+        *by,
+        F.col(at).alias("__at"),
+        F.lit(None).cast("string").alias("__edge"),
+        F.lit(None).cast(rows.schema[key].dataType).alias(key),
+        *(c.alias(n) for n, c in values.items())
+    )
+    edge = F.explode(
+        F.array(*(F.struct(F.lit(n).alias("edge"), (F.col(at) + d).alias("at")) for n, d in edges.items()))
+    ).alias("e")
     asked = rows.select(*by, key, edge).select(*by, F.col("e.at").alias("__at"), F.col("e.edge").alias("__edge"), key)
     before = Window.partitionBy(*by).orderBy("__at").rangeBetween(Window.unboundedPreceding, -1)
-    summed = own.unionByName(asked, allowMissingColumns=True).select(*by, key, "__edge", *(F.coalesce(F.sum(n).over(before), F.lit(0)).alias(n) for n in names)).where("__edge is not null")
-    return summed.groupBy(*by, key).agg(*(F.max(F.when(F.col("__edge") == e, F.col(n))).alias(f"{n}_{e}") for e in edges for n in names))
+    summed = own.unionByName(asked, allowMissingColumns=True).select(
+        *by, key, "__edge", *(F.coalesce(F.sum(n).over(before), F.lit(0)).alias(n) for n in names)
+    ).where("__edge is not null")
+    return summed.groupBy(*by, key).agg(
+        *(F.max(F.when(F.col("__edge") == e, F.col(n))).alias(f"{n}_{e}") for e in edges for n in names)
+    )

@@ -26,10 +26,18 @@ FROM events WHERE event_type = 'error' AND ts >= TIMESTAMP '2024-01-10' AND valu
 )
 def alert_filter_sorted(spark, sf_dir):
     """The first page of alerts by severity, then time."""
-    rows = table(spark, sf_dir, "events").where("event_type = 'error' and ts >= timestamp_ntz'2024-01-10' and value >= 120").withColumn("severity", A.severity(F.col("value")))
+    rows = table(spark, sf_dir, "events").where(
+        "event_type = 'error' and ts >= timestamp_ntz'2024-01-10' and value >= 120"
+    ).withColumn("severity", A.severity(F.col("value")))
     page = rows.orderBy("severity", "ts", "event_id").limit(500)
     place = F.row_number().over(Window.orderBy("severity", "ts", "event_id")).cast("long")
-    return page.select(F.col("event_id").alias("alert_id"), F.col("user_id").alias("device_id"), "severity", "value", place.alias("place"))
+    return page.select(
+        F.col("event_id").alias("alert_id"),
+        F.col("user_id").alias("device_id"),
+        "severity",
+        "value",
+        place.alias("place")
+    )
 
 
 @query(
@@ -39,7 +47,9 @@ FROM events WHERE event_type = 'error' GROUP BY ALL""",
 )
 def alert_severity_routing(spark, sf_dir):
     level = A.severity(F.col("value"))
-    return _errors(spark, sf_dir).groupBy(level.alias("severity"), A.route(level).alias("channel")).agg(F.count("*").alias("n"))
+    return _errors(spark, sf_dir).groupBy(
+        level.alias("severity"), A.route(level).alias("channel")
+    ).agg(F.count("*").alias("n"))
 
 
 @query(
@@ -52,7 +62,9 @@ SELECT user_id AS device_id, count(us) AS emitted, max(us) AS last_us FROM k WHE
 def alert_dedup_throttle_15m(spark, sf_dir):
     """Alerts emitted when none was in the 15 minutes before."""
     rows = events(spark, sf_dir).select(F.col("user_id").alias("device_id"), F.unix_micros("ts").alias("us"))
-    return A.throttle(rows, "device_id", "us", QUIET).groupBy("device_id").agg(F.count("*").alias("emitted"), F.max("us").alias("last_us"))
+    return A.throttle(rows, "device_id", "us", QUIET).groupBy("device_id").agg(
+        F.count("*").alias("emitted"), F.max("us").alias("last_us")
+    )
 
 
 @query(
@@ -88,7 +100,9 @@ def heartbeat_gaps(spark, sf_dir):
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     us = F.unix_micros("ts")
     gap = us - F.lag(us).over(w)
-    return events(spark, sf_dir).withColumn("gap", gap).groupBy(F.col("user_id").alias("device_id")).agg(F.count_if(F.col("gap") > 12 * 3600 * 1_000_000).alias("silences"), F.max("gap").alias("longest_us"))
+    return events(spark, sf_dir).withColumn("gap", gap).groupBy(F.col("user_id").alias("device_id")).agg(
+        F.count_if(F.col("gap") > 12 * 3600 * 1_000_000).alias("silences"), F.max("gap").alias("longest_us")
+    )
 
 
 @query(
@@ -97,7 +111,9 @@ def heartbeat_gaps(spark, sf_dir):
 )
 def sequence_gaps(spark, sf_dir):
     """Sequence numbers that never came."""
-    return events(spark, sf_dir).groupBy(F.col("user_id").alias("device_id")).agg((F.max("event_id") - F.min("event_id") + 1 - F.countDistinct("event_id")).alias("lost"))
+    return events(spark, sf_dir).groupBy(F.col("user_id").alias("device_id")).agg(
+        (F.max("event_id") - F.min("event_id") + 1 - F.countDistinct("event_id")).alias("lost")
+    )
 
 
 @query(
@@ -107,8 +123,12 @@ m AS (SELECT *, c - least(0, min(c) OVER (PARTITION BY event_type ORDER BY ts, e
 SELECT event_type AS channel, strftime(ts, '%Y-%m-%d') AS day, round(max(x), 4) + 0.0 AS top FROM m GROUP BY ALL""",
 )
 def cusum(spark, sf_dir):
-    rows = A.cusum(events(spark, sf_dir), ["event_type"], ["ts", "event_id"], F.col("value"), 105.0, F.date_trunc("day", "ts"))
-    return rows.groupBy(F.col("event_type").alias("channel"), F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(tidy(F.max("cusum"), 4).alias("top"))
+    rows = A.cusum(
+        events(spark, sf_dir), ["event_type"], ["ts", "event_id"], F.col("value"), 105.0, F.date_trunc("day", "ts")
+    )
+    return rows.groupBy(
+        F.col("event_type").alias("channel"), F.date_format("ts", "yyyy-MM-dd").alias("day")
+    ).agg(tidy(F.max("cusum"), 4).alias("top"))
 
 
 @query(
@@ -119,7 +139,9 @@ SELECT user_id AS device_id, CAST(sum(alarm) AS BIGINT) AS on_rows, count(*) AS
 )
 def hysteresis_alarm(spark, sf_dir):
     rows = A.hysteresis(events(spark, sf_dir), ["user_id"], ["ts", "event_id"], "value", 200.0, 50.0)
-    return rows.groupBy(F.col("user_id").alias("device_id")).agg(F.sum("alarm").alias("on_rows"), F.count("*").alias("n"))
+    return rows.groupBy(F.col("user_id").alias("device_id")).agg(
+        F.sum("alarm").alias("on_rows"), F.count("*").alias("n")
+    )
 
 
 @query(
@@ -131,7 +153,9 @@ SELECT user_id AS device_id, max(n) AS longest, count(*) FILTER (WHERE n > 3) AS
 def consecutive_failures(spark, sf_dir):
     """Longest run of failures, and runs of more than three."""
     runs = A.islands(events(spark, sf_dir), ["user_id"], ["ts", "event_id"], F.col("event_type").isin("error", "view"))
-    return runs.groupBy(F.col("user_id").alias("device_id")).agg(F.max("length").alias("longest"), F.count_if(F.col("length") > 3).alias("fallbacks"))
+    return runs.groupBy(F.col("user_id").alias("device_id")).agg(
+        F.max("length").alias("longest"), F.count_if(F.col("length") > 3).alias("fallbacks")
+    )
 
 
 @query(
@@ -141,7 +165,11 @@ def consecutive_failures(spark, sf_dir):
 def escalation_gate(spark, sf_dir):
     """How many rows reach each tier: later tiers see only what passed the cheaper gates."""
     rows = events(spark, sf_dir).where("event_type <> 'signup'")
-    return rows.agg(F.count("*").alias("tier1"), F.count_if(F.col("value") > 120).alias("tier2"), F.count_if(F.col("value") > 250).alias("tier3"))
+    return rows.agg(
+        F.count("*").alias("tier1"),
+        F.count_if(F.col("value") > 120).alias("tier2"),
+        F.count_if(F.col("value") > 250).alias("tier3")
+    )
 
 
 @query(
@@ -150,7 +178,9 @@ def escalation_gate(spark, sf_dir):
 )
 def rate_limit_1m(spark, sf_dir):
     """Keys with more than one request within a minute."""
-    return events(spark, sf_dir).groupBy(F.col("user_id").alias("device_id"), stamp(F.date_trunc("minute", "ts")).alias("minute")).agg(F.count("*").alias("requests")).where("requests > 1")
+    return events(spark, sf_dir).groupBy(
+        F.col("user_id").alias("device_id"), stamp(F.date_trunc("minute", "ts")).alias("minute")
+    ).agg(F.count("*").alias("requests")).where("requests > 1")
 
 
 @query(
@@ -161,4 +191,6 @@ def priority_queue(spark, sf_dir):
     """Order of sending: alerts, then status, then telemetry, by day. Each level and hour is numbered on its own."""
     level = F.when(F.col("event_type") == "error", 0).when(F.col("event_type") == "signup", 1).otherwise(2)
     rows = events(spark, sf_dir).select("event_id", "ts", "event_type", F.date_format("ts", "yyyy-MM-dd").alias("day"))
-    return numbered(rows, ["day"], [level, F.hour("ts")], ["ts", "event_id"], "place").select("day", "event_id", "place")
+    return numbered(
+        rows, ["day"], [level, F.hour("ts")], ["ts", "event_id"], "place"
+    ).select("day", "event_id", "place")

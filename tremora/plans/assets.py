@@ -11,51 +11,89 @@ from tremora.plans.signal import _amplitude, _waves, _WAVES
 from tremora.session import table
 
 
-@query("capture_trigger", "SELECT user_id AS device_id, count(*) AS captures FROM events WHERE value > 300 OR event_id % 24 = 0 GROUP BY user_id")
+@query(
+    "capture_trigger",
+    "SELECT user_id AS device_id, count(*) AS captures FROM events WHERE value > 300 OR event_id % 24 = 0 GROUP BY user_id"
+)
 def capture_trigger(spark, sf_dir):
     """Captures by anomaly or by schedule."""
-    return events(spark, sf_dir).where((F.col("value") > 300) | (F.col("event_id") % 24 == 0)).groupBy(F.col("user_id").alias("device_id")).agg(F.count("*").alias("captures"))
+    return events(spark, sf_dir).where(
+        (F.col("value") > 300) | (F.col("event_id") % 24 == 0)
+    ).groupBy(F.col("user_id").alias("device_id")).agg(F.count("*").alias("captures"))
 
 
-@query("stopped_machine_throttle", "SELECT user_id AS device_id, count(*) AS sent FROM events WHERE event_id % 7 <> 0 GROUP BY user_id")
+@query(
+    "stopped_machine_throttle",
+    "SELECT user_id AS device_id, count(*) AS sent FROM events WHERE event_id % 7 <> 0 GROUP BY user_id"
+)
 def stopped_machine_throttle(spark, sf_dir):
     """Rows of running machines only; a speed of zero sends nothing."""
     rpm = F.col("event_id") % 7
-    return events(spark, sf_dir).withColumn("rpm", rpm).where("rpm > 0").groupBy(F.col("user_id").alias("device_id")).agg(F.count("*").alias("sent"))
+    return events(spark, sf_dir).withColumn("rpm", rpm).where("rpm > 0").groupBy(
+        F.col("user_id").alias("device_id")
+    ).agg(F.count("*").alias("sent"))
 
 
-@query("low_battery", "SELECT user_id AS device_id, min(CAST(props ->> '$.k' AS BIGINT)) AS battery_pct FROM events GROUP BY user_id HAVING min(CAST(props ->> '$.k' AS BIGINT)) < 15")
+@query(
+    "low_battery",
+    "SELECT user_id AS device_id, min(CAST(props ->> '$.k' AS BIGINT)) AS battery_pct FROM events GROUP BY user_id HAVING min(CAST(props ->> '$.k' AS BIGINT)) < 15"
+)
 def low_battery(spark, sf_dir):
     """Devices whose battery fell below 15 percent."""
     level = F.get_json_object("props", "$.k").cast("long")
-    return events(spark, sf_dir).groupBy(F.col("user_id").alias("device_id")).agg(F.min(level).alias("battery_pct")).where("battery_pct < 15")
+    return events(spark, sf_dir).groupBy(
+        F.col("user_id").alias("device_id")
+    ).agg(F.min(level).alias("battery_pct")).where("battery_pct < 15")
 
 
-@query("rpm_normalised", "SELECT user_id AS device_id, round(avg(value / ((600 + user_id % 7 * 300) / 60.0)), 6) AS per_turn FROM events GROUP BY user_id")
+@query(
+    "rpm_normalised",
+    "SELECT user_id AS device_id, round(avg(value / ((600 + user_id % 7 * 300) / 60.0)), 6) AS per_turn FROM events GROUP BY user_id"
+)
 def rpm_normalised(spark, sf_dir):
     """Feature per shaft turn."""
     rpm = 600 + F.col("user_id") % 7 * 300
-    return events(spark, sf_dir).groupBy(F.col("user_id").alias("device_id")).agg(F.round(F.avg(F.col("value") / (rpm / 60.0)), 6).alias("per_turn"))
+    return events(spark, sf_dir).groupBy(F.col("user_id").alias("device_id")).agg(
+        F.round(F.avg(F.col("value") / (rpm / 60.0)), 6).alias("per_turn")
+    )
 
 
-@query("waveform_paths", "SELECT event_id, 'waveforms/' || user_id || '/' || strftime(ts, '%Y%m%dT%H%M%S') || '/x_axis.bin' AS path FROM events WHERE event_type = 'view'")
+@query(
+    "waveform_paths",
+    "SELECT event_id, 'waveforms/' || user_id || '/' || strftime(ts, '%Y%m%dT%H%M%S') || '/x_axis.bin' AS path FROM events WHERE event_type = 'view'"
+)
 def waveform_paths(spark, sf_dir):
     """Object paths of captures."""
-    path = F.concat(F.lit("waveforms/"), F.col("user_id").cast("string"), F.lit("/"), F.date_format("ts", "yyyyMMdd'T'HHmmss"), F.lit("/x_axis.bin"))
+    path = F.concat(
+        F.lit("waveforms/"),
+        F.col("user_id").cast("string"),
+        F.lit("/"),
+        F.date_format("ts", "yyyyMMdd'T'HHmmss"),
+        F.lit("/x_axis.bin")
+    )
     return events(spark, sf_dir).where("event_type = 'view'").select("event_id", path.alias("path"))
 
 
 @query("package_digest", "SELECT s_suppkey AS asset_id, sha256(s_name) AS digest FROM supplier")
 def package_digest(spark, sf_dir):
-    return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("asset_id"), F.sha2("s_name", 256).alias("digest"))
+    return table(spark, sf_dir, "supplier").select(
+        F.col("s_suppkey").alias("asset_id"), F.sha2("s_name", 256).alias("digest")
+    )
 
 
-@query("asset_attributes", "SELECT p_partkey AS asset_id, p_brand AS brand, CASE WHEN p_size > 25 THEN CAST(p_size AS VARCHAR) END AS large_size FROM part WHERE p_type LIKE '%A%'")
+@query(
+    "asset_attributes",
+    "SELECT p_partkey AS asset_id, p_brand AS brand, CASE WHEN p_size > 25 THEN CAST(p_size AS VARCHAR) END AS large_size FROM part WHERE p_type LIKE '%A%'"
+)
 def asset_attributes(spark, sf_dir):
     """Custom attributes as a map, filtered and read by key."""
     pairs = F.create_map(F.lit("brand"), F.col("p_brand"), F.lit("size"), F.col("p_size").cast("string"))
     kept = F.map_filter(pairs, lambda k, v: (k != "size") | (v.cast("int") > 25))
-    return table(spark, sf_dir, "part").where("p_type like '%A%'").select(F.col("p_partkey").alias("asset_id"), kept.alias("m")).select("asset_id", F.col("m")["brand"].alias("brand"), F.try_element_at("m", F.lit("size")).alias("large_size"))
+    return table(spark, sf_dir, "part").where("p_type like '%A%'").select(
+        F.col("p_partkey").alias("asset_id"), kept.alias("m")
+    ).select(
+        "asset_id", F.col("m")["brand"].alias("brand"), F.try_element_at("m", F.lit("size")).alias("large_size")
+    )
 
 
 @query("compliance_export", "SELECT * FROM (SELECT event_id, event_type, value FROM events WHERE user_id = 2)")
@@ -64,9 +102,14 @@ def compliance_export(spark, sf_dir):
     return events(spark, sf_dir).where("user_id = 2").select("event_id", "event_type", "value")
 
 
-@query("active_devices", "SELECT strftime(ts, '%Y-%m-%d') AS day, count(DISTINCT user_id) AS devices FROM events GROUP BY 1")
+@query(
+    "active_devices",
+    "SELECT strftime(ts, '%Y-%m-%d') AS day, count(DISTINCT user_id) AS devices FROM events GROUP BY 1"
+)
 def active_devices(spark, sf_dir):
-    return events(spark, sf_dir).groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.countDistinct("user_id").alias("devices"))
+    return events(spark, sf_dir).groupBy(
+        F.date_format("ts", "yyyy-MM-dd").alias("day")
+    ).agg(F.countDistinct("user_id").alias("devices"))
 
 
 @query(
@@ -76,8 +119,14 @@ SELECT technician, strftime(due, '%Y-%m') AS month, count(*) AS tasks, count(DIS
 )
 def pm_calendar(spark, sf_dir):
     """Tasks that fall due 90 days after their order, by technician and month."""
-    rows = table(spark, sf_dir, "orders").where("o_orderstatus <> 'F'").select(F.col("o_custkey").alias("asset_id"), (F.col("o_orderkey") % 50).alias("technician"), F.date_add(F.to_date("o_orderdate"), 90).alias("due"))
-    return rows.groupBy("technician", F.date_format("due", "yyyy-MM").alias("month")).agg(F.count("*").alias("tasks"), F.countDistinct("asset_id").alias("assets"))
+    rows = table(spark, sf_dir, "orders").where("o_orderstatus <> 'F'").select(
+        F.col("o_custkey").alias("asset_id"),
+        (F.col("o_orderkey") % 50).alias("technician"),
+        F.date_add(F.to_date("o_orderdate"), 90).alias("due")
+    )
+    return rows.groupBy("technician", F.date_format("due", "yyyy-MM").alias("month")).agg(
+        F.count("*").alias("tasks"), F.countDistinct("asset_id").alias("assets")
+    )
 
 
 @query(
@@ -101,7 +150,12 @@ def bearing_current_sidebands(spark, sf_dir):
     """Lines at the supply frequency plus and minus multiples of an outer-race frequency."""
     rows = _waves(spark, sf_dir).select("vec_id", "x", F.explode(F.array(F.lit(1), F.lit(2))).alias("k"))
     at = lambda f: F.round(dsp.at_frequency(F.col("x"), f, F.lit(640.0)), 6)
-    return rows.select("vec_id", "k", at(F.abs(60 - F.col("k") * 24.4)).alias("lower_amplitude"), at(60 + F.col("k") * 24.4).alias("upper_amplitude"))
+    return rows.select(
+        "vec_id",
+        "k",
+        at(F.abs(60 - F.col("k") * 24.4)).alias("lower_amplitude"),
+        at(60 + F.col("k") * 24.4).alias("upper_amplitude")
+    )
 
 
 @query(
@@ -110,11 +164,16 @@ def bearing_current_sidebands(spark, sf_dir):
 )
 def supply_frequency(spark, sf_dir):
     """The strongest line within the range of supply frequencies."""
-    bins = _waves(spark, sf_dir).select("vec_id", "x", F.explode(F.sequence(F.lit(3), F.lit(6))).alias("k")).select("vec_id", "k", F.round(dsp.amplitude(F.col("x"), F.col("k").cast("double")), 9).alias("a"))
+    bins = _waves(spark, sf_dir).select("vec_id", "x", F.explode(F.sequence(F.lit(3), F.lit(6))).alias("k")).select(
+        "vec_id", "k", F.round(dsp.amplitude(F.col("x"), F.col("k").cast("double")), 9).alias("a")
+    )
     return bins.groupBy("vec_id").agg((F.max_by("k", F.struct("a", "k")) * 10.0).alias("hz"))
 
 
-@query("boot_self_test", f"""WITH {_WAVES} SELECT vec_id, round(sqrt(list_sum(list_transform(x, lambda v: v * v)) / len(x)), 6) < 0.13 AS passed FROM x""")
+@query(
+    "boot_self_test",
+    f"""WITH {_WAVES} SELECT vec_id, round(sqrt(list_sum(list_transform(x, lambda v: v * v)) / len(x)), 6) < 0.13 AS passed FROM x"""
+)
 def boot_self_test(spark, sf_dir):
     """Noise floor of a quiet capture against its limit."""
     return _waves(spark, sf_dir).select("vec_id", (F.round(dsp.array_rms(F.col("x")), 6) < 0.13).alias("passed"))
@@ -128,12 +187,23 @@ def counterfactual_linear(spark, sf_dir):
     """The change of the first feature that brings a linear score to the limit."""
     a, b = (F.col("embedding")[i].cast("double") for i in (0, 1))
     score = 0.5 * a - 0.2 * b
-    return table(spark, sf_dir, "embeddings").where(F.round(score, 9) > 0.05).select("vec_id", tidy((0.3 - score) / 0.5).alias("change_f1"))
+    return table(spark, sf_dir, "embeddings").where(F.round(score, 9) > 0.05).select(
+        "vec_id", tidy((0.3 - score) / 0.5).alias("change_f1")
+    )
 
 
-@query("dataset_fusion", "SELECT part, count(*) AS windows, count(DISTINCT label) AS bearings FROM (SELECT 'a' AS part, label FROM embeddings WHERE vec_id % 2 = 0 UNION ALL SELECT 'b', label FROM embeddings WHERE vec_id % 2 = 1 UNION ALL SELECT 'synthetic', label FROM embeddings WHERE label = 3) GROUP BY part")
+@query(
+    "dataset_fusion",
+    "SELECT part, count(*) AS windows, count(DISTINCT label) AS bearings FROM (SELECT 'a' AS part, label FROM embeddings WHERE vec_id % 2 = 0 UNION ALL SELECT 'b', label FROM embeddings WHERE vec_id % 2 = 1 UNION ALL SELECT 'synthetic', label FROM embeddings WHERE label = 3) GROUP BY part"
+)
 def dataset_fusion(spark, sf_dir):
     """Several labelled sets and generated windows as one set."""
     rows = table(spark, sf_dir, "embeddings").select("label", "vec_id")
-    parts = [rows.where("vec_id % 2 = 0").withColumn("part", F.lit("a")), rows.where("vec_id % 2 = 1").withColumn("part", F.lit("b")), rows.where("label = 3").withColumn("part", F.lit("synthetic"))]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("part").agg(F.count("*").alias("windows"), F.countDistinct("label").alias("bearings"))
+    parts = [
+        rows.where("vec_id % 2 = 0").withColumn("part", F.lit("a")),
+        rows.where("vec_id % 2 = 1").withColumn("part", F.lit("b")),
+        rows.where("label = 3").withColumn("part", F.lit("synthetic"))
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("part").agg(
+        F.count("*").alias("windows"), F.countDistinct("label").alias("bearings")
+    )

@@ -21,7 +21,9 @@ def sensor_asof_align(spark, sf_dir):
     rows = events(spark, sf_dir).withColumn("us", F.unix_micros("ts"))
     left = rows.where("event_type = 'view'").select("user_id", "us", "event_id")
     right = rows.where("event_type = 'click'").select("user_id", "us", F.col("value").alias("temperature"))
-    return temporal.asof(left, right, ["user_id"], "us", ["temperature"], F.lit(DAY_US)).select("event_id", "temperature")
+    return temporal.asof(
+        left, right, ["user_id"], "us", ["temperature"], F.lit(DAY_US)
+    ).select("event_id", "temperature")
 
 
 @query(
@@ -31,7 +33,9 @@ def sensor_asof_align(spark, sf_dir):
 )
 def sensor_window_pivot(spark, sf_dir):
     """Modalities side by side for each device and day."""
-    rows = events(spark, sf_dir).where("event_type in ('view', 'click', 'purchase')").groupBy(F.col("user_id").alias("device_id"), F.date_format("ts", "yyyy-MM-dd").alias("day"))
+    rows = events(spark, sf_dir).where("event_type in ('view', 'click', 'purchase')").groupBy(
+        F.col("user_id").alias("device_id"), F.date_format("ts", "yyyy-MM-dd").alias("day")
+    )
     wide = rows.pivot("event_type", ["view", "click", "purchase"]).agg(F.round(F.avg("value"), 6))
     return wide.withColumnsRenamed({"view": "vib", "click": "temp", "purchase": "ae"})
 
@@ -44,16 +48,35 @@ def sensor_window_pivot(spark, sf_dir):
 def electrical_vibration_interval(spark, sf_dir):
     """Anomalies of both kinds on one asset within an hour."""
     rows = events(spark, sf_dir)
-    left = rows.where("event_type = 'view'").select("user_id", F.unix_micros("ts").alias("a_us"), F.col("event_id").alias("vibration_id"), F.col("value").alias("a"))
-    right = rows.where("event_type = 'error'").select("user_id", F.unix_micros("ts").alias("b_us"), F.col("event_id").alias("electrical_id"), F.col("value").alias("b"))
-    return temporal.interval(left, right, "user_id", "a_us", "b_us", 3_600_000_000).select("vibration_id", "electrical_id", F.round((F.col("a") + F.col("b")) / 2, 6).alias("confidence"))
+    left = rows.where("event_type = 'view'").select(
+        "user_id", F.unix_micros("ts").alias("a_us"), F.col("event_id").alias("vibration_id"), F.col("value").alias("a")
+    )
+    right = rows.where("event_type = 'error'").select(
+        "user_id",
+        F.unix_micros("ts").alias("b_us"),
+        F.col("event_id").alias("electrical_id"),
+        F.col("value").alias("b")
+    )
+    return temporal.interval(left, right, "user_id", "a_us", "b_us", 3_600_000_000).select(
+        "vibration_id", "electrical_id", F.round((F.col("a") + F.col("b")) / 2, 6).alias("confidence")
+    )
 
 
-@query("hierarchy_flatten", "SELECT r_name AS site, n_name AS area, s_suppkey AS asset_id, s_name AS asset FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey")
+@query(
+    "hierarchy_flatten",
+    "SELECT r_name AS site, n_name AS area, s_suppkey AS asset_id, s_name AS asset FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey"
+)
 def hierarchy_flatten(spark, sf_dir):
     """Site, area and asset in one row."""
-    area = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    return table(spark, sf_dir, "supplier").join(area, F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("r_name").alias("site"), F.col("n_name").alias("area"), F.col("s_suppkey").alias("asset_id"), F.col("s_name").alias("asset"))
+    area = table(spark, sf_dir, "nation").join(
+        table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")
+    )
+    return table(spark, sf_dir, "supplier").join(area, F.col("s_nationkey") == F.col("n_nationkey")).select(
+        F.col("r_name").alias("site"),
+        F.col("n_name").alias("area"),
+        F.col("s_suppkey").alias("asset_id"),
+        F.col("s_name").alias("asset")
+    )
 
 
 _SPINE = "SELECT user_id, strftime(d, '%Y-%m-%d') AS day FROM (SELECT user_id, unnest(generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-01-30', INTERVAL 1 DAY)) AS d FROM (SELECT DISTINCT user_id FROM events))"
@@ -62,52 +85,90 @@ _SPINE = "SELECT user_id, strftime(d, '%Y-%m-%d') AS day FROM (SELECT user_id, u
 def _spine(spark, sf_dir):
     """Every device on every day of the month: days are generated within each device's row."""
     days = F.explode(F.sequence(F.lit("2024-01-01").cast("date"), F.lit("2024-01-30").cast("date")))
-    return events(spark, sf_dir).select("user_id").distinct().select("user_id", days.alias("d")).select("user_id", F.date_format("d", "yyyy-MM-dd").alias("day"))
+    return events(spark, sf_dir).select("user_id").distinct().select("user_id", days.alias("d")).select(
+        "user_id", F.date_format("d", "yyyy-MM-dd").alias("day")
+    )
 
 
-@query("silent_devices", f"WITH s AS ({_SPINE}) SELECT s.user_id AS device_id, s.day FROM s ANTI JOIN (SELECT user_id, strftime(ts, '%Y-%m-%d') AS day FROM events) e ON s.user_id = e.user_id AND s.day = e.day")
+@query(
+    "silent_devices",
+    f"WITH s AS ({_SPINE}) SELECT s.user_id AS device_id, s.day FROM s ANTI JOIN (SELECT user_id, strftime(ts, '%Y-%m-%d') AS day FROM events) e ON s.user_id = e.user_id AND s.day = e.day"
+)
 def silent_devices(spark, sf_dir):
     """Expected days without a row."""
     seen = events(spark, sf_dir).select("user_id", F.date_format("ts", "yyyy-MM-dd").alias("day"))
     return _spine(spark, sf_dir).join(seen, ["user_id", "day"], "left_anti").withColumnRenamed("user_id", "device_id")
 
 
-@query("expected_minus_seen", f"WITH s AS ({_SPINE}) SELECT user_id AS device_id, day FROM s EXCEPT SELECT user_id, strftime(ts, '%Y-%m-%d') FROM events WHERE event_type = 'error'")
+@query(
+    "expected_minus_seen",
+    f"WITH s AS ({_SPINE}) SELECT user_id AS device_id, day FROM s EXCEPT SELECT user_id, strftime(ts, '%Y-%m-%d') FROM events WHERE event_type = 'error'"
+)
 def expected_minus_seen(spark, sf_dir):
-    seen = events(spark, sf_dir).where("event_type = 'error'").select("user_id", F.date_format("ts", "yyyy-MM-dd").alias("day"))
+    seen = events(spark, sf_dir).where("event_type = 'error'").select(
+        "user_id", F.date_format("ts", "yyyy-MM-dd").alias("day")
+    )
     return _spine(spark, sf_dir).subtract(seen).withColumnRenamed("user_id", "device_id")
 
 
-@query("feedback_left_join", "SELECT lang, count(*) AS diagnoses, count(quality) AS reviewed, coalesce(CAST(sum(quality) AS BIGINT), 0) AS confirmed FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id GROUP BY lang")
+@query(
+    "feedback_left_join",
+    "SELECT lang, count(*) AS diagnoses, count(quality) AS reviewed, coalesce(CAST(sum(quality) AS BIGINT), 0) AS confirmed FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id GROUP BY lang"
+)
 def feedback_left_join(spark, sf_dir):
     """Diagnoses with or without feedback."""
-    rows = table(spark, sf_dir, "documents").select("doc_id", "lang").join(table(spark, sf_dir, "labels"), "doc_id", "left")
-    return rows.groupBy("lang").agg(F.count("*").alias("diagnoses"), F.count("quality").alias("reviewed"), F.coalesce(F.sum("quality"), F.lit(0)).cast("long").alias("confirmed"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", "lang").join(
+        table(spark, sf_dir, "labels"), "doc_id", "left"
+    )
+    return rows.groupBy("lang").agg(
+        F.count("*").alias("diagnoses"),
+        F.count("quality").alias("reviewed"),
+        F.coalesce(F.sum("quality"), F.lit(0)).cast("long").alias("confirmed")
+    )
 
 
-@query("auto_workorder_anti", "SELECT c_custkey AS asset_id, c_mktsegment AS class FROM customer ANTI JOIN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'O') o ON c_custkey = o_custkey")
+@query(
+    "auto_workorder_anti",
+    "SELECT c_custkey AS asset_id, c_mktsegment AS class FROM customer ANTI JOIN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'O') o ON c_custkey = o_custkey"
+)
 def auto_workorder_anti(spark, sf_dir):
     """Assets without an open work order."""
     open_ = table(spark, sf_dir, "orders").where("o_orderstatus = 'O'").select(F.col("o_custkey").alias("c_custkey"))
-    return table(spark, sf_dir, "customer").join(open_, "c_custkey", "left_anti").select(F.col("c_custkey").alias("asset_id"), F.col("c_mktsegment").alias("class"))
+    return table(spark, sf_dir, "customer").join(open_, "c_custkey", "left_anti").select(
+        F.col("c_custkey").alias("asset_id"), F.col("c_mktsegment").alias("class")
+    )
 
 
 _CONFIRMED = "(SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')"
 
 
-@query("confirmed_waveform_semi", f"SELECT o_orderkey AS waveform_id, o_custkey AS device_id FROM orders SEMI JOIN {_CONFIRMED} l ON o_orderkey = l_orderkey")
+@query(
+    "confirmed_waveform_semi",
+    f"SELECT o_orderkey AS waveform_id, o_custkey AS device_id FROM orders SEMI JOIN {_CONFIRMED} l ON o_orderkey = l_orderkey"
+)
 def confirmed_waveform_semi(spark, sf_dir):
     """Waveforms of confirmed faults."""
-    confirmed = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"))
-    return table(spark, sf_dir, "orders").join(confirmed, "o_orderkey", "left_semi").select(F.col("o_orderkey").alias("waveform_id"), F.col("o_custkey").alias("device_id"))
+    confirmed = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select(
+        F.col("l_orderkey").alias("o_orderkey")
+    )
+    return table(spark, sf_dir, "orders").join(confirmed, "o_orderkey", "left_semi").select(
+        F.col("o_orderkey").alias("waveform_id"), F.col("o_custkey").alias("device_id")
+    )
 
 
-@query("expired_anti", f"SELECT o_orderkey AS waveform_id, o_custkey AS device_id FROM orders ANTI JOIN {_CONFIRMED} l ON o_orderkey = l_orderkey WHERE o_orderdate < TIMESTAMP '2001-08-01' - INTERVAL 90 DAYS")
+@query(
+    "expired_anti",
+    f"SELECT o_orderkey AS waveform_id, o_custkey AS device_id FROM orders ANTI JOIN {_CONFIRMED} l ON o_orderkey = l_orderkey WHERE o_orderdate < TIMESTAMP '2001-08-01' - INTERVAL 90 DAYS"
+)
 def expired_anti(spark, sf_dir):
     """Waveforms past 90 days that no confirmed fault keeps."""
-    confirmed = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"))
+    confirmed = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select(
+        F.col("l_orderkey").alias("o_orderkey")
+    )
     old = table(spark, sf_dir, "orders").where("o_orderdate < timestamp_ntz'2001-08-01' - interval 90 days")
-    return old.join(confirmed, "o_orderkey", "left_anti").select(F.col("o_orderkey").alias("waveform_id"), F.col("o_custkey").alias("device_id"))
+    return old.join(confirmed, "o_orderkey", "left_anti").select(
+        F.col("o_orderkey").alias("waveform_id"), F.col("o_custkey").alias("device_id")
+    )
 
 
 @query(
@@ -120,7 +181,9 @@ def reconcile_full_outer(spark, sf_dir):
     erp = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("a")).agg(F.count("*").alias("n"))
     cmms = table(spark, sf_dir, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("b"))
     side = F.when(F.col("a").isNull(), "only_cmms").when(F.col("b").isNull(), "only_erp").otherwise("both")
-    return erp.join(cmms, F.col("a") == F.col("b"), "full_outer").select(F.coalesce("a", "b").alias("asset_id"), side.alias("side"), F.coalesce("n", F.lit(0)).alias("orders"))
+    return erp.join(cmms, F.col("a") == F.col("b"), "full_outer").select(
+        F.coalesce("a", "b").alias("asset_id"), side.alias("side"), F.coalesce("n", F.lit(0)).alias("orders")
+    )
 
 
 @query(
@@ -134,7 +197,9 @@ def heatmap_pivot(spark, sf_dir):
     stage = F.when(F.col("value") >= 250, 4).when(F.col("value") >= 150, 3).when(F.col("value") >= 80, 2).otherwise(1)
     day = F.date_format("ts", "yyyy-MM-dd")
     third = F.when(day < "2024-01-11", "first_third").when(day < "2024-01-21", "second_third").otherwise("last_third")
-    return events(spark, sf_dir).withColumn("third", third).groupBy(F.col("user_id").alias("asset_id")).pivot("third", ["first_third", "second_third", "last_third"]).agg(F.max(stage))
+    return events(spark, sf_dir).withColumn("third", third).groupBy(F.col("user_id").alias("asset_id")).pivot(
+        "third", ["first_third", "second_third", "last_third"]
+    ).agg(F.max(stage))
 
 
 @query(
@@ -143,8 +208,12 @@ def heatmap_pivot(spark, sf_dir):
 )
 def calendar_spine_heatmap(spark, sf_dir):
     """Events of each asset on each day, zeros included."""
-    counted = events(spark, sf_dir).groupBy("user_id", F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.count("*").alias("n"))
-    return _spine(spark, sf_dir).join(counted, ["user_id", "day"], "left").select(F.col("user_id").alias("asset_id"), "day", F.coalesce("n", F.lit(0)).alias("n"))
+    counted = events(spark, sf_dir).groupBy(
+        "user_id", F.date_format("ts", "yyyy-MM-dd").alias("day")
+    ).agg(F.count("*").alias("n"))
+    return _spine(spark, sf_dir).join(counted, ["user_id", "day"], "left").select(
+        F.col("user_id").alias("asset_id"), "day", F.coalesce("n", F.lit(0)).alias("n")
+    )
 
 
 @query(
@@ -157,17 +226,30 @@ def ab_compare(spark, sf_dir):
     rows = table(spark, sf_dir, "embeddings")
     a = rows.select("vec_id", F.col("label").alias("machine"), F.round(F.col("embedding")[0], 6).alias("a"))
     b = rows.select("vec_id", F.round(F.col("embedding")[1], 6).alias("b"))
-    return a.join(b, "vec_id").groupBy("machine").agg(F.count("*").alias("n"), F.round(F.avg(F.abs(F.col("a") - F.col("b"))), 6).alias("mean_gap"), F.count_if((F.col("a") > 0) != (F.col("b") > 0)).alias("disagree"))
+    return a.join(b, "vec_id").groupBy("machine").agg(
+        F.count("*").alias("n"),
+        F.round(F.avg(F.abs(F.col("a") - F.col("b"))), 6).alias("mean_gap"),
+        F.count_if((F.col("a") > 0) != (F.col("b") > 0)).alias("disagree")
+    )
 
 
-@query("union_modalities", "SELECT source, count(*) AS n, round(sum(value), 4) AS total FROM (SELECT 'vib' AS source, value FROM events WHERE event_type = 'view' UNION ALL SELECT 'elec', value FROM events WHERE event_type = 'error' UNION ALL SELECT 'wave', embedding[1] FROM embeddings) GROUP BY source")
+@query(
+    "union_modalities",
+    "SELECT source, count(*) AS n, round(sum(value), 4) AS total FROM (SELECT 'vib' AS source, value FROM events WHERE event_type = 'view' UNION ALL SELECT 'elec', value FROM events WHERE event_type = 'error' UNION ALL SELECT 'wave', embedding[1] FROM embeddings) GROUP BY source"
+)
 def union_modalities(spark, sf_dir):
     """Rows of several modalities in one stream, missing columns filled."""
     e = events(spark, sf_dir)
     vib = e.where("event_type = 'view'").select(F.lit("vib").alias("source"), "value", "user_id")
     elec = e.where("event_type = 'error'").select(F.lit("elec").alias("source"), "value")
-    wave = table(spark, sf_dir, "embeddings").select(F.lit("wave").alias("source"), F.col("embedding")[0].cast("double").alias("value"))
-    return vib.unionByName(elec, allowMissingColumns=True).unionByName(wave, allowMissingColumns=True).groupBy("source").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+    wave = table(spark, sf_dir, "embeddings").select(
+        F.lit("wave").alias("source"), F.col("embedding")[0].cast("double").alias("value")
+    )
+    return vib.unionByName(
+        elec, allowMissingColumns=True
+    ).unionByName(wave, allowMissingColumns=True).groupBy("source").agg(
+        F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total")
+    )
 
 
 @query(
@@ -177,8 +259,13 @@ SELECT count(*) AS windows, round(corr(a, b), 6) AS r FROM w WHERE a IS NOT NULL
 )
 def modality_correlation(spark, sf_dir):
     """Correlation of two modalities over hourly windows."""
-    hours = events(spark, sf_dir).groupBy(F.date_trunc("hour", "ts").alias("h")).agg(F.avg(F.when(F.col("event_type") == "view", F.col("value"))).alias("a"), F.avg(F.when(F.col("event_type") == "error", F.col("value"))).alias("b"))
-    return hours.where("a is not null and b is not null").agg(F.count("*").alias("windows"), F.round(F.corr("a", "b"), 6).alias("r"))
+    hours = events(spark, sf_dir).groupBy(F.date_trunc("hour", "ts").alias("h")).agg(
+        F.avg(F.when(F.col("event_type") == "view", F.col("value"))).alias("a"),
+        F.avg(F.when(F.col("event_type") == "error", F.col("value"))).alias("b")
+    )
+    return hours.where("a is not null and b is not null").agg(
+        F.count("*").alias("windows"), F.round(F.corr("a", "b"), 6).alias("r")
+    )
 
 
 @query(
@@ -187,8 +274,13 @@ def modality_correlation(spark, sf_dir):
 )
 def iso_zone_range(spark, sf_dir):
     """Velocity zones from a table of limits, joined by range."""
-    zones = spark.createDataFrame([("A", 0.0, 30.0), ("B", 30.0, 100.0), ("C", 100.0, 200.0), ("D", 200.0, 1000.0)], "zone string, low double, high double")
-    return temporal.range_to_bin(events(spark, sf_dir), zones, "value", "low", "high", 10.0).groupBy("zone").agg(F.count("*").alias("n"))
+    zones = spark.createDataFrame(
+        [("A", 0.0, 30.0), ("B", 30.0, 100.0), ("C", 100.0, 200.0), ("D", 200.0, 1000.0)],
+        "zone string, low double, high double"
+    )
+    return temporal.range_to_bin(
+        events(spark, sf_dir), zones, "value", "low", "high", 10.0
+    ).groupBy("zone").agg(F.count("*").alias("n"))
 
 
 @query(
@@ -198,7 +290,9 @@ def iso_zone_range(spark, sf_dir):
 def alert_assignment(spark, sf_dir):
     """Alerts by the technician of the asset's area."""
     alerts = events(spark, sf_dir).where("event_type = 'error'").select((F.col("user_id") % 100 + 1).alias("s_suppkey"))
-    area = table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    area = table(spark, sf_dir, "supplier").join(
+        table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey")
+    )
     return alerts.join(area, "s_suppkey").groupBy(F.col("n_name").alias("technician")).agg(F.count("*").alias("alerts"))
 
 
@@ -211,4 +305,8 @@ def purchase_order_rows(spark, sf_dir):
     suppliers = table(spark, sf_dir, "supplier")
     n = suppliers.count()
     low = table(spark, sf_dir, "part").where("p_size <= 10").withColumn("s_suppkey", F.col("p_partkey") % n + 1)
-    return low.join(suppliers, "s_suppkey").select(F.col("p_partkey").alias("part_no"), F.col("s_name").alias("supplier"), (F.lit(20) - F.col("p_size")).alias("quantity"))
+    return low.join(suppliers, "s_suppkey").select(
+        F.col("p_partkey").alias("part_no"),
+        F.col("s_name").alias("supplier"),
+        (F.lit(20) - F.col("p_size")).alias("quantity")
+    )

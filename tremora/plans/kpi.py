@@ -23,7 +23,11 @@ def mtbf_mttr_rollup(spark, sf_dir):
     us = F.unix_micros(F.col("o_orderdate").cast("timestamp"))
     rows = table(spark, sf_dir, "orders").withColumn("gap", (us - F.lag(us).over(w)) / 86_400e6)
     joined = rows.join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
-    return joined.rollup(F.col("c_mktsegment").alias("class"), F.col("o_custkey").alias("asset_id")).agg(F.grouping_id().alias("level"), F.round(F.avg("gap") + 1e-7, 4).alias("mtbf_days"), F.round(F.avg("o_totalprice") + 1e-7, 4).alias("mttr"))
+    return joined.rollup(F.col("c_mktsegment").alias("class"), F.col("o_custkey").alias("asset_id")).agg(
+        F.grouping_id().alias("level"),
+        F.round(F.avg("gap") + 1e-7, 4).alias("mtbf_days"),
+        F.round(F.avg("o_totalprice") + 1e-7, 4).alias("mttr")
+    )
 
 
 @query(
@@ -36,7 +40,12 @@ def oee(spark, sf_dir):
     a = F.avg(F.when(F.col("l_linestatus") == "F", 1.0).otherwise(0.0))
     p = F.sum("l_quantity") / (50.0 * F.count("*"))
     q = F.avg(F.when(F.col("l_returnflag") == "R", 0.0).otherwise(1.0))
-    return table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("asset_id")).agg(F.round(a, 6).alias("availability"), F.round(p, 6).alias("performance"), F.round(q, 6).alias("quality"), F.round(a * p * q, 6).alias("oee"))
+    return table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("asset_id")).agg(
+        F.round(a, 6).alias("availability"),
+        F.round(p, 6).alias("performance"),
+        F.round(q, 6).alias("quality"),
+        F.round(a * p * q, 6).alias("oee")
+    )
 
 
 @query(
@@ -45,7 +54,9 @@ def oee(spark, sf_dir):
 )
 def maintenance_cost(spark, sf_dir):
     labor, parts = F.sum(F.col("l_quantity") * 20), F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount")))
-    return table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("asset_id")).agg(F.round(labor, 2).alias("labor"), F.round(parts, 2).alias("parts"), F.round(labor + parts, 2).alias("total"))
+    return table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("asset_id")).agg(
+        F.round(labor, 2).alias("labor"), F.round(parts, 2).alias("parts"), F.round(labor + parts, 2).alias("total")
+    )
 
 
 @query(
@@ -54,19 +65,33 @@ def maintenance_cost(spark, sf_dir):
 )
 def predicted_savings(spark, sf_dir):
     """Avoided cost, by a configured multiple, minus actual cost."""
-    return table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").groupBy(F.col("o_orderpriority").alias("class")).agg(F.round(F.sum(F.col("o_totalprice") * 1.4 - F.col("o_totalprice")), 2).alias("savings"))
+    return table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").groupBy(
+        F.col("o_orderpriority").alias("class")
+    ).agg(
+        F.round(F.sum(F.col("o_totalprice") * 1.4 - F.col("o_totalprice")), 2).alias("savings")
+    )
 
 
-@query("usage_metering", "SELECT user_id % 10 AS tenant_id, count(DISTINCT (user_id, CAST(ts AS DATE))) AS sensor_days, count(*) AS api_calls FROM events GROUP BY 1")
+@query(
+    "usage_metering",
+    "SELECT user_id % 10 AS tenant_id, count(DISTINCT (user_id, CAST(ts AS DATE))) AS sensor_days, count(*) AS api_calls FROM events GROUP BY 1"
+)
 def usage_metering(spark, sf_dir):
     """Sensor days and calls of each tenant."""
-    return events(spark, sf_dir).groupBy((F.col("user_id") % 10).alias("tenant_id")).agg(F.countDistinct("user_id", F.to_date("ts")).alias("sensor_days"), F.count("*").alias("api_calls"))
+    return events(spark, sf_dir).groupBy((F.col("user_id") % 10).alias("tenant_id")).agg(
+        F.countDistinct("user_id", F.to_date("ts")).alias("sensor_days"), F.count("*").alias("api_calls")
+    )
 
 
-@query("tenant_quota", "SELECT user_id % 10 AS tenant_id, count(DISTINCT user_id) AS devices, count(DISTINCT user_id) > 14 AS over_quota FROM events GROUP BY 1")
+@query(
+    "tenant_quota",
+    "SELECT user_id % 10 AS tenant_id, count(DISTINCT user_id) AS devices, count(DISTINCT user_id) > 14 AS over_quota FROM events GROUP BY 1"
+)
 def tenant_quota(spark, sf_dir):
     devices = F.countDistinct("user_id")
-    return events(spark, sf_dir).groupBy((F.col("user_id") % 10).alias("tenant_id")).agg(devices.alias("devices"), (devices > 14).alias("over_quota"))
+    return events(spark, sf_dir).groupBy((F.col("user_id") % 10).alias("tenant_id")).agg(
+        devices.alias("devices"), (devices > 14).alias("over_quota")
+    )
 
 
 @query(
@@ -77,15 +102,24 @@ FROM (SELECT date_diff('day', CAST(l_shipdate AS DATE), DATE '{AS_OF}') AS d FRO
 def retention_tiers(spark, sf_dir):
     """Age of every row at a stated date against the tiers of 30 days, a year and seven years."""
     age = F.date_diff(F.lit(AS_OF).cast("date"), F.to_date("l_shipdate")).cast("long")
-    tier = F.when(F.col("d") <= 30, "hot").when(F.col("d") <= 365, "cold").when(F.col("d") <= 7 * 365, "archive").otherwise("expired")
-    return table(spark, sf_dir, "lineitem").select(age.alias("d")).groupBy(tier.alias("tier")).agg(F.count("*").alias("n"), F.min("d").alias("youngest"), F.max("d").alias("oldest"))
+    tier = F.when(F.col("d") <= 30, "hot").when(F.col("d") <= 365, "cold").when(
+        F.col("d") <= 7 * 365, "archive"
+    ).otherwise("expired")
+    return table(spark, sf_dir, "lineitem").select(age.alias("d")).groupBy(tier.alias("tier")).agg(
+        F.count("*").alias("n"), F.min("d").alias("youngest"), F.max("d").alias("oldest")
+    )
 
 
-@query("low_stock", "SELECT p_partkey AS part_no, p_size AS on_hand, 10 + p_partkey % 5 AS reorder_point FROM part WHERE p_size <= 10 + p_partkey % 5")
+@query(
+    "low_stock",
+    "SELECT p_partkey AS part_no, p_size AS on_hand, 10 + p_partkey % 5 AS reorder_point FROM part WHERE p_size <= 10 + p_partkey % 5"
+)
 def low_stock(spark, sf_dir):
     """Parts at or below their reorder point."""
     reorder = 10 + F.col("p_partkey") % 5
-    return table(spark, sf_dir, "part").where(F.col("p_size") <= reorder).select(F.col("p_partkey").alias("part_no"), F.col("p_size").alias("on_hand"), reorder.alias("reorder_point"))
+    return table(spark, sf_dir, "part").where(F.col("p_size") <= reorder).select(
+        F.col("p_partkey").alias("part_no"), F.col("p_size").alias("on_hand"), reorder.alias("reorder_point")
+    )
 
 
 @query(
@@ -93,7 +127,11 @@ def low_stock(spark, sf_dir):
     "SELECT o_orderpriority AS priority, count(*) AS n, round(count(*) FILTER (WHERE o_orderstatus = 'F') * 1.0 / count(*), 6) AS completion, max(o_orderdate) FILTER (WHERE o_orderstatus = 'O') IS NOT NULL AS has_open FROM orders GROUP BY 1",
 )
 def wo_completion(spark, sf_dir):
-    return table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("priority")).agg(F.count("*").alias("n"), F.round(F.count_if(F.col("o_orderstatus") == "F") / F.count("*"), 6).alias("completion"), (F.count_if(F.col("o_orderstatus") == "O") > 0).alias("has_open"))
+    return table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("priority")).agg(
+        F.count("*").alias("n"),
+        F.round(F.count_if(F.col("o_orderstatus") == "F") / F.count("*"), 6).alias("completion"),
+        (F.count_if(F.col("o_orderstatus") == "O") > 0).alias("has_open")
+    )
 
 
 @query(
@@ -107,7 +145,11 @@ def availability_kpi(spark, sf_dir):
     us = F.unix_micros("ts")
     rows = events(spark, sf_dir).withColumn("gap", us - F.lag(us).over(w)).groupBy(F.col("user_id").alias("asset_id"))
     up = F.sum(F.when(F.col("gap") <= 86_400_000_000, F.col("gap")))
-    return rows.agg(F.sum("gap").alias("all"), F.round(100.0 * up / F.nullif(F.sum("gap"), F.lit(0)), 6).alias("uptime_pct"), F.round(F.avg("gap") / 3_600_000_000, 6).alias("hours_between")).where(F.col("all") > 0).drop("all")
+    return rows.agg(
+        F.sum("gap").alias("all"),
+        F.round(100.0 * up / F.nullif(F.sum("gap"), F.lit(0)), 6).alias("uptime_pct"),
+        F.round(F.avg("gap") / 3_600_000_000, 6).alias("hours_between")
+    ).where(F.col("all") > 0).drop("all")
 
 
 @query(
@@ -118,8 +160,14 @@ SELECT user_id AS asset_id, round(greatest(0, 100 - (0.1 * coalesce(a, 0) + 0.2
 def health_score(spark, sf_dir):
     """Weighted health of each asset from its latest values; weights and colours are settings."""
     last = lambda kind: F.coalesce(F.max_by(F.when(F.col("event_type") == kind, F.col("value")), F.when(F.col("event_type") == kind, F.struct("ts", "event_id"))), F.lit(0.0))
-    rows = events(spark, sf_dir).groupBy(F.col("user_id").alias("asset_id")).agg((100 - (0.1 * last("view") + 0.2 * last("error"))).alias("h"))
-    return rows.select("asset_id", F.round(F.greatest(F.lit(0.0), F.col("h")), 6).alias("health"), F.when(F.col("h") >= 80, "green").when(F.col("h") >= 50, "yellow").otherwise("red").alias("colour"))
+    rows = events(spark, sf_dir).groupBy(F.col("user_id").alias("asset_id")).agg(
+        (100 - (0.1 * last("view") + 0.2 * last("error"))).alias("h")
+    )
+    return rows.select(
+        "asset_id",
+        F.round(F.greatest(F.lit(0.0), F.col("h")), 6).alias("health"),
+        F.when(F.col("h") >= 80, "green").when(F.col("h") >= 50, "yellow").otherwise("red").alias("colour")
+    )
 
 
 @query(
@@ -129,30 +177,55 @@ FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionke
 )
 def fleet_overview(spark, sf_dir):
     """Assets and health by site and area with totals."""
-    area = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    area = table(spark, sf_dir, "nation").join(
+        table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")
+    )
     rows = table(spark, sf_dir, "supplier").join(area, F.col("s_nationkey") == F.col("n_nationkey"))
-    return rows.rollup(F.col("r_name").alias("site"), F.col("n_name").alias("area")).agg(F.count("*").alias("assets"), F.round(F.avg("s_acctbal"), 4).alias("mean_health"), F.grouping_id().alias("level"))
+    return rows.rollup(F.col("r_name").alias("site"), F.col("n_name").alias("area")).agg(
+        F.count("*").alias("assets"),
+        F.round(F.avg("s_acctbal"), 4).alias("mean_health"),
+        F.grouping_id().alias("level")
+    )
 
 
-@query("workorder_filter", "SELECT o_orderkey AS wo_id, o_custkey AS assignee, o_orderpriority AS priority FROM orders WHERE o_orderstatus = 'O' AND o_orderpriority LIKE '1%' AND o_orderdate >= TIMESTAMP '1998-01-01'")
+@query(
+    "workorder_filter",
+    "SELECT o_orderkey AS wo_id, o_custkey AS assignee, o_orderpriority AS priority FROM orders WHERE o_orderstatus = 'O' AND o_orderpriority LIKE '1%' AND o_orderdate >= TIMESTAMP '1998-01-01'"
+)
 def workorder_filter(spark, sf_dir):
     """Open urgent work orders since a date: all three conditions reach the scan."""
-    rows = table(spark, sf_dir, "orders").where("o_orderstatus = 'O' and o_orderpriority like '1%' and o_orderdate >= timestamp_ntz'1998-01-01'")
-    return rows.select(F.col("o_orderkey").alias("wo_id"), F.col("o_custkey").alias("assignee"), F.col("o_orderpriority").alias("priority"))
+    rows = table(spark, sf_dir, "orders").where(
+        "o_orderstatus = 'O' and o_orderpriority like '1%' and o_orderdate >= timestamp_ntz'1998-01-01'"
+    )
+    return rows.select(
+        F.col("o_orderkey").alias("wo_id"),
+        F.col("o_custkey").alias("assignee"),
+        F.col("o_orderpriority").alias("priority")
+    )
 
 
-@query("technician_view", "SELECT o_orderkey AS wo_id, o_totalprice AS cost FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_nationkey = 7)")
+@query(
+    "technician_view",
+    "SELECT o_orderkey AS wo_id, o_totalprice AS cost FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_nationkey = 7)"
+)
 def technician_view(spark, sf_dir):
     """A technician sees only the assets assigned to them."""
     own = table(spark, sf_dir, "customer").where("c_nationkey = 7").select(F.col("c_custkey").alias("o_custkey"))
-    return table(spark, sf_dir, "orders").join(own, "o_custkey", "left_semi").select(F.col("o_orderkey").alias("wo_id"), F.col("o_totalprice").alias("cost"))
+    return table(spark, sf_dir, "orders").join(own, "o_custkey", "left_semi").select(
+        F.col("o_orderkey").alias("wo_id"), F.col("o_totalprice").alias("cost")
+    )
 
 
-@query("criticality_page", "SELECT s_suppkey AS asset_id, 1 + s_suppkey % 5 AS criticality FROM supplier ORDER BY 1 + s_suppkey % 5 DESC, s_suppkey LIMIT 20 OFFSET 10")
+@query(
+    "criticality_page",
+    "SELECT s_suppkey AS asset_id, 1 + s_suppkey % 5 AS criticality FROM supplier ORDER BY 1 + s_suppkey % 5 DESC, s_suppkey LIMIT 20 OFFSET 10"
+)
 def criticality_page(spark, sf_dir):
     """The second half page of assets by criticality."""
     level = 1 + F.col("s_suppkey") % 5
-    return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("asset_id"), level.alias("criticality")).orderBy(F.desc("criticality"), "asset_id").offset(10).limit(20)
+    return table(spark, sf_dir, "supplier").select(
+        F.col("s_suppkey").alias("asset_id"), level.alias("criticality")
+    ).orderBy(F.desc("criticality"), "asset_id").offset(10).limit(20)
 
 
 @query(
@@ -161,8 +234,12 @@ def criticality_page(spark, sf_dir):
 )
 def schedule_deviation(spark, sf_dir):
     """Mean days of completion against a plan of 60 days."""
-    rows = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-    return rows.groupBy(F.col("l_suppkey").alias("asset_id")).agg(tidy(F.avg(F.date_diff(F.to_date("l_shipdate"), F.to_date("o_orderdate")) - 60)).alias("mean_deviation_days"))
+    rows = table(spark, sf_dir, "lineitem").join(
+        table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey")
+    )
+    return rows.groupBy(F.col("l_suppkey").alias("asset_id")).agg(
+        tidy(F.avg(F.date_diff(F.to_date("l_shipdate"), F.to_date("o_orderdate")) - 60)).alias("mean_deviation_days")
+    )
 
 
 @query(
@@ -174,7 +251,11 @@ def audit_changes(spark, sf_dir):
     """Fields that differ from the version before, by a map of old and new values."""
     w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
     new = F.create_map(F.lit("priority"), F.col("o_orderpriority"), F.lit("status"), F.col("o_orderstatus"))
-    rows = table(spark, sf_dir, "orders").withColumn("new", new).withColumn("p", F.lag("o_orderpriority").over(w)).withColumn("s", F.lag("o_orderstatus").over(w)).where("s is not null")
+    rows = table(spark, sf_dir, "orders").withColumn("new", new).withColumn(
+        "p", F.lag("o_orderpriority").over(w)
+    ).withColumn("s", F.lag("o_orderstatus").over(w)).where("s is not null")
     old = F.create_map(F.lit("priority"), F.col("p"), F.lit("status"), F.col("s"))
     diff = F.map_filter("new", lambda k, v: v != F.element_at("old", k))
-    return rows.withColumn("old", old).select(F.col("o_orderkey").alias("id"), F.array_join(F.array_sort(F.map_keys(diff)), ",").alias("changed"))
+    return rows.withColumn("old", old).select(
+        F.col("o_orderkey").alias("id"), F.array_join(F.array_sort(F.map_keys(diff)), ",").alias("changed")
+    )

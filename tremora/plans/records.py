@@ -21,10 +21,16 @@ MINUTE = 60_000_000
     "SELECT vec_id, 'waveforms/' || label || '/' || vec_id AS path, round(list_sum(list_transform(embedding[17:32], lambda v: CAST(v AS DOUBLE))), 6) + 0.0 AS total FROM embeddings WHERE label = 3",
 )
 def waveform_range_fetch(spark, sf_dir):
-    """A quarter of each waveform of one machine: the metadata index leads to the objects, which are read by partition."""
+    """A quarter of each waveform of one machine: the metadata index leads to the objects, which are read by
+    partition.
+    """
     objects = scratch(spark, "waveforms")
-    table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding").write.partitionBy("label").parquet(objects)
-    index = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.concat_ws("/", F.lit("waveforms"), "label", "vec_id").alias("path"))
+    table(spark, sf_dir, "embeddings").select(
+        "vec_id", "label", "embedding"
+    ).write.partitionBy("label").parquet(objects)
+    index = table(spark, sf_dir, "embeddings").select(
+        "vec_id", "label", F.concat_ws("/", F.lit("waveforms"), "label", "vec_id").alias("path")
+    )
     found = index.where("label = 3").join(spark.read.parquet(objects).where("label = 3"), ["vec_id", "label"])
     return found.select("vec_id", "path", tidy(dsp.total(dsp.doubles(F.slice("embedding", 17, 16)))).alias("total"))
 
@@ -33,7 +39,9 @@ def waveform_range_fetch(spark, sf_dir):
 def csv_import(spark, sf_dir):
     """A spreadsheet export read under a declared schema; rows that don't fit it go to quarantine."""
     path = scratch(spark, "csv")
-    table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_nationkey", "s_acctbal").write.option("header", True).csv(path)
+    table(spark, sf_dir, "supplier").select(
+        "s_suppkey", "s_name", "s_nationkey", "s_acctbal"
+    ).write.option("header", True).csv(path)
     good, _ = io.csv_rows(spark, path, "s_suppkey long, s_name string, s_nationkey int, s_acctbal double")
     return good
 
@@ -44,10 +52,14 @@ def csv_import(spark, sf_dir):
 )
 def alert_upsert(spark, sf_dir):
     """The alert table after a batch of later versions was merged into it: one row a device, the latest version wins."""
-    rows = events(spark, sf_dir).where("event_type = 'error'").select(F.col("user_id").alias("device_id"), "ts", F.col("event_id").alias("alert_id"))
+    rows = events(spark, sf_dir).where("event_type = 'error'").select(
+        F.col("user_id").alias("device_id"), "ts", F.col("event_id").alias("alert_id")
+    )
     late = F.col("ts") >= F.lit("2024-01-16").cast("timestamp")
     count = lambda r: r.groupBy("device_id").agg(F.count("*").alias("versions"), F.max_by("alert_id", F.struct("ts", "alert_id")).alias("alert_id"), F.max("ts").alias("ts"))
-    merged = io.upsert(count(rows.where(~late)), count(rows.where(late)), ["device_id"], ["ts", "alert_id"], {"versions": F.sum})
+    merged = io.upsert(
+        count(rows.where(~late)), count(rows.where(late)), ["device_id"], ["ts", "alert_id"], {"versions": F.sum}
+    )
     return merged.select("device_id", "versions", "alert_id")
 
 
@@ -60,20 +72,33 @@ FROM w JOIN part b ON bearing = b.p_partkey JOIN part c ON c.p_type = b.p_type A
 def parts_suggestion(spark, sf_dir):
     """The three cheapest parts of the type and near the size of the bearing that an asset wears most."""
     used = table(spark, sf_dir, "lineitem").groupBy("l_suppkey", "l_partkey").agg(F.sum("l_quantity").alias("q"))
-    worn = used.groupBy(F.col("l_suppkey").alias("asset_id")).agg(F.max_by("l_partkey", F.struct("q", -F.col("l_partkey"))).alias("bearing"))
+    worn = used.groupBy(F.col("l_suppkey").alias("asset_id")).agg(
+        F.max_by("l_partkey", F.struct("q", -F.col("l_partkey"))).alias("bearing")
+    )
     parts = table(spark, sf_dir, "part")
     own = parts.select(F.col("p_partkey").alias("bearing"), "p_type", F.col("p_size").alias("size"))
     near = parts.select("p_type", F.col("p_partkey").alias("part_id"), "p_size", F.col("p_retailprice").alias("price"))
-    pairs = worn.join(own, "bearing").join(near, "p_type").where((F.col("part_id") != F.col("bearing")) & (F.abs(F.col("p_size") - F.col("size")) <= 10))
+    pairs = worn.join(own, "bearing").join(near, "p_type").where(
+        (F.col("part_id") != F.col("bearing")) & (F.abs(F.col("p_size") - F.col("size")) <= 10)
+    )
     place = F.row_number().over(Window.partitionBy("asset_id").orderBy("price", "part_id")).cast("long")
-    return pairs.withColumn("place", place).where("place <= 3").select("asset_id", "bearing", "part_id", "price", "place")
+    return pairs.withColumn("place", place).where("place <= 3").select(
+        "asset_id", "bearing", "part_id", "price", "place"
+    )
 
 
-@query("device_event_order", "SELECT user_id AS device_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS place FROM events")
+@query(
+    "device_event_order",
+    "SELECT user_id AS device_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS place FROM events"
+)
 def device_event_order(spark, sf_dir):
     """Events of each device in order: dealt and sorted once, and numbered in that order."""
     rows = events(spark, sf_dir).repartition("user_id").sortWithinPartitions("user_id", "ts", "event_id")
-    return rows.select(F.col("user_id").alias("device_id"), "event_id", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).cast("long").alias("place"))
+    return rows.select(
+        F.col("user_id").alias("device_id"),
+        "event_id",
+        F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).cast("long").alias("place")
+    )
 
 
 @query(
@@ -84,7 +109,9 @@ d AS (SELECT term, count(*) AS df FROM f GROUP BY term), n AS (SELECT count(*) A
 def message_search(spark, sf_dir):
     """Messages that hold any of the words, by weighted frequency."""
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
-    return score_terms(rows, ["conv_id", "turn"], "text", ["the", "and", "with"]).select("conv_id", "turn", F.round("score", 5).alias("score"))
+    return score_terms(
+        rows, ["conv_id", "turn"], "text", ["the", "and", "with"]
+    ).select("conv_id", "turn", F.round("score", 5).alias("score"))
 
 
 @query(
@@ -98,20 +125,47 @@ def diagnosis_prompt(spark, sf_dir):
     place = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id")))
     rows = events(spark, sf_dir).withColumn("k", place).where("k <= 3")
     last = F.max_by(F.struct("event_type", "value"), -F.col("k"))
-    history = F.transform(F.array_sort(F.collect_list(F.struct("k", F.concat_ws("#", "event_type", "event_id").alias("e")))), lambda s: s["e"])
-    found = rows.groupBy(F.col("user_id").alias("asset_id")).agg(last.alias("last"), F.array_join(history, ", ").alias("history"))
+    history = F.transform(
+        F.array_sort(F.collect_list(F.struct("k", F.concat_ws("#", "event_type", "event_id").alias("e")))),
+        lambda s: s["e"]
+    )
+    found = rows.groupBy(F.col("user_id").alias("asset_id")).agg(
+        last.alias("last"), F.array_join(history, ", ").alias("history")
+    )
     level = A.severity(F.col("last.value"))
-    return found.select("asset_id", F.concat(F.lit("asset "), "asset_id", F.lit(" class "), "last.event_type", F.lit(" severity "), level, F.lit(" history "), "history").alias("prompt"))
+    return found.select(
+        "asset_id",
+        F.concat(
+            F.lit("asset "),
+            "asset_id",
+            F.lit(" class "),
+            "last.event_type",
+            F.lit(" severity "),
+            level,
+            F.lit(" history "),
+            "history"
+        ).alias("prompt")
+    )
 
 
-@query("column_encryption", "SELECT s_suppkey, s_name, CAST(octet_length(encode(s_name)) + 28 AS BIGINT) AS sealed_bytes, true AS opened FROM supplier")
+@query(
+    "column_encryption",
+    "SELECT s_suppkey, s_name, CAST(octet_length(encode(s_name)) + 28 AS BIGINT) AS sealed_bytes, true AS opened FROM supplier"
+)
 def column_encryption(spark, sf_dir):
     """A column at rest under AES-256 in GCM mode, and what comes back; the key is a parameter of the deployment."""
     secret = F.sha2(F.lit("key of the deployment"), 256)
     key = F.unhex(secret)
-    sealed = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", F.aes_encrypt("s_name", key).alias("sealed"))
+    sealed = table(spark, sf_dir, "supplier").select(
+        "s_suppkey", "s_name", F.aes_encrypt("s_name", key).alias("sealed")
+    )
     opened = F.aes_decrypt("sealed", key).cast("string")
-    return sealed.select("s_suppkey", opened.alias("s_name"), F.octet_length("sealed").cast("long").alias("sealed_bytes"), (opened == F.col("s_name")).alias("opened"))
+    return sealed.select(
+        "s_suppkey",
+        opened.alias("s_name"),
+        F.octet_length("sealed").cast("long").alias("sealed_bytes"),
+        (opened == F.col("s_name")).alias("opened")
+    )
 
 
 @query(
@@ -123,12 +177,23 @@ SELECT vec_id AS event_id, label AS asset_id, CAST(list_position(c, list_max(c))
 def diagnostic_record(spark, sf_dir):
     """The nested record of a diagnosis: class, confidence, stage and parts of the classes that come near."""
     c = F.col("c")
-    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("event_id"), F.col("label").alias("asset_id"), dsp.doubles(F.slice("embedding", 1, 12)).alias("c"))
+    rows = table(spark, sf_dir, "embeddings").select(
+        F.col("vec_id").alias("event_id"),
+        F.col("label").alias("asset_id"),
+        dsp.doubles(F.slice("embedding", 1, 12)).alias("c")
+    )
     best = F.array_max(c)
     near = F.filter(F.sequence(F.lit(1), F.lit(12)), lambda i: F.element_at(c, i) >= best - 0.05)
     parts = F.transform(near, lambda i: F.concat(F.lit("part-"), (i - 1).cast("string")))
     stage = F.when(best >= 0.35, 4).when(best >= 0.25, 3).when(best >= 0.2, 2).otherwise(1)
-    record = F.struct("event_id", "asset_id", (F.array_position(c, best) - 1).alias("fault_class"), F.round(best, 6).alias("confidence"), stage.alias("severity_stage"), parts.alias("parts"))
+    record = F.struct(
+        "event_id",
+        "asset_id",
+        (F.array_position(c, best) - 1).alias("fault_class"),
+        F.round(best, 6).alias("confidence"),
+        stage.alias("severity_stage"),
+        parts.alias("parts")
+    )
     r = F.col("record")
     return rows.select(record.alias("record")).select(
         "record.event_id", "record.asset_id", "record.fault_class", "record.confidence", "record.severity_stage", F.array_join("record.parts", ",").alias("parts"),
@@ -144,15 +209,30 @@ SELECT a.event_id AS alert_id, s.level FROM a JOIN d ON a.user_id = d.user_id, s
 
 @query("alert_escalation", ESCALATION_SQL)
 def alert_escalation(spark, sf_dir):
-    """Levels that each alert reached before a later click of the device acknowledged it: after one, four and 24 hours."""
+    """Levels that each alert reached before a later click of the device acknowledged it: after one, four and 24
+    hours.
+    """
     rows = events(spark, sf_dir).select("user_id", "event_id", "event_type", F.unix_micros("ts").alias("us"))
     later = Window.partitionBy("user_id").orderBy("us").rangeBetween(1, Window.unboundedFollowing)
     whole = Window.partitionBy("user_id")
     horizon = F.broadcast(rows.agg((F.max("us") - 24 * 60 * MINUTE).alias("horizon")).withColumn("one", F.lit(1)))
-    marked = rows.withColumn("acked", F.min(F.when(F.col("event_type") == "click", F.col("us"))).over(later)).withColumn("seen", F.max("us").over(whole))
-    steps = F.explode(F.array(*(F.struct(F.lit(k).alias("level"), F.lit(m * MINUTE).cast("long").alias("after")) for k, m in ((1, 60), (2, 240), (3, 1440))))).alias("s")
-    due = marked.where("event_type = 'error'").withColumn("one", F.lit(1)).join(horizon, "one").select("event_id", "acked", F.greatest("seen", "horizon").alias("seen"), "us", steps).withColumn("due", F.col("us") + F.col("s.after"))
-    return due.where((F.col("due") <= F.col("seen")) & (F.col("acked").isNull() | (F.col("acked") > F.col("due")))).select(F.col("event_id").alias("alert_id"), "s.level")
+    marked = rows.withColumn(
+        "acked", F.min(F.when(F.col("event_type") == "click", F.col("us"))).over(later)
+    ).withColumn("seen", F.max("us").over(whole))
+    steps = F.explode(
+        F.array(
+            *(
+                F.struct(F.lit(k).alias("level"), F.lit(m * MINUTE).cast("long").alias("after")) for k,
+                m in ((1, 60), (2, 240), (3, 1440))
+            )
+        )
+    ).alias("s")
+    due = marked.where("event_type = 'error'").withColumn("one", F.lit(1)).join(horizon, "one").select(
+        "event_id", "acked", F.greatest("seen", "horizon").alias("seen"), "us", steps
+    ).withColumn("due", F.col("us") + F.col("s.after"))
+    return due.where(
+        (F.col("due") <= F.col("seen")) & (F.col("acked").isNull() | (F.col("acked") > F.col("due")))
+    ).select(F.col("event_id").alias("alert_id"), "s.level")
 
 
 @query(
@@ -165,11 +245,23 @@ def rul_interval(spark, sf_dir):
     """Remaining life with an 80 percent interval: the line through the scores, moved by 1.28 residual deviations."""
     day = F.unix_micros("ts") / 86_400e6 - 19723
     rows = events(spark, sf_dir).withColumn("d", day).groupBy(F.col("user_id").alias("asset_id"))
-    f = rows.agg(F.count("*").alias("n"), F.regr_slope("value", "d").alias("s"), F.regr_intercept("value", "d").alias("i"), F.max("d").alias("now"), F.regr_syy("value", "d").alias("syy"), F.regr_sxy("value", "d").alias("sxy"))
+    f = rows.agg(
+        F.count("*").alias("n"),
+        F.regr_slope("value", "d").alias("s"),
+        F.regr_intercept("value", "d").alias("i"),
+        F.max("d").alias("now"),
+        F.regr_syy("value", "d").alias("syy"),
+        F.regr_sxy("value", "d").alias("sxy")
+    )
     spread = 1.2816 * F.sqrt(F.greatest(F.col("syy") - F.col("s") * F.col("sxy"), F.lit(0.0)) / (F.col("n") - 2))
     rising = (F.round("s", 6) > 0) & (F.col("n") > 2)
     at = lambda moved, places: F.when(rising, F.round((600 - F.col("i") + moved) / F.col("s") - F.col("now"), places))
-    return f.select("asset_id", at(F.lit(0.0), 4).alias("median_days"), at(-spread, 3).alias("low_days"), at(spread, 3).alias("high_days"))
+    return f.select(
+        "asset_id",
+        at(F.lit(0.0), 4).alias("median_days"),
+        at(-spread, 3).alias("low_days"),
+        at(spread, 3).alias("high_days")
+    )
 
 
 @query(
@@ -179,13 +271,21 @@ a AS (SELECT user_id, min(d) - 15 AS actual FROM d WHERE d >= 15 AND value >= 20
 SELECT count(*) AS assets, round(avg(abs((200 - i) / s - 15 - actual)), 4) AS mae_days, round(sum(abs((200 - i) / s - 15 - actual)) / sum(actual), 5) AS share FROM f JOIN a USING (user_id) WHERE round(s, 6) > 0 AND actual > 0""",
 )
 def rul_error_share(spark, sf_dir):
-    """Predictions from the first half of the month against the days that passed until the limit: mean error, and its share of the actual days."""
+    """Predictions from the first half of the month against the days that passed until the limit: mean error, and its
+    share of the actual days.
+    """
     rows = events(spark, sf_dir).select("user_id", "value", (F.unix_micros("ts") / 86_400e6 - 19723).alias("d"))
-    line = rows.where("d < 15").groupBy("user_id").agg(F.regr_slope("value", "d").alias("s"), F.regr_intercept("value", "d").alias("i"))
+    line = rows.where("d < 15").groupBy("user_id").agg(
+        F.regr_slope("value", "d").alias("s"), F.regr_intercept("value", "d").alias("i")
+    )
     actual = rows.where("d >= 15 and value >= 200").groupBy("user_id").agg((F.min("d") - 15).alias("actual"))
     pairs = line.join(actual, "user_id").where((F.round("s", 6) > 0) & (F.col("actual") > 0))
     error = F.abs((200 - F.col("i")) / F.col("s") - 15 - F.col("actual"))
-    return pairs.agg(F.count("*").alias("assets"), F.round(F.avg(error), 4).alias("mae_days"), F.round(F.sum(error) / F.sum("actual"), 5).alias("share"))
+    return pairs.agg(
+        F.count("*").alias("assets"),
+        F.round(F.avg(error), 4).alias("mae_days"),
+        F.round(F.sum(error) / F.sum("actual"), 5).alias("share")
+    )
 
 
 @query(
@@ -194,7 +294,11 @@ def rul_error_share(spark, sf_dir):
 )
 def alarm_load(spark, sf_dir):
     """Alarms a day and 100 assets."""
-    found = events(spark, sf_dir).agg(F.count_if(F.col("event_type") == "error").alias("a"), F.countDistinct("user_id").alias("u"), F.countDistinct(F.date_format("ts", "yyyy-MM-dd")).alias("d"))
+    found = events(spark, sf_dir).agg(
+        F.count_if(F.col("event_type") == "error").alias("a"),
+        F.countDistinct("user_id").alias("u"),
+        F.countDistinct(F.date_format("ts", "yyyy-MM-dd")).alias("d")
+    )
     return found.select(F.round(F.col("a") * 100.0 / (F.col("u") * F.col("d")), 6).alias("alarms_per_day_per_100"))
 
 
@@ -204,9 +308,13 @@ def alarm_load(spark, sf_dir):
 SELECT round(sum((m - 2.0 * sign(u) * ln(1 - 2 * abs(u) + 1e-12)) * n) / sum(n), 5) AS mean FROM s""",
 )
 def federated_private_mean(spark, sf_dir):
-    """The sites' means, clipped to a range and blurred by Laplace noise that each site draws for the round, then weighted."""
+    """The sites' means, clipped to a range and blurred by Laplace noise that each site draws for the round, then
+    weighted.
+    """
     sites = events(spark, sf_dir).groupBy("user_id").agg(F.avg("value").alias("m"), F.count("*").alias("n"))
-    u = F.conv(F.substring(F.md5(F.concat(F.lit("round-1:"), F.col("user_id").cast("string"))), 1, 8), 16, 10).cast("double") / float(1 << 32) - 0.5
+    u = F.conv(
+        F.substring(F.md5(F.concat(F.lit("round-1:"), F.col("user_id").cast("string"))), 1, 8), 16, 10
+    ).cast("double") / float(1 << 32) - 0.5
     clipped = F.least(F.greatest("m", F.lit(50.0)), F.lit(150.0))
     noisy = clipped - 2.0 * F.signum(u) * F.ln(1 - 2 * F.abs(u) + 1e-12)
     return sites.agg(F.round(F.sum(noisy * F.col("n")) / F.sum("n"), 5).alias("mean"))
@@ -219,33 +327,63 @@ SELECT user_id AS asset_id, day, CASE WHEN v >= 250 OR (v >= 150 AND coalesce(ro
 )
 def severity_by_trend(spark, sf_dir):
     """Stage 1 to 4 from the day's mean score and its trend over a week of days; confident with three scores or more."""
-    days = events(spark, sf_dir).groupBy(F.col("user_id").alias("asset_id"), F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.avg("value").alias("v"), F.count("*").alias("n"))
+    days = events(spark, sf_dir).groupBy(
+        F.col("user_id").alias("asset_id"), F.date_format("ts", "yyyy-MM-dd").alias("day")
+    ).agg(F.avg("value").alias("v"), F.count("*").alias("n"))
     days = days.withColumn("x", F.row_number().over(Window.partitionBy("asset_id").orderBy("day")).cast("double"))
-    s = F.coalesce(F.round(F.regr_slope("v", "x").over(Window.partitionBy("asset_id").orderBy("x").rowsBetween(-6, 0)), 6), F.lit(0.0))
+    s = F.coalesce(
+        F.round(F.regr_slope("v", "x").over(Window.partitionBy("asset_id").orderBy("x").rowsBetween(-6, 0)), 6),
+        F.lit(0.0)
+    )
     v, t = F.col("v"), F.col("t")
-    stage = F.when((v >= 250) | ((v >= 150) & (t > 20)), 4).when((v >= 150) | ((v >= 100) & (t > 10)), 3).when((v >= 100) | (t > 20), 2).otherwise(1)
+    stage = F.when(
+        (v >= 250) | ((v >= 150) & (t > 20)), 4
+    ).when((v >= 150) | ((v >= 100) & (t > 10)), 3).when((v >= 100) | (t > 20), 2).otherwise(1)
     return days.withColumn("t", s).select("asset_id", "day", stage.alias("stage"), (F.col("n") >= 3).alias("confident"))
 
 
-@query("latest_config", "SELECT o_custkey AS device_id, arg_max(o_orderpriority, struct_pack(a := o_orderdate, b := o_orderkey)) AS setting, count(*) AS versions FROM orders GROUP BY o_custkey")
+@query(
+    "latest_config",
+    "SELECT o_custkey AS device_id, arg_max(o_orderpriority, struct_pack(a := o_orderdate, b := o_orderkey)) AS setting, count(*) AS versions FROM orders GROUP BY o_custkey"
+)
 def latest_config(spark, sf_dir):
     """The configuration in force on each device: the last of its versions."""
-    return table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("device_id")).agg(F.max_by("o_orderpriority", F.struct("o_orderdate", "o_orderkey")).alias("setting"), F.count("*").alias("versions"))
+    return table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("device_id")).agg(
+        F.max_by("o_orderpriority", F.struct("o_orderdate", "o_orderkey")).alias("setting"),
+        F.count("*").alias("versions")
+    )
 
 
-@query("tenant_view", "SELECT c_custkey AS tenant_id, o_orderkey AS order_id, o_totalprice AS total FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_mktsegment = 'BUILDING'")
+@query(
+    "tenant_view",
+    "SELECT c_custkey AS tenant_id, o_orderkey AS order_id, o_totalprice AS total FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_mktsegment = 'BUILDING'"
+)
 def tenant_view(spark, sf_dir):
     """Rows of the tenants that the caller may see; the filter stands in the view, not in the query."""
-    return io.tenant_rows(table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer").where("c_mktsegment = 'BUILDING'"), "o_custkey", "c_custkey").select(F.col("o_custkey").alias("tenant_id"), F.col("o_orderkey").alias("order_id"), F.col("o_totalprice").alias("total"))
+    return io.tenant_rows(
+        table(spark, sf_dir, "orders"),
+        table(spark, sf_dir, "customer").where("c_mktsegment = 'BUILDING'"),
+        "o_custkey",
+        "c_custkey"
+    ).select(
+        F.col("o_custkey").alias("tenant_id"),
+        F.col("o_orderkey").alias("order_id"),
+        F.col("o_totalprice").alias("total")
+    )
 
 
-@query("compliance_delete", "SELECT event_type AS channel, count(*) AS n, count(DISTINCT user_id) AS devices FROM events WHERE user_id % 50 <> 7 GROUP BY event_type")
+@query(
+    "compliance_delete",
+    "SELECT event_type AS channel, count(*) AS n, count(DISTINCT user_id) AS devices FROM events WHERE user_id % 50 <> 7 GROUP BY event_type"
+)
 def compliance_delete(spark, sf_dir):
     """The telemetry table written again without the subjects that asked to be forgotten."""
     rows = table(spark, sf_dir, "events")
     subjects = rows.select("user_id").distinct().where("user_id % 50 = 7")
     left = io.without_subjects(rows, subjects, "user_id", scratch(spark, "kept"))
-    return left.groupBy(F.col("event_type").alias("channel")).agg(F.count("*").alias("n"), F.countDistinct("user_id").alias("devices"))
+    return left.groupBy(F.col("event_type").alias("channel")).agg(
+        F.count("*").alias("n"), F.countDistinct("user_id").alias("devices")
+    )
 
 
 @query(
@@ -255,9 +393,14 @@ SELECT name AS rule, count(*) AS hits FROM events JOIN r ON event_type = channel
 )
 def rule_table(spark, sf_dir):
     """Threshold rules as rows: edited as data, applied by one join."""
-    rules = spark.createDataFrame([("view", "above", 300.0, "hot"), ("click", "above", 200.0, "fast"), ("error", "below", 20.0, "weak")], "event_type string, side string, bound double, rule string")
+    rules = spark.createDataFrame(
+        [("view", "above", 300.0, "hot"), ("click", "above", 200.0, "fast"), ("error", "below", 20.0, "weak")],
+        "event_type string, side string, bound double, rule string"
+    )
     hit = F.when(F.col("side") == "above", F.col("value") > F.col("bound")).otherwise(F.col("value") < F.col("bound"))
-    return events(spark, sf_dir).join(F.broadcast(rules), "event_type").where(hit).groupBy("rule").agg(F.count("*").alias("hits"))
+    return events(spark, sf_dir).join(
+        F.broadcast(rules), "event_type"
+    ).where(hit).groupBy("rule").agg(F.count("*").alias("hits"))
 
 
 @query(
@@ -269,8 +412,15 @@ def late_merge(spark, sf_dir):
     rows = events(spark, sf_dir).withColumn("day", F.date_trunc("day", "ts"))
     late = F.col("event_id") % 10 == 3
     sums = lambda r: r.groupBy("event_type", "day").agg(F.count("*").alias("n"), F.sum(F.col("value").cast("decimal(18,6)")).alias("total"))
-    merged = sums(rows.where(~late)).union(sums(rows.where(late))).groupBy("event_type", "day").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
-    return merged.select(F.col("event_type").alias("channel"), stamp(F.col("day")).alias("day"), "n", F.round(F.col("total").cast("double"), 4).alias("total"))
+    merged = sums(rows.where(~late)).union(sums(rows.where(late))).groupBy("event_type", "day").agg(
+        F.sum("n").alias("n"), F.sum("total").alias("total")
+    )
+    return merged.select(
+        F.col("event_type").alias("channel"),
+        stamp(F.col("day")).alias("day"),
+        "n",
+        F.round(F.col("total").cast("double"), 4).alias("total")
+    )
 
 
 @query("fault_classifier")
@@ -281,14 +431,36 @@ def fault_classifier(spark, sf_dir):
     from pyspark.ml.feature import VectorAssembler
 
     x = F.col("x")
-    rows = table(spark, sf_dir, "embeddings").where("embedding is not null").select("vec_id", F.col("label").cast("double").alias("label"), dsp.doubles(F.col("embedding")).alias("x"), dsp.rfft("embedding").alias("s"))
+    rows = table(spark, sf_dir, "embeddings").where("embedding is not null").select(
+        "vec_id",
+        F.col("label").cast("double").alias("label"),
+        dsp.doubles(F.col("embedding")).alias("x"),
+        dsp.rfft("embedding").alias("s")
+    )
     names = ["rms", "peak", "mean", *(f"bin{k}" for k in range(1, 9)), *(f"x{k}" for k in range(16))]
-    rows = rows.select("vec_id", "label", dsp.array_rms(x).alias("rms"), dsp.array_peak(x).alias("peak"), dsp.array_mean(x).alias("mean"), *(F.col("s")[k].alias(f"bin{k}") for k in range(1, 9)), *(x[k].alias(f"x{k}") for k in range(16)))
-    table_ = VectorAssembler(inputCols=names, outputCol="features", handleInvalid="skip").transform(cut(rows, "features"))
+    rows = rows.select(
+        "vec_id",
+        "label",
+        dsp.array_rms(x).alias("rms"),
+        dsp.array_peak(x).alias("peak"),
+        dsp.array_mean(x).alias("mean"),
+        *(F.col("s")[k].alias(f"bin{k}") for k in range(1, 9)),
+        *(x[k].alias(f"x{k}") for k in range(16))
+    )
+    table_ = VectorAssembler(
+        inputCols=names, outputCol="features", handleInvalid="skip"
+    ).transform(cut(rows, "features"))
     held = F.col("vec_id") % 5 == 0
     train = table_.where(~held)
     if train.isEmpty():
-        return rows.select("vec_id", F.lit(0).cast("long").alias("fault_class"), F.lit(0.0).alias("confidence"), held.alias("held_out")).limit(0)
+        return rows.select(
+            "vec_id", F.lit(0).cast("long").alias("fault_class"), F.lit(0.0).alias("confidence"), held.alias("held_out")
+        ).limit(0)
     model = RandomForestClassifier(numTrees=40, maxDepth=8, seed=7).fit(train)
     p = vector_to_array("probability")
-    return model.transform(table_).select("vec_id", F.col("prediction").cast("long").alias("fault_class"), F.round(F.array_max(p), 6).alias("confidence"), held.alias("held_out"))
+    return model.transform(table_).select(
+        "vec_id",
+        F.col("prediction").cast("long").alias("fault_class"),
+        F.round(F.array_max(p), 6).alias("confidence"),
+        held.alias("held_out")
+    )

@@ -41,7 +41,9 @@ SELECT vec_id, round(rms, 6) AS rms, round(peak, 6) AS peak, round(peak / nullif
 )
 def wave_time_features(spark, sf_dir):
     x = F.col("x")
-    rows = _waves(spark, sf_dir).select("vec_id", x, dsp.array_mean(x).alias("mu"), dsp.array_rms(x).alias("rms"), dsp.array_peak(x).alias("peak"))
+    rows = _waves(spark, sf_dir).select(
+        "vec_id", x, dsp.array_mean(x).alias("mu"), dsp.array_rms(x).alias("rms"), dsp.array_peak(x).alias("peak")
+    )
     rows = rows.select("*", *(dsp.central_moment(x, F.col("mu"), k).alias(f"m{k}") for k in (2, 3, 4)))
     zero = F.lit(0.0)
     return rows.select(
@@ -50,29 +52,41 @@ def wave_time_features(spark, sf_dir):
     )
 
 
-@query("dft_harmonics", f"WITH {_WAVES} SELECT vec_id, round({_amplitude('4')}, 6) AS h1, round({_amplitude('8')}, 6) AS h2, round({_amplitude('12')}, 6) AS h3 FROM x")
+@query(
+    "dft_harmonics",
+    f"WITH {_WAVES} SELECT vec_id, round({_amplitude('4')}, 6) AS h1, round({_amplitude('8')}, 6) AS h2, round({_amplitude('12')}, 6) AS h3 FROM x"
+)
 def dft_harmonics(spark, sf_dir):
     """Amplitudes at one, two and three times the running speed."""
-    return _waves(spark, sf_dir).select("vec_id", *(F.round(dsp.amplitude(F.col("x"), F.lit(4.0 * k)), 6).alias(f"h{k}") for k in (1, 2, 3)))
+    return _waves(spark, sf_dir).select(
+        "vec_id", *(F.round(dsp.amplitude(F.col("x"), F.lit(4.0 * k)), 6).alias(f"h{k}") for k in (1, 2, 3))
+    )
 
 
 @query("hann_dft", f"""WITH {_WAVES}, h AS (SELECT vec_id, list_transform(x, lambda v, i: v * 0.5 * (1 - cos(2 * pi() * (i - 1) / len(x)))) AS y FROM x)
 SELECT vec_id, round({_amplitude("5", "y")} / 0.5, 6) AS amplitude FROM h""")
 def hann_dft(spark, sf_dir):
     """Amplitude of a bin under the Hann window, corrected for its gain."""
-    return _waves(spark, sf_dir).select("vec_id", dsp.hann(F.col("x")).alias("y")).select("vec_id", F.round(dsp.amplitude(F.col("y"), F.lit(5.0), 0.5), 6).alias("amplitude"))
+    return _waves(spark, sf_dir).select("vec_id", dsp.hann(F.col("x")).alias("y")).select(
+        "vec_id", F.round(dsp.amplitude(F.col("y"), F.lit(5.0), 0.5), 6).alias("amplitude")
+    )
 
 
 _HARMONICS = " + ".join(_power(str(h)) for h in range(2, 32))
 
 
-@query("thd_50", f"WITH {_WAVES} SELECT vec_id, round(sqrt({_HARMONICS}) / nullif(sqrt({_power('1')}), 0), 4) AS thd FROM x")
+@query(
+    "thd_50",
+    f"WITH {_WAVES} SELECT vec_id, round(sqrt({_HARMONICS}) / nullif(sqrt({_power('1')}), 0), 4) AS thd FROM x"
+)
 def thd_50(spark, sf_dir):
     """Total harmonic distortion over the harmonics below half the samples, 50 at most: one transform a row."""
     bins = F.least(F.lit(49), (F.size("embedding") / 2 - 2).cast("int"))
     harmonics = dsp.total(F.transform(F.slice("a", F.lit(3), bins), lambda v: v * v))
     rows = table(spark, sf_dir, "embeddings").select("vec_id", dsp.rfft("embedding").alias("a"), "embedding")
-    return rows.select("vec_id", F.round(F.sqrt(harmonics) / F.nullif(F.element_at("a", 2), F.lit(0.0)), 4).alias("thd"))
+    return rows.select(
+        "vec_id", F.round(F.sqrt(harmonics) / F.nullif(F.element_at("a", 2), F.lit(0.0)), 4).alias("thd")
+    )
 
 
 @query(
@@ -84,7 +98,11 @@ def sideband_ratio_db(spark, sf_dir):
     """Lower slip sideband against the supply line; a fault above -40 dB."""
     low, _ = dsp.sidebands(F.lit(60.0), F.lit(0.03))
     rate = F.lit(640.0)
-    rows = _waves(spark, sf_dir).select("vec_id", dsp.at_frequency(F.col("x"), low, rate).alias("a"), dsp.at_frequency(F.col("x"), F.lit(60.0), rate).alias("b")).where("a > 0 and b > 0")
+    rows = _waves(spark, sf_dir).select(
+        "vec_id",
+        dsp.at_frequency(F.col("x"), low, rate).alias("a"),
+        dsp.at_frequency(F.col("x"), F.lit(60.0), rate).alias("b")
+    ).where("a > 0 and b > 0")
     ratio = tidy(dsp.decibels(F.col("a") / F.col("b")), 4)
     return rows.select("vec_id", ratio.alias("ratio_db"), (ratio > -40).alias("broken_bar"))
 
@@ -98,10 +116,14 @@ SELECT vec_id, CAST(floor(3 * log2(r[1] * 1000 / 1000.0) + 1e-9) AS BIGINT) AS b
 def octave_bands(spark, sf_dir):
     """Power by third-octave band around 1 kHz; bins are 1 kHz apart."""
     n = F.size("embedding")
-    spectra = table(spark, sf_dir, "embeddings").select("vec_id", n.alias("n"), F.posexplode(dsp.rfft("embedding")).alias("k", "a")).where("k > 0")
+    spectra = table(spark, sf_dir, "embeddings").select(
+        "vec_id", n.alias("n"), F.posexplode(dsp.rfft("embedding")).alias("k", "a")
+    ).where("k > 0")
     band = F.floor(3 * F.log2(F.col("k") * (RATE / 64) / 1000) + 1e-9)
     one_sided = F.when(2 * F.col("k") == F.col("n"), F.col("n")).otherwise(F.col("n") / 2)
-    return spectra.groupBy("vec_id", band.alias("band")).agg(F.round(F.sum(F.pow(F.col("a") * one_sided, F.lit(2.0))), 5).alias("power"))
+    return spectra.groupBy("vec_id", band.alias("band")).agg(
+        F.round(F.sum(F.pow(F.col("a") * one_sided, F.lit(2.0))), 5).alias("power")
+    )
 
 
 @query(
@@ -111,7 +133,9 @@ SELECT label AS machine, round(quantile_cont(a, 0.5), 6) AS floor FROM b GROUP B
 )
 def noise_floor(spark, sf_dir):
     """Median amplitude in the high band by machine."""
-    bins = table(spark, sf_dir, "embeddings").select(F.col("label").alias("machine"), F.explode(F.slice(dsp.rfft("embedding"), 21, 12)).alias("a"))
+    bins = table(spark, sf_dir, "embeddings").select(
+        F.col("label").alias("machine"), F.explode(F.slice(dsp.rfft("embedding"), 21, 12)).alias("a")
+    )
     return quantile(bins, ["machine"], "a", 0.5, "floor").select("machine", F.round("floor", 6).alias("floor"))
 
 
@@ -123,10 +147,14 @@ SELECT a.label AS machine, a.k AS bin, round(max(a.a - healthy), 6) + 0.0 AS wor
 )
 def spectrum_overlay(spark, sf_dir):
     """Current against healthy spectra, bin by bin."""
-    spectra = table(spark, sf_dir, "embeddings").select("vec_id", F.col("label").alias("machine"), F.posexplode(F.slice(dsp.rfft("embedding"), 2, 8)).alias("at", "a"))
+    spectra = table(spark, sf_dir, "embeddings").select(
+        "vec_id", F.col("label").alias("machine"), F.posexplode(F.slice(dsp.rfft("embedding"), 2, 8)).alias("at", "a")
+    )
     amplitudes = spectra.select("vec_id", "machine", (F.col("at") + 1).cast("long").alias("bin"), "a")
     healthy = amplitudes.where("vec_id % 2 = 0").groupBy("machine", "bin").agg(F.avg("a").alias("healthy"))
-    return amplitudes.where("vec_id % 2 = 1").join(healthy, ["machine", "bin"]).groupBy("machine", "bin").agg(tidy(F.max(F.col("a") - F.col("healthy"))).alias("worst_rise"))
+    return amplitudes.where("vec_id % 2 = 1").join(healthy, ["machine", "bin"]).groupBy("machine", "bin").agg(
+        tidy(F.max(F.col("a") - F.col("healthy"))).alias("worst_rise")
+    )
 
 
 @query(
@@ -139,7 +167,9 @@ def start_profile_distance(spark, sf_dir):
     rows = _waves(spark, sf_dir).select("vec_id", "x", F.lit(0).alias("baseline"))
     base = F.broadcast(rows.where("vec_id = 0").select("baseline", F.col("x").alias("b")).limit(1))
     apart = F.zip_with("x", "b", lambda v, b: (v - b) * (v - b))
-    return rows.join(base, "baseline").select("vec_id", F.round(F.sqrt(dsp.total(apart) / F.size("x")), 6).alias("distance"))
+    return rows.join(base, "baseline").select(
+        "vec_id", F.round(F.sqrt(dsp.total(apart) / F.size("x")), 6).alias("distance")
+    )
 
 
 _G = "(p_size / 10.0) / (p_retailprice / 10.0 + 20) * cos(radians(15))"
@@ -151,8 +181,12 @@ _G = "(p_size / 10.0) / (p_retailprice / 10.0 + 20) * cos(radians(15))"
   round((p_retailprice / 10.0 + 20) / (2 * (p_size / 10.0)) * (1800 / 60.0) * (1 - pow({_G}, 2)), 6) AS bsf FROM part""",
 )
 def bearing_frequencies(spark, sf_dir):
-    found = dsp.bearing_frequencies(F.lit(1800.0), 8 + F.col("p_size") % 5, F.col("p_size") / 10.0, F.col("p_retailprice") / 10.0 + 20, F.lit(15.0))
-    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("bearing_id"), *(F.round(c, 6).alias(n) for n, c in found.items()))
+    found = dsp.bearing_frequencies(
+        F.lit(1800.0), 8 + F.col("p_size") % 5, F.col("p_size") / 10.0, F.col("p_retailprice") / 10.0 + 20, F.lit(15.0)
+    )
+    return table(spark, sf_dir, "part").select(
+        F.col("p_partkey").alias("bearing_id"), *(F.round(c, 6).alias(n) for n, c in found.items())
+    )
 
 
 @query(
@@ -162,7 +196,11 @@ def bearing_frequencies(spark, sf_dir):
 def gear_mesh_orders(spark, sf_dir):
     """Gear-mesh frequency where sampling allows it, and its order of the shaft."""
     teeth = (17 + F.col("p_size")).cast("double")
-    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("gear_id"), F.round(dsp.gear_mesh(F.lit(1500.0), teeth, F.col("p_size") * 500), 6).alias("mesh_hz"), F.round(teeth, 6).alias("mesh_order"))
+    return table(spark, sf_dir, "part").select(
+        F.col("p_partkey").alias("gear_id"),
+        F.round(dsp.gear_mesh(F.lit(1500.0), teeth, F.col("p_size") * 500), 6).alias("mesh_hz"),
+        F.round(teeth, 6).alias("mesh_order")
+    )
 
 
 _PHASES = "p AS (SELECT user_id, avg(value) FILTER (WHERE event_type = 'view') AS a, avg(value) FILTER (WHERE event_type = 'click') AS b, avg(value) FILTER (WHERE event_type = 'error') AS c FROM events GROUP BY user_id)"
@@ -170,18 +208,31 @@ _PHASES = "p AS (SELECT user_id, avg(value) FILTER (WHERE event_type = 'view') A
 
 def _phases(spark, sf_dir):
     pick = lambda kind: F.avg(F.when(F.col("event_type") == kind, F.col("value")))
-    return events(spark, sf_dir).groupBy("user_id").agg(pick("view").alias("a"), pick("click").alias("b"), pick("error").alias("c"))
+    return events(spark, sf_dir).groupBy("user_id").agg(
+        pick("view").alias("a"), pick("click").alias("b"), pick("error").alias("c")
+    )
 
 
-@query("three_phase_unbalance", f"WITH {_PHASES} SELECT user_id AS asset_id, round(100 * greatest(abs(a - (a + b + c) / 3), abs(b - (a + b + c) / 3), abs(c - (a + b + c) / 3)) / ((a + b + c) / 3), 6) AS unbalance_pct FROM p WHERE a + b + c IS NOT NULL")
+@query(
+    "three_phase_unbalance",
+    f"WITH {_PHASES} SELECT user_id AS asset_id, round(100 * greatest(abs(a - (a + b + c) / 3), abs(b - (a + b + c) / 3), abs(c - (a + b + c) / 3)) / ((a + b + c) / 3), 6) AS unbalance_pct FROM p WHERE a + b + c IS NOT NULL"
+)
 def three_phase_unbalance(spark, sf_dir):
-    return _phases(spark, sf_dir).where("a + b + c is not null").select(F.col("user_id").alias("asset_id"), F.round(power.unbalance(F.col("a"), F.col("b"), F.col("c")), 6).alias("unbalance_pct"))
+    return _phases(spark, sf_dir).where("a + b + c is not null").select(
+        F.col("user_id").alias("asset_id"),
+        F.round(power.unbalance(F.col("a"), F.col("b"), F.col("c")), 6).alias("unbalance_pct")
+    )
 
 
-@query("park_vector", f"WITH {_PHASES} SELECT user_id AS asset_id, round(sqrt(2 / 3.0) * a - (b + c) / sqrt(6), 6) + 0.0 AS direct, round((b - c) / sqrt(2), 6) + 0.0 AS quadrature FROM p WHERE a + b + c IS NOT NULL")
+@query(
+    "park_vector",
+    f"WITH {_PHASES} SELECT user_id AS asset_id, round(sqrt(2 / 3.0) * a - (b + c) / sqrt(6), 6) + 0.0 AS direct, round((b - c) / sqrt(2), 6) + 0.0 AS quadrature FROM p WHERE a + b + c IS NOT NULL"
+)
 def park_vector(spark, sf_dir):
     d, q = power.park(F.col("a"), F.col("b"), F.col("c"))
-    return _phases(spark, sf_dir).where("a + b + c is not null").select(F.col("user_id").alias("asset_id"), tidy(d).alias("direct"), tidy(q).alias("quadrature"))
+    return _phases(spark, sf_dir).where("a + b + c is not null").select(
+        F.col("user_id").alias("asset_id"), tidy(d).alias("direct"), tidy(q).alias("quadrature")
+    )
 
 
 @query(
@@ -192,7 +243,9 @@ SELECT event_type AS phase, round(p, 4) AS active, round(s, 4) AS apparent, roun
 def power_triangle(spark, sf_dir):
     v = F.col("value")
     found = power.power_triangle(v, v * (0.5 + (F.col("event_id") % 10) / 20.0))
-    return events(spark, sf_dir).groupBy(F.col("event_type").alias("phase")).agg(*(F.round(c, 6 if n == "power_factor" else 4).alias(n) for n, c in found.items()))
+    return events(spark, sf_dir).groupBy(F.col("event_type").alias("phase")).agg(
+        *(F.round(c, 6 if n == "power_factor" else 4).alias(n) for n, c in found.items())
+    )
 
 
 @query(
@@ -214,11 +267,21 @@ SELECT vec_id, CAST(list_sum(up) AS BIGINT) AS counts, round(list_sum(list_trans
 def ae_bursts(spark, sf_dir):
     """Rising threshold crossings and energy of acoustic emission."""
     x = F.col("x")
-    up = F.transform(F.sequence(F.lit(2), F.size(x)), lambda i: ((F.abs(F.element_at(x, i)) > 0.2) & (F.abs(F.element_at(x, i - 1)) <= 0.2)).cast("long"))
-    return _waves(spark, sf_dir).select("vec_id", F.aggregate(up, F.lit(0).cast("long"), lambda a, v: a + v).alias("counts"), F.round(dsp.total(F.transform(x, lambda v: v * v)) / RATE, 9).alias("energy"))
+    up = F.transform(
+        F.sequence(F.lit(2), F.size(x)),
+        lambda i: ((F.abs(F.element_at(x, i)) > 0.2) & (F.abs(F.element_at(x, i - 1)) <= 0.2)).cast("long")
+    )
+    return _waves(spark, sf_dir).select(
+        "vec_id",
+        F.aggregate(up, F.lit(0).cast("long"), lambda a, v: a + v).alias("counts"),
+        F.round(dsp.total(F.transform(x, lambda v: v * v)) / RATE, 9).alias("energy")
+    )
 
 
-@query("rfft_spectrum", f"""WITH {_WAVES}, b AS (SELECT vec_id, x, unnest(range(0, 33)) AS k FROM x) SELECT vec_id, k AS bin, round((CASE WHEN k IN (0, 32) THEN 1 ELSE 2 END) * sqrt({_power("k")}) / len(x), 5) + 0.0 AS amplitude FROM b""")
+@query(
+    "rfft_spectrum",
+    f"""WITH {_WAVES}, b AS (SELECT vec_id, x, unnest(range(0, 33)) AS k FROM x) SELECT vec_id, k AS bin, round((CASE WHEN k IN (0, 32) THEN 1 ELSE 2 END) * sqrt({_power("k")}) / len(x), 5) + 0.0 AS amplitude FROM b"""
+)
 def rfft_spectrum(spark, sf_dir):
     """Whole spectra in Arrow batches, exploded to bins."""
     spectra = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(dsp.rfft("embedding")).alias("bin", "a"))
@@ -247,8 +310,14 @@ SELECT vec_id, CAST(list_position(e, list_max(e)) - 1 AS BIGINT) AS line, round(
 )
 def envelope_spectrum(spark, sf_dir):
     """Strongest envelope line of each waveform."""
-    found = table(spark, sf_dir, "embeddings").select("vec_id", dsp.envelope(8_000.0, 24_000.0, RATE)("embedding").alias("e"))
-    return found.select("vec_id", (F.array_position("e", F.array_max("e")) - 1).alias("line"), F.round(F.array_max("e"), 6).alias("amplitude"))
+    found = table(spark, sf_dir, "embeddings").select(
+        "vec_id", dsp.envelope(8_000.0, 24_000.0, RATE)("embedding").alias("e")
+    )
+    return found.select(
+        "vec_id",
+        (F.array_position("e", F.array_max("e")) - 1).alias("line"),
+        F.round(F.array_max("e"), 6).alias("amplitude")
+    )
 
 
 def _rms_sql(name: str) -> str:
@@ -256,9 +325,14 @@ def _rms_sql(name: str) -> str:
     return f"round(sqrt(list_sum(list_transform({_filtered_sql('x', _taps_sql(low, high), 31)}, lambda v: v * v)) / len(x)), 6) AS {name}"
 
 
-@query("band_bank", f"""WITH {_WAVES} SELECT vec_id, {_rms_sql("low")}, {_rms_sql("middle")}, CAST(NULL AS DOUBLE) AS high FROM x""")
+@query(
+    "band_bank",
+    f"""WITH {_WAVES} SELECT vec_id, {_rms_sql("low")}, {_rms_sql("middle")}, CAST(NULL AS DOUBLE) AS high FROM x"""
+)
 def band_bank(spark, sf_dir):
-    """RMS of each waveform in three pass bands; null for a band that the sampling rate can't hold: 10 to 40 kHz needs 80 kHz."""
+    """RMS of each waveform in three pass bands; null for a band that the sampling rate can't hold: 10 to 40 kHz needs
+    80 kHz.
+    """
     rms = lambda low, high: F.round(dsp.array_rms(dsp.band_filter(low, high, RATE)("embedding")), 6) if high <= RATE / 2 else F.lit(None).cast("double")
     return table(spark, sf_dir, "embeddings").select("vec_id", *(rms(*band).alias(n) for n, band in BANDS.items()))
 
@@ -269,7 +343,9 @@ def order_resample(spark, sf_dir):
     n = F.size("embedding")
     turns = F.transform(F.sequence(F.lit(0), n - 1), lambda i: 4.0 * (i / n) + 2.0 * (i / n) * (i / n))
     resampled = dsp.order_resample(128)("embedding", turns)
-    return table(spark, sf_dir, "embeddings").select("vec_id", dsp.rfft(resampled).alias("s")).select("vec_id", F.round(F.col("s")[6], 6).alias("order_1"), F.round(F.col("s")[12], 6).alias("order_2"))
+    return table(spark, sf_dir, "embeddings").select("vec_id", dsp.rfft(resampled).alias("s")).select(
+        "vec_id", F.round(F.col("s")[6], 6).alias("order_1"), F.round(F.col("s")[12], 6).alias("order_2")
+    )
 
 
 @query("kurtogram_band")

@@ -36,17 +36,28 @@ SELECT vec_id, k AS bin, round(avg(p * p) / nullif(avg(p) * avg(p), 0) - 2, 5) +
 )
 def spectral_kurtosis(spark, sf_dir):
     """Kurtosis of each bin's power over the frames of a waveform."""
-    bins = _frames(spark, sf_dir).select("vec_id", F.posexplode(F.slice(dsp.rfft("y"), 2, FRAME // 2 - 1)).alias("at", "a"))
+    bins = _frames(spark, sf_dir).select(
+        "vec_id", F.posexplode(F.slice(dsp.rfft("y"), 2, FRAME // 2 - 1)).alias("at", "a")
+    )
     p = F.col("a") * F.col("a")
     found = F.avg(p * p) / F.nullif(F.avg(p) * F.avg(p), F.lit(0.0)) - 2
     return bins.groupBy("vec_id", (F.col("at") + 1).cast("long").alias("bin")).agg(tidy(found, 5).alias("kurtosis"))
 
 
-@query("stft_frames", f"WITH {_FRAMES}, k AS (SELECT vec_id, frame, unnest(range(1, {FRAME // 2})) AS bin, y FROM y) SELECT vec_id, frame, bin, round({_amplitude('bin', 'y')}, 5) + 0.0 AS amplitude FROM k")
+@query(
+    "stft_frames",
+    f"WITH {_FRAMES}, k AS (SELECT vec_id, frame, unnest(range(1, {FRAME // 2})) AS bin, y FROM y) SELECT vec_id, frame, bin, round({_amplitude('bin', 'y')}, 5) + 0.0 AS amplitude FROM k"
+)
 def stft_frames(spark, sf_dir):
     """Short-time spectra: a row for each frame and bin."""
-    bins = _frames(spark, sf_dir).select("vec_id", F.col("frame").cast("long").alias("frame"), F.posexplode(F.slice(dsp.rfft("y"), 2, FRAME // 2 - 1)).alias("at", "a"))
-    return bins.select("vec_id", "frame", (F.col("at") + 1).cast("long").alias("bin"), tidy(F.col("a"), 5).alias("amplitude"))
+    bins = _frames(spark, sf_dir).select(
+        "vec_id",
+        F.col("frame").cast("long").alias("frame"),
+        F.posexplode(F.slice(dsp.rfft("y"), 2, FRAME // 2 - 1)).alias("at", "a")
+    )
+    return bins.select(
+        "vec_id", "frame", (F.col("at") + 1).cast("long").alias("bin"), tidy(F.col("a"), 5).alias("amplitude")
+    )
 
 
 @query(
@@ -55,8 +66,14 @@ def stft_frames(spark, sf_dir):
 )
 def spectrum_waterfall(spark, sf_dir):
     """Mean spectrum of each machine by period, for a cascade plot."""
-    rows = _embeddings(spark, sf_dir).select(F.col("label").alias("machine"), F.floor(F.col("vec_id") / 50).alias("period"), F.posexplode(F.slice(dsp.rfft("embedding"), 2, 8)).alias("at", "a"))
-    return rows.groupBy("machine", "period", (F.col("at") + 1).cast("long").alias("bin")).agg(tidy(F.avg("a"), 5).alias("amplitude"), F.count("*").alias("spectra"))
+    rows = _embeddings(spark, sf_dir).select(
+        F.col("label").alias("machine"),
+        F.floor(F.col("vec_id") / 50).alias("period"),
+        F.posexplode(F.slice(dsp.rfft("embedding"), 2, 8)).alias("at", "a")
+    )
+    return rows.groupBy("machine", "period", (F.col("at") + 1).cast("long").alias("bin")).agg(
+        tidy(F.avg("a"), 5).alias("amplitude"), F.count("*").alias("spectra")
+    )
 
 
 @query(
@@ -66,9 +83,15 @@ SELECT vec_id, CAST(row_number() OVER (PARTITION BY vec_id ORDER BY a DESC, bin)
 )
 def spectrum_peaks(spark, sf_dir):
     """The three largest bins of each spectrum: sorted within the row, nothing is shuffled."""
-    ranked = F.transform(F.slice(dsp.rfft("embedding"), 2, 31), lambda a, i: F.struct((-a).alias("a"), (i + 1).cast("long").alias("bin")))
-    rows = _embeddings(spark, sf_dir).select("vec_id", F.posexplode(F.slice(F.array_sort(ranked), 1, 3)).alias("at", "p"))
-    return rows.select("vec_id", (F.col("at") + 1).cast("long").alias("place"), "p.bin", F.round(-F.col("p.a"), 5).alias("amplitude"))
+    ranked = F.transform(
+        F.slice(dsp.rfft("embedding"), 2, 31), lambda a, i: F.struct((-a).alias("a"), (i + 1).cast("long").alias("bin"))
+    )
+    rows = _embeddings(spark, sf_dir).select(
+        "vec_id", F.posexplode(F.slice(F.array_sort(ranked), 1, 3)).alias("at", "p")
+    )
+    return rows.select(
+        "vec_id", (F.col("at") + 1).cast("long").alias("place"), "p.bin", F.round(-F.col("p.a"), 5).alias("amplitude")
+    )
 
 
 @query(
@@ -79,7 +102,11 @@ def harmonic_table(spark, sf_dir):
     """Each harmonic in percent of the fundamental."""
     rows = _embeddings(spark, sf_dir).select("vec_id", dsp.rfft("embedding").alias("s"))
     rows = rows.select("vec_id", F.element_at("s", 2).alias("base"), F.posexplode(F.slice("s", 3, 30)).alias("at", "a"))
-    return rows.select("vec_id", (F.col("at") + 2).cast("long").alias("harmonic"), tidy(100 * F.col("a") / F.nullif("base", F.lit(0.0)), 4).alias("percent"))
+    return rows.select(
+        "vec_id",
+        (F.col("at") + 2).cast("long").alias("harmonic"),
+        tidy(100 * F.col("a") / F.nullif("base", F.lit(0.0)), 4).alias("percent")
+    )
 
 
 _PAIR = "h AS (SELECT vec_id, x[1:32] AS vs, x[33:64] AS cs FROM x)"
@@ -96,10 +123,28 @@ def displacement_power_factor(spark, sf_dir):
     def part(x, f):
         return dsp.total(F.transform(x, lambda v, i: v * f(2 * 3.141592653589793 * i / F.size(x))))
 
-    rows = _embeddings(spark, sf_dir).select("vec_id", dsp.doubles(F.slice("embedding", 1, 32)).alias("v"), dsp.doubles(F.slice("embedding", 33, 32)).alias("i"))
-    parts = rows.select("vec_id", *(part(F.col(x), f).alias(n) for x, f, n in (("v", F.cos, "vr"), ("v", F.sin, "vi"), ("i", F.cos, "ir"), ("i", F.sin, "ii"))))
-    size = F.sqrt(F.col("vr") * F.col("vr") + F.col("vi") * F.col("vi")) * F.sqrt(F.col("ir") * F.col("ir") + F.col("ii") * F.col("ii"))
-    return parts.select("vec_id", tidy((F.col("vr") * F.col("ir") + F.col("vi") * F.col("ii")) / F.nullif(size, F.lit(0.0)), 5).alias("displacement_pf"))
+    rows = _embeddings(spark, sf_dir).select(
+        "vec_id",
+        dsp.doubles(F.slice("embedding", 1, 32)).alias("v"),
+        dsp.doubles(F.slice("embedding", 33, 32)).alias("i")
+    )
+    parts = rows.select(
+        "vec_id",
+        *(
+            part(F.col(x), f).alias(n) for x,
+            f,
+            n in (("v", F.cos, "vr"), ("v", F.sin, "vi"), ("i", F.cos, "ir"), ("i", F.sin, "ii"))
+        )
+    )
+    size = F.sqrt(
+        F.col("vr") * F.col("vr") + F.col("vi") * F.col("vi")
+    ) * F.sqrt(F.col("ir") * F.col("ir") + F.col("ii") * F.col("ii"))
+    return parts.select(
+        "vec_id",
+        tidy(
+            (F.col("vr") * F.col("ir") + F.col("vi") * F.col("ii")) / F.nullif(size, F.lit(0.0)), 5
+        ).alias("displacement_pf")
+    )
 
 
 @query(
@@ -112,7 +157,9 @@ SELECT vec_id, round(sqrt({_LIST.format("v * v")} / len(x)), 6) AS rms, round(li
 def ae_features(spark, sf_dir):
     """RMS, peak, energy, duration and rise time (in samples) of the burst over the threshold, crossings per second."""
     x, a, over = F.col("x"), F.col("a"), F.col("over")
-    rows = _embeddings(spark, sf_dir).select("vec_id", dsp.doubles(F.col("embedding")).alias("x")).withColumn("a", F.transform(x, F.abs))
+    rows = _embeddings(spark, sf_dir).select(
+        "vec_id", dsp.doubles(F.col("embedding")).alias("x")
+    ).withColumn("a", F.transform(x, F.abs))
     rows = rows.withColumn("over", F.filter(F.sequence(F.lit(1), F.size(a)), lambda i: F.element_at(a, i) > 0.2))
     ups = F.size(F.filter(over, lambda i: (i > 1) & (F.element_at(a, F.greatest(i - 1, F.lit(1))) <= 0.2)))
     return rows.select(
@@ -132,10 +179,14 @@ def _line(hz: str) -> str:
 SELECT vec_id, round(20 * log10(greatest(low, high) / base), 4) + 0.0 AS level_db, round(20 * log10(greatest(low, high) / base), 4) > -35 AS eccentric FROM a WHERE base > 0 AND greatest(low, high) > 0""",
 )
 def eccentricity_lines(spark, sf_dir):
-    """The supply line's sidebands at one turn of the rotor (60 Hz supply, 29.1 turns a second), the larger of the two."""
+    """The supply line's sidebands at one turn of the rotor (60 Hz supply, 29.1 turns a second), the larger of the
+    two.
+    """
     x, rate = dsp.doubles(F.col("embedding")), F.lit(640.0)
     at = lambda hz: dsp.at_frequency(F.col("x"), F.lit(hz), rate)
-    rows = _embeddings(spark, sf_dir).select("vec_id", x.alias("x")).select("vec_id", F.greatest(at(60 - 29.1), at(60 + 29.1)).alias("side"), at(60.0).alias("base")).where("base > 0 and side > 0")
+    rows = _embeddings(spark, sf_dir).select("vec_id", x.alias("x")).select(
+        "vec_id", F.greatest(at(60 - 29.1), at(60 + 29.1)).alias("side"), at(60.0).alias("base")
+    ).where("base > 0 and side > 0")
     level = tidy(dsp.decibels(F.col("side") / F.col("base")), 4)
     return rows.select("vec_id", level.alias("level_db"), (level > -35).alias("eccentric"))
 
@@ -149,10 +200,16 @@ def stator_rise(spark, sf_dir):
     """Third and fifth harmonics of a machine's current against its baseline."""
     s = F.col("s")
     ratio = (s[3] + s[5]) / F.nullif(s[1], F.lit(0.0))
-    rows = _embeddings(spark, sf_dir).select("vec_id", "label", dsp.rfft("embedding").alias("s")).select("vec_id", "label", ratio.alias("r"))
+    rows = _embeddings(spark, sf_dir).select(
+        "vec_id", "label", dsp.rfft("embedding").alias("s")
+    ).select("vec_id", "label", ratio.alias("r"))
     base = rows.where("vec_id % 2 = 0").groupBy("label").agg(F.avg("r").alias("base"))
     found = rows.where("vec_id % 2 = 1").join(base, "label")
-    return found.select("vec_id", tidy(F.col("r") / F.nullif("base", F.lit(0.0)), 4).alias("rise"), (F.col("r") > 1.5 * F.col("base")).alias("suspect"))
+    return found.select(
+        "vec_id",
+        tidy(F.col("r") / F.nullif("base", F.lit(0.0)), 4).alias("rise"),
+        (F.col("r") > 1.5 * F.col("base")).alias("suspect")
+    )
 
 
 @query(
@@ -165,8 +222,12 @@ def park_modulus_spectrum(spark, sf_dir):
     x = F.col("x")
     direct = lambda i: F.sqrt(F.lit(2 / 3.0)) * F.element_at(x, i) - (F.element_at(x, i + 16) + F.element_at(x, i + 32)) / F.sqrt(F.lit(6.0))
     quadrature = lambda i: (F.element_at(x, i + 16) - F.element_at(x, i + 32)) / F.sqrt(F.lit(2.0))
-    modulus = F.transform(F.sequence(F.lit(1), F.lit(16)), lambda i: F.sqrt(direct(i) * direct(i) + quadrature(i) * quadrature(i)))
-    rows = _embeddings(spark, sf_dir).select("vec_id", dsp.doubles(F.col("embedding")).alias("x")).select("vec_id", dsp.rfft(modulus).alias("s"))
+    modulus = F.transform(
+        F.sequence(F.lit(1), F.lit(16)), lambda i: F.sqrt(direct(i) * direct(i) + quadrature(i) * quadrature(i))
+    )
+    rows = _embeddings(spark, sf_dir).select(
+        "vec_id", dsp.doubles(F.col("embedding")).alias("x")
+    ).select("vec_id", dsp.rfft(modulus).alias("s"))
     return rows.select("vec_id", tidy(F.col("s")[2], 5).alias("line_2"), tidy(F.col("s")[4], 5).alias("line_4"))
 
 
@@ -181,9 +242,13 @@ SELECT vec_id, CAST(round(hz, 4) AS DOUBLE) AS marker, bin, round(a, 5) + 0.0 AS
 def marker_on_spectrum(spark, sf_dir):
     """Defect-frequency markers of a machine joined to the spectrum bins that they fall in."""
     rows = _embeddings(spark, sf_dir)
-    markers = rows.select(F.col("label").alias("machine")).distinct().select("machine", F.explode(F.array((1 + F.col("machine")) * 1.5, (1 + F.col("machine")) * 2.5)).alias("hz"))
+    markers = rows.select(F.col("label").alias("machine")).distinct().select(
+        "machine", F.explode(F.array((1 + F.col("machine")) * 1.5, (1 + F.col("machine")) * 2.5)).alias("hz")
+    )
     markers = markers.select("machine", "hz", (F.col("hz") - 0.5).alias("low"), (F.col("hz") + 0.5).alias("high"))
-    bins = rows.select("vec_id", "label", F.posexplode(F.slice(dsp.rfft("embedding"), 2, 31)).alias("at", "a")).select("vec_id", "label", (F.col("at") + 1).cast("long").alias("bin"), "a")
+    bins = rows.select(
+        "vec_id", "label", F.posexplode(F.slice(dsp.rfft("embedding"), 2, 31)).alias("at", "a")
+    ).select("vec_id", "label", (F.col("at") + 1).cast("long").alias("bin"), "a")
     found = range_to_bin(bins, markers, "bin", "low", "high", 1.0).where("label = machine")
     return found.select("vec_id", F.round("hz", 4).alias("marker"), "bin", tidy(F.col("a"), 5).alias("amplitude"))
 
@@ -195,7 +260,9 @@ c AS (SELECT a, b, count(*) AS n FROM p GROUP BY ALL HAVING count(*) >= 3), r AS
 l AS (SELECT a, b, min(s * 1000000 + t) AS cluster FROM r GROUP BY ALL) SELECT vec_id, cluster FROM p LEFT JOIN l USING (a, b)""",
 )
 def spectrum_clusters(spark, sf_dir):
-    """Spectra by density: cells of two line amplitudes that hold three or more, tied to dense neighbours; others are noise (null)."""
+    """Spectra by density: cells of two line amplitudes that hold three or more, tied to dense neighbours; others are
+    noise (null).
+    """
     s = F.col("s")
     rows = _embeddings(spark, sf_dir).select("vec_id", dsp.rfft("embedding").alias("s"))
     cells = rows.select("vec_id", F.floor(s[4] / 0.02).alias("a"), F.floor(s[8] / 0.02).alias("b"))

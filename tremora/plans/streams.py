@@ -21,7 +21,9 @@ from tremora.streaming import jobs
     f"""SELECT * FROM ({SQL["window_features_sliding"]}) WHERE CAST(window_start AS TIMESTAMP) + INTERVAL 5 MINUTES <= (SELECT max(ts) - INTERVAL 24 HOURS FROM events)""",
 )
 def stream_features_sliding(spark, sf_dir):
-    """The sliding-window job as a stream in append mode: windows are given out once the watermark has passed them, and their state goes."""
+    """The sliding-window job as a stream in append mode: windows are given out once the watermark has passed them,
+    and their state goes.
+    """
     out = jobs.drained(jobs.window_features(jobs.event_stream(spark, sf_dir), "5 minutes", "1 minute"))
     return out.withColumn("window_start", stamp(F.col("w.start"))).drop("w")
 
@@ -33,7 +35,10 @@ def stream_alert_throttle(spark, sf_dir):
     return out.groupBy("device_id").agg(F.count("*").alias("emitted"), F.max("us").alias("last_us"))
 
 
-@query("stream_interval_join", "SELECT a.user_id, a.event_id AS a_id, b.event_id AS b_id FROM events a JOIN events b ON a.user_id = b.user_id AND abs(epoch_us(a.ts) - epoch_us(b.ts)) <= 3600000000 WHERE a.event_type = 'view' AND b.event_type = 'error'")
+@query(
+    "stream_interval_join",
+    "SELECT a.user_id, a.event_id AS a_id, b.event_id AS b_id FROM events a JOIN events b ON a.user_id = b.user_id AND abs(epoch_us(a.ts) - epoch_us(b.ts)) <= 3600000000 WHERE a.event_type = 'view' AND b.event_type = 'error'"
+)
 def stream_interval_join(spark, sf_dir):
     """Two channels joined within an hour, both with watermarks."""
     return jobs.drained(jobs.correlated(jobs.event_stream(spark, sf_dir), "view", "error", "1 hour"))
@@ -44,15 +49,24 @@ def stream_dedup_idempotent(spark, sf_dir):
     """Every row delivered twice counts once."""
     once = jobs.event_stream(spark, sf_dir)
     twice = once.withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2))))
-    return jobs.drained(jobs.deduplicated(twice, ["user_id", "event_id"])).groupBy(F.col("event_type").alias("channel")).agg(F.count("*").alias("n"))
+    return jobs.drained(
+        jobs.deduplicated(twice, ["user_id", "event_id"])
+    ).groupBy(F.col("event_type").alias("channel")).agg(F.count("*").alias("n"))
 
 
-@query("stream_enrichment", "SELECT s_name AS asset, count(*) AS n, round(sum(value), 4) AS total FROM events JOIN supplier ON user_id % 100 + 1 = s_suppkey GROUP BY s_name")
+@query(
+    "stream_enrichment",
+    "SELECT s_name AS asset, count(*) AS n, round(sum(value), 4) AS total FROM events JOIN supplier ON user_id % 100 + 1 = s_suppkey GROUP BY s_name"
+)
 def stream_enrichment(spark, sf_dir):
     """Telemetry with asset metadata."""
     assets = table(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_name").alias("asset"))
-    rows = jobs.enriched(jobs.event_stream(spark, sf_dir).withColumn("s_suppkey", F.col("user_id") % 100 + 1), assets, "s_suppkey")
-    return jobs.drained(rows.select("asset", "value")).where("asset is not null").groupBy("asset").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+    rows = jobs.enriched(
+        jobs.event_stream(spark, sf_dir).withColumn("s_suppkey", F.col("user_id") % 100 + 1), assets, "s_suppkey"
+    )
+    return jobs.drained(rows.select("asset", "value")).where("asset is not null").groupBy("asset").agg(
+        F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total")
+    )
 
 
 _ROLLUP = """SELECT event_type AS channel, strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M:%S') AS day, count(*) AS n, round(avg(value), 6) + 0.0 AS mean, round(max(abs(value)), 6) + 0.0 AS peak FROM events
@@ -63,20 +77,34 @@ WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 24 HO
 def stream_rollup_days(spark, sf_dir):
     """Hours merged to days within one stream; days that are closed."""
     out = jobs.drained(jobs.rollup_features(jobs.event_stream(spark, sf_dir)))
-    return out.select(F.col("event_type").alias("channel"), stamp(F.col("d.start")).alias("day"), "n", tidy(F.col("s") / F.col("n")).alias("mean"), tidy(F.col("peak")).alias("peak"))
+    return out.select(
+        F.col("event_type").alias("channel"),
+        stamp(F.col("d.start")).alias("day"),
+        "n",
+        tidy(F.col("s") / F.col("n")).alias("mean"),
+        tidy(F.col("peak")).alias("peak")
+    )
 
 
-@query("stream_silent_devices", "SELECT user_id AS device_id, epoch_us(max(ts)) // 1000 AS last_ms FROM events GROUP BY user_id HAVING epoch_us(max(ts)) // 1000 + 43200000 <= (SELECT epoch_us(max(ts)) // 1000 FROM events)")
+@query(
+    "stream_silent_devices",
+    "SELECT user_id AS device_id, epoch_us(max(ts)) // 1000 AS last_ms FROM events GROUP BY user_id HAVING epoch_us(max(ts)) // 1000 + 43200000 <= (SELECT epoch_us(max(ts)) // 1000 FROM events)"
+)
 def stream_silent_devices(spark, sf_dir):
     """Devices reported silent by event-time timers."""
     return jobs.drained(jobs.silent(jobs.event_stream(spark, sf_dir), 12 * 3600 * 1000))
 
 
-@query("stream_scoring", "SELECT event_type AS channel, count(*) FILTER (WHERE value * 0.5 > 60) AS anomalies FROM events GROUP BY event_type")
+@query(
+    "stream_scoring",
+    "SELECT event_type AS channel, count(*) FILTER (WHERE value * 0.5 > 60) AS anomalies FROM events GROUP BY event_type"
+)
 def stream_scoring(spark, sf_dir):
     """An in-process score on the stream."""
     rows = jobs.event_stream(spark, sf_dir).select("event_type", "value")
-    out = jobs.drained(jobs.scored(rows, lambda frame: frame["value"] * 0.5, "event_type string, value double, score double"))
+    out = jobs.drained(
+        jobs.scored(rows, lambda frame: frame["value"] * 0.5, "event_type string, value double, score double")
+    )
     return out.groupBy(F.col("event_type").alias("channel")).agg(F.count_if(F.col("score") > 60).alias("anomalies"))
 
 
@@ -91,14 +119,20 @@ def stream_replay_versions(spark, sf_dir):
         out = jobs.drained(jobs.scored(rows, score, "event_type string, value double, score double"))
         return out.groupBy(F.col("event_type").alias("channel")).agg(F.count_if(F.col("score") > 60).alias(name))
 
-    return anomalies("version_1", lambda f: f["value"] * 0.5).join(anomalies("version_2", lambda f: f["value"] * 0.4 + 10), "channel", "full")
+    return anomalies("version_1", lambda f: f["value"] * 0.5).join(
+        anomalies("version_2", lambda f: f["value"] * 0.4 + 10), "channel", "full"
+    )
 
 
 @query("stream_escalation", ESCALATION_SQL)
 def stream_escalation(spark, sf_dir):
     """Escalation by timers in keyed state; a click acknowledges the alerts of its device."""
-    kind = F.when(F.col("event_type") == "error", "alert").when(F.col("event_type") == "click", "ack").otherwise("other")
-    return jobs.drained(jobs.escalated(jobs.event_stream(spark, sf_dir).withColumn("kind", kind), [m * MINUTE for m in (60, 240, 1440)]))
+    kind = F.when(
+        F.col("event_type") == "error", "alert"
+    ).when(F.col("event_type") == "click", "ack").otherwise("other")
+    return jobs.drained(
+        jobs.escalated(jobs.event_stream(spark, sf_dir).withColumn("kind", kind), [m * MINUTE for m in (60, 240, 1440)])
+    )
 
 
 @query(
@@ -108,7 +142,9 @@ SELECT user_id AS alert_id, CASE max(r) WHEN 0 THEN 'OPEN' WHEN 1 THEN 'ACKNOWLE
 )
 def stream_lifecycle(spark, sf_dir):
     """The state of each alert after the stream, and steps back that were ignored."""
-    status = F.when(F.col("event_type") == "error", "OPEN").when(F.col("event_type") == "view", "ACKNOWLEDGED").otherwise("RESOLVED")
+    status = F.when(F.col("event_type") == "error", "OPEN").when(
+        F.col("event_type") == "view", "ACKNOWLEDGED"
+    ).otherwise("RESOLVED")
     rows = jobs.event_stream(spark, sf_dir).select(F.col("user_id").alias("alert_id"), "ts", status.alias("status"))
     return jobs.drained(jobs.lifecycle(rows), "update")
 

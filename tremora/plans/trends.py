@@ -34,27 +34,48 @@ def anomaly_trend_slope(spark, sf_dir):
 WINDOW w AS (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 7 DAYS PRECEDING AND INTERVAL 1 MICROSECOND PRECEDING)""",
 )
 def adaptive_baseline(spark, sf_dir):
-    """Mean and three deviations of the seven days before, from running sums: the cost doesn't grow with the rows of a week."""
+    """Mean and three deviations of the seven days before, from running sums: the cost doesn't grow with the rows of a
+    week.
+    """
     week = 7 * 24 * 3600 * 1_000_000
     rows = events(spark, sf_dir).withColumn("us", F.unix_micros("ts"))
     x = F.col("value").cast("decimal(18,6)")
-    sums = trailing(rows.select("user_id", "event_id", "us", "value"), ["user_id"], "event_id", "us", {"n": F.lit(1), "s": x, "q": (x * x).cast("decimal(28,12)")}, {"now": 0, "then": -week})
+    sums = trailing(
+        rows.select("user_id", "event_id", "us", "value"),
+        ["user_id"],
+        "event_id",
+        "us",
+        {"n": F.lit(1), "s": x, "q": (x * x).cast("decimal(28,12)")},
+        {"now": 0, "then": -week}
+    )
     n, s, q = ((F.col(f"{c}_now") - F.col(f"{c}_then")).cast("double") for c in "nsq")
     mean = s / F.nullif(n, F.lit(0.0))
     spread = F.sqrt((q - s * mean) / F.nullif(n - 1, F.lit(0.0)))
     limits = sums.select("user_id", "event_id", F.round(mean + 3 * F.when(n > 1, spread), 6).alias("threshold"))
-    return rows.join(limits, ["user_id", "event_id"]).select("event_id", "threshold", F.coalesce(F.col("value") > F.col("threshold"), F.lit(False)).alias("anomaly"))
+    return rows.join(limits, ["user_id", "event_id"]).select(
+        "event_id", "threshold", F.coalesce(F.col("value") > F.col("threshold"), F.lit(False)).alias("anomaly")
+    )
 
 
-@query("percentile_rank_baseline", "SELECT event_id, round(percent_rank() OVER (PARTITION BY user_id ORDER BY value), 6) AS rank FROM events")
+@query(
+    "percentile_rank_baseline",
+    "SELECT event_id, round(percent_rank() OVER (PARTITION BY user_id ORDER BY value), 6) AS rank FROM events"
+)
 def percentile_rank_baseline(spark, sf_dir):
-    return events(spark, sf_dir).select("event_id", F.round(F.percent_rank().over(Window.partitionBy("user_id").orderBy("value")), 6).alias("rank"))
+    return events(spark, sf_dir).select(
+        "event_id", F.round(F.percent_rank().over(Window.partitionBy("user_id").orderBy("value")), 6).alias("rank")
+    )
 
 
-@query("latest_value", "SELECT user_id AS device_id, event_type AS metric, arg_max(value, struct_pack(a := ts, b := event_id)) AS value FROM events GROUP BY ALL")
+@query(
+    "latest_value",
+    "SELECT user_id AS device_id, event_type AS metric, arg_max(value, struct_pack(a := ts, b := event_id)) AS value FROM events GROUP BY ALL"
+)
 def latest_value(spark, sf_dir):
     """Latest value of each metric: an aggregate, so only one row per key and task is shuffled."""
-    return events(spark, sf_dir).groupBy(F.col("user_id").alias("device_id"), F.col("event_type").alias("metric")).agg(F.max_by("value", F.struct("ts", "event_id")).alias("value"))
+    return events(spark, sf_dir).groupBy(
+        F.col("user_id").alias("device_id"), F.col("event_type").alias("metric")
+    ).agg(F.max_by("value", F.struct("ts", "event_id")).alias("value"))
 
 
 @query(
@@ -64,7 +85,9 @@ def latest_value(spark, sf_dir):
 def top5_features(spark, sf_dir):
     """The five largest contributions of each device."""
     place = F.row_number().over(Window.partitionBy("user_id").orderBy(F.abs("value").desc(), "event_id"))
-    return events(spark, sf_dir).withColumn("place", place).where("place <= 5").select(F.col("user_id").alias("device_id"), "event_id", F.col("place").cast("long").alias("place"))
+    return events(spark, sf_dir).withColumn("place", place).where("place <= 5").select(
+        F.col("user_id").alias("device_id"), "event_id", F.col("place").cast("long").alias("place")
+    )
 
 
 @query(
@@ -76,7 +99,9 @@ WINDOW a AS (PARTITION BY o_custkey ORDER BY o_orderdate RANGE BETWEEN INTERVAL
 def health_trend_30_90_365(spark, sf_dir):
     """Means of the last 30, 90 and 365 days of each asset, from running sums."""
     day, spans = 24 * 3600, (30, 90, 365)
-    rows = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_totalprice", F.unix_seconds(F.col("o_orderdate").cast("timestamp")).alias("s"))
+    rows = table(spark, sf_dir, "orders").select(
+        "o_custkey", "o_orderkey", "o_totalprice", F.unix_seconds(F.col("o_orderdate").cast("timestamp")).alias("s")
+    )
     values = {"n": F.lit(1), "x": F.col("o_totalprice").cast("decimal(18,6)")}
     sums = trailing(rows, ["o_custkey"], "o_orderkey", "s", values, {"now": 1} | {f"d{d}": -d * day for d in spans})
     mean = lambda d: (F.col("x_now") - F.col(f"x_d{d}")).cast("double") / (F.col("n_now") - F.col(f"n_d{d}"))
@@ -107,7 +132,9 @@ def outlier_mad(spark, sf_dir):
     away = rows.join(middle, "event_type").withColumn("away", F.abs(F.col("value") - F.col("med")))
     spread = quantile(away, ["event_type", "med"], "away", 0.5, "mad")
     z = (F.col("value") - F.col("med")) / (1.4826 * F.col("mad"))
-    return rows.join(spread, "event_type").where(F.abs(F.col("value") - F.col("med")) > 3.5 * 1.4826 * F.col("mad")).select("event_id", F.round(z, 6).alias("z"))
+    return rows.join(spread, "event_type").where(
+        F.abs(F.col("value") - F.col("med")) > 3.5 * 1.4826 * F.col("mad")
+    ).select("event_id", F.round(z, 6).alias("z"))
 
 
 @query(
@@ -117,10 +144,14 @@ SELECT l_suppkey AS asset_id, count(*) FILTER (WHERE floor(hours / 500) > floor(
 )
 def pm_due_runtime(spark, sf_dir):
     """Services that fell due every 500 hours of runtime."""
-    w = Window.partitionBy("l_suppkey").orderBy("l_shipdate", "l_orderkey", "l_linenumber").rowsBetween(Window.unboundedPreceding, 0)
+    w = Window.partitionBy("l_suppkey").orderBy(
+        "l_shipdate", "l_orderkey", "l_linenumber"
+    ).rowsBetween(Window.unboundedPreceding, 0)
     rows = table(spark, sf_dir, "lineitem").withColumn("hours", F.sum("l_quantity").over(w))
     due = F.floor(F.col("hours") / 500) > F.floor((F.col("hours") - F.col("l_quantity")) / 500)
-    return rows.groupBy(F.col("l_suppkey").alias("asset_id")).agg(F.count_if(due).alias("services"), F.max("hours").alias("runtime_hours"))
+    return rows.groupBy(F.col("l_suppkey").alias("asset_id")).agg(
+        F.count_if(due).alias("services"), F.max("hours").alias("runtime_hours")
+    )
 
 
 @query(
@@ -129,7 +160,9 @@ def pm_due_runtime(spark, sf_dir):
 )
 def calibration_drift(spark, sf_dir):
     late = F.col("ts") >= F.lit("2024-01-16").cast("timestamp")
-    return events(spark, sf_dir).groupBy(F.col("user_id").alias("device_id")).agg(tidy(F.avg(F.when(late, F.col("value"))) - F.avg(F.when(~late, F.col("value")))).alias("drift"))
+    return events(spark, sf_dir).groupBy(F.col("user_id").alias("device_id")).agg(
+        tidy(F.avg(F.when(late, F.col("value"))) - F.avg(F.when(~late, F.col("value")))).alias("drift")
+    )
 
 
 @query(
@@ -140,7 +173,11 @@ def power_factor_decline(spark, sf_dir):
     """Trend of the power factor per day."""
     day = F.unix_micros("ts") / 86_400e6
     slope = tidy(F.regr_slope(F.col("value"), day))
-    return events(spark, sf_dir).where("event_type = 'purchase'").groupBy(F.col("user_id").alias("asset_id")).agg(slope.alias("slope"), F.count("*").alias("n")).where("n > 2").select("asset_id", "slope", (F.col("slope") < 0).alias("declining"))
+    return events(spark, sf_dir).where("event_type = 'purchase'").groupBy(F.col("user_id").alias("asset_id")).agg(
+        slope.alias("slope"), F.count("*").alias("n")
+    ).where("n > 2").select(
+        "asset_id", "slope", (F.col("slope") < 0).alias("declining")
+    )
 
 
 @query(
@@ -152,6 +189,13 @@ def spc_control_limits(spark, sf_dir):
     """Daily means outside three standard errors of the channel."""
     rows = events(spark, sf_dir)
     whole = rows.groupBy("event_type").agg(F.avg("value").alias("m"), F.stddev_samp("value").alias("s"))
-    days = rows.groupBy("event_type", F.date_trunc("day", "ts").alias("d")).agg(F.avg("value").alias("x"), F.count("*").alias("n"))
+    days = rows.groupBy(
+        "event_type", F.date_trunc("day", "ts").alias("d")
+    ).agg(F.avg("value").alias("x"), F.count("*").alias("n"))
     out = F.abs(F.col("x") - F.col("m")) > 3 * F.col("s") / F.sqrt("n")
-    return days.join(whole, "event_type").select(F.col("event_type").alias("channel"), stamp(F.col("d")).alias("day"), F.round("x", 6).alias("mean"), out.alias("out_of_control"))
+    return days.join(whole, "event_type").select(
+        F.col("event_type").alias("channel"),
+        stamp(F.col("d")).alias("day"),
+        F.round("x", 6).alias("mean"),
+        out.alias("out_of_control")
+    )

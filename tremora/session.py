@@ -34,7 +34,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. Set by the cluster; only a local session without one gets a temporary one."""
+    """The folder that driver and executors share. Set by the cluster; only a local session without one gets a
+    temporary one.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         jsc = spark.sparkContext._jsc.sc().getCheckpointDir()
@@ -76,7 +78,9 @@ _BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Make this package importable in Python workers however the driver found it, and bound their batches by bytes unless the user has."""
+    """Make this package importable in Python workers however the driver found it, and bound their batches by bytes
+    unless the user has.
+    """
     if spark.conf.get(_BATCH_SETTING, None) is None:
         spark.conf.set(_BATCH_SETTING, str(ARROW_BATCH_BYTES))
     context = spark.sparkContext

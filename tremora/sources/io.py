@@ -11,12 +11,27 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-TELEMETRY = T.StructType([T.StructField(n, t) for n, t in (("device_id", T.StringType()), ("ts", T.TimestampType()), ("seq", T.LongType()), ("channel", T.StringType()), ("value", T.DoubleType()), ("rpm", T.DoubleType()), ("_corrupt", T.StringType()))])
+TELEMETRY = T.StructType(
+    [
+        T.StructField(n, t) for n,
+        t in (
+            ("device_id", T.StringType()),
+            ("ts", T.TimestampType()),
+            ("seq", T.LongType()),
+            ("channel", T.StringType()),
+            ("value", T.DoubleType()),
+            ("rpm", T.DoubleType()),
+            ("_corrupt", T.StringType())
+        )
+    ]
+)
 
 
 def parse_telemetry(raw: DataFrame, payload: str = "payload") -> tuple[DataFrame, DataFrame]:
     """Parsed rows and the quarantine of malformed payloads."""
-    parsed = raw.withColumn("__p", F.from_json(payload, TELEMETRY, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}))
+    parsed = raw.withColumn(
+        "__p", F.from_json(payload, TELEMETRY, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
+    )
     bad = F.col("__p").isNull() | F.col("__p._corrupt").isNotNull()
     return parsed.where(~bad).select("__p.*").drop("_corrupt"), parsed.where(bad).select(payload)
 
@@ -63,26 +78,42 @@ def cbor_numbers(column: pa.Array) -> pa.Array:
             value = _cbor(raw)[0] if raw else None
         except (IndexError, KeyError, struct.error, UnicodeDecodeError):
             value = None
-        out.append([(str(k), float(v)) for k, v in value.items() if isinstance(v, (int, float)) and not isinstance(v, bool)] if isinstance(value, dict) else None)
+        out.append(
+            [(str(k), float(v)) for k, v in value.items() if isinstance(v, (int, float)) and not isinstance(v, bool)]
+            if isinstance(value, dict)
+            else None
+        )
     return pa.array(out, pa.map_(pa.string(), pa.float64()))
 
 
 @F.arrow_udf(T.ArrayType(T.FloatType()))
 def float32_samples(column: pa.Array) -> pa.Array:
     """Little-endian 32-bit samples of binary captures; a trailing partial sample is dropped."""
-    return pa.array([None if raw is None else np.frombuffer(raw[: len(raw) // 4 * 4], dtype="<f4") for raw in column.to_pylist()], pa.list_(pa.float32()))
+    return pa.array(
+        [None if raw is None else np.frombuffer(raw[: len(raw) // 4 * 4], dtype="<f4") for raw in column.to_pylist()],
+        pa.list_(pa.float32())
+    )
 
 
 def waveforms(spark: SparkSession, folder: str) -> DataFrame:
     """Captures under {device}/{timestamp}/{axis}_axis.bin."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.bin").load(folder)
+    files = spark.read.format("binaryFile").option(
+        "recursiveFileLookup", "true"
+    ).option("pathGlobFilter", "*.bin").load(folder)
     pattern = r"([^/]+)/([^/]+)/([xyz])_axis\.bin$"
-    return files.select(F.regexp_extract("path", pattern, 1).alias("device_id"), F.regexp_extract("path", pattern, 2).alias("ts"), F.regexp_extract("path", pattern, 3).alias("axis"), float32_samples("content").alias("samples"))
+    return files.select(
+        F.regexp_extract("path", pattern, 1).alias("device_id"),
+        F.regexp_extract("path", pattern, 2).alias("ts"),
+        F.regexp_extract("path", pattern, 3).alias("axis"),
+        float32_samples("content").alias("samples")
+    )
 
 
 def write_metrics(rows: DataFrame, folder: str, ts: str = "ts") -> None:
     """Metric rows partitioned by channel and date, so that ranges and retention prune partitions."""
-    rows.withColumn("date", F.to_date(ts)).repartition("channel", "date").write.mode("append").partitionBy("channel", "date").parquet(folder)
+    rows.withColumn(
+        "date", F.to_date(ts)
+    ).repartition("channel", "date").write.mode("append").partitionBy("channel", "date").parquet(folder)
 
 
 def route_alerts(alerts: DataFrame, folder: str) -> None:
@@ -94,17 +125,25 @@ def route_alerts(alerts: DataFrame, folder: str) -> None:
 
 def tier(age_days):
     """Storage tier of an age."""
-    return F.when(age_days <= 30, "hot").when(age_days <= 365, "cold").when(age_days <= 7 * 365, "archive").otherwise("expired")
+    return F.when(age_days <= 30, "hot").when(age_days <= 365, "cold").when(
+        age_days <= 7 * 365, "archive"
+    ).otherwise("expired")
 
 
 def csv_rows(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
     """(rows, quarantine) of CSV files with a header under a declared schema."""
-    read = spark.read.option("header", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_broken").schema(f"{schema}, _broken string").csv(path)
+    read = spark.read.option("header", True).option("mode", "PERMISSIVE").option(
+        "columnNameOfCorruptRecord", "_broken"
+    ).schema(f"{schema}, _broken string").csv(path)
     return read.where("_broken is null").drop("_broken"), read.where("_broken is not null")
 
 
-def upsert(current: DataFrame, changes: DataFrame, keys: list[str], version: list[str], summed: dict | None = None) -> DataFrame:
-    """One row for each key: the one of the latest version; columns in ``summed`` are combined over both. One shuffle by key."""
+def upsert(
+    current: DataFrame, changes: DataFrame, keys: list[str], version: list[str], summed: dict | None = None
+) -> DataFrame:
+    """One row for each key: the one of the latest version; columns in ``summed`` are combined over both. One shuffle
+    by key.
+    """
     summed = summed or {}
     rest = [c for c in current.columns if c not in keys and c not in summed]
     newest = F.max_by(F.struct(*rest), F.struct(*version)).alias("__row")
@@ -114,7 +153,9 @@ def upsert(current: DataFrame, changes: DataFrame, keys: list[str], version: lis
 
 def tenant_rows(rows: DataFrame, allowed: DataFrame, key: str, tenant: str) -> DataFrame:
     """The rows whose tenant is among the allowed ones."""
-    return rows.join(allowed.select(F.col(tenant).alias("__tenant")).distinct(), F.col(key) == F.col("__tenant"), "left_semi")
+    return rows.join(
+        allowed.select(F.col(tenant).alias("__tenant")).distinct(), F.col(key) == F.col("__tenant"), "left_semi"
+    )
 
 
 def without_subjects(rows: DataFrame, subjects: DataFrame, key: str, path: str) -> DataFrame:
@@ -129,7 +170,10 @@ def drop_partitions(spark: SparkSession, path: str, column: str, days: int) -> N
     jvm = spark._jvm
     root = jvm.org.apache.hadoop.fs.Path(path)
     fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
-    found = {s.getPath().getName().partition("=")[2]: s.getPath() for s in fs.listStatus(root) if s.getPath().getName().startswith(f"{column}=")}
+    found = {
+        s.getPath().getName().partition("=")[2]: s.getPath()
+        for s in fs.listStatus(root) if s.getPath().getName().startswith(f"{column}=")
+    }
     known = {date.fromisoformat(d): p for d, p in found.items() if d != "__HIVE_DEFAULT_PARTITION__"}
     for day, place in known.items():
         if day <= max(known) - timedelta(days=days):

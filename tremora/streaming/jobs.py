@@ -45,7 +45,9 @@ def drained(stream: DataFrame, mode: str = "append", schema: T.StructType | None
         # a batch that is run again replaces what it wrote before
         batch.write.mode("overwrite").parquet(f"{out}/batch={0 if mode == 'complete' else batch_id}")
 
-    stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).foreachBatch(keep).trigger(availableNow=True).start().awaitTermination()
+    stream.writeStream.outputMode(mode).option(
+        "checkpointLocation", checkpoint
+    ).foreachBatch(keep).trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(stream.schema).option("recursiveFileLookup", "true").parquet(out)
 
 
@@ -56,13 +58,19 @@ def deduplicated(stream: DataFrame, keys: list[str], lateness: str = LATENESS) -
 
 def window_features(stream: DataFrame, width: str, slide: str | None = None, lateness: str = LATENESS) -> DataFrame:
     w = F.window("ts", width, slide) if slide else F.window("ts", width)
-    return stream.withWatermark("ts", lateness).groupBy(F.col("event_type").alias("channel"), w.alias("w")).agg(*features(F.col("value")))
+    return stream.withWatermark("ts", lateness).groupBy(
+        F.col("event_type").alias("channel"), w.alias("w")
+    ).agg(*features(F.col("value")))
 
 
 def rollup_features(stream: DataFrame, lateness: str = LATENESS) -> DataFrame:
     """Hourly sums merged to days in a second stateful step."""
-    hourly = stream.withWatermark("ts", lateness).groupBy("event_type", F.window("ts", "1 hour").alias("w")).agg(F.count("*").alias("n"), F.sum("value").alias("s"), F.max(F.abs("value")).alias("top"))
-    return hourly.groupBy("event_type", F.window(F.window_time("w"), "1 day").alias("d")).agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.max("top").alias("peak"))
+    hourly = stream.withWatermark("ts", lateness).groupBy("event_type", F.window("ts", "1 hour").alias("w")).agg(
+        F.count("*").alias("n"), F.sum("value").alias("s"), F.max(F.abs("value")).alias("top")
+    )
+    return hourly.groupBy("event_type", F.window(F.window_time("w"), "1 day").alias("d")).agg(
+        F.sum("n").alias("n"), F.sum("s").alias("s"), F.max("top").alias("peak")
+    )
 
 
 def enriched(stream: DataFrame, assets: DataFrame, key: str) -> DataFrame:
@@ -72,14 +80,20 @@ def enriched(stream: DataFrame, assets: DataFrame, key: str) -> DataFrame:
 
 def correlated(stream: DataFrame, left: str, right: str, width: str, lateness: str = LATENESS) -> DataFrame:
     """Stream-stream join of two channels of one device within an interval."""
-    a = stream.where(F.col("event_type") == left).select("user_id", F.col("ts").alias("a_ts"), F.col("event_id").alias("a_id")).withWatermark("a_ts", lateness)
-    b = stream.where(F.col("event_type") == right).select(F.col("user_id").alias("b_user"), F.col("ts").alias("b_ts"), F.col("event_id").alias("b_id")).withWatermark("b_ts", lateness)
+    a = stream.where(F.col("event_type") == left).select(
+        "user_id", F.col("ts").alias("a_ts"), F.col("event_id").alias("a_id")
+    ).withWatermark("a_ts", lateness)
+    b = stream.where(F.col("event_type") == right).select(
+        F.col("user_id").alias("b_user"), F.col("ts").alias("b_ts"), F.col("event_id").alias("b_id")
+    ).withWatermark("b_ts", lateness)
     near = F.expr(f"user_id = b_user and b_ts between a_ts - interval {width} and a_ts + interval {width}")
     return a.join(b, near).select("user_id", "a_id", "b_id")
 
 
 class Throttle(StatefulProcessor):
-    """Emits an alert unless one was emitted within the quiet time before. A device's state goes once the watermark has passed its quiet time."""
+    """Emits an alert unless one was emitted within the quiet time before. A device's state goes once the watermark
+    has passed its quiet time.
+    """
 
     def __init__(self, quiet_us: int):
         self.quiet_us = quiet_us
@@ -120,17 +134,24 @@ class Lifecycle(StatefulProcessor):
     RANK = {"OPEN": 0, "ACKNOWLEDGED": 1, "RESOLVED": 2}
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("state", T.StructType([T.StructField("rank", T.IntegerType()), T.StructField("illegal", T.LongType())]))
+        self.state = handle.getValueState(
+            "state", T.StructType([T.StructField("rank", T.IntegerType()), T.StructField("illegal", T.LongType())])
+        )
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         rank, illegal = self.state.get() if self.state.exists() else (-1, 0)
-        steps = sorted((us, self.RANK[s]) for frame in rows for us, s in zip(frame["us"].tolist(), frame["status"].tolist(), strict=True))
+        steps = sorted(
+            (us, self.RANK[s]) for frame in rows for us,
+            s in zip(frame["us"].tolist(), frame["status"].tolist(), strict=True)
+        )
         for _, step in steps:
             illegal += step < rank
             rank = max(rank, step)
         self.state.update((rank, illegal))
         name = next(n for n, r in self.RANK.items() if r == rank)
-        yield pd.DataFrame({"alert_id": [key[0]], "status": [name], "illegal": [illegal]}).astype({"alert_id": "int64", "illegal": "int64"})
+        yield pd.DataFrame(
+            {"alert_id": [key[0]], "status": [name], "illegal": [illegal]}
+        ).astype({"alert_id": "int64", "illegal": "int64"})
 
     def close(self) -> None:
         pass
@@ -172,7 +193,11 @@ class Escalation(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         # alerts that wait: when, which, and the next level
-        self.open = handle.getMapState("open", T.StructType([T.StructField("id", T.LongType())]), T.StructType([T.StructField("us", T.LongType()), T.StructField("level", T.IntegerType())]))
+        self.open = handle.getMapState(
+            "open",
+            T.StructType([T.StructField("id", T.LongType())]),
+            T.StructType([T.StructField("us", T.LongType()), T.StructField("level", T.IntegerType())])
+        )
 
     def _raise(self, waiting: dict, until: int, out: list) -> None:
         """Levels that fall due up to a time."""
@@ -198,7 +223,11 @@ class Escalation(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         waiting, out = {k[0]: tuple(v) for k, v in self.open.iterator()}, []
-        events = sorted((us, kind, i) for frame in rows for us, kind, i in zip(frame["us"].tolist(), frame["kind"].tolist(), frame["event_id"].tolist(), strict=True))
+        events = sorted(
+            (us, kind, i) for frame in rows for us,
+            kind,
+            i in zip(frame["us"].tolist(), frame["kind"].tolist(), frame["event_id"].tolist(), strict=True)
+        )
         for us, kind, i in events:
             if kind == "ack":
                 self._raise(waiting, us - 1, out)  # an acknowledgement in the same instant is in time
@@ -237,7 +266,14 @@ class Progress(StreamingQueryListener):
 
     def onQueryProgress(self, event) -> None:  # noqa: N802
         p = event.progress
-        self.batches.append({"batch": p.batchId, "rows": p.numInputRows, "per_second": p.processedRowsPerSecond, "observed": {k: v.asDict() for k, v in p.observedMetrics.items()}})
+        self.batches.append(
+            {
+                "batch": p.batchId,
+                "rows": p.numInputRows,
+                "per_second": p.processedRowsPerSecond,
+                "observed": {k: v.asDict() for k, v in p.observedMetrics.items()}
+            }
+        )
 
 
 def with_state(spark: SparkSession) -> None:
@@ -247,22 +283,32 @@ def with_state(spark: SparkSession) -> None:
 
 def throttled(stream: DataFrame, quiet_us: int, lateness: str = LATENESS) -> DataFrame:
     with_state(stream.sparkSession)
-    rows = stream.withWatermark("ts", lateness).select(F.col("user_id").alias("device_id"), F.unix_micros("ts").alias("us"), "ts")
-    return rows.groupBy("device_id").transformWithStateInPandas(Throttle(quiet_us), "device_id long, us long", "Append", "EventTime")
+    rows = stream.withWatermark("ts", lateness).select(
+        F.col("user_id").alias("device_id"), F.unix_micros("ts").alias("us"), "ts"
+    )
+    return rows.groupBy("device_id").transformWithStateInPandas(
+        Throttle(quiet_us), "device_id long, us long", "Append", "EventTime"
+    )
 
 
 def lifecycle(stream: DataFrame) -> DataFrame:
     """From a stream of (alert_id, ts, status): the state after each batch."""
     with_state(stream.sparkSession)
     rows = stream.select("alert_id", F.unix_micros("ts").alias("us"), "status")
-    return rows.groupBy("alert_id").transformWithStateInPandas(Lifecycle(), "alert_id long, status string, illegal long", "Update", "None")
+    return rows.groupBy("alert_id").transformWithStateInPandas(
+        Lifecycle(), "alert_id long, status string, illegal long", "Update", "None"
+    )
 
 
 def silent(stream: DataFrame, limit_ms: int, lateness: str = "0 seconds") -> DataFrame:
     """Devices whose silence passed the limit, by event time."""
     with_state(stream.sparkSession)
-    rows = stream.withWatermark("ts", lateness).select(F.col("user_id").alias("device_id"), F.unix_millis("ts").alias("ms"), "ts")
-    return rows.groupBy("device_id").transformWithStateInPandas(Heartbeat(limit_ms), "device_id long, last_ms long", "Append", "EventTime")
+    rows = stream.withWatermark("ts", lateness).select(
+        F.col("user_id").alias("device_id"), F.unix_millis("ts").alias("ms"), "ts"
+    )
+    return rows.groupBy("device_id").transformWithStateInPandas(
+        Heartbeat(limit_ms), "device_id long, last_ms long", "Append", "EventTime"
+    )
 
 
 def scored(stream: DataFrame, score: Callable[[pd.DataFrame], pd.Series], schema: str) -> DataFrame:
@@ -278,10 +324,19 @@ def scored(stream: DataFrame, score: Callable[[pd.DataFrame], pd.Series], schema
 def escalated(stream: DataFrame, steps_us: list[int], lateness: str = LATENESS) -> DataFrame:
     """(alert_id, level) as alerts (kind "alert") stay without an acknowledgement (kind "ack") of their device."""
     with_state(stream.sparkSession)
-    rows = stream.withWatermark("ts", lateness).select(F.col("user_id").alias("device_id"), F.unix_micros("ts").alias("us"), "kind", "event_id", "ts")
-    return rows.groupBy("device_id").transformWithStateInPandas(Escalation(steps_us), "alert_id long, level int", "Append", "EventTime")
+    rows = stream.withWatermark("ts", lateness).select(
+        F.col("user_id").alias("device_id"), F.unix_micros("ts").alias("us"), "kind", "event_id", "ts"
+    )
+    return rows.groupBy("device_id").transformWithStateInPandas(
+        Escalation(steps_us), "alert_id long, level int", "Append", "EventTime"
+    )
 
 
 def observed(stream: DataFrame, name: str) -> DataFrame:
     """The stream with counts that a ``Progress`` listener sees for each batch."""
-    return stream.observe(name, F.count("*").alias("n"), F.count_if(F.col("value").isNull() | (F.col("value") < 0)).alias("bad"), F.max("ts").cast("string").alias("latest"))
+    return stream.observe(
+        name,
+        F.count("*").alias("n"),
+        F.count_if(F.col("value").isNull() | (F.col("value") < 0)).alias("bad"),
+        F.max("ts").cast("string").alias("latest")
+    )
