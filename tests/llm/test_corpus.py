@@ -47,8 +47,7 @@ def odd(spark):
     ]
     rows = [
         (i - 2, t, None if i % 5 == 4 else ("en", "de")[i % 2], None if i % 7 == 3 else f"s{i % 3}", 0, "b", 1, "m", 2)
-        for i,
-        t in enumerate(texts)
+        for i, t in enumerate(texts)
     ]
     return spark.createDataFrame(
         [
@@ -209,8 +208,8 @@ def test_edited_passages_are_found(spark):
             for kinds in (["change"], ["change", "insert", "delete"]):
                 for _ in range(10):
                     body = [
-                        f"p{int(i)}" if rng.random() < 0.5 else w for i,
-                        w in zip(rng.integers(0, 3000, n), fresh(n), strict=True)
+                        f"p{int(i)}" if rng.random() < 0.5 else w
+                        for i, w in zip(rng.integers(0, 3000, n), fresh(n), strict=True)
                     ]
                     other = edited(rng, body, rate, kinds)
                     agree = lcs(body, other)
@@ -226,8 +225,8 @@ def test_edited_passages_are_found(spark):
     for r in fuzzy_passages.fuzzy_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect():
         got[r["doc_id"], r["home"]].append((r["start"], r["end"]))
     found = {
-        k: len({i for a, b in got.get((k, home), []) for i in range(max(a, s), min(b, e))}) / (e - s) for k,
-        (home, s, e, _) in planted.items()
+        k: len({i for a, b in got.get((k, home), []) for i in range(max(a, s), min(b, e))}) / (e - s)
+        for k, (home, s, e, _) in planted.items()
     }
     for rate in (0.0, 0.05, 0.1, 0.15, 0.2):
         own = [found[k] for k, v in planted.items() if v[3] == rate]
@@ -260,9 +259,8 @@ def test_chains_bridge_gaps_in_order():
     rng = np.random.default_rng(1)
     for _ in range(30):
         items = [
-            (int(x), int(x) + int(n), int(y), int(y) + int(n)) for x,
-            y,
-            n in zip(rng.integers(0, 80, 6), rng.integers(0, 80, 6), rng.integers(5, 20, 6), strict=True)
+            (int(x), int(x) + int(n), int(y), int(y) + int(n))
+            for x, y, n in zip(rng.integers(0, 80, 6), rng.integers(0, 80, 6), rng.integers(5, 20, 6), strict=True)
         ]
         first = fuzzy_passages.chain(items)[0]
         inside = [a for a in items if first[0] <= a[0] and a[1] <= first[1] and first[2] <= a[2] and a[3] <= first[3]]
@@ -383,8 +381,8 @@ def test_junk_goes_and_clean_texts_that_quote_stay(spark, sf):
     encoded = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
     word = lambda letters, n: "".join(rng.choice(list(letters), n))
     junk = [
-        (10**6 + i, " ".join(word(letters, int(rng.integers(2, 9))) for _ in range(400)), "en") for i,
-        letters in enumerate([signs, encoded, signs[:30], "bcdfghjklmnpqrstvwxz"] * 5)
+        (10**6 + i, " ".join(word(letters, int(rng.integers(2, 9))) for _ in range(400)), "en")
+        for i, letters in enumerate([signs, encoded, signs[:30], "bcdfghjklmnpqrstvwxz"] * 5)
     ]
     quoting = [
         (
@@ -392,8 +390,7 @@ def test_junk_goes_and_clean_texts_that_quote_stay(spark, sf):
             r["text"][: len(r["text"]) * 2 // 3] + " " + e[: len(r["text"]) // 4] + " " + word("0123456789abcdef", 64),
             r["lang"]
         )
-        for i,
-        (r, e) in enumerate(zip(others, english, strict=True))
+        for i, (r, e) in enumerate(zip(others, english, strict=True))
     ]
     both = docs.union(spark.createDataFrame(junk + quoting, docs.schema))
     left = {r["doc_id"] for r in quality_rules.filter_documents(both).select("doc_id").collect()}

@@ -506,11 +506,7 @@ def align(
                         strict=True
                     )
                 )
-                for s,
-                e,
-                t,
-                f,
-                n in parts
+                for s, e, t, f, n in parts
             ]
         )
         goes_on.append(on)
@@ -603,8 +599,7 @@ def left_over(found: DataFrame, linked: DataFrame, passages: DataFrame) -> DataF
             F.col("seed").alias("b"),
             F.col("home").alias("c")
         )
-        for d,
-        p in (("doc", "pos"), ("home", "hpos"))
+        for d, p in (("doc", "pos"), ("home", "hpos"))
     ]
     done = [
         passages.select(
@@ -614,9 +609,7 @@ def left_over(found: DataFrame, linked: DataFrame, passages: DataFrame) -> DataF
             F.col(b).cast("long").alias("b"),
             F.lit(0).cast("long").alias("c")
         )
-        for d,
-        a,
-        b in (("doc", "start", "end"), ("home", "home_start", "home_end"))
+        for d, a, b in (("doc", "start", "end"), ("home", "home_start", "home_end"))
     ]
     rows = held[0].union(held[1].distinct()).union(done[0]).union(done[1].distinct())
 

@@ -33,8 +33,9 @@ MEDIA_SLICE = 512 << 10
 #: Fixed values of the format: coefficient order within a block.
 ZIGZAG = np.array(
     [
-        r * 8 + c for s in range(15) for r,
-        c in sorted(((r, s - r) for r in range(8) if 0 <= s - r < 8), key=lambda x: x[0] if s % 2 else x[1])
+        r * 8 + c
+        for s in range(15)
+        for r, c in sorted(((r, s - r) for r in range(8) if 0 <= s - r < 8), key=lambda x: x[0] if s % 2 else x[1])
     ]
 )
 
@@ -119,8 +120,7 @@ def encode(payloads: list[bytes]) -> list[bytes]:
     flat = np.insert(stuffed, np.repeat(begin[1:], 2), marks.ravel())
     ends = (begin + 2 * np.arange(len(begin)))[file_first]
     return [
-        _header(n, a, d) + flat[s:e].tobytes() for n,
-        (a, d),
+        _header(n, a, d) + flat[s:e].tobytes() for n, (a, d),
         s,
         e in zip(sizes, grids, ends[:-1], ends[1:], strict=True)
     ]
@@ -429,9 +429,8 @@ class Picture:
         if len(segments) != -(-units // step):
             raise ValueError("restart markers don't match the frame")
         layout = [
-            (name == self.first, 1 if alone else parts[name][0], 1 if alone else parts[name][1], dc, ac) for name,
-            dc,
-            ac in own
+            (name == self.first, 1 if alone else parts[name][0], 1 if alone else parts[name][1], dc, ac)
+            for name, dc, ac in own
         ]
         wide = next((h for kept, h, _, _, _ in layout if kept), 0) * columns
         tall = next((v for kept, _, v, _, _ in layout if kept), 0) * lines
@@ -554,8 +553,7 @@ def text_to_jpeg(column: pa.Array) -> pa.Array:
 
 FEATURES = T.StructType(
     [
-        T.StructField(n, t) for n,
-        t in (
+        T.StructField(n, t) for n, t in (
             ("payload_bytes", T.LongType()),
             ("payload_sha256", T.StringType()),
             ("tail_crc32", T.LongType()),

@@ -247,8 +247,8 @@ def _sql() -> str:
             )
             step += 1
         apart = ", ".join(
-            f"(SELECT max(abs(x)) FROM (SELECT sum(e) - any_value(t{i}) AS x FROM w{step} GROUP BY {dim}))" for i,
-            dim in enumerate(DIMENSIONS)
+            f"(SELECT max(abs(x)) FROM (SELECT sum(e) - any_value(t{i}) AS x FROM w{step} GROUP BY {dim}))"
+            for i, dim in enumerate(DIMENSIONS)
         )
         rounds.append(
             f"SELECT {r} AS r, greatest({apart}) / (SELECT b FROM b) AS x, source, lang, topic, n, e FROM w{step}"

@@ -111,9 +111,8 @@ class JoinedWords:
             raw, size = ids.tobytes(), self.dtype.itemsize
             if len(cuts) == len(part) - 1:
                 found.update(
-                    (w, raw[a * size : b * size]) for w,
-                    a,
-                    b in zip(part, [0, *(c + 1 for c in cuts)], [*cuts, len(ids)], strict=True)
+                    (w, raw[a * size : b * size])
+                    for w, a, b in zip(part, [0, *(c + 1 for c in cuts)], [*cuts, len(ids)], strict=True)
                 )
         return [found[w] if w in found else np.array(self.ids(w), dtype=self.dtype).tobytes() for w in words]
 

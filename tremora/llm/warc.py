@@ -432,8 +432,8 @@ def read_archives(archives: DataFrame) -> DataFrame:
 
         kinds = pa.schema(
             [
-                (n, {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}[t]) for n,
-                t in (x.split() for x in schema.split(", "))
+                (n, {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}[t])
+                for n, t in (x.split() for x in schema.split(", "))
             ]
         )
         batch_of = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), kinds, strict=True)], schema=kinds)
