@@ -71,8 +71,7 @@ def main(sf_dir, chosen):
                     bad.append(name)
                     print("   ", sorted(kinds), list((got - want).items())[:2], list((want - got).items())[:2])
                 odd = {
-                    n: (t, kinds.get(n)) for n,
-                    t in frame.dtypes
+                    n: (t, kinds.get(n)) for n, t in frame.dtypes
                     if {
                         "bigint": "BIGINT",
                         "int": "INTEGER",

@@ -342,8 +342,9 @@ def test_quantiles_ranks_and_trailing_sums(spark):
 
     rng = np.random.default_rng(3)
     rows = [
-        (g, i, float(v)) for g in "ab" for i,
-        v in enumerate(np.concatenate((rng.normal(size=400), np.full(50, 1.5), [1e9])))
+        (g, i, float(v))
+        for g in "ab"
+        for i, v in enumerate(np.concatenate((rng.normal(size=400), np.full(50, 1.5), [1e9])))
     ] + [("c", 0, 7.0), ("d", 0, None)]
     frame = spark.createDataFrame(rows, "g string, i long, v double")
     for q in (0.0, 0.3, 0.5, 0.99, 1.0):

@@ -222,8 +222,8 @@ def alert_escalation(spark, sf_dir):
     steps = F.explode(
         F.array(
             *(
-                F.struct(F.lit(k).alias("level"), F.lit(m * MINUTE).cast("long").alias("after")) for k,
-                m in ((1, 60), (2, 240), (3, 1440))
+                F.struct(F.lit(k).alias("level"), F.lit(m * MINUTE).cast("long").alias("after"))
+                for k, m in ((1, 60), (2, 240), (3, 1440))
             )
         )
     ).alias("s")

@@ -131,9 +131,8 @@ def displacement_power_factor(spark, sf_dir):
     parts = rows.select(
         "vec_id",
         *(
-            part(F.col(x), f).alias(n) for x,
-            f,
-            n in (("v", F.cos, "vr"), ("v", F.sin, "vi"), ("i", F.cos, "ir"), ("i", F.sin, "ii"))
+            part(F.col(x), f).alias(n)
+            for x, f, n in (("v", F.cos, "vr"), ("v", F.sin, "vi"), ("i", F.cos, "ir"), ("i", F.sin, "ii"))
         )
     )
     size = F.sqrt(

@@ -141,8 +141,9 @@ class Lifecycle(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         rank, illegal = self.state.get() if self.state.exists() else (-1, 0)
         steps = sorted(
-            (us, self.RANK[s]) for frame in rows for us,
-            s in zip(frame["us"].tolist(), frame["status"].tolist(), strict=True)
+            (us, self.RANK[s])
+            for frame in rows
+            for us, s in zip(frame["us"].tolist(), frame["status"].tolist(), strict=True)
         )
         for _, step in steps:
             illegal += step < rank
@@ -224,9 +225,11 @@ class Escalation(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         waiting, out = {k[0]: tuple(v) for k, v in self.open.iterator()}, []
         events = sorted(
-            (us, kind, i) for frame in rows for us,
-            kind,
-            i in zip(frame["us"].tolist(), frame["kind"].tolist(), frame["event_id"].tolist(), strict=True)
+            (us, kind, i)
+            for frame in rows
+            for us, kind, i in zip(
+                frame["us"].tolist(), frame["kind"].tolist(), frame["event_id"].tolist(), strict=True
+            )
         )
         for us, kind, i in events:
             if kind == "ack":
