@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tremora.llm.textscan import U, Words, column_of, mix, shingle_hashes, slices, text_buffers
-from tremora.session import cut
+from tremora.session import cut, forget
 
 WIDTH = 5
 BANDS, ROWS = 32, 4
@@ -147,8 +147,8 @@ def similar(left: pa.Array, right: pa.Array) -> pa.Array:
     """Whether the full shingle sets of two texts reach the threshold."""
     out, at = [], 0
     sizes = pa.record_batch([left, right], names=["x", "y"])
-    for part in slices(sizes, "x", 512 << 10):
-        for own in slices(part, "y", 512 << 10):
+    for part in slices(sizes, "x", 256 << 10):
+        for own in slices(part, "y", 256 << 10):
             (ha, ra, _), (hb, rb, _) = shingle_sets(own.column(0)), shingle_sets(own.column(1))
             total = own.num_rows
             spread = U(0x9E3779B97F4A7C15)
@@ -178,7 +178,7 @@ def long_bits(texts: DataFrame) -> DataFrame:
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "t", 256 << 10):
+            for part in slices(batch, "t", 64 << 10):
                 hashes, rows, _ = shingle_sets(column_of(part, "t"))
                 bits = low_bits(minima(hashes, rows, LONG))
                 keys = column_of(part, "k").take(pa.array(np.unique(rows)))
@@ -242,16 +242,21 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     base = cut(signed(docs, key, text), "signed")
     some = base.where("n > 0")
     classes = some.groupBy("d1", "d2").agg(F.min("doc").alias("rep"))
-    firsts = some.join(classes, ["d1", "d2"]).where("doc = rep").select(
-        "doc", "n", "s1", "s2", "bands"
-    ).dropDuplicates(["doc"])
-    bands = firsts.select("doc", "n", "s1", "s2", F.posexplode("bands").alias("band", "bucket"))
-    leads = bands.groupBy("bucket").agg(
-        F.min(F.struct("doc", "n", "s1", "s2")).alias("lead"), F.count("*").alias("size")
-    ).where("size > 1")
+    firsts = some.join(classes, ["d1", "d2"]).where("doc = rep").select("doc", "n", "s1", "s2", "bands")
+    firsts = cut(firsts.dropDuplicates(["doc"]), "firsts")
+    # only keys are dealt by bucket; what shares one gets its signature afterwards
+    bands = firsts.select("doc", F.posexplode("bands").alias("band", "bucket"))
+    leads = bands.groupBy("bucket").agg(F.min("doc").alias("first"), F.count("*").alias("size")).where("size > 1")
+    shared = cut(bands.join(cut(leads, "leads"), "bucket"), "shared")
+    signatures = firsts.select("doc", "n", "s1", "s2")
+    lead = signatures.select(F.col("doc").alias("first"), F.struct("doc", "n", "s1", "s2").alias("lead"))
     grouped = cut(
-        bands.join(leads, "bucket").select("bucket", "band", "size", "doc", "n", "s1", "s2", "lead"), "grouped"
+        shared.join(signatures, "doc").join(lead, "first").select(
+            "bucket", "band", "size", "doc", "n", "s1", "s2", "lead"
+        ),
+        "grouped"
     )
+    forget(shared)
     star = grouped.select(
         "doc",
         "n",

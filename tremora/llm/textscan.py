@@ -11,7 +11,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 1 << 20
+#: Small enough for the arrays of a slice to stay in a core's cache, and for a worker to stay small.
+SLICE_BYTES = 256 << 10
 
 IS_SPACE = np.zeros(256, dtype=bool)
 IS_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -42,7 +43,7 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
             steps = np.full(max(n, 1 << 16), base, dtype=U)
             steps[0] = 1
             found[name] = np.multiply.accumulate(steps)
-        if n > 2 * SLICE_BYTES:
+        if n > 1 << 21:
             return found["up"], found["down"]
         _powers.update(found)
     return _powers["up"], _powers["down"]

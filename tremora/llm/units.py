@@ -17,7 +17,7 @@ REMEMBERED = 100_000
 #: Longer units are encoded without being remembered.
 LONGEST_REMEMBERED = 48
 #: Bytes of text whose units are made distinct together.
-UNIT_SLICE = 2 << 20
+UNIT_SLICE = 1 << 20
 
 
 class UnitIds:
