@@ -303,8 +303,9 @@ def alert_assignment(spark, sf_dir):
 def purchase_order_rows(spark, sf_dir):
     """Order rows for parts at or below the reorder point."""
     suppliers = table(spark, sf_dir, "supplier")
-    n = suppliers.count()
-    low = table(spark, sf_dir, "part").where("p_size <= 10").withColumn("s_suppkey", F.col("p_partkey") % n + 1)
+    total = F.broadcast(suppliers.agg(F.count("*").alias("n")).withColumn("one", F.lit(1)))  # one row
+    low = table(spark, sf_dir, "part").where("p_size <= 10").withColumn("one", F.lit(1)).join(total, "one")
+    low = low.withColumn("s_suppkey", F.col("p_partkey") % F.col("n") + 1)
     return low.join(suppliers, "s_suppkey").select(
         F.col("p_partkey").alias("part_no"),
         F.col("s_name").alias("supplier"),

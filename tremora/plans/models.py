@@ -198,9 +198,10 @@ def attribution_linear(spark, sf_dir):
     rows = table(spark, sf_dir, "embeddings").select(
         "vec_id", *(F.col("embedding")[i].cast("double").alias(n) for n, (i, _) in weights.items())
     )
-    means = rows.agg(*(F.avg(n).alias(n) for n in weights)).first()
-    return rows.select(
-        "vec_id", *(tidy(F.lit(w) * (F.col(n) - F.lit(means[n]))).alias(n) for n, (_, w) in weights.items())
+    means = rows.agg(*(F.avg(n).alias(f"mean_{n}") for n in weights)).withColumn("one", F.lit(1))
+    centred = rows.withColumn("one", F.lit(1)).join(F.broadcast(means), "one")  # one row
+    return centred.select(
+        "vec_id", *(tidy(F.lit(w) * (F.col(n) - F.col(f"mean_{n}"))).alias(n) for n, (_, w) in weights.items())
     )
 
 
