@@ -103,3 +103,21 @@ def test_events_are_read_from_a_file_and_from_a_folder_of_parts(spark, sf, tmp_p
     events.repartition(3).write.parquet(str(tmp_path / "events.parquet"))
     assert jobs.drained(jobs.event_stream(spark, sf)).count() == events.count() > 0
     assert jobs.drained(jobs.event_stream(spark, str(tmp_path))).count() == events.count()
+
+
+def test_a_restarted_stream_goes_on_from_its_checkpoint(spark, tmp_path):
+    """State and offsets outlive the run: the second run sees the second file alone, and still knows the last alert."""
+    at = lambda minutes: datetime.datetime(2024, 1, 1) + datetime.timedelta(minutes=minutes)
+    source = tmp_path / "events.parquet"
+    schema = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
+    write = lambda minutes: spark.createDataFrame([(m, at(m), 7, "error", 1.0, None) for m in minutes], schema).coalesce(1).write.mode("append").parquet(str(source))
+    write([0, 5, 20])
+    out, state = str(tmp_path / "out"), str(tmp_path / "state")
+    run = lambda: jobs.continued(jobs.throttled(jobs.event_stream(spark, str(tmp_path)), 15 * 60 * 1_000_000), out, state)
+    emitted = lambda: sorted(r["us"] // 60_000_000 - 28401120 for r in spark.read.option("recursiveFileLookup", "true").parquet(out).collect())
+    run()
+    assert emitted() == [0, 20]
+    write([30, 36])
+    run()
+    run()
+    assert emitted() == [0, 20, 36]

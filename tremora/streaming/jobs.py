@@ -34,20 +34,25 @@ def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def drained(stream: DataFrame, mode: str = "append", schema: T.StructType | None = None) -> DataFrame:
-    """Run a stream over what there is and return the rows that it wrote, as a table in the shared folder."""
-    spark = stream.sparkSession
-    out, checkpoint = scratch(spark, "stream"), scratch(spark, "stream-state")
-    empty = spark.createDataFrame([], stream.schema)
-    empty.write.parquet(out)
+def continued(stream: DataFrame, out: str, checkpoint: str, mode: str = "append") -> None:
+    """Run a stream over what has come since it last ran under this checkpoint, and add what it writes to a table.
+
+    A run that was cut off goes on where it stopped: a batch that is run again replaces what it wrote before.
+    """
 
     def keep(batch: DataFrame, batch_id: int) -> None:
-        # a batch that is run again replaces what it wrote before
         batch.write.mode("overwrite").parquet(f"{out}/batch={0 if mode == 'complete' else batch_id}")
 
-    stream.writeStream.outputMode(mode).option(
-        "checkpointLocation", checkpoint
-    ).foreachBatch(keep).trigger(availableNow=True).start().awaitTermination()
+    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).foreachBatch(keep)
+    writer.trigger(availableNow=True).start().awaitTermination()
+
+
+def drained(stream: DataFrame, mode: str = "append", schema: T.StructType | None = None) -> DataFrame:
+    """Run a stream over what there is and return the rows that it wrote, as a table in the shared folder."""
+    spark = stream.sparkSession
+    out = scratch(spark, "stream")
+    spark.createDataFrame([], stream.schema).write.parquet(out)
+    continued(stream, out, scratch(spark, "stream-state"), mode)
     return spark.read.schema(stream.schema).option("recursiveFileLookup", "true").parquet(out)
 
 
