@@ -28,6 +28,8 @@ TEMPER = 0.5
 BUDGET = 0.6
 #: Cell tables up to this many rows are broadcast, larger ones are joined by shuffle.
 BROADCAST_CELLS = 100_000
+#: Cells in a partition of the tables of each round; one partition is raked without a shuffle.
+CELLS_PER_PART = 50_000
 DIMENSIONS = ("source", "lang", "topic")
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -78,6 +80,7 @@ def targets_of(
     for held in own[1:]:
         table = table.union(held)
     table = cut(table, "marginals")
+    table = table.coalesce(table.count() // CELLS_PER_PART + 1)
     # of each marginal: the budget, and the rate at which shares become tokens, raised as values reach all that they
     # have
     rates = table.groupBy("dim").agg(
@@ -141,11 +144,13 @@ def rake(
     dimensions.
     """
     targets = cut(targets_of(cells, budget, shares, dimensions, temper), "targets")
-    raked = cells.withColumn("e", F.col("n") * F.lit(float(budget)))
+    targets = targets.coalesce(targets.count() // CELLS_PER_PART + 1)
+    parts = cells.count() // CELLS_PER_PART + 1
+    raked = cells.coalesce(parts).withColumn("e", F.col("n") * F.lit(float(budget)))
     for _ in range(rounds):
         for d in dimensions:
             raked = _moved(raked, d, targets)
-        raked = cut(raked, "raked")
+        raked = cut(raked.coalesce(parts), "raked").coalesce(parts)
         if residual(raked, targets, dimensions) < tolerance:
             break
     return raked
