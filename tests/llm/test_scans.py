@@ -162,12 +162,61 @@ def test_long_runs_take_linear_time():
         "password " * 200_000,
         "MIIEpAIBAAKCAQEA" + "A\n" * 500_000
     ]
+    runs += [
+        "MII//AIB" * 600_000,
+        "MII//AIB" + "A\n" * 20_000 + "MII//AIBMII//AIB\n" * 250_000,
+        "MII//AIBMII//AIB\nA\nA\n" * 200_000,
+        "MII//gIBADCCAgQwggIE" * 200_000,
+        "3082ffff020100" * 350_000,
+        "3082fffe0201003082fff7040130" * 150_000,
+        "30:82:ff:ff:02:01:00:" * 240_000,
+        "b3BlbnNzaC1rZXktdjE x " * 200_000
+    ]
     for run in runs:
         began = time.process_time()
         secrets.scan_slice(pa.array([run]))
         assert time.process_time() - began < 4, run[:40]
 
 
+def test_heads_tell_what_whole_keys_tell():
+    """The walk over heads accepts what the parse of whole bytes accepts, for keys, broken keys and more bytes behind."""
+    rng = np.random.default_rng(5)
+    cases = []
+    for key in keys_of_all_kinds():
+        cases += [key, key[:-1], key + b"xx", key[:9] + b"\x85" + key[9:]]
+        for _ in range(300):
+            changed = bytearray(key)
+            for at in rng.integers(0, min(len(key), 60), rng.integers(1, 3)):
+                changed[at] = rng.choice([0, 1, 2, 3, 4, 6, 0x30, 0x82, 0x81, rng.integers(0, 256)])
+            cases.append(bytes(changed))
+    size = max(map(len, cases)) + 8
+    data = np.array([np.frombuffer(c.ljust(size, b"\0"), dtype=np.uint8) for c in cases]).astype(np.int64)
+    got = secrets.der_key_sizes(
+        lambda which, at: data[which, np.minimum(at, size - 1)], np.array([len(c) for c in cases])
+    )
+    for case, n in zip(cases, got.tolist(), strict=True):
+        outer = 2 + (case[1] & 0x7F if case[1] & 0x80 else 0)
+        told = int.from_bytes(case[2:outer], "big") if outer > 2 else case[1]
+        whole = case[: outer + told]
+        assert n == (len(whole) if len(whole) == outer + told and secrets.is_private_key(whole) else 0), case.hex()
+
+
+def test_key_containers_end_where_their_fields_end(spark):
+    field = lambda b: len(b).to_bytes(4, "big") + b
+    box = b"openssh-key-v1\0" + field(b"none") + field(b"none") + field(b"") + (1).to_bytes(4, "big")
+    box += field(bytes(51)) + field(bytes(136))
+    body = base64.b64encode(box).decode()
+    lines = "\n".join(body[i : i + 70] for i in range(0, len(body), 70))
+    frame = spark.createDataFrame(
+        [(0, f"see {body} and so on"), (1, f"{lines}\nand more"), (2, body[:30])], "doc_id long, text string"
+    )
+    found = {
+        r["doc_id"]: [r["text"][s["start"] : s["end"]] for s in r["secrets"] if s["kind"] == "private_key"]
+        for r in secrets.find_secrets(frame).collect()
+    }
+    assert found == {0: [body], 1: [lines], 2: []}
+
+
 def test_secret_scan_of_an_empty_table(docs):
     assert secrets.find_secrets(docs.limit(0)).collect() == []
 

@@ -17,7 +17,7 @@ import base64
 import binascii
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -60,11 +60,13 @@ DER_COLONS = re.compile(
     rb"3(?=0:(?:82:[0-9A-Fa-f]{2}:[0-9A-Fa-f]{2}|81:[0-9A-Fa-f]{2}|[0-7][0-9A-Fa-f]):(?:02:01:0[0-9]|30:(?:82:[0-9A-Fa-f]{2}:[0-9A-Fa-f]{2}|81:[0-9A-Fa-f]{2}|[0-7][0-9A-Fa-f]):06:09))"
 )
 OPENSSH, NESTED = b"b3BlbnNzaC1rZXktdjE", b"LS0tLS1CRUdJTi"
-SPACED_BASE64, BASE64 = re.compile(rb"[A-Za-z0-9+/_\s-]*={0,2}"), re.compile(rb"[A-Za-z0-9+/_-]*={0,2}")
+OPENSSH_BASE64, BASE64 = re.compile(OPENSSH), re.compile(rb"[A-Za-z0-9+/_-]*={0,2}")
 #: The object identifiers of password-based encryption (PKCS#5 and PKCS#12) begin so.
 CIPHERS = (bytes.fromhex("2a864886f70d0105"), bytes.fromhex("2a864886f70d010c01"))
 #: The shortest candidate that lies within one run of characters other than white space.
 LEAST_RUN = 20
+#: No private key has as many elements, or keys in a container.
+MOST_ELEMENTS = 16
 LEAST_SECRET = 6
 
 
@@ -129,16 +131,6 @@ def is_private_key(data: bytes) -> bool:
     return len(tags) >= 2 and tags[1] == 0x04 and inner[1][2] - inner[1][1] >= 16
 
 
-def der_size(data: bytes) -> int:
-    """Bytes of the element that begins here, with its head."""
-    if len(data) < 2 or data[1] == 0x80:
-        return 0
-    if data[1] < 0x80:
-        return 2 + data[1]
-    width = data[1] & 0x7F
-    return 2 + width + int.from_bytes(data[2 : 2 + width], "big") if width <= 2 else 0
-
-
 def is_signed_token(text: bytes) -> bool:
     """Header and payload are JSON objects, the header names an algorithm and the signature decodes."""
     head, body, signature = text.split(b".")
@@ -183,37 +175,154 @@ def _tokens(dotted: bytes, base: int) -> Iterator[tuple[int, int, int]]:
                 break
 
 
+def _heads(byte: Callable, which: np.ndarray, at: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(fits, tag, start, stop) of the element whose head stands at each position, read a few bytes at a time."""
+    tag, size = byte(which, at), byte(which, at + 1)
+    width = np.where(size & 0x80, size & 0x7F, 0)
+    fits = (at + 2 + width <= end) & (width <= 4) & (size != 0x80)
+    number = np.zeros(len(at), dtype=np.int64)
+    for k in range(4):
+        number = np.where(k < width, number << 8 | byte(which, at + 2 + k), number)
+    start = at + 2 + width
+    stop = start + np.where(width > 0, number, size)
+    return fits & (stop <= end), tag, start, stop
+
+
+def _walk(byte: Callable, which: np.ndarray, at: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(number, tags, starts, stops) of the elements that fill each range exactly; the number is 0 where they don't or
+    are more than any key has. Only heads are read, so a range costs the same whatever it claims to hold.
+    """
+    n = len(which)
+    number, alive = np.zeros(n, dtype=np.int64), np.arange(n)
+    tags, starts, stops = (np.full((n, MOST_ELEMENTS), -1, dtype=np.int64) for _ in range(3))
+    at = at.copy()
+    for k in range(MOST_ELEMENTS):
+        fits, tag, start, stop = _heads(byte, which[alive], at[alive], end[alive])
+        alive = alive[fits]
+        tags[alive, k], starts[alive, k], stops[alive, k] = tag[fits], start[fits], stop[fits]
+        at[alive] = stop[fits]
+        done = at[alive] == end[alive]
+        number[alive[done]] = k + 1
+        alive = alive[~done]
+        if not len(alive):
+            break
+    return number, tags, starts, stops
+
+
+def _names(byte: Callable, which: np.ndarray, at: np.ndarray, names: tuple[bytes, ...]) -> np.ndarray:
+    """Whether one of the names stands at each position."""
+    found = np.zeros(len(which), dtype=bool)
+    for name in names:
+        same = np.ones(len(which), dtype=bool)
+        for k, b in enumerate(name):
+            same &= byte(which, at + k) == b
+        found |= same
+    return found
+
+
+def der_key_sizes(byte: Callable[[np.ndarray, np.ndarray], np.ndarray], room: np.ndarray) -> np.ndarray:
+    """Bytes of the private key (as in ``is_private_key``) that begins at each candidate, 0 where none does.
+
+    ``byte(which, at)`` reads bytes of candidates, ``room`` says how many each has. All candidates are walked together,
+    head by head; no body is read.
+    """
+    which = np.arange(len(room))
+    sizes = np.zeros(len(room), dtype=np.int64)
+    fits, tag, start, stop = _heads(byte, which, np.zeros(len(room), dtype=np.int64), room)
+    which, start, stop = (x[fits & (tag == 0x30)] for x in (which, start, stop))
+    number, tags, starts, stops = _walk(byte, which, start, stop)
+    sealed = (number == 2) & (tags[:, 0] == 0x30) & (tags[:, 1] == 0x04) & (stops[:, 1] - starts[:, 1] >= 16)
+    version = (number > 0) & (tags[:, 0] == 0x02) & (stops[:, 0] - starts[:, 0] == 1)
+    numbers = version & (tags[:, :9] == 0x02).all(axis=1)
+    named = version & (tags[:, 1] == 0x30) & (tags[:, 2] == 0x04)
+    short = version & (tags[:, 1] == 0x04) & (stops[:, 1] - starts[:, 1] >= 16)
+    for mask, column in ((sealed, 0), (named, 1)):
+        some = np.flatnonzero(mask)
+        inner, kinds, begins, ends = _walk(byte, which[some], starts[some, column], stops[some, column])
+        good = (inner > 0) & (kinds[:, 0] == 0x06)
+        if column == 0:
+            longest = max(map(len, CIPHERS))
+            good &= (ends[:, 0] - begins[:, 0] >= longest) & _names(byte, which[some], begins[:, 0], CIPHERS)
+        mask[some[~good]] = False
+    good = sealed | numbers | named | short
+    sizes[which[good]] = stop[good]
+    return sizes
+
+
+_SEXTETS = np.full(256, -1, dtype=np.int64)
+for _i, _c in enumerate(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"):
+    _SEXTETS[_c] = _i
+_SEXTETS[[0x2D, 0x5F]] = 62, 63
+_NIBBLES = np.full(256, -1, dtype=np.int64)
+for _i, _c in enumerate(b"0123456789abcdef"):
+    _NIBBLES[[_c, ord(chr(_c).upper())]] = _i
+
+
+class _Spaced:
+    """The base64 characters of a text with white space left out, and how far they go on from each."""
+
+    def __init__(self, raw: bytes, begin: int, end: int):
+        data = np.frombuffer(raw, dtype=np.uint8)[begin:end]
+        solid = ~IS_SPACE[data]
+        self.begin, self.place = begin, np.flatnonzero(solid)
+        self.rank = np.cumsum(solid) - solid
+        self.sextet = _SEXTETS[data[self.place]]
+        self.other = np.append(np.flatnonzero(self.sextet < 0), len(self.sextet))
+
+    def index(self, positions: list[int]) -> np.ndarray:
+        return self.rank[np.array(positions, dtype=np.int64) - self.begin]
+
+    def letters(self, first: np.ndarray) -> np.ndarray:
+        """Base64 characters from each index on."""
+        return self.other[np.searchsorted(self.other, first)] - first
+
+    def byte(self, first: np.ndarray) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+        top = len(self.sextet) - 1
+
+        def read(which: np.ndarray, at: np.ndarray) -> np.ndarray:
+            q = first[which] + at * 4 // 3
+            two = self.sextet[np.minimum(q, top)] << 6 | self.sextet[np.minimum(q + 1, top)]
+            return two >> (4 - at * 8 % 6) & 0xFF
+
+        return read
+
+    def end_of(self, first: int, bytes_: int) -> int:
+        """Where the writing of so many bytes ends."""
+        return int(self.place[first + -(-bytes_ * 8 // 6) - 1]) + 1 + self.begin
+
+
+def _padded(raw: bytes, stop: int, end: int, bytes_: int) -> int:
+    pad = -bytes_ % 3
+    return stop + (pad if raw[stop : min(stop + pad, end)] == b"=" * pad else 0)
+
+
 def _base64_keys(raw: bytes, begin: int, end: int) -> Iterator[tuple[int, int]]:
     """Spans of private keys in base64 within raw[begin:end]: wherever one begins, wrapped over lines or not, also as
     base64 of an armoured key.
     """
-    for match in DER_BASE64.finditer(raw, begin, end):
-        at = match.start()
-        need = -(-der_size(from_base64(raw[at : at + 8]) or b"") * 8 // 6)
-        if not need or at + need > end:
-            continue
-        # as many characters as the length says, line breaks not counted
-        taken, stop = bytearray(), at
-        for part in _unspaced(raw, at, end):
-            piece = part[0][: need - len(taken)]
-            taken += piece
-            stop = part[1] + len(piece)
-            if len(taken) == need:
-                break
-        if len(taken) == need and (data := from_base64(bytes(taken))) and is_private_key(data):
-            pad = -need % 4
-            yield at, stop + (pad if raw[stop : min(stop + pad, end)] == b"=" * pad else 0)
-    at = raw.find(OPENSSH, begin, end)
-    while at >= 0:
-        match = SPACED_BASE64.match(raw, at, end)
-        stop = match.end() if match[0].endswith(b"=") else at + len(match[0].rstrip())
-        body = bytes(b for b in match[0] if not IS_SPACE[b])
-        if not ((data := from_base64(body)) and is_private_key(data)):
-            match = BASE64.match(raw, at, end)
-            stop, data = match.end(), from_base64(match[0])
-        if data and is_private_key(data):
-            yield at, stop
-        at = raw.find(OPENSSH, match.end(), end)
+    starts = [m.start() for m in DER_BASE64.finditer(raw, begin, end)]
+    boxed = [m.start() for m in OPENSSH_BASE64.finditer(raw, begin, end)]
+    spaced = _Spaced(raw, begin, end) if starts or boxed else None
+    if starts:
+        first = spaced.index(starts)
+        sizes = der_key_sizes(spaced.byte(first), spaced.letters(first) * 6 // 8)
+        for i in np.flatnonzero(sizes).tolist():
+            stop = spaced.end_of(int(first[i]), int(sizes[i]))
+            yield starts[i], _padded(raw, stop, end, int(sizes[i]))
+    if boxed:
+        first = spaced.index(boxed)
+        room = spaced.letters(first) * 6 // 8
+        sizes = _container_sizes(spaced.byte(first), room)
+        free = 0
+        for i in np.flatnonzero(sizes).tolist():
+            if boxed[i] < free:
+                continue
+            if sizes[i] > 0:
+                stop = _padded(raw, spaced.end_of(int(first[i]), int(sizes[i])), end, int(sizes[i]))
+            else:  # its head holds, its fields don't end here: the characters up to the next white space
+                stop = BASE64.match(raw, boxed[i], end).end()
+            yield boxed[i], stop
+            free = stop
     at = raw.find(NESTED, begin, end)
     while at >= 0:
         match = BASE64.match(raw, at, end)
@@ -222,33 +331,71 @@ def _base64_keys(raw: bytes, begin: int, end: int) -> Iterator[tuple[int, int]]:
         at = raw.find(NESTED, match.end(), end)
 
 
-_LETTERS = re.compile(rb"[A-Za-z0-9+/_-]+")
-_BREAK = re.compile(rb"\s+")
-
-
-def _unspaced(raw: bytes, at: int, end: int) -> Iterator[tuple[bytes, int]]:
-    """Runs of base64 characters with their starts, as long as only white space lies between them."""
-    while match := _LETTERS.match(raw, at, min(end, at + 4096)):
-        yield match[0], match.start()
-        space = _BREAK.match(raw, match.end(), end)
-        at = space.end() if space else match.end()
+def _container_sizes(byte: Callable, room: np.ndarray) -> np.ndarray:
+    """Bytes of each OpenSSH key container: three fields, the number of keys, as many public parts and the private one.
+    -1 if only the fields up to the number are there, 0 if not even these.
+    """
+    which, at = np.arange(len(room)), np.full(len(room), 15, dtype=np.int64)
+    name = b"openssh-key-v1\x00"
+    sizes = np.where((room >= 19) & _names(byte, which, np.zeros(len(room), dtype=np.int64), (name,)), -1, 0)
+
+    def number(alive: np.ndarray) -> np.ndarray:
+        return sum(byte(alive, at[alive] + k) << (24 - 8 * k) for k in range(4))
+
+    for _ in range(3):
+        alive = np.flatnonzero(sizes)
+        at[alive] += 4 + number(alive)
+        sizes[alive[at[alive] + 4 > room[alive]]] = 0
+    alive = np.flatnonzero(sizes)
+    keys = np.zeros(len(room), dtype=np.int64)
+    keys[alive] = number(alive)
+    at[alive] += 4
+    for k in range(MOST_ELEMENTS):
+        alive = np.flatnonzero((sizes < 0) & (keys + 1 > k) & (keys < MOST_ELEMENTS) & (at + 4 <= room))
+        at[alive] += 4 + number(alive)
+        whole = alive[(keys[alive] == k) & (at[alive] <= room[alive])]
+        sizes[whole] = at[whole]
+    return sizes
 
 
 def _hex_keys(raw: bytes, begin: int, end: int) -> Iterator[tuple[int, int]]:
     """Spans of private keys in hex, plain or with colons between the bytes."""
     for pattern, width in ((DER_HEX, 2), (DER_COLONS, 3)):
-        for match in pattern.finditer(raw, begin, end):
-            at = match.start()
-            plain = lambda text: text.replace(b":", b"")
-            stop = at + width * der_size(bytes.fromhex(plain(raw[at : at + 4 * width]).decode())) - (width == 3)
-            if at + 64 > stop or stop > end:
-                continue
-            try:
-                data = binascii.unhexlify(plain(raw[at:stop]))
-            except binascii.Error:
-                continue
-            if 2 * len(data) == (stop - at if width == 2 else (stop - at + 1) // 3 * 2) and is_private_key(data):
-                yield at, stop
+        starts = np.array([m.start() for m in pattern.finditer(raw, begin, end)], dtype=np.int64)
+        if not len(starts):
+            continue
+        data = np.frombuffer(raw, dtype=np.uint8)[begin:end]
+        nibble = _NIBBLES[data]
+        if width == 2:
+            other = np.append(np.flatnonzero(nibble < 0), len(data))
+            room = (other[np.searchsorted(other, starts - begin)] - (starts - begin)) // 2
+        else:
+            room = _colon_room(nibble, data == 0x3A, starts - begin)
+
+        def read(which, at, first=starts - begin, nibble=nibble, width=width):
+            q = np.minimum(first[which] + at * width, len(nibble) - 2)
+            return nibble[q] << 4 | nibble[q + 1]
+
+        sizes = der_key_sizes(read, room)
+        written = sizes * width - (width == 3)
+        for i in np.flatnonzero(written >= 64).tolist():
+            yield int(starts[i]), int(starts[i] + written[i])
+
+
+def _colon_room(nibble: np.ndarray, colon: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Bytes written as two hex digits, with colons between them, from each start on."""
+    n = len(nibble)
+    two = np.zeros(n, dtype=bool)
+    two[:-1] = (nibble[:-1] >= 0) & (nibble[1:] >= 0)
+    linked = np.zeros(n, dtype=bool)
+    linked[:-3] = two[:-3] & colon[2:-1] & two[3:]
+    room = np.zeros(len(starts), dtype=np.int64)
+    for phase in range(3):  # bytes of one writing start at one phase
+        mine = np.flatnonzero(starts % 3 == phase)
+        breaks = np.flatnonzero(~linked[phase::3])
+        own = starts[mine] // 3
+        room[mine] = breaks[np.searchsorted(breaks, own)] - own + 1
+    return np.where(two[starts], room, 0)
 
 
 def _armoured(match: re.Match) -> bool:
