@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tremora.llm.classifier import op4_quality_classifier
 from tremora.llm.fuzzy_passages import op1_fuzzy_passages
 from tremora.llm.jpeg import op10_jpeg_media
+from tremora.llm.licenses import op11_license_scan
 from tremora.llm.mixing import OP2_SQL, op2_source_mixing
 from tremora.llm.near_duplicates import op9_minhash_near_dedup
 from tremora.llm.quality_rules import op6_quality_rules
@@ -29,7 +30,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op7_token_binary,
         op8_warc_zip,
         op9_minhash_near_dedup,
-        op10_jpeg_media
+        op10_jpeg_media,
+        op11_license_scan
     ]
     return {f.__name__: f for f in found}
 

@@ -79,11 +79,20 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iter
 
 
 class Words:
-    """Words of a slice in order. start and end are byte positions, doc is the row in the slice."""
-
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = False, hashes: bool = True):
+    """Words of a slice in order. start and end are byte positions, doc is the row in the slice. ``outside`` tells the
+    bytes between words; it is white space unless given.
+    """
+
+    def __init__(
+        self,
+        data: np.ndarray,
+        offsets: np.ndarray,
+        lower: bool = False,
+        hashes: bool = True,
+        outside: np.ndarray = IS_SPACE
+    ):
         n, rows = len(data), len(offsets) - 1
-        inside = ~IS_SPACE[data]
+        inside = ~outside[data]
         first = np.zeros(n + 1, dtype=bool)
         first[offsets[:-1]] = True  # a text ends the word before it
         first = first[:n]
