@@ -265,21 +265,6 @@ def test_order_resampling_equals_interpolation(spark, sf):
         assert np.isclose(r["order_1"], s[6], atol=1e-6) and np.isclose(r["order_2"], s[12], atol=1e-6)
 
 
-def test_kurtogram_picks_the_band_of_largest_kurtosis(spark, sf):
-    from tremora.plans.signal import kurtogram_band
-
-    waves = _embeddings(sf)
-    for r in kurtogram_band(spark, sf).collect():
-        s = np.fft.rfft(waves[r["vec_id"]])
-        edges, k = np.linspace(1, len(s), 5).astype(int), []
-        for a, b in zip(edges[:-1], edges[1:], strict=True):
-            y = np.fft.irfft(
-                np.where((np.arange(len(s)) >= a) & (np.arange(len(s)) < b), s, 0), len(waves[r["vec_id"]])
-            )
-            k.append(np.mean(y**4) / np.mean(y**2) ** 2)
-        assert k[r["band"]] > max(k) - 1e-6
-
-
 def test_residuals_equal_a_plain_decomposition(spark, sf, tmp_path):
     from tremora.plans.models import pca_residual
 

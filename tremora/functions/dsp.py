@@ -189,22 +189,3 @@ def order_resample(points: int):
         return pa.array(out, pa.list_(pa.float64()))
 
     return run
-
-
-@F.arrow_udf(T.IntegerType())
-def kurtogram_band(column: pa.Array) -> pa.Array:
-    """Of four equal bands of the spectrum, the one whose band-passed signal has the largest kurtosis."""
-    out = []
-    for i in range(len(column)):
-        if not column[i].is_valid or len(column[i].values) < 8:
-            out.append(None)
-            continue
-        spectrum = np.fft.rfft(column[i].values.to_numpy(zero_copy_only=False).astype(float))
-        edges, best = np.linspace(1, len(spectrum), 5).astype(int), []
-        for a, b in zip(edges[:-1], edges[1:], strict=True):
-            part = np.zeros_like(spectrum)
-            part[a:b] = spectrum[a:b]
-            y = np.fft.irfft(part, len(column[i].values))
-            best.append(np.mean(y**4) / max(np.mean(y**2) ** 2, 1e-300))
-        out.append(int(np.argmax(np.round(best, 9))))
-    return pa.array(out, pa.int32())

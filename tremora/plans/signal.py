@@ -346,8 +346,3 @@ def order_resample(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select("vec_id", dsp.rfft(resampled).alias("s")).select(
         "vec_id", F.round(F.col("s")[6], 6).alias("order_1"), F.round(F.col("s")[12], 6).alias("order_2")
     )
-
-
-@query("kurtogram_band")
-def kurtogram_band(spark, sf_dir):
-    return table(spark, sf_dir, "embeddings").select("vec_id", dsp.kurtogram_band("embedding").alias("band"))
