@@ -175,17 +175,31 @@ def envelope(low: float, high: float, rate: float, smooth: int = 5):
 
 
 def order_resample(points: int):
-    """Samples at equal steps of shaft angle, from samples in time and the angle (in turns) at each."""
+    """Samples at equal steps of shaft angle, from samples in time and the angle (in turns) at each; null where either
+    is null or empty, their lengths differ or the shaft doesn't turn. All rows of one length are interpolated at once.
+    """
+
+    def even(x: np.ndarray, turns: np.ndarray) -> np.ndarray:
+        rows = np.arange(len(x))[:, None]
+        span = turns[:, -1:] - turns[:, :1]
+        # each row on a stretch of its own
+        own = (turns - turns[:, :1]) / np.where(span > 0, span, np.nan) + 2 * rows
+        at = np.linspace(0, 1, points) + 2 * rows
+        return np.where(span > 0, np.interp(at.ravel(), own.ravel(), x.ravel()).reshape(at.shape), np.nan)
 
     @F.arrow_udf(T.ArrayType(T.DoubleType()))
     def run(column: pa.Array, turns: pa.Array) -> pa.Array:
-        out = []
-        for i in range(len(column)):
-            if not (column[i].is_valid and turns[i].is_valid and len(column[i].values)):
-                out.append(None)
-                continue
-            x, angle = (c[i].values.to_numpy(zero_copy_only=False).astype(float) for c in (column, turns))
-            out.append(np.interp(np.linspace(angle[0], angle[-1], points), angle, x))
+        sizes, other = (
+            pc.list_value_length(c).fill_null(0).to_numpy(zero_copy_only=False) for c in (column, turns)
+        )
+        out: list[np.ndarray | None] = [None] * len(column)
+        for n in np.unique(sizes[(sizes > 0) & (sizes == other)]):
+            at = pa.array(np.flatnonzero((sizes == n) & (other == n)))
+            x, angle = (
+                c.take(at).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, n) for c in (column, turns)
+            )
+            for i, row in zip(at.to_pylist(), even(x, angle), strict=True):
+                out[i] = None if np.isnan(row[0]) else row
         return pa.array(out, pa.list_(pa.float64()))
 
     return run

@@ -7,18 +7,39 @@ from pyspark.sql import functions as F
 
 
 def asof(
-    left: DataFrame, right: DataFrame, by: list[str], on: str, values: list[str], tolerance: Column | None = None
+    left: DataFrame,
+    right: DataFrame,
+    by: list[str],
+    on: str,
+    values: list[str],
+    tolerance: Column | None = None,
+    width: int | None = None
 ) -> DataFrame:
     """Each left row with the latest right row at or before it: one union and one sort, no expansion.
 
-    ``values`` are taken from the right; with ``tolerance`` (in the unit of ``on``) older matches are null.
+    ``values`` are taken from the right; with ``tolerance`` (in the unit of ``on``) older matches are null. With
+    ``width``, time is dealt into blocks of it that are sorted on their own, each with the last right row before it, so
+    no task holds all of a group.
     """
     carried = F.struct(F.col(on).alias("__at"), *values)
-    union = left.withColumn("__side", F.lit(1)).withColumn(
+    keys = by if width is None else [*by, "__block"]
+    block = [] if width is None else [F.floor(F.col(on) / width).alias("__block")]
+    union = left.select("*", *block).withColumn("__side", F.lit(1)).withColumn(
         "__row", F.lit(None).cast(right.select(carried.alias("x")).schema["x"].dataType)
     )
-    other = right.select(*by, on, F.lit(0).alias("__side"), carried.alias("__row"))
-    w = Window.partitionBy(*by).orderBy(on, "__side").rowsBetween(Window.unboundedPreceding, 0)
+    other = right.select(*by, on, *block, F.lit(0).alias("__side"), carried.alias("__row"))
+    if width is not None:
+        last = other.groupBy(*keys).agg(F.max_by("__row", on).alias("__row"))
+        spine = last.unionByName(left.select(*by, *block).distinct(), allowMissingColumns=True).groupBy(*keys).agg(
+            F.first("__row", ignorenulls=True).alias("__own")
+        )
+        earlier = Window.partitionBy(*by).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+        spine = spine.withColumn("__row", F.last("__own", ignorenulls=True).over(earlier)).where("__row is not null")
+        start = (F.col("__block") * width).cast(left.schema[on].dataType)
+        other = other.unionByName(
+            spine.select(*by, start.alias(on), "__block", F.lit(-1).alias("__side"), "__row")
+        )
+    w = Window.partitionBy(*keys).orderBy(on, "__side").rowsBetween(Window.unboundedPreceding, 0)
     joined = union.unionByName(other, allowMissingColumns=True).withColumn(
         "__row", F.last("__row", ignorenulls=True).over(w)
     ).where("__side = 1")
@@ -30,6 +51,25 @@ def asof(
     )
 
 
+def beside(
+    rows: DataFrame, by: list[str], block: Column, order: list[str], values: list[str], name: str, ahead: bool = False
+) -> DataFrame:
+    """Add ``name``: a struct of ``values`` of the row before (or ahead) in a group by ``order``. Blocks, which follow
+    the order, are sorted on their own; their edges are matched through one row a block.
+    """
+    keys = [*by, "__block"]
+    dealt = rows.withColumn("__block", block)
+    own = F.struct(*values)
+    within = Window.partitionBy(*keys).orderBy(*order)
+    edges = dealt.groupBy(*keys).agg((F.min_by if ahead else F.max_by)(own, F.struct(*order)).alias("__edge"))
+    across = Window.partitionBy(*by).orderBy("__block")
+    step = F.lead if ahead else F.lag
+    edges = edges.select(*keys, step("__edge").over(across).alias("__edge"))
+    return dealt.withColumn("__near", step(own).over(within)).join(edges, keys, "left").withColumn(
+        name, F.coalesce("__near", "__edge")
+    ).drop("__near", "__edge", "__block")
+
+
 def interval(left: DataFrame, right: DataFrame, by: str, left_us: str, right_us: str, width_us: int) -> DataFrame:
     """Pairs of one key within ``width_us`` of each other: the left falls in a bucket, the right in it and its
     neighbours.

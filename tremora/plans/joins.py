@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tremora.operators import temporal
+from tremora.operators import orders, temporal
 from tremora.plans.registry import events, query
 from tremora.session import table
 
@@ -311,3 +311,53 @@ def purchase_order_rows(spark, sf_dir):
         F.col("s_name").alias("supplier"),
         (F.lit(20) - F.col("p_size")).alias("quantity")
     )
+
+
+_TACHO = """t AS (SELECT user_id, us, row_number() OVER w - 1 AS turn, lead(us) OVER w AS until FROM (SELECT DISTINCT user_id, epoch_us(ts) AS us FROM events WHERE event_type = 'signup') WINDOW w AS (PARTITION BY user_id ORDER BY us)),
+s AS (SELECT e.user_id, e.event_id, e.us, e.value, t.turn + (e.us - t.us) / (t.until - t.us) AS p FROM (SELECT *, epoch_us(ts) AS us FROM events WHERE event_type <> 'signup') e ASOF JOIN t ON e.user_id = t.user_id AND e.us >= t.us WHERE t.until IS NOT NULL)"""
+STEPS, STRETCH = 8, 4
+
+
+def _phased(spark, sf_dir):
+    rows = events(spark, sf_dir).select("user_id", "event_id", "event_type", "value", F.unix_micros("ts").alias("us"))
+    return orders.shaft_phase(
+        rows.where("event_type <> 'signup'").drop("event_type"),
+        rows.where("event_type = 'signup'"),
+        ["user_id"],
+        "us",
+        7 * DAY_US
+    )
+
+
+@query(
+    "shaft_phase",
+    f"WITH {_TACHO} SELECT event_id, CAST(floor(round(p, 9)) AS BIGINT) AS turn, round(p - floor(round(p, 9)), 6) + 0.0 AS phase FROM s"
+)
+def shaft_phase(spark, sf_dir):
+    """The turn and the phase of each sample, from the tacho pulses of its device."""
+    turn = F.floor(F.round("position", 9))
+    return _phased(spark, sf_dir).select(
+        "event_id", turn.alias("turn"), (F.round(F.col("position") - turn, 6) + 0.0).alias("phase")
+    )
+
+
+@query(
+    "order_tracking",
+    f"""WITH {_TACHO}, l AS (SELECT *, lag(p) OVER w AS p0, lag(value) OVER w AS v0 FROM s WINDOW w AS (PARTITION BY user_id ORDER BY p, us, event_id)),
+g AS (SELECT *, unnest(range(CAST(floor(p0 * {STEPS}) AS BIGINT) + 1, CAST(floor(p * {STEPS}) AS BIGINT) + 1)) AS j FROM l WHERE p0 IS NOT NULL),
+b AS (SELECT user_id, j // {STEPS * STRETCH} AS block, list(v0 + (value - v0) * (j / {STEPS} - p0) / (p - p0) ORDER BY j) AS x FROM g GROUP BY ALL HAVING count(*) = {STEPS * STRETCH}),
+k AS (SELECT *, unnest(range(1, {STEPS // 2})) AS k FROM b)
+SELECT user_id AS device_id, block, k AS "order", round(2 * sqrt(pow(list_sum(list_transform(x, lambda v, i: v * cos(2 * pi() * k * {STRETCH} * (i - 1) / len(x)))), 2) + pow(list_sum(list_transform(x, lambda v, i: v * sin(2 * pi() * k * {STRETCH} * (i - 1) / len(x)))), 2)) / len(x), 4) + 0.0 AS amplitude FROM k""",
+)
+def order_tracking(spark, sf_dir):
+    """Amplitudes of the orders of each device over stretches of four turns, sampled by shaft angle."""
+    even = orders.even_steps(_phased(spark, sf_dir), ["user_id"], ["us", "event_id"], "value", STEPS)
+    spectra = orders.order_spectra(even, ["user_id"], "value", STEPS, STRETCH)
+    numbers = F.explode(F.sequence(F.lit(1), F.lit(STEPS // 2 - 1))).alias("order")
+    rows = spectra.select(F.col("user_id").alias("device_id"), "block", "spectrum", numbers)
+    return rows.select(
+        "device_id",
+        "block",
+        F.col("order").cast("long").alias("order"),
+        (F.round(F.element_at("spectrum", F.col("order") * STRETCH + 1), 4) + 0.0).alias("amplitude")
+    )

@@ -337,7 +337,17 @@ def band_bank(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select("vec_id", *(rms(*band).alias(n) for n, band in BANDS.items()))
 
 
-@query("order_resample")
+_TURN = "(4 * (u / n) + 2 * (u / n) * (u / n))"
+
+
+@query(
+    "order_resample",
+    f"""WITH {_WAVES}, a AS (SELECT vec_id, x, len(x) AS n, list_transform(range(0, len(x)), lambda u: {_TURN.replace("n)", "len(x))")}) AS a FROM x),
+g AS (SELECT vec_id, x, a, n, list_transform(range(0, 128), lambda j: a[1] + (a[n] - a[1]) * j / 127) AS g FROM a),
+p AS (SELECT vec_id, x, a, g, n, list_transform(g, lambda v: least(greatest(len(list_filter(a, lambda t: t <= v)), 1), n - 1)) AS i FROM g),
+y AS (SELECT vec_id, list_transform(g, lambda v, k: x[i[k]] + (x[i[k] + 1] - x[i[k]]) * (v - a[i[k]]) / (a[i[k] + 1] - a[i[k]])) AS y FROM p)
+SELECT vec_id, round({_amplitude("6", "y")}, 6) AS order_1, round({_amplitude("12", "y")}, 6) AS order_2 FROM y""",
+)
 def order_resample(spark, sf_dir):
     """Order spectra after resampling a run-up to equal shaft angles."""
     n = F.size("embedding")
