@@ -11,7 +11,7 @@ from tremora.operators import alerts as A
 from tremora.operators.search import score_terms
 from tremora.plans.registry import events, query, stamp
 from tremora.session import cut, scratch, table
-from tremora.sources import io
+from tremora.sources import io, objects
 
 MINUTE = 60_000_000
 
@@ -21,18 +21,17 @@ MINUTE = 60_000_000
     "SELECT vec_id, 'waveforms/' || label || '/' || vec_id AS path, round(list_sum(list_transform(embedding[17:32], lambda v: CAST(v AS DOUBLE))), 6) + 0.0 AS total FROM embeddings WHERE label = 3",
 )
 def waveform_range_fetch(spark, sf_dir):
-    """A quarter of each waveform of one machine: the metadata index leads to the objects, which are read by
-    partition.
+    """A quarter of each waveform of one machine, read by offset: the filter leads to that machine's index and objects,
+    and only the bytes of the quarter are read. Objects are imported once, not by the query.
     """
-    objects = scratch(spark, "waveforms")
-    table(spark, sf_dir, "embeddings").select(
-        "vec_id", "label", "embedding"
-    ).write.partitionBy("label").parquet(objects)
-    index = table(spark, sf_dir, "embeddings").select(
-        "vec_id", "label", F.concat_ws("/", F.lit("waveforms"), "label", "vec_id").alias("path")
+    waves = table(spark, sf_dir, "embeddings").select(
+        F.col("label").alias("machine"), F.col("vec_id").alias("key"), F.col("embedding").alias("samples")
+    )
+    found = objects.waveform_ranges(spark, objects.stored(spark, sf_dir, waves), 16, 32).where("machine = 3")
+    path = F.concat_ws("/", F.lit("waveforms"), "machine", "key")
+    return found.select(
+        F.col("key").alias("vec_id"), path.alias("path"), tidy(dsp.total(dsp.doubles(F.col("samples")))).alias("total")
     )
-    found = index.where("label = 3").join(spark.read.parquet(objects).where("label = 3"), ["vec_id", "label"])
-    return found.select("vec_id", "path", tidy(dsp.total(dsp.doubles(F.slice("embedding", 17, 16)))).alias("total"))
 
 
 @query("csv_import", "SELECT s_suppkey, s_name, s_nationkey, s_acctbal FROM supplier")

@@ -8,12 +8,13 @@ import uuid
 from pyspark.sql import functions as F
 
 from tremora.functions.features import tidy
-from tremora.plans import features  # noqa: F401  registers the batch form
+from tremora.plans import features, operations  # noqa: F401  register the batch forms
 from tremora.plans.alerts import QUIET
 from tremora.plans.records import ESCALATION_SQL, MINUTE
-from tremora.plans.registry import SQL, query, stamp
-from tremora.session import table
-from tremora.streaming import jobs
+from tremora.plans.registry import SQL, events, query, stamp
+from tremora.session import scratch, table
+from tremora.streaming import jobs, keyed, segments
+from tremora.streaming.sink import LedgerSink
 
 
 @query(
@@ -146,7 +147,7 @@ def stream_lifecycle(spark, sf_dir):
         F.col("event_type") == "view", "ACKNOWLEDGED"
     ).otherwise("RESOLVED")
     rows = jobs.event_stream(spark, sf_dir).select(F.col("user_id").alias("alert_id"), "ts", status.alias("status"))
-    return jobs.drained(jobs.lifecycle(rows), "update")
+    return jobs.drained(jobs.lifecycle(rows), "update", ["alert_id"])
 
 
 @query("stream_observed", "SELECT count(*) AS n, count(*) FILTER (WHERE value IS NULL OR value < 0) AS bad FROM events")
@@ -165,3 +166,67 @@ def stream_observed(spark, sf_dir):
         spark.streams.removeListener(progress)
     seen = [b["observed"][name] for b in progress.batches if name in b["observed"]]
     return spark.createDataFrame([(sum(b["n"] for b in seen), sum(b["bad"] for b in seen))], "n long, bad long")
+
+
+@query("stream_transient_capture", SQL["transient_capture"])
+def stream_transient_capture(spark, sf_dir):
+    """What a device sent within six hours around each trigger, from ring buffers as the rows come."""
+    rows = jobs.drained(
+        keyed.captured(jobs.event_stream(spark, sf_dir), F.col("value") > 300, 6 * 3600 * 1_000_000), idle=False
+    )
+    return rows.groupBy("trigger_id").agg(
+        F.count("*").alias("rows"), F.round(F.max(F.abs("value")), 6).alias("peak")
+    )
+
+
+@query(
+    "stream_config_in_force",
+    """WITH c AS (SELECT user_id, ts, event_id FROM events WHERE event_type = 'signup'), e AS (SELECT * FROM events WHERE event_type <> 'signup')
+SELECT e.event_id, c.event_id AS version_id FROM e ASOF LEFT JOIN c ON e.user_id = c.user_id AND e.ts >= c.ts WHERE epoch_us(e.ts) // 1000 + 1 <= (SELECT epoch_us(max(ts)) // 1000 FROM events) - 86400000""",
+)
+def stream_config_in_force(spark, sf_dir):
+    """Each event with the configuration that its device had at that time; events that the watermark has passed."""
+    rows = jobs.event_stream(spark, sf_dir).withColumnRenamed("user_id", "device_id")
+    return jobs.drained(
+        keyed.in_force(rows.where("event_type <> 'signup'"), rows.where("event_type = 'signup'"))
+    )
+
+
+@query(
+    "stream_segment_ingest",
+    "SELECT event_type AS channel, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY event_type"
+)
+def stream_segment_ingest(spark, sf_dir):
+    """Telemetry through a log of append-only segments in which every tenth record was sent again."""
+    log = scratch(spark, "log")
+    rows = events(spark, sf_dir).select(
+        F.col("user_id").alias("device_id"),
+        F.col("event_id").alias("seq"),
+        F.unix_micros("ts").alias("us"),
+        "value",
+        F.col("event_type").alias("channel")
+    )
+    sent = F.when(F.col("seq") % 10 == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))
+    segments.append(rows.withColumn("sent", F.explode(sent)).drop("sent"), log, 8)
+    once = jobs.deduplicated(segments.segment_stream(spark, log), ["device_id", "seq"])
+    return jobs.drained(once.select("channel", "value")).groupBy("channel").agg(
+        F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total")
+    )
+
+
+@query("stream_alert_sink", SQL["alert_upsert"])
+def stream_alert_sink(spark, sf_dir):
+    """Alerts written through a sink with a ledger, each batch delivered twice; one row a device comes out."""
+    rows = jobs.event_stream(spark, sf_dir).where("event_type = 'error'").select(
+        F.col("user_id").alias("device_id"), "ts", F.col("event_id").alias("alert_id")
+    )
+    sink = LedgerSink(spark, scratch(spark, "alerts"))
+
+    def keep(batch, batch_id: int) -> None:
+        for _ in range(2):
+            sink.commit(batch, batch_id)
+
+    jobs.finished(rows.writeStream.option("checkpointLocation", scratch(spark, "alerts-state")).foreachBatch(keep))
+    newest = sink.latest(rows.schema, ["device_id"], ["ts", "alert_id"])
+    versions = sink.rows(rows.schema).groupBy("device_id").agg(F.count("*").alias("versions"))
+    return newest.join(versions, "device_id").select("device_id", "versions", "alert_id")

@@ -12,13 +12,16 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.listener import StreamingQueryListener
 
 from tremora.functions.features import features
 from tremora.session import scratch
+from tremora.streaming.sink import LedgerSink
 
 LATENESS = "24 hours"
+NO_DATA = "spark.sql.streaming.noDataMicroBatches.enabled"
+BATCH = "__batch"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -34,26 +37,48 @@ def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def continued(stream: DataFrame, out: str, checkpoint: str, mode: str = "append") -> None:
+def finished(writer: DataStreamWriter, idle: bool = True) -> None:
+    """Run a stream over what has come. Processing-time state (``idle`` false) never has its last batch without data,
+    so such batches are left out for it; event-time timers need them.
+    """
+    conf = SparkSession.active().conf
+    before = conf.get(NO_DATA)
+    conf.set(NO_DATA, str(idle).lower())
+    try:
+        query = writer.trigger(availableNow=True).start()  # a query keeps the settings it started with
+    finally:
+        conf.set(NO_DATA, before)
+    query.awaitTermination()
+
+
+def continued(stream: DataFrame, out: str, checkpoint: str, mode: str = "append", idle: bool = True) -> None:
     """Run a stream over what has come since it last ran under this checkpoint, and add what it writes to a table.
 
-    A run that was cut off goes on where it stopped: a batch that is run again replaces what it wrote before.
+    A run that was cut off goes on where it stopped: a batch that is run again takes effect once.
     """
+    sink = LedgerSink(stream.sparkSession, out)
 
     def keep(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/batch={0 if mode == 'complete' else batch_id}")
+        if mode == "complete":  # each batch is the whole result
+            batch.write.mode("overwrite").parquet(f"{out}/batch=0")
+        else:
+            sink.commit(batch.withColumn(BATCH, F.lit(batch_id).cast("long")), batch_id)
 
-    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).foreachBatch(keep)
-    writer.trigger(availableNow=True).start().awaitTermination()
+    finished(stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).foreachBatch(keep), idle)
 
 
-def drained(stream: DataFrame, mode: str = "append", schema: T.StructType | None = None) -> DataFrame:
-    """Run a stream over what there is and return the rows that it wrote, as a table in the shared folder."""
+def drained(stream: DataFrame, mode: str = "append", keys: list[str] | None = None, idle: bool = True) -> DataFrame:
+    """Run a stream over what there is and return the rows that it wrote, as a table in the shared folder. Of a stream
+    in update mode ``keys`` leave the last row of each.
+    """
     spark = stream.sparkSession
     out = scratch(spark, "stream")
-    spark.createDataFrame([], stream.schema).write.parquet(out)
-    continued(stream, out, scratch(spark, "stream-state"), mode)
-    return spark.read.schema(stream.schema).option("recursiveFileLookup", "true").parquet(out)
+    continued(stream, out, scratch(spark, "stream-state"), mode, idle)
+    sink = LedgerSink(spark, out)
+    if keys is None:
+        return sink.rows(stream.schema)
+    schema = T.StructType([*stream.schema.fields, T.StructField(BATCH, T.LongType())])
+    return sink.latest(schema, keys, [BATCH]).drop(BATCH)
 
 
 def deduplicated(stream: DataFrame, keys: list[str], lateness: str = LATENESS) -> DataFrame:
@@ -134,17 +159,22 @@ class Throttle(StatefulProcessor):
 
 
 class Lifecycle(StatefulProcessor):
-    """Follows the state of an alert; a step back is counted and ignored."""
+    """Follows the state of an alert; a step back is counted and ignored. An alert is forgotten once the watermark is
+    ``ttl_ms`` beyond what was last heard of it.
+    """
 
     RANK = {"OPEN": 0, "ACKNOWLEDGED": 1, "RESOLVED": 2}
 
+    def __init__(self, ttl_ms: int):
+        self.ttl_ms = ttl_ms
+
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState(
-            "state", T.StructType([T.StructField("rank", T.IntegerType()), T.StructField("illegal", T.LongType())])
-        )
+        self.handle = handle
+        fields = (("rank", T.IntegerType()), ("illegal", T.LongType()), ("due", T.LongType()))
+        self.state = handle.getValueState("state", T.StructType([T.StructField(n, t) for n, t in fields]))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        rank, illegal = self.state.get() if self.state.exists() else (-1, 0)
+        rank, illegal, due = self.state.get() if self.state.exists() else (-1, 0, 0)
         steps = sorted(
             (us, self.RANK[s])
             for frame in rows
@@ -153,12 +183,23 @@ class Lifecycle(StatefulProcessor):
         for _, step in steps:
             illegal += step < rank
             rank = max(rank, step)
-        self.state.update((rank, illegal))
+        later = max(due, steps[-1][0] // 1000 + self.ttl_ms)
+        if later > due:
+            if due:
+                self.handle.deleteTimer(due)
+            self.handle.registerTimer(later)
+        self.state.update((rank, illegal, later))
         name = next(n for n, r in self.RANK.items() if r == rank)
         yield pd.DataFrame(
             {"alert_id": [key[0]], "status": [name], "illegal": [illegal]}
         ).astype({"alert_id": "int64", "illegal": "int64"})
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        self.state.clear()
+        yield pd.DataFrame({"alert_id": [], "status": [], "illegal": []}).astype(
+            {"alert_id": "int64", "status": "object", "illegal": "int64"}
+        )
+
     def close(self) -> None:
         pass
 
@@ -184,7 +225,9 @@ class Heartbeat(StatefulProcessor):
         yield pd.DataFrame({"device_id": [], "last_ms": []}).astype("int64")
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        yield pd.DataFrame({"device_id": [key[0]], "last_ms": [self.seen.get()[0]]}).astype("int64")
+        last = self.seen.get()[0]
+        self.seen.clear()  # it is reported once; what it sends later begins anew
+        yield pd.DataFrame({"device_id": [key[0]], "last_ms": [last]}).astype("int64")
 
     def close(self) -> None:
         pass
@@ -299,12 +342,12 @@ def throttled(stream: DataFrame, quiet_us: int, lateness: str = LATENESS) -> Dat
     )
 
 
-def lifecycle(stream: DataFrame) -> DataFrame:
+def lifecycle(stream: DataFrame, lateness: str = LATENESS, ttl_ms: int = 90 * 24 * 3600 * 1000) -> DataFrame:
     """From a stream of (alert_id, ts, status): the state after each batch."""
     with_state(stream.sparkSession)
-    rows = stream.select("alert_id", F.unix_micros("ts").alias("us"), "status")
+    rows = stream.withWatermark("ts", lateness).select("alert_id", F.unix_micros("ts").alias("us"), "status", "ts")
     return rows.groupBy("alert_id").transformWithStateInPandas(
-        Lifecycle(), "alert_id long, status string, illegal long", "Update", "None"
+        Lifecycle(ttl_ms), "alert_id long, status string, illegal long", "Update", "EventTime"
     )
 
 
