@@ -321,6 +321,38 @@ def test_decimation_keeps_slow_and_drops_fast_lines(spark):
         assert len(r["y"]) == 256 and (abs(y).max() > 0.95 if r["i"] == 0 else abs(y).max() < 0.05)
 
 
+def test_quantiles_of_odd_groups_hold_no_group_in_a_task(spark):
+    """One value of 1e12, groups of one value, of one row, of null keys and values, with NaN; sketches that err."""
+    from tremora.operators import ranks
+
+    rng = np.random.default_rng(4)
+    rows = [("a", float(v)) for v in rng.lognormal(2, 3, 30_000)] + [("a", 1e12), ("a", None)]
+    rows += [("b", 7.0)] * 5000 + [("c", 1.5), ("d", None), (None, 1.0), (None, 3.0)]
+    rows += [("e", v) for v in (1.0, 2.0, float("nan"), float("nan"))]
+    frame = spark.createDataFrame(rows, "g string, v double")
+    wanted = {"x0": 0.0, "x1": 0.001, "x50": 0.5, "x99": 0.99, "x100": 1.0}
+    want = {}
+    for g in {g for g, _ in rows}:
+        own = sorted((v for h, v in rows if h == g and v is not None), key=lambda v: (np.isnan(v), v))
+        if own:
+            at = {n: q * (len(own) - 1) for n, q in wanted.items()}
+            want[g] = {
+                n: own[int(a)] if a == int(a) else own[int(a)] + (own[int(a) + 1] - own[int(a)]) * (a - int(a))
+                for n, a in at.items()
+            }
+    margin = ranks.MARGIN
+    for ranks.MARGIN in (margin, -0.01):  # bounds that miss the rank make no result wrong
+        for window in (None, F.col("v") % 5):
+            got = {r["g"]: r for r in ranks.quantiles(frame, ["g"], "v", wanted, window).collect()}
+            assert set(got) == set(want)
+            for g, of in want.items():
+                assert all(got[g][n] == pytest.approx(v, rel=1e-12, nan_ok=True) for n, v in of.items()), g
+    ranks.MARGIN = margin
+    cells = ranks._cells(frame.where("g = 'a' and v is not null").distinct(), ["g"], "v").groupBy("__cell").count()
+    sizes = [r["count"] for r in cells.collect()]
+    assert len(sizes) == ranks.CELLS and max(sizes) < 30_000 / ranks.CELLS * 1.5
+
+
 def test_quantiles_ranks_and_trailing_sums(spark):
     from tremora.operators.ranks import numbered, quantile
     from tremora.operators.temporal import trailing
@@ -341,12 +373,39 @@ def test_quantiles_ranks_and_trailing_sums(spark):
     }
     assert places == {("a", i): i + 1 for i in range(451)}
     got = {
-        (r["g"], r["i"]): r["n_now"] - r["n_then"]
-        for r in trailing(frame.where("g <> 'd'"), ["g"], "i", "i", {"n": F.lit(1)}, {"now": 1, "then": -9}).collect()
+        (r["g"], r["i"]): r["n_w"]
+        for r in trailing(frame.where("g <> 'd'"), ["g"], "i", "i", "v", {"w": 9}, current=True).collect()
     }
     assert got == {(g, i): min(i, 9) + 1 for g, i, _ in rows if g != "d"}
 
 
+@pytest.mark.parametrize("current", [False, True])
+def test_trailing_moments_keep_the_digits_of_any_size(spark, current):
+    """Values of 1e-9, of 1e15 and around a large level in one history, with nulls, NaN, ties and gaps."""
+    from tremora.operators.temporal import trailing
+
+    rng = np.random.default_rng(9)
+    rows, at = [], 0
+    for level, spread in ((1e-8, 1e-9), (1e15, 1e12), (0.0, 1.0), (1e7, 1e-3), (-3e-5, 1e-6)):
+        at += 1000
+        for _ in range(60):
+            at += int(rng.integers(0, 9))
+            rows.append((at, float(level + spread * rng.normal())))
+    rows += [(at + 500, None), (at + 501, 2.0), (at + 900, float("nan")), (at + 905, 1.0), (at + 2000, 3.0)]
+    frame = spark.createDataFrame([("g", i, t, v) for i, (t, v) in enumerate(rows)], "g string, i int, t long, v double")
+    got = {r["i"]: r for r in trailing(frame, ["g"], "i", "t", "v", {"a": 40, "b": 7}, current).collect()}
+    for i, (t, _) in enumerate(rows):
+        for name, width in (("a", 40), ("b", 7)):
+            own = np.array([v for u, v in rows if v is not None and t - width <= u and (u <= t if current else u < t)])
+            r = got[i]
+            assert r[f"n_{name}"] == len(own)
+            if len(own):
+                assert r[f"mean_{name}"] == pytest.approx(own.mean(), rel=1e-12, nan_ok=True)
+                assert r[f"m2_{name}"] == pytest.approx(((own - own[0]) - (own - own[0]).mean()).dot((own - own[0]) - (own - own[0]).mean()), rel=1e-6, abs=1e-25, nan_ok=True)
+            else:
+                assert r[f"mean_{name}"] is None
+
+
 def test_csv_rows_that_do_not_fit_go_to_quarantine(spark, tmp_path):
     from tremora.sources import io
 

@@ -70,3 +70,14 @@ def finished(centre: float = 0.0) -> list[Column]:
         tidy(F.when((F.col("n") > 1) & (m2 > 0), m4 / (m2 * m2) - 3), 4, 1e-7).alias("kurtosis"),
         tidy(F.col("top") / F.nullif(level, F.lit(0.0)), nudge=1e-9).alias("crest"),
     ]
+
+
+def significant(x: Column, digits: int = 7) -> Column:
+    """Rounded to so many digits from the first that isn't zero."""
+    scale = F.pow(F.lit(10.0), digits - 1 - F.floor(F.log10(F.abs(x))))
+    return F.when(x == 0, F.lit(0.0)).otherwise(F.round(x * scale) / scale)
+
+
+def significant_sql(x: str, digits: int = 7) -> str:
+    scale = f"pow(10.0, {digits - 1} - floor(log10(abs({x}))))"
+    return f"CASE WHEN {x} = 0 THEN 0.0 ELSE round({x} * {scale}) / {scale} END"

@@ -89,31 +89,60 @@ def range_to_bin(points: DataFrame, bins: DataFrame, at: str, low: str, high: st
 
 
 def trailing(
-    rows: DataFrame, by: list[str], key: str, at: str, values: dict[str, Column], edges: dict[str, int]
+    rows: DataFrame,
+    by: list[str],
+    key: str,
+    at: str,
+    value: str,
+    widths: dict[str, int],
+    current: bool,
+    carry: list[str] = []  # noqa: B006
 ) -> DataFrame:
-    """Sums of ``values`` over the rows of a group that lie before ``at`` + an edge, for each row and edge: (*by, key,
-    name_edge).
+    """(*by, key, *carry, and n_w, mean_w, m2_w of each width w): count, mean and sum of squared deviations of the
+    values in the ``width`` before each row; with ``current`` the row and its peers count too.
 
-    A trailing window is the difference of two edges. Rows and their edges are sorted together once and summed up in
-    one pass, so the cost doesn't depend on how many rows a window holds. ``values`` should be exact (long or
-    decimal).
+    Time is dealt into blocks of the width. A window is the end of one block and the beginning of the next, so it is
+    put together from a sum that runs up and one that runs down, and nothing is ever subtracted: values of any size
+    keep their digits. Sums are about a value of the block. A row costs the same whatever a window holds, and no task
+    holds more than a block of a group.
     """
-    names = list(values)
-    own = rows.select(
-        *by,
-        F.col(at).alias("__at"),
-        F.lit(None).cast("string").alias("__edge"),
-        F.lit(None).cast(rows.schema[key].dataType).alias(key),
-        *(c.alias(n) for n, c in values.items())
+    span = F.explode(F.array(*(F.struct(F.lit(n).alias("name"), F.lit(w).alias("width")) for n, w in widths.items())))
+    own = rows.select(*by, key, *carry, F.col(at).alias("__at"), F.col(value).cast("double").alias("__x"), span.alias("__w"))
+    own = own.withColumn("__block", F.floor(F.col("__at") / F.col("__w.width")))
+    keys = [*by, "__w", "__block"]
+    up = Window.partitionBy(*keys).orderBy("__at")
+    so_far = up.rangeBetween(Window.unboundedPreceding, 0 if current else -1)
+    own = own.withColumn("__ref", F.first("__x", ignorenulls=True).over(up)).withColumn("__d", F.col("__x") - F.col("__ref"))
+    d, ref = F.col("__d"), F.col("__ref")
+    own = own.withColumn(
+        "__p", F.struct(F.count(d).over(so_far).alias("n"), F.sum(d).over(so_far).alias("s"), F.sum(d * d).over(so_far).alias("q"))
     )
-    edge = F.explode(
-        F.array(*(F.struct(F.lit(n).alias("edge"), (F.col(at) + d).alias("at")) for n, d in edges.items()))
-    ).alias("e")
-    asked = rows.select(*by, key, edge).select(*by, F.col("e.at").alias("__at"), F.col("e.edge").alias("__edge"), key)
-    before = Window.partitionBy(*by).orderBy("__at").rangeBetween(Window.unboundedPreceding, -1)
-    summed = own.unionByName(asked, allowMissingColumns=True).select(
-        *by, key, "__edge", *(F.coalesce(F.sum(n).over(before), F.lit(0)).alias(n) for n in names)
-    ).where("__edge is not null")
-    return summed.groupBy(*by, key).agg(
-        *(F.max(F.when(F.col("__edge") == e, F.col(n))).alias(f"{n}_{e}") for e in edges for n in names)
+    earlier = (F.col("__at") - F.col("__w.width")).alias("__at")
+    asking = own.select(
+        *by, key, *carry, "__w", (F.col("__block") - 1).alias("__block"), earlier, F.lit(None).cast("double").alias("__d"),
+        ref.alias("__own"), F.lit(None).cast("double").alias("__ref"), "__p", F.lit(True).alias("__asks"),
+    )
+    down = Window.partitionBy(*keys).orderBy(F.col("__at").desc()).rangeBetween(Window.unboundedPreceding, 0)
+    both = asking.unionByName(own.select(*keys, "__at", "__d", "__ref"), allowMissingColumns=True)
+    both = both.select(
+        *by, key, *carry, "__w", "__p", "__own", "__asks",
+        F.count(d).over(down).alias("__n"), F.sum(d).over(down).alias("__s"), F.sum(d * d).over(down).alias("__q"),
+        F.max("__ref").over(down).alias("__other"),
+    ).where("__asks")
+    n1, n2 = F.col("__p.n"), F.col("__n")
+    off1, off2 = F.col("__p.s") / F.nullif(n1, F.lit(0)), F.col("__s") / F.nullif(n2, F.lit(0))
+    mean1, mean2 = F.col("__own") + off1, F.col("__other") + off2
+    step = F.col("__other") - F.col("__own") + (off2 - off1)
+    apart = lambda q, s, n: F.coalesce(q - s * s / F.nullif(n, F.lit(0)), F.lit(0.0))
+    across = F.coalesce(F.pow(step, F.lit(2.0)) * n1 * n2 / F.nullif(n1 + n2, F.lit(0)), F.lit(0.0))
+    found = both.select(
+        *by, key, *carry, F.col("__w.name").alias("__name"), (n1 + n2).alias("n"),
+        F.coalesce(mean1 + step * n2 / F.nullif(n1 + n2, F.lit(0)), mean1, mean2).alias("mean"),
+        F.greatest(apart(F.col("__p.q"), F.col("__p.s"), n1) + apart(F.col("__q"), F.col("__s"), n2) + across, F.lit(0.0)).alias("m2"),
+    )
+    if len(widths) == 1:
+        name = next(iter(widths))
+        return found.select(*by, key, *carry, *(F.col(c).alias(f"{c}_{name}") for c in ("n", "mean", "m2")))
+    return found.groupBy(*by, key, *carry).agg(
+        *(F.max(F.when(F.col("__name") == w, F.col(c))).alias(f"{c}_{w}") for w in widths for c in ("n", "mean", "m2"))
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tremora.functions.features import tidy
+from tremora.functions.features import significant, significant_sql, tidy
 from tremora.operators.ranks import quantile
 from tremora.operators.temporal import trailing
 from tremora.plans.registry import events, query, stamp
@@ -30,30 +30,21 @@ def anomaly_trend_slope(spark, sf_dir):
 
 @query(
     "adaptive_baseline",
-    """SELECT event_id, round(avg(value) OVER w + 3 * stddev_samp(value) OVER w, 6) AS threshold, coalesce(value > round(avg(value) OVER w + 3 * stddev_samp(value) OVER w, 6), false) AS anomaly FROM events
-WINDOW w AS (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 7 DAYS PRECEDING AND INTERVAL 1 MICROSECOND PRECEDING)""",
+    f"""WITH t AS (SELECT event_id, value, CASE WHEN count(*) OVER w > 1 THEN avg(value) OVER w + 3 * stddev_samp(value) OVER w END AS t FROM events
+WINDOW w AS (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 7 DAYS PRECEDING AND INTERVAL 1 MICROSECOND PRECEDING))
+SELECT event_id, {significant_sql("t")} AS threshold, coalesce(value > t, false) AS anomaly FROM t""",
 )
 def adaptive_baseline(spark, sf_dir):
-    """Mean and three deviations of the seven days before, from running sums: the cost doesn't grow with the rows of a
-    week.
-    """
-    week = 7 * 24 * 3600 * 1_000_000
+    """Mean and three deviations of the seven days before; the cost doesn't grow with the rows of a week."""
     rows = events(spark, sf_dir).withColumn("us", F.unix_micros("ts"))
-    x = F.col("value").cast("decimal(18,6)")
-    sums = trailing(
-        rows.select("user_id", "event_id", "us", "value"),
-        ["user_id"],
-        "event_id",
-        "us",
-        {"n": F.lit(1), "s": x, "q": (x * x).cast("decimal(28,12)")},
-        {"now": 0, "then": -week}
+    week = trailing(
+        rows, ["user_id"], "event_id", "us", "value", {"w": 7 * 24 * 3600 * 1_000_000}, current=False, carry=["value"]
     )
-    n, s, q = ((F.col(f"{c}_now") - F.col(f"{c}_then")).cast("double") for c in "nsq")
-    mean = s / F.nullif(n, F.lit(0.0))
-    spread = F.sqrt((q - s * mean) / F.nullif(n - 1, F.lit(0.0)))
-    limits = sums.select("user_id", "event_id", F.round(mean + 3 * F.when(n > 1, spread), 6).alias("threshold"))
-    return rows.join(limits, ["user_id", "event_id"]).select(
-        "event_id", "threshold", F.coalesce(F.col("value") > F.col("threshold"), F.lit(False)).alias("anomaly")
+    limit = F.when(F.col("n_w") > 1, F.col("mean_w") + 3 * F.sqrt(F.col("m2_w") / (F.col("n_w") - 1)))
+    return week.select(
+        "event_id",
+        significant(limit).alias("threshold"),
+        F.coalesce(F.col("value") > limit, F.lit(False)).alias("anomaly")
     )
 
 
@@ -97,15 +88,17 @@ WINDOW a AS (PARTITION BY o_custkey ORDER BY o_orderdate RANGE BETWEEN INTERVAL
  c AS (PARTITION BY o_custkey ORDER BY o_orderdate RANGE BETWEEN INTERVAL 365 DAYS PRECEDING AND CURRENT ROW)""",
 )
 def health_trend_30_90_365(spark, sf_dir):
-    """Means of the last 30, 90 and 365 days of each asset, from running sums."""
+    """Means of the last 30, 90 and 365 days of each asset."""
     day, spans = 24 * 3600, (30, 90, 365)
     rows = table(spark, sf_dir, "orders").select(
         "o_custkey", "o_orderkey", "o_totalprice", F.unix_seconds(F.col("o_orderdate").cast("timestamp")).alias("s")
     )
-    values = {"n": F.lit(1), "x": F.col("o_totalprice").cast("decimal(18,6)")}
-    sums = trailing(rows, ["o_custkey"], "o_orderkey", "s", values, {"now": 1} | {f"d{d}": -d * day for d in spans})
-    mean = lambda d: (F.col("x_now") - F.col(f"x_d{d}")).cast("double") / (F.col("n_now") - F.col(f"n_d{d}"))
-    return sums.select(F.col("o_orderkey").alias("id"), *(F.round(mean(d) + 1e-7, 4).alias(f"d{d}") for d in spans))
+    means = trailing(
+        rows, ["o_custkey"], "o_orderkey", "s", "o_totalprice", {f"d{d}": d * day for d in spans}, current=True
+    )
+    return means.select(
+        F.col("o_orderkey").alias("id"), *(F.round(F.col(f"mean_d{d}") + 1e-7, 4).alias(f"d{d}") for d in spans)
+    )
 
 
 @query(
