@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tremora.operators.temporal import asof
+
 P1, P2 = 250.0, 120.0
 
 
@@ -28,11 +32,21 @@ def throttle(alerts: DataFrame, device: str, time_us: str, quiet_us: int) -> Dat
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, last, begun = None, 0, False
         for batch in batches:
-            kept = []
-            for i, (own, t) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
-                if not begun or own != held or t - last >= quiet_us:
-                    kept.append(i)
-                    held, last, begun = own, t, True
+            if not batch.num_rows:
+                continue
+            own, times = batch.column(0), batch.column(1).to_numpy()
+            runs = pc.run_end_encode(own)  # rows of one device stand together
+            kept, start = [], 0
+            for name, end in zip(runs.values.to_pylist(), runs.run_ends.to_pylist(), strict=True):
+                if begun and name == held:
+                    at = start + int(np.searchsorted(times[start:end], last + quiet_us))
+                else:
+                    at = start
+                while at < end:  # from an emitted alert straight to the next that may be
+                    kept.append(at)
+                    last = int(times[at])
+                    at = max(at + 1, start + int(np.searchsorted(times[start:end], last + quiet_us)))
+                held, begun, start = name, True, end
             yield batch.take(pa.array(kept, pa.int64()))
 
     rows = alerts.select(device, F.col(time_us).cast("long").alias(time_us)).where(F.col(time_us).isNotNull())
@@ -66,7 +80,7 @@ def cusum(
     w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     summed = rows.withColumn("__block", block).withColumn("__sum", F.sum(x - F.lit(slack)).over(w))
     summed = summed.withColumn("__least", F.min("__sum").over(w))
-    parts = rows.withColumn("__block", block).withColumn("__sum", F.sum(x - F.lit(slack)).over(w)).groupBy(*keys).agg(
+    parts = summed.groupBy(*keys).agg(
         F.max_by("__sum", F.struct(*order)).alias("__total"), F.min("__sum").alias("__low")
     )
     before = Window.partitionBy(*device).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
@@ -102,3 +116,19 @@ def lifecycle(events: DataFrame, alert: str, state: str, order: list[str], ranks
         F.coalesce(F.sum("__back"), F.lit(0)).alias("illegal"),
         F.count("*").alias("transitions")
     )
+
+
+def escalation(
+    alerts: DataFrame, acks: DataFrame, seen: DataFrame, rules: DataFrame, device: str, alert: str, us: str, width_us: int
+) -> DataFrame:
+    """(alert, level): the levels of ``rules`` (site, level, after_us) that each alert (device, alert, us, site)
+    reached before a later acknowledgement (device, us) of its device, as far as ``seen`` (device, seen) goes.
+
+    The acknowledgement is joined as of reversed time, by blocks: a device of any length costs a sort.
+    """
+    back = alerts.withColumn("__on", -F.col(us))
+    later = acks.select(device, (1 - F.col(us)).alias("__on"), F.col(us).alias("__acked"))
+    found = asof(back, later, [device], "__on", ["__acked"], width=width_us)
+    due = found.join(seen, device).join(rules, "site").withColumn("__due", F.col(us) + F.col("after_us"))
+    open_then = F.col("__acked").isNull() | (F.col("__acked") > F.col("__due"))
+    return due.where((F.col("__due") <= F.col("seen")) & open_then).select(alert, "level")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tremora.operators import orders, temporal
+from tremora.operators import lags, orders, temporal
 from tremora.plans.registry import events, query
 from tremora.session import table
 
@@ -361,3 +361,38 @@ def order_tracking(spark, sf_dir):
         F.col("order").cast("long").alias("order"),
         (F.round(F.element_at("spectrum", F.col("order") * STRETCH + 1), 4) + 0.0).alias("amplitude")
     )
+
+
+LAGS, PERIOD = 24, 2160
+_PAIRS = (("click", "view"), ("error", "view"), ("click", "error"))
+
+
+@query(
+    "lagged_correlation",
+    f"""WITH h AS (SELECT user_id, event_type, epoch_us(ts) // 3600000000 AS h, avg(value) AS v FROM events GROUP BY ALL), c AS (SELECT user_id, event_type, h // {PERIOD} AS period, h, v - avg(v) OVER (PARTITION BY user_id, event_type, h // {PERIOD}) AS x FROM h),
+n AS (SELECT user_id, period, event_type, sum(x * x) AS q FROM c GROUP BY ALL), p AS (SELECT * FROM (VALUES {", ".join(map(str, _PAIRS))}) t(one, other)), l AS (SELECT CAST(unnest(range(-{LAGS}, {LAGS + 1})) AS INTEGER) AS lag),
+k AS (SELECT a.user_id, a.period, p.one, p.other, lag, a.q AS qa, b.q AS qb FROM n a JOIN n b ON a.user_id = b.user_id AND a.period = b.period JOIN p ON p.one = a.event_type AND p.other = b.event_type, l WHERE a.q > 1e-20 AND b.q > 1e-20),
+s AS (SELECT a.user_id, a.period, a.event_type AS one, b.event_type AS other, CAST(b.h - a.h AS INTEGER) AS lag, sum(a.x * b.x) AS s FROM c a JOIN c b ON a.user_id = b.user_id AND a.period = b.period AND b.h BETWEEN a.h - {LAGS} AND a.h + {LAGS} JOIN p ON p.one = a.event_type AND p.other = b.event_type GROUP BY ALL),
+r AS (SELECT k.*, round(coalesce(s, 0) / sqrt(qa * qb), 9) AS r FROM k LEFT JOIN s USING (user_id, period, one, other, lag))
+SELECT user_id AS asset_id, period, one, other, lag, round(r, 6) + 0.0 AS r FROM r QUALIFY row_number() OVER (PARTITION BY user_id, period, one, other ORDER BY abs(r) DESC, abs(lag), lag) = 1""",
+)
+def lagged_correlation(spark, sf_dir):
+    """The lag in hours at which two modalities of an asset go together best, and how well; quarters of a year apart."""
+    hour = F.floor(F.unix_micros("ts") / 3_600_000_000)
+    kinds = sorted({k for pair in _PAIRS for k in pair})
+    hours = events(spark, sf_dir).where(F.col("event_type").isin(kinds)).groupBy(
+        F.col("user_id").alias("asset_id"), "event_type", hour.alias("h")
+    ).agg(F.avg("value").alias("v"))
+    point = F.struct("h", "v")
+    # a quarter has 2,160 hours at most, whatever was sent in them
+    series = hours.groupBy("asset_id", F.floor(F.col("h") / PERIOD).alias("period")).agg(
+        *(F.collect_list(F.when(F.col("event_type") == k, point)).alias(k) for k in kinds)
+    )
+    best = lags.best_lag(LAGS)
+    pairs = F.explode(F.array(*(F.struct(F.lit(a).alias("one"), F.lit(b).alias("other"), F.col(a).alias("a"), F.col(b).alias("b")) for a, b in _PAIRS)))
+    found = series.select("asset_id", "period", pairs.alias("p")).select(
+        "asset_id", "period", "p.one", "p.other", best("p.a", "p.b").alias("best")
+    )
+    return found.where("best is not null").select(
+        "asset_id", "period", "one", "other", "best.lag", (F.round("best.r", 6) + 0.0).alias("r")
+    )

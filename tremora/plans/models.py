@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from tremora.functions import dsp
 from tremora.functions.features import tidy
+from tremora.operators.anomaly import scored
 from tremora.operators.ranks import running
 from tremora.plans.registry import events, query
 from tremora.session import table
@@ -319,3 +320,17 @@ def pca_residual(spark, sf_dir):
         return pa.array(np.linalg.norm(x - x @ basis @ basis.T, axis=1))
 
     return rows.select("vec_id", F.round(residual("x"), 6).alias("residual"))
+
+
+@query("machine_anomaly")
+def machine_anomaly(spark, sf_dir):
+    """Distance of each waveform's features from its machine's history, and its percentile there."""
+    x = F.col("x")
+    rows = table(spark, sf_dir, "embeddings").where("embedding is not null").select(
+        "vec_id", "label", dsp.doubles(F.col("embedding")).alias("x"), dsp.rfft("embedding").alias("s")
+    )
+    features = F.array(dsp.array_rms(x), dsp.array_peak(x), *(F.col("s")[k] for k in range(1, 7)))
+    found = scored(rows.select("vec_id", "label", features.alias("f")), "label", "vec_id", "f")
+    return found.select(
+        F.col("key").alias("vec_id"), "machine", "score", F.round("percentile", 6).alias("percentile")
+    )

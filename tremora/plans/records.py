@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tremora.functions import dsp
 from tremora.functions.features import tidy
 from tremora.operators import alerts as A
+from tremora.operators.privacy import private_mean
 from tremora.operators.search import score_terms
 from tremora.plans.registry import events, query, stamp
 from tremora.session import cut, scratch, table
@@ -206,32 +207,49 @@ s AS (SELECT level, CAST(minutes AS BIGINT) AS minutes FROM (VALUES (1, 60), (2,
 SELECT a.event_id AS alert_id, s.level FROM a JOIN d ON a.user_id = d.user_id, s WHERE epoch_us(a.ts) + s.minutes * {MINUTE} <= epoch_us(d.seen) AND (acked IS NULL OR epoch_us(acked) > epoch_us(a.ts) + s.minutes * {MINUTE})"""
 
 
+def _escalation(spark, sf_dir, rules, site):
+    """Levels under a rules table; a click acknowledges the alerts of its device that came before."""
+    rows = events(spark, sf_dir).select("user_id", "event_id", "event_type", F.unix_micros("ts").alias("us"))
+    last = rows.groupBy("user_id").agg(F.max("us").alias("seen"))
+    horizon = F.broadcast(rows.agg((F.max("us") - 24 * 60 * MINUTE).alias("horizon")))  # one row
+    seen = last.join(horizon).select("user_id", F.greatest("seen", "horizon").alias("seen"))
+    alerts = rows.where("event_type = 'error'").select(
+        "user_id", F.col("event_id").alias("alert_id"), "us", site.alias("site")
+    )
+    clicks = rows.where("event_type = 'click'").select("user_id", "us")
+    return A.escalation(alerts, clicks, seen, rules, "user_id", "alert_id", "us", 24 * 60 * MINUTE)
+
+
+STEPS = ((1, 60), (2, 240), (3, 1440))
+
+
 @query("alert_escalation", ESCALATION_SQL)
 def alert_escalation(spark, sf_dir):
     """Levels that each alert reached before a later click of the device acknowledged it: after one, four and 24
     hours.
     """
-    rows = events(spark, sf_dir).select("user_id", "event_id", "event_type", F.unix_micros("ts").alias("us"))
-    later = Window.partitionBy("user_id").orderBy("us").rangeBetween(1, Window.unboundedFollowing)
-    whole = Window.partitionBy("user_id")
-    horizon = F.broadcast(rows.agg((F.max("us") - 24 * 60 * MINUTE).alias("horizon")).withColumn("one", F.lit(1)))
-    marked = rows.withColumn(
-        "acked", F.min(F.when(F.col("event_type") == "click", F.col("us"))).over(later)
-    ).withColumn("seen", F.max("us").over(whole))
-    steps = F.explode(
-        F.array(
-            *(
-                F.struct(F.lit(k).alias("level"), F.lit(m * MINUTE).cast("long").alias("after"))
-                for k, m in ((1, 60), (2, 240), (3, 1440))
-            )
-        )
-    ).alias("s")
-    due = marked.where("event_type = 'error'").withColumn("one", F.lit(1)).join(horizon, "one").select(
-        "event_id", "acked", F.greatest("seen", "horizon").alias("seen"), "us", steps
-    ).withColumn("due", F.col("us") + F.col("s.after"))
-    return due.where(
-        (F.col("due") <= F.col("seen")) & (F.col("acked").isNull() | (F.col("acked") > F.col("due")))
-    ).select(F.col("event_id").alias("alert_id"), "s.level")
+    rules = spark.createDataFrame([(0, k, m * MINUTE) for k, m in STEPS], "site long, level int, after_us long")
+    return _escalation(spark, sf_dir, rules, F.lit(0).cast("long"))
+
+
+ESCALATION_RULES_SQL = ESCALATION_SQL.replace(
+    "s AS (SELECT level, CAST(minutes AS BIGINT) AS minutes FROM (VALUES", "s AS (SELECT level, CAST(minutes * (1 + r_regionkey) AS BIGINT) AS minutes, r_regionkey AS site FROM region, (VALUES"
+).replace(", s WHERE", " JOIN s ON s.site = a.user_id % 5 WHERE")
+
+
+def escalation_rules(spark, sf_dir):
+    """(site, level, after_us): the rules of each region, as rows."""
+    steps = F.inline(
+        F.array(*(F.struct(F.lit(k).alias("level"), F.lit(m * MINUTE).cast("long").alias("after_us")) for k, m in STEPS))
+    )
+    rows = table(spark, sf_dir, "region").select(F.col("r_regionkey").cast("long").alias("site"), steps)
+    return rows.withColumn("after_us", F.col("after_us") * (1 + F.col("site")))
+
+
+@query("alert_escalation_rules", ESCALATION_RULES_SQL)
+def alert_escalation_rules(spark, sf_dir):
+    """The same under rules that are rows of a table, those of the device's region."""
+    return _escalation(spark, sf_dir, escalation_rules(spark, sf_dir), (F.col("user_id") % 5).cast("long"))
 
 
 @query(
@@ -301,22 +319,11 @@ def alarm_load(spark, sf_dir):
     return found.select(F.round(F.col("a") * 100.0 / (F.col("u") * F.col("d")), 6).alias("alarms_per_day_per_100"))
 
 
-@query(
-    "federated_private_mean",
-    """WITH s AS (SELECT user_id, least(greatest(avg(value), 50), 150) AS m, count(*) AS n, CAST('0x' || substr(md5('round-1:' || user_id), 1, 8) AS BIGINT) / 4294967296.0 - 0.5 AS u FROM events GROUP BY user_id)
-SELECT round(sum((m - 2.0 * sign(u) * ln(1 - 2 * abs(u) + 1e-12)) * n) / sum(n), 5) AS mean FROM s""",
-)
+@query("federated_private_mean")
 def federated_private_mean(spark, sf_dir):
-    """The sites' means, clipped to a range and blurred by Laplace noise that each site draws for the round, then
-    weighted.
-    """
+    """The sites' means, clipped to a range and blurred by Laplace noise that is drawn anew for the round, weighted."""
     sites = events(spark, sf_dir).groupBy("user_id").agg(F.avg("value").alias("m"), F.count("*").alias("n"))
-    u = F.conv(
-        F.substring(F.md5(F.concat(F.lit("round-1:"), F.col("user_id").cast("string"))), 1, 8), 16, 10
-    ).cast("double") / float(1 << 32) - 0.5
-    clipped = F.least(F.greatest("m", F.lit(50.0)), F.lit(150.0))
-    noisy = clipped - 2.0 * F.signum(u) * F.ln(1 - 2 * F.abs(u) + 1e-12)
-    return sites.agg(F.round(F.sum(noisy * F.col("n")) / F.sum("n"), 5).alias("mean"))
+    return private_mean(sites, "m", "n", 50.0, 150.0, 2.0).select(F.round("mean", 5).alias("mean"))
 
 
 @query(

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tremora.functions.features import tidy
 from tremora.plans import features, operations  # noqa: F401  register the batch forms
 from tremora.plans.alerts import QUIET
-from tremora.plans.records import ESCALATION_SQL, MINUTE
+from tremora.plans.records import ESCALATION_RULES_SQL, ESCALATION_SQL, MINUTE, escalation_rules
 from tremora.plans.registry import SQL, events, query, stamp
 from tremora.session import scratch, table
 from tremora.streaming import jobs, keyed, segments
@@ -136,6 +136,20 @@ def stream_escalation(spark, sf_dir):
     )
 
 
+@query("stream_escalation_rules", ESCALATION_RULES_SQL)
+def stream_escalation_rules(spark, sf_dir):
+    """Escalation under the rules of each device's region, which its state begins with."""
+    kind = F.when(
+        F.col("event_type") == "error", "alert"
+    ).when(F.col("event_type") == "click", "ack").otherwise("other")
+    devices = events(spark, sf_dir).select(F.col("user_id").alias("device_id")).distinct()
+    rules = devices.withColumn("site", (F.col("device_id") % 5).cast("long")).join(
+        escalation_rules(spark, sf_dir), "site"
+    )
+    rows = jobs.event_stream(spark, sf_dir).withColumn("kind", kind)
+    return jobs.drained(jobs.escalated(rows, [], rules=rules))
+
+
 @query(
     "stream_lifecycle",
     """WITH o AS (SELECT *, CASE event_type WHEN 'error' THEN 0 WHEN 'view' THEN 1 ELSE 2 END AS r FROM events), b AS (SELECT *, max(r) OVER (PARTITION BY user_id ORDER BY ts, r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p FROM o)

@@ -234,13 +234,16 @@ class Heartbeat(StatefulProcessor):
 
 
 class Escalation(StatefulProcessor):
-    """Raises an alert a level at each step of time without an acknowledgement, by event-time timers."""
+    """Raises an alert a level at each step of time without an acknowledgement, by event-time timers. A device whose
+    rules came as initial state follows these, others the given steps.
+    """
 
     def __init__(self, steps_us: list[int]):
-        self.steps_us = steps_us
+        self.usual = self.steps_us = steps_us
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
+        self.rules = handle.getListState("rules", T.StructType([T.StructField("after_us", T.LongType())]))
         # alerts that wait: when, which, and the next level
         self.open = handle.getMapState(
             "open",
@@ -248,6 +251,15 @@ class Escalation(StatefulProcessor):
             T.StructType([T.StructField("us", T.LongType()), T.StructField("level", T.IntegerType())])
         )
 
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:  # noqa: N802, N803
+        for us in initialState.sort_values("level")["after_us"].tolist():
+            self.rules.appendValue((us,))
+
+    def _begin(self) -> dict:
+        """The alerts that wait; the steps of this device are in force from here on."""
+        self.steps_us = [r[0] for r in self.rules.get()] if self.rules.exists() else self.usual
+        return {k[0]: tuple(v) for k, v in self.open.iterator()}
+
     def _raise(self, waiting: dict, until: int, out: list) -> None:
         """Levels that fall due up to a time."""
         for alert, (us, level) in list(waiting.items()):
@@ -271,7 +283,7 @@ class Escalation(StatefulProcessor):
             self.handle.registerTimer(due)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        waiting, out = {k[0]: tuple(v) for k, v in self.open.iterator()}, []
+        waiting, out = self._begin(), []
         events = sorted(
             (us, kind, i)
             for frame in rows
@@ -291,7 +303,7 @@ class Escalation(StatefulProcessor):
         yield pd.DataFrame(out, columns=["alert_id", "level"]).astype({"alert_id": "int64", "level": "int32"})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        waiting, out = {k[0]: tuple(v) for k, v in self.open.iterator()}, []
+        waiting, out = self._begin(), []
         self._raise(waiting, timerValues.getCurrentWatermarkInMs() * 1000, out)
         self._keep(waiting)
         yield pd.DataFrame(out, columns=["alert_id", "level"]).astype({"alert_id": "int64", "level": "int32"})
@@ -372,14 +384,19 @@ def scored(stream: DataFrame, score: Callable[[pd.DataFrame], pd.Series], schema
     return stream.mapInPandas(run, schema)
 
 
-def escalated(stream: DataFrame, steps_us: list[int], lateness: str = LATENESS) -> DataFrame:
-    """(alert_id, level) as alerts (kind "alert") stay without an acknowledgement (kind "ack") of their device."""
+def escalated(
+    stream: DataFrame, steps_us: list[int], lateness: str = LATENESS, rules: DataFrame | None = None
+) -> DataFrame:
+    """(alert_id, level) as alerts (kind "alert") stay without an acknowledgement (kind "ack") of their device.
+    ``rules`` (device_id, level, after_us) is the state that devices begin with.
+    """
     with_state(stream.sparkSession)
     rows = stream.withWatermark("ts", lateness).select(
         F.col("user_id").alias("device_id"), F.unix_micros("ts").alias("us"), "kind", "event_id", "ts"
     )
+    begin = None if rules is None else rules.select("device_id", "level", "after_us").groupBy("device_id")
     return rows.groupBy("device_id").transformWithStateInPandas(
-        Escalation(steps_us), "alert_id long, level int", "Append", "EventTime"
+        Escalation(steps_us), "alert_id long, level int", "Append", "EventTime", initialState=begin
     )
 
 
