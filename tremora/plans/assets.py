@@ -194,16 +194,22 @@ def counterfactual_linear(spark, sf_dir):
 
 @query(
     "dataset_fusion",
-    "SELECT part, count(*) AS windows, count(DISTINCT label) AS bearings FROM (SELECT 'a' AS part, label FROM embeddings WHERE vec_id % 2 = 0 UNION ALL SELECT 'b', label FROM embeddings WHERE vec_id % 2 = 1 UNION ALL SELECT 'synthetic', label FROM embeddings WHERE label = 3) GROUP BY part"
+    """WITH w AS (SELECT CASE WHEN vec_id % 2 = 0 THEN 'a' ELSE 'b' END AS part, label, list_transform(embedding, lambda v: CAST(v AS DOUBLE)) AS x FROM embeddings),
+s AS (SELECT * FROM w UNION ALL SELECT 'synthetic', label, list_transform(list_reverse(x), lambda v, i: v * (1 + 0.1 * sin(i - 1))) FROM w WHERE label = 3)
+SELECT part, count(*) AS windows, count(DISTINCT label) AS bearings, round(avg(sqrt(list_sum(list_transform(x, lambda v: v * v)) / len(x))), 6) AS rms FROM s GROUP BY part""",
 )
 def dataset_fusion(spark, sf_dir):
-    """Several labelled sets and generated windows as one set."""
-    rows = table(spark, sf_dir, "embeddings").select("label", "vec_id")
-    parts = [
-        rows.where("vec_id % 2 = 0").withColumn("part", F.lit("a")),
-        rows.where("vec_id % 2 = 1").withColumn("part", F.lit("b")),
-        rows.where("label = 3").withColumn("part", F.lit("synthetic"))
-    ]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("part").agg(
-        F.count("*").alias("windows"), F.countDistinct("label").alias("bearings")
+    """Several labelled sets and windows that are made for a rare class, as one set: its windows turned round in time
+    with a swell.
+    """
+    part = F.when(F.col("vec_id") % 2 == 0, "a").otherwise("b")
+    rows = table(spark, sf_dir, "embeddings").select(
+        part.alias("part"), "label", dsp.doubles(F.col("embedding")).alias("x")
+    )
+    swell = F.transform(F.reverse("x"), lambda v, i: v * (1 + 0.1 * F.sin(i.cast("double"))))
+    made = rows.where("label = 3").select(F.lit("synthetic").alias("part"), "label", swell.alias("x"))
+    return rows.unionByName(made).groupBy("part").agg(
+        F.count("*").alias("windows"),
+        F.countDistinct("label").alias("bearings"),
+        F.round(F.avg(dsp.array_rms(F.col("x"))), 6).alias("rms")
     )

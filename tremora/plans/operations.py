@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 
 from tremora.functions import dsp
 from tremora.functions.features import tidy
-from tremora.operators.ranks import running
+from tremora.operators.ranks import numbered, running
 from tremora.operators.temporal import asof, interval
 from tremora.plans.registry import SQL, events, query
 from tremora.plans.signal import _WAVES, _filtered_sql
@@ -161,28 +161,34 @@ def decimated_rms(spark, sf_dir):
 
 @query(
     "long_spectrum",
-    """WITH c AS (SELECT label, flatten(list(embedding ORDER BY vec_id)) AS x FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS k FROM embeddings) WHERE k <= 1024 GROUP BY label),
-p AS (SELECT label, list_transform(x[1 : CAST(pow(2, floor(log2(len(x)))) AS BIGINT)], lambda v: CAST(v AS DOUBLE)) AS x FROM c), b AS (SELECT label, unnest(range(1, 17)) AS bin, x FROM p)
-SELECT label AS machine, bin, len(x) AS points, round(2 * sqrt(pow(list_sum(list_transform(x, lambda v, i: v * cos(2 * pi() * bin * (i - 1) / len(x)))), 2) + pow(list_sum(list_transform(x, lambda v, i: v * sin(2 * pi() * bin * (i - 1) / len(x)))), 2)) / len(x), 6) + 0.0 AS amplitude FROM b""",
+    """WITH c AS (SELECT label, (k - 1) // 1024 AS block, flatten(list(embedding ORDER BY vec_id)) AS x FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS k FROM embeddings) GROUP BY ALL),
+p AS (SELECT label, block, list_transform(x[1 : CAST(pow(2, floor(log2(len(x)))) AS BIGINT)], lambda v: CAST(v AS DOUBLE)) AS x FROM c), b AS (SELECT label, block, unnest(range(1, 17)) AS bin, x FROM p)
+SELECT label AS machine, block, bin, len(x) AS points, round(2 * sqrt(pow(list_sum(list_transform(x, lambda v, i: v * cos(2 * pi() * bin * (i - 1) / len(x)))), 2) + pow(list_sum(list_transform(x, lambda v, i: v * sin(2 * pi() * bin * (i - 1) / len(x)))), 2)) / len(x), 6) + 0.0 AS amplitude FROM b""",
 )
 def long_spectrum(spark, sf_dir):
-    """One transform over a machine's consecutive waveforms: 65,536 points at most (1,024 waveforms of 64), the
-    largest power of two below.
+    """Transforms over blocks of 1,024 consecutive waveforms of a machine, 65,536 points; the last block has the
+    largest power of two that its waveforms fill. Waveforms are numbered by stretches of ids.
     """
-    place = F.row_number().over(Window.partitionBy("label").orderBy("vec_id"))
-    rows = table(spark, sf_dir, "embeddings").withColumn("k", place).where("k <= 1024")
+    rows = numbered(
+        table(spark, sf_dir, "embeddings"), ["label"], [F.floor(F.col("vec_id") / 4096)], ["vec_id"], "k"
+    ).withColumn("block", F.floor((F.col("k") - 1) / 1024))
     whole = F.flatten(
         F.transform(F.array_sort(F.collect_list(F.struct("vec_id", "embedding"))), lambda s: s["embedding"])
     )
-    records = rows.groupBy("label").agg(whole.alias("x")).select(
+    records = rows.groupBy("label", "block").agg(whole.alias("x")).select(
         "label",
+        "block",
         F.slice("x", F.lit(1), F.pow(F.lit(2.0), F.floor(F.log2(F.size("x").cast("double")))).cast("int")).alias("x")
     )
     spectra = records.select(
-        "label", F.size("x").cast("long").alias("points"), F.posexplode(F.slice(dsp.rfft("x"), 2, 16)).alias("at", "a")
+        "label",
+        "block",
+        F.size("x").cast("long").alias("points"),
+        F.posexplode(F.slice(dsp.rfft("x"), 2, 16)).alias("at", "a")
     )
     return spectra.select(
         F.col("label").alias("machine"),
+        "block",
         (F.col("at") + 1).cast("long").alias("bin"),
         "points",
         tidy(F.col("a"), 6).alias("amplitude")

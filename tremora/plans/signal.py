@@ -288,6 +288,7 @@ def rfft_spectrum(spark, sf_dir):
     return spectra.select("vec_id", F.col("bin").cast("long").alias("bin"), tidy(F.col("a"), 5).alias("amplitude"))
 
 
+BANK_RATE = 96_000.0
 BANDS = {"low": (10.0, 1000.0), "middle": (1000.0, 10_000.0), "high": (10_000.0, 40_000.0)}
 
 
@@ -297,8 +298,8 @@ def _filtered_sql(x: str, taps: str, n: int) -> str:
     return f"list_transform(range(1, len({x}) + 1), lambda i: list_sum(list_transform(range(1, {n + 1}), lambda j: CASE WHEN i + {half + 1} - j BETWEEN 1 AND len({x}) THEN {taps}[j] * {x}[i + {half + 1} - j] ELSE 0 END)))"
 
 
-def _taps_sql(low: float, high: float) -> str:
-    return "[" + ", ".join(repr(float(h)) + "::DOUBLE" for h in dsp.band_taps(low, high, RATE)) + "]"
+def _taps_sql(low: float, high: float, rate: float = RATE) -> str:
+    return "[" + ", ".join(repr(float(h)) + "::DOUBLE" for h in dsp.band_taps(low, high, rate)) + "]"
 
 
 @query(
@@ -322,18 +323,18 @@ def envelope_spectrum(spark, sf_dir):
 
 def _rms_sql(name: str) -> str:
     low, high = BANDS[name]
-    return f"round(sqrt(list_sum(list_transform({_filtered_sql('x', _taps_sql(low, high), 31)}, lambda v: v * v)) / len(x)), 6) AS {name}"
+    return f"round(sqrt(list_sum(list_transform({_filtered_sql('x', _taps_sql(low, high, BANK_RATE), 31)}, lambda v: v * v)) / len(x)), 6) AS {name}"
 
 
 @query(
     "band_bank",
-    f"""WITH {_WAVES} SELECT vec_id, {_rms_sql("low")}, {_rms_sql("middle")}, CAST(NULL AS DOUBLE) AS high FROM x"""
+    f"""WITH {_WAVES} SELECT vec_id, {_rms_sql("low")}, {_rms_sql("middle")}, {_rms_sql("high")} FROM x"""
 )
 def band_bank(spark, sf_dir):
-    """RMS of each waveform in three pass bands; null for a band that the sampling rate can't hold: 10 to 40 kHz needs
-    80 kHz.
+    """RMS of each waveform in three pass bands, of signals sampled at 96 kHz; null for a band that the sampling rate
+    can't hold.
     """
-    rms = lambda low, high: F.round(dsp.array_rms(dsp.band_filter(low, high, RATE)("embedding")), 6) if high <= RATE / 2 else F.lit(None).cast("double")
+    rms = lambda low, high: F.round(dsp.array_rms(dsp.band_filter(low, high, BANK_RATE)("embedding")), 6) if high <= BANK_RATE / 2 else F.lit(None).cast("double")
     return table(spark, sf_dir, "embeddings").select("vec_id", *(rms(*band).alias(n) for n, band in BANDS.items()))
 
 

@@ -96,12 +96,12 @@ def spectrum_peaks(spark, sf_dir):
 
 @query(
     "harmonic_table",
-    f"""WITH {_WAVES}, b AS (SELECT vec_id, x, unnest(range(2, 32)) AS harmonic FROM x) SELECT vec_id, harmonic, round(100 * sqrt({_power("harmonic")}) / nullif(sqrt({_power("1")}), 0), 4) + 0.0 AS percent FROM b""",
+    f"""WITH {_WAVES}, b AS (SELECT vec_id, x, unnest(range(2, least(51, len(x) // 2))) AS harmonic FROM x) SELECT vec_id, harmonic, round(100 * sqrt({_power("harmonic")}) / nullif(sqrt({_power("1")}), 0), 4) + 0.0 AS percent FROM b""",
 )
 def harmonic_table(spark, sf_dir):
-    """Each harmonic in percent of the fundamental."""
+    """Each harmonic below half the samples, to the 50th, in percent of the fundamental."""
     rows = _embeddings(spark, sf_dir).select("vec_id", dsp.rfft("embedding").alias("s"))
-    rows = rows.select("vec_id", F.element_at("s", 2).alias("base"), F.posexplode(F.slice("s", 3, 30)).alias("at", "a"))
+    rows = rows.select("vec_id", F.element_at("s", 2).alias("base"), F.posexplode(F.slice("s", F.lit(3), F.least(F.lit(49), F.size("s") - 3))).alias("at", "a"))
     return rows.select(
         "vec_id",
         (F.col("at") + 2).cast("long").alias("harmonic"),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -50,9 +51,28 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+_written: list[str] = []
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A fresh path in the shared folder. What lies there goes when the driver ends, since frames that were given out
+    may read it until then.
+    """
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if not _written:
+        atexit.register(_sweep)  # before the gateway goes, which was registered earlier
+    _written.append(path)
+    return path
+
+
+def _sweep() -> None:
+    spark = SparkSession.getActiveSession()
+    if spark is None or spark.sparkContext._jsc is None:
+        return
+    conf = spark._jsc.hadoopConfiguration()
+    for path in _written:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(conf).delete(place, True)
 
 
 def cut(frame: DataFrame, name: str = "cut") -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import secrets
 import struct
 from datetime import date, timedelta
 
@@ -11,6 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tremora.session import cut, scratch
+from tremora.sources.objects import put
+
 TELEMETRY = T.StructType(
     [
         T.StructField(n, t) for n, t in (
@@ -150,6 +154,34 @@ def upsert(
     return merged.select(*keys, *(F.col(f"__row.{c}").alias(c) for c in rest), *summed)
 
 
+def merge_days(
+    spark: SparkSession, path: str, schema: str, changes: DataFrame, keys: list[str], summed: dict
+) -> DataFrame:
+    """Add ``changes`` to a table partitioned by ``day`` and return the table. Days without changes are not read; the
+    others are put together aside and then replaced.
+    """
+    changes = cut(changes, "late")
+    days = changes.select(F.col("day").alias("__day")).distinct()
+    now = spark.read.schema(schema).parquet(path)
+    touched = now.join(days, F.col("day") == F.col("__day"), "left_semi")
+    merged = touched.unionByName(changes).groupBy(*keys).agg(*(f(c).alias(c) for c, f in summed.items()))
+    cut(merged, "merged").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(path)
+    return spark.read.schema(schema).parquet(path)
+
+
+def deployment_key(spark: SparkSession) -> DataFrame:
+    """One row with ``key``, the 32 bytes of the file that spark.tremora.key.path names (64 hex digits). A local session
+    without the setting gets a key of its own.
+    """
+    path = spark.conf.get("spark.tremora.key.path", None)
+    if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.tremora.key.path to the file of the deployment's key")
+        path = scratch(spark, "key")
+        put(path, secrets.token_hex(32).encode())
+    return spark.read.text(path).select(F.unhex("value").alias("key")).limit(1)
+
+
 def tenant_rows(rows: DataFrame, allowed: DataFrame, key: str, tenant: str) -> DataFrame:
     """The rows whose tenant is among the allowed ones."""
     return rows.join(
