@@ -22,12 +22,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tremora.llm.textscan import array_slices, text_buffers
-from tremora.llm.units import UNIT_SLICE, UnitIds, gather, per_row, string_array
+from tremora.llm.textscan import array_slices, give_back, text_buffers
+from tremora.llm.units import UnitIds, gather, per_row, string_array
 
 MARK = "▁"
 #: Units that are walked together, and the bytes of the longest of them; longer units are walked alone.
-TOGETHER, LONGEST = 4096, 128
+TOGETHER, LONGEST = 2048, 128
+#: Bytes of text whose units are made distinct together, and units of a generation that a worker remembers.
+UNIT_SLICE, REMEMBERED = 256 << 10, 40_000
 _loaded: dict[tuple[str, str], Pieces] = {}
 
 
@@ -111,7 +113,7 @@ class Pieces:
         self.ids = np.array([i for i, _ in listed], dtype=np.int32)
         self.scores = np.array([s for _, s in listed])
         self.lengths = np.array([len(self.bytes[i]) for i, _ in listed], dtype=np.int32)
-        self.units = UnitIds(self.encode, "<i4")
+        self.units = UnitIds(self.encode, "<i4", REMEMBERED)
         self.sizes = np.array([len(b) for b in self.bytes], dtype=np.int64)
         self.flat = np.frombuffer(b"".join(self.bytes), dtype=np.uint8)
 
@@ -248,6 +250,7 @@ def encode_pieces(text: Column, path: str | None = None, scores: str = "file") -
     @F.arrow_udf(T.ArrayType(T.IntegerType()))
     def encode(column: pa.Array) -> pa.Array:
         out = [encode_slice(x, pieces(path, scores)) for x in array_slices(column, UNIT_SLICE)]
+        give_back()
         return pa.concat_arrays(out) if out else pa.array([], pa.list_(pa.int32()))
 
     return encode(F.coalesce(text, F.lit("")))
@@ -260,6 +263,7 @@ def decode_pieces(ids: Column, path: str | None = None, scores: str = "file", ro
     @F.arrow_udf(T.StringType())
     def decode(column: pa.Array) -> pa.Array:
         out = [decode_lists(column.slice(i, rows), pieces(path, scores)) for i in range(0, len(column), rows)]
+        give_back()
         return pa.concat_arrays(out) if out else pa.array([], pa.string())
 
     return decode(ids)

@@ -6,6 +6,7 @@ Every operator of this subpackage that reads words goes through here. A word is
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -138,6 +139,13 @@ def array_slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[pa.Arra
         yield part.column(0)
 
 
+def give_back() -> None:
+    """Return memory that is free again to the system: a worker lives on for other stages beside a large heap."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def code_point_ranks(data: np.ndarray) -> np.ndarray:
     """ranks[i]: code points that begin before byte i."""
     ranks = np.zeros(len(data) + 1, dtype=np.int64)
