@@ -13,6 +13,7 @@ from tremora.plans.alerts import QUIET
 from tremora.plans.records import ESCALATION_RULES_SQL, ESCALATION_SQL, MINUTE, escalation_rules
 from tremora.plans.registry import SQL, events, query, stamp
 from tremora.session import scratch, table
+from tremora.sources.objects import put
 from tremora.streaming import jobs, keyed, segments
 from tremora.streaming.sink import LedgerSink
 
@@ -166,20 +167,23 @@ def stream_lifecycle(spark, sf_dir):
 
 @query("stream_observed", "SELECT count(*) AS n, count(*) FILTER (WHERE value IS NULL OR value < 0) AS bad FROM events")
 def stream_observed(spark, sf_dir):
-    """Rows and bad rows of a stream as its listener sees them, batch by batch."""
-    progress, name = jobs.Progress(), f"seen_{uuid.uuid4().hex}"
+    """Rows and bad rows of a stream as its listener wrote them down, batch by batch."""
+    name, folder = f"seen_{uuid.uuid4().hex}", scratch(spark, "progress")
+    put(f"{folder}/.made", b"")
+    progress = jobs.Progress(folder)
     spark.streams.addListener(progress)
     try:
         jobs.drained(jobs.observed(jobs.event_stream(spark, sf_dir), name).select("event_id"))
         spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
         for _ in range(100):  # the listener hears of a batch a moment later
-            if any(name in b["observed"] for b in progress.batches):
+            seen = progress.table(spark).select(F.col("observed")[name].alias("o")).where("o is not null")
+            if not seen.isEmpty():
                 break
             time.sleep(0.1)
     finally:
         spark.streams.removeListener(progress)
-    seen = [b["observed"][name] for b in progress.batches if name in b["observed"]]
-    return spark.createDataFrame([(sum(b["n"] for b in seen), sum(b["bad"] for b in seen))], "n long, bad long")
+    number = lambda key: F.sum(F.col("o")[key].cast("long")).alias(key)
+    return seen.agg(number("n"), number("bad"))
 
 
 @query("stream_transient_capture", SQL["transient_capture"])

@@ -6,6 +6,7 @@ late, so watermarks default to 24 hours; what comes later is for the batch backf
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -17,6 +18,7 @@ from pyspark.sql.streaming.listener import StreamingQueryListener
 
 from tremora.functions.features import features
 from tremora.session import scratch
+from tremora.sources.objects import put
 from tremora.streaming.sink import LedgerSink
 
 LATENESS = "24 hours"
@@ -313,10 +315,14 @@ class Escalation(StatefulProcessor):
 
 
 class Progress(StreamingQueryListener):
-    """Keeps what each batch of the streams reports: rows read, rows a second, and observed metrics."""
+    """Writes what each batch of the streams reports as a row of a table: rows read, rows a second, and observed
+    metrics by name.
+    """
+
+    SCHEMA = "run string, batch long, rows long, per_second double, observed map<string, map<string, string>>"
 
-    def __init__(self) -> None:
-        self.batches: list[dict] = []
+    def __init__(self, folder: str) -> None:
+        self.folder = folder
 
     def onQueryStarted(self, event) -> None:  # noqa: N802
         pass
@@ -329,14 +335,19 @@ class Progress(StreamingQueryListener):
 
     def onQueryProgress(self, event) -> None:  # noqa: N802
         p = event.progress
-        self.batches.append(
-            {
-                "batch": p.batchId,
-                "rows": p.numInputRows,
-                "per_second": p.processedRowsPerSecond,
-                "observed": {k: v.asDict() for k, v in p.observedMetrics.items()}
+        row = {
+            "run": str(p.runId),
+            "batch": p.batchId,
+            "rows": p.numInputRows,
+            "per_second": p.processedRowsPerSecond,
+            "observed": {
+                k: {n: None if x is None else str(x) for n, x in v.asDict().items()} for k, v in p.observedMetrics.items()
             }
-        )
+        }
+        put(f"{self.folder}/{p.runId}-{p.batchId}.json", json.dumps(row).encode())
+
+    def table(self, spark: SparkSession) -> DataFrame:
+        return spark.read.schema(self.SCHEMA).json(self.folder)
 
 
 def with_state(spark: SparkSession) -> None:

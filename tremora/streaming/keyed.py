@@ -65,11 +65,12 @@ class Capture(StatefulProcessor):
 def captured(
     stream: DataFrame, fired, width_us: int, late_us: int = 24 * 3600 * 1_000_000, ttl_ms: int = 48 * 3600 * 1000
 ) -> DataFrame:
-    """(trigger_id, event_id, us, value): what each device sent around its rows for which ``fired`` holds. The rings'
+    """(trigger_id, event_id, us, value): what each device sent around its rows for which ``fired`` holds; rows without
+    a time or an id are left out. The rings'
     time to live is processing time: run it with a steady trigger, or with ``idle=False`` over what there is.
     """
     with_state(stream.sparkSession)
-    rows = stream.select(
+    rows = stream.where("ts is not null and event_id is not null").select(
         F.col("user_id").alias("device_id"),
         F.unix_micros("ts").alias("us"),
         "event_id",
@@ -138,10 +139,10 @@ class InForce(StatefulProcessor):
 
 def in_force(events: DataFrame, versions: DataFrame, lateness: str = LATENESS) -> DataFrame:
     """(event_id, version_id): two streams of (device_id, ts, event_id) joined in event time, late versions included;
-    version_id is null before a device's first version.
+    version_id is null before a device's first version. Rows without a time or an id are left out.
     """
     with_state(events.sparkSession)
-    side = lambda s, flag: s.select("device_id", "ts", "event_id", F.lit(flag).alias("is_version"))
+    side = lambda s, flag: s.where("ts is not null and event_id is not null").select("device_id", "ts", "event_id", F.lit(flag).alias("is_version"))
     rows = side(events, False).union(side(versions, True)).withWatermark("ts", lateness).select(
         "device_id", F.unix_micros("ts").alias("us"), "event_id", "is_version", "ts"
     )

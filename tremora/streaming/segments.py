@@ -39,7 +39,8 @@ def _ends(folder: str) -> dict[str, list[tuple[int, int, str]]]:
 
 
 def append(rows: DataFrame, folder: str, partitions: int) -> None:
-    """Append (device_id, seq, us, value, channel) to the log, a device always to the same partition.
+    """Append (device_id, seq, us, value, channel) to the log, a device always to the same partition; one producer at a
+    time. Rows with a null are left out.
 
     A task gathers its partition's records into one new segment, which appears when it is whole. Records of one call
     that a failed and a repeated attempt both wrote stand under the same name, so only one of them stays.
@@ -63,7 +64,8 @@ def append(rows: DataFrame, folder: str, partitions: int) -> None:
         yield pa.record_batch([pa.array([sum(map(len, v)) for v in held.values()], pa.int64())], names=["n"])
 
     log = F.pmod(F.xxhash64("device_id"), F.lit(partitions)).cast("int").alias("p")
-    dealt = rows.select("device_id", "seq", "us", "value", "channel", log).repartition(partitions, "p")
+    whole = rows.select("device_id", "seq", "us", "value", "channel").dropna()
+    dealt = whole.select("*", log).repartition(partitions, "p")
     dealt.sortWithinPartitions("p", "us", "seq").mapInArrow(write, "n long").agg(F.sum("n")).collect()
 
 
