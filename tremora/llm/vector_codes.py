@@ -36,7 +36,7 @@ ENTRIES = 256
 ROUNDS = 4
 SCALE = 1024
 #: Vectors that search together, list entries that a step looks at, and entries a search begins with.
-TOGETHER = 4096
+TOGETHER = 1024
 STEP = 16
 OPENING = 16
 #: Tables of label sums up to this many rows are broadcast; beyond it labels are joined with salt.
@@ -55,11 +55,15 @@ class Codebook:
         rows = np.arange(m)
         order = np.lexsort((np.broadcast_to(rows, (m, m)), gap), axis=1)
         order = order[order != rows[:, None]].reshape(m, m - 1)
-        width = -(-m // STEP) * STEP  # whole steps: what is behind the list's end is beyond any distance
-        self.near = np.zeros((m, width), dtype=np.int64)
-        self.near[:, : m - 1] = order
-        self.gap = np.full((m, width), np.iinfo(np.int64).max)
-        self.gap[:, : m - 1] = np.take_along_axis(gap, order, axis=1)
+        width = -(-m // STEP) * STEP  # whole steps: what is behind the list's end is no entry, beyond any distance
+        near, far = np.full((m, width), m), np.full((m, width), np.iinfo(np.int64).max)
+        near[:, : m - 1] = order
+        far[:, : m - 1] = np.take_along_axis(gap, order, axis=1)
+        # by entry and step, so that a step of a list is one run of memory
+        self.near, self.gap = near.reshape(m, -1, STEP), far.reshape(m, -1, STEP)
+        self.listed = np.vstack([entries, np.zeros((1, entries.shape[1]), dtype=np.int64)])[self.near]
+        self.squares = np.append(square, 0)[self.near]
+        self.exact: dict[type, np.ndarray] = {}
         self.square = square
         self.opening = np.arange(0, m, max(m // OPENING, 1))
 
@@ -69,35 +73,36 @@ class Codebook:
         own = (x * x).sum(axis=1)
         most = max(int(np.abs(x).max(initial=0)), int(np.abs(self.entries).max(initial=0)))
         exact = np.float32 if most * most * x.shape[1] < 1 << 24 else float if most * most * x.shape[1] < 1 << 53 else int
-        parts, entries = x.astype(exact), self.entries.astype(exact)
+        parts = x.astype(exact)[:, :, None]
+        if exact not in self.exact:
+            self.exact = {exact: self.listed.astype(exact)}
+        listed = self.exact[exact]
         first = own[:, None] - 2 * products(x, self.entries[self.opening]) + self.square[self.opening]
         at = np.argmin(first, axis=1)
         best, distance = self.opening[at], first[np.arange(n), at]
-        seen = np.zeros((n, m), dtype=bool)
+        seen = np.zeros((n, m + 1), dtype=bool)
         seen[:, self.opening] = True
         measured = n * len(self.opening)
-        place = np.zeros(n, dtype=np.int64)
+        step = np.zeros(n, dtype=np.int64)
         going = np.arange(n)
         while len(going):
-            window = place[going, None] + np.arange(STEP)
-            lists = best[going, None]
-            near = self.near[lists, window]
-            inside = self.gap[lists, window] <= 4 * distance[going, None]
-            row, column = np.nonzero(inside & ~seen[going[:, None], near])
-            who, entry = going[row], near[row, column]
-            seen[who, entry] = True
-            measured += len(who)
-            found = np.einsum("ij,ij->i", parts[who], entries[entry]).astype(np.int64)
-            square = np.full(near.shape, np.iinfo(np.int64).max)
-            square[row, column] = own[who] - 2 * found + self.square[entry]
+            current, at = best[going], step[going]
+            near = self.near[current, at]
+            inside = self.gap[current, at] <= 4 * distance[going, None]
+            place = near + going[:, None] * (m + 1)
+            marks = seen.ravel()[place]
+            asked = inside & ~marks
+            seen.ravel()[place] = marks | inside
+            measured += int(asked.sum())
+            found = np.matmul(listed[current, at], parts[going])[:, :, 0].astype(np.int64)
+            square = np.where(asked, own[going, None] - 2 * found + self.squares[current, at], np.iinfo(np.int64).max)
             low = square.min(axis=1)
             number = np.where(square == low[:, None], near, m).min(axis=1)
             better = (low < distance[going]) | ((low == distance[going]) & (number < best[going]))
             moved = going[better]
-            best[moved], distance[moved], place[moved] = number[better], low[better], 0
-            stay = going[~better]
-            place[stay] += STEP
-            ended = ~better & (~inside[:, -1] | (place[going] >= self.near.shape[1]))
+            best[moved], distance[moved], step[moved] = number[better], low[better], 0
+            step[going[~better]] += 1
+            ended = ~better & (~inside[:, -1] | (step[going] >= self.near.shape[1]))
             going = going[~ended]
         return best, distance, measured
 
