@@ -159,12 +159,18 @@ def decimated(factor: int, taps: int = 63):
     return run
 
 
-def envelope(low: float, high: float, rate: float, smooth: int = 5):
-    """Band-pass, rectify, smooth, then the spectrum without its mean."""
-    h = band_taps(low, high, rate)
+def low_pass(cutoff: float, rate: float, taps: int = 31) -> np.ndarray:
+    """Low-pass taps that keep a constant as it is."""
+    h = band_taps(0.0, cutoff, rate, taps)
+    return h / h.sum()
+
+
+def envelope(low: float, high: float, rate: float, cutoff: float):
+    """Band-pass, rectify, low-pass, then the spectrum without its mean."""
+    h, g = band_taps(low, high, rate), low_pass(cutoff, rate)
 
     def all_rows(x: np.ndarray) -> np.ndarray:
-        level = filtered(np.abs(filtered(x, h)), np.ones(smooth) / smooth)
+        level = filtered(np.abs(filtered(x, h)), g)
         return _spectrum(level - level.mean(axis=1, keepdims=True))
 
     @F.arrow_udf(T.ArrayType(T.DoubleType()))

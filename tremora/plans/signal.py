@@ -91,21 +91,20 @@ def thd_50(spark, sf_dir):
 
 @query(
     "sideband_ratio_db",
-    f"""WITH {_WAVES}, s AS (SELECT vec_id, {_amplitude("(60 - 2 * 0.03 * 60) * len(x) / 640.0")} AS lower_a, {_amplitude("60 * len(x) / 640.0")} AS base_a FROM x)
-SELECT vec_id, round(20 * log10(lower_a / base_a), 4) + 0.0 AS ratio_db, round(20 * log10(lower_a / base_a), 4) > -40 AS broken_bar FROM s WHERE lower_a > 0 AND base_a > 0""",
+    f"""WITH {_WAVES}, s AS (SELECT vec_id, {_amplitude("(60 - 2 * 0.03 * 60) * len(x) / 640.0")} AS lower_a, {_amplitude("(60 + 2 * 0.03 * 60) * len(x) / 640.0")} AS upper_a, {_amplitude("60 * len(x) / 640.0")} AS base_a FROM x)
+SELECT vec_id, round(20 * log10(lower_a / base_a), 4) + 0.0 AS ratio_db, round(20 * log10(upper_a / base_a), 4) + 0.0 AS upper_db, greatest(round(20 * log10(lower_a / base_a), 4), round(20 * log10(upper_a / base_a), 4)) > -40 AS broken_bar FROM s WHERE lower_a > 0 AND upper_a > 0 AND base_a > 0""",
 )
 def sideband_ratio_db(spark, sf_dir):
-    """Lower slip sideband against the supply line; a fault above -40 dB."""
-    low, _ = dsp.sidebands(F.lit(60.0), F.lit(0.03))
-    rate = F.lit(640.0)
+    """Both slip sidebands against the supply line; a fault where either is above -40 dB."""
+    low, high = dsp.sidebands(F.lit(60.0), F.lit(0.03))
+    at = lambda hz: dsp.at_frequency(F.col("x"), hz, F.lit(640.0))
     rows = _waves(spark, sf_dir).select(
-        "vec_id",
-        dsp.at_frequency(F.col("x"), low, rate).alias("a"),
-        dsp.at_frequency(F.col("x"), F.lit(60.0), rate).alias("b")
-    ).where("a > 0 and b > 0")
-    ratio = tidy(dsp.decibels(F.col("a") / F.col("b")), 4)
-    return rows.select("vec_id", ratio.alias("ratio_db"), (ratio > -40).alias("broken_bar"))
-
+        "vec_id", at(low).alias("a"), at(high).alias("c"), at(F.lit(60.0)).alias("b")
+    ).where("a > 0 and b > 0 and c > 0")
+    below, above = (tidy(dsp.decibels(F.col(c) / F.col("b")), 4) for c in "ac")
+    return rows.select(
+        "vec_id", below.alias("ratio_db"), above.alias("upper_db"), (F.greatest(below, above) > -40).alias("broken_bar")
+    )
 
 
 @query(
@@ -302,17 +301,20 @@ def _taps_sql(low: float, high: float, rate: float = RATE) -> str:
     return "[" + ", ".join(repr(float(h)) + "::DOUBLE" for h in dsp.band_taps(low, high, rate)) + "]"
 
 
+_ENVELOPE = "[" + ", ".join(repr(float(h)) + "::DOUBLE" for h in dsp.low_pass(8_000.0, RATE)) + "]"
+
+
 @query(
     "envelope_spectrum",
-    f"""WITH {_WAVES}, t AS (SELECT {_taps_sql(8_000.0, 24_000.0)} AS h), b AS (SELECT vec_id, list_transform({_filtered_sql("x", "h", 31)}, lambda v: abs(v)) AS y FROM x, t), u AS (SELECT [0.2, 0.2, 0.2, 0.2, 0.2] AS g),
-l AS (SELECT vec_id, {_filtered_sql("y", "g", 5)} AS z FROM b, u), m AS (SELECT vec_id, list_transform(z, lambda v: v - list_avg(z)) AS z FROM l),
+    f"""WITH {_WAVES}, t AS (SELECT {_taps_sql(8_000.0, 24_000.0)} AS h), b AS (SELECT vec_id, list_transform({_filtered_sql("x", "h", 31)}, lambda v: abs(v)) AS y FROM x, t), u AS (SELECT {_ENVELOPE} AS g),
+l AS (SELECT vec_id, {_filtered_sql("y", "g", 31)} AS z FROM b, u), m AS (SELECT vec_id, list_transform(z, lambda v: v - list_avg(z)) AS z FROM l),
 s AS (SELECT vec_id, list_transform(range(0, 33), lambda k: (CASE WHEN k IN (0, 32) THEN 1 ELSE 2 END) * sqrt(pow(list_sum(list_transform(z, lambda v, i: v * cos(2 * pi() * k * (i - 1) / len(z)))), 2) + pow(list_sum(list_transform(z, lambda v, i: v * sin(2 * pi() * k * (i - 1) / len(z)))), 2)) / len(z)) AS e FROM m)
 SELECT vec_id, CAST(list_position(e, list_max(e)) - 1 AS BIGINT) AS line, round(list_max(e), 6) AS amplitude FROM s""",
 )
 def envelope_spectrum(spark, sf_dir):
     """Strongest envelope line of each waveform."""
     found = table(spark, sf_dir, "embeddings").select(
-        "vec_id", dsp.envelope(8_000.0, 24_000.0, RATE)("embedding").alias("e")
+        "vec_id", dsp.envelope(8_000.0, 24_000.0, RATE, 8_000.0)("embedding").alias("e")
     )
     return found.select(
         "vec_id",
