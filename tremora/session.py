@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
 import os
 import tempfile
 import uuid
@@ -51,28 +50,21 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
-_written: list[str] = []
+_own: dict[str, str] = {}
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder. What lies there goes when the driver ends, since frames that were given out
-    may read it until then.
+    """A fresh path in this driver's folder of the shared one. The folder goes when the driver's JVM ends, since frames
+    that were given out may read it until then.
     """
-    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    if not _written:
-        atexit.register(_sweep)  # before the gateway goes, which was registered earlier
-    _written.append(path)
-    return path
-
-
-def _sweep() -> None:
-    spark = SparkSession.getActiveSession()
-    if spark is None or spark.sparkContext._jsc is None:
-        return
-    conf = spark._jsc.hadoopConfiguration()
-    for path in _written:
-        place = spark._jvm.org.apache.hadoop.fs.Path(path)
-        place.getFileSystem(conf).delete(place, True)
+    folder = shared_dir(spark).rstrip("/")
+    if folder not in _own:
+        _own[folder] = f"{folder}/tremora-{uuid.uuid4().hex}"
+        place = spark._jvm.org.apache.hadoop.fs.Path(_own[folder])
+        fs = place.getFileSystem(spark._jsc.hadoopConfiguration())
+        fs.mkdirs(place)
+        fs.deleteOnExit(place)
+    return f"{_own[folder]}/{name}-{uuid.uuid4().hex}"
 
 
 def cut(frame: DataFrame, name: str = "cut") -> DataFrame:
@@ -85,7 +77,7 @@ def cut(frame: DataFrame, name: str = "cut") -> DataFrame:
 def forget(frame: DataFrame) -> None:
     """Delete the tables that ``cut`` wrote for a frame that is read no more."""
     spark = frame.sparkSession
-    folder = shared_dir(spark).rstrip("/")
+    folder = _own.get(shared_dir(spark).rstrip("/"), "/")
     for file in frame.inputFiles():
         path = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
         if path.getParent().toUri().getPath() == spark._jvm.org.apache.hadoop.fs.Path(folder).toUri().getPath():
