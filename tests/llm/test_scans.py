@@ -668,3 +668,26 @@ def test_colour_files_are_decoded_and_broken_ones_leave_the_others_alone(spark):
     assert all(got[i]["feature"] is None and got[i]["error"] for i in (2, 4, 5, 6, 7, 8))
     assert got[0] == got[9] and got[0]["payload_bytes"] == 192
     assert got[1]["feature"] == got[3]["feature"] and got[1]["payload_bytes"] is None
+
+
+def test_a_damaged_file_is_decoded_alone(monkeypatch):
+    """Of many files with one table two are damaged: only these go to the plain decoder, the rest stays in lockstep."""
+    files = jpeg.encode([bytes([i % 7, 65 + i % 26]) * 64 for i in range(60)])
+    want = [blocks for _, blocks in jpeg.read(files)]
+    damaged = list(files)
+    for i in (11, 42):
+        half = len(files[i]) // 2
+        damaged[i] = files[i][: half + 40] + files[i][-2:]
+    seen = []
+    plain = jpeg.Picture
+
+    def counted(data):
+        seen.append(data)
+        return plain(data)
+
+    monkeypatch.setattr(jpeg, "Picture", counted)
+    found = jpeg.read(damaged)
+    assert len(seen) <= 2
+    for i, got in enumerate(found):
+        if i not in (11, 42):
+            assert (got[1] == want[i]).all()

@@ -493,14 +493,19 @@ def read(files: list[bytes | None]) -> list[tuple[Frame | Picture, np.ndarray] |
             frames.setdefault((frame.dc, frame.ac), []).append((i, frame))
         except broken:
             rest.append(i)
-    for group in frames.values():
+    groups = list(frames.values())
+    while groups:
+        group = groups.pop()
         try:
             for (i, frame), blocks in zip(
                 group, _decode_alike([f for _, f in group], [files[i] for i, _ in group]), strict=True
             ):
                 out[i] = frame, blocks
         except broken:
-            rest += [i for i, _ in group]
+            if len(group) == 1:
+                rest.append(group[0][0])
+            else:  # the halves, so that a damaged file ends up alone
+                groups += [group[: len(group) // 2], group[len(group) // 2 :]]
     for i in rest:
         try:
             picture = Picture(files[i])
