@@ -691,3 +691,22 @@ def test_a_damaged_file_is_decoded_alone(monkeypatch):
     for i, got in enumerate(found):
         if i not in (11, 42):
             assert (got[1] == want[i]).all()
+
+
+def test_names_of_old_archivers_are_read(tmp_path):
+    import zipfile
+
+    path = tmp_path / "old.zip"
+    with zipfile.ZipFile(path, "w") as z:
+        z.writestr("aXe.txt", b"one")
+        z.writestr("bXe.txt", b"two")
+    raw = path.read_bytes().replace(b"aXe", b"a\x82e").replace(b"bXe", b"b\xe9e")
+    path.write_bytes(raw)
+    with open(path, "rb") as f:
+        reader = warc.ZipReader(_Sized(f, len(raw)))
+    assert sorted(reader.members) == ["aée.txt", "bΘe.txt"]
+
+
+class _Sized:
+    def __init__(self, file, size):
+        self.seek, self.read, self.size = file.seek, file.read, lambda: size

@@ -94,6 +94,14 @@ class ZipWriter:
         return self.out.close()
 
 
+def _member_name(raw: bytes) -> str:
+    """UTF-8 where it is that, else the code page of old archivers, in which every byte is a character."""
+    try:
+        return raw.decode()
+    except UnicodeDecodeError:
+        return raw.decode("cp437")
+
+
 class ZipReader:
     """Directory of a package, with ZIP64 fields where they are used; members are read by range."""
 
@@ -120,7 +128,7 @@ class ZipReader:
             method, packed, plain, named, extras, comment, offset = head[4], head[8], head[9], head[
                 10
             ], head[11], head[12], head[16]
-            name = directory[at + 46 : at + 46 + named].decode()
+            name = _member_name(directory[at + 46 : at + 46 + named])
             extra = directory[at + 46 + named : at + 46 + named + extras]
             while len(extra) >= 4:
                 kind, length = struct.unpack("<HH", extra[:4])
