@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tremora.operators.ranks import _with, running
+from tremora.operators.ranks import running, settled, with_group
 from tremora.session import cut
 
 #: Machines whose sums a task holds before it gives them out.
@@ -113,11 +113,11 @@ def scored(rows: DataFrame, machine: str, key: str, x: str) -> DataFrame:
     that history with a score no greater. Null for machines whose history is too short or flat, and for vectors that
     are not whole.
     """
-    model = cut(moments(rows, machine, x).select("machine", _model("m").alias("model")), "models")
+    model = settled(moments(rows, machine, x).select("machine", _model("m").alias("model")))
     finite = F.coalesce(F.forall(x, lambda v: v.isNotNull() & (F.abs(v) < float("inf"))), F.lit(False))
     own = rows.select(F.col(key).alias("key"), F.col(machine).alias("machine"), F.when(finite, F.col(x)).alias("x"))
     found = cut(
-        _with(own, model, ["machine"], "left").select("key", "machine", F.round(_distance("x", "model"), 6).alias("score")),
+        with_group(own, model, ["machine"], "left").select("key", "machine", F.round(_distance("x", "model"), 6).alias("score")),
         "scores"
     )
     levels = found.where("score is not null").groupBy("machine", "score").agg(F.count("*").alias("c"))

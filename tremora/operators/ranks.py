@@ -20,7 +20,7 @@ CELLS = 64
 #: Size of a sketch, and how far from a rank its bounds are set: several times the sketch's error.
 SKETCH, MARGIN = 1024, 0.004
 #: Tables of groups up to this many rows are broadcast.
-BROADCAST_GROUPS = 20_000
+BROADCAST_GROUPS = 10_000
 
 
 def _sketches(rows: DataFrame, by: list[str], value: Column, window: Column | None = None) -> DataFrame:
@@ -34,12 +34,21 @@ def _sketches(rows: DataFrame, by: list[str], value: Column, window: Column | No
     return made.groupBy(*by).agg(F.kll_merge_agg_double("__s", F.lit(SKETCH)).alias("__s"))
 
 
-def _with(rows: DataFrame, groups: DataFrame, by: list[str], how: str = "inner") -> DataFrame:
+def settled(groups: DataFrame) -> DataFrame:
+    """A table of groups, computed once. Up to BROADCAST_GROUPS rows are broadcast from the driver, where a broadcast
+    comes from anyway; larger tables are written.
+    """
+    rows = groups.limit(BROADCAST_GROUPS + 1).collect()
+    if len(rows) > BROADCAST_GROUPS:
+        return cut(groups, "groups")
+    return F.broadcast(groups.sparkSession.createDataFrame(rows, groups.schema))
+
+
+def with_group(rows: DataFrame, groups: DataFrame, by: list[str], how: str = "inner") -> DataFrame:
     """Rows with what is known of their group; null keys are keys."""
     renamed = groups.withColumnsRenamed({c: f"__by_{c}" for c in by})
     same = reduce(and_, (F.col(c).eqNullSafe(F.col(f"__by_{c}")) for c in by))
-    small = groups.count() <= BROADCAST_GROUPS
-    return rows.join(F.broadcast(renamed) if small else renamed, same, how).drop(*(f"__by_{c}" for c in by))
+    return rows.join(renamed, same, how).drop(*(f"__by_{c}" for c in by))
 
 
 def _cells(levels: DataFrame, by: list[str], value: str) -> DataFrame:
@@ -47,7 +56,7 @@ def _cells(levels: DataFrame, by: list[str], value: str) -> DataFrame:
     x = F.col(value).cast("double")
     at = F.array(*(F.lit(i / CELLS) for i in range(1, CELLS)))
     bounds = _sketches(levels, by, x).select(*by, F.kll_sketch_get_quantile_double("__s", at).alias("__b"))
-    dealt = _with(levels, cut(bounds, "bounds"), by, "left")
+    dealt = with_group(levels, settled(bounds), by, "left")
     cell = F.when(F.isnan(x), CELLS).otherwise(F.size(F.filter("__b", lambda b: b <= x)))
     return dealt.withColumn("__cell", F.coalesce(cell, F.lit(0))).drop("__b")
 
@@ -84,8 +93,8 @@ def quantiles(
     names, share = list(wanted), list(wanted.values())
     ends = F.array(*(F.lit(min(max(q + d, 0.0), 1.0)) for q in share for d in (-MARGIN, MARGIN)))
     sketches = _sketches(rows, by, x, None if window is None else F.col("__window"))
-    bounds = cut(sketches.select(*by, F.kll_sketch_get_quantile_double("__s", ends).alias("__b")), "bounds")
-    dealt = _with(rows.select(*by, "__v"), bounds, by, "left")
+    bounds = settled(sketches.select(*by, F.kll_sketch_get_quantile_double("__s", ends).alias("__b")))
+    dealt = with_group(rows.select(*by, "__v"), bounds, by, "left")
     # 0 below, 1 between, 2 above
     part = [
         F.when(x < F.col("__b")[2 * i], 0).when(x > F.col("__b")[2 * i + 1], 2).otherwise(1) for i in range(len(names))
@@ -103,8 +112,8 @@ def quantiles(
         groups = groups.withColumn(f"__at{i}", at).withColumn(f"__h{i}", home).withColumn(
             f"__base{i}", F.when(home == 0, F.lit(0)).when(home == 1, low).otherwise(both)
         ).withColumn(f"__next{i}", F.when(home == 0, F.col(f"__m{i}0")).when(home == 1, F.col(f"__m{i}1")))
-    groups = cut(groups, "groups")
-    near = _with(dealt, groups, by).where(
+    groups = settled(groups)
+    near = with_group(dealt, groups, by).where(
         reduce(or_, (F.col(f"__p{i}") == F.col(f"__h{i}") for i in range(len(names))))
     )
     each = F.explode(
