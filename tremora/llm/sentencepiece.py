@@ -27,9 +27,9 @@ from tremora.llm.units import UnitIds, gather, per_row, string_array
 
 MARK = "▁"
 #: Units that are walked together, and the bytes of the longest of them; longer units are walked alone.
-TOGETHER, LONGEST = 2048, 128
+TOGETHER, LONGEST = 4096, 128
 #: Bytes of text whose units are made distinct together, and units of a generation that a worker remembers.
-UNIT_SLICE, REMEMBERED = 256 << 10, 40_000
+UNIT_SLICE, REMEMBERED = 512 << 10, 80_000
 _loaded: dict[tuple[str, str], Pieces] = {}
 
 
