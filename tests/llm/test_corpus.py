@@ -488,6 +488,25 @@ def test_given_targets_are_met(spark):
     ) < 0.005 and abs(e["fr"] - 0.25) < 0.005
 
 
+def test_small_cell_tables_are_raked_without_joins(spark, monkeypatch):
+    """A round plans neither joins nor shuffles; larger tables, summed by joins, come to the same."""
+    counted = cut(mixing.with_cells(table(spark, "/root/testdata/sf0.01", "documents")).drop("text"))
+    plans, keep = [], mixing.cut
+
+    def seen(frame, name):
+        if name == "raked":
+            plans.append(frame._jdf.queryExecution().executedPlan().toString())
+        return keep(frame, name)
+
+    monkeypatch.setattr(mixing, "cut", seen)
+    mix = lambda: {tuple(r)[:3]: r["p"] for r in mixing.probabilities(counted).collect()}
+    small = mix()
+    assert len(plans) > 1 and not any("Join" in p or "Exchange" in p for p in plans[1:])
+    monkeypatch.setattr(mixing, "CELLS_PER_PART", 20)
+    large = mix()
+    assert small.keys() == large.keys() and all(math.isclose(small[k], large[k], abs_tol=2e-6) for k in small)
+
+
 def test_sample_keeps_rows_whole(spark, odd):
     left = mixing.sample_documents(odd)
     assert left.columns == odd.columns and left.exceptAll(odd).count() == 0

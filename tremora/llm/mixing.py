@@ -4,8 +4,8 @@ Texts are counted into cells of source, language and topic. Each marginal has ta
 given ones, or shares in proportion to tokens ** TEMPER. A target beyond what the corpus holds is cut to all of it,
 and the rest goes to the other values of that marginal (``targets_of`` shows both). The expected tokens of the cells
 are then raked to each marginal in turn, never beyond a cell's own tokens, until every share is within TOLERANCE of
-its target, ROUNDS times at most. All of it is grouping and joining of the cell table; no cell leaves Spark, and no
-task holds a marginal. A document is kept if the uniform number of its key's digest is below its cell's probability.
+its target, ROUNDS times at most. All of it is sums over the cell table, in windows while it is one partition, grouped and
+joined beyond that; no cell leaves Spark, and no task holds a marginal of more than CELLS_PER_PART cells. A document is kept if the uniform number of its key's digest is below its cell's probability.
 
 Defined results: a null text has no tokens; null sources and languages are values of their own; cells without tokens
 have probability 1. Rows that repeat a key share its fate. Given shares need not add up to 1; values that are not
@@ -16,10 +16,10 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tremora.session import cut
+from tremora.session import cut, forget
 
 ROUNDS = 16
 TOLERANCE = 0.004
@@ -80,25 +80,26 @@ def targets_of(
     for held in own[1:]:
         table = table.union(held)
     table = cut(table, "marginals")
-    table = table.coalesce(table.count() // CELLS_PER_PART + 1)
+    parts = table.count() // CELLS_PER_PART + 1
     # of each marginal: the budget, and the rate at which shares become tokens, raised as values reach all that they
     # have
-    rates = table.groupBy("dim").agg(
-        (budget * F.sum("m")).alias("b"), (budget * F.sum("m") / F.nullif(F.sum("s"), F.lit(0.0))).alias("rate")
-    ).withColumn("first", F.col("rate"))
+    table = _with_sums(table, F.col("dim"), parts, b=F.col("m"), __s=F.col("s")).withColumn("b", budget * F.col("b"))
+    table = table.withColumn("first", F.col("b") / F.nullif("__s", F.lit(0.0))).withColumn("rate", F.col("first"))
+    table = table.drop("__s")
+    if parts > 1:
+        table = cut(table, "filled")
     for _ in range(FILL_STEPS):
+        before = table
         full = F.col("s") * F.col("rate") >= F.col("m")
-        left = table.join(rates, "dim").groupBy("dim", "b", "rate", "first").agg(
-            F.sum(F.when(full, F.col("m")).otherwise(0.0)).alias("__m"),
-            F.sum(F.when(full, 0.0).otherwise(F.col("s"))).alias("__s")
-        )
-        rates = left.select(
-            "dim",
-            "b",
-            F.coalesce((F.col("b") - F.col("__m")) / F.nullif("__s", F.lit(0.0)), F.col("rate")).alias("rate"),
-            "first"
-        )
-    return table.join(rates, "dim").select(
+        table = _with_sums(
+            table, F.col("dim"), parts, __m=F.when(full, F.col("m")).otherwise(0.0), __s=F.when(full, 0.0).otherwise(F.col("s"))
+        ).withColumn(
+            "rate", F.coalesce((F.col("b") - F.col("__m")) / F.nullif("__s", F.lit(0.0)), F.col("rate"))
+        ).drop("__m", "__s")
+        if parts > 1:
+            table = cut(table, "filled")
+            forget(before)
+    return table.select(
         "dim",
         "v",
         (F.col("s") * F.col("first")).alias("wanted"),
@@ -106,31 +107,53 @@ def targets_of(
     )
 
 
-def _moved(raked: DataFrame, dim: str, targets: DataFrame) -> DataFrame:
+def _with_sums(rows: DataFrame, key: Column, parts: int, **sums: Column) -> DataFrame:
+    """Add sums over the rows of a key. What is one partition is summed in windows, without a shuffle or a join; of more
+    rows only sums meet, which are joined, and no task holds a key; such rows are read twice and should lie in a table.
+    """
+    if parts == 1:
+        by = Window.partitionBy(key)
+        return rows.coalesce(1).withColumns({name: F.sum(x).over(by) for name, x in sums.items()})
+    held = rows.groupBy(key.alias("__k")).agg(*(F.sum(x).alias(name) for name, x in sums.items()))
+    return rows.join(held, key.eqNullSafe(F.col("__k"))).drop("__k")
+
+
+def _aimed(raked: DataFrame, targets: DataFrame, dimensions: tuple[str, ...]) -> DataFrame:
+    """Add each cell's targets, one for each marginal."""
+    for d in dimensions:
+        own = targets.where(F.col("dim") == d).select(F.col("v").alias("__v"), F.col("t").alias(f"__t_{d}"))
+        raked = raked.join(own, F.col(d).cast("string").eqNullSafe(F.col("__v"))).drop("__v")
+    return raked
+
+
+def _moved(aimed: DataFrame, dim: str, parts: int) -> DataFrame:
     """Rake to one marginal; no cell gets more than it has."""
-    sums = raked.groupBy(F.col(dim).cast("string").alias("__v")).agg(F.sum("e").alias("__sum"))
-    factor = sums.join(
-        targets.where(F.col("dim") == dim), F.col("__v").eqNullSafe(F.col("v"))
-    ).select("__v", (F.col("t") / F.nullif("__sum", F.lit(0.0))).alias("__f"))
-    return raked.join(factor, F.col(dim).cast("string").eqNullSafe(F.col("__v"))).withColumn(
-        "e", F.least(F.col("n").cast("double"), F.coalesce(F.col("e") * F.col("__f"), F.lit(0.0)))
-    ).drop("__v", "__f")
+    summed = _with_sums(aimed, F.col(dim).cast("string"), parts, __sum=F.col("e"))
+    share = F.col(f"__t_{dim}") / F.nullif("__sum", F.lit(0.0))
+    return summed.withColumn(
+        "e", F.least(F.col("n").cast("double"), F.coalesce(F.col("e") * share, F.lit(0.0)))
+    ).drop("__sum")
 
 
-def residual(raked: DataFrame, targets: DataFrame, dimensions: tuple[str, ...] = DIMENSIONS) -> float:
-    """The largest distance of a share from its target."""
+def _distance(aimed: DataFrame, dimensions: tuple[str, ...]) -> float:
     sides = F.explode(
-        F.array(*(F.struct(F.lit(d).alias("dim"), F.col(d).cast("string").alias("__v")) for d in dimensions))
+        F.array(
+            *(
+                F.struct(F.lit(d).alias("dim"), F.col(d).cast("string").alias("v"), F.col(f"__t_{d}").alias("t"))
+                for d in dimensions
+            )
+        )
     ).alias("side")
-    sums = raked.select(sides, "e").groupBy("side").agg(F.sum("e").alias("__sum")).select("side.*", "__sum")
-    both = sums.join(
-        targets.withColumnRenamed("dim", "__dim"),
-        (F.col("dim") == F.col("__dim")) & F.col("__v").eqNullSafe(F.col("v"))
-    )
-    most = both.groupBy("dim").agg(F.max(F.abs(F.col("__sum") - F.col("t"))).alias("x"), F.sum("t").alias("b"))
+    sums = aimed.select(sides, "e").groupBy("side").agg(F.sum("e").alias("__sum")).select("side.*", "__sum")
+    most = sums.groupBy("dim").agg(F.max(F.abs(F.col("__sum") - F.col("t"))).alias("x"), F.sum("t").alias("b"))
     return most.agg(F.max(F.col("x") / F.nullif("b", F.lit(0.0)))).first()[0] or 0.0
 
 
+def residual(raked: DataFrame, targets: DataFrame, dimensions: tuple[str, ...] = DIMENSIONS) -> float:
+    """The largest distance of a share from its target."""
+    return _distance(_aimed(raked, targets, dimensions), dimensions)
+
+
 def rake(
     cells: DataFrame,
     budget: float = BUDGET,
@@ -144,16 +167,19 @@ def rake(
     dimensions.
     """
     targets = cut(targets_of(cells, budget, shares, dimensions, temper), "targets")
-    targets = targets.coalesce(targets.count() // CELLS_PER_PART + 1)
     parts = cells.count() // CELLS_PER_PART + 1
-    raked = cells.coalesce(parts).withColumn("e", F.col("n") * F.lit(float(budget)))
+    raked = _aimed(cells.withColumn("e", F.col("n") * F.lit(float(budget))), targets, dimensions)
+    raked = kept = cut(raked.coalesce(parts), "raked").coalesce(parts)
     for _ in range(rounds):
         for d in dimensions:
-            raked = _moved(raked, d, targets)
-        raked = cut(raked.coalesce(parts), "raked").coalesce(parts)
-        if residual(raked, targets, dimensions) < tolerance:
+            raked = _moved(raked, d, parts)
+            if parts > 1 or d == dimensions[-1]:
+                raked = cut(raked.coalesce(parts), "raked").coalesce(parts)
+                forget(kept)
+                kept = raked
+        if _distance(raked, dimensions) < tolerance:
             break
-    return raked
+    return raked.drop(*(f"__t_{d}" for d in dimensions))
 
 
 def calibrate(raked: DataFrame) -> DataFrame:
