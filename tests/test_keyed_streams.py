@@ -3,6 +3,7 @@
 import datetime
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -166,3 +167,50 @@ def test_alerts_are_forgotten_in_time(spark, tmp_path):
     ).parquet(str(tmp_path / "in"))
     found = jobs.drained(jobs.lifecycle(stream, "1 hour", 10 * 3600 * 1000), "update", ["alert_id"])
     assert {r["alert_id"]: (r["status"], r["illegal"]) for r in found.collect()} == {1: ("OPEN", 0), 2: ("OPEN", 0)}
+
+
+class Handle:
+    """A state handle that counts what it is asked."""
+
+    def __init__(self):
+        self.calls, self.value, self.timers = 0, None, set()
+
+    def getValueState(self, name, schema):  # noqa: N802
+        return self
+
+    def _count(self, value=None):
+        self.calls, self.value = self.calls + 1, value
+
+    def get(self):
+        self.calls += 1
+        return self.value
+
+    update = clear = _count
+
+    def registerTimer(self, due):  # noqa: N802
+        self.calls += 1
+        self.timers.add(due)
+
+    def deleteTimer(self, due):  # noqa: N802
+        self.calls += 1
+        self.timers.remove(due)
+
+    def getCurrentWatermarkInMs(self):  # noqa: N802
+        return 0
+
+
+@pytest.mark.parametrize("processor", [jobs.Escalation([MINUTE, 90 * MINUTE]), keyed.InForce()])
+def test_a_device_asks_the_state_store_as_often_whatever_it_holds(processor):
+    calls = []
+    for n in (1, 200):
+        handle = Handle()
+        processor.init(handle)
+        for start in (0, n):  # a batch and a later one
+            us = [(start + i) * MINUTE for i in range(n)]
+            frame = pd.DataFrame(
+                {"us": us, "event_id": range(start, start + n), "kind": "alert", "is_version": [i % 2 == 1 for i in range(n)]}
+            )
+            list(processor.handleInputRows((1,), iter([frame]), handle))
+        assert len(handle.timers) == 1
+        calls.append(handle.calls)
+    assert max(calls) <= 7

@@ -89,15 +89,19 @@ class InForce(StatefulProcessor):
     """Gives each event the version of the configuration that is valid at its event time.
 
     An event waits until the watermark has passed its time, since a version from before may still come; then it takes
-    the last version at or before it. Of the versions that the watermark has passed only the last is kept.
+    the last version at or before it. Of the versions that the watermark has passed only the last is kept. What a device
+    holds is one value with its one timer in it, so a batch asks the state store as often whatever a device holds.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        pair = T.StructType([T.StructField("us", T.LongType()), T.StructField("id", T.LongType())])
-        self.versions, self.waiting = handle.getListState("versions", pair), handle.getListState("waiting", pair)
+        longs = T.ArrayType(T.LongType())
+        fields = (("version_us", longs), ("version_id", longs), ("us", longs), ("id", longs), ("due", T.LongType()))
+        self.state = handle.getValueState("held", T.StructType([T.StructField(n, t) for n, t in fields]))
 
-    def _given_out(self, versions: list, waiting: list, watermark_ms: int) -> pd.DataFrame:
+    def _given_out(
+        self, versions: list, waiting: list, due: int | None, watermark_ms: int, fired: bool
+    ) -> Iterator[pd.DataFrame]:
         versions.sort()
         times, out, left = [v[0] for v in versions], [], []
         for us, event in waiting:
@@ -108,30 +112,37 @@ class InForce(StatefulProcessor):
                 left.append((us, event))
         passed = bisect_right(times, watermark_ms * 1000)
         versions = versions[max(passed - 1, 0) :]
-        for state, held in ((self.versions, versions), (self.waiting, left)):
-            state.put(held) if held else state.clear()
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer[0] if isinstance(timer, tuple) else timer)
-        if left:
-            self.handle.registerTimer(min(left)[0] // 1000 + 1)
-        return pd.DataFrame(out, columns=["event_id", "version_id"]).astype(
-            {"event_id": "int64", "version_id": "Int64"}
-        )
+        later = min(left)[0] // 1000 + 1 if left else None
+        if later != due:
+            if due is not None and not fired:  # a timer that fired is gone
+                self.handle.deleteTimer(due)
+            if later is not None:
+                self.handle.registerTimer(later)
+        if versions or left:
+            columns = [[x[k] for x in held] for held in (versions, left) for k in (0, 1)]
+            self.state.update((*columns, later))
+        else:
+            self.state.clear()
+        if out:
+            yield pd.DataFrame(out, columns=["event_id", "version_id"]).astype(
+                {"event_id": "int64", "version_id": "Int64"}
+            )
 
-    def _held(self) -> tuple[list, list]:
-        return [[tuple(r) for r in s.get()] if s.exists() else [] for s in (self.versions, self.waiting)]
+    def _held(self) -> tuple[list, list, int | None]:
+        version_us, version_id, us, event, due = self.state.get() or ((), (), (), (), None)
+        return list(zip(version_us, version_id, strict=True)), list(zip(us, event, strict=True)), due
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        versions, waiting = self._held()
+        versions, waiting, due = self._held()
         for frame in rows:
             for us, event, is_version in zip(
                 frame["us"].tolist(), frame["event_id"].tolist(), frame["is_version"].tolist(), strict=True
             ):
                 (versions if is_version else waiting).append((us, event))
-        yield self._given_out(versions, waiting, timerValues.getCurrentWatermarkInMs())
+        yield from self._given_out(versions, waiting, due, timerValues.getCurrentWatermarkInMs(), False)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        yield self._given_out(*self._held(), timerValues.getCurrentWatermarkInMs())
+        yield from self._given_out(*self._held(), timerValues.getCurrentWatermarkInMs(), True)
 
     def close(self) -> None:
         pass
