@@ -237,7 +237,8 @@ class Heartbeat(StatefulProcessor):
 
 class Escalation(StatefulProcessor):
     """Raises an alert a level at each step of time without an acknowledgement, by event-time timers. A device whose
-    rules came as initial state follows these, others the given steps.
+    rules came as initial state follows these, others the given steps. What a device holds is one value, with the one
+    timer of the level that is due first.
     """
 
     def __init__(self, steps_us: list[int]):
@@ -245,22 +246,22 @@ class Escalation(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.rules = handle.getListState("rules", T.StructType([T.StructField("after_us", T.LongType())]))
-        # alerts that wait: when, which, and the next level
-        self.open = handle.getMapState(
-            "open",
-            T.StructType([T.StructField("id", T.LongType())]),
-            T.StructType([T.StructField("us", T.LongType()), T.StructField("level", T.IntegerType())])
-        )
+        longs = T.ArrayType(T.LongType())
+        # the rules by level, and the alerts that wait: which, when, and the next level
+        fields = [(n, longs) for n in ("rule", "after_us", "id", "us", "level")] + [("due", T.LongType())]
+        self.state = handle.getValueState("held", T.StructType([T.StructField(n, t) for n, t in fields]))
+
+    def _held(self) -> tuple[list, dict, int | None]:
+        """The rules, the alerts that wait, and the timer; the steps of this device are in force from here on."""
+        rule, after, alert, us, level, due = self.state.get() or ((), (), (), (), (), None)
+        rules = sorted(zip(rule, after, strict=True))
+        self.steps_us = [x for _, x in rules] or self.usual
+        return rules, dict(zip(alert, zip(us, level, strict=True), strict=True)), due
 
     def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:  # noqa: N802, N803
-        for us in initialState.sort_values("level")["after_us"].tolist():
-            self.rules.appendValue((us,))
-
-    def _begin(self) -> dict:
-        """The alerts that wait; the steps of this device are in force from here on."""
-        self.steps_us = [r[0] for r in self.rules.get()] if self.rules.exists() else self.usual
-        return {k[0]: tuple(v) for k, v in self.open.iterator()}
+        rules, waiting, due = self._held()
+        rules += zip(initialState["level"].tolist(), initialState["after_us"].tolist(), strict=True)
+        self._keep(rules, waiting, due, due)
 
     def _raise(self, waiting: dict, until: int, out: list) -> None:
         """Levels that fall due up to a time."""
@@ -273,19 +274,28 @@ class Escalation(StatefulProcessor):
             else:
                 waiting[alert] = us, level
 
-    def _keep(self, waiting: dict) -> None:
-        for (alert,) in [k for k, _ in self.open.iterator()]:
-            if alert not in waiting:
-                self.open.removeKey((alert,))
-        for alert, state in waiting.items():
-            self.open.updateValue((alert,), state)
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer[0] if isinstance(timer, tuple) else timer)
-        for due in {(us + self.steps_us[level - 1]) // 1000 + 1 for us, level in waiting.values()}:
-            self.handle.registerTimer(due)
+    def _keep(self, rules: list, waiting: dict, later: int | None, due: int | None) -> None:
+        if later != due:
+            if due is not None:
+                self.handle.deleteTimer(due)
+            if later is not None:
+                self.handle.registerTimer(later)
+        if rules or waiting:
+            alerts = [(alert, *state) for alert, state in waiting.items()]
+            columns = [[x[k] for x in rules] for k in (0, 1)] + [[x[k] for x in alerts] for k in (0, 1, 2)]
+            self.state.update((*columns, later))
+        else:
+            self.state.clear()
+
+    def _due(self, waiting: dict) -> int | None:
+        return min(((us + self.steps_us[level - 1]) // 1000 + 1 for us, level in waiting.values()), default=None)
+
+    @staticmethod
+    def _frame(out: list) -> pd.DataFrame:
+        return pd.DataFrame(out, columns=["alert_id", "level"]).astype({"alert_id": "int64", "level": "int32"})
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        waiting, out = self._begin(), []
+        (rules, waiting, due), out = self._held(), []
         events = sorted(
             (us, kind, i)
             for frame in rows
@@ -301,14 +311,16 @@ class Escalation(StatefulProcessor):
                 waiting[i] = us, 1
         if events:
             self._raise(waiting, events[-1][0], out)
-        self._keep(waiting)
-        yield pd.DataFrame(out, columns=["alert_id", "level"]).astype({"alert_id": "int64", "level": "int32"})
+        self._keep(rules, waiting, self._due(waiting), due)
+        if out:
+            yield self._frame(out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        waiting, out = self._begin(), []
+        (rules, waiting, _), out = self._held(), []
         self._raise(waiting, timerValues.getCurrentWatermarkInMs() * 1000, out)
-        self._keep(waiting)
-        yield pd.DataFrame(out, columns=["alert_id", "level"]).astype({"alert_id": "int64", "level": "int32"})
+        self._keep(rules, waiting, self._due(waiting), None)  # the timer that fired is gone
+        if out:
+            yield self._frame(out)
 
     def close(self) -> None:
         pass
