@@ -356,6 +356,15 @@ def test_unseen_texts_fall_back_and_probabilities_add_up(spark, sf):
             )
 
 
+def test_counts_are_of_five_bytes_and_know_those_of_one_text(spark):
+    texts = ["abcdefg", "abcdefg", "xbcdefg", None]
+    frame = spark.createDataFrame([(x, "l") for x in texts], "text string, lang string")
+    got = {
+        int(r["k"]).to_bytes(5, "big"): (r["c"], r["a"] == r["z"]) for r in quality_rules.count_grams(frame).collect()
+    }
+    assert got[b"abcde"] == (2, True) and got[b"bcdef"] == (3, False) and got[b"\n\n\n\nx"] == (1, True)
+
+
 def test_any_number_of_languages_has_models_and_bands(spark):
     """No language shares another's model, and none is left without a band."""
     rng = np.random.default_rng(2)

@@ -1,13 +1,17 @@
 """Quality rules: fixed limits on counts, then n-gram perplexity within bands of each language.
 
 The language model is an interpolated modified Kneser-Ney model over UTF-8 bytes, ORDER of them at a time, one model
-for each language. Spark counts the n-grams of all texts (each task sends its distinct n-grams once); a language has
-2^24 of them at most, whatever the corpus, so nothing is cut off. Each language's model is built in a task of its own
-and stored in the shared folder as sorted arrays of keys; workers load the languages that they meet. Any number of
-languages may occur.
+for each language. Spark counts the n-grams of all texts (each task sends its distinct n-grams once) and, from them,
+those of all shorter orders; nothing is cut off, and the corpus decides how large a model is. The orders up to LOW
+(65,792 n-grams at most) are one file for each language. Longer n-grams lie in files dealt by the two bytes before
+their last one, so that an n-gram, its contexts and all that it backs off to meet in one task. Files are sorted arrays
+in the shared folder; workers load those that they meet. Any number of languages may occur.
+
+A text's score leaves out what the model learned from that text: an n-gram or a context that no other text holds counts
+as unseen (texts that are equal are one). The perplexity is that of the whole model.
 
 A text is scored in segments of about SEGMENT bytes: the mean negative log-probability of each, in deviations from
-what the model gives its language. A segment that its own language doesn't explain takes the score of the language
+what the model gives its language's n-grams. A segment that its own language doesn't explain takes the score of the language
 that explains it best, so a quotation from another language is no junk. The score of the text is the median of its
 segments: junk is junk throughout, while a clean text may hold a passage of anything. A document is rejected if its
 score is further from its language's median than a multiple of the median absolute deviation, above or below.
@@ -20,7 +24,7 @@ from __future__ import annotations
 
 import hashlib
 import io
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -32,14 +36,17 @@ from pyspark.sql import types as T
 from tremora.llm.files import Written, list_files, open_read
 from tremora.llm.statistics import base_counts
 from tremora.llm.textscan import U, array_slices, column_of, slices, text_buffers
-from tremora.session import cut, scratch
-
-ORDER = 3
+from tremora.session import cut, forget, scratch
+
+ORDER = 5
+LOW = 2
+#: Distinct n-grams in a file, about.
+PART_GRAMS = 500_000
+#: The two bytes before the last, times this, modulo the files of the language, are the number of a file.
+MIX = 40_503
 SEGMENT = 64
 #: A segment so many deviations above its own language's mean is compared with the other languages.
 FOREIGN = 3.0
-#: Of 3,243 labelled clean texts at sf0.1 that pass the fixed limits one is more than 7 above; none is more than 7
-#: below.
 ABOVE, BELOW = 8.0, 10.0
 #: Deviations are taken as so much at least, and as so many times more where a language has only so many texts.
 LEAST_DEVIATION, FEW = 0.05, 10
@@ -47,40 +54,60 @@ LEAST_DEVIATION, FEW = 0.05, 10
 BROADCAST_LANGUAGES = 100_000
 #: Bytes of models that a worker keeps.
 LOADED_BYTES = 64 << 20
+SCORES = ("score", "short_score")
+LIMITS = ("low", "high", "short_low", "short_high")
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
 def grams(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Key of the n-gram that ends at each byte. Line feeds stand before each text."""
     pad = ORDER - 1
-    padded = np.insert(data, np.repeat(offsets[:-1], pad), 0x0A).astype(np.uint32)
-    key = np.zeros(len(padded), dtype=np.uint32)
+    padded = np.insert(data, np.repeat(offsets[:-1], pad), 0x0A).astype(U)
+    key = np.zeros(len(padded), dtype=U)
     for k in range(ORDER):
-        key[pad:] |= padded[k : len(padded) - pad + k] << np.uint32(8 * (pad - k))
+        key[pad:] |= padded[k : len(padded) - pad + k] << U(8 * (pad - k))
     keep = np.ones(len(padded), dtype=bool)
     keep[(offsets[:-1] + pad * np.arange(len(offsets) - 1))[:, None] + np.arange(pad)[None, :]] = False
     return key[keep]
 
 
+def _below(n: int) -> int:
+    return (1 << 8 * n) - 1
+
+
+def _counted(
+    keys: np.ndarray, counts: np.ndarray, first: np.ndarray, last: np.ndarray
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys in order, their counts, and the least and greatest text of each."""
+    order = np.argsort(keys)
+    keys = keys[order]
+    at = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, dtype=np.int64)
+    if not len(at):
+        return keys, counts, first, last
+    return (
+        keys[at],
+        np.add.reduceat(counts[order], at),
+        np.minimum.reduceat(first[order], at),
+        np.maximum.reduceat(last[order], at)
+    )
+
+
 def count_grams(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
-    """(l, k, c) for each distinct n-gram of each language."""
-    names = ["l", "k", "c"]
+    """(l, k, c, a, z) for each distinct n-gram of each language: its count, and the least and greatest digest of the
+    texts that hold it, which are equal if it is one text.
+    """
+    names = ["l", "k", "c", "a", "z"]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         languages: dict[str | None, int] = {}
-        keys, counts, waiting = [np.zeros(0, dtype=U)], [np.zeros(0, dtype=np.int64)], 0
-
-        def merged() -> tuple[np.ndarray, np.ndarray]:
-            all_keys, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-            return all_keys, np.bincount(
-                inverse, weights=np.concatenate(counts), minlength=len(all_keys)
-            ).astype(np.int64)
+        held: list[tuple] = []
+        waiting = 0
 
-        def sent(own: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        def sent(own: np.ndarray, *rest: np.ndarray) -> pa.RecordBatch:
             code = pa.array((own >> U(8 * ORDER)).astype(np.int32))
             listed = pa.array(list(languages) or [""], pa.string())
             return pa.RecordBatch.from_arrays(
-                [listed.take(code), pa.array((own & U((1 << 8 * ORDER) - 1)).astype(np.int32)), pa.array(n)],
+                [listed.take(code), pa.array((own & U(_below(ORDER))).astype(np.int64)), *map(pa.array, rest)],
                 names=names
             )
 
@@ -90,26 +117,24 @@ def count_grams(docs: DataFrame, text: str = "text", lang: str = "lang") -> Data
                 code = np.array(
                     [languages.setdefault(x, len(languages)) for x in column_of(part, "l").to_pylist()], dtype=np.int64
                 )
-                own, n = np.unique(
-                    grams(data, offsets).astype(U) | np.repeat(code.astype(U) << U(8 * ORDER), np.diff(offsets)),
-                    return_counts=True
-                )
-                keys.append(own)
-                counts.append(n)
-                waiting += len(own)
+                size = np.diff(offsets)
+                digest = np.repeat(column_of(part, "d").to_numpy(zero_copy_only=False), size)
+                keys = grams(data, offsets) | np.repeat(code.astype(U) << U(8 * ORDER), size)
+                held.append(_counted(keys, np.ones(len(keys), dtype=np.int64), digest, digest))
+                waiting += len(held[-1][0])
                 if waiting > 2_000_000:
-                    own, n = merged()
-                    keys, counts, waiting = [own], [n], len(own)
+                    held = [_counted(*map(np.concatenate, zip(*held, strict=True)))]
+                    waiting = len(held[0][0])
                     if waiting > 1_000_000:
-                        yield sent(own, n)
-                        keys, counts, waiting, languages = [], [], 0, {}
+                        yield sent(*held[0])
+                        held, waiting, languages = [], 0, {}
         if waiting:
-            yield sent(*merged())
+            yield sent(*_counted(*map(np.concatenate, zip(*held, strict=True))))
 
     rows = docs.select(
-        F.col(text).alias("t"), F.col(lang).cast("string").alias("l")
-    ).mapInArrow(count, "l string, k int, c long")
-    return rows.groupBy("l", "k").agg(F.sum("c").alias("c"))
+        F.col(text).alias("t"), F.col(lang).cast("string").alias("l"), F.xxhash64(text).alias("d")
+    ).mapInArrow(count, "l string, k long, c long, a long, z long")
+    return rows.groupBy("l", "k").agg(F.sum("c").alias("c"), F.min("a").alias("a"), F.max("z").alias("z"))
 
 
 def _discounts(counts: list[int]) -> list[float]:
@@ -129,94 +154,216 @@ def _find(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, table[at] == keys
 
 
+def _look(arrays: dict[str, np.ndarray], keys: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """Natural logarithms of the probabilities of the last bytes given those before: of the whole model, and without
+    n-grams and contexts of one text.
+    """
+    full, held = np.zeros(len(keys)), np.zeros(len(keys))
+    settled = np.zeros(len(keys), dtype=bool)
+    open_ = np.arange(len(keys))
+    for n in range(order, 0, -1):
+        own = keys[open_] & U(_below(n))
+        at, hit = _find(arrays[f"k{n}"], own)
+        p = arrays[f"p{n}"][at]
+        new = hit & ~settled[open_]
+        full[open_[new]] += p[new]
+        settled[open_[new]] = True
+        shared = hit & arrays[f"s{n}"][at]
+        held[open_[shared]] += p[shared]
+        open_, own = open_[~shared], own[~shared]
+        if not len(open_):
+            return full, held
+        at, hit = _find(arrays[f"h{n}"], own >> U(8))
+        w = np.where(hit, arrays[f"w{n}"][at], 0.0)
+        new = ~settled[open_]
+        full[open_[new]] += w[new]
+        held[open_] += np.where(arrays[f"g{n}"][at], w, 0.0)
+    full[open_[~settled[open_]]] -= np.log(256)
+    held[open_] -= np.log(256)
+    return full, held
+
+
+def _extended(arrays: dict[str, np.ndarray], tables: dict[int, tuple]) -> dict[str, np.ndarray]:
+    """The arrays with those of longer n-grams, from their sorted tables of (key, count, least text, greatest text)."""
+    arrays = dict(arrays)
+    for n in sorted(tables):
+        k, c, first, last = tables[n]
+        discount = arrays["discounts"][n - 1][np.minimum(c, 3)]
+        begins = np.flatnonzero(np.append(True, (k[1:] ^ k[:-1]) >> U(8) > 0))
+        group = np.repeat(np.arange(len(begins)), np.diff(np.append(begins, len(k))))
+        total = np.bincount(group, weights=c)
+        weight = np.bincount(group, weights=discount) / total
+        lower = np.exp(_look(arrays, k & U(_below(n - 1)), n - 1)[0])
+        p = (c - discount) / total[group] + weight[group] * lower
+        arrays |= {
+            f"k{n}": k,
+            f"p{n}": np.log(p),
+            f"s{n}": first != last,
+            f"h{n}": k[begins] >> U(8),
+            f"w{n}": np.log(weight),
+            f"g{n}": np.minimum.reduceat(first, begins) != np.maximum.reduceat(last, begins)
+        }
+    return arrays
+
+
+def _tables(longest: int, least: int, table: tuple) -> dict[int, tuple]:
+    """Tables of the orders down to the least: shorter n-grams count what continues them."""
+    tables = {longest: table}
+    for n in range(longest - 1, least - 1, -1):
+        k, _, first, last = tables[n + 1]
+        tables[n] = _counted(k & U(_below(n)), np.ones(len(k), dtype=np.int64), first, last)
+    return tables
+
+
 class Model:
-    """One language: sorted keys with the log-probabilities of n-grams and the log-weights of contexts, by order."""
+    """One language: its short n-grams, and what finds the arrays of a file of longer ones."""
 
-    def __init__(self, arrays: dict[str, np.ndarray]):
-        self.arrays = arrays
+    def __init__(self, arrays: dict[str, np.ndarray], part: Callable[[int], dict[str, np.ndarray]]):
+        self.arrays, self.part = arrays, part
         self.mean, self.deviation = arrays["scale"]
+        self.parts = set(arrays["parts"].tolist())
 
-    @classmethod
-    def of(cls, keys: np.ndarray, counts: np.ndarray) -> Model:
-        """From the counts of the n-grams of ORDER bytes; lower orders count what continues them."""
-        tables = {ORDER: (keys.astype(np.uint32), counts)}
-        for n in range(ORDER - 1, 0, -1):
-            tables[n] = np.unique(tables[n + 1][0] & np.uint32((1 << 8 * n) - 1), return_counts=True)
-        model = cls({"scale": np.array([0.0, 1.0])})
-        for n in range(1, ORDER + 1):
-            k, c = tables[n]
-            order = np.argsort(k)
-            k, c = k[order], c[order]
-            discount = np.array(_discounts([int((c == i).sum()) for i in range(1, 5)]))[np.minimum(c, 3)]
-            context, group = np.unique(k >> np.uint32(8), return_inverse=True)
-            total = np.bincount(group, weights=c)
-            weight = np.bincount(group, weights=discount) / total
-            lower = np.exp(model.log_p(k & np.uint32((1 << 8 * (n - 1)) - 1), n - 1))
-            p = (c - discount) / total[group] + weight[group] * lower
-            model.arrays |= {f"k{n}": k, f"p{n}": np.log(p), f"h{n}": context, f"w{n}": np.log(weight)}
-        own = -model.arrays[f"p{ORDER}"]
-        mean = np.average(own, weights=c)
-        model.mean, model.deviation = model.arrays["scale"] = np.array(
-            [mean, max(np.sqrt(np.average((own - mean) ** 2, weights=c)), 0.1)]
-        )
-        return model
-
-    def log_p(self, keys: np.ndarray, order: int = ORDER) -> np.ndarray:
-        """Natural logarithms of the probabilities of the last bytes given those before."""
-        out = np.zeros(len(keys))
-        open_ = np.arange(len(keys))
-        for n in range(order, 0, -1):
-            own = keys[open_] & np.uint32((1 << 8 * n) - 1)
-            at, hit = _find(self.arrays[f"k{n}"], own)
-            out[open_[hit]] += self.arrays[f"p{n}"][at[hit]]
-            open_, own = open_[~hit], own[~hit]
-            if not len(open_):
-                return out
-            at, hit = _find(self.arrays[f"h{n}"], own >> np.uint32(8))
-            out[open_[hit]] += self.arrays[f"w{n}"][at[hit]]
-        out[open_] -= np.log(256)
-        return out
-
-    @property
-    def size(self) -> int:
-        return sum(x.nbytes for x in self.arrays.values())
+    def both(self, keys: np.ndarray, order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
+        """Log-probabilities of the whole model, and without what one text alone holds."""
+        keys, at = np.unique(keys.astype(U), return_inverse=True)
+        full, held = np.zeros(len(keys)), np.zeros(len(keys))
+        number = (keys >> U(8) & U(65535)).astype(np.int64) * MIX % int(self.arrays["n_parts"])
+        by = np.argsort(number, kind="stable")
+        for here in np.split(by, np.flatnonzero(np.diff(number[by])) + 1) if len(keys) else ():
+            i = int(number[here[0]])
+            own = (self.arrays | self.part(i), order) if i in self.parts else (self.arrays, LOW)
+            full[here], held[here] = _look(own[0], keys[here], own[1])
+        return full[at], held[at]
+
+    def log_p(self, keys: np.ndarray) -> np.ndarray:
+        return self.both(keys)[0]
 
 
 def _name(language: str | None) -> str:
     return "none.npz" if language is None else hashlib.sha1(language.encode()).hexdigest() + ".npz"
 
 
+def _store(folder: str, name: str, arrays: dict[str, np.ndarray]) -> str:
+    buffer, out = io.BytesIO(), Written(folder, name)
+    np.savez(buffer, **arrays)
+    out.write(buffer.getvalue())
+    return out.close()
+
+
+def _load(path: str) -> dict[str, np.ndarray]:
+    with open_read(path) as file:
+        return dict(np.load(io.BytesIO(file.read())))
+
+
 def train(docs: DataFrame, folder: str, text: str = "text", lang: str = "lang") -> DataFrame:
-    """Count all texts and write a file for each language; (l, path, n_grams) of each. Run it once: keep what it
+    """Count all texts and write the files of each language; (l, path, n_grams) of each. Run it once: keep what it
     returns with ``cut``.
     """
+    counted = cut(count_grams(docs, text, lang), "n-grams")
+    tables = {ORDER: counted}
+    for n in range(ORDER - 1, LOW - 1, -1):
+        tables[n] = tables[n + 1].groupBy("l", F.col("k").bitwiseAND(F.lit(_below(n))).alias("k")).agg(
+            F.count("*").alias("c"), F.min("a").alias("a"), F.max("z").alias("z")
+        )
+    seen = [F.count_if(F.col("c") == i).alias(f"n{i}") for i in range(1, 5)]
+    rows = None
+    for n, t in tables.items():
+        if n > LOW:
+            own = t.groupBy("l").agg(F.count("*").alias("n_grams"), F.array(*seen).alias("seen"))
+            own = own.withColumn("low", F.expr("cast(null as array<struct<k: long, c: long, a: long, z: long>>)"))
+        else:  # 65,536 at most
+            own = t.groupBy("l").agg(
+                F.count("*").alias("n_grams"), F.array(*seen).alias("seen"),
+                F.collect_list(F.struct("k", "c", "a", "z")).alias("low")
+            )
+        own = own.withColumn("n", F.lit(n))
+        rows = own if rows is None else rows.union(own)
+    heads = rows.groupBy("l").agg(
+        F.array_sort(F.collect_list(F.struct("n", "seen"))).alias("seen"),
+        F.max(F.when(F.col("n") == ORDER, F.col("n_grams"))).alias("n_grams"),
+        F.max_by("low", -F.col("n")).alias("low")
+    )
+
+    def head(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for row in batch.to_pylist():
+                table = [np.array([x[c] for x in row["low"]], dtype=np.int64) for c in ("k", "c", "a", "z")]
+                made = _tables(LOW, 1, _counted(table[0].astype(U), *table[1:]))
+                numbers = [[int((made[n][1] == i).sum()) for i in range(1, 5)] for n in range(1, LOW)]
+                numbers += [x["seen"] for x in row["seen"]]
+                parts = row["n_grams"] // PART_GRAMS + 1
+                arrays = {"discounts": np.array([_discounts(x) for x in numbers]), "n_parts": np.array(parts)}
+                name = _name(row["l"])[: -len(".npz")]
+                out.append((row["l"], name, _store(folder, f"{name}.head", _extended(arrays, made)), parts))
+            columns = list(zip(*out, strict=True)) or [(), (), (), ()]
+            kinds = (pa.string(), pa.string(), pa.string(), pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["__l", "name", "head", "parts"]
+            )
+
+    listed = cut(heads.mapInArrow(head, "__l string, name string, head string, parts long"), "heads")
+    small = F.broadcast(listed) if listed.count() <= BROADCAST_LANGUAGES else listed
+    dealt = counted.join(small, F.col("l").eqNullSafe(F.col("__l"))).withColumn(
+        "part", F.shiftright("k", 8).bitwiseAND(F.lit(65535)) * MIX % F.col("parts")
+    ).select("l", "head", F.concat_ws(".", "name", "part").alias("f"), "k", "c", "a", "z")
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         for batch in batches:
             at = 0
-            for language in _runs(column_of(batch, "l")):
-                if held and column_of(held[0], "l")[0].as_py() != language[0]:
+            for f, n in _runs(column_of(batch, "f")):
+                if held and column_of(held[0], "f")[0].as_py() != f:
                     yield written(held)
                     held = []
-                held.append(batch.slice(at, language[1]))
-                at += language[1]
+                held.append(batch.slice(at, n))
+                at += n
         if held:
             yield written(held)
 
     def written(held: list[pa.RecordBatch]) -> pa.RecordBatch:
         rows = pa.Table.from_batches(held)
-        language, buffer = rows["l"][0].as_py(), io.BytesIO()
-        np.savez(buffer, **Model.of(rows["k"].to_numpy(), rows["c"].to_numpy()).arrays)
-        out = Written(folder, _name(language))
-        out.write(buffer.getvalue())
-        return pa.RecordBatch.from_arrays(
-            [pa.array([language], pa.string()), pa.array([out.close()]), pa.array([rows.num_rows])],
-            names=["l", "path", "n_grams"]
-        )
+        language, path, f = (rows[c][0].as_py() for c in ("l", "head", "f"))
+        k, c, first, last = (rows[x].to_numpy() for x in ("k", "c", "a", "z"))
+        arrays = _extended(_load(path), _tables(ORDER, LOW + 1, _counted(k.astype(U), c, first, last)))
+        cost = -_look(arrays, arrays[f"k{ORDER}"], ORDER)[1]
+        c = _counted(k.astype(U), c, first, last)[1]
+        _store(folder, f"{f}.part", {x: v for x, v in arrays.items() if x[1:].isdigit() and int(x[1:]) > LOW})
+        return pa.RecordBatch.from_pylist(
+            [
+                {
+                    "l": language, "head": path, "part": int(f.rpartition(".")[2]), "n": len(k), "c": float(c.sum()),
+                    "x": float((c * cost).sum()), "xx": float((c * cost**2).sum())
+                }
+            ],
+            schema=pa.schema([("l", pa.string()), ("head", pa.string()), ("part", pa.int64()), ("n", pa.int64())]
+                             + [(x, pa.float64()) for x in ("c", "x", "xx")])
+        )
+
+    parts = cut(
+        dealt.repartition("f").sortWithinPartitions("f").mapInArrow(
+            build, "l string, head string, part long, n long, c double, x double, xx double"
+        ),
+        "parts"
+    )
+    forget(counted)
+    whole = parts.groupBy("l", "head").agg(
+        F.collect_list("part").alias("parts"), *(F.sum(x).alias(x) for x in ("n", "c", "x", "xx"))
+    )
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                mean = row["x"] / row["c"]
+                scale = np.array([mean, max(np.sqrt(max(row["xx"] / row["c"] - mean**2, 0.0)), 0.1)])
+                arrays = _load(row["head"]) | {"scale": scale, "parts": np.array(row["parts"], dtype=np.int64)}
+                path = _store(folder, _name(row["l"]), arrays)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([row["l"]], pa.string()), pa.array([path]), pa.array([row["n"]], pa.int64())],
+                    names=["l", "path", "n_grams"]
+                )
 
-    counted = count_grams(docs, text, lang).repartition("l").sortWithinPartitions("l", "k")
-    return counted.mapInArrow(build, "l string, path string, n_grams long")
+    return whole.mapInArrow(finish, "l string, path string, n_grams long")
 
 
 def _runs(column: pa.Array) -> list[tuple[str | None, int]]:
@@ -232,27 +379,28 @@ def _runs(column: pa.Array) -> list[tuple[str | None, int]]:
 
 
 class Models:
-    """The models of a folder, loaded when they are asked for; the least recently used ones go."""
+    """The models of a folder, loaded when they are asked for; the least recently used files go."""
 
-    _kept: dict[str, Model | None] = {}
+    _kept: dict[str, dict[str, np.ndarray]] = {}
 
     def __init__(self, folder: str):
         self.folder = folder
         self.names: list[str] | None = None
 
-    def named(self, name: str) -> Model | None:
+    def _file(self, name: str) -> dict[str, np.ndarray]:
         path = f"{self.folder}/{name}"
         found = self._kept.pop(path, None)
-        if found is None:
-            if name not in self.all():
-                return None
-            with open_read(path) as file:
-                found = Model(dict(np.load(io.BytesIO(file.read()))))
-        self._kept[path] = found
-        while len(self._kept) > 1 and sum(m.size for m in self._kept.values()) > LOADED_BYTES:
+        self._kept[path] = found = _load(path) if found is None else found
+        size = lambda arrays: sum(x.nbytes for x in arrays.values())
+        while len(self._kept) > 1 and sum(map(size, self._kept.values())) > LOADED_BYTES:
             self._kept.pop(next(iter(self._kept)))
         return found
 
+    def named(self, name: str) -> Model | None:
+        if name not in self.all():
+            return None
+        return Model(self._file(name), lambda part: self._file(f"{name[: -len('.npz')]}.{part}.part"))
+
     def all(self) -> list[str]:
         if self.names is None:
             self.names = sorted(n for n in list_files(self.folder) if n.endswith(".npz"))
@@ -263,7 +411,8 @@ MEASURES = T.StructType(
     [
         *(T.StructField(c, T.LongType()) for c in COUNTS),
         T.StructField("log_perplexity", T.DoubleType()),
-        T.StructField("score", T.DoubleType())
+        T.StructField("score", T.DoubleType()),
+        T.StructField("short_score", T.DoubleType())
     ]
 )
 
@@ -281,13 +430,15 @@ def _segments(offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def score_texts(
     data: np.ndarray, offsets: np.ndarray, languages: list[str | None], models: Models
-) -> tuple[np.ndarray, np.ndarray]:
-    """(mean negative log-probability, score) of each text; 0 for an empty one or one whose language has no model."""
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(mean negative log-probability, score, score by n-grams one byte shorter) of each text; 0 for an empty one or one
+    whose language has no model.
+    """
     key = grams(data, offsets)
     begin, end, row = _segments(offsets)
     code, own = np.unique([_name(x) for x in languages], return_inverse=True)
     cost = np.zeros(len(key))
-    scaled = np.zeros(len(begin))
+    scaled = np.zeros((2, len(begin)))
     of_byte = np.repeat(own, np.diff(offsets))
 
     def deviations(model: Model, mean: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -297,28 +448,39 @@ def score_texts(
         if (model := models.named(name)) is None:
             continue
         here = of_byte == i
-        cost[here] = -model.log_p(key[here])
         some = own[row] == i
-        total = np.concatenate(([0.0], np.cumsum(np.where(here, cost, 0.0))))
         n = (end - begin)[some]
-        scaled[some] = deviations(model, (total[end[some]] - total[begin[some]]) / n, n)
-    odd = np.flatnonzero(scaled > FOREIGN)
+        for k in (0, 1):
+            full, alone = model.both(key[here], ORDER - k)
+            if not k:
+                cost[here] = -full
+            unlearned = np.zeros(len(key))
+            unlearned[here] = -alone
+            total = np.concatenate(([0.0], np.cumsum(unlearned)))
+            scaled[k, some] = deviations(model, (total[end[some]] - total[begin[some]]) / n, n)
+    odd = np.flatnonzero(scaled[0] > FOREIGN)
     if len(odd):
         n = (end - begin)[odd]
         first = np.cumsum(n) - n
         keys = key[np.repeat(begin[odd] - first, n) + np.arange(int(n.sum()))]
+        own_name = code[own[row[odd]]]
         for name in models.all():
             model = models.named(name)
-            scaled[odd] = np.minimum(scaled[odd], deviations(model, np.add.reduceat(-model.log_p(keys), first) / n, n))
-    order = np.lexsort((scaled, row))
+            for k in (0, 1):
+                found = deviations(model, np.add.reduceat(-model.both(keys, ORDER - k)[0], first) / n, n)
+                # its own language learned from the text
+                scaled[k, odd] = np.where(own_name == name, scaled[k, odd], np.minimum(scaled[k, odd], found))
     parts = np.bincount(row, minlength=len(languages))
     at = np.cumsum(parts) - parts
     full = np.flatnonzero(parts)
-    score = np.zeros(len(languages))
-    score[full] = (scaled[order[at[full] + (parts[full] - 1) // 2]] + scaled[order[at[full] + parts[full] // 2]]) / 2
+    score = np.zeros((2, len(languages)))
+    for k in (0, 1):
+        order = np.lexsort((scaled[k], row))
+        middle = scaled[k, order[at[full] + (parts[full] - 1) // 2]] + scaled[k, order[at[full] + parts[full] // 2]]
+        score[k, full] = middle / 2
     total = np.concatenate(([0.0], np.cumsum(cost)))
     size = np.diff(offsets)
-    return (total[offsets[1:]] - total[offsets[:-1]]) / np.maximum(size, 1), score
+    return (total[offsets[1:]] - total[offsets[:-1]]) / np.maximum(size, 1), *score
 
 
 def measures(folder: str, text: Column, lang: Column) -> Column:
@@ -329,7 +491,7 @@ def measures(folder: str, text: Column, lang: Column) -> Column:
         models, parts, at = Models(folder), [], 0
         for part in array_slices(texts):
             counts, data, offsets, _ = base_counts(part)
-            mean, score = score_texts(data, offsets, languages.slice(at, len(part)).to_pylist(), models)
+            mean, score, short = score_texts(data, offsets, languages.slice(at, len(part)).to_pylist(), models)
             at += len(part)
             empty = np.diff(offsets) == 0
             parts.append(
@@ -337,12 +499,13 @@ def measures(folder: str, text: Column, lang: Column) -> Column:
                     [
                         *(pa.array(counts[c], pa.int64()) for c in COUNTS),
                         pa.array(mean, mask=empty),
-                        pa.array(score, mask=empty)
+                        pa.array(score, mask=empty),
+                        pa.array(short, mask=empty)
                     ],
                     names=[f.name for f in MEASURES]
                 )
             )
-        kinds = [*((c, pa.int64()) for c in COUNTS), ("log_perplexity", pa.float64()), ("score", pa.float64())]
+        kinds = [*((c, pa.int64()) for c in COUNTS), *((c, pa.float64()) for c in ("log_perplexity", *SCORES))]
         return pa.concat_arrays(parts) if parts else pa.array([], pa.struct(kinds))
 
     return measure(text, lang.cast("string"))
@@ -354,7 +517,7 @@ def base_failed(m: Column) -> Column:
 
 @dataclass
 class Rules:
-    """The folder of the trained models, and (lang, low, high), a band for each language."""
+    """The folder of the trained models, and (lang, low, high, short_low, short_high): the bands of each language."""
 
     folder: str
     bands: DataFrame
@@ -363,13 +526,16 @@ class Rules:
     def judged(self, measured: DataFrame, m: str = "m", into: str = "kept") -> DataFrame:
         """Add whether a measured document is kept."""
         bands = self.bands.select(
-            F.col(self.lang).alias("__lang"), F.col("low").alias("__low"), F.col("high").alias("__high")
+            F.col(self.lang).alias("__lang"), *(F.col(c).alias(f"__{c}") for c in LIMITS)
         )
         if bands.count() <= BROADCAST_LANGUAGES:
             bands = F.broadcast(bands)
-        inside = F.coalesce(F.col(m)["score"].between(F.col("__low"), F.col("__high")), F.lit(True))
+        low, high, short_low, short_high = (F.col(f"__{c}") for c in LIMITS)
+        inside = F.coalesce(F.col(m)["score"].between(low, high), F.lit(True)) & F.coalesce(
+            F.col(m)["short_score"].between(short_low, short_high), F.lit(True)
+        )
         joined = measured.join(bands, F.col(self.lang).eqNullSafe(F.col("__lang")), "left")
-        return joined.withColumn(into, ~base_failed(F.col(m)) & inside).drop("__lang", "__low", "__high")
+        return joined.withColumn(into, ~base_failed(F.col(m)) & inside).drop("__lang", *(f"__{c}" for c in LIMITS))
 
 
 def fit(
@@ -388,24 +554,20 @@ def fit(
     cut(train(docs, folder, text, lang), "model-list")
     columns = [c for c in docs.columns if c != "m" and (keep_text or c != text)]
     measured = cut(docs.select(*columns, measures(folder, F.col(text), F.col(lang)).alias("m")), "measured")
-    sound = measured.where(~base_failed(F.col("m"))).select(lang, F.col("m")["score"].alias("x"))
-    middle = cut(sound.groupBy(lang).agg(F.percentile_approx("x", 0.5, 10_000).alias("middle")), "middles")
-    near = middle.select(F.col(lang).alias("__lang"), "middle")
+    sound = measured.where(~base_failed(F.col("m"))).select(lang, *(F.col("m")[c].alias(c) for c in SCORES))
+    half = lambda x: F.percentile_approx(x, 0.5, 10_000)
+    middle = cut(sound.groupBy(lang).agg(*(half(c).alias(f"middle_{c}") for c in SCORES)), "middles")
+    near = middle.withColumnRenamed(lang, "__lang")
     centred = sound.join(
         F.broadcast(near) if near.count() <= BROADCAST_LANGUAGES else near, F.col(lang).eqNullSafe(F.col("__lang"))
     )
-    deviation = F.greatest(
-        F.percentile_approx(F.abs(F.col("x") - F.col("middle")), 0.5, 10_000), F.lit(LEAST_DEVIATION)
-    )
-    spread = centred.groupBy(lang, "middle").agg((deviation * (1 + FEW / F.count("*"))).alias("d"))
-    bands = cut(
-        spread.select(
-            lang,
-            (F.col("middle") - below * F.col("d")).alias("low"),
-            (F.col("middle") + above * F.col("d")).alias("high")
-        ),
-        "bands"
+    middles = [f"middle_{c}" for c in SCORES]
+    few = 1 + FEW / F.count("*")
+    spread = centred.groupBy(lang, *middles).agg(
+        *((F.greatest(half(F.abs(F.col(c) - F.col(f"middle_{c}"))), F.lit(LEAST_DEVIATION)) * few).alias(c) for c in SCORES)
     )
+    limits = [F.col(f"middle_{c}") + k * F.col(c) for c in SCORES for k in (-below, above)]
+    bands = cut(spread.select(lang, *(x.alias(n) for x, n in zip(limits, LIMITS, strict=True))), "bands")
     return Rules(folder, bands, lang), measured
 
 
@@ -430,5 +592,5 @@ def op6_quality_rules(spark, sf_dir):
         base_failed(m).alias("base_failed"),
         "kept",
         F.exp(m["log_perplexity"]).alias("perplexity"),
-        m["score"].alias("score")
+        *(m[c].alias(c) for c in SCORES)
     )
